@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pitspark.llm import byte_bpe, packing, token_records
+from pitspark.llm import byte_bpe, compression_classifier, media, packing, quality_rules, token_records, warc
+from pitspark.llm.common import crc_mod
 
 END_ID = 1
 
@@ -20,18 +21,40 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.token_records(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(_table(spark, sf_dir, "pages"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_verdicts(_table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_sequences(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID)
 
 
+def op6_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = _table(spark, sf_dir, "documents"), crc_mod("doc_id", 3) == 1
+    scored = compression_classifier.classified(docs.select("doc_id", "text"), _table(spark, sf_dir, "labels"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.text_media(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_records": op1_token_records,
+    "op2_warc": op2_warc,
+    "op3_quality_rules": op3_quality_rules,
     "op5_packing": op5_packing,
+    "op6_compression_classifier": op6_compression_classifier,
     "op7_byte_bpe": op7_byte_bpe,
+    "op9_media": op9_media,
 }
 
 SQL: dict[str, str] = {}

@@ -20,10 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pitspark.llm.common import AtomicFile, filesystem, shared_dir, slices, text_or_empty
+from pitspark.llm.common import AtomicFile, filesystem, shared_dir, slices, text_or_empty, written
 from pitspark.llm.crc32c import crc32c, masked
 from pitspark.llm.tokens import text_encoder
 
@@ -33,7 +33,7 @@ CHECK = struct.Struct("<I")
 OVERHEAD = LENGTH.size + 2 * CHECK.size
 
 INDEX = pa.schema([("shard", pa.string()), ("place", pa.int64()), ("doc_id", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("n_tokens", pa.int64())])
-READ = pa.schema([("shard", pa.string()), ("place", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("start_in_shard", pa.int64()), ("ids_crc32", pa.int64())])
+READ = pa.schema([("shard", pa.string()), ("place", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("start", pa.int64()), ("ids_crc32", pa.int64())])
 
 
 class CorruptRecord(ValueError):
@@ -132,9 +132,9 @@ def read_token_records(spark: SparkSession, out: str) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard in batch.column("shard").to_pylist():
+            for shard, start in zip(*(batch.column(c).to_pylist() for c in ("shard", "before"))):
                 fs, path = filesystem(f"{out}/{shard}")
-                place = start = 0
+                place = 0
                 with fs.open_input_stream(path, buffer_size=1 << 20) as stream:
                     for some in _frames_of(stream):
                         rows = []
@@ -143,17 +143,10 @@ def read_token_records(spark: SparkSession, out: str) -> DataFrame:
                             place, start = place + 1, start + len(ids)
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), READ.types)], schema=READ)
 
-    index = read_index(spark, out)
-    shards = index.groupBy("shard").agg(F.sum("n_tokens").alias("shard_tokens"))
-    before = shards.select("shard", (F.sum("shard_tokens").over(_by_shard()) - F.col("shard_tokens")).alias("before"))
-    records = shards.select("shard").mapInArrow(read, "shard string, place long, doc_id long, n_tokens long, start_in_shard long, ids_crc32 long")
-    return records.join(before, "shard").withColumn("start", F.col("before") + F.col("start_in_shard")).drop("before")
-
-
-def _by_shard():
-    from pyspark.sql import Window
-
-    return Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = read_index(spark, out).groupBy("shard").agg(F.sum("n_tokens").alias("tokens"))
+    upto = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
+    shards = written(sizes.select("shard", (F.sum("tokens").over(upto) - F.col("tokens")).alias("before")), "shards")
+    return shards.repartition(max(1, shards.count())).mapInArrow(read, "shard string, place long, doc_id long, n_tokens long, start long, ids_crc32 long")
 
 
 def read_shuffled(spark: SparkSession, out: str, seed: int) -> DataFrame:
