@@ -1,7 +1,8 @@
 """Byte-level BPE by a hierarchical-bitmap rank queue, and its decoding.
 
 The bytes of a pre-token form a linked list. A pair of neighbours that the vocabulary joins waits in the
-bucket of the joined token's rank, by its position. Two levels of bitmaps say which buckets hold
+bucket of the joined token's rank, by its position, and a bucket is worked through from left to right,
+unless a pair of its own or a lower rank turns up, which then comes first. Two levels of bitmaps say which buckets hold
 anything; finding the first set bit at each level gives the next rank. An entry whose neighbours have
 changed since it was put there is stale and is passed over when it comes up. So a pre-token of n bytes
 takes about n log n steps however long it is, where a search for the best pair after each merge takes
@@ -16,10 +17,10 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+from array import array
 from collections.abc import Iterator
-from heapq import heappop, heappush
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,87 +29,136 @@ from pitspark.llm.common import slices, text_or_empty
 from pitspark.llm.tokens import CACHED_PIECES, LONGEST_CACHED, pieces_with_space
 
 LEAF_BITS = 8  # ranks that share a leaf bitmap: 2**LEAF_BITS
-
-
-class RankQueue:
-    """Positions in buckets by rank; the smallest rank first, then the smallest position."""
-
-    def __init__(self):
-        self.summary = 0
-        self.leaves: dict[int, int] = {}
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        leaf = rank >> LEAF_BITS
-        self.leaves[leaf] = self.leaves.get(leaf, 0) | 1 << (rank & (1 << LEAF_BITS) - 1)
-        self.summary |= 1 << leaf
-
-    def pop(self) -> tuple[int, int]:
-        leaf = (self.summary & -self.summary).bit_length() - 1
-        bits = self.leaves[leaf]
+LEAF_MASK = (1 << LEAF_BITS) - 1
+
+
+class Merges:
+    """The ranks, and which joined token each pair of tokens makes."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.single = np.zeros(256, np.int64)
+        for token, rank in ranks.items():
+            if len(token) == 1:
+                self.single[token[0]] = rank
+        self.wall = max(ranks.values()) + 1  # stands between pre-tokens and joins with nothing
+        self.base = self.wall + 1
+        self.pairs = {}
+        for token, rank in ranks.items():
+            for k in range(1, len(token)):
+                left, right = ranks.get(token[:k]), ranks.get(token[k:])
+                if left is not None and right is not None:
+                    self.pairs[left * self.base + right] = rank
+        self.first = np.full((256, 256), -1, np.int64)
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.first[token[0], token[1]] = rank
+
+
+def merge_all(pieces: list[bytes], merges: Merges) -> list[list[int]]:
+    """The ids of each pre-token; one queue serves all of them, with a wall after each."""
+    if not pieces:
+        return []
+    data = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)
+    walls = np.cumsum([len(p) + 1 for p in pieces]) - 1
+    tokens = merges.single[data]
+    tokens[walls] = merges.wall
+    start = np.full(len(data), -1, np.int64)
+    start[:-1] = merges.first[data[:-1], data[1:]]
+    start[walls] = -1
+    start[walls[walls > 0] - 1] = -1
+    at = np.flatnonzero(start >= 0)
+    at = at[np.argsort(start[at], kind="stable")]
+    found, begins = np.unique(start[at], return_index=True)
+
+    buckets: dict[int, list[int]] = {}  # positions by rank
+    leaves: dict[int, int] = {}
+    summary = 0
+    for rank, some in zip(found.tolist(), np.split(at, begins[1:])):
+        buckets[rank] = some.tolist()
+        leaves[rank >> LEAF_BITS] = leaves.get(rank >> LEAF_BITS, 0) | 1 << (rank & LEAF_MASK)
+        summary |= 1 << (rank >> LEAF_BITS)
+
+    ids, wanted = tokens.tolist(), start.tolist()
+    n = len(ids)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    joins, base = merges.pairs.get, merges.base
+    while summary:
+        leaf = (summary & -summary).bit_length() - 1
+        bits = leaves[leaf]
         low = bits & -bits
         rank = leaf << LEAF_BITS | low.bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            self.leaves[leaf] = bits ^ low
-            if bits == low:
-                self.summary ^= 1 << leaf
-        return rank, position
-
-    def __bool__(self) -> bool:
-        return self.summary != 0
-
-
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of one pre-token."""
-    whole = ranks.get(piece)
-    if whole is not None:
-        return [whole]
-    n = len(piece)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    wanted: list[int] = [-1] * n  # the rank of the pair that starts here, -1 if none or if it is gone
-    queue = RankQueue()
-    push, get = queue.push, ranks.get
-    for i in range(n - 1):
-        rank = get(piece[i : i + 2])
-        if rank is not None:
-            wanted[i] = rank
-            push(rank, i)
-    while queue:
-        rank, i = queue.pop()
-        if wanted[i] != rank:
-            continue  # stale
-        j = after[i]
-        end = after[j]
-        wanted[j] = -1
-        after[i] = end
-        if end < n:
+        leaves[leaf] = bits = bits ^ low
+        if not bits:
+            summary ^= 1 << leaf
+        bucket = buckets.pop(rank)
+        bucket.sort()
+        lowest = rank + 1
+        for k, i in enumerate(bucket):
+            if wanted[i] != rank:
+                continue  # stale
+            j = after[i]
+            end = after[j]
+            left = before[i]
+            ids[i] = rank
+            wanted[j] = -1
+            after[i] = end
             before[end] = i
-            found = get(piece[i : after[end]])
-            wanted[i] = -1 if found is None else found
-            if found is not None:
-                push(found, i)
-        else:
-            wanted[i] = -1
-        left = before[i]
-        if left >= 0:
-            found = get(piece[left:end])
-            wanted[left] = -1 if found is None else found
-            if found is not None:
-                push(found, left)
-    out, i = [], 0
+            new = joins(rank * base + ids[end])
+            if new is None:
+                wanted[i] = -1
+            else:
+                wanted[i] = new
+                bucket_of = buckets.get(new)
+                if bucket_of is not None:
+                    bucket_of.append(i)
+                else:
+                    buckets[new] = [i]
+                    leaf = new >> LEAF_BITS
+                    leaves[leaf] = leaves.get(leaf, 0) | 1 << (new & LEAF_MASK)
+                    summary |= 1 << leaf
+                if new < lowest:
+                    lowest = new
+            if left >= 0:
+                new = joins(ids[left] * base + rank)
+                if new is None:
+                    wanted[left] = -1
+                else:
+                    wanted[left] = new
+                    bucket_of = buckets.get(new)
+                    if bucket_of is not None:
+                        bucket_of.append(left)
+                    else:
+                        buckets[new] = [left]
+                        leaf = new >> LEAF_BITS
+                        leaves[leaf] = leaves.get(leaf, 0) | 1 << (new & LEAF_MASK)
+                        summary |= 1 << leaf
+                    if new < lowest:
+                        lowest = new
+            if lowest <= rank and k + 1 < len(bucket):
+                # something that comes before the rest of this bucket has turned up: put the rest back
+                buckets.setdefault(rank, []).extend(bucket[k + 1 :])
+                leaf = rank >> LEAF_BITS
+                leaves[leaf] = leaves.get(leaf, 0) | 1 << (rank & LEAF_MASK)
+                summary |= 1 << leaf
+                break
+    out, one, i, wall = [], [], 0, merges.wall
     while i < n:
-        out.append(ranks[piece[i : after[i]]])
+        if ids[i] == wall:
+            out.append(one)
+            one = []
+        else:
+            one.append(ids[i])
         i = after[i]
     return out
 
 
+def merge(piece: bytes, merges: Merges) -> list[int]:
+    """The ids of one pre-token."""
+    whole = merges.ranks.get(piece)
+    return [whole] if whole is not None else merge_all([piece], merges)[0]
+
+
 class ByteBpe:
     """Encodes and decodes with a file of ranks (base64 token, space, rank on each line)."""
 
@@ -116,28 +166,37 @@ class ByteBpe:
         import regex
 
         with open(path, "rb") as lines:
-            self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self.bytes_of = {rank: token for token, rank in self.ranks.items()}
-        self.text_of = {rank: b"%d" % rank for rank in self.bytes_of}
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self.merges = Merges(ranks)
+        self.bytes_of = {rank: token for token, rank in ranks.items()}
+        self.text_of = {rank: b"%d" % rank for rank in ranks.values()}
         self.matches = regex.compile(pattern).findall
-        self.cache: dict[bytes, tuple[int, ...]] = {}
-
-    def _ids(self, part: bytes) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(merge(m.encode(), self.ranks) for m in self.matches(part.decode())))
+        self.cache: dict[bytes, bytes] = {}
+        self.pre_tokens: dict[str, bytes] = {}
+
+    def _learn(self, missing: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of pieces of text, 4 bytes each; their new pre-tokens are merged together."""
+        known, ranks = self.pre_tokens, self.merges.ranks
+        split = [self.matches(part.decode()) for part in missing]
+        new = list(set().union(*split).difference(known))
+        whole = [ranks.get(m.encode()) for m in new]
+        merged = iter(merge_all([m.encode() for m, w in zip(new, whole) if w is None], self.merges))
+        found = {m: array("I", next(merged) if w is None else (w,)).tobytes() for m, w in zip(new, whole)}
+        known.update((m, ids) for m, ids in found.items() if len(m) <= LONGEST_CACHED)
+        return {part: b"".join([known[m] if m in known else found[m] for m in matches]) for part, matches in zip(missing, split)}
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
-        cache = self.cache
-        for text in texts:
-            parts = pieces_with_space(text)
-            if len(cache) > CACHED_PIECES:
-                cache.clear()
-            long: dict[bytes, tuple[int, ...]] = {}
-            for part in set(parts).difference(cache):
-                (cache if len(part) <= LONGEST_CACHED else long)[part] = self._ids(part)
-            if long:
-                yield list(chain.from_iterable(long[p] if p in long else cache[p] for p in parts))
-            else:
-                yield list(chain.from_iterable(map(cache.__getitem__, parts)))
+        lists = [pieces_with_space(t) for t in texts]
+        if len(self.cache) > CACHED_PIECES:
+            self.cache.clear()
+        if len(self.pre_tokens) > CACHED_PIECES:
+            self.pre_tokens.clear()
+        cache, long = self.cache, {}
+        for part, ids in self._learn(list(set().union(*lists).difference(cache))).items():
+            (cache if len(part) <= LONGEST_CACHED else long)[part] = ids
+        for parts in lists:
+            found = [long[p] if p in long else cache[p] for p in parts] if long else map(cache.__getitem__, parts)
+            yield array("I", b"".join(found)).tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -157,7 +216,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = byte_bpe(path, pattern)
-        for batch in slices(batches):
+        for batch in slices(batches, 4096):
             ids = pa.array(coder.encode(batch.column("text").to_pylist()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], names=["doc_id", "ids"])
 
@@ -169,7 +228,7 @@ def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = byte_bpe(path, pattern)
-        for batch in slices(batches):
+        for batch in slices(batches, 4096):
             found = pa.array([coder.decode(ids or []) for ids in batch.column("ids").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), found], names=["doc_id", "decoded"])
 
@@ -181,7 +240,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = byte_bpe(path, pattern)
-        for batch in slices(batches):
+        for batch in slices(batches, 4096):
             rows = []
             for ids in coder.encode(batch.column("text").to_pylist()):
                 rows.append((len(ids), hashlib.sha256(coder.decimal(ids)).hexdigest(), hashlib.sha256(coder.decode(ids)).hexdigest()))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pitspark.llm import byte_bpe, compression_classifier, media, packing, quality_rules, token_records, warc
+from pitspark.llm import byte_bpe, compression_classifier, media, ngram_join, packing, quality_rules, secret_scan, token_records, warc
 from pitspark.llm.common import crc_mod
 
 END_ID = 1
@@ -43,10 +43,18 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_digest(_table(spark, sf_dir, "documents"))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(_table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_records": op1_token_records,
     "op2_warc": op2_warc,
@@ -54,7 +62,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_compression_classifier": op6_compression_classifier,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_secret_scan": op8_secret_scan,
     "op9_media": op9_media,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 SQL: dict[str, str] = {}

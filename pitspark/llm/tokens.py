@@ -15,7 +15,7 @@ import re
 import numpy as np
 
 #: Distinct pieces kept by one worker, and the longest piece that is kept.
-CACHED_PIECES = 1_200_000
+CACHED_PIECES = 1_800_000
 LONGEST_CACHED = 48
 
 _WIDE_SPACE = re.compile("[\x85\xa0  -     　]")
