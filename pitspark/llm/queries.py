@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pitspark.llm import byte_bpe, compression_classifier, media, ngram_join, packing, quality_rules, secret_scan, token_records, warc
+from pitspark.llm import byte_bpe, compression_classifier, media, ngram_join, packing, pitman_yor, quality_rules, secret_scan, token_records, warc
 from pitspark.llm.common import crc_mod
 
 END_ID = 1
@@ -29,6 +29,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(_table(spark, sf_dir, "documents"))
 
 
+def op4_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_mod("doc_id", 7) == 2
+    return pitman_yor.scored(_table(spark, sf_dir, "documents"), ~held_out).withColumn("held_out", held_out)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_sequences(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID)
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_records": op1_token_records,
     "op2_warc": op2_warc,
     "op3_quality_rules": op3_quality_rules,
+    "op4_pitman_yor": op4_pitman_yor,
     "op5_packing": op5_packing,
     "op6_compression_classifier": op6_compression_classifier,
     "op7_byte_bpe": op7_byte_bpe,
