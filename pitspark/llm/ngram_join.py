@@ -36,6 +36,7 @@ from pitspark.llm.components import connected_components
 CELL_BITS = 21
 CELLS = 1 << CELL_BITS
 PART_CELLS = 1 << 15
+MAP_BITS = 1 << 23
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], dtype=np.uint64)
 
@@ -124,15 +125,23 @@ def with_prefixes(docs: DataFrame, levels: np.ndarray, width: int, percent: int)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """node and its whole set, for the wanted nodes only."""
+    """node and its whole set, for the wanted nodes and few others.
+
+    A map of :data:`MAP_BITS` bits by hash, whose size is fixed, tells which texts to read; where very
+    many nodes are wanted it lets more of the others through, which costs work and changes nothing.
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = [shingles(t, width).view(np.int64) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], names=["node", "members"])
 
+    bit = F.pmod(F.xxhash64("node"), F.lit(MAP_BITS))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
+    marks = wanted.groupBy(F.floor(bit / 64).alias("word")).agg(F.bit_or(one).alias("bits"))
     rows = docs.select(F.col("doc_id").cast("long").alias("node"), text_or_empty("text").alias("text"))
-    return rows.join(wanted.select("node"), "node", "left_semi").mapInArrow(make, "node long, members array<long>")
+    hit = rows.withColumns({"word": F.floor(bit / 64), "one": one}).join(F.broadcast(marks), "word").filter(F.col("bits").bitwiseAND(F.col("one")) != 0)
+    return hit.select("node", "text").mapInArrow(make, "node long, members array<long>")
 
 
 def _may_link(percent: int) -> Column:
@@ -141,8 +150,10 @@ def _may_link(percent: int) -> Column:
     return (F.lit(100) * F.least("n", "o") >= percent * F.greatest("n", "o")) & (F.lit(100 + percent) * most >= percent * (F.col("n") + F.col("o")))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose whole sets are alike enough."""
+def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (u, v), of a stored table, whose whole sets are alike enough."""
+    wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node")))
+    sets = written(sets_of(docs, wanted, width), "sets")
     left = sets.select(F.col("node").alias("u"), F.col("members").alias("a"))
     right = sets.select(F.col("node").alias("v"), F.col("members").alias("b"))
     shared = F.size(F.array_intersect("a", "b"))
@@ -166,22 +177,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     leaders = grouped.filter("node = gid").select("gid").distinct()
     firsts = rows.filter("n > 0").join(leaders, F.col("doc_id") == F.col("gid"), "left_semi")
-    entries = firsts.select(F.col("doc_id").alias("gid"), F.col("n"), F.posexplode("prefix").alias("i", "token"))
+    entries = firsts.select(F.col("doc_id").alias("gid"), F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("i", "token")).repartition("token")
     tokens = entries.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("i", "n", "gid")).alias("lead")).filter("c > 1")
     met = written(entries.join(tokens, "token").select("token", "gid", "n", "i", F.col("lead.gid").alias("lead"), F.col("lead.n").alias("o"), F.col("lead.i").alias("j")), "met")
 
-    active = met.select("gid").distinct()
-    wanted = grouped.join(active, "gid", "left_semi").select("node").unionByName(grouped.filter("many > 1").select("node")).distinct()
-    sets = written(sets_of(texts, wanted, width), "sets")
-
     stars = met.filter((F.col("gid") != F.col("lead")) & _may_link(percent)).select(F.col("gid").alias("u"), F.col("lead").alias("v"))
     inner = grouped.filter("node <> gid").select(F.col("node").alias("u"), F.col("gid").alias("v"))
     first_pairs = stars.unionByName(inner).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    links = written(verified(first_pairs, sets, percent), "links")
+    first_pairs = written(first_pairs, "pairs")
+    links = written(verified(first_pairs, texts, width, percent), "links")
     joined = written(connected_components(links), "components")
 
-    rest = _between_components(met, grouped, joined, percent)
-    more = written(verified(rest.join(first_pairs, ["u", "v"], "left_anti"), sets, percent), "links")
+    rest = written(_between_components(met, grouped, joined, percent).join(first_pairs, ["u", "v"], "left_anti"), "pairs")
+    more = written(verified(rest, texts, width, percent), "links")
     everything = connected_components(more.unionByName(joined.select(F.col("node").alias("u"), F.col("component").alias("v"))))
 
     ids = rows.select("doc_id", "n", "sig").join(nodes, "sig", "left").join(everything, "node", "left")
