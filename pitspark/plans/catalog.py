@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitspark.plans import sector_queries
+from pitspark.plans import sector_queries, selection_queries  # noqa: F401
 from pitspark.plans.registry import QUERIES, SQL, Data
 
 __all__ = ["QUERIES", "SQL", "flagship"]
