@@ -12,7 +12,7 @@ compared with one leader for each prefix shingle (the group where it stands fore
 altered copy) and each class with its group's first. Then, wherever a shingle still brings together
 different components, the entries outside its largest component are compared with all others: pairs that
 the first step has joined already, directly or by way of others, are passed over. Candidates are
-filtered by size and by the places of the shared shingle, and verified on whole sets.
+filtered by size, by the places of the shared shingles and by how many there are, and verified on whole sets.
 
 Defined cases: words are lower-cased in A to Z; a text of fewer words than a shingle has its whole
 sequence as its one shingle; no words or a null text: the empty set, linked with nothing, a component of
@@ -150,6 +150,16 @@ def _may_link(percent: int) -> Column:
     return (F.lit(100) * F.least("n", "o") >= percent * F.greatest("n", "o")) & (F.lit(100 + percent) * most >= percent * (F.col("n") + F.col("o")))
 
 
+def _share_enough(percent: int) -> Column:
+    """Whether ``shared`` prefix shingles of sets of n and o allow a link.
+
+    Of the two prefixes, all that the other set holds up to the end of the earlier-ending one lies in its
+    prefix too; so beyond ``shared`` only what follows that prefix can be shared.
+    """
+    after = [F.expr(f"({percent} * {x} + 99) div 100 - 1") for x in ("n", "o")]
+    return F.lit(100 + percent) * (F.col("shared") + F.greatest(*after)) >= percent * (F.col("n") + F.col("o"))
+
+
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (u, v), of a stored table, whose whole sets are alike enough."""
     wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node")))
@@ -181,7 +191,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     tokens = entries.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("i", "n", "gid")).alias("lead")).filter("c > 1")
     met = written(entries.join(tokens, "token").select("token", "gid", "n", "i", F.col("lead.gid").alias("lead"), F.col("lead.n").alias("o"), F.col("lead.i").alias("j")), "met")
 
-    stars = met.filter((F.col("gid") != F.col("lead")) & _may_link(percent)).select(F.col("gid").alias("u"), F.col("lead").alias("v"))
+    ends = met.filter((F.col("gid") != F.col("lead")) & _may_link(percent)).select(F.col("gid").alias("u"), F.col("lead").alias("v"), "n", "o").distinct()
+    here, there = met.select(F.col("gid").alias("u"), "token"), met.select(F.col("gid").alias("v"), "token")
+    stars = ends.join(here, "u").join(there, ["v", "token"]).groupBy("u", "v", "n", "o").agg(F.count("*").alias("shared")).filter(_share_enough(percent)).select("u", "v")
     inner = grouped.filter("node <> gid").select(F.col("node").alias("u"), F.col("gid").alias("v"))
     first_pairs = stars.unionByName(inner).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     first_pairs = written(first_pairs, "pairs")
@@ -213,7 +225,11 @@ def _between_components(met: DataFrame, grouped: DataFrame, joined: DataFrame, p
     other = here.select("token", F.col("gid").alias("gid2"), F.col("n").alias("o"), F.col("i").alias("j"), F.col("comp").alias("comp2"), "top")
     # two minor entries would meet from both sides; one order is enough
     once = (F.col("comp2") == F.col("top")) | (F.col("comp") > F.col("comp2"))
-    pairs = minor.join(other, "token").filter((F.col("comp") != F.col("comp2")) & once & _may_link(percent)).select("gid", "comp", "gid2", "comp2").distinct()
+    met_here = minor.join(other, "token").filter((F.col("comp") != F.col("comp2")) & once & (F.lit(100) * F.least("n", "o") >= percent * F.greatest("n", "o")))
+    one, two = F.struct("gid", "comp", "n"), F.struct(F.col("gid2").alias("gid"), F.col("comp2").alias("comp"), F.col("o").alias("n"))
+    counted = met_here.groupBy(F.least(one, two).alias("a"), F.greatest(one, two).alias("b")).agg(F.count("*").alias("shared"), F.bool_or(_may_link(percent)).alias("may"))
+    named = counted.filter("may").select(F.col("a.gid").alias("gid"), F.col("a.comp").alias("comp"), F.col("a.n").alias("n"), F.col("b.gid").alias("gid2"), F.col("b.comp").alias("comp2"), F.col("b.n").alias("o"), "shared")
+    pairs = named.filter(_share_enough(percent)).select("gid", "comp", "gid2", "comp2")
     within = held.alias("a").join(held.alias("b"), (F.col("a.gid") == F.col("b.gid")) & (F.col("a.comp") > F.col("b.comp")))
     pairs = pairs.unionByName(within.select(F.col("a.gid").alias("gid"), F.col("a.comp").alias("comp"), F.col("b.gid").alias("gid2"), F.col("b.comp").alias("comp2"))).distinct()
     left = placed.select("gid", "comp", F.col("node").alias("x"))
