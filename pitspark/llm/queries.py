@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pitspark.llm import byte_bpe, compression_classifier, media, ngram_join, packing, pitman_yor, quality_rules, secret_scan, token_records, warc
+from pitspark.llm import byte_bpe, compression_classifier, media, ngram_join, packing, pitman_yor, quality_rules, secret_scan, sql, token_records, warc
 from pitspark.llm.common import crc_mod
 
 END_ID = 1
@@ -22,7 +22,8 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archived(_table(spark, sf_dir, "pages"))
+    read = warc.archived(_table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,4 +74,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_join": op10_ngram_join,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(sql.SQL)
