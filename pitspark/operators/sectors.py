@@ -137,7 +137,8 @@ def histogram(rows: DataFrame, by: list[str], value: str, bins: int) -> DataFram
     group = Window.partitionBy(*by)
     spread = rows.filter(F.col(value).isNotNull()).withColumns({"low": F.min(value).over(group), "high": F.max(value).over(group)})
     place = F.least(F.floor((F.col(value) - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)) * bins).cast("int"), F.lit(bins - 1))
-    return spread.withColumn("bin", F.coalesce(place, F.lit(0))).groupBy(*by, "bin").agg(F.count("*").alias("n"), F.min("low").alias("low"), F.min("high").alias("high"))
+    place = F.when(F.col("high") == F.col("low"), F.lit(0)).otherwise(place)
+    return spread.withColumn("bin", place).groupBy(*by, "bin").agg(F.count("*").alias("n"), F.min("low").alias("low"), F.min("high").alias("high"))
 
 
 def exclusion_counts(rows: DataFrame, by: list[str]) -> DataFrame:
