@@ -145,11 +145,22 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 
 def _may_link(percent: int) -> Column:
-    """Whether sizes n and o, with a shared shingle at places i and j, allow a link."""
-    most = F.least("i", "j") + F.least(F.col("n") - F.col("i"), F.col("o") - F.col("j"))
+    """Whether sizes n and o, with their first shared shingle at places i and j, allow a link.
+
+    Two sets that link pass this at one shingle at least, the first that they share: none before it is
+    shared, so no more than what follows in each can be.
+    """
+    most = F.least(F.col("n") - F.col("i"), F.col("o") - F.col("j"))
     return (F.lit(100) * F.least("n", "o") >= percent * F.greatest("n", "o")) & (F.lit(100 + percent) * most >= percent * (F.col("n") + F.col("o")))
 
 
+def _enough_shared(ends: DataFrame, met: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v, n, o) of groups whose prefixes share enough shingles for a link."""
+    here, there = met.select(F.col("gid").alias("u"), "token"), met.select(F.col("gid").alias("v"), "token")
+    counted = ends.join(here, "u").join(there, ["v", "token"]).groupBy("u", "v", "n", "o").agg(F.count("*").alias("shared"))
+    return counted.filter(_share_enough(percent)).select("u", "v")
+
+
 def _share_enough(percent: int) -> Column:
     """Whether ``shared`` prefix shingles of sets of n and o allow a link.
 
@@ -192,8 +203,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     met = written(entries.join(tokens, "token").select("token", "gid", "n", "i", F.col("lead.gid").alias("lead"), F.col("lead.n").alias("o"), F.col("lead.i").alias("j")), "met")
 
     ends = met.filter((F.col("gid") != F.col("lead")) & _may_link(percent)).select(F.col("gid").alias("u"), F.col("lead").alias("v"), "n", "o").distinct()
-    here, there = met.select(F.col("gid").alias("u"), "token"), met.select(F.col("gid").alias("v"), "token")
-    stars = ends.join(here, "u").join(there, ["v", "token"]).groupBy("u", "v", "n", "o").agg(F.count("*").alias("shared")).filter(_share_enough(percent)).select("u", "v")
+    stars = _enough_shared(ends, met, percent)
     inner = grouped.filter("node <> gid").select(F.col("node").alias("u"), F.col("gid").alias("v"))
     first_pairs = stars.unionByName(inner).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     first_pairs = written(first_pairs, "pairs")
@@ -225,11 +235,10 @@ def _between_components(met: DataFrame, grouped: DataFrame, joined: DataFrame, p
     other = here.select("token", F.col("gid").alias("gid2"), F.col("n").alias("o"), F.col("i").alias("j"), F.col("comp").alias("comp2"), "top")
     # two minor entries would meet from both sides; one order is enough
     once = (F.col("comp2") == F.col("top")) | (F.col("comp") > F.col("comp2"))
-    met_here = minor.join(other, "token").filter((F.col("comp") != F.col("comp2")) & once & (F.lit(100) * F.least("n", "o") >= percent * F.greatest("n", "o")))
-    one, two = F.struct("gid", "comp", "n"), F.struct(F.col("gid2").alias("gid"), F.col("comp2").alias("comp"), F.col("o").alias("n"))
-    counted = met_here.groupBy(F.least(one, two).alias("a"), F.greatest(one, two).alias("b")).agg(F.count("*").alias("shared"), F.bool_or(_may_link(percent)).alias("may"))
-    named = counted.filter("may").select(F.col("a.gid").alias("gid"), F.col("a.comp").alias("comp"), F.col("a.n").alias("n"), F.col("b.gid").alias("gid2"), F.col("b.comp").alias("comp2"), F.col("b.n").alias("o"), "shared")
-    pairs = named.filter(_share_enough(percent)).select("gid", "comp", "gid2", "comp2")
+    near = minor.join(other, "token").filter((F.col("comp") != F.col("comp2")) & once & _may_link(percent)).select("gid", "comp", "n", "gid2", "comp2", "o").distinct()
+    near = written(near, "near")
+    kept = _enough_shared(near.select(F.col("gid").alias("u"), F.col("gid2").alias("v"), "n", "o").distinct(), met, percent)
+    pairs = near.join(kept.select(F.col("u").alias("gid"), F.col("v").alias("gid2")), ["gid", "gid2"], "left_semi").select("gid", "comp", "gid2", "comp2")
     within = held.alias("a").join(held.alias("b"), (F.col("a.gid") == F.col("b.gid")) & (F.col("a.comp") > F.col("b.comp")))
     pairs = pairs.unionByName(within.select(F.col("a.gid").alias("gid"), F.col("a.comp").alias("comp"), F.col("b.gid").alias("gid2"), F.col("b.comp").alias("comp2"))).distinct()
     left = placed.select("gid", "comp", F.col("node").alias("x"))
