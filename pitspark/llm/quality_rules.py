@@ -3,8 +3,9 @@
 A sketch is a table of counts over fixed bins. Counts of parts add up to the counts of the whole, in any
 order, so sketches merge exactly: those of a language's sources give the language's. Measures are
 whole-numbered rates, so that a bin is a value (up to :data:`TOP`) and a quantile read from a sketch is the
-measured quantile itself. A threshold lies six times the distance from the median to the upper quartile
-above the median, plus a margin; the language's threshold bounds that of each source, so that a source
+measured quantile itself. A threshold lies six times the distance from the median to the nearer quartile
+above the median, plus a margin (junk on one side moves that side's quartile and not the other's, so up to
+half of a group may be junk); the language's threshold bounds that of each source, so that a source
 made of junk cannot make junk its norm, and stands in for sources of fewer than :data:`LEAST_ROWS` rows.
 
 Only DataFrame functions are used. The words of a text are found once and bound to a lambda variable, so
@@ -107,11 +108,12 @@ def quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
 def fences(found: DataFrame, by: list[str], prefix: str) -> DataFrame:
     """One row for each group: its rows, and a fence (high, low) for each measure."""
     columns = [F.max("rows").alias(f"{prefix}rows")]
+    spread = F.least(F.col("q75") - F.col("q50"), F.col("q50") - F.col("q25"))
     for name, margin, both in RULES:
         mine = F.col("measure") == name
-        columns.append(F.max(F.when(mine, F.col("q50") + SPREAD * (F.col("q75") - F.col("q50")) + margin)).alias(f"{prefix}{name}_high"))
+        columns.append(F.max(F.when(mine, F.col("q50") + SPREAD * spread + margin)).alias(f"{prefix}{name}_high"))
         if both:
-            columns.append(F.max(F.when(mine, F.col("q50") - SPREAD * (F.col("q50") - F.col("q25")) - margin)).alias(f"{prefix}{name}_low"))
+            columns.append(F.max(F.when(mine, F.col("q50") - SPREAD * spread - margin)).alias(f"{prefix}{name}_low"))
     return found.groupBy(*by).agg(*columns)
 
 

@@ -25,7 +25,7 @@ def quality_rules() -> str:
         return f"select {keys}, measure, max(rows) as rows, " + ", ".join(f"min(case when reached * 100 >= rows * {q} then bin end) as q{q}" for q in (25, 50, 75)) + f" from ({inner}) group by {keys}, measure"
 
     margin = "case t.measure " + " ".join(f"when '{name}' then {m}" for name, m, _ in RULES) + " end"
-    high, low = "{x}.q50 + " + f"{SPREAD} * ({{x}}.q75 - {{x}}.q50) + {margin}", "{x}.q50 - " + f"{SPREAD} * ({{x}}.q50 - {{x}}.q25) - {margin}"
+    high, low = "{x}.q50 + " + f"{SPREAD} * least({{x}}.q75 - {{x}}.q50, {{x}}.q50 - {{x}}.q25) + {margin}", "{x}.q50 - " + f"{SPREAD} * least({{x}}.q75 - {{x}}.q50, {{x}}.q50 - {{x}}.q25) - {margin}"
     limit = f"""select t.lang, t.source, t.measure, case when t.rows < {LEAST_ROWS} then {high.format(x="l")} else least({high.format(x="t")}, {high.format(x="l")} + {margin}) end as high,
       case when t.measure = 'word_length' then case when t.rows < {LEAST_ROWS} then {low.format(x="l")} else greatest({low.format(x="t")}, {low.format(x="l")} - {margin}) end else -1 end as low
       from by_source t join by_lang l on l.lang is not distinct from t.lang and l.measure = t.measure"""
