@@ -74,16 +74,19 @@ def reverse_solve(rows: DataFrame, key: list[str], parameter: str, low: float, h
     found = crossed.groupBy(*key).agg(F.count_if(change).alias("roots"), F.min(F.when(change, F.col("p0"))).alias("a"))
     state = F.when(F.col("roots") == 1, "converged").when(F.col("roots") == 0, "no_solution").otherwise("non_unique")
     bracket = rows.join(found.withColumn("state", state), key).withColumn("b", F.col("a") + step)
-    for _ in range(rounds * 5):  # five halvings do the work of a grid of 32 cells
-        middle = bracket.withColumn("m", (F.col("a") + F.col("b")) / 2)
-        at = _gap(middle, parameter, F.col("m"))
-        left = _gap(middle, parameter, F.col("a"))
-        right_half = F.signum(at) == F.signum(left)
-        bracket = middle.withColumns({"_r": right_half}).withColumns({"a": F.when(F.col("_r"), F.col("m")).otherwise(F.col("a")), "b": F.when(F.col("_r"), F.col("b")).otherwise(F.col("m"))}).drop("m", "_r")
-    return bracket.withColumn("solution", F.when(F.col("state") == "converged", (F.col("a") + F.col("b")) / 2)).drop("a", "b", "roots")
 
+    def halve(x: Column, _: Column) -> Column:
+        middle = (x["a"] + x["b"]) / 2
+        upper = F.signum(_gap(parameter, middle)) == F.signum(_gap(parameter, x["a"]))
+        return F.struct(F.when(upper, middle).otherwise(x["a"]).alias("a"), F.when(upper, x["b"]).otherwise(middle).alias("b"))
 
-def _gap(rows: DataFrame, parameter: str, value: Column) -> Column:
+    # five halvings do the work of a grid of 32 cells; one fold holds them all
+    ends = F.aggregate(F.sequence(F.lit(1), F.lit(rounds * 5)), F.struct("a", "b"), halve)
+    bracket = bracket.withColumn("_ends", ends)
+    return bracket.withColumn("solution", F.when(F.col("state") == "converged", (F.col("_ends.a") + F.col("_ends.b")) / 2)).drop("a", "b", "roots", "_ends")
+
+
+def _gap(parameter: str, value: Column) -> Column:
     """The value's distance from the target as one expression of a constant yearly parameter."""
     years = F.arrays_zip("growth", "margins", "taxes", "reinvestment")
     start = F.struct(F.col("revenue").cast("double").alias("rev"), F.lit(0.0).alias("pv"), F.lit(1.0).alias("disc"))
