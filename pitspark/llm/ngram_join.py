@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pitspark.llm.common import slices, text_or_empty, written
 from pitspark.llm.components import connected_components
 
-CELL_BITS = 21
+CELL_BITS = 22
 CELLS = 1 << CELL_BITS
 PART_CELLS = 1 << 15
 MAP_BITS = 1 << 23
@@ -77,7 +77,7 @@ def cell_levels(docs: DataFrame, width: int) -> np.ndarray:
         for batch in slices(batches, 2048):
             sets = [shingles(t, width) for t in batch.column("text").to_pylist()]
             if sets:
-                totals += np.bincount((np.concatenate(sets) >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=CELLS).astype(np.uint32)
+                np.add.at(totals, (np.concatenate(sets) >> np.uint64(64 - CELL_BITS)).astype(np.int64), np.uint32(1))
         parts = [zlib.compress(totals[a : a + PART_CELLS].tobytes(), 1) for a in range(0, CELLS, PART_CELLS)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["part", "counts"])
 
@@ -95,8 +95,10 @@ def cell_levels(docs: DataFrame, width: int) -> np.ndarray:
     totals = np.zeros(CELLS, np.uint64)
     for row in counted.repartition("part").mapInArrow(add, schema).collect():
         totals[row["part"] * PART_CELLS : (row["part"] + 1) * PART_CELLS] = np.frombuffer(zlib.decompress(row["counts"]), np.uint64)
-    mean = max(1.0, float(totals.mean()))
-    return np.floor(np.log2(np.maximum(1.0, totals / mean))).astype(np.uint8)
+    mean, levels = max(1.0, float(totals.mean())), np.empty(CELLS, np.uint8)
+    for a in range(0, CELLS, PART_CELLS):
+        levels[a : a + PART_CELLS] = np.log2(np.maximum(1.0, totals[a : a + PART_CELLS] / mean))
+    return levels
 
 
 def _ordered(found: np.ndarray, levels: np.ndarray) -> np.ndarray:
