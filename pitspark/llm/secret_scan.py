@@ -29,6 +29,7 @@ class Rule:
     """A kind of secret: ``pattern``, of whose group ``group`` at least ``least`` characters are asked.
 
     Where the pattern itself bounds the length, ``least`` is 0. ``base`` rules are those of the contract.
+    ``whole`` is what is searched where a secret goes on behind what ``pattern`` matches.
     """
 
     kind: str
@@ -36,14 +37,25 @@ class Rule:
     group: int = 0
     least: int = 0
     base: bool = False
+    whole: str = ""
 
+    @property
+    def search(self) -> str:
+        return self.whole or self.pattern
+
+
+#: A private key up to the END line of its kind, or else to the end of its base64 lines. Line ends may be
+#: written as backslash and letter. Repeats are possessive, which Java's regex walks without recursion.
+_BREAK = r"(?:\s|\\[nr])*+"
+_LINES = rf"(?:{_BREAK}(?:Proc-Type|DEK-Info):[^\n\\]*+)*+(?:(?:{_BREAK}[A-Za-z0-9+/]{{32,}}+={{0,2}}+)++(?:[\x20\t]*+(?:\r?\n|(?:\\r)?\\n)[A-Za-z0-9+/]++={{0,2}}+(?=[\x20\t]*+(?:\z|[\r\n\"']|\\[nr])))?+)?+"
+_KEY = rf"-----BEGIN ([A-Z ]{{0,40}})PRIVATE KEY-----(?:[^-]*+(?:-{{1,4}}+[^-]++)*+-----END \1PRIVATE KEY-----|{_LINES})"
 
 #: Fixed values. The version of the rules is a hash of this list, so that a changed rule is a new version.
 RULES = (
     Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12, True),
     Rule("access", r"AKIA[A-Z0-9]{14,}", base=True),
     Rule("hex", r"[0-9a-f]{16,}", base=True),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", whole=_KEY),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
@@ -61,8 +73,8 @@ def address(text: Column) -> Column:
 
 def _hits(text: Column, rule: Rule, rank: int) -> Column:
     """rank, i, gap before the match, length of the match, and whether it counts, for each match in order."""
-    pattern = F.lit(rule.pattern)
-    bound = F.array(F.struct(F.split(text, rule.pattern, -1).alias("gaps"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("all"), F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("asked")))
+    pattern = F.lit(rule.search)
+    bound = F.array(F.struct(F.split(text, rule.search, -1).alias("gaps"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("all"), F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("asked")))
 
     def each(x: Column) -> Column:
         return F.transform(
@@ -138,15 +150,18 @@ def _cutter(least: int):
 
 
 def redacted(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """``text`` with the asked-for part of each counted match replaced by :data:`MARK`, rule by rule."""
-    for rule in rules:
-        pattern = F.lit(rule.pattern)
+    """``text`` with the asked-for part of each counted match replaced by :data:`MARK`, rule by rule.
+
+    Rules with a ``whole`` come first, so that no other rule's mark cuts their match short.
+    """
+    for rule in sorted(rules, key=lambda r: not r.whole):
+        pattern = F.lit(rule.search)
         if rule.group == 0:
-            text = F.regexp_replace(text, rule.pattern, MARK.replace("[", r"\[").replace("]", r"\]"))
+            text = F.regexp_replace(text, rule.search, MARK.replace("[", r"\[").replace("]", r"\]"))
             continue
         hits = F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(0)).alias("all"), F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("asked"))
         cut = F.transform(hits, _cutter(rule.least))
-        text = F.array_join(F.zip_with(F.split(text, rule.pattern, -1), cut, lambda gap, hit: F.concat(gap, F.coalesce(hit, F.lit("")))), "")
+        text = F.array_join(F.zip_with(F.split(text, rule.search, -1), cut, lambda gap, hit: F.concat(gap, F.coalesce(hit, F.lit("")))), "")
     return text
 
 
