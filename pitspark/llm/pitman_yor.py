@@ -1,20 +1,23 @@
 """A hierarchical Pitman-Yor language model over words.
 
-Every frequent word is a context with a restaurant of its own; the other words share one, and the start
-of a text has one. All share a parent, the unigram restaurant, whose base measure gives half its mass to
-the known words evenly and half to unknown ones. A cell is a dish (word) in a restaurant: its customers
-are the training counts, its tables are sampled. Each table of a restaurant is a customer of the parent.
-
-Sampling is Gibbs: a customer of each cell is taken out, with the table if the customer headed it, and
-seated again by the predictive rule (Stirling ratios count the seatings that a number of tables stands
-for). Cells of more than :data:`SMALL` customers are seated anew as a whole, in growing blocks. Cells are
-dealt out by word, so that a word's cells, its parent dish and its texts' tokens meet in one bucket; only
-the totals of restaurants (a few numbers for each context, whatever the corpus) are shared, and they are
-brought up to date between rounds. Probabilities are averaged over the samples of the last round.
+Every word is a context with a restaurant of its own, and so is the start of a text. All share a parent,
+the unigram restaurant, whose base measure gives half its mass to the known words evenly and half to
+unknown ones. A cell is a dish (word) in a restaurant: its customers are the training counts, its tables
+are sampled. Each table of a restaurant is a customer of the parent.
+
+Sampling is blocked Gibbs: a sweep takes all customers of each cell out and draws its number of tables
+from the conditional (Stirling numbers count the seatings that a number of tables stands for, the other
+tables of the restaurant are as they were at the last synchronisation, the parent's measure is as it was
+at the sweep's start). Cells of more than :data:`SMALL` customers are seated anew in growing blocks. The
+seating is carried from the first round to the second; totals of restaurants are brought up to date
+between them. Probabilities are averaged over the samples of the last round.
 
 Words that make up a large part of the corpus would crowd a bucket. They are the frequent words, at most
-:data:`FREQUENT` by number, so their cells are a table of bounded size: it is summed over tasks, sampled
-beside the buckets, and their tokens are scored where the text is read.
+:data:`FREQUENT` by number. Cells of frequent words in frequent contexts are a table of bounded size: it
+is summed over tasks, sampled beside the buckets, and their tokens are scored where the text is read. All
+other cells are dealt out: those of a rarer word by that word, so that its cells and its parent dish meet
+in one bucket, and those of a frequent word by their context. Totals of frequent contexts and of frequent
+words in the parent are vectors of bounded size; those of all other contexts go to buckets by a join.
 
 Defined cases: a null text counts as empty and holds the end token alone; rows with one doc_id and text
 get one score each; with no training row every word is unknown; 64-bit hashes stand for words.
@@ -24,7 +27,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +60,8 @@ class Shared:
     parent_discount: float
     vocabulary: int
     tokens: int
+    often: np.ndarray | None = None  # probabilities in the parent of frequent words and the end
+    often_counts: np.ndarray | None = None
 
     @property
     def known(self) -> float:
@@ -101,13 +106,20 @@ def _places(sorted_hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 def _contexts(frequent: np.ndarray, words: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The context of each word: a frequent word, the shared one (n) or the start (n + 1)."""
+    """The context of each word: a frequent word, the start (n), or another word (-1)."""
     places = np.empty(len(words), np.int64)
     places[1:] = _places(frequent, words[:-1])
-    places[first] = len(frequent) + 1
+    places[places == len(frequent)] = -1
+    places[first] = len(frequent)
     return places
 
 
+def _dishes(frequent: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The place of each word: a frequent word, the end (n), or another word (-1)."""
+    places = _places(frequent, words)
+    return np.where(words == END, len(frequent), np.where(places == len(frequent), -1, places))
+
+
 def _stirling(discount: float) -> np.ndarray:
     """Logs of generalised Stirling numbers S(c, t) for c, t up to SMALL."""
     out = np.full((SMALL + 2, SMALL + 2), -np.inf)
@@ -131,49 +143,63 @@ def seat_anew(customers: np.ndarray, new: np.ndarray, discount: float, random: n
     return tables
 
 
-def sweep(customers: np.ndarray, tables: np.ndarray, new: np.ndarray, discount: float, stirling: np.ndarray, random: np.random.Generator) -> np.ndarray:
-    """One Gibbs move in each cell of two customers or more."""
+def sweep(customers: np.ndarray, tables: np.ndarray, others: np.ndarray, base: np.ndarray, discount: float, stirling: np.ndarray, random: np.random.Generator) -> np.ndarray:
+    """A new number of tables for each cell of two customers or more, given the ``others`` of its restaurant."""
     tables = tables.copy()
     large = customers > SMALL
-    tables[large] = seat_anew(customers[large], new[large], discount, random)
+    tables[large] = seat_anew(customers[large], (STRENGTH + discount * (others + tables)[large]) * base[large], discount, random)
     some = np.flatnonzero((customers > 1) & ~large)
-    c, t, w = customers[some], tables[some], new[some]
-    heads = random.random(len(some)) * c < t
-    stuck = heads & (t == 1)
-    t1 = t - heads
-    with np.errstate(divide="ignore", invalid="ignore"):
-        rest = stirling[c - 1, t1]
-        opens = np.log(w) + np.log((t1 + 1) / c) + stirling[c, t1 + 1] - rest
-        joins = np.log((c - t1) / c) + stirling[c, t1] - rest
-        p = 1 / (1 + np.exp(np.clip(joins - opens, -700, 700)))
-    moved = t1 + (random.random(len(some)) < p)
-    tables[some] = np.where(stuck, t, moved)
+    some = some[np.argsort(customers[some], kind="stable")]
+    ends = np.cumsum(np.bincount(customers[some], minlength=SMALL + 1))
+    for c in range(2, SMALL + 1):
+        mine = some[ends[c - 1] : ends[c]]
+        if len(mine):
+            logs = np.cumsum(np.log((STRENGTH + discount * (others[mine, None] + np.arange(c))) * base[mine, None]), 1) + stirling[c, 1 : c + 1]
+            shares = np.cumsum(np.exp(logs - logs.max(1, keepdims=True)), 1)
+            tables[mine] = 1 + (shares < random.random((len(mine), 1)) * shares[:, -1:]).sum(1)
     return tables
 
 
 class Seating:
-    """The cells of some words: ``dish`` (index of the word), context and customers of each."""
+    """The cells of some words: ``dish`` (index of the word), context and customers of each.
 
-    def __init__(self, dish: np.ndarray, context: np.ndarray, customers: np.ndarray, dishes: int, shared: Shared, seed: int):
+    ``fixed`` gives the dishes' probabilities where their parent is elsewhere; ``outside`` are customers
+    that cells elsewhere send to the dishes' parent; ``kept`` are tables and parent tables to go on from.
+    """
+
+    def __init__(self, dish: np.ndarray, context: np.ndarray, customers: np.ndarray, dishes: int, shared: Shared, seed: int, fixed: np.ndarray | None = None, outside: np.ndarray | None = None, kept: tuple[np.ndarray, np.ndarray] | None = None):
         self.dish, self.context, self.customers, self.shared = dish, context, customers, shared
         self.random = np.random.default_rng(seed)
-        self.dishes = dishes
-        self.tables = np.minimum(customers, 1)
+        self.dishes, self.fixed = dishes, fixed
+        self.outside = np.zeros(dishes, np.int64) if outside is None else outside
+        self.tables = np.minimum(customers, 1) if kept is None else kept[0]
         self.stirling, self.parent_stirling = _stirling(shared.discount), _stirling(shared.parent_discount)
         self._sum()
-        self.parent_tables = np.minimum(self.parent_customers, 1)
-        self.tables = seat_anew(customers, self._new(), shared.discount, self.random)
-        self._sum()
-        self.parent_tables = seat_anew(self.parent_customers, self._parent_new(), shared.parent_discount, self.random)
+        self.synchronised(shared)
+        self.parent_tables = np.minimum(self.parent_customers, 1) if kept is None else kept[1]
+        if kept is None:
+            self.tables = seat_anew(customers, self._new(), shared.discount, self.random)
+            self._sum()
+            self.parent_tables = seat_anew(self.parent_customers, self._parent_new(), shared.parent_discount, self.random)
+
+    def synchronised(self, shared: Shared, outside: np.ndarray | None = None) -> None:
+        """Takes totals that hold the tables of now."""
+        self.shared = shared
+        self.others = np.maximum(0, shared.tables[self.context] - self.tables)
+        if outside is not None:
+            self.outside = outside
+            self._sum()
 
     def _sum(self) -> None:
-        self.parent_customers = np.bincount(self.dish, self.tables, self.dishes).astype(np.int64)
+        self.parent_customers = np.bincount(self.dish, self.tables, self.dishes).astype(np.int64) + self.outside
 
     def _parent_new(self) -> np.ndarray:
         s = self.shared
         return np.full(self.dishes, (STRENGTH + s.parent_discount * s.parent_tables) * s.known)
 
     def unigram(self) -> np.ndarray:
+        if self.fixed is not None:
+            return self.fixed
         seen = self.parent_customers > 0
         return np.where(seen, self.shared.parent(self.parent_customers, self.parent_tables, self.shared.known), self.shared.parent(0, 0, 0.5))
 
@@ -182,16 +208,18 @@ class Seating:
         return (STRENGTH + s.discount * s.tables[self.context]) * self.unigram()[self.dish]
 
     def step(self) -> None:
-        self.tables = sweep(self.customers, self.tables, self._new(), self.shared.discount, self.stirling, self.random)
+        s = self.shared
+        self.tables = sweep(self.customers, self.tables, self.others, self.unigram()[self.dish], s.discount, self.stirling, self.random)
         self._sum()
-        held = np.clip(self.parent_tables, np.minimum(self.parent_customers, 1), self.parent_customers)
-        self.parent_tables = sweep(self.parent_customers, held, self._parent_new(), self.shared.parent_discount, self.parent_stirling, self.random)
+        if self.fixed is None:
+            held = np.clip(self.parent_tables, np.minimum(self.parent_customers, 1), self.parent_customers)
+            rest = np.maximum(0, s.parent_tables - held)
+            self.parent_tables = sweep(self.parent_customers, held, rest, np.full(self.dishes, s.known), s.parent_discount, self.parent_stirling, self.random)
 
-    def totals(self) -> tuple[np.ndarray, int]:
-        """Tables of each context, and the parent's tables, after the burn-in."""
+    def burnt_in(self) -> Seating:
         for _ in range(BURN_IN):
             self.step()
-        return np.bincount(self.context, self.tables, len(self.shared.customers)).astype(np.int64), int(self.parent_tables.sum())
+        return self
 
     def probabilities(self) -> tuple[np.ndarray, np.ndarray]:
         """Of each cell, and of each dish in the parent, averaged over samples."""
@@ -252,84 +280,111 @@ def _unpacked(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(data, max_output_size=1 << 31), kind)
 
 
-TAIL = "bucket int, word binary, context binary, row binary, docs binary, training binary, part int, counts binary"
+TAIL = "bucket int, word binary, near binary, far binary, row binary, docs binary, training binary, part int, counts binary"
+FAR = np.uint16(0xFFFF)
 
 
 def dealt(source: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
-    """For each batch of texts and bucket, the tokens of its words that are not frequent, and at the end of
-    a task the cells of frequent words in training texts (part, counts)."""
+    """For each batch of texts and bucket, the tokens whose word or context is not frequent, and at the end
+    of a task the cells of frequent words in frequent contexts of training texts (part, counts).
+
+    A token goes by its word, or by its context if the word is frequent."""
     shared = source.sparkSession.sparkContext.broadcast(frequent)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
-        width = len(often) + 2
-        cells = np.zeros((len(often) + 1) * width, np.int64)
+        width = len(often) + 1
+        cells = np.zeros(width * width, np.int64)
         for batch in slices(batches, 2048):
             texts = batch.column("text").to_pylist()
             if not texts:
                 continue
             words, row, first = _tokens(texts)
-            context = _contexts(often, words, first)
+            before = np.concatenate([[END], words[:-1]])
+            context, place = _contexts(often, words, first), _dishes(often, words)
             training = batch.column("training").to_numpy(zero_copy_only=False).astype(bool)
             keys = batch.column("key").to_numpy(zero_copy_only=False)
-            place = np.where(words == END, len(often), np.where((p := _places(often, words)) == len(often), -1, p))
-            mine = (place >= 0) & training[row]
+            bounded = (place >= 0) & (context >= 0)
+            mine = bounded & training[row]
             cells += np.bincount(place[mine] * width + context[mine], minlength=len(cells))
-            tail = np.flatnonzero(place < 0)
-            bucket = (words[tail] >> np.uint64(33)).astype(np.int64) % buckets
-            order = tail[np.lexsort((row[tail], context[tail], words[tail], bucket))]
+            tail = np.flatnonzero(~bounded)
+            bucket = (np.where(place < 0, words, before)[tail] >> np.uint64(33)).astype(np.int64) % buckets
+            far = np.where(context[tail] < 0, before[tail], np.uint64(0))
+            sort = np.lexsort((row[tail], far, context[tail], words[tail], bucket))
+            order, far = tail[sort], far[sort]
             ends = np.cumsum(np.bincount(bucket, minlength=buckets))
             rows = []
             for b in range(buckets):
-                some = order[ends[b - 1] if b else 0 : ends[b]]
+                part = slice(ends[b - 1] if b else 0, ends[b])
+                some = order[part]
                 if len(some):
                     used, back = np.unique(row[some], return_inverse=True)
-                    rows.append((b, *_packed(words[some], context[some].astype("<u2"), back.astype("<u2"), keys[used], training[used].astype("u1"))))
-            kinds = [pa.int32()] + [pa.binary()] * 5
+                    near = context[some].astype("<u2")  # -1 is FAR
+                    rows.append((b, *_packed(words[some], near, far[part][near == FAR], back.astype("<u2"), keys[used], training[used].astype("u1"))))
+            kinds = [pa.int32()] + [pa.binary()] * 6
             for a in range(0, len(rows), 64):
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows[a : a + 64]), kinds)]
                 n = len(columns[0])
                 yield pa.RecordBatch.from_arrays([*columns, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=TAIL_NAMES)
         parts = [zlib.compress(cells[a : a + PART].tobytes(), 1) for a in range(0, len(cells), PART)]
         n = len(parts)
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.binary())] * 5, pa.array(range(n), pa.int32()), pa.array(parts, pa.binary())], names=TAIL_NAMES)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.binary())] * 6, pa.array(range(n), pa.int32()), pa.array(parts, pa.binary())], names=TAIL_NAMES)
 
     return source.select("text", "training", "key").mapInArrow(deal, TAIL)
 
 
-TAIL_NAMES = [x.split()[0] for x in TAIL.split(", ")]
-BUCKET = "bucket int, words long, cell_dish binary, cell_context binary, cell_customers binary, cell_tokens binary, docs binary, tables array<long>, ones long, twos long, dish_ones long, dish_twos long"
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
 
+TAIL_NAMES = _names(TAIL)
+BUCKET = "bucket int, words long, cell_dish binary, cell_context binary, cell_customers binary, cell_tokens binary, docs binary, far binary, far_customers binary, far_tables binary, customers array<long>, tables array<long>, often array<long>, often_counts array<long>, all_customers long, all_tables long, ones long, twos long, dish_ones long, dish_twos long"
 
-def gathered(tail: DataFrame, contexts: int) -> DataFrame:
-    """One row for each bucket: its cells in order of word and context, their tokens' documents, and counts."""
+
+def gathered(tail: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """One row for each bucket: its cells in order of word and context, their tokens' documents, and counts.
+
+    Dishes and contexts are numbered: frequent words (and the end, or the start) first, then the others
+    of the bucket; ``far`` has the hashes of the other contexts."""
+    shared = tail.sparkSession.sparkContext.broadcast(frequent)
 
     def bucket_row(bucket: int, rows: list[dict]) -> tuple:
+        often = shared.value
+        width = len(often) + 1
         word = np.concatenate([_unpacked(r["word"], "<u8") for r in rows])
-        context = np.concatenate([_unpacked(r["context"], "<u2") for r in rows])
+        near = np.concatenate([_unpacked(r["near"], "<u2") for r in rows])
+        far, back = np.unique(np.concatenate([_unpacked(r["far"], "<i8") for r in rows]), return_inverse=True)
+        context = near.astype(np.int32)
+        context[near == FAR] = width + back
+        del near, back
         places = [_unpacked(r["row"], "<u2") for r in rows]
         docs = np.concatenate([_unpacked(r["docs"], "<i8")[p] for r, p in zip(rows, places)])
         training = np.concatenate([_unpacked(r["training"], "u1")[p] for r, p in zip(rows, places)])
-        order = np.lexsort((docs, context, word))
-        word, context, docs, training = word[order], context[order], docs[order], training[order]
-        new_word = np.concatenate([[True], word[1:] != word[:-1]])
-        starts = np.flatnonzero(new_word | np.concatenate([[True], context[1:] != context[:-1]]))
-        dish = (np.cumsum(new_word) - 1)[starts]
+        rows.clear()
+        dish = _dishes(often, word).astype(np.int32)
+        rare = dish < 0
+        dish[rare] = width + np.unique(word[rare], return_inverse=True)[1]
+        del word, rare, places
+        order = np.lexsort((docs, context, dish))
+        dish, context, docs, training = dish[order], context[order], docs[order], training[order]
+        starts = np.flatnonzero(np.concatenate([[True], (dish[1:] != dish[:-1]) | (context[1:] != context[:-1])]))
         customers = np.add.reduceat(training.astype(np.int64), starts)
-        tokens = np.diff(np.append(starts, len(word)))
+        tokens = np.diff(np.append(starts, len(dish)))
+        dish, context = dish[starts], context[starts]
         seen = customers > 0
-        by_dish = np.bincount(dish, seen, int(dish[-1]) + 1)
-        tables = np.bincount(context[starts][seen], minlength=contexts)
-        counts = [int((customers == 1).sum()), int((customers == 2).sum()), int((by_dish == 1).sum()), int((by_dish == 2).sum())]
-        packed = _packed(dish.astype("<u4"), context[starts], customers.astype("<u4"), tokens.astype("<u4"), docs)
-        return bucket, int((by_dish > 0).sum()), *packed, tables.tolist(), *counts
+        by_dish = np.bincount(dish, seen, max(width, int(dish[-1]) + 1)).astype(np.int64)
+        of_dish = np.bincount(dish, customers, width)[:width].astype(np.int64)
+        by_context, of_context = (np.bincount(context, x, width + len(far)).astype(np.int64) for x in (seen, customers))
+        own = by_dish[width:]
+        counts = [int((customers == 1).sum()), int((customers == 2).sum()), int((own == 1).sum()), int((own == 2).sum())]
+        packed = _packed(dish.astype("<u4"), context.astype("<u4"), customers.astype("<u4"), tokens.astype("<u4"), docs, far, of_context[width:], by_context[width:])
+        return bucket, int((own > 0).sum()), *packed, of_context[:width].tolist(), by_context[:width].tolist(), by_dish[:width].tolist(), of_dish.tolist(), int(customers.sum()), int(seen.sum()), *counts
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 5 + [pa.list_(pa.int64())] + [pa.int64()] * 4
-        names = [x.split()[0] for x in BUCKET.split(", ")]
+        kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 8 + [pa.list_(pa.int64())] * 4 + [pa.int64()] * 6
 
         def row(bucket: int, rows: list[dict]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(bucket_row(bucket, rows), kinds)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(bucket_row(bucket, rows), kinds)], names=_names(BUCKET))
 
         now, held = None, []
         for batch in slices(batches, 16):
@@ -342,7 +397,7 @@ def gathered(tail: DataFrame, contexts: int) -> DataFrame:
         if held:
             yield row(now, held)
 
-    own = tail.filter("bucket is not null").select(*TAIL_NAMES[:6])
+    own = tail.filter("bucket is not null").select(*TAIL_NAMES[:7])
     return own.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gather, BUCKET)
 
 
@@ -372,29 +427,68 @@ def _summed(df: DataFrame, array: str, size: int) -> np.ndarray:
     return out
 
 
-def _customers_by_context(buckets: DataFrame, contexts: int) -> np.ndarray:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _totals_by_bucket(found: DataFrame) -> DataFrame:
+    """``far_customers`` and ``far_tables`` of each bucket as totals over all buckets, in the order of ``far``.
+
+    ``found`` (bucket, far, far_customers, far_tables) has each bucket's own."""
+    schema, totals = "bucket int, context long, customers long, tables long", "bucket int, far_customers binary, far_tables binary"
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
-            for context, customers in zip(batch.column("cell_context").to_pylist(), batch.column("cell_customers").to_pylist()):
-                found = np.bincount(_unpacked(context, "<u2"), _unpacked(customers, "<u4"), contexts).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([found.tolist()], pa.list_(pa.int64()))], names=["customers"])
+            for r in batch.to_pylist():
+                columns = [_unpacked(r[c], "<i8") for c in ("far", "far_customers", "far_tables")]
+                for a in range(0, len(columns[0]), 1 << 16):
+                    some = [pa.array(c[a : a + (1 << 16)]) for c in columns]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some[0]), r["bucket"], np.int32)), *some], names=_names(schema))
 
-    return _summed(buckets.select("cell_context", "cell_customers").mapInArrow(count, "customers array<long>"), "customers", contexts)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), *[pa.array(_packed(np.concatenate(x)), pa.binary()) for x in zip(*held)]], names=_names(totals))
+
+        now, held = None, []
+        for batch in batches:
+            bucket, *columns = (batch.column(c).to_numpy() for c in ("bucket", "customers", "tables"))
+            cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1), len(bucket)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if b > a:
+                    if bucket[a] != now and held:
+                        yield row()
+                        held = []
+                    now = bucket[a]
+                    held.append([c[a:b].copy() for c in columns])
+        if held:
+            yield row()
+
+    rows = written(found.select("bucket", "far", "far_customers", "far_tables").mapInArrow(each, schema), "far")
+    sums = rows.groupBy("context").agg(F.sum("customers").alias("customers"), F.sum("tables").alias("tables"))
+    sent = rows.select("bucket", "context").join(sums, "context").select("bucket", "context", "customers", "tables")
+    return written(sent.repartition("bucket").sortWithinPartitions("bucket", "context").mapInArrow(pack, totals), "totals")
 
 
 def _seatings(r: dict, shared: Shared, round_: int) -> Iterator[tuple[slice, Seating]]:
-    """The seatings of a bucket's words, some cells at a time: words do not depend on each other here."""
-    dish, context, customers = (_unpacked(r[c], k) for c, k in (("cell_dish", "<u4"), ("cell_context", "<u2"), ("cell_customers", "<u4")))
-    start = 0
+    """The seatings of a bucket's cells, some at a time: words do not depend on each other here."""
+    dish, context, customers = (_unpacked(r[c], "<u4") for c in ("cell_dish", "cell_context", "cell_customers"))
+    far = [_unpacked(r[c], "<i8") if r[c] else np.zeros(0, np.int64) for c in ("far_customers", "far_tables")]
+    shared = replace(shared, customers=np.concatenate([shared.customers, far[0]]), tables=np.concatenate([shared.tables, far[1]]))
+    kept = [_unpacked(r[c], "<u4").astype(np.int64) for c in ("cell_tables", "dish_tables")] if "cell_tables" in r else None
+    width = len(shared.often)
+    start, end_often = 0, int(np.searchsorted(dish, width))
     while start < len(dish):
         stop = min(start + CHUNK_CELLS, len(dish))
-        stop = int(np.searchsorted(dish, dish[stop - 1], side="right"))
-        some, first = slice(start, stop), int(dish[start])
+        often = start < end_often
+        stop = min(stop, end_often) if often else int(np.searchsorted(dish, dish[stop - 1], side="right"))
+        some, first = slice(start, stop), 0 if often else int(dish[start])
         own = dish[some].astype(np.int64) - first
-        yield some, Seating(own, context[some].astype(np.int64), customers[some].astype(np.int64), int(own[-1]) + 1, shared, 1_000_003 * r["bucket"] + 10 * first + round_)
+        dishes = width if often else int(own[-1]) + 1
+        go_on = None if kept is None else (kept[0][some], np.zeros(width, np.int64) if often else kept[1][first - width : first - width + dishes])
+        yield some, Seating(own, context[some].astype(np.int64), customers[some].astype(np.int64), dishes, shared, 1_000_003 * r["bucket"] + 10 * start + round_, fixed=shared.often if often else None, kept=go_on)
         start = stop
 
 
+def _whole(buckets: DataFrame, what: str) -> int:
+    return int(buckets.agg(F.sum(f"all_{what}")).first()[0] or 0)
+
+
 def _discount(ones: int, twos: int) -> float:
     return min(0.95, max(0.05, ones / max(1, ones + 2 * twos)))
 
@@ -407,51 +501,73 @@ class Model:
     counts: np.ndarray
 
 
+SEATED = "bucket int, cell_tables binary, dish_tables binary, far binary, far_customers binary, far_tables binary, tables array<long>, often array<long>, all_tables long, parent long"
+CELLS = ("bucket", "cell_dish", "cell_context", "cell_customers")
+
+
 def fit(source: DataFrame) -> tuple[Model, DataFrame]:
     """The shared part of the model, and the buckets that hold the rest."""
     spark = source.sparkSession
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-int(size) // BUCKET_BYTES))
     frequent = frequent_words(source)
-    contexts, width = len(frequent) + 2, len(frequent) + 2
+    width = len(frequent) + 1
     tail = written(dealt(source, frequent, buckets), "tail")
-    matrix = _added(tail.filter("part is not null").select("part", "counts"), (len(frequent) + 1) * width).reshape(-1, width)
-    stored = written(gathered(tail, contexts), "buckets")
+    matrix = _added(tail.filter("part is not null").select("part", "counts"), width * width).reshape(width, width)
+    stored = written(gathered(tail, frequent), "buckets")
     sums = stored.agg(*[F.sum(c).alias(c) for c in ("words", "ones", "twos", "dish_ones", "dish_twos")]).first()
     many = {c: int(sums[c] or 0) for c in ("words", "ones", "twos", "dish_ones", "dish_twos")}
 
     dish, context = np.nonzero(matrix)
     customers = matrix[dish, context]
-    by_dish = np.bincount(dish, minlength=len(matrix))
-    of_contexts = matrix.sum(0) + _customers_by_context(stored, contexts)
-    tables = np.bincount(context, minlength=contexts) + _summed(stored, "tables", contexts)
-    vocabulary = many["words"] + int((by_dish > 0).sum())
+    outside = _summed(stored, "often", width)
+    by_dish = np.bincount(dish, minlength=width) + outside
+    counts = matrix.sum(1) + _summed(stored, "often_counts", width)
+    of_contexts = matrix.sum(0) + _summed(stored, "customers", width)
+    tables = np.bincount(context, minlength=width) + _summed(stored, "tables", width)
+    vocabulary = many["words"] + int((counts > 0).sum())
     discount = _discount(many["ones"] + int((customers == 1).sum()), many["twos"] + int((customers == 2).sum()))
     parent_discount = _discount(many["dish_ones"] + int((by_dish == 1).sum()), many["dish_twos"] + int((by_dish == 2).sum()))
-    shared = Shared(frequent, of_contexts, tables, int(tables.sum()), vocabulary, discount, parent_discount, vocabulary, int(of_contexts.sum()))
+    totals = _totals_by_bucket(stored)
+    tokens = _whole(stored, "customers") + int(matrix.sum())
+    shared = Shared(frequent, of_contexts, tables, _whole(stored, "tables") + len(dish), vocabulary, discount, parent_discount, vocabulary, tokens, None, counts)
+    seating = Seating(dish, context, customers, width, shared, 1, outside=outside)
+    shared = replace(shared, often=seating.unigram())
+    sent = spark.sparkContext.broadcast(shared)
 
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             for r in batch.to_pylist():
-                found, parent = np.zeros(contexts, np.int64), 0
-                for _, seating in _seatings(r, sent.value, 1):
-                    tables, more = seating.totals()
-                    found, parent = found + tables, parent + more
-                yield pa.RecordBatch.from_arrays([pa.array([[*found.tolist(), parent]], pa.list_(pa.int64()))], names=["totals"])
-
-    sent = spark.sparkContext.broadcast(shared)
-    cells = ("bucket", "cell_dish", "cell_context", "cell_customers")
-    found = _summed(stored.select(*cells).mapInArrow(totals, "totals array<long>"), "totals", contexts + 1)
-    of_matrix, parent = Seating(dish, context, customers, len(matrix), shared, 1).totals()
-    tables = found[:-1] + of_matrix
-    shared = Shared(frequent, of_contexts, tables, int(tables.sum()), int(found[-1]) + parent, discount, parent_discount, vocabulary, int(of_contexts.sum()))
-
-    of_cells, of_dishes = Seating(dish, context, customers, len(matrix), shared, 2).probabilities()
-    every = np.arange(contexts)[None, :].repeat(len(matrix), 0)
+                cells, dishes, often = [], [np.zeros(0, np.int64)], np.zeros(width, np.int64)
+                for _, some in _seatings(r, sent.value, 1):
+                    cells.append(some.burnt_in().tables)
+                    if some.fixed is None:
+                        dishes.append(some.parent_tables)
+                    else:
+                        often += some.parent_customers
+                cells, dishes = np.concatenate(cells), np.concatenate(dishes)
+                known = _unpacked(r["far"], "<i8")
+                by_context = np.bincount(_unpacked(r["cell_context"], "<u4"), cells, width + len(known)).astype(np.int64)
+                mine = [*_packed(cells.astype("<u4"), dishes.astype("<u4")), r["far"], *_packed(np.zeros(len(known), np.int64), by_context[width:])]
+                lists = [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (by_context[:width], often)]
+                yield pa.RecordBatch.from_arrays([pa.array([r["bucket"]], pa.int32()), *[pa.array([x], pa.binary()) for x in mine], *lists, pa.array([int(cells.sum())], pa.int64()), pa.array([int(dishes.sum())], pa.int64())], names=_names(SEATED))
+
+    seated = written(stored.select(*CELLS, "far").join(totals, "bucket", "left").mapInArrow(seat, SEATED), "seated")
+    seating.burnt_in()
+    outside = _summed(seated, "often", width)
+    tables = _summed(seated, "tables", width) + np.bincount(context, seating.tables, width).astype(np.int64)
+    again = _totals_by_bucket(seated)
+    in_parent = int(seating.tables.sum()) + _whole(seated, "tables")
+    shared = replace(shared, tables=tables, parent_customers=in_parent, parent_tables=int(seating.parent_tables.sum()) + int(seated.agg(F.sum("parent")).first()[0] or 0))
+    seating.synchronised(shared, outside)
+    shared = replace(shared, often=seating.unigram())
+    ready = stored.select(*CELLS, "cell_tokens", "docs").join(totals.select("bucket", "far_customers"), "bucket", "left").join(again.select("bucket", "far_tables"), "bucket", "left").join(seated.select("bucket", "cell_tables", "dish_tables"), "bucket")
+
+    of_cells, of_dishes = seating.probabilities()
+    every = np.arange(width)[None, :].repeat(width, 0)
     probability = shared.child(every, 0, 0, of_dishes[:, None])
     probability[dish, context] = of_cells
-    counts = matrix.sum(1)
-    return Model(shared, np.log10(probability).astype(np.float64), np.log10(counts + 1.0), counts), stored
+    return Model(shared, np.log10(probability).astype(np.float64), np.log10(counts + 1.0), counts), ready
 
 
 SUMS = "key long, doc_id long, rows long, n_tokens long, n_known long, base double, score double"
@@ -468,13 +584,14 @@ def _tail_sums(stored: DataFrame, shared: Shared) -> DataFrame:
                 for some, seating in _seatings(r, sent.value, 2):
                     cells, dishes = seating.probabilities()
                     logs[some] = np.log10(cells)
-                    counts[some] = np.bincount(seating.dish, seating.customers, seating.dishes)[seating.dish]
+                    of_dish = seating.shared.often_counts if seating.fixed is not None else np.bincount(seating.dish, seating.customers, seating.dishes)
+                    counts[some] = of_dish[seating.dish]
                 keys, back = np.unique(_unpacked(r["docs"], "<i8"), return_inverse=True)
                 sums = [np.bincount(back, np.repeat(v, tokens), len(keys)) for v in (np.log10(counts + 1), logs, counts > 0)]
                 nothing = pa.nulls(len(keys), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(keys), nothing, nothing, nothing, pa.array(sums[2].astype(np.int64)), pa.array(sums[0]), pa.array(sums[1])], names=[x.split()[0] for x in SUMS.split(", ")])
 
-    return stored.select("bucket", "cell_dish", "cell_context", "cell_customers", "cell_tokens", "docs").mapInArrow(score, SUMS)
+    return stored.mapInArrow(score, SUMS)
 
 
 def _frequent_sums(source: DataFrame, model: Model) -> DataFrame:
@@ -488,11 +605,11 @@ def _frequent_sums(source: DataFrame, model: Model) -> DataFrame:
             if not texts:
                 continue
             words, row, first = _tokens(texts)
-            place = np.where(words == END, len(often), np.where((p := _places(often, words)) == len(often), -1, p))
-            mine = place >= 0
-            place, context, mine_row = place[mine], _contexts(often, words, first)[mine], row[mine]
+            place, context = _dishes(often, words), _contexts(often, words, first)
+            mine = (place >= 0) & (context >= 0)
+            place, context, mine_row = place[mine], context[mine], row[mine]
             n = len(texts)
-            base, score_ = np.bincount(mine_row, m.count_logs[place], n), np.bincount(mine_row, m.cell_logs[place, context], n)
+            base, score_ = (np.bincount(mine_row, x, n).astype(np.float64) for x in (m.count_logs[place], m.cell_logs[place, context]))
             known, total = np.bincount(mine_row, m.counts[place] > 0, n).astype(np.int64), np.bincount(row, minlength=n)
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), pa.array([1] * n, pa.int64()), pa.array(total.astype(np.int64)), pa.array(known), pa.array(base), pa.array(score_)], names=[x.split()[0] for x in SUMS.split(", ")])
 

@@ -327,6 +327,28 @@ def test_seating_probabilities_sum_to_one():
         assert p == pytest.approx(1)
 
 
+def test_every_context_has_a_restaurant(spark):
+    random.seed(9)
+    pairs = [i for i in range(6000) for _ in range(7)]
+    random.shuffle(pairs)
+    docs = spark.createDataFrame([(k, " ".join(f"c{i} d{i * 7919 % 50}" for i in pairs[k * 70 : k * 70 + 70])) for k in range(600)], "doc_id long, text string").coalesce(1)
+    source = pitman_yor._source(docs, F.col("doc_id") % 7 != 2)
+    assert not {pitman_yor._words(f"c{i}")[0] for i in range(6000)} & set(pitman_yor.frequent_words(source))
+    got = pitman_yor.scored(docs, F.col("doc_id") % 7 != 2).collect()
+    assert len(got) == 600 and all(r.n_tokens == 141 for r in got) and {r.train_tokens for r in got} == {141 * sum(k % 7 != 2 for k in range(600))}
+    held = [r for r in got if r.doc_id % 7 == 2]
+    # from one shared context, d costs log10(50) = 1.7 a pair besides c's log10(6000) = 3.8
+    assert sum(r.score for r in held) / (70 * len(held)) > -4.8
+
+
+def test_a_sweep_draws_from_the_conditional():
+    n, c, d, base, others = 40_000, 5, 0.6, 0.03, 7
+    logs = pitman_yor._stirling(d)[c, 1 : c + 1] + np.cumsum(np.log((pitman_yor.STRENGTH + d * (others + np.arange(c))) * base))
+    want = np.exp(logs) / np.exp(logs).sum()
+    got = pitman_yor.sweep(np.full(n, c), np.full(n, c), np.full(n, others), np.full(n, base), d, pitman_yor._stirling(d), np.random.default_rng(1))
+    assert np.abs(np.bincount(got, minlength=c + 1)[1:] / n - want).max() < 0.01
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
