@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitspark.functions import flags, scalar
+from pitspark.functions.storage import work_dir
 
 
 @dataclass(frozen=True)
@@ -180,3 +181,22 @@ def axis_ticks(rows: DataFrame, by: list[str], value: str, many: int = 5) -> Dat
     domain = ends.select(*by, (F.col("low") - pad).alias("start"), (F.col("high") + pad).alias("stop"))
     step = (F.col("stop") - F.col("start")) / (many - 1)
     return domain.select(*by, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(many - 1)), lambda i: F.col("start") + i * step)).alias("tick", "value"))
+
+
+def placed(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``rows`` with their place from 1 in ``order``.
+
+    Ranges of the order are numbered apart, each from the number of rows before it. They are stored once,
+    as drawing the ranges anew could deal rows differently.
+    """
+    path = work_dir(rows.sparkSession, "ranges")
+    dealt = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    dealt.write.parquet(path)
+    stored = rows.sparkSession.read.schema(dealt.schema).parquet(path)
+    before, starts = 0, []
+    for r in stored.groupBy("_range").count().orderBy("_range").collect():
+        starts.append((r["_range"], before))
+        before += r["count"]
+    first = F.broadcast(rows.sparkSession.createDataFrame(starts, "_range int, _before long"))
+    numbered = stored.withColumn(name, F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    return numbered.join(first, "_range").withColumn(name, (F.col(name) + F.col("_before")).cast("int")).drop("_range", "_before")

@@ -208,11 +208,8 @@ def p24(t: Data) -> DataFrame:
 
 @query("O3_ordered_with_gaps_last", "select sector, qidx, round(total, 6) as total, cast(row_number() over (order by total desc nulls last, sector, qidx) as int) as place from {pe_gate} where qidx % 4 = 3")
 def o3(t: Data) -> DataFrame:
-    # one row for each group and year: a page, so one ordering task is enough
-    from pyspark.sql import Window
-
     rows = pe_values(t).filter("qidx % 4 = 3").select(*BY, r6("total"))
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("total"), "sector", "qidx")))
+    return sectors.placed(rows, [F.desc_nulls_last("total"), F.asc("sector"), F.asc("qidx")], "place")
 
 
 @query("S10_export_bundle", """select qidx, metric, method, sector, value from (

@@ -178,3 +178,19 @@ def test_feed_keeps_the_baseline_of_a_failed_poll(spark, tmp_path):
 def test_outcome_of_a_comparison(spark):
     rows = spark.createDataFrame([(0, 1, 0, 1), (0, 1, 1, 0), (1, 0, 0, 0), (0, 0, 0, 0)], "f int, n int, c int, a int")
     assert [r.o for r in rows.select(changes.outcome(*map(F.col, "fnca")).alias("o")).collect()] == ["amendment", "mixed", "incomplete", "no_change"]
+
+
+def test_places_go_on_over_ranges(spark):
+    values = [(i, None if i % 5 == 0 else float(i * 7919 % 97)) for i in range(3000)]
+    rows = spark.createDataFrame(values, "id int, total double")
+    got = sectors.placed(rows, [F.desc_nulls_last("total"), F.asc("id")], "place")
+    want = sorted(values, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert {r.id: r.place for r in got.collect()} == {r[0]: k + 1 for k, r in enumerate(want)}
+    assert sectors.placed(rows.limit(0), [F.desc_nulls_last("total")], "place").count() == 0
+
+
+def test_the_ordered_query_does_not_go_through_one_task(spark):
+    from pitspark.plans import catalog
+
+    found = catalog.QUERIES["O3_ordered_with_gaps_last"](spark, "/root/testdata/sf0.001")
+    assert "SinglePartition" not in found._jdf.queryExecution().executedPlan().toString()
