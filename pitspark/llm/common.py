@@ -18,6 +18,10 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
 
+#: Spark then removes an execution's shuffle files when it ends, not when the driver collects garbage.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 @functools.lru_cache(maxsize=8)
 def _own_folder(application: str) -> str:
     return "file://" + tempfile.mkdtemp(prefix=f"pitspark-{application}-")
@@ -26,19 +30,50 @@ def _own_folder(application: str) -> str:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder name under ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where that setting is absent (one-machine tests) a temporary folder of this session serves.
+    Where that setting is absent, a temporary folder of this session serves on a ``local`` master; a
+    cluster's executors would not see it, so there its absence is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark.sparkContext.applicationId)
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _own_folder(spark.sparkContext.applicationId)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _write(df: DataFrame, out: str, **options: str) -> None:
+    conf = df.sparkSession.conf
+    before = conf.get(FREE_SHUFFLES, "false")
+    conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.options(**options).parquet(out)
+    finally:
+        conf.set(FREE_SHUFFLES, before)
+
+
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read again: lineage ends here."""
     out = shared_dir(df.sparkSession, name)
-    df.write.options(**options).parquet(out)
+    _write(df, out, **options)
     return df.sparkSession.read.schema(df.schema).parquet(out)
 
 
+class Scratch:
+    """Tables of one run in the shared folder, each removed when the run needs it no more."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root = spark, shared_dir(spark, name)
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        _write(df, f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system and the path in it of a URI or an absolute path."""
     return pafs.FileSystem.from_uri(uri)

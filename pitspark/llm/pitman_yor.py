@@ -1,130 +1,80 @@
 """A hierarchical Pitman-Yor language model over words.
 
 Every word is a context with a restaurant of its own, and so is the start of a text. All share a parent,
-the unigram restaurant, whose base measure gives half its mass to the known words evenly and half to
-unknown ones. A cell is a dish (word) in a restaurant: its customers are the training counts, its tables
-are sampled. Each table of a restaurant is a customer of the parent.
+the unigram restaurant. Its base measure is even over the known words and one class of unknown words, so
+an unknown word gets one share in V + 1 of the parent's new tables. A cell is a dish (word) in a
+restaurant: its customers are the training counts, its tables are sampled. Each table of a restaurant is
+a customer of the parent.
 
 Sampling is blocked Gibbs: a sweep takes all customers of each cell out and draws its number of tables
-from the conditional (Stirling numbers count the seatings that a number of tables stands for, the other
-tables of the restaurant are as they were at the last synchronisation, the parent's measure is as it was
-at the sweep's start). Cells of more than :data:`SMALL` customers are seated anew in growing blocks. The
-seating is carried from the first round to the second; totals of restaurants are brought up to date
-between them. Probabilities are averaged over the samples of the last round.
-
-Words that make up a large part of the corpus would crowd a bucket. They are the frequent words, at most
-:data:`FREQUENT` by number. Cells of frequent words in frequent contexts are a table of bounded size: it
-is summed over tasks, sampled beside the buckets, and their tokens are scored where the text is read. All
-other cells are dealt out: those of a rarer word by that word, so that its cells and its parent dish meet
-in one bucket, and those of a frequent word by their context. Totals of frequent contexts and of frequent
-words in the parent are vectors of bounded size; those of all other contexts go to buckets by a join.
-
-Defined cases: a null text counts as empty and holds the end token alone; rows with one doc_id and text
-get one score each; with no training row every word is unknown; 64-bit hashes stand for words.
+from the conditional (Stirling numbers count the seatings that a number of tables stands for). Other
+cells' tables and the parent's measure are as of the sweep's start, as in distributed Gibbs sampling; the
+parent's dishes are swept in turn. For cells of more than :data:`SMALL` customers the Stirling numbers
+come from a saddle point. The first :data:`BURN_IN` sweeps are passed over; predictive probabilities are averaged over the
+next :data:`SAMPLES`.
+
+The work is messages between three kinds of places, each a group of rows in a Spark shuffle. Batches of
+texts send their distinct cells to buckets; a bucket holds whole restaurants. Each sweep, buckets send
+the customers of their dishes to parts of the parent (ranges of the words' hashes), which send sums and
+tables back. At the end buckets answer the batches, cell by cell. What a bucket or a part holds is
+bounded by its share of the corpus; a restaurant that would fill more than a quarter of a bucket is split
+by dish, and its totals are summed by the parts too. Which ones are split is estimated from a sample and
+decides only where a cell lies: random numbers come from hashes of context, word and sweep, so scores are
+a function of the rows, whatever the partitions.
+
+Defined cases: a null text counts as empty and holds the end token alone; rows with equal ids or texts
+are scored one by one; with no training row every word is unknown; 64-bit hashes stand for words; the
+texts are read twice, and rows that come differently the second time (from a source without a stable
+order) end the job with an error.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitspark.llm.common import slices, text_or_empty, written
+from pitspark.llm.common import Scratch, slices, text_or_empty
 
-FREQUENT = 1024
-LEAST_SHARE = 1 / 4096  # of a task's training tokens, for a word to be put forward as frequent
-BUCKET_BYTES = 16 << 20  # of text for each bucket, about
-SMALL = 64
-CHUNK_CELLS = 1 << 17
-BURN_IN, SAMPLES = 3, 3
+BATCH_TOKENS = 1 << 21
+BUCKET_BYTES = 12 << 20  # of text for each bucket, about
+BUCKETS_A_PART = 2
+SAMPLE_BYTES = 32 << 20  # of text, or a 1,024th, to estimate which restaurants to split
+SMALL = 256
+BURN_IN, SAMPLES = 2, 3
 STRENGTH = 1.0
-END = np.uint64(0x2D06800538D394C2)  # the hash of the empty word
-PART = 1 << 15
+END = np.uint64(0x2D06800538D394C2)  # the hash of the empty word: the end, and the context of a start
 
+MESSAGE = "to long, kind int, sender long, blobs array<binary>, sums array<long>"
+NAMES = ["to", "kind", "sender", "blobs", "sums"]
+REQUEST, CELLS, SEATS, SENT, PARENT, REPLY, TEXTS, ANSWER = range(8)
 
-@dataclass(frozen=True)
-class Shared:
-    """What every task needs to know: totals by context, the parent's totals, discounts and sizes."""
-
-    frequent: np.ndarray  # sorted hashes
-    customers: np.ndarray  # by context
-    tables: np.ndarray  # by context
-    parent_customers: int
-    parent_tables: int
-    discount: float
-    parent_discount: float
-    vocabulary: int
-    tokens: int
-    often: np.ndarray | None = None  # probabilities in the parent of frequent words and the end
-    often_counts: np.ndarray | None = None
-
-    @property
-    def known(self) -> float:
-        return 0.5 / max(1, self.vocabulary)
-
-    def parent(self, customers: np.ndarray, tables: np.ndarray, base: np.ndarray | float) -> np.ndarray:
-        """The unigram probabilities of dishes."""
-        new = (STRENGTH + self.parent_discount * self.parent_tables) * base
-        return (customers - self.parent_discount * tables + new) / (STRENGTH + self.parent_customers)
-
-    def child(self, context: np.ndarray, customers: np.ndarray, tables: np.ndarray, parent: np.ndarray) -> np.ndarray:
-        new = (STRENGTH + self.discount * self.tables[context]) * parent
-        return (customers - self.discount * tables + new) / (STRENGTH + self.customers[context])
-
-
-def _words(text: str) -> np.ndarray:
-    import xxhash
-
-    words = text.encode().lower().split()
-    out = np.empty(len(words) + 1, np.uint64)
-    out[:-1] = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    out[-1] = END
-    return out
-
-
-def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words, the row of each, and whether each is a row's first."""
-    found = [_words(t) for t in texts]
-    lengths = np.array([len(f) for f in found])
-    first = np.zeros(int(lengths.sum()), bool)
-    first[np.cumsum(lengths) - lengths] = True
-    return np.concatenate(found), np.repeat(np.arange(len(found)), lengths), first
 
+# ---- seating ------------------------------------------------------------------------------------
 
-def _places(sorted_hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """The place of each word in the list, or the list's length."""
-    n = len(sorted_hashes)
-    if not n:
-        return np.zeros(len(words), np.int64)
-    at = np.searchsorted(sorted_hashes, words)
-    return np.where(sorted_hashes[np.minimum(at, n - 1)] == words, at, n)
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser: every bit of the outcome depends on every bit of ``x``."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-def _contexts(frequent: np.ndarray, words: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The context of each word: a frequent word, the start (n), or another word (-1)."""
-    places = np.empty(len(words), np.int64)
-    places[1:] = _places(frequent, words[:-1])
-    places[places == len(frequent)] = -1
-    places[first] = len(frequent)
-    return places
 
+def uniform(keys: np.ndarray, sweep: int) -> np.ndarray:
+    """A number from 0 to 1 for each key, of this sweep."""
+    turn = np.uint64((sweep * 0x9E3779B97F4A7C15) % (1 << 64))
+    return (_mixed(keys + turn) >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
-def _dishes(frequent: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """The place of each word: a frequent word, the end (n), or another word (-1)."""
-    places = _places(frequent, words)
-    return np.where(words == END, len(frequent), np.where(places == len(frequent), -1, places))
 
-
-def _stirling(discount: float) -> np.ndarray:
-    """Logs of generalised Stirling numbers S(c, t) for c, t up to SMALL."""
-    out = np.full((SMALL + 2, SMALL + 2), -np.inf)
+def stirling(discount: float, most: int = SMALL) -> np.ndarray:
+    """Logs of generalised Stirling numbers S(c, t) for c, t up to ``most``."""
+    out = np.full((most + 1, most + 1), -np.inf)
     out[0, 0] = 0.0
-    for c in range(SMALL + 1):
+    for c in range(most):
         t = np.arange(1, c + 2)
         with np.errstate(divide="ignore", invalid="ignore"):
             stay = out[c, t] + np.log(np.maximum(c - t * discount, 1e-300))
@@ -132,501 +82,454 @@ def _stirling(discount: float) -> np.ndarray:
     return out
 
 
-def seat_anew(customers: np.ndarray, new: np.ndarray, discount: float, random: np.random.Generator) -> np.ndarray:
-    """Tables after all customers of each cell come in; ``new`` is the weight of a new table."""
-    seated, tables = np.minimum(customers, 1), np.minimum(customers, 1)
-    while (left := customers - seated).any():
-        block = np.minimum(left, np.maximum(1, seated // 4))
-        p = new / (seated - discount * tables + new)
-        tables = np.minimum(tables + random.binomial(block, np.clip(p, 0, 1)), customers)
-        seated = seated + block
-    return tables
-
-
-def sweep(customers: np.ndarray, tables: np.ndarray, others: np.ndarray, base: np.ndarray, discount: float, stirling: np.ndarray, random: np.random.Generator) -> np.ndarray:
+def many_tables(customers: np.ndarray, others: np.ndarray, base: np.ndarray, discount: float, chance: np.ndarray) -> np.ndarray:
+    """Draws near the conditional for cells too large for the table of Stirling numbers.
+
+    These have the generating function g(x)**t / t! with g(x) = (1 - (1 - x)**d) / d. At its saddle point,
+    x * (1 - x)**(d - 1) = c / a, the conditional is largest at t = a * g(x), where a is the weight of a new
+    table; there, t - 1 is about Poisson, the less so the more customers sit alone."""
+    mean = np.ones(len(customers))
+    for _ in range(12):
+        weight = (STRENGTH + discount * (others + mean)) * base
+        low, high = np.full(len(customers), -700.0), np.full(len(customers), -1e-12)  # of log(1 - x)
+        for _ in range(50):
+            middle = (low + high) / 2
+            above = np.log(-np.expm1(middle)) + (discount - 1) * middle > np.log(customers / weight)
+            low, high = np.where(above, middle, low), np.where(above, high, middle)
+        mean = np.minimum(weight * -np.expm1(discount * low) / discount, customers - 1.0)
+    few = np.zeros(len(customers))
+    term = np.exp(-np.minimum(mean, 30))
+    reached = term.copy()
+    for k in range(1, 80):
+        few += chance >= reached
+        term = term * np.minimum(mean, 30) / k
+        reached += term
+    wide = np.sqrt(mean * (1 - mean / customers)) * np.log(np.clip(chance, 1e-9, 1 - 1e-9) / np.clip(1 - chance, 1e-9, 1)) / 1.702
+    drawn = np.where(mean < 16, few, np.rint(mean + wide))
+    return np.clip(1 + drawn, 1, customers).astype(np.int64)
+
+
+def swept(customers: np.ndarray, tables: np.ndarray, others: np.ndarray, base: np.ndarray, discount: float, logs: np.ndarray, chance: np.ndarray) -> np.ndarray:
     """A new number of tables for each cell of two customers or more, given the ``others`` of its restaurant."""
     tables = tables.copy()
-    large = customers > SMALL
-    tables[large] = seat_anew(customers[large], (STRENGTH + discount * (others + tables)[large]) * base[large], discount, random)
-    some = np.flatnonzero((customers > 1) & ~large)
+    large = np.flatnonzero(customers > SMALL)
+    tables[large] = many_tables(customers[large], others[large], base[large], discount, chance[large])
+    some = np.flatnonzero((customers > 1) & (customers <= SMALL))
     some = some[np.argsort(customers[some], kind="stable")]
     ends = np.cumsum(np.bincount(customers[some], minlength=SMALL + 1))
-    for c in range(2, SMALL + 1):
-        mine = some[ends[c - 1] : ends[c]]
-        if len(mine):
-            logs = np.cumsum(np.log((STRENGTH + discount * (others[mine, None] + np.arange(c))) * base[mine, None]), 1) + stirling[c, 1 : c + 1]
-            shares = np.cumsum(np.exp(logs - logs.max(1, keepdims=True)), 1)
-            tables[mine] = 1 + (shares < random.random((len(mine), 1)) * shares[:, -1:]).sum(1)
+    for c in np.flatnonzero(np.diff(ends, prepend=0)):
+        for a in range(ends[c - 1], ends[c], 1 << 16):
+            mine = some[a : min(a + (1 << 16), ends[c])]
+            weights = np.cumsum(np.log((STRENGTH + discount * (others[mine, None] + np.arange(c))) * base[mine, None]), 1) + logs[c, 1 : c + 1]
+            shares = np.cumsum(np.exp(weights - weights.max(1, keepdims=True)), 1)
+            tables[mine] = 1 + (shares < chance[mine, None] * shares[:, -1:]).sum(1)
     return tables
 
 
-class Seating:
-    """The cells of some words: ``dish`` (index of the word), context and customers of each.
-
-    ``fixed`` gives the dishes' probabilities where their parent is elsewhere; ``outside`` are customers
-    that cells elsewhere send to the dishes' parent; ``kept`` are tables and parent tables to go on from.
-    """
-
-    def __init__(self, dish: np.ndarray, context: np.ndarray, customers: np.ndarray, dishes: int, shared: Shared, seed: int, fixed: np.ndarray | None = None, outside: np.ndarray | None = None, kept: tuple[np.ndarray, np.ndarray] | None = None):
-        self.dish, self.context, self.customers, self.shared = dish, context, customers, shared
-        self.random = np.random.default_rng(seed)
-        self.dishes, self.fixed = dishes, fixed
-        self.outside = np.zeros(dishes, np.int64) if outside is None else outside
-        self.tables = np.minimum(customers, 1) if kept is None else kept[0]
-        self.stirling, self.parent_stirling = _stirling(shared.discount), _stirling(shared.parent_discount)
-        self._sum()
-        self.synchronised(shared)
-        self.parent_tables = np.minimum(self.parent_customers, 1) if kept is None else kept[1]
-        if kept is None:
-            self.tables = seat_anew(customers, self._new(), shared.discount, self.random)
-            self._sum()
-            self.parent_tables = seat_anew(self.parent_customers, self._parent_new(), shared.parent_discount, self.random)
-
-    def synchronised(self, shared: Shared, outside: np.ndarray | None = None) -> None:
-        """Takes totals that hold the tables of now."""
-        self.shared = shared
-        self.others = np.maximum(0, shared.tables[self.context] - self.tables)
-        if outside is not None:
-            self.outside = outside
-            self._sum()
-
-    def _sum(self) -> None:
-        self.parent_customers = np.bincount(self.dish, self.tables, self.dishes).astype(np.int64) + self.outside
-
-    def _parent_new(self) -> np.ndarray:
-        s = self.shared
-        return np.full(self.dishes, (STRENGTH + s.parent_discount * s.parent_tables) * s.known)
-
-    def unigram(self) -> np.ndarray:
-        if self.fixed is not None:
-            return self.fixed
-        seen = self.parent_customers > 0
-        return np.where(seen, self.shared.parent(self.parent_customers, self.parent_tables, self.shared.known), self.shared.parent(0, 0, 0.5))
-
-    def _new(self) -> np.ndarray:
-        s = self.shared
-        return (STRENGTH + s.discount * s.tables[self.context]) * self.unigram()[self.dish]
-
-    def step(self) -> None:
-        s = self.shared
-        self.tables = sweep(self.customers, self.tables, self.others, self.unigram()[self.dish], s.discount, self.stirling, self.random)
-        self._sum()
-        if self.fixed is None:
-            held = np.clip(self.parent_tables, np.minimum(self.parent_customers, 1), self.parent_customers)
-            rest = np.maximum(0, s.parent_tables - held)
-            self.parent_tables = sweep(self.parent_customers, held, rest, np.full(self.dishes, s.known), s.parent_discount, self.parent_stirling, self.random)
-
-    def burnt_in(self) -> Seating:
-        for _ in range(BURN_IN):
-            self.step()
-        return self
-
-    def probabilities(self) -> tuple[np.ndarray, np.ndarray]:
-        """Of each cell, and of each dish in the parent, averaged over samples."""
-        for _ in range(BURN_IN):
-            self.step()
-        cells, dishes = np.zeros(len(self.dish)), np.zeros(self.dishes)
-        for _ in range(SAMPLES):
-            self.step()
-            unigram = self.unigram()
-            dishes += unigram
-            cells += self.shared.child(self.context, self.customers, self.tables, unigram[self.dish])
-        return cells / SAMPLES, dishes / SAMPLES
-
-
-# ---- passes over the texts ----------------------------------------------------------------------
+@dataclass(frozen=True)
+class Totals:
+    """What every place needs to know of the whole: sizes of the parent, words and discounts."""
 
+    customers: int  # of the parent
+    tables: int  # of the parent
+    words: int
+    discount: float
+    parent_discount: float
 
-def _source(docs: DataFrame, training: Column) -> DataFrame:
-    text = text_or_empty("text")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), training.alias("training"), F.xxhash64("doc_id", text).alias("key"))
-
-
-def frequent_words(source: DataFrame) -> np.ndarray:
-    """Sorted hashes of up to :data:`FREQUENT` words: the most counted of those that are frequent in some task."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.uint64), np.zeros(0, np.int64)]
-        total = 0
-        for batch in slices(batches, 2048):
-            texts = batch.column("text").to_pylist()
-            if not texts:
-                continue
-            words, n = np.unique(_tokens(texts)[0], return_counts=True)
-            total += int(n.sum())
-            both = np.concatenate([held[0], words])
-            held[0], back = np.unique(both, return_inverse=True)
-            held[1] = np.bincount(back, np.concatenate([held[1], n])).astype(np.int64)
-            if len(held[0]) > 1 << 21:  # what a task keeps is bounded; words that come up often stay
-                many = held[1] > 1
-                held = [held[0][many], held[1][many]]
-        keep = (held[1] >= LEAST_SHARE * total) & (held[0] != END)
-        yield pa.RecordBatch.from_arrays([pa.array(held[0][keep].view(np.int64)), pa.array(held[1][keep])], names=["word", "n"])
-
-    found = source.filter("training").select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    rows = found.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
-    return np.sort(np.array([r["word"] for r in rows], np.int64).view(np.uint64))
-
-
-def _packed(*arrays: np.ndarray) -> list[bytes]:
+    @property
+    def base(self) -> float:
+        return 1 / (self.words + 1)
+
+    def parent(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        """The unigram probabilities of dishes."""
+        new = (STRENGTH + self.parent_discount * self.tables) * self.base
+        return (customers - self.parent_discount * tables + new) / (STRENGTH + self.customers)
+
+    def child(self, customers: np.ndarray, tables: np.ndarray, of_context: np.ndarray, tables_of_context: np.ndarray, parent: np.ndarray) -> np.ndarray:
+        """The probabilities of cells in their restaurants."""
+        new = (STRENGTH + self.discount * tables_of_context) * parent
+        return (customers - self.discount * tables + new) / (STRENGTH + of_context)
+
+
+# ---- messages -----------------------------------------------------------------------------------
+
+
+def packed(*arrays: np.ndarray) -> list[bytes]:
+    """Each array as bytes: first those of lowest value, so that small numbers leave runs of zeros."""
     import zstandard
 
-    return [zstandard.compress(np.ascontiguousarray(a).tobytes(), 1) for a in arrays]
+    return [zstandard.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T).tobytes(), 1) for a in arrays]
 
 
-def _unpacked(data: bytes, kind: str) -> np.ndarray:
+def unpacked(data: bytes, kind: str) -> np.ndarray:
     import zstandard
 
-    return np.frombuffer(zstandard.decompress(data, max_output_size=1 << 31), kind)
-
-
-TAIL = "bucket int, word binary, near binary, far binary, row binary, docs binary, training binary, part int, counts binary"
-FAR = np.uint16(0xFFFF)
-
-
-def dealt(source: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
-    """For each batch of texts and bucket, the tokens whose word or context is not frequent, and at the end
-    of a task the cells of frequent words in frequent contexts of training texts (part, counts).
-
-    A token goes by its word, or by its context if the word is frequent."""
-    shared = source.sparkSession.sparkContext.broadcast(frequent)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = shared.value
-        width = len(often) + 1
-        cells = np.zeros(width * width, np.int64)
-        for batch in slices(batches, 2048):
-            texts = batch.column("text").to_pylist()
-            if not texts:
-                continue
-            words, row, first = _tokens(texts)
-            before = np.concatenate([[END], words[:-1]])
-            context, place = _contexts(often, words, first), _dishes(often, words)
-            training = batch.column("training").to_numpy(zero_copy_only=False).astype(bool)
-            keys = batch.column("key").to_numpy(zero_copy_only=False)
-            bounded = (place >= 0) & (context >= 0)
-            mine = bounded & training[row]
-            cells += np.bincount(place[mine] * width + context[mine], minlength=len(cells))
-            tail = np.flatnonzero(~bounded)
-            bucket = (np.where(place < 0, words, before)[tail] >> np.uint64(33)).astype(np.int64) % buckets
-            far = np.where(context[tail] < 0, before[tail], np.uint64(0))
-            sort = np.lexsort((row[tail], far, context[tail], words[tail], bucket))
-            order, far = tail[sort], far[sort]
-            ends = np.cumsum(np.bincount(bucket, minlength=buckets))
-            rows = []
-            for b in range(buckets):
-                part = slice(ends[b - 1] if b else 0, ends[b])
-                some = order[part]
-                if len(some):
-                    used, back = np.unique(row[some], return_inverse=True)
-                    near = context[some].astype("<u2")  # -1 is FAR
-                    rows.append((b, *_packed(words[some], near, far[part][near == FAR], back.astype("<u2"), keys[used], training[used].astype("u1"))))
-            kinds = [pa.int32()] + [pa.binary()] * 6
-            for a in range(0, len(rows), 64):
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows[a : a + 64]), kinds)]
-                n = len(columns[0])
-                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=TAIL_NAMES)
-        parts = [zlib.compress(cells[a : a + PART].tobytes(), 1) for a in range(0, len(cells), PART)]
-        n = len(parts)
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.binary())] * 6, pa.array(range(n), pa.int32()), pa.array(parts, pa.binary())], names=TAIL_NAMES)
-
-    return source.select("text", "training", "key").mapInArrow(deal, TAIL)
-
-
-def _names(schema: str) -> list[str]:
-    return [x.split()[0] for x in schema.split(", ")]
-
-
-TAIL_NAMES = _names(TAIL)
-BUCKET = "bucket int, words long, cell_dish binary, cell_context binary, cell_customers binary, cell_tokens binary, docs binary, far binary, far_customers binary, far_tables binary, customers array<long>, tables array<long>, often array<long>, often_counts array<long>, all_customers long, all_tables long, ones long, twos long, dish_ones long, dish_twos long"
-
-
-def gathered(tail: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """One row for each bucket: its cells in order of word and context, their tokens' documents, and counts.
-
-    Dishes and contexts are numbered: frequent words (and the end, or the start) first, then the others
-    of the bucket; ``far`` has the hashes of the other contexts."""
-    shared = tail.sparkSession.sparkContext.broadcast(frequent)
-
-    def bucket_row(bucket: int, rows: list[dict]) -> tuple:
-        often = shared.value
-        width = len(often) + 1
-        word = np.concatenate([_unpacked(r["word"], "<u8") for r in rows])
-        near = np.concatenate([_unpacked(r["near"], "<u2") for r in rows])
-        far, back = np.unique(np.concatenate([_unpacked(r["far"], "<i8") for r in rows]), return_inverse=True)
-        context = near.astype(np.int32)
-        context[near == FAR] = width + back
-        del near, back
-        places = [_unpacked(r["row"], "<u2") for r in rows]
-        docs = np.concatenate([_unpacked(r["docs"], "<i8")[p] for r, p in zip(rows, places)])
-        training = np.concatenate([_unpacked(r["training"], "u1")[p] for r, p in zip(rows, places)])
-        rows.clear()
-        dish = _dishes(often, word).astype(np.int32)
-        rare = dish < 0
-        dish[rare] = width + np.unique(word[rare], return_inverse=True)[1]
-        del word, rare, places
-        order = np.lexsort((docs, context, dish))
-        dish, context, docs, training = dish[order], context[order], docs[order], training[order]
-        starts = np.flatnonzero(np.concatenate([[True], (dish[1:] != dish[:-1]) | (context[1:] != context[:-1])]))
-        customers = np.add.reduceat(training.astype(np.int64), starts)
-        tokens = np.diff(np.append(starts, len(dish)))
-        dish, context = dish[starts], context[starts]
-        seen = customers > 0
-        by_dish = np.bincount(dish, seen, max(width, int(dish[-1]) + 1)).astype(np.int64)
-        of_dish = np.bincount(dish, customers, width)[:width].astype(np.int64)
-        by_context, of_context = (np.bincount(context, x, width + len(far)).astype(np.int64) for x in (seen, customers))
-        own = by_dish[width:]
-        counts = [int((customers == 1).sum()), int((customers == 2).sum()), int((own == 1).sum()), int((own == 2).sum())]
-        packed = _packed(dish.astype("<u4"), context.astype("<u4"), customers.astype("<u4"), tokens.astype("<u4"), docs, far, of_context[width:], by_context[width:])
-        return bucket, int((own > 0).sum()), *packed, of_context[:width].tolist(), by_context[:width].tolist(), by_dish[:width].tolist(), of_dish.tolist(), int(customers.sum()), int(seen.sum()), *counts
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 8 + [pa.list_(pa.int64())] * 4 + [pa.int64()] * 6
-
-        def row(bucket: int, rows: list[dict]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(bucket_row(bucket, rows), kinds)], names=_names(BUCKET))
-
-        now, held = None, []
+    plain = np.frombuffer(zstandard.decompress(data, max_output_size=1 << 31), np.uint8)
+    return np.ascontiguousarray(plain.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
+def _message(to: int, kind: int, sender: int, blobs: list[bytes], sums: list[int] | None = None) -> pa.RecordBatch:
+    columns = [pa.array([to], pa.int64()), pa.array([kind], pa.int32()), pa.array([sender], pa.int64()), pa.array([blobs], pa.list_(pa.binary())), pa.array([sums], pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays(columns, names=NAMES)
+
+
+Mail = dict[int, list[tuple[int, list[bytes]]]]
+
+
+def delivered(messages: DataFrame, places: int, act: Callable[[int, Mail], Iterator[pa.RecordBatch]], schema: str = MESSAGE, numbered: bool = True) -> DataFrame:
+    """What ``act`` yields for each addressee and its mail: by kind, senders in order with their blobs.
+
+    Numbered addressees (from 0 to ``places``) have a partition each; others are dealt by hash."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, mail = None, {}
         for batch in slices(batches, 16):
-            for r in batch.to_pylist():
-                if r["bucket"] != now and held:
-                    yield row(now, held)
-                    held = []
-                now = r["bucket"]
-                held.append(r)
-        if held:
-            yield row(now, held)
-
-    own = tail.filter("bucket is not null").select(*TAIL_NAMES[:7])
-    return own.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gather, BUCKET)
-
-
-def _added(parts: DataFrame, size: int) -> np.ndarray:
-    """The sum over tasks of a vector that each task gave in parts; its size is fixed."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist()):
-                found = np.frombuffer(zlib.decompress(counts), np.int64)
-                sums[part] = sums[part] + found if part in sums else found
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(s.tobytes(), 1) for s in sums.values()], pa.binary())], names=["part", "counts"])
-
-    out = np.zeros(size, np.int64)
-    for r in parts.repartition("part").mapInArrow(add, "part int, counts binary").collect():
-        found = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
-        out[r["part"] * PART : r["part"] * PART + len(found)] = found
-    return out
+            for to, kind, sender, blobs in zip(*(batch.column(c).to_pylist() for c in NAMES[:4])):
+                if to != now and mail:
+                    yield from act(now, mail)
+                    mail = {}
+                now = to
+                mail.setdefault(kind, []).append((sender, blobs))
+        if mail:
+            yield from act(now, mail)
+
+    dealt = messages.repartitionById(places, F.col("to").cast("int")) if numbered else messages.repartition(places, "to")
+    return dealt.sortWithinPartitions("to", "kind", "sender").mapInArrow(work, schema)
 
 
-def _summed(df: DataFrame, array: str, size: int) -> np.ndarray:
-    out = np.zeros(size, np.int64)
-    for r in df.select(F.posexplode(array).alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).collect():
-        out[r["k"]] = r["v"]
+# ---- texts --------------------------------------------------------------------------------------
+
+
+def _source(docs: DataFrame, training: Column) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
+
+
+def words_of(text: str) -> np.ndarray:
+    """Hashes of the words of a text, then the end."""
+    import xxhash
+
+    words = text.encode().lower().split()
+    out = np.empty(len(words) + 1, np.uint64)
+    out[:-1] = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    out[-1] = END
     return out
 
 
-def _totals_by_bucket(found: DataFrame) -> DataFrame:
-    """``far_customers`` and ``far_tables`` of each bucket as totals over all buckets, in the order of ``far``.
-
-    ``found`` (bucket, far, far_customers, far_tables) has each bucket's own."""
-    schema, totals = "bucket int, context long, customers long, tables long", "bucket int, far_customers binary, far_tables binary"
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            for r in batch.to_pylist():
-                columns = [_unpacked(r[c], "<i8") for c in ("far", "far_customers", "far_tables")]
-                for a in range(0, len(columns[0]), 1 << 16):
-                    some = [pa.array(c[a : a + (1 << 16)]) for c in columns]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some[0]), r["bucket"], np.int32)), *some], names=_names(schema))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), *[pa.array(_packed(np.concatenate(x)), pa.binary()) for x in zip(*held)]], names=_names(totals))
-
-        now, held = None, []
-        for batch in batches:
-            bucket, *columns = (batch.column(c).to_numpy() for c in ("bucket", "customers", "tables"))
-            cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1), len(bucket)]
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                if b > a:
-                    if bucket[a] != now and held:
-                        yield row()
-                        held = []
-                    now = bucket[a]
-                    held.append([c[a:b].copy() for c in columns])
-        if held:
-            yield row()
-
-    rows = written(found.select("bucket", "far", "far_customers", "far_tables").mapInArrow(each, schema), "far")
-    sums = rows.groupBy("context").agg(F.sum("customers").alias("customers"), F.sum("tables").alias("tables"))
-    sent = rows.select("bucket", "context").join(sums, "context").select("bucket", "context", "customers", "tables")
-    return written(sent.repartition("bucket").sortWithinPartitions("bucket", "context").mapInArrow(pack, totals), "totals")
-
-
-def _seatings(r: dict, shared: Shared, round_: int) -> Iterator[tuple[slice, Seating]]:
-    """The seatings of a bucket's cells, some at a time: words do not depend on each other here."""
-    dish, context, customers = (_unpacked(r[c], "<u4") for c in ("cell_dish", "cell_context", "cell_customers"))
-    far = [_unpacked(r[c], "<i8") if r[c] else np.zeros(0, np.int64) for c in ("far_customers", "far_tables")]
-    shared = replace(shared, customers=np.concatenate([shared.customers, far[0]]), tables=np.concatenate([shared.tables, far[1]]))
-    kept = [_unpacked(r[c], "<u4").astype(np.int64) for c in ("cell_tables", "dish_tables")] if "cell_tables" in r else None
-    width = len(shared.often)
-    start, end_often = 0, int(np.searchsorted(dish, width))
-    while start < len(dish):
-        stop = min(start + CHUNK_CELLS, len(dish))
-        often = start < end_often
-        stop = min(stop, end_often) if often else int(np.searchsorted(dish, dish[stop - 1], side="right"))
-        some, first = slice(start, stop), 0 if often else int(dish[start])
-        own = dish[some].astype(np.int64) - first
-        dishes = width if often else int(own[-1]) + 1
-        go_on = None if kept is None else (kept[0][some], np.zeros(width, np.int64) if often else kept[1][first - width : first - width + dishes])
-        yield some, Seating(own, context[some].astype(np.int64), customers[some].astype(np.int64), dishes, shared, 1_000_003 * r["bucket"] + 10 * start + round_, fixed=shared.often if often else None, kept=go_on)
-        start = stop
-
-
-def _whole(buckets: DataFrame, what: str) -> int:
-    return int(buckets.agg(F.sum(f"all_{what}")).first()[0] or 0)
+@dataclass(frozen=True)
+class Split:
+    """Restaurants in more than one bucket, and the buckets of cells."""
+
+    contexts: np.ndarray  # sorted
+    shares: np.ndarray  # into how many each is split
+    buckets: int
+
+    def of(self, contexts: np.ndarray) -> np.ndarray:
+        """Which contexts are split."""
+        if not len(self.contexts):
+            return np.zeros(len(contexts), bool)
+        at = np.minimum(np.searchsorted(self.contexts, contexts), len(self.contexts) - 1)
+        return self.contexts[at] == contexts
+
+    def places(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+        share = np.zeros(len(contexts), np.uint64)
+        split = np.flatnonzero(self.of(contexts))
+        if len(split):
+            at = np.searchsorted(self.contexts, contexts[split])
+            share[split] = _mixed(words[split]) % self.shares[at].astype(np.uint64)
+        return (_mixed(contexts + share) % np.uint64(self.buckets)).astype(np.int64)
+
+
+@dataclass
+class Batch:
+    """Some texts as distinct cells, in order of bucket, context and word, and the cell of each token."""
+
+    name: int
+    doc_ids: pa.Array
+    lengths: np.ndarray
+    cell_of: np.ndarray
+    place: np.ndarray
+    context: np.ndarray
+    word: np.ndarray
+    customers: np.ndarray
+
+
+def batches_of(rows: Iterator[pa.RecordBatch], split: Split) -> Iterator[Batch]:
+    """The texts of a task, some at a time; a name tells the task, the turn and the texts."""
+    import xxhash
+    from pyspark import TaskContext
+
+    def made(turn: int) -> Batch:
+        lengths = np.array([len(t) for t in texts])
+        tokens = np.concatenate(texts)
+        name = xxhash.xxh3_64_intdigest(tokens.tobytes(), seed=(TaskContext.get().partitionId() << 24) + turn) >> 1
+        words, ids = np.unique(tokens, return_inverse=True)
+        before = np.concatenate([[np.searchsorted(words, END)], ids[:-1]])
+        cells, cell_of = np.unique(before * len(words) + ids, return_inverse=True)
+        learnt = np.bincount(cell_of[np.repeat(np.concatenate(training), lengths)], minlength=len(cells))
+        context, word = words[cells // len(words)], words[cells % len(words)]
+        place = split.places(context, word)
+        order = np.argsort(place, kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        return Batch(name, pa.concat_arrays(ids_), lengths, rank[cell_of], place[order], context[order], word[order], learnt[order])
+
+    texts, training, ids_, turn, size = [], [], [], 0, 0
+    for batch in slices(rows, 256):
+        texts += [words_of(t) for t in batch.column("text").to_pylist()]
+        training.append(batch.column("training").to_numpy(zero_copy_only=False).astype(bool))
+        ids_.append(batch.column("doc_id"))
+        size += sum(len(t) for t in texts[len(texts) - batch.num_rows :])
+        if size >= BATCH_TOKENS:
+            yield made(turn)
+            texts, training, ids_, turn, size = [], [], [], turn + 1, 0
+    if texts:
+        yield made(turn)
+
+
+def split_restaurants(source: DataFrame, size: int, buckets: int, scratch: Scratch) -> Split:
+    """Contexts that would fill more than a quarter of a bucket, as a sample of the texts has it."""
+
+    def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(rows, 2048):
+            if batch.num_rows:
+                words, n = np.unique(np.concatenate([words_of(t) for t in batch.column("text").to_pylist()]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], names=["word", "n"])
+
+    fraction = min(1.0, max(1 / 1024, SAMPLE_BYTES / max(1, size)))
+    counts = scratch.put(source.select("text").sample(fraction, 1).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "sample")
+    every = counts.agg(F.sum("n")).first()[0] or 0
+    found = counts.filter(F.col("n") * 4 * buckets > every).orderBy("word").collect() if buckets > 1 else []  # fewer than 4 * buckets rows
+    scratch.drop("sample")
+    words = np.array([r["word"] for r in found], np.int64).view(np.uint64)
+    shares = np.array([-(-r["n"] * 4 * buckets // every) for r in found], np.int64)
+    order = np.argsort(words)
+    return Split(words[order], shares[order], buckets)
+
+
+# ---- the model ----------------------------------------------------------------------------------
+
+
+def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """The part of the parent that a word belongs to: a range of hashes."""
+    return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _posted(bucket: int, words: np.ndarray, of_words: list[np.ndarray], contexts: np.ndarray, of_contexts: list[np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
+    """A bucket's numbers of its words and of the split contexts, to the parts."""
+    ends, far = (np.searchsorted(_part(x, parts), np.arange(parts + 1)) for x in (words, contexts))
+    for p in range(parts):
+        a, b, c, d = ends[p], ends[p + 1], far[p], far[p + 1]
+        if b > a or d > c:
+            yield _message(p, SENT, bucket, packed(words[a:b], contexts[c:d], *[x[c:d] for x in of_contexts], *[x[a:b].astype("<i8") for x in of_words]))
+
+
+class Bucket:
+    """Whole restaurants (or shares of split ones): cells in order of context and word."""
+
+    def __init__(self, blobs: list[bytes], split: Split):
+        self.contexts, self.words = (unpacked(b, "<u8") for b in blobs[:2])
+        self.context, self.word = (unpacked(b, "<u4").astype(np.int64) for b in blobs[2:4])
+        self.customers = unpacked(blobs[4], "<i8")
+        self.senders, self.lengths, self.steps = unpacked(blobs[5], "<i8"), unpacked(blobs[6], "<i8"), blobs[7]
+        self.far = np.flatnonzero(split.of(self.contexts))
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.context, values, len(self.contexts)).astype(np.int64)
+
+    def posted(self, name: int, tables: np.ndarray, counts: bool, parts: int) -> Iterator[pa.RecordBatch]:
+        of_words = [np.bincount(self.word, x, len(self.words)) for x in ((tables, self.customers) if counts else (tables,))]
+        of_contexts = [self.sums(x)[self.far] for x in (tables, self.customers)]
+        return _posted(name, self.words, of_words, self.contexts[self.far], of_contexts, parts)
+
+    def state(self, tables: np.ndarray, replies: list[list[bytes]], totals: Totals) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Tables and customers of the restaurants, the parent's measure of the words, and of the cells' dishes."""
+        of_tables, of_customers = self.sums(tables), self.sums(self.customers)
+        columns = [np.concatenate([unpacked(r[k], "<i8") for r in replies]) for k in range(4)]
+        of_tables[self.far], of_customers[self.far] = columns[:2]
+        parent = totals.parent(columns[2], columns[3])
+        return of_tables, of_customers, parent, parent[self.word]
+
+    def asked(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Each batch and its cells here."""
+        steps, at = unpacked(self.steps, "<u4").astype(np.int64), 0
+        for sender, n in zip(self.senders.tolist(), self.lengths.tolist()):
+            yield sender, np.cumsum(steps[at : at + n])
+            at += n
+
+
+def requests(source: DataFrame, split: Split) -> DataFrame:
+    """The distinct cells of each batch and their training counts, to the buckets."""
+
+    def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_of(rows, split):
+            ends = np.searchsorted(batch.place, np.arange(split.buckets + 1))
+            for b in range(split.buckets):
+                some = slice(ends[b], ends[b + 1])
+                if ends[b + 1] > ends[b]:
+                    context = batch.context[some]
+                    starts = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+                    runs = np.diff(np.append(starts, len(context))).astype("<u4")
+                    yield _message(b, REQUEST, batch.name, packed(context[starts], runs, batch.word[some], batch.customers[some].astype("<u4")))
+
+    return source.select("doc_id", "text", "training").mapInArrow(ask, MESSAGE)
+
+
+def gathered(bucket: int, mail: Mail) -> Iterator[pa.RecordBatch]:
+    """The cells of a bucket, and which of them each batch asked for."""
+    senders = [sender for sender, _ in mail[REQUEST]]
+    runs = [(unpacked(b[0], "<u8"), unpacked(b[1], "<u4"), unpacked(b[2], "<u8"), unpacked(b[3], "<u4")) for _, b in mail[REQUEST]]
+    lengths = np.array([len(r[2]) for r in runs], "<i8")
+    contexts, context = np.unique(np.concatenate([np.repeat(r[0], r[1]) for r in runs]), return_inverse=True)
+    words, word = np.unique(np.concatenate([r[2] for r in runs]), return_inverse=True)
+    cells, cell_of = np.unique(context * len(words) + word, return_inverse=True)
+    customers = np.bincount(cell_of, np.concatenate([r[3] for r in runs]), len(cells)).astype("<i8")
+    steps = np.diff(cell_of, prepend=0)
+    starts = np.cumsum(lengths) - lengths
+    steps[starts] = cell_of[starts]
+    blobs = packed(contexts, words, (cells // len(words)).astype("<u4"), (cells % len(words)).astype("<u4"), customers, np.array(senders, "<i8"), lengths, steps.astype("<u4"))
+    yield _message(bucket, CELLS, -1, blobs, [int((customers == 1).sum()), int((customers == 2).sum()), int(customers.sum())])
+
+
+def _summed(messages: DataFrame, kind: int, n: int) -> list[int]:
+    row = messages.filter(F.col("kind") == kind).agg(*[F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(n)]).first()
+    return [int(x or 0) for x in row]
 
 
 def _discount(ones: int, twos: int) -> float:
     return min(0.95, max(0.05, ones / max(1, ones + 2 * twos)))
 
 
-@dataclass(frozen=True)
-class Model:
-    shared: Shared
-    cell_logs: np.ndarray  # of frequent words (and the end) by context
-    count_logs: np.ndarray  # log10(count + 1) of frequent words and the end
-    counts: np.ndarray
-
-
-SEATED = "bucket int, cell_tables binary, dish_tables binary, far binary, far_customers binary, far_tables binary, tables array<long>, often array<long>, all_tables long, parent long"
-CELLS = ("bucket", "cell_dish", "cell_context", "cell_customers")
-
-
-def fit(source: DataFrame) -> tuple[Model, DataFrame]:
-    """The shared part of the model, and the buckets that hold the rest."""
-    spark = source.sparkSession
-    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-int(size) // BUCKET_BYTES))
-    frequent = frequent_words(source)
-    width = len(frequent) + 1
-    tail = written(dealt(source, frequent, buckets), "tail")
-    matrix = _added(tail.filter("part is not null").select("part", "counts"), width * width).reshape(width, width)
-    stored = written(gathered(tail, frequent), "buckets")
-    sums = stored.agg(*[F.sum(c).alias(c) for c in ("words", "ones", "twos", "dish_ones", "dish_twos")]).first()
-    many = {c: int(sums[c] or 0) for c in ("words", "ones", "twos", "dish_ones", "dish_twos")}
-
-    dish, context = np.nonzero(matrix)
-    customers = matrix[dish, context]
-    outside = _summed(stored, "often", width)
-    by_dish = np.bincount(dish, minlength=width) + outside
-    counts = matrix.sum(1) + _summed(stored, "often_counts", width)
-    of_contexts = matrix.sum(0) + _summed(stored, "customers", width)
-    tables = np.bincount(context, minlength=width) + _summed(stored, "tables", width)
-    vocabulary = many["words"] + int((counts > 0).sum())
-    discount = _discount(many["ones"] + int((customers == 1).sum()), many["twos"] + int((customers == 2).sum()))
-    parent_discount = _discount(many["dish_ones"] + int((by_dish == 1).sum()), many["dish_twos"] + int((by_dish == 2).sum()))
-    totals = _totals_by_bucket(stored)
-    tokens = _whole(stored, "customers") + int(matrix.sum())
-    shared = Shared(frequent, of_contexts, tables, _whole(stored, "tables") + len(dish), vocabulary, discount, parent_discount, vocabulary, tokens, None, counts)
-    seating = Seating(dish, context, customers, width, shared, 1, outside=outside)
-    shared = replace(shared, often=seating.unigram())
-    sent = spark.sparkContext.broadcast(shared)
-
-    def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            for r in batch.to_pylist():
-                cells, dishes, often = [], [np.zeros(0, np.int64)], np.zeros(width, np.int64)
-                for _, some in _seatings(r, sent.value, 1):
-                    cells.append(some.burnt_in().tables)
-                    if some.fixed is None:
-                        dishes.append(some.parent_tables)
-                    else:
-                        often += some.parent_customers
-                cells, dishes = np.concatenate(cells), np.concatenate(dishes)
-                known = _unpacked(r["far"], "<i8")
-                by_context = np.bincount(_unpacked(r["cell_context"], "<u4"), cells, width + len(known)).astype(np.int64)
-                mine = [*_packed(cells.astype("<u4"), dishes.astype("<u4")), r["far"], *_packed(np.zeros(len(known), np.int64), by_context[width:])]
-                lists = [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (by_context[:width], often)]
-                yield pa.RecordBatch.from_arrays([pa.array([r["bucket"]], pa.int32()), *[pa.array([x], pa.binary()) for x in mine], *lists, pa.array([int(cells.sum())], pa.int64()), pa.array([int(dishes.sum())], pa.int64())], names=_names(SEATED))
-
-    seated = written(stored.select(*CELLS, "far").join(totals, "bucket", "left").mapInArrow(seat, SEATED), "seated")
-    seating.burnt_in()
-    outside = _summed(seated, "often", width)
-    tables = _summed(seated, "tables", width) + np.bincount(context, seating.tables, width).astype(np.int64)
-    again = _totals_by_bucket(seated)
-    in_parent = int(seating.tables.sum()) + _whole(seated, "tables")
-    shared = replace(shared, tables=tables, parent_customers=in_parent, parent_tables=int(seating.parent_tables.sum()) + int(seated.agg(F.sum("parent")).first()[0] or 0))
-    seating.synchronised(shared, outside)
-    shared = replace(shared, often=seating.unigram())
-    ready = stored.select(*CELLS, "cell_tokens", "docs").join(totals.select("bucket", "far_customers"), "bucket", "left").join(again.select("bucket", "far_tables"), "bucket", "left").join(seated.select("bucket", "cell_tables", "dish_tables"), "bucket")
-
-    of_cells, of_dishes = seating.probabilities()
-    every = np.arange(width)[None, :].repeat(width, 0)
-    probability = shared.child(every, 0, 0, of_dishes[:, None])
-    probability[dish, context] = of_cells
-    return Model(shared, np.log10(probability).astype(np.float64), np.log10(counts + 1.0), counts), ready
-
-
-SUMS = "key long, doc_id long, rows long, n_tokens long, n_known long, base double, score double"
-
-
-def _tail_sums(stored: DataFrame, shared: Shared) -> DataFrame:
-    sent = stored.sparkSession.sparkContext.broadcast(shared)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            for r in batch.to_pylist():
-                tokens = _unpacked(r["cell_tokens"], "<u4")
-                logs, counts = np.empty(len(tokens)), np.empty(len(tokens), np.int64)
-                for some, seating in _seatings(r, sent.value, 2):
-                    cells, dishes = seating.probabilities()
-                    logs[some] = np.log10(cells)
-                    of_dish = seating.shared.often_counts if seating.fixed is not None else np.bincount(seating.dish, seating.customers, seating.dishes)
-                    counts[some] = of_dish[seating.dish]
-                keys, back = np.unique(_unpacked(r["docs"], "<i8"), return_inverse=True)
-                sums = [np.bincount(back, np.repeat(v, tokens), len(keys)) for v in (np.log10(counts + 1), logs, counts > 0)]
-                nothing = pa.nulls(len(keys), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(keys), nothing, nothing, nothing, pa.array(sums[2].astype(np.int64)), pa.array(sums[0]), pa.array(sums[1])], names=[x.split()[0] for x in SUMS.split(", ")])
-
-    return stored.mapInArrow(score, SUMS)
-
-
-def _frequent_sums(source: DataFrame, model: Model) -> DataFrame:
-    sent = source.sparkSession.sparkContext.broadcast(model)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        often = m.shared.frequent
-        for batch in slices(batches, 2048):
-            texts = batch.column("text").to_pylist()
-            if not texts:
-                continue
-            words, row, first = _tokens(texts)
-            place, context = _dishes(often, words), _contexts(often, words, first)
-            mine = (place >= 0) & (context >= 0)
-            place, context, mine_row = place[mine], context[mine], row[mine]
-            n = len(texts)
-            base, score_ = (np.bincount(mine_row, x, n).astype(np.float64) for x in (m.count_logs[place], m.cell_logs[place, context]))
-            known, total = np.bincount(mine_row, m.counts[place] > 0, n).astype(np.int64), np.bincount(row, minlength=n)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), pa.array([1] * n, pa.int64()), pa.array(total.astype(np.int64)), pa.array(known), pa.array(base), pa.array(score_)], names=[x.split()[0] for x in SUMS.split(", ")])
-
-    return source.select("key", "doc_id", "text").mapInArrow(score, SUMS)
+def _exchange(part: int, mail: Mail, sweep: int, totals: Totals | None) -> Iterator[pa.RecordBatch]:
+    """The parent's sweep over a range of words: sums and tables go back to each bucket."""
+    sent = [[unpacked(b, "<u8" if k < 2 else "<i8") for k, b in enumerate(blobs)] for _, blobs in mail[SENT]]
+    words, word = np.unique(np.concatenate([s[0] for s in sent]), return_inverse=True)
+    contexts, context = np.unique(np.concatenate([s[1] for s in sent]), return_inverse=True)
+    of_contexts = [np.bincount(context, np.concatenate([s[k] for s in sent]), len(contexts)).astype(np.int64) for k in (2, 3)]
+    of_words = [np.bincount(word, np.concatenate([s[k] for s in sent]), len(words)).astype(np.int64) for k in range(4, len(sent[0]))]
+    customers = of_words[0]
+    tables = np.minimum(customers, 1)
+    if totals is not None:
+        before = np.clip(unpacked(mail[PARENT][0][1][0], "<i8"), tables, customers)
+        others = np.maximum(0, totals.tables - before)
+        tables = swept(customers, before, others, np.full(len(words), totals.base), totals.parent_discount, stirling(totals.parent_discount), uniform(_mixed(words), sweep))
+    yield _message(part, PARENT, -1, packed(tables), [int(customers.sum()), int(tables.sum()), int((customers > 0).sum()), int((customers == 1).sum()), int((customers == 2).sum())])
+    at, far = 0, 0
+    for (bucket, _), s in zip(mail[SENT], sent):
+        mine, own = word[at : at + len(s[0])], context[far : far + len(s[1])]
+        yield _message(bucket, REPLY, part, packed(*[x[own] for x in of_contexts], customers[mine], tables[mine], *[x[mine] for x in of_words[1:]]))
+        at, far = at + len(s[0]), far + len(s[1])
+
+
+def fit(source: DataFrame, scratch: Scratch) -> tuple[DataFrame, Split, list[int]]:
+    """Answers to the batches (log10 probability and training count of the word, cell by cell), the split
+    of the restaurants, and the numbers of training tokens and of known words."""
+    size = int(source.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    buckets = max(1, -(-size // BUCKET_BYTES))
+    parts = max(1, buckets // BUCKETS_A_PART)
+    split = split_restaurants(source, size, buckets, scratch)
+    cells = scratch.put(delivered(requests(source, split), buckets, gathered), "cells")
+    ones, twos, tokens = _summed(cells, CELLS, 3)
+
+    def first(bucket: int, mail: Mail) -> Iterator[pa.RecordBatch]:
+        b = Bucket(mail[CELLS][0][1], split)
+        yield from b.posted(bucket, np.minimum(b.customers, 1), False, parts)
+
+    seats = scratch.put(delivered(cells, buckets, first), "seats0")
+    totals: Totals | None = None
+    discount, parent_discount = _discount(ones, twos), 0.5
+    parent = None
+    for sweep in range(BURN_IN + SAMPLES):
+        sent = seats.filter(F.col("kind") == SENT)
+        if parent is not None:
+            sent = sent.unionByName(parent.filter(F.col("kind") == PARENT))
+        before, old = parent, totals
+        parent = scratch.put(delivered(sent, parts, lambda p, mail, old=old, sweep=sweep: _exchange(p, mail, sweep, old)), f"parent{sweep}")
+        customers, tables, words, once, twice = _summed(parent, PARENT, 5)
+        if totals is None:
+            parent_discount = _discount(once, twice)
+        totals = Totals(customers, tables, words, discount, parent_discount)
+        replies = parent.filter(F.col("kind") == REPLY)
+        last = sweep == BURN_IN + SAMPLES - 1
+        mine = cells.unionByName(seats.filter(F.col("kind") == SEATS)).unionByName(replies)
+        act = _answers(split, totals) if last else _seating(split, totals, sweep, parts)
+        after = scratch.put(delivered(mine, buckets, act), "answers" if last else f"seats{sweep + 1}")
+        scratch.drop(f"seats{sweep}", *([f"parent{sweep - 1}"] if before is not None else []))
+        seats = after
+    scratch.drop("cells", f"parent{sweep}")
+    return seats, split, [tokens, totals.words]
+
+
+def _opened(mail: Mail, split: Split, totals: Totals, counted: bool) -> tuple[Bucket, np.ndarray, np.ndarray, list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
+    """A bucket with its tables and its sums of probabilities, those of now included where they count."""
+    b, replies = Bucket(mail[CELLS][0][1], split), [blobs for _, blobs in mail[REPLY]]
+    held = mail[SEATS][0][1] if SEATS in mail else None
+    tables = unpacked(held[0], "<u4").astype(np.int64) if held else np.minimum(b.customers, 1)
+    of_tables, of_customers, _, dish = b.state(tables, replies, totals)
+    mean = unpacked(held[1], "<f4").astype(np.float64) if held and len(held) > 1 else np.zeros(len(tables))
+    if counted:
+        mean += totals.child(b.customers, tables, of_customers[b.context], of_tables[b.context], dish)
+    return b, tables, mean, replies, of_tables, of_customers, dish
+
+
+def _seating(split: Split, totals: Totals, sweep: int, parts: int) -> Callable[[int, Mail], Iterator[pa.RecordBatch]]:
+    """A bucket's sweep; the seating that it starts from counts as a sample after the burn-in."""
+    counts = sweep == BURN_IN + SAMPLES - 2  # the next exchange, the last, sums training counts too
+
+    def act(bucket: int, mail: Mail) -> Iterator[pa.RecordBatch]:
+        b, tables, mean, _, of_tables, _, dish = _opened(mail, split, totals, sweep >= BURN_IN)
+        others = np.maximum(0, of_tables[b.context] - tables)
+        keys = _mixed(b.contexts[b.context] ^ _mixed(b.words[b.word]))
+        tables = swept(b.customers, tables, others, dish, totals.discount, stirling(totals.discount), uniform(keys, sweep))
+        yield _message(bucket, SEATS, -1, packed(tables.astype("<u4"), *([mean.astype("<f4")] if sweep >= BURN_IN else [])))
+        yield from b.posted(bucket, tables, counts, parts)
+
+    return act
+
+
+def _answers(split: Split, totals: Totals) -> Callable[[int, Mail], Iterator[pa.RecordBatch]]:
+    def act(bucket: int, mail: Mail) -> Iterator[pa.RecordBatch]:
+        b, _, mean, replies, _, _, _ = _opened(mail, split, totals, True)
+        logs = np.log10(mean / SAMPLES).astype("<f4")
+        counts = np.concatenate([unpacked(r[4], "<i8") for r in replies])[b.word]
+        for sender, some in b.asked():
+            yield _message(sender, ANSWER, bucket, packed(logs[some], counts[some]))
+
+    return act
+
+
+SCORES = "doc_id long, n_tokens long, n_known long, base double, score double"
+
+
+def _texts(source: DataFrame, split: Split) -> DataFrame:
+    """Each batch's documents and their tokens as places in the answers to come."""
+
+    def tell(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_of(rows, split):
+            ids = batch.doc_ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")
+            known = np.asarray(batch.doc_ids.is_valid().to_numpy(zero_copy_only=False), np.uint8)
+            yield _message(batch.name, TEXTS, -1, packed(ids, known, batch.lengths.astype("<i8"), batch.cell_of.astype("<u4")))
+
+    return source.select("doc_id", "text", "training").mapInArrow(tell, MESSAGE)
+
+
+def _scores(name: int, mail: Mail) -> Iterator[pa.RecordBatch]:
+    """The sums of each text of a batch."""
+    if TEXTS not in mail or ANSWER not in mail:
+        raise RuntimeError("documents came in another order at the second reading: store them first")
+    ids, known, lengths, cell_of = (unpacked(b, kind) for b, kind in zip(mail[TEXTS][0][1], ("<i8", "u1", "<i8", "<u4")))
+    logs, counts = (np.concatenate([unpacked(blobs[k], kind) for _, blobs in mail[ANSWER]]) for k, kind in ((0, "<f4"), (1, "<i8")))
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    counts = counts[cell_of]
+    sums = [np.bincount(row, x, len(lengths)) for x in (counts > 0, np.log10(counts + 1.0), logs[cell_of].astype(np.float64))]
+    columns = [pa.array(ids, mask=known == 0), pa.array(lengths), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])]
+    yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SCORES.split(", ")])
 
 
 def scored(docs: DataFrame, training: Column) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of each row of ``docs`` (doc_id, text)."""
     source = _source(docs, training)
-    model, stored = fit(source)
-    shared = model.shared
-    sums = _frequent_sums(source, model).unionByName(_tail_sums(stored, shared))
-    whole = sums.groupBy("key").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("rows", "n_tokens", "n_known", "base", "score")])
-    every = F.explode(F.array_repeat(F.lit(1), F.col("rows").cast("int")))
-    each = whole.select("doc_id", *[(F.col(c) / F.col("rows")).alias(c) for c in ("n_tokens", "n_known", "base", "score")], every)
-    norm = float(np.log10(shared.tokens + shared.vocabulary + 1))
-    return each.select(
-        "doc_id", F.round("n_tokens").cast("long").alias("n_tokens"), F.round("n_known").cast("long").alias("n_known"), F.lit(shared.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") - F.col("n_tokens") * F.lit(norm)).alias("base_score"), "score",
-    )
+    scratch = Scratch(source.sparkSession, "pitman-yor")
+    answers, split, (tokens, words) = fit(source, scratch)
+    each = delivered(_texts(source, split).unionByName(answers), split.buckets, _scores, SCORES, numbered=False)
+    norm = float(np.log10(tokens + words + 1))
+    return each.select("doc_id", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(norm)).alias("base_score"), "score")

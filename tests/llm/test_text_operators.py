@@ -307,24 +307,14 @@ def test_language_model_is_a_distribution_and_beats_the_base(spark, odd):
     assert len(strange) == len(ODD) and all(r.train_tokens == 0 and r.n_known == 0 for r in strange)
 
 
-def test_seating_probabilities_sum_to_one():
-    frequent = np.array([1, 2], np.uint64)
-    dish, context, customers = np.array([0, 0, 1, 2]), np.array([0, 3, 0, 1]), np.array([5, 2, 300, 1])
-    totals = np.bincount(context, customers, 4).astype(np.int64)
-    shared = pitman_yor.Shared(frequent, totals, np.array([2, 1, 0, 1]), 4, 3, 0.6, 0.5, 3, 308)
-    seating = pitman_yor.Seating(dish, context, customers, 3, shared, 1)
-    tables = np.bincount(context, seating.tables, 4).astype(np.int64)
-    parent = int(seating.parent_tables.sum())
-    shared = pitman_yor.Shared(frequent, totals, tables, int(tables.sum()), parent, 0.6, 0.5, 3, 308)
-    seating.shared = shared
-    unigram = seating.unigram()
-    unknown = shared.parent(0, 0, 0.5)
-    assert unigram.sum() + unknown == pytest.approx(1)
-    for k in range(4):
-        mine = context == k
-        own_c, own_t = np.bincount(dish[mine], customers[mine], 3), np.bincount(dish[mine], seating.tables[mine], 3)
-        p = shared.child(np.full(3, k), own_c, own_t, unigram).sum() + shared.child(np.array([k]), 0, 0, np.array([unknown]))[0]
-        assert p == pytest.approx(1)
+def test_probabilities_of_a_restaurant_sum_to_one():
+    customers, tables = np.array([5, 300, 1, 0]), np.array([2, 7, 1, 0])
+    in_parent, at_parent = np.array([4, 9, 1, 2]), np.array([1, 2, 1, 1])
+    totals = pitman_yor.Totals(int(in_parent.sum()), int(at_parent.sum()), 4, 0.6, 0.5)
+    unigram = np.append(totals.parent(in_parent, at_parent), totals.parent(np.array([0]), np.array([0])))  # the last is the unknown word
+    assert unigram.sum() == pytest.approx(1)
+    cells = totals.child(np.append(customers, 0), np.append(tables, 0), customers.sum(), tables.sum(), unigram)
+    assert cells.sum() == pytest.approx(1)
 
 
 def test_every_context_has_a_restaurant(spark):
@@ -332,8 +322,6 @@ def test_every_context_has_a_restaurant(spark):
     pairs = [i for i in range(6000) for _ in range(7)]
     random.shuffle(pairs)
     docs = spark.createDataFrame([(k, " ".join(f"c{i} d{i * 7919 % 50}" for i in pairs[k * 70 : k * 70 + 70])) for k in range(600)], "doc_id long, text string").coalesce(1)
-    source = pitman_yor._source(docs, F.col("doc_id") % 7 != 2)
-    assert not {pitman_yor._words(f"c{i}")[0] for i in range(6000)} & set(pitman_yor.frequent_words(source))
     got = pitman_yor.scored(docs, F.col("doc_id") % 7 != 2).collect()
     assert len(got) == 600 and all(r.n_tokens == 141 for r in got) and {r.train_tokens for r in got} == {141 * sum(k % 7 != 2 for k in range(600))}
     held = [r for r in got if r.doc_id % 7 == 2]
@@ -343,12 +331,132 @@ def test_every_context_has_a_restaurant(spark):
 
 def test_a_sweep_draws_from_the_conditional():
     n, c, d, base, others = 40_000, 5, 0.6, 0.03, 7
-    logs = pitman_yor._stirling(d)[c, 1 : c + 1] + np.cumsum(np.log((pitman_yor.STRENGTH + d * (others + np.arange(c))) * base))
+    logs = pitman_yor.stirling(d)[c, 1 : c + 1] + np.cumsum(np.log((pitman_yor.STRENGTH + d * (others + np.arange(c))) * base))
     want = np.exp(logs) / np.exp(logs).sum()
-    got = pitman_yor.sweep(np.full(n, c), np.full(n, c), np.full(n, others), np.full(n, base), d, pitman_yor._stirling(d), np.random.default_rng(1))
+    got = pitman_yor.swept(np.full(n, c), np.full(n, c), np.full(n, others), np.full(n, base), d, pitman_yor.stirling(d), pitman_yor.uniform(np.arange(n, dtype=np.uint64), 3))
     assert np.abs(np.bincount(got, minlength=c + 1)[1:] / n - want).max() < 0.01
 
 
+def test_large_cells_come_near_the_conditional():
+    c, n = 200, 4000
+    for d, base, others in ((0.7, 0.001, 50), (0.7, 0.02, 400), (0.7, 0.5, 1000), (0.3, 0.1, 300), (0.9, 0.05, 3000)):
+        logs = pitman_yor.stirling(d)[c, 1 : c + 1] + np.cumsum(np.log((pitman_yor.STRENGTH + d * (others + np.arange(c))) * base))
+        want = (np.exp(logs - logs.max()) / np.exp(logs - logs.max()).sum() * np.arange(1, c + 1)).sum()
+        got = pitman_yor.many_tables(np.full(n, c), np.full(n, others), np.full(n, base), d, np.random.default_rng(1).random(n))
+        assert got.mean() == pytest.approx(want, rel=0.06)
+
+
+def model_rows():
+    random.seed(12)
+    words = [f"w{i}" for i in range(40)]
+    return [*((i, " ".join(random.choices(words, range(40, 0, -1), k=random.randint(0, 60)))) for i in range(150)), (3, "w1 w2 W1"), (3, None), (None, "w1 unheard"), (9, "\x0bw1\x0cw2\r\n\u00a0 ÄB äb"), (16, "")]
+
+
+def test_base_columns_equal_brute_force_whatever_the_partitions(spark, empty, monkeypatch):
+    rows = model_rows()
+    held = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 7 == 2
+    tokens = [(t or "").encode().lower().split() + [b""] for _, t in rows]
+    counts = Counter(w for (i, _), t in zip(rows, tokens) if not held(i) for w in t)
+    n, v = sum(counts.values()), len(counts)
+    docs, training = spark.createDataFrame(rows, "doc_id long, text string"), pitman_yor_training()
+    found = []
+    for parts, bucket, batch in ((1, 1 << 20, 1 << 20), (4, 4000, 700), (16, 900, 150)):
+        monkeypatch.setattr(pitman_yor, "BUCKET_BYTES", bucket)
+        monkeypatch.setattr(pitman_yor, "BATCH_TOKENS", batch)
+        key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens, r.base_score)
+        found.append(sorted(pitman_yor.scored(docs.repartition(parts, "text"), training).collect(), key=key))
+    assert [r[:4] for r in found[0]] == [r[:4] for r in found[1]] == [r[:4] for r in found[2]]
+    for r, s, t in zip(*found):
+        assert r.score == pytest.approx(s.score, rel=1e-9) and r.score == pytest.approx(t.score, rel=1e-9)
+    want = sorted(((i is None, i or 0, len(t), sum(np.log10((counts[w] + 1) / (n + v + 1)) for w in t), sum(counts[w] > 0 for w in t)) for (i, _), t in zip(rows, tokens)), key=lambda x: x[:4])
+    for r, (_, _, size, base, known) in zip(found[0], want):
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (size, known, n) and r.base_score == pytest.approx(base, rel=1e-12)
+    assert pitman_yor.scored(empty, training).count() == 0
+
+
+def pitman_yor_training():
+    from pitspark.llm.common import crc_mod
+
+    return crc_mod("doc_id", 7) != 2
+
+
+def exact_sampler(texts, discount, parent_discount, vocabulary, sweeps):
+    """Customer by customer: tables of (context, word) as sizes, those of the parent by word."""
+    tokens = [(c, w) for t in texts for c, w in zip([b""] + t[:-1], t)]
+    child, parent = defaultdict(list), defaultdict(list)
+    of_context, tables_of = Counter(), Counter()
+    size, held = 0, 0
+
+    def unigram(w):
+        own = parent[w]
+        return (sum(own) - parent_discount * len(own) + (1 + parent_discount * held) / (vocabulary + 1)) / (1 + size)
+
+    def probability(c, w):
+        own = child[c, w]
+        return (sum(own) - discount * len(own) + (1 + discount * tables_of[c]) * unigram(w)) / (1 + of_context[c])
+
+    def seat(tables, weight, less):
+        weights = [n - less for n in tables] + [weight]
+        k = random.choices(range(len(weights)), weights)[0]
+        if k == len(tables):
+            tables.append(0)
+        tables[k] += 1
+        return tables[k] == 1
+
+    def leave(tables):
+        k = random.choices(range(len(tables)), tables)[0]
+        tables[k] -= 1
+        if not tables[k]:
+            tables.pop(k)
+            return True
+        return False
+
+    mean, n = Counter(), 0
+    for sweep in range(sweeps):
+        for c, w in tokens:
+            if sweep:
+                of_context[c] -= 1
+                if leave(child[c, w]):
+                    tables_of[c] -= 1
+                    size -= 1
+                    held -= leave(parent[w])
+            if seat(child[c, w], (1 + discount * tables_of[c]) * unigram(w), discount):
+                tables_of[c] += 1
+                if seat(parent[w], (1 + parent_discount * held) / (vocabulary + 1), parent_discount):
+                    held += 1
+                size += 1
+            of_context[c] += 1
+        if sweep >= sweeps // 3:
+            n += 1
+            for cell in set(tokens):
+                mean[cell] += probability(*cell)
+    return {cell: p / n for cell, p in mean.items()}
+
+
+def test_scores_come_near_an_exact_gibbs_sampler(spark):
+    random.seed(15)
+    words = [f"w{i}" for i in range(12)]
+    rows = [(i, " ".join(random.choices(words, range(12, 0, -1), k=30))) for i in range(20)]
+    texts = [t.encode().split() + [b""] for _, t in rows]
+    counts = Counter((c, w) for t in texts for c, w in zip([b""] + t[:-1], t))
+    of_words = Counter(w for _, w in counts)
+    ones, twos = (sum(n == k for n in counts.values()) for k in (1, 2))
+    d, e = pitman_yor._discount(ones, twos), pitman_yor._discount(sum(n == 1 for n in of_words.values()), sum(n == 2 for n in of_words.values()))
+    exact = exact_sampler(texts, d, e, len(of_words), 60)
+    got = {r.doc_id: r.score for r in pitman_yor.scored(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(True)).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(sum(np.log10(exact[c, w]) for c, w in zip([b""] + t[:-1], t)), rel=0.03)
+
+
+def test_words_never_seen_score_below_words_that_were(spark):
+    random.seed(16)
+    text = spark.createDataFrame(model_rows(), "doc_id long, text string")
+    strange = spark.createDataFrame([(1000 + i, " ".join("".join(random.choices("abcdefgh", k=8)) for _ in range(50))) for i in range(60)], text.schema)
+    got = [r for r in pitman_yor.scored(text.union(strange), pitman_yor_training()).collect() if zlib.crc32(str(r.doc_id or "").encode()) % 7 == 2]
+    a, b = ([r for r in got if ((r.doc_id or 0) >= 1000) == s] for s in (False, True))
+    assert sum(r.score for r in a) / sum(r.n_tokens for r in a) > sum(r.score for r in b) / sum(r.n_tokens for r in b) + 1
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
