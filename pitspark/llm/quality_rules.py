@@ -1,12 +1,16 @@
 """Quality rules whose thresholds come from quantile sketches of each language and source.
 
 A sketch is a table of counts over fixed bins. Counts of parts add up to the counts of the whole, in any
-order, so sketches merge exactly: those of a language's sources give the language's. Measures are
-whole-numbered rates, so that a bin is a value (up to :data:`TOP`) and a quantile read from a sketch is the
-measured quantile itself. A threshold lies six times the distance from the median to the nearer quartile
-above the median, plus a margin (junk on one side moves that side's quartile and not the other's, so up to
-half of a group may be junk); the language's threshold bounds that of each source, so that a source
-made of junk cannot make junk its norm, and stands in for sources of fewer than :data:`LEAST_ROWS` rows.
+order, so sketches merge exactly: those of a language's sources give the language's. Measures are whole
+numbers without a ceiling; a bin keeps the six highest binary digits of a number, so a quantile read from
+a sketch is at most 1/32 below the measured one, and exact up to 63.
+
+A source's upper threshold lies as far above its 90th percentile as that is above its median, plus a
+margin, so that it follows the source's own tail also where the median is zero. Its quantiles are first
+drawn towards those of its language, by :data:`WEIGHT` rows' worth, so that a small source goes with its
+language and no row count flips a rule. What a language takes for normal bounds it: the middle of its
+sources' robust fences (from median and upper quartile, where up to a quarter of junk does not count)
+plus the margin again. So a source made of junk cannot make junk its norm. Lower thresholds mirror this.
 
 Only DataFrame functions are used. The words of a text are found once and bound to a lambda variable, so
 that no expression is evaluated twice; repeated three-word windows are neighbours after a sort of 64-bit
@@ -26,10 +30,10 @@ from pitspark.llm.common import SPACES, WORD_RE, text_or_empty, written
 
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED = 50, 50
-LEAST_ROWS = 200
-TOP = 5000
-SPREAD = 6
-#: Measure, its margin over the fence, and whether low values are judged too.
+WEIGHT = 50
+DIGITS = 6
+AT = (10, 25, 50, 75, 90)
+#: Measure, its margin over a fence, and whether low values are judged too.
 RULES = (("symbol_rate", 150, False), ("dup_line_rate", 400, False), ("repeat_rate", 300, False), ("word_length", 150, True))
 
 
@@ -70,25 +74,21 @@ def base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (F.lit(100) * F.col("n_repeat_words") > F.lit(MOST_REPEATED) * F.col("n_words"))
 
 
-def _rate(part: str, factor: int, whole: str) -> Column:
-    return F.least(F.expr(f"{factor} * {part} div greatest({whole}, 1)"), F.lit(TOP))
+def rates(counts: DataFrame) -> DataFrame:
+    """Adds the measures that thresholds apply to, as whole numbers."""
+    parts = {"symbol_rate": (1000, "n_symbols", "n_words"), "dup_line_rate": (1000, "n_dup_lines", "n_lines"), "repeat_rate": (1000, "n_repeat_words", "n_words"), "word_length": (100, "word_chars", "n_words")}
+    return counts.withColumns({name: F.expr(f"{factor} * {part} div greatest({whole}, 1)") for name, (factor, part, whole) in parts.items()})
 
 
-def rates(counts: DataFrame) -> DataFrame:
-    """Adds the measures that thresholds apply to, as whole numbers from 0 to :data:`TOP`."""
-    return counts.withColumns(
-        {
-            "symbol_rate": _rate("n_symbols", 1000, "n_words"),
-            "dup_line_rate": _rate("n_dup_lines", 1000, "n_lines"),
-            "repeat_rate": _rate("n_repeat_words", 1000, "n_words"),
-            "word_length": _rate("word_chars", 100, "n_words"),
-        }
-    )
+def binned(name: str) -> Column:
+    """The low end of a number's bin."""
+    width = f"cast(greatest(length(bin({name})) - {DIGITS}, 0) as int)"
+    return F.expr(f"shiftleft(shiftright({name}, {width}), {width})")
 
 
 def sketches(rated: DataFrame, by: list[str]) -> DataFrame:
     """Counts by group, measure and bin, of rows with a word."""
-    bins = F.explode(F.array(*[F.struct(F.lit(name).alias("measure"), F.col(name).alias("bin")) for name, _, _ in RULES]))
+    bins = F.explode(F.array(*[F.struct(F.lit(name).alias("measure"), binned(name).alias("bin")) for name, *_ in RULES]))
     return rated.filter("n_words > 0").select(*by, bins.alias("b")).groupBy(*by, "b.measure", "b.bin").agg(F.count("*").alias("n"))
 
 
@@ -98,38 +98,53 @@ def merged(sketch: DataFrame, by: list[str]) -> DataFrame:
 
 
 def quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """rows, q25, q50 and q75 of each group and measure: the first bin that reaches the share."""
+    """rows and q10 to q90 of each group and measure: the first bin that reaches the share."""
     window = Window.partitionBy(*by, "measure")
     steps = sketch.withColumns({"rows": F.sum("n").over(window), "reached": F.sum("n").over(window.orderBy("bin"))})
-    at = [F.min(F.when(F.col("reached") * 100 >= F.col("rows") * q, F.col("bin"))).alias(f"q{q}") for q in (25, 50, 75)]
+    at = [F.min(F.when(F.col("reached") * 100 >= F.col("rows") * q, F.col("bin"))).alias(f"q{q}") for q in AT]
     return steps.groupBy(*by, "measure").agg(F.max("rows").alias("rows"), *at)
 
 
-def fences(found: DataFrame, by: list[str], prefix: str) -> DataFrame:
-    """One row for each group: its rows, and a fence (high, low) for each measure."""
-    columns = [F.max("rows").alias(f"{prefix}rows")]
-    spread = F.least(F.col("q75") - F.col("q50"), F.col("q50") - F.col("q25"))
-    for name, margin, both in RULES:
-        mine = F.col("measure") == name
-        columns.append(F.max(F.when(mine, F.col("q50") + SPREAD * spread + margin)).alias(f"{prefix}{name}_high"))
-        if both:
-            columns.append(F.max(F.when(mine, F.col("q50") - SPREAD * spread - margin)).alias(f"{prefix}{name}_low"))
-    return found.groupBy(*by).agg(*columns)
+def _margin() -> Column:
+    """The margin of a row's measure."""
+    out = F.lit(0)
+    for name, margin, _ in RULES:
+        out = F.when(F.col("measure") == name, margin).otherwise(out)
+    return out
+
+
+def drawn(source: DataFrame, lang: DataFrame) -> DataFrame:
+    """Sources' quantiles, drawn towards their language's, with both kinds of fences."""
+    every = lang.select(F.col("lang").alias("l_lang"), F.col("measure").alias("l_measure"), *[F.col(f"q{q}").alias(f"l{q}") for q in AT])
+    both = source.join(every, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("measure") == F.col("l_measure")))
+    mixed = both.select("lang", "source", "measure", *[F.expr(f"(rows * q{q} + {WEIGHT} * l{q}) div (rows + {WEIGHT})").alias(f"q{q}") for q in AT])
+    margin = _margin()
+    return mixed.select(
+        "lang", "source", "measure", (2 * F.col("q90") - F.col("q50") + margin).alias("high"), (2 * F.col("q10") - F.col("q50") - margin).alias("low"),
+        (3 * F.col("q75") - 2 * F.col("q50") + margin).alias("sure_high"), (3 * F.col("q25") - 2 * F.col("q50") - margin).alias("sure_low"),
+    )
+
+
+def middle(fences: DataFrame, name: str) -> DataFrame:
+    """The middle of the sources' fences in each language, each source counted once."""
+    return quantiles(fences.groupBy("lang", "measure", F.col(name).alias("bin")).agg(F.count("*").alias("n")), ["lang"]).select(F.col("lang").alias(f"{name}_lang"), F.col("measure").alias(f"{name}_measure"), F.col("q50").alias(f"{name}_middle"))
 
 
 def thresholds(rated: DataFrame) -> DataFrame:
     """For each language and source: an upper threshold for each measure, and lower ones where they apply."""
-    own = sketches(rated, ["lang", "source"])
-    source = fences(quantiles(own, ["lang", "source"]), ["lang", "source"], "s_")
-    lang = fences(quantiles(merged(own, ["lang"]), ["lang"]), ["lang"], "l_").withColumnRenamed("lang", "l_lang")
-    both = source.join(lang, F.col("lang").eqNullSafe(F.col("l_lang")))
-    few = F.col("s_rows") < LEAST_ROWS
+    own = written(sketches(rated, ["lang", "source"]), "sketches")
+    fences = written(drawn(quantiles(own, ["lang", "source"]), quantiles(merged(own, ["lang"]), ["lang"])), "fences")
+    both = fences
+    for name in ("sure_high", "sure_low"):
+        both = both.join(middle(fences, name), F.col("lang").eqNullSafe(F.col(f"{name}_lang")) & (F.col("measure") == F.col(f"{name}_measure")))
+    high, low = F.least("high", F.col("sure_high_middle") + _margin()), F.greatest("low", F.col("sure_low_middle") - _margin())
     columns = []
-    for name, margin, low in RULES:
-        columns.append(F.when(few, F.col(f"l_{name}_high")).otherwise(F.least(F.col(f"s_{name}_high"), F.col(f"l_{name}_high") + margin)).alias(f"{name}_high"))
-        if low:
-            columns.append(F.when(few, F.col(f"l_{name}_low")).otherwise(F.greatest(F.col(f"s_{name}_low"), F.col(f"l_{name}_low") - margin)).alias(f"{name}_low"))
-    return both.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *columns)
+    for name, _, two_sided in RULES:
+        mine = F.col("measure") == name
+        columns.append(F.max(F.when(mine, high)).alias(f"{name}_high"))
+        if two_sided:
+            columns.append(F.max(F.when(mine, low)).alias(f"{name}_low"))
+    return both.groupBy(F.col("lang").alias("t_lang"), F.col("source").alias("t_source")).agg(*columns)
 
 
 def judged(rated: DataFrame) -> DataFrame:
@@ -137,9 +152,9 @@ def judged(rated: DataFrame) -> DataFrame:
     limits = thresholds(rated)
     joined = rated.join(limits, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
     fits = F.lit(True)
-    for name, _, low in RULES:
+    for name, _, two_sided in RULES:
         fits = fits & (F.col(name) <= F.col(f"{name}_high"))
-        if low:
+        if two_sided:
             fits = fits & (F.col(name) >= F.col(f"{name}_low"))
     return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & F.coalesce(fits, F.lit(False)))
 
@@ -155,6 +170,6 @@ def quality_kept(docs: DataFrame) -> DataFrame:
 
     Columns go through as one struct, so that no name of theirs can clash with one used here.
     """
-    whole = docs.select("lang", "source", "text", F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    whole = docs.select("lang", "source", "text", F.struct("*").alias("row"))
     rated = written(rates(measured(whole, ["lang", "source", "row"])), "rated", compression="zstd")
     return judged(rated).filter("kept").select("row.*")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pitspark.llm.quality_rules import LEAST_ROWS, RULES, SPREAD, SYMBOLS, TOP
+from pitspark.llm.quality_rules import AT, DIGITS, RULES, SYMBOLS, WEIGHT
 from pitspark.llm.secret_scan import RULES as SECRETS
 
 WORD, SPACE = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]"
@@ -17,19 +17,21 @@ from d left join f on d.h = f.h"""
 
 def quality_rules() -> str:
     rate = {"symbol_rate": "1000 * n_symbols // greatest(n_words, 1)", "dup_line_rate": "1000 * n_dup_lines // greatest(n_lines, 1)", "repeat_rate": "1000 * n_repeat_words // greatest(n_words, 1)", "word_length": "100 * word_chars // greatest(n_words, 1)"}
-    rates = ", ".join(f"least({x}, {TOP}) as {name}" for name, x in rate.items())
-    bins = " union all ".join(f"select lang, source, '{name}' as measure, {name} as bin from rated where n_words > 0" for name, _, _ in RULES)
+    rates = ", ".join(f"{x} as {name}" for name, x in rate.items())
+    low_end = "(({0} >> greatest(length(bin({0})) - " + str(DIGITS) + ", 0)) << greatest(length(bin({0})) - " + str(DIGITS) + ", 0))"
+    bins = " union all ".join(f"select lang, source, '{r[0]}' as measure, {low_end.format(r[0])} as bin from rated where n_words > 0" for r in RULES)
 
-    def quantiles(keys: str) -> str:
-        inner = f"select {keys}, measure, bin, sum(count(*)) over (partition by {keys}, measure order by bin) as reached, sum(count(*)) over (partition by {keys}, measure) as rows from bins group by {keys}, measure, bin"
-        return f"select {keys}, measure, max(rows) as rows, " + ", ".join(f"min(case when reached * 100 >= rows * {q} then bin end) as q{q}" for q in (25, 50, 75)) + f" from ({inner}) group by {keys}, measure"
+    def quantiles(keys: str, table: str = "bins") -> str:
+        inner = f"select {keys}, measure, bin, sum(count(*)) over (partition by {keys}, measure order by bin) as reached, sum(count(*)) over (partition by {keys}, measure) as rows from {table} group by {keys}, measure, bin"
+        return f"select {keys}, measure, max(rows) as rows, " + ", ".join(f"min(case when reached * 100 >= rows * {q} then bin end) as q{q}" for q in AT) + f" from ({inner}) group by {keys}, measure"
 
-    margin = "case t.measure " + " ".join(f"when '{name}' then {m}" for name, m, _ in RULES) + " end"
-    high, low = "{x}.q50 + " + f"{SPREAD} * least({{x}}.q75 - {{x}}.q50, {{x}}.q50 - {{x}}.q25) + {margin}", "{x}.q50 - " + f"{SPREAD} * least({{x}}.q75 - {{x}}.q50, {{x}}.q50 - {{x}}.q25) - {margin}"
-    limit = f"""select t.lang, t.source, t.measure, case when t.rows < {LEAST_ROWS} then {high.format(x="l")} else least({high.format(x="t")}, {high.format(x="l")} + {margin}) end as high,
-      case when t.measure = 'word_length' then case when t.rows < {LEAST_ROWS} then {low.format(x="l")} else greatest({low.format(x="t")}, {low.format(x="l")} - {margin}) end else -1 end as low
-      from by_source t join by_lang l on l.lang is not distinct from t.lang and l.measure = t.measure"""
-    outside = " or ".join(f"(k.measure = '{name}' and r.{name} not between k.low and k.high)" for name, _, _ in RULES)
+    margin = "case s.measure " + " ".join(f"when '{name}' then {m}" for name, m, _ in RULES) + " end"
+    drawn = "select s.lang, s.source, s.measure, " + ", ".join(f"cast((s.rows * s.q{q} + {WEIGHT} * l.q{q}) // (s.rows + {WEIGHT}) as bigint) as q{q}" for q in AT) + " from by_source s join by_lang l on l.lang is not distinct from s.lang and l.measure = s.measure"
+    fences = f"select lang, source, measure, 2 * q90 - q50 + {margin} as high, 2 * q10 - q50 - {margin} as low, 3 * q75 - 2 * q50 + {margin} as sure_high, 3 * q25 - 2 * q50 - {margin} as sure_low from drawn s"
+    middles = [quantiles("lang", f"(select lang, measure, {name} as bin from fences)") for name in ("sure_high", "sure_low")]
+    limit = f"""select s.lang, s.source, s.measure, least(s.high, h.q50 + {margin}) as high, case when s.measure = 'word_length' then greatest(s.low, w.q50 - {margin}) else -1 end as low
+      from fences s join middle_high h on h.lang is not distinct from s.lang and h.measure = s.measure join middle_low w on w.lang is not distinct from s.lang and w.measure = s.measure"""
+    outside = " or ".join(f"(k.measure = '{name}' and r.{name} not between k.low and k.high)" for name, *_ in RULES)
     return rf"""
 with t as (select doc_id, lang, source, coalesce(text, '') as text from documents),
   w as (select *, regexp_extract_all(text, '{WORD}') as words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{WORD}')) as lines from t),
@@ -40,7 +42,8 @@ with t as (select doc_id, lang, source, coalesce(text, '') as text from document
   counted as (select w.doc_id, lang, source, cast(len(words) as bigint) as n_words, cast(length(regexp_replace(text, '{SPACE}', '', 'g')) as bigint) as word_chars,
     cast(length(text) - length(regexp_replace(text, '[{SYMBOLS}]', '', 'g')) as bigint) as n_symbols, cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, len(lines) as n_lines, coalesce(c.n, 0) as n_repeat_words from w left join covered c on c.doc_id = w.doc_id),
   rated as (select *, {rates}, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from counted),
-  bins as ({bins}), by_source as ({quantiles("lang, source")}), by_lang as ({quantiles("lang")}), limits as ({limit})
+  bins as ({bins}), by_source as ({quantiles("lang, source")}), by_lang as ({quantiles("lang")}),
+  drawn as ({drawn}), fences as ({fences}), middle_high as ({middles[0]}), middle_low as ({middles[1]}), limits as ({limit})
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and not exists (select 1 from limits k where k.lang is not distinct from r.lang and k.source is not distinct from r.source and ({outside})) as kept
 from rated r"""

@@ -154,6 +154,28 @@ def test_a_source_of_junk_does_not_set_its_own_norm(spark):
     assert kept == {r[0] for r in clean}
 
 
+def rated_rows(spark, groups):
+    """Rows of (lang, source, symbol rates), other rates ordinary."""
+    rows = [(lang, source, 1, v, 0, 0, 500) for lang, source, values in groups for v in values]
+    return spark.createDataFrame(rows, "lang string, source string, n_words long, symbol_rate long, dup_line_rate long, repeat_rate long, word_length long")
+
+
+def test_thresholds_follow_small_sources_and_their_tails(spark):
+    tail = [0] * 60 + [100] * 25 + [200] * 15
+    groups = [("en", "prose", [0] * 100), ("en", "news", [0, 10] * 50), ("en", "code", tail), (None, None, [7000] * 80 + [9000] * 20)]
+    rated = rated_rows(spark, groups)
+    high = {(r.t_lang, r.t_source): r.symbol_rate_high for r in quality_rules.thresholds(rated).collect()}
+    assert len({high["en", s] for s in ("prose", "news", "code")}) == 3 and high["en", "code"] >= 200
+    kept = quality_rules.judged(rated.withColumns({"n_repeat_words": F.lit(0), "n_words": F.lit(60)})).filter("kept").groupBy("source").count().collect()
+    assert {r["source"]: r["count"] for r in kept} == {"prose": 100, "news": 100, "code": 100, None: 80}  # no ceiling makes 7,000 and 9,000 one
+
+
+def test_bins_are_within_their_error(spark):
+    values = [0, 1, 63, 64, 65, 127, 128, 1000, 123456, 2**40 + 12345]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v long").select(quality_rules.binned("v")).collect()]
+    assert got[:4] == values[:4] and all(v - v / 32 <= b <= v for v, b in zip(values, got))
+
+
 def test_sketches_merge_exactly(spark):
     rows = spark.createDataFrame([("en", f"s{i % 3}", 1, i % 50, 0, 0, 500) for i in range(900)], "lang string, source string, n_words long, symbol_rate long, dup_line_rate long, repeat_rate long, word_length long")
     whole = quality_rules.sketches(rows, ["lang"])
