@@ -48,12 +48,19 @@ def content_id(*columns: Column) -> Column:
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
 
 
-def scaled_number(lexical: Column, scale: Column, sign: Column, fixed_zero: Column) -> Column:
-    """A displayed number with separators, a power of ten and a sign, as decimal."""
-    clean = F.regexp_replace(lexical, r"[,\s ]", "")
-    value = F.when(clean.rlike(r"^\d+(\.\d+)?$"), clean).try_cast("decimal(38,10)")
-    value = F.when(fixed_zero, F.lit(0).cast("decimal(38,10)")).otherwise(value)
-    return F.when(sign == "-", -value).otherwise(value).cast("double") * F.pow(F.lit(10.0), scale)
+def scaled_number(lexical: Column, scale: Column, sign: Column, form: Column) -> Column:
+    """A displayed number with its transform, power of ten and sign, as an exact decimal; null if invalid.
+
+    ``form`` is the transform's local name: null (the number as written), ``num-dot-decimal`` (commas and
+    spaces between digits go) or ``fixed-zero`` (zero, whatever is displayed); others are not supported.
+    Digits are moved, not multiplied: nothing is rounded. Powers beyond 24 places do not fit and give null.
+    """
+    text = F.trim(F.regexp_replace(lexical, r"[\t\r\n]", " "))
+    spaced = F.when(text.rlike("^[, \u00a00-9]*(\\.[ \u00a00-9]+)?$"), F.regexp_replace(text, "[, \u00a0]", ""))
+    plain = F.when(form.isNull(), text).when(form == "fixed-zero", "0").when(form == "num-dot-decimal", spaced)
+    number = F.when(plain.rlike(r"^\+?([0-9]+(\.[0-9]*)?|\.[0-9]+)$"), F.ltrim(plain, F.lit("+")))
+    moved = F.concat(F.when(sign == "-", "-").otherwise(""), number, F.lit("E"), scale.cast("string"))
+    return moved.try_cast("decimal(38,10)")
 
 
 def issuer_id(text: Column) -> Column:
@@ -73,7 +80,7 @@ def unit_measures(key: Column) -> Column:
 
 
 def slot_due(anchor: Column, slot: Column, cadence_seconds: int, jitter_seconds: int, seed: Column) -> Column:
-    """anchor + slot * cadence + a jitter that a hash of the seed and slot fixes."""
-    digits = F.substring(F.sha2(F.concat_ws(":", seed, slot), 256), 1, 8)
-    jitter = F.conv(digits, 16, 10).cast("long") % jitter_seconds
-    return F.timestamp_seconds(F.unix_timestamp(anchor) + slot * cadence_seconds + jitter)
+    """anchor + slot * cadence + a jitter from 0 to ``jitter_seconds`` that a hash of the seed and slot fixes."""
+    digits = F.substring(F.sha2(F.concat_ws("\n", seed, slot), 256), 1, 16)
+    jitter = F.conv(digits, 16, 10).cast("decimal(20,0)") % F.lit(jitter_seconds + 1)
+    return F.timestamp_seconds(F.unix_timestamp(anchor) + slot * cadence_seconds + jitter.cast("long"))

@@ -5,29 +5,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitspark.functions import scalar
+from pitspark.functions import flags, scalar
 
 
-def sampled(points: DataFrame, by: list[str]) -> DataFrame:
-    """Reasons for which a point is left out: repeats, and all variants of a quarter that has several."""
+def quarter_end(day: Column) -> Column:
+    """Whether a date is one of the four calendar quarters' ends."""
+    return (day == F.last_day(day)) & (F.month(day) % 3 == 0)
+
+
+def sampled(points: DataFrame, by: list[str], series_key: Column | None = None) -> DataFrame:
+    """All reasons for which a point is left out of a band, as a sorted array; none means that it counts.
+
+    A point's identity is its value, input hash and flags (the columns ``input_hash`` and ``flags`` where
+    there are such). Points of one quarter with several identities conflict, all of them; of equal ones
+    without another reason the first counts. ``series_key`` says whether a point is of the series asked for.
+    """
+    carried = F.col("flags") if "flags" in points.columns else F.array().cast("array<string>")
+    lineage = F.col("input_hash") if "input_hash" in points.columns else F.lit("-")
+    same = F.lit(True) if series_key is None else F.coalesce(series_key, F.lit(False))
     quarter = Window.partitionBy(*by, "quarter_end")
-    variants = F.size(F.collect_set(F.struct("value")).over(quarter))
-    nth = F.row_number().over(quarter.orderBy("point_id"))
-    reason = F.when(F.col("value").isNull(), "missing_value").when(F.col("quarter_end") != F.last_day("quarter_end"), "not_quarter_end").when(variants > 1, "conflicting_quarter").when(nth > 1, "duplicate_sample")
-    return points.withColumn("reason", reason)
+    identity = F.when(same, F.struct(F.col("value"), lineage.alias("h"), F.array_sort(carried).alias("f")))
+    variants = F.size(F.collect_set(identity).over(quarter))
+    own = flags.reasons(
+        not_quarter_end=~quarter_end(F.col("quarter_end")), incompatible_series=~same, missing_lineage=F.coalesce(F.trim(lineage), F.lit("")) == "",
+        missing_value=F.col("value").isNull(), nonfinite_value=F.col("value").cast("double").isin(float("inf"), float("-inf")) | F.isnan(F.col("value").cast("double")), conflicting_quarter=same & (variants > 1),
+    )
+    found = points.withColumn("reasons", flags.union(carried, own))
+    clear = F.size("reasons") == 0
+    nth = F.row_number().over(Window.partitionBy(*by, "quarter_end", clear).orderBy("point_id"))
+    return found.withColumn("reasons", F.when(clear & (nth > 1), F.array(F.lit("duplicate_sample"))).otherwise(F.col("reasons")))
 
 
 def bands(points: DataFrame, as_of: DataFrame, by: list[str], years: int, least: int) -> DataFrame:
     """Quartiles of the eligible points in the window (start excluded) of each date; null under ``least``.
 
-    A point meets the dates that follow it within the window only, by a join on the key.
+    Also how many quarter ends the window holds and how many of them have no eligible point. A point meets
+    dates of its key and of its own or the following years up to the window only.
     """
-    good = points.filter("reason is null").select(*by, "quarter_end", F.col("value").cast("double").alias("value"))
-    inside = (F.col("quarter_end") > scalar.window_start(F.col("as_of"), years)) & (F.col("quarter_end") <= F.col("as_of"))
-    held = as_of.join(good, by, "left").withColumn("value", F.when(inside, F.col("value")))
-    out = held.groupBy(*by, "as_of").agg(F.count("value").alias("samples"), F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    good = points.filter(F.size("reasons") == 0).select(*by, "quarter_end", F.col("value").cast("double").alias("value"))
+    near = good.withColumn("_year", F.explode(F.sequence(F.year("quarter_end"), F.year("quarter_end") + years)))
+    start = scalar.window_start(F.col("as_of"), years)
+    held = as_of.withColumn("_year", F.year("as_of")).join(near, [*by, "_year"], "left")
+    inside = (F.col("quarter_end") > start) & (F.col("quarter_end") <= F.col("as_of"))
+    out = held.withColumn("value", F.when(inside, F.col("value"))).groupBy(*by, "as_of").agg(F.count("value").alias("samples"), F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
     enough = F.col("samples") >= least
-    return out.select(*by, "as_of", "samples", *[F.when(enough, F.get("q", F.lit(i))).alias(n) for i, n in enumerate(("p25", "p50", "p75"))], F.when(~enough, "insufficient_history").alias("reason"))
+    quarters = lambda d: F.floor(F.months_between(F.trunc(F.date_add(d, 1), "quarter"), F.lit("1900-01-01").cast("date")) / 3)
+    expected = (quarters(F.col("as_of")) - quarters(start)).cast("int")
+    return out.select(*by, "as_of", "samples", expected.alias("expected"), (expected - F.col("samples")).alias("missing"), *[F.when(enough, F.get("q", F.lit(i))).alias(n) for i, n in enumerate(("p25", "p50", "p75"))], F.when(~enough, "insufficient_history").alias("reason"))
 
 
 def compared_to_band(value: Column) -> Column:
@@ -35,16 +59,19 @@ def compared_to_band(value: Column) -> Column:
     return F.when(value.isNull() | F.col("p25").isNull(), "unavailable").when(value < F.col("p25"), "below").when(value > F.col("p75"), "above").otherwise("within")
 
 
-def trend(rows: DataFrame, by: list[str], date: str, rate: str, tolerance: float) -> DataFrame:
-    """The direction of three rates that follow each other."""
-    order = Window.partitionBy(*by).orderBy(date)
-    a, b, c = F.lag(rate, 2).over(order), F.lag(rate, 1).over(order), F.col(rate)
-    first, second = b - a, c - b
-    word = (
-        F.when(first.isNull() | second.isNull(), "incomplete")
-        .when((F.abs(first) <= tolerance) & (F.abs(second) <= tolerance), "broadly_stable")
-        .when((first >= -tolerance) & (second >= -tolerance), "rising")
-        .when((first <= tolerance) & (second <= tolerance), "falling")
-        .otherwise("mixed")
-    )
-    return rows.withColumn("trend", word)
+def trend(rows: DataFrame, by: list[str], rate: str, tolerance: float) -> DataFrame:
+    """The direction of three rates of quarters that follow each other (period_start, period_end).
+
+    rising asks that both changes exceed the tolerance, falling that both fall below its negative,
+    broadly_stable that neither does either; else mixed. A missing rate or a gap between quarters is a reason.
+    """
+    order = Window.partitionBy(*by).orderBy("period_end")
+    first, second = F.lag(rate, 1).over(order) - F.lag(rate, 2).over(order), F.col(rate) - F.lag(rate, 1).over(order)
+    touches = lambda n: F.lag("period_end", n).over(order) == F.date_sub(F.lag("period_start", n - 1).over(order) if n > 1 else F.col("period_start"), 1)
+    codes = flags.reasons(
+        three_quarterly_rates_required=F.lag("period_end", 2).over(order).isNull(), nonconsecutive_trend_quarters=~touches(1) | ~touches(2),
+        trend_input_unavailable=F.lag("period_end", 2).over(order).isNotNull() & (first.isNull() | second.isNull()),
+    )
+    word = F.when((first > tolerance) & (second > tolerance), "rising").when((first < -tolerance) & (second < -tolerance), "falling").when((F.abs(first) <= tolerance) & (F.abs(second) <= tolerance), "broadly_stable").otherwise("mixed")
+    found = rows.withColumn("reasons", codes)
+    return found.withColumn("trend", F.when(F.size("reasons") == 0, word))

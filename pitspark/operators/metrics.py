@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitspark.functions import flags, scalar
@@ -50,7 +50,7 @@ def _after(*c: Column) -> Column:
 #: Every metric that a company row can be asked for; margins take revenue last.
 REGISTRY: dict[str, MetricSpec] = {
     "net_margin": MetricSpec(("income", "revenue"), _margin(_first), _margin_reasons(_first)),
-    "operating_margin": MetricSpec(("cfo", "revenue"), _margin(_first), _margin_reasons(_first)),
+    "operating_margin": MetricSpec(("operating_income", "revenue"), _margin(_first), _margin_reasons(_first)),
     "gross_margin": MetricSpec(("gross", "revenue"), _margin(_first), _margin_reasons(_first)),
     "derived_gross_margin": MetricSpec(("cost", "revenue"), _margin(_after), lambda *c: {**_margin_reasons(_after)(*c), "gross_profit_derived": F.lit(True)}),
     "free_cash_flow": MetricSpec(("cfo", "capex"), lambda a, b: (a - b).cast("double"), lambda a, b: {"input_missing": a.isNull() | b.isNull(), "capex_negative": b < 0}),
@@ -58,6 +58,7 @@ REGISTRY: dict[str, MetricSpec] = {
     "current_ratio": MetricSpec(("current_assets", "current_liabilities"), scalar.ratio, lambda a, b: {"balance_negative": (a < 0) | (b < 0), "denominator_nonpositive": b <= 0}),
     "net_working_capital": MetricSpec(("current_assets", "current_liabilities"), lambda a, b: (a - b).cast("double"), lambda a, b: {"balance_negative": (a < 0) | (b < 0)}),
     "return_on_assets": MetricSpec(("income", "opening", "closing"), lambda i, o, c: scalar.ratio(i.cast("double"), (o.cast("double") + c.cast("double")) / 2), lambda i, o, c: {"balance_missing": o.isNull() | c.isNull(), "denominator_nonpositive": o + c <= 0}),
+    "revenue_growth": MetricSpec(("revenue", "prior_revenue"), lambda a, b: scalar.ratio(a - b, b), lambda a, b: {"comparison_missing": b.isNull(), "denominator_nonpositive": b <= 0}),
     "price_earnings": MetricSpec(("cap", "income"), scalar.ratio, lambda a, b: {"market_cap_nonpositive": a <= 0, "denominator_missing": b.isNull(), "denominator_nonpositive": b <= 0}),
     "price_sales": MetricSpec(("cap", "revenue"), scalar.ratio, lambda a, b: {"market_cap_nonpositive": a <= 0, "denominator_missing": b.isNull(), "denominator_nonpositive": b <= 0}),
     "price_fcf": MetricSpec(("cap", "fcf"), scalar.ratio, lambda a, b: {"market_cap_nonpositive": a <= 0, "denominator_missing": b.isNull(), "denominator_nonpositive": b <= 0}),
@@ -98,9 +99,38 @@ def status(value: Column, codes: Column, age_days: Column, most_days: int, appli
     return F.when(first.isin("valid", "not_meaningful") & (age_days > most_days), "stale").otherwise(first)
 
 
-def observations() -> Column:
-    """Neutral statements that the signs of a company row support."""
-    return flags.reasons(revenue_grew=F.col("revenue") > F.col("prior_revenue"), revenue_fell=F.col("revenue") < F.col("prior_revenue"), cash_gap=(F.col("income") > 0) & (F.col("fcf") < 0), loss=F.col("income") < 0)
+#: Observation, topic and category by metric and sign (fixed values); the first sign that fits counts.
+OBSERVED = (
+    ("revenue_growth", ">", "revenue_grew", "revenue", "operating"),
+    ("revenue_growth", "<", "revenue_declined", "revenue", "operating"),
+    ("revenue_growth", "=", "revenue_unchanged", "revenue", "operating"),
+    ("free_cash_flow", "<", "cash_spending_gap", "cash_generation", "cash"),
+    ("free_cash_flow_margin", "<", "cash_spending_gap", "cash_generation", "cash"),
+    ("operating_margin", "<", "operating_loss", "earnings", "operating"),
+    ("net_margin", "<", "consolidated_loss", "earnings", "operating"),
+    ("return_on_assets", "<", "consolidated_loss", "earnings", "operating"),
+)
+
+
+def observed(long: DataFrame) -> DataFrame:
+    """Neutral observations of usable metrics (metric, value, usable): rule, topic and category by sign."""
+    out = F.lit(None).cast("struct<rule:string,topic:string,category:string>")
+    for metric_, sign, rule, topic, category in OBSERVED:
+        fits = {">": F.col("value") > 0, "<": F.col("value") < 0, "=": F.col("value") == 0}[sign]
+        out = F.when((F.col("metric") == metric_) & fits, F.struct(F.lit(rule).alias("rule"), F.lit(topic).alias("topic"), F.lit(category).alias("category"))).otherwise(out)
+    return long.withColumn("o", F.when(F.col("usable"), out)).filter("o is not null").select("*", "o.*").drop("o")
+
+
+def review_items(long: DataFrame, by: list[str], many: int = 3) -> DataFrame:
+    """At most ``many`` topics of each company row, data before cash before operating, each once, with the
+    metrics behind it. Metrics that cannot be used, and extreme margins, are topics of their own."""
+    facts = observed(long).filter(~F.col("rule").isin("revenue_grew", "revenue_unchanged")).select(*by, "metric", "rule", "topic", "category")
+    data = F.when(~F.col("usable"), F.struct(F.lit("data_review").alias("rule"), F.lit("data_availability").alias("topic"))).when(F.array_contains("reasons", "extreme_margin"), F.struct(F.lit("extreme_margin_review").alias("rule"), F.lit("extreme_margin").alias("topic")))
+    doubts = long.withColumn("d", data).filter("d is not null").select(*by, "metric", "d.rule", "d.topic", F.lit("data").alias("category"))
+    rank = F.when(F.col("category") == "data", 0).when(F.col("category") == "cash", 1).otherwise(2)
+    topics = facts.unionByName(doubts).groupBy(*by, "topic").agg(F.min(F.struct(rank.alias("rank"), "rule")).alias("first"), F.array_sort(F.collect_set("metric")).alias("metrics"))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("first.rank", "first.rule"))
+    return topics.withColumn("place", place).filter(F.col("place") <= many).select(*by, "topic", "first.rule", "metrics", "place")
 
 
 def identity_gap(assets: Column, liabilities: Column, equity: Column, error: Column) -> Column:

@@ -45,10 +45,15 @@ def annual_bridge(ytd: DataFrame, by: list[str], value: str) -> DataFrame:
     return now.join(prior, [*by, "year", "quarters"]).join(whole, [*by, "year"]).select(*by, "end", (F.col("whole") + F.col("now") - F.col("prior")).alias(value))
 
 
-def compared(flows: DataFrame, by: list[str], value: str, months: int = 12) -> DataFrame:
-    """Each period with the one that ends as many months before, month ends kept, and the growth."""
-    prior = flows.select(*by, F.last_day(F.add_months("period_end", months)).alias("period_end"), F.col(value).alias("prior"))
-    joined = flows.select(*by, "period_end", value).join(prior, [*by, "period_end"], "left")
+def compared(flows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Each period with the same calendar quarter or year of the year before, and the growth.
+
+    Both starts and both ends have to fit, so that a year never meets a quarter; periods other than whole
+    calendar quarters and twelve months have no comparison."""
+    months = scalar.month_span(F.col("period_start"), F.col("period_end"))
+    fits = (months == 12) | ((months == 3) & (F.month("period_start") % 3 == 1))
+    prior = flows.filter(fits).select(*by, F.add_months("period_start", 12).alias("period_start"), F.last_day(F.add_months("period_end", 12)).alias("period_end"), F.col(value).alias("prior"))
+    joined = flows.select(*by, "period_start", "period_end", value).join(prior, [*by, "period_start", "period_end"], "left")
     growth = F.when(F.col("prior") > 0, scalar.ratio(F.col(value) - F.col("prior"), F.col("prior")))
     return joined.withColumn("growth", growth)
 

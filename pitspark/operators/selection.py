@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitspark.functions.storage import work_dir
+
 
 def newest(rows: DataFrame, by: list[str], time: str, content: Column, latest: bool = True) -> DataFrame:
     """One row for each group: the newest (or oldest) time, its content, and whether contents differ there.
@@ -43,39 +45,53 @@ def successful(rows: DataFrame, cutoff: Column) -> DataFrame:
 def response_at_cutoff(responses: DataFrame, cutoffs: DataFrame, by: list[str]) -> DataFrame:
     """The newest response of each key known at each cutoff, whatever its value: no older one stands in.
 
-    Cutoffs are few and are broadcast; each response is matched with those at or after it.
+    A request's cutoffs are few: they go to each response as one sorted array, and the response counts for
+    the first at or after it. One aggregation leaves a row for each key and interval; the newest so far is
+    a running maximum over a key's intervals. So no response is copied to several cutoffs.
     """
-    known = responses.join(F.broadcast(cutoffs), F.col("retrieved_at") <= F.col("cutoff"))
-    key = [*by, "cutoff"]
-    at = known.groupBy(*key, "retrieved_at").agg(F.count_distinct("response").alias("responses"), F.max(F.struct("response", "value")).alias("last"))
-    packed = at.groupBy(*key).agg(F.max(F.struct("retrieved_at", "responses", "last")).alias("x"))
+    every = F.broadcast(cutoffs.agg(F.sort_array(F.collect_set("cutoff")).alias("_all")))
+    first = F.array_position(F.transform("_all", lambda c: c >= F.col("retrieved_at")), True) - 1
+    dealt = responses.crossJoin(every).withColumn("_i", first.cast("int")).filter("_i >= 0")
+    at = dealt.groupBy(*by, "_i", "retrieved_at").agg(F.count_distinct("response").alias("responses"), F.max(F.struct("response", "value")).alias("last"))
+    newest_in = at.groupBy(*by, "_i").agg(F.max(F.struct("retrieved_at", "responses", "last")).alias("x"))
+    grid = newest_in.groupBy(*by).agg(F.min("_i").alias("_low")).crossJoin(every).select(*by, F.posexplode("_all").alias("_i", "cutoff"), "_low").filter("_i >= _low")
+    order = Window.partitionBy(*by).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    found = grid.join(newest_in, [*by, "_i"], "left").withColumn("x", F.max("x").over(order))
     value = F.when(F.col("x.responses") == 1, F.col("x.last.value"))
     reason = F.when(F.col("x.responses") > 1, "ambiguous_response").when(value.isNull(), "value_missing")
-    return packed.select(*key, F.col("x.retrieved_at").alias("retrieved_at"), value.alias("value"), reason.alias("reason"))
+    return found.select(*by, "cutoff", F.col("x.retrieved_at").alias("retrieved_at"), value.alias("value"), reason.alias("reason"))
 
 
-def latest_reference(rows: DataFrame, selections: DataFrame, by: list[str], max_age_days: int) -> DataFrame:
+def latest_reference(observations: DataFrame, responses: DataFrame, selections: DataFrame, by: list[str], max_age_days: int) -> DataFrame:
     """For each selection (date and cutoff): the newest reference date within ``max_age_days``, then the
-    newest response for that date, which blocks if it is empty.
+    newest response whose window reaches that date. If it has no value for the date, it blocks.
 
-    The reference date is picked from all observations before any value is looked at. Dates are dealt into
-    bins of ``max_age_days`` + 1 days, so a selection meets two bins of a key and no more.
+    ``responses`` (by, response, retrieved_at, window_from, window_to) are eligible answers, also those
+    without an observation; ``observations`` (by, response, reference_date, value) are what they hold. The
+    date is picked from all observations before any value is looked at. Dates are dealt into bins of
+    ``max_age_days`` + 1 days, so a selection meets two bins of its key; a response's window lies in its bins.
     """
     width = max_age_days + 1
 
     def bin_of(date: Column) -> Column:
         return F.floor(F.unix_date(date) / width)
 
-    left = selections.withColumn("bin", F.explode(F.array(bin_of(F.col("selected")), bin_of(F.col("selected")) - 1)))
-    right = rows.withColumn("bin", bin_of(F.col("reference_date")))
-    inside = (F.col("reference_date") <= F.col("selected")) & (F.col("reference_date") >= F.date_sub("selected", max_age_days)) & (F.col("retrieved_at") <= F.col("cutoff"))
-    held = left.join(right, [*by, "bin"]).filter(inside)
     key = [*by, "selected", "cutoff"]
-    found = held.groupBy(*key, "reference_date", "retrieved_at").agg(F.count("*").alias("responses"), F.max("value").alias("value"))
-    packed = found.groupBy(*key).agg(F.max(F.struct("reference_date", "retrieved_at", "responses", "value")).alias("x"))
-    value = F.when(F.col("x.responses") == 1, F.col("x.value"))
-    reason = F.when(F.col("x.responses") > 1, "ambiguous_response").when(value.isNull(), "value_missing")
-    return packed.select(*key, F.col("x.reference_date").alias("reference_date"), F.col("x.retrieved_at").alias("retrieved_at"), value.alias("value"), reason.alias("reason"))
+    times = responses.select(*by, "response", "retrieved_at")
+    left = selections.withColumn("_bin", F.explode(F.array(bin_of(F.col("selected")), bin_of(F.col("selected")) - 1)))
+    right = observations.select(*by, "response", "reference_date").join(times, [*by, "response"]).withColumn("_bin", bin_of(F.col("reference_date")))
+    inside = (F.col("reference_date") <= F.col("selected")) & (F.col("reference_date") >= F.date_sub("selected", max_age_days)) & (F.col("retrieved_at") <= F.col("cutoff"))
+    dates = left.join(right, [*by, "_bin"]).filter(inside).groupBy(*key).agg(F.max("reference_date").alias("reference_date"))
+    reaching = responses.withColumn("_bin", F.explode(F.sequence(bin_of(F.col("window_from")), bin_of(F.col("window_to")))))
+    covers = F.col("reference_date").between(F.col("window_from"), F.col("window_to")) & (F.col("retrieved_at") <= F.col("cutoff"))
+    held = dates.withColumn("_bin", bin_of(F.col("reference_date"))).join(reaching, [*by, "_bin"]).filter(covers)
+    at = held.groupBy(*key, "reference_date", "retrieved_at").agg(F.count("*").alias("n"), F.max("response").alias("response"))
+    packed = at.groupBy(*key, "reference_date").agg(F.max(F.struct("retrieved_at", "n", "response")).alias("x"))
+    chosen = packed.select(*key, "reference_date", F.col("x.retrieved_at").alias("retrieved_at"), F.col("x.n").alias("n"), F.when(F.col("x.n") == 1, F.col("x.response")).alias("response"))
+    values = observations.groupBy(*by, "response", "reference_date").agg(F.max("value").alias("value"))
+    found = chosen.join(values, [*by, "response", "reference_date"], "left")
+    reason = F.when(F.col("n") > 1, "ambiguous_response").when(F.col("value").isNull(), "value_missing")
+    return found.select(*key, "reference_date", "retrieved_at", "value", reason.alias("reason"))
 
 
 def publication_problem(published_at: Column, published_on: Column, cutoff: Column, source_as_of: Column) -> Column:
@@ -103,11 +119,20 @@ def validity_overlaps(intervals: DataFrame, by: list[str], tie: list[str]) -> Da
 
 
 def acyclic_levels(edges: DataFrame, roots: DataFrame, most: int) -> DataFrame:
-    """The depth of every node that roots lead to; a node deeper than ``most`` shows a cycle."""
-    from pyspark.sql import SparkSession
-
-    spark: SparkSession = edges.sparkSession
-    return spark.sql(
-        f"WITH RECURSIVE walk(node, depth) AS (SELECT node, 0 FROM {{roots}} UNION ALL SELECT e.child, w.depth + 1 FROM walk w JOIN {{edges}} e ON e.parent = w.node WHERE w.depth < {most}) SELECT node, max(depth) AS depth FROM walk GROUP BY node",
-        roots=roots, edges=edges,
-    )
+    """The depth of every node that roots lead to; a node as deep as ``most`` shows a cycle.
+
+    One join for each level from the nodes reached last; each level is stored, and a node is in it once
+    however many paths lead there."""
+    spark = edges.sparkSession
+    level = roots.select("node").distinct().withColumn("depth", F.lit(0))
+    stored = []
+    for depth in range(most + 1):
+        path = work_dir(spark, f"level-{depth}")
+        level.write.parquet(path)
+        level = spark.read.schema(level.schema).parquet(path)
+        if level.isEmpty():
+            break
+        stored.append(path)
+        level = level.join(edges, F.col("parent") == F.col("node")).select(F.col("child").alias("node")).distinct().withColumn("depth", F.lit(depth + 1))
+    every = spark.read.schema(level.schema).parquet(*stored) if stored else level
+    return every.groupBy("node").agg(F.max("depth").alias("depth"))

@@ -59,31 +59,54 @@ def with_parameter(rows: DataFrame, parameter: str, value: Column) -> DataFrame:
 
 
 def reverse_solve(rows: DataFrame, key: list[str], parameter: str, low: float, high: float, cells: int = 32, rounds: int = 4) -> DataFrame:
-    """The parameter at which the value meets ``target``, by grids on ever smaller brackets.
+    """The parameter at which the value meets ``target``, by a grid and halvings of its bracket.
 
-    The first grid tells the state: one sign change is a solution, several are non_unique, none is
-    no_solution (a root that only touches is not seen, so it counts as none). Each later round is a grid
-    inside the bracket, within the row: no join and no shuffle after the first.
+    One sign change on the grid is a solution, several are non_unique, none is no_solution. A root that
+    may only touch (the parabola through three neighbours comes to the target between them) and one at an
+    end of the range are inconclusive: the grid cannot tell them from none or two. All of it happens within
+    the row, so there is no join and no shuffle.
     """
     step = (high - low) / cells
-    grid = rows.withColumn("p", F.explode(F.array(*[F.lit(low + step * i) for i in range(cells + 1)])))
-    gaps = forward(with_parameter(grid, parameter, F.col("p"))).withColumn("gap", F.col("ev") - F.col("target"))
-    order = Window.partitionBy(*key).orderBy("p")
-    crossed = gaps.withColumns({"before": F.lag("gap").over(order), "p0": F.lag("p").over(order)})
-    change = (F.col("before") <= 0) & (F.col("gap") > 0) | (F.col("before") >= 0) & (F.col("gap") < 0)
-    found = crossed.groupBy(*key).agg(F.count_if(change).alias("roots"), F.min(F.when(change, F.col("p0"))).alias("a"))
-    state = F.when(F.col("roots") == 1, "converged").when(F.col("roots") == 0, "no_solution").otherwise("non_unique")
-    bracket = rows.join(found.withColumn("state", state), key).withColumn("b", F.col("a") + step)
+    points = F.array(*[F.lit(low + step * i) for i in range(cells + 1)])
+    near = F.greatest(F.abs(F.col("target")), F.lit(1.0)) * 1e-12
+    # a value on a grid point to the last digits counts as met there
+    gaps = F.transform(F.transform(points, lambda p: _gap(parameter, p)), lambda g: F.when(F.abs(g) <= near, 0.0).otherwise(g))
+    found = rows.withColumn("_g", gaps)
+    places = F.sequence(F.lit(1), F.lit(cells - 1))
+    at = lambda i: F.get("_g", i)
+    crossed = F.filter(F.sequence(F.lit(0), F.lit(cells - 1)), lambda i: (at(i) * at(i + 1) < 0) | ((i > 0) & (at(i) == 0) & (at(i - 1) * at(i + 1) < 0)))
+
+    def touches(i: Column) -> Column:
+        a, b, c = at(i - 1), at(i), at(i + 1)
+        bend = a - 2 * b + c
+        lowest = b - (c - a) * (c - a) / (8 * F.nullif(bend, F.lit(0.0)))
+        same = (a * c > 0) & (a * b >= 0) & (F.abs(b) <= F.abs(a)) & (F.abs(b) <= F.abs(c))
+        return same & F.coalesce((lowest * a <= 0) | (F.abs(lowest) <= F.greatest(F.abs(F.col("target")), F.lit(1.0)) * 1e-6), F.lit(False))
+
+    ends = (at(F.lit(0)) == 0) | (at(F.lit(cells)) == 0)
+    found = found.withColumns({"_c": crossed, "_t": ends | F.exists(places, touches)})
+    roots = F.size("_c")
+    state = F.when(F.col("target").isNull() | at(F.lit(0)).isNull(), "no_input").when(F.col("_t"), "inconclusive").when(roots == 1, "converged").when(roots == 0, "no_solution").otherwise("non_unique")
+    bracket = found.withColumns({"state": state, "a": F.lit(low) + step * F.get("_c", F.lit(0)), "b": F.lit(low) + step * (F.get("_c", F.lit(0)) + 1)})
 
     def halve(x: Column, _: Column) -> Column:
         middle = (x["a"] + x["b"]) / 2
         upper = F.signum(_gap(parameter, middle)) == F.signum(_gap(parameter, x["a"]))
         return F.struct(F.when(upper, middle).otherwise(x["a"]).alias("a"), F.when(upper, x["b"]).otherwise(middle).alias("b"))
 
-    # five halvings do the work of a grid of 32 cells; one fold holds them all
-    ends = F.aggregate(F.sequence(F.lit(1), F.lit(rounds * 5)), F.struct("a", "b"), halve)
-    bracket = bracket.withColumn("_ends", ends)
-    return bracket.withColumn("solution", F.when(F.col("state") == "converged", (F.col("_ends.a") + F.col("_ends.b")) / 2)).drop("a", "b", "roots", "_ends")
+    halved = F.aggregate(F.sequence(F.lit(1), F.lit(rounds * 10)), F.struct("a", "b"), halve)
+    bracket = bracket.withColumn("_ends", F.when(F.col("state") == "converged", halved))
+    on_point = F.get("_g", F.get("_c", F.lit(0))) == 0
+    solution = F.when(F.col("state") == "converged", F.when(on_point, F.col("a")).otherwise((F.col("_ends.a") + F.col("_ends.b")) / 2))
+    return bracket.withColumn("solution", solution).drop("a", "b", "_g", "_c", "_t", "_ends")
+
+
+def scenario_results(rows: DataFrame, key: list[str], parameter: str, low: float, high: float) -> DataFrame:
+    """Solved scenarios, valued again at the solution, for each share (``shares``); null unless converged."""
+    solved = reverse_solve(rows, key, parameter, low, high)
+    priced = forward(with_parameter(solved, parameter, F.coalesce("solution", F.lit(0.0))))
+    good = F.col("state") == "converged"
+    return priced.withColumns({"ev": F.when(good, F.col("ev")), "per_share": F.when(good & (F.col("shares") > 0), F.col("ev") / F.col("shares"))})
 
 
 def _gap(parameter: str, value: Column) -> Column:

@@ -20,16 +20,21 @@ VIEWS = {
           cast(sum({PRICE} * (1 - {DISC})) as decimal(18,4)) as cost,
           cast(sum({PRICE} * {DISC}) as decimal(18,4)) as cfo,
           cast(sum({PRICE} * {TAX}) as decimal(18,4)) as capex,
-          cast(sum(case when l_returnflag = 'N' then {PRICE} * ({DISC} - {TAX}) else 0 end) as decimal(18,4)) as income
+          cast(sum(case when l_returnflag = 'N' then {PRICE} * ({DISC} - {TAX}) else 0 end) as decimal(18,4)) as income,
+          cast(sum(case when l_linestatus = 'O' then {PRICE} * ({DISC} - {TAX}) else {PRICE} * {DISC} end) as decimal(18,4)) as operating_income,
+          cast(count(*) * 0.005 as decimal(18,4)) as error, cast(max(l_shipdate) as date) as cap_date
         from {{lineitem}} group by 1, 2, 3, 4""",
     "ttm": """
-        select a.issuer, a.qidx, max(case when b.qidx = a.qidx then b.period_end end) as period_end, cast(sum(b.revenue) as decimal(18,4)) as revenue,
-          cast(sum(b.cost) as decimal(18,4)) as cost, cast(sum(b.cfo) as decimal(18,4)) as cfo, cast(sum(b.capex) as decimal(18,4)) as capex, cast(sum(b.income) as decimal(18,4)) as income
-        from {flows} a join {flows} b on a.issuer = b.issuer and b.qidx between a.qidx - 3 and a.qidx
-        group by a.issuer, a.qidx having count(*) = 4""",
+        select issuer, qidx, period_end, cap_date, revenue, cost, cfo, capex, income, operating_income, error from (
+          select issuer, qidx, period_end, cap_date, count(*) over w as n, min(qidx) over w as first_qidx, cast(sum(revenue) over w as decimal(18,4)) as revenue, cast(sum(cost) over w as decimal(18,4)) as cost, cast(sum(cfo) over w as decimal(18,4)) as cfo,
+            cast(sum(capex) over w as decimal(18,4)) as capex, cast(sum(income) over w as decimal(18,4)) as income, cast(sum(operating_income) over w as decimal(18,4)) as operating_income, cast(sum(error) over w as decimal(18,4)) as error
+          from {flows} window w as (partition by issuer order by qidx rows between 3 preceding and current row)) x
+        where n = 4 and qidx - first_qidx = 3""",
     "snapshots": """
-        select t.issuer, i.industry, i.sector, t.qidx, t.period_end, i.cap, t.revenue, p.revenue as prior_revenue, t.income, t.cost, t.cfo, t.capex, cast(t.cfo - t.capex as decimal(18,4)) as fcf
-        from {ttm} t join {issuers} i on t.issuer = i.issuer left join {ttm} p on p.issuer = t.issuer and p.qidx = t.qidx - 4""",
+        select t.*, cast(t.cfo - t.capex as decimal(18,4)) as fcf, i.industry, i.sector, cast(i.cap + t.cfo - t.capex as decimal(18,4)) as cap, cast(i.cap + t.prior_cash as decimal(18,4)) as prior_cap,
+          t.error as income_error, t.error as revenue_error, t.error as fcf_error, t.prior_error as prior_revenue_error
+        from (select *, max(revenue) over p as prior_revenue, max(error) over p as prior_error, max(cfo - capex) over p as prior_cash, max(period_end) over p as prior_end
+          from {ttm} window p as (partition by issuer order by qidx range between 4 preceding and 4 preceding)) t join {issuers} i on t.issuer = i.issuer""",
     "editions": """
         select cast(l_orderkey as bigint) as fact, l_linenumber as line, cast(l_shipdate as date) as filed, cast(l_extendedprice as decimal(12,2)) as value, l_returnflag as form, l_suppkey as issuer
         from {lineitem}""",
@@ -42,7 +47,7 @@ VIEWS = {
           case when event_type = 'error' then null else cast(value as decimal(12,2)) end as value
         from {events}""",
     "membership": """
-        select o_custkey as issuer, o_orderpriority as class, cast(o_orderdate as date) as effective_from,
+        select o_custkey as issuer, o_orderpriority as class, o_orderdate + case when o_orderstatus = 'P' then interval 200 day else interval 0 day end as known_at, cast(o_orderdate as date) as effective_from,
           cast(lead(o_orderdate) over (partition by o_custkey order by o_orderdate, o_orderkey) as date) as effective_to, o_orderkey as source_ref
         from {orders}""",
 }

@@ -98,10 +98,11 @@ def f11(t: Data) -> DataFrame:
     return t.ttm.filter((scalar.month_span(start, F.col("period_end")) == 12) & (F.month("period_end") == 12)).select(*KEYS, f2("revenue"))
 
 
-@query("F14_summed_errors", "select issuer, sum(case when qidx % 17 = 0 then null else 0.5 end) as partial, count(case when qidx % 17 = 0 then 1 end) as unknown, case when count(case when qidx % 17 = 0 then 1 end) = 0 then cast(sum(0.5) as double) end as error from {gapped} group by 1".replace("sum(case when qidx % 17 = 0 then null else 0.5 end) as partial, ", ""))
+@query("F14_summed_errors", "select issuer, count(case when cost > 20 * cfo then 1 end) as unknown, cast(case when count(case when cost > 20 * cfo then 1 end) = 0 then sum(error) end as double) as error from {gapped} group by 1")
 def f14(t: Data) -> DataFrame:
-    error = F.when(F.col("qidx") % 17 != 0, F.lit(0.5))
-    return t.gapped.groupBy("issuer").agg(F.count_if(error.isNull()).alias("unknown"), F.when(F.count_if(error.isNull()) == 0, F.sum(error)).alias("error"))
+    """Errors add up; one unknown error leaves the sum unknown."""
+    error = F.when(F.col("cost") <= 20 * F.col("cfo"), F.col("error"))
+    return t.gapped.groupBy("issuer").agg(F.count_if(error.isNull()).alias("unknown"), F.when(F.count_if(error.isNull()) == 0, F.sum(error)).cast("double").alias("error"))
 
 
 def metric_sql(value: str, reasons: str) -> str:
@@ -117,7 +118,7 @@ def registered(name: str, metric: str, value: str, reasons: str, derive=None) ->
 
 NONE = "''"
 registered("F1_net_margin", "net_margin", "cast(income as double) / cast(revenue as double)", "case when abs(income) > revenue then 'extreme_margin' else '' end")
-registered("F1_operating_margin", "operating_margin", "cast(cfo as double) / cast(revenue as double)", "case when abs(cfo) > revenue then 'extreme_margin' else '' end")
+registered("F1_operating_margin", "operating_margin", "cast(operating_income as double) / cast(revenue as double)", "case when abs(operating_income) > revenue then 'extreme_margin' else '' end")
 registered("F1_gross_margin", "gross_margin", "cast(revenue - cost as double) / cast(revenue as double)", "case when abs(revenue - cost) > revenue then 'extreme_margin' else '' end", lambda s: s.withColumn("gross", F.col("revenue") - F.col("cost")))
 registered("F2_derived_gross_margin", "derived_gross_margin", "cast(revenue - cost as double) / cast(revenue as double)", "'gross_profit_derived'")
 registered("F3_free_cash_flow", "free_cash_flow", "cast(cfo - capex as double)", NONE)
@@ -130,11 +131,9 @@ for _id, _metric, _den in (("F9_price_earnings", "price_earnings", "income"), ("
     registered(_id, _metric, f"case when cap > 0 and {_den} > 0 then cast(cap as double) / cast({_den} as double) end", MULTIPLE.replace("{d}", _den))
 
 
-@query("F7_revenue_growth", "select issuer, qidx, round(ratio, 6) as value, case when prior_revenue is null then 'comparison_missing' else '' end as reasons from {growth_rows}")
+@query("F7_revenue_growth", "select issuer, qidx, round(case when prior_revenue > 0 then cast(revenue - prior_revenue as double) / cast(prior_revenue as double) end, 6) as value, case when prior_revenue is null then 'comparison_missing' when prior_revenue <= 0 then 'denominator_nonpositive' else '' end as reasons from {snapshots}")
 def f7(t: Data) -> DataFrame:
-    value = F.when(F.col("prior_revenue") > 0, scalar.ratio(F.col("revenue") - F.col("prior_revenue"), F.col("prior_revenue")))
-    codes = flags.reasons(comparison_missing=F.col("prior_revenue").isNull(), denominator_nonpositive=F.col("prior_revenue") <= 0)
-    return t.snapshots.select(*KEYS, F.round(value, 6).alias("value"), flags.text(codes).alias("reasons"))
+    return metrics.metric(t.snapshots, "revenue_growth").select(*KEYS, r6("value"), flags.text(F.col("reasons")).alias("reasons"))
 
 
 @query("F8_reported_amounts", " union all ".join(f"select issuer, qidx, '{c}' as concept, cast({c} as double) as value from {{flows}}" for c in FLOWS))
@@ -156,9 +155,21 @@ def f15(t: Data) -> DataFrame:
     return rows.select(*KEYS, metrics.status(F.col("value"), F.col("reasons"), age, 0).alias("status"))
 
 
-@query("F16_observations", """select issuer, qidx, concat_ws('|', case when income > 0 and fcf < 0 then 'cash_gap' end, case when income < 0 then 'loss' end, case when revenue < prior_revenue then 'revenue_fell' end, case when revenue > prior_revenue then 'revenue_grew' end) as observations from {snapshots}""")
+SEEN = ["revenue_growth", "free_cash_flow", "free_cash_flow_margin", "operating_margin", "net_margin"]
+VIEWS["seen"] = """select issuer, qidx, 'revenue_growth' as metric, case when prior_revenue > 0 then cast(revenue - prior_revenue as double) / cast(prior_revenue as double) end as value, false as extreme from {snapshots}
+  union all select issuer, qidx, 'free_cash_flow', case when capex >= 0 then cast(fcf as double) end, false from {snapshots} union all select issuer, qidx, 'free_cash_flow_margin', case when capex >= 0 then cast(fcf as double) / cast(revenue as double) end, false from {snapshots}
+  union all select issuer, qidx, 'operating_margin', cast(operating_income as double) / cast(revenue as double), abs(operating_income) > revenue from {snapshots} union all select issuer, qidx, 'net_margin', cast(income as double) / cast(revenue as double), abs(income) > revenue from {snapshots}"""
+VIEWS["rules"] = """select issuer, qidx, metric, value, extreme, case when metric = 'revenue_growth' then case when value > 0 then 'revenue_grew' when value < 0 then 'revenue_declined' when value = 0 then 'revenue_unchanged' end
+    when value < 0 then case metric when 'operating_margin' then 'operating_loss' when 'net_margin' then 'consolidated_loss' else 'cash_spending_gap' end end as rule from {seen}"""
+
+
+def seen(t: Data) -> DataFrame:
+    return metrics.long_metrics(t.snapshots, SEEN, KEYS).withColumn("usable", F.col("value").isNotNull())
+
+
+@query("F16_observations", "select issuer, qidx, metric, rule from {rules} where rule is not null")
 def f16(t: Data) -> DataFrame:
-    return t.snapshots.select(*KEYS, flags.text(metrics.observations()).alias("observations"))
+    return metrics.observed(seen(t)).select(*KEYS, "metric", "rule")
 
 
 LONG = ["price_earnings", "net_margin", "free_cash_flow_margin"]
@@ -177,14 +188,12 @@ def a16(t: Data) -> DataFrame:
     return long_rows(t).groupBy("metric", "qidx").agg(valid.alias("valid"), empty.alias("not_meaningful"), F.round(valid / F.count("*"), 6).alias("covered"))
 
 
-@query("O2_review_topics", """with r as (select issuer, qidx, case when income < 0 then 'data' when fcf < 0 then 'cash' when revenue < prior_revenue then 'operating' end as topic, qidx as ord from {snapshots}),
-  f as (select *, row_number() over (partition by issuer, topic order by qidx desc) as n from r where topic is not null),
-  g as (select *, row_number() over (partition by issuer order by case topic when 'data' then 1 when 'cash' then 2 else 3 end) as place from f where n = 1) select issuer, topic, qidx, cast(place as int) as place from g where place <= 3""")
+@query("O2_review_topics", """with c as (select issuer, qidx, metric, rule, case rule when 'cash_spending_gap' then 'cash_generation' when 'revenue_declined' then 'revenue' else 'earnings' end as topic, case rule when 'cash_spending_gap' then 1 else 2 end as rank from {rules} where rule in ('cash_spending_gap', 'revenue_declined', 'operating_loss', 'consolidated_loss')
+    union all select issuer, qidx, metric, case when value is null then 'data_review' else 'extreme_margin_review' end, case when value is null then 'data_availability' else 'extreme_margin' end, 0 from {seen} where value is null or extreme),
+  g as (select issuer, qidx, topic, min(rank || ':' || rule) as first, array_to_string(list_sort(list_distinct(list(metric))), '|') as metrics from c group by 1, 2, 3)
+  select * from (select issuer, qidx, topic, substr(first, 3) as rule, metrics, cast(row_number() over (partition by issuer, qidx order by first) as int) as place from g) where place <= 3""")
 def o2(t: Data) -> DataFrame:
-    topic = F.when(F.col("income") < 0, "data").when(F.col("fcf") < 0, "cash").when(F.col("revenue") < F.col("prior_revenue"), "operating")
-    one = t.snapshots.select(*KEYS, topic.alias("topic")).filter("topic is not null").groupBy("issuer", "topic").agg(F.max("qidx").alias("qidx"))
-    rank = F.when(F.col("topic") == "data", 1).when(F.col("topic") == "cash", 2).otherwise(3)
-    return one.withColumn("place", F.row_number().over(Window.partitionBy("issuer").orderBy(rank))).filter("place <= 3")
+    return metrics.review_items(seen(t), KEYS).select(*KEYS, "topic", "rule", flags.text(F.col("metrics")).alias("metrics"), "place")
 
 
 @query("P16_operand_compatibility", "select a.issuer, a.qidx, concat_ws('|', case when a.period_end <> b.period_end then 'different_period' end, case when a.revenue > 2 * b.revenue then 'different_scope' end) as reasons from {flows} a join {flows} b on a.issuer = b.issuer and b.qidx = a.qidx - a.qidx % 2")
@@ -238,29 +247,31 @@ def u3(t: Data) -> DataFrame:
     return t.documents.groupBy(F.md5("text").alias("text_hash")).agg(F.count("*").alias("copies"), (F.count_distinct("lang") > 1).alias("conflict")).filter("copies > 1")
 
 
-VIEWS["points"] = """select issuer, period_end as quarter_end, qidx, cast(income as double) as value, qidx * 10 as point_id from {flows} union all select issuer, period_end, qidx, cast(income as double), qidx * 10 + 1 from {flows} where qidx % 5 = 0
-  union all select issuer, period_end, qidx, cast(income as double) + 1, qidx * 10 + 2 from {flows} where qidx % 11 = 0 union all select issuer, period_start, qidx, cast(income as double), qidx * 10 + 3 from {flows} where qidx % 7 = 0"""
-VIEWS["sampled"] = """select p.*, case when quarter_end <> last_day(quarter_end) then 'not_quarter_end' when v.variants > 1 then 'conflicting_quarter' when row_number() over (partition by p.issuer, p.quarter_end order by point_id) > 1 then 'duplicate_sample' end as reason
-  from {points} p join (select issuer as i, quarter_end as q, count(distinct value) as variants from {points} group by 1, 2) v on v.i = p.issuer and v.q = p.quarter_end"""
+VIEWS["points"] = """select issuer, period_end as quarter_end, qidx, cast(income as double) as value, md5(cast(revenue as varchar(40))) as input_hash, qidx * 10 as point_id from {flows} union all select issuer, period_end, qidx, cast(income as double), md5(cast(revenue as varchar(40))), qidx * 10 + 1 from {flows} where qidx % 5 = 0
+  union all select issuer, period_end, qidx, cast(income as double) + 1, md5(cast(revenue as varchar(40))), qidx * 10 + 2 from {flows} where qidx % 11 = 0 union all select issuer, period_start, qidx, cast(income as double), md5(cast(revenue as varchar(40))), qidx * 10 + 3 from {flows} where qidx % 7 = 0
+  union all select issuer, last_day(period_start), qidx, cast(income as double), md5(cast(cost as varchar(40))), qidx * 10 + 4 from {flows} where qidx % 7 = 1 union all select issuer, period_end, qidx, cast(income as double), md5(cast(cost as varchar(40))), qidx * 10 + 5 from {flows} where income < cfo / -5 union all select issuer, period_end, qidx, null, ' ', qidx * 10 + 6 from {flows} where qidx % 12 = 3"""
+VIEWS["sampled"] = """with v as (select issuer as i, quarter_end as q, count(distinct (value, input_hash)) as variants from {points} group by 1, 2),
+  r as (select p.*, concat_ws('|', case when variants > 1 then 'conflicting_quarter' end, case when trim(input_hash) = '' then 'missing_lineage' end, case when value is null then 'missing_value' end, case when (month(quarter_end), day(quarter_end)) not in ((3, 31), (6, 30), (9, 30), (12, 31)) then 'not_quarter_end' end) as own from {points} p join v on v.i = p.issuer and v.q = p.quarter_end)
+  select issuer, quarter_end, qidx, value, point_id, case when own = '' and row_number() over (partition by issuer, quarter_end, own = '' order by point_id) > 1 then 'duplicate_sample' else own end as reasons from r"""
 
 
-@query("W6_sample_rules", "select issuer, point_id, reason from {sampled}")
+@query("W6_sample_rules", "select issuer, point_id, reasons from {sampled}")
 def w6(t: Data) -> DataFrame:
-    return history.sampled(t.points, ["issuer"]).select("issuer", "point_id", "reason")
+    return history.sampled(t.points, ["issuer"]).select("issuer", "point_id", flags.text(F.col("reasons")).alias("reasons"))
 
 
-VIEWS["band_dates"] = "select distinct issuer, period_end as as_of from {flows} where qidx % 4 = 3"
-VIEWS["bands"] = """select d.issuer, d.as_of, count(s.value) as samples, case when count(s.value) >= 4 then quantile_cont(s.value, 0.25) end as p25, case when count(s.value) >= 4 then quantile_cont(s.value, 0.5) end as p50, case when count(s.value) >= 4 then quantile_cont(s.value, 0.75) end as p75, case when count(s.value) < 4 then 'insufficient_history' end as reason
-  from {band_dates} d left join (select * from {sampled} where reason is null) s on s.issuer = d.issuer and s.quarter_end <= d.as_of and s.quarter_end > d.as_of - interval 3 years group by 1, 2"""
+VIEWS["band_dates"] = "select distinct issuer, period_end as as_of from {flows}"
+VIEWS["bands"] = """select d.issuer, d.as_of, count(s.value) as samples, cast(datediff('quarter', d.as_of - interval 3 years, d.as_of) as int) as expected, case when count(s.value) >= 4 then quantile_cont(s.value, 0.25) end as p25, case when count(s.value) >= 4 then quantile_cont(s.value, 0.5) end as p50, case when count(s.value) >= 4 then quantile_cont(s.value, 0.75) end as p75, case when count(s.value) < 4 then 'insufficient_history' end as reason
+  from {band_dates} d left join (select * from {sampled} where reasons = '') s on s.issuer = d.issuer and s.quarter_end <= d.as_of and s.quarter_end > d.as_of - interval 3 years group by 1, 2"""
 
 
 def band_rows(t: Data) -> DataFrame:
     return history.bands(history.sampled(t.points, ["issuer"]), t.band_dates, ["issuer"], 3, 4)
 
 
-@query("A17_history_band", "select issuer, as_of, samples, round(p25, 6) as p25, round(p50, 6) as p50, round(p75, 6) as p75, reason from {bands}")
+@query("A17_history_band", "select issuer, as_of, samples, expected, cast(expected - samples as bigint) as missing, round(p25, 6) as p25, round(p50, 6) as p50, round(p75, 6) as p75, reason from {bands}")
 def a17(t: Data) -> DataFrame:
-    return band_rows(t).select("issuer", "as_of", "samples", r6("p25"), r6("p50"), r6("p75"), "reason")
+    return band_rows(t).select("issuer", "as_of", "samples", "expected", "missing", r6("p25"), r6("p50"), r6("p75"), "reason")
 
 
 @query("F17_compared_to_history", "select b.issuer, b.as_of, case when b.p25 is null then 'unavailable' when cast(f.income as double) < b.p25 then 'below' when cast(f.income as double) > b.p75 then 'above' else 'within' end as place from {bands} b join {flows} f on f.issuer = b.issuer and f.period_end = b.as_of")
@@ -269,18 +280,20 @@ def f17(t: Data) -> DataFrame:
     return joined.select("issuer", "as_of", history.compared_to_band(F.col("now")).alias("place"))
 
 
-@query("W12_sector_history_points", "select b.issuer, b.as_of, round(b.p50, 6) as middle, case when b.issuer % 2 = 0 then 'band_suppressed' when b.p50 is null then 'gap' else 'point' end as state from {bands} b")
+@query("W12_sector_history_points", "select b.issuer, b.as_of, round(b.p50, 6) as middle, case when i.cap < 0 then 'band_suppressed' when b.p50 is null then 'gap' else 'point' end as state from {bands} b join {issuers} i on i.issuer = b.issuer")
 def w12(t: Data) -> DataFrame:
     """Points with their band; a backcast with current members shows no band."""
-    backcast = F.col("issuer") % 2 == 0
-    return band_rows(t).select("issuer", "as_of", r6("p50", "middle"), F.when(backcast, "band_suppressed").when(F.col("p50").isNull(), "gap").otherwise("point").alias("state"))
+    rows = band_rows(t).join(t.issuers.select("issuer", (F.col("cap") < 0).alias("backcast")), "issuer")
+    return rows.select("issuer", "as_of", r6("p50", "middle"), F.when(F.col("backcast"), "band_suppressed").when(F.col("p50").isNull(), "gap").otherwise("point").alias("state"))
 
 
-@query("W7_growth_trend", """with x as (select issuer, qidx, ratio - lag(ratio) over w as second, lag(ratio) over w - lag(ratio, 2) over w as first from {growth_rows} window w as (partition by issuer order by qidx))
-  select issuer, qidx, case when first is null or second is null then 'incomplete' when abs(first) <= 0.02 and abs(second) <= 0.02 then 'broadly_stable' when first >= -0.02 and second >= -0.02 then 'rising' when first <= 0.02 and second <= 0.02 then 'falling' else 'mixed' end as trend from x""")
+@query("W7_growth_trend", """with g as (select a.issuer, a.period_end, a.qidx, case when b.revenue > 0 then cast(a.revenue - b.revenue as double) / cast(b.revenue as double) end as rate from {gapped} a left join {gapped} b on a.issuer = b.issuer and a.qidx = b.qidx + 4),
+  x as (select issuer, period_end, rate - lag(rate) over w as second, lag(rate) over w - lag(rate, 2) over w as first, qidx - lag(qidx) over w as s1, lag(qidx) over w - lag(qidx, 2) over w as s2, lag(qidx, 2) over w as far from g window w as (partition by issuer order by period_end)),
+  y as (select *, concat_ws('|', case when s1 <> 1 or s2 <> 1 then 'nonconsecutive_trend_quarters' end, case when far is null then 'three_quarterly_rates_required' end, case when far is not null and (first is null or second is null) then 'trend_input_unavailable' end) as reasons from x)
+  select issuer, period_end, reasons, case when reasons = '' then case when first > 0.02 and second > 0.02 then 'rising' when first < -0.02 and second < -0.02 then 'falling' when abs(first) <= 0.02 and abs(second) <= 0.02 then 'broadly_stable' else 'mixed' end end as trend from y""")
 def w7(t: Data) -> DataFrame:
-    rate = F.when(F.col("prior_revenue") > 0, scalar.ratio(F.col("revenue") - F.col("prior_revenue"), F.col("prior_revenue")))
-    return history.trend(t.snapshots.select(*KEYS, rate.alias("rate")), ["issuer"], "qidx", "rate", 0.02).select(*KEYS, "trend")
+    rates = periods.compared(t.gapped, ["issuer"], "revenue")
+    return history.trend(rates, ["issuer"], "growth", 0.02).select("issuer", "period_end", flags.text(F.col("reasons")).alias("reasons"), "trend")
 
 
 @query("P21_history_window", "select issuer, qidx from {snapshots} where period_end > date '1997-12-31' and period_end <= date '1999-12-31'")

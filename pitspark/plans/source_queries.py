@@ -46,22 +46,22 @@ VIEWS["bars"] = "select user_id as issuer, cast(ts as date) as session, event_id
 
 
 def price_bodies(t: Data) -> DataFrame:
-    close = F.when(F.col("event_id") % 7 == 0, F.lit("null")).when(F.col("event_id") % 7 == 1, F.lit("true")).when(F.col("event_id") % 7 == 2, F.lit("-1")).otherwise(F.col("close").cast("string"))
+    close = F.when(F.col("event_id") % 7 == 0, F.lit("null")).when(F.col("event_id") % 7 == 1, F.lit("true")).when(F.col("event_id") % 7 == 2, F.lit("-1")).when(F.col("event_id") % 7 == 4, F.concat(F.lit('"'), F.col("close").cast("string"), F.lit('"'))).otherwise(F.col("close").cast("string"))
     pair = F.when(F.col("event_id") % 7 == 3, F.lit("")).otherwise(F.concat(F.lit(',"close":'), close))
-    text = F.concat(F.lit('{"date":"'), F.col("session").cast("string"), F.lit('T00:00:00Z","open":'), F.col("low").cast("string"), F.lit(',"high":'), F.col("high").cast("string"), F.lit(',"low":'), F.col("low").cast("string"), pair, F.lit("}"))
+    text = F.concat(F.lit('{"date":"'), F.col("session").cast("string"), F.lit('T00:00:00Z","open":'), F.col("low").cast("string"), F.lit(',"high":'), F.col("high").cast("string"), F.lit(',"low":'), F.col("low").cast("string"), F.lit(',"adjClose":'), F.col("high").cast("string"), F.lit(',"splitFactor":1.0'), pair, F.lit("}"))
     return t.bars.filter("n = 1").withColumn("text", text).groupBy("issuer").agg(F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list("text")), ","), F.lit("]")).alias("body"))
 
 
-PRICE_STATE = "case event_id % 7 when 3 then 'missing' when 0 then 'source_null' when 1 then 'unparseable' when 2 then 'unparseable' else 'observed' end"
+PRICE_STATE = "case event_id % 7 when 3 then 'missing' when 0 then 'source_null' when 1 then 'unparseable' when 2 then 'unparseable' when 4 then 'unparseable' else 'observed' end"
 
 
 def prices(t: Data) -> DataFrame:
     return bodies.eod_prices(price_bodies(t), ["issuer"], "2024-01-03", "2024-01-20")
 
 
-@query("S3_scan_eod_prices", f"select issuer, session, cast(high as double) as high, {PRICE_STATE} as close_state, cast(case when event_id % 7 > 3 then close end as double) as close, 'missing' as volume_state, null::varchar as problem from {{bars}} where n = 1 and session between date '2024-01-03' and date '2024-01-20'")
+@query("S3_scan_eod_prices", f"select issuer, session, cast(high as double) as high, {PRICE_STATE} as close_state, cast(case when event_id % 7 > 4 then close end as double) as close, 'missing' as volume_state, cast(high as double) as adj_close, 1.0::double as split_factor, null::varchar as problem from {{bars}} where n = 1 and session between date '2024-01-03' and date '2024-01-20'")
 def s3(t: Data) -> DataFrame:
-    return prices(t).select("issuer", "session", F.col("high").cast("double").alias("high"), "close_state", F.col("close").cast("double").alias("close"), "volume_state", "problem")
+    return prices(t).select("issuer", "session", F.col("high").cast("double").alias("high"), "close_state", F.col("close").cast("double").alias("close"), "volume_state", F.col("adjClose").cast("double").alias("adj_close"), F.col("splitFactor").cast("double").alias("split_factor"), "problem")
 
 
 @query("P2_tri_state_numbers", f"select issuer, {PRICE_STATE} as state, count(*) as n from {{bars}} where n = 1 and session between date '2024-01-03' and date '2024-01-20' group by 1, 2")
@@ -113,7 +113,7 @@ def inline_documents(t: Data) -> DataFrame:
     sign = F.when(F.col("income") < 0, F.lit(' sign="-"')).otherwise("")
     amount = F.format_number(F.abs(F.round("income", 0)), 0)
     body = F.concat(
-        F.lit('<html xmlns:ix="urn:ix"><context id="c1">'), F.col("period_end").cast("string"), F.lit('</context><unit id="u1">USD</unit><p><ix:nonFraction id="f1" name="gaap:Income" contextRef="c1" unitRef="u1" scale="3"'), sign, F.lit(">"), amount,
+        F.lit('<html xmlns:ix="urn:ix"><context id="c1"><entity><segment><explicitMember dimension="d:B">m:2</explicitMember><explicitMember dimension="d:A">m:1</explicitMember></segment></entity><period>'), F.col("period_end").cast("string"), F.lit('</period></context><unit id="u1">USD</unit><p><ix:nonFraction id="f1" name="gaap:Income" contextRef="c1" unitRef="u1" decimals="-3" format="ixt:num-dot-decimal" scale="'), F.when(F.col("qidx") % 10 == 5, F.lit("x")).otherwise(F.lit("3")), F.lit('"'), sign, F.lit(">"), amount,
         F.lit("</ix:nonFraction></p>"), F.when(F.col("qidx") % 10 == 0, F.lit("<br>")).otherwise(F.lit("")), F.lit("</html>"),
     )
     return t.flows.select((F.col("issuer") * 100000 + F.col("qidx")).alias("doc"), body.alias("body"))
@@ -122,24 +122,31 @@ def inline_documents(t: Data) -> DataFrame:
 INLINE = "issuer * 100000 + qidx as doc"
 
 
-@query("S6_extract_inline_facts", f"select {INLINE}, case when qidx % 10 = 0 then 'problem' else k end as kind, count(*) as n from {{flows}} cross join (values ('fact'), ('context'), ('unit')) v(k) where qidx % 10 <> 0 or k = 'fact' group by 1, 2")
+@query("S6_extract_inline_facts", f"select {INLINE}, case when qidx % 10 = 0 or (qidx % 10 = 5 and k = 'fact') then 'problem' else k end as kind, case when qidx % 10 = 0 then 'not_well_formed' when k = 'fact' and qidx % 10 = 5 then 'scale_invalid' when k = 'fact' then 'gaap:Income' end as name, case when k = 'context' and qidx % 10 <> 0 then 'd:A=m:1|d:B=m:2' else '' end as dimensions from {{flows}} cross join (values ('fact'), ('context'), ('unit')) v(k) where qidx % 10 <> 0 or k = 'fact'")
 def s6(t: Data) -> DataFrame:
-    return bodies.inline_facts(inline_documents(t), "doc").groupBy("doc", "kind").agg(F.count("*").alias("n"))
+    return bodies.inline_facts(inline_documents(t), "doc").select("doc", "kind", "name", flags.text(F.col("dimensions")).alias("dimensions"))
 
 
-@query("J22_fact_context_unit", f"select {INLINE}, cast(period_end as varchar) as period, 'USD' as measure, cast(round(income, 0) as double) * 1000 as value from {{flows}} where qidx % 10 <> 0")
+@query("J22_fact_context_unit", f"select {INLINE}, cast(period_end as varchar) as period, 'USD' as measure, cast(round(income, 0) as double) * 1000 as value from {{flows}} where qidx % 10 not in (0, 5)")
 def j22(t: Data) -> DataFrame:
-    facts = bodies.resolved_facts(bodies.inline_facts(inline_documents(t), "doc"))
-    value = scalar.scaled_number(F.col("text"), F.col("scale"), F.col("sign"), F.lit(False))
-    return facts.select("doc", "period", "measure", (F.coalesce(value, -value) + F.lit(0.0)).alias("value"))
+    facts = bodies.selected_facts(bodies.resolved_facts(bodies.inline_facts(inline_documents(t), "doc")), "gaap:Income", ["d:B=m:2", "d:A=m:1"])
+    value = scalar.scaled_number(F.col("text"), F.col("scale"), F.col("sign"), F.col("form"))
+    return facts.select("doc", "period", "measure", (value.cast("double") + F.lit(0.0)).alias("value"))
 
 
-@query("F19_scaled_numbers", "select event_id, round(cast(cast(value * 100 as bigint) as double) * case event_id % 3 when 0 then 1 when 1 then 1000 else 0.01 end * case when event_id % 2 = 0 then 1 else -1 end, 2) as value from {events} where event_type = 'view'")
+@query("F19_scaled_numbers", """select event_id, case when event_type = 'error' then 0.0 when event_type = 'click' and event_id % 5 = 0 then null else cast(w as double) * case event_id % 3 when 0 then 1 when 1 then 1000 else 1 end / case when event_id % 3 = 2 then 100 else 1 end * case when event_id % 2 = 0 then 1 else -1 end end as value
+  from (select event_id, event_type, cast(round(value * 100) as bigint) as w from {events})""")
 def f19(t: Data) -> DataFrame:
+    """Errors show a dash that stands for zero, clicks bare digits (some with commas, not a number there),
+    purchases a plus sign and a point, others commas under a transform."""
     whole = F.round(F.col("value") * 100, 0).cast("long")
+    shown = F.format_number(whole, 0)
+    kind, fifth = F.col("event_type"), F.col("event_id") % 5 == 0
+    text = F.when(kind == "error", "-").when(kind == "click", F.when(fifth, F.concat(F.lit("1,"), shown)).otherwise(whole.cast("string"))).when(kind == "purchase", F.concat(F.lit(" +"), whole.cast("string"), F.lit(".\n"))).otherwise(shown)
+    form = F.when(kind == "error", "fixed-zero").when(kind.isin("click", "purchase"), F.lit(None)).otherwise("num-dot-decimal")
     scale = F.when(F.col("event_id") % 3 == 0, 0).when(F.col("event_id") % 3 == 1, 3).otherwise(-2)
-    value = scalar.scaled_number(F.format_number(whole, 0), scale, F.when(F.col("event_id") % 2 == 1, "-"), F.lit(False))
-    return t.events.filter("event_type = 'view'").select("event_id", F.round(value, 2).alias("value"))
+    value = scalar.scaled_number(text, scale, F.when(F.col("event_id") % 2 == 1, "-"), form)
+    return t.events.select("event_id", (value.cast("double") + F.lit(0.0)).alias("value"))
 
 
 @query("S7_read_years", "select year(l_shipdate) as year, count(*) as n from {lineitem} where l_shipdate >= timestamp '1997-01-01 00:00:00' and l_shipdate < timestamp '1999-01-01 00:00:00' group by 1")
@@ -175,9 +182,9 @@ def s12(t: Data) -> DataFrame:
     return bodies.verified(rows).select("page_id", "problem")
 
 
-@query("S13_unavailable_batch", "select distinct user_id as request, 'source_unavailable' as flag, 0 as observations from {events} where event_type = 'error' and user_id % 3 = 0")
+@query("S13_unavailable_batch", "select distinct user_id as request, 'source_unavailable' as flag, 0 as observations from {events} where event_type = 'error'")
 def s13(t: Data) -> DataFrame:
-    failed = t.events.filter("event_type = 'error' and user_id % 3 = 0").select(F.col("user_id").alias("request")).distinct()
+    failed = t.events.filter("event_type = 'error'").select(F.col("user_id").alias("request")).distinct()
     return failed.select("request", F.lit("source_unavailable").alias("flag"), F.lit(0).alias("observations"))
 
 

@@ -28,11 +28,7 @@ def j13(t: Data) -> DataFrame:
 
 @query("U2_inventory_differences", "select state, count(*) as n from {changes} where state <> 'same' group by 1")
 def u2(t: Data) -> DataFrame:
-    key = ["issuer", "accession"]
-    new, gone = t.current.join(t.baseline, key, "left_anti"), t.baseline.join(t.current, key, "left_anti")
-    both = t.baseline.join(t.current.select(*key, F.col("content").alias("now")), key).filter(~F.col("content").eqNullSafe(F.col("now")))
-    parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("state"), "n") for df, name in ((new, "new"), (gone, "removed"), (both, "changed"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).filter("n > 0")
+    return changed(t).filter("state <> 'same'").groupBy("state").agg(F.count("*").alias("n"))
 
 
 @query("U1_union_of_documents", "select accession, count(*) as copies from (select accession from {baseline} union all select accession from {current}) group by 1")
@@ -40,13 +36,21 @@ def u1(t: Data) -> DataFrame:
     return t.baseline.select("accession").unionByName(t.current.select("accession")).groupBy("accession").agg(F.count("*").alias("copies"))
 
 
-@query("A19_change_outcome", """select issuer, case when removed > 0 then 'incomplete' when new > 0 and chg > 0 then 'mixed' when chg > 0 then 'changed' when new > 0 and amended = new then 'amendment' when new > 0 then 'new' else 'no_change' end as outcome
-  from (select issuer, count(case when state = 'removed' then 1 end) as removed, count(case when state = 'new' then 1 end) as new, count(case when state = 'changed' then 1 end) as chg, count(case when state = 'new' and form = 'P' then 1 end) as amended from {changes} group by 1)""")
+INVENTORY = "select o_custkey as issuer, o_orderkey as accession, case when o_orderpriority = '1-URGENT' then '10-K/A' when o_orderpriority = '5-LOW' then '8-K' else '10-K' end as form, case when o_orderstatus = 'P' then null else o_orderdate end as acceptance_at, cast(timestamp '{cutoff} 00:00:00' as timestamp) as cutoff, {content} as content from {{orders}} where {held}"
+VIEWS["old_inventory"] = INVENTORY.format(cutoff=DAY1, content="cast(o_totalprice as decimal(12,2))", held=f"o_orderdate < timestamp '{DAY1} 00:00:00' + interval 20 day")
+VIEWS["new_inventory"] = INVENTORY.format(cutoff="1998-05-01", content="cast(o_totalprice + case when o_orderkey % 150 = 0 then 1 else 0 end as decimal(12,2))", held="o_orderdate < timestamp '1998-06-01 00:00:00' and o_orderkey % 197 <> 0") + " union all " + INVENTORY.format(cutoff="1998-05-01", content="cast(o_totalprice as decimal(12,2))", held="o_orderdate < timestamp '1998-02-01 00:00:00' and o_orderkey % 211 = 1")
+
+
+@query("A19_change_outcome", """with s as (select issuer, accession, 'baseline' as side, count(*) as copies, bool_or(acceptance_at is null) as unverified, coalesce(bool_or(acceptance_at <= cutoff), false) as held, min(form) as form, min(content) as content from {old_inventory} where form in ('10-K', '10-K/A') group by 1, 2
+    union all select issuer, accession, 'current', count(*), bool_or(acceptance_at is null), coalesce(bool_or(acceptance_at <= cutoff), false), min(form), min(content) from {new_inventory} where form in ('10-K', '10-K/A') group by 1, 2),
+  k as (select coalesce(a.issuer, b.issuer) as issuer, coalesce(a.held, false) as was, coalesce(b.held, false) as now, a.content as before, b.content as after, b.form as form, coalesce(a.unverified, false) as au, coalesce(b.unverified, false) as bu, coalesce(a.copies > 1, false) as ad, coalesce(b.copies > 1, false) as bd
+    from (select * from s where side = 'baseline') a full outer join (select * from s where side = 'current') b on a.issuer = b.issuer and a.accession = b.accession),
+  o as (select issuer, count(case when now and not was and form = '10-K' then 1 end) as originals, count(case when now and not was and form = '10-K/A' then 1 end) as amendments, concat_ws('|', case when bool_or(au) then 'baseline_acceptance_unverified' end, case when bool_or(was and not now) then 'baseline_accession_missing' end, case when bool_or(ad) then 'baseline_duplicate_accession' end,
+    case when bool_or(bu) then 'current_acceptance_unverified' end, case when bool_or(bd) then 'current_duplicate_accession' end, case when bool_or(was and now and before <> after) then 'existing_accession_metadata_changed' end) as flags from k group by 1)
+  select issuer, originals, amendments, flags, case when flags <> '' then 'incomplete' when originals > 0 and amendments > 0 then 'mixed_changes' when originals > 0 then 'new_filing' when amendments > 0 then 'amendment' else 'no_change' end as outcome from o""")
 def a19(t: Data) -> DataFrame:
-    rows = changed(t).join(t.current.select("issuer", "accession", "form"), ["issuer", "accession"], "left")
-    new = F.count_if(F.col("state") == "new")
-    found = changes.outcome(F.count_if(F.col("state") == "removed"), new, F.count_if(F.col("state") == "changed"), F.count_if((F.col("state") == "new") & (F.col("form") == "P")))
-    return rows.groupBy("issuer").agg(found.alias("outcome"))
+    found = changes.compared_inventories(t.old_inventory, t.new_inventory, ["issuer"], ["10-K", "10-K/A"])
+    return found.select("issuer", "originals", "amendments", flags.text(F.col("flags")).alias("flags"), "outcome")
 
 
 @query("P19_inventory_at_cutoff", f"select o_orderkey as accession, case when o_orderdate > timestamp '{DAY1} 00:00:00' then 'excluded_after_cutoff' else 'selected' end as state from {{orders}} where o_orderstatus in ('F', 'P')")
@@ -86,7 +90,7 @@ def f22(t: Data) -> DataFrame:
     return t.nation.select("n_nationkey", scalar.content_id(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"), note).alias("id"))
 
 
-@query("F24_slot_due_time", "select event_id, floor(epoch(ts))::bigint + (event_id % 5) * 3600 + cast('0x' || substr(sha256(cast(user_id as varchar) || ':' || cast(event_id % 5 as varchar)), 1, 8) as bigint) % 300 as due from {events}")
+@query("F24_slot_due_time", "select event_id, floor(epoch(ts))::bigint + (event_id % 5) * 3600 + cast(cast('0x' || substr(sha256(cast(user_id as varchar) || chr(10) || cast(event_id % 5 as varchar)), 1, 16) as ubigint) % 301 as bigint) as due from {events}")
 def f24(t: Data) -> DataFrame:
     slot = F.col("event_id") % 5
     due = scalar.slot_due(F.col("ts").cast("timestamp"), slot, 3600, 300, F.col("user_id").cast("string"))
@@ -149,27 +153,36 @@ def v3(t: Data) -> DataFrame:
     return valuation.bridge(valuation.forward(cases(t)), t.claims, ["issuer"]).select("issuer", "scenario", r2("equity"))
 
 
+VIEWS["targets"] = """select p.*, cast(s.cap as double) * 4 as target, cast(s.error as double) * 200 as shares, y1 / 1.1 + y2 / (1.1 * 1.1) + y3 / (1.1 * 1.1 * 1.1) as held from {paths} p join {snapshots} s on s.issuer = p.issuer and s.qidx = 7999"""
+#: The value is a straight line in the margin on either side of zero, as tax is paid on profits only.
+VIEWS["solved"] = """select *, case when margin > -0.5 and margin < 1 then 'converged' else 'no_solution' end as state, case when margin > -0.5 and margin < 1 then margin end as solution
+  from (select *, case when target - tv + 0.05 * held >= 0 then (target - tv + 0.05 * held) / (0.75 * held) else (target - tv + 0.05 * held) / held end as margin from {targets})"""
+
+
 def targeted(t: Data) -> DataFrame:
-    base = cases(t).filter("scenario = 'base'")
-    values = valuation.forward(base).select("issuer", F.col("ev").alias("target"))
-    return base.join(values, "issuer").withColumn("target", F.when(F.col("issuer") % 7 == 0, F.lit(-1e12)).otherwise(F.col("target")))
+    anchors = t.snapshots.filter("qidx = 7999").select("issuer", (F.col("cap").cast("double") * 4).alias("target"), (F.col("error").cast("double") * 200).alias("shares"))
+    return cases(t).join(anchors, "issuer")
 
 
-@query("V4_reverse_solve", "select issuer, case when issuer % 7 = 0 then 'no_solution' else 'converged' end as state, case when issuer % 7 <> 0 then 0.06 end::double as solution from {anchors}")
+@query("V4_reverse_solve", "select issuer, scenario, state, round(solution, 4) as solution from {solved}")
 def v4(t: Data) -> DataFrame:
-    solved = valuation.reverse_solve(targeted(t), ["issuer"], "growth", -0.305, 0.505)
-    return solved.select("issuer", "state", F.round("solution", 4).alias("solution"))
+    solved = valuation.reverse_solve(targeted(t), ["issuer", "scenario"], "margins", -0.5, 1.0)
+    return solved.select("issuer", "scenario", "state", F.round("solution", 4).alias("solution"))
+
+
+def results(t: Data) -> DataFrame:
+    return valuation.scenario_results(targeted(t), ["issuer", "scenario"], "margins", -0.5, 1.0)
 
 
-@query("V5_scenario_results", "select issuer, scenario, round((pv + tv) / 1000, 2) as per_share from {paths}")
+@query("V5_scenario_results", "select issuer, scenario, state, round(case when state = 'converged' then target end, 2) as ev, round(case when state = 'converged' then target / shares end, 2) as per_share from {solved}")
 def v5(t: Data) -> DataFrame:
-    return valuation.forward(cases(t)).select("issuer", "scenario", F.round(F.col("ev") / 1000, 2).alias("per_share"))
+    return results(t).select("issuer", "scenario", "state", r2("ev"), r2("per_share"))
 
 
-@query("A20_scenario_span", "select issuer, round(min(pv + tv), 2) as low, round(max(pv + tv), 2) as high from {paths} group by 1")
+@query("A20_scenario_span", "select issuer, round(case when bool_and(state = 'converged') then min(solution) end, 4) as low, round(case when bool_and(state = 'converged') then max(solution) end, 4) as high from {solved} group by 1")
 def a20(t: Data) -> DataFrame:
-    rows = valuation.forward(cases(t)).withColumn("state", F.lit("converged"))
-    return valuation.span(rows, ["issuer"], "ev", "state").select("issuer", r2("low"), r2("high"))
+    found = valuation.span(results(t), ["issuer"], "solution", "state")
+    return found.select("issuer", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
 
 
 @query("J21_companies_and_cells", "select a.issuer, s.scenario, cast(x as int) as x, cast(y as int) as y from {anchors} a cross join {scenarios} s cross join range(-1, 2) u(x) cross join range(-1, 2) v(y)")

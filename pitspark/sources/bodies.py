@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FACTS = "struct<facts:map<string,map<string,struct<units:map<string,array<struct<start:string,end:string,val:decimal(38,4),accn:string,form:string,filed:string>>>>>>>"
-FILINGS = "struct<filings:struct<recent:struct<accessionNumber:array<string>,form:array<string>,filingDate:array<string>>>>"
-PRICE_FIELDS = ("open", "high", "low", "close", "volume")
+FILINGS = "struct<filings:struct<recent:struct<accessionNumber:array<string>,form:array<string>,filingDate:array<string>>,files:array<struct<name:string,filingCount:long,filingFrom:string,filingTo:string>>>>"
+#: Fields of a session, raw and adjusted, as the source names them (fixed values).
+PRICE_FIELDS = ("open", "high", "low", "close", "volume", "adjOpen", "adjHigh", "adjLow", "adjClose", "adjVolume", "divCash", "splitFactor")
+MOST_BYTES = 64 << 20
 
 
 def company_facts(bodies: DataFrame, keys: list[str]) -> DataFrame:
@@ -31,36 +33,54 @@ def filing_index(bodies: DataFrame, keys: list[str]) -> DataFrame:
     return found.select(*keys, "i", "x.accession", "x.form", F.to_date("x.filed").alias("filed"), F.when(~F.coalesce("fits", F.lit(False)), "array_length_mismatch").alias("problem"))
 
 
+def older_documents(bodies: DataFrame, keys: list[str]) -> DataFrame:
+    """References to documents with older filings, with their bounds; one without a name or with bounds
+    that are missing or crossed has a problem."""
+    files = bodies.select(*keys, F.explode(F.from_json("body", FILINGS).getField("filings").getField("files")).alias("f"))
+    low, high = (F.col(f"f.{c}").try_cast("date") for c in ("filingFrom", "filingTo"))
+    problem = F.when(F.coalesce(F.col("f.name"), F.lit("")) == "", "name_missing").when(low.isNull() | high.isNull(), "bounds_missing").when(low > high, "bounds_crossed")
+    return files.select(*keys, F.col("f.name").alias("name"), F.col("f.filingCount").alias("advertised"), low.alias("date_from"), high.alias("date_to"), problem.alias("problem"))
+
+
 def tri_state(value: Column, present: Column) -> tuple[Column, Column]:
-    """(state, number) of a JSON value given as its text: absent, null, not a number or negative, observed."""
-    number = F.when(value.rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"), value).try_cast("decimal(28,6)")
-    bad = number.isNull() | (number < 0)
-    state = F.when(~present, "missing").when(value.isNull(), "source_null").when(bad, "unparseable").otherwise("observed")
+    """(state, number) of a JSON value kept as a variant, so that a number in quotes or a boolean is not a
+    number: absent is missing, null is source_null, other types and negative numbers are unparseable."""
+    kind = F.schema_of_variant(value)
+    number = F.when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(value, "$", "decimal(28,6)"))
+    state = F.when(~present, "missing").when(F.is_variant_null(value), "source_null").when(number.isNull() | (number < 0), "unparseable").otherwise("observed")
     return state, F.when(state == "observed", number)
 
 
 def eod_prices(bodies: DataFrame, keys: list[str], low: str, high: str) -> DataFrame:
-    """Sessions within the window, each field with state and value; a date that repeats is a problem."""
-    rows = bodies.select(*keys, F.explode(F.from_json("body", "array<map<string,string>>")).alias("m"))
-    day = F.when(F.col("m")["date"].rlike(r"^\d{4}-\d{2}-\d{2}(T00:00:00(\.0+)?(Z|\+00:00))?$"), F.substring(F.col("m")["date"], 1, 10)).try_cast("date")
-    columns = [day.alias("session")]
+    """Sessions within the window, each field with state and value.
+
+    Problems: a body that is not an array of objects, or that repeats a key (one row with
+    body_malformed), a date that is not a plain day, and a date that repeats."""
+    parsed = bodies.select(*keys, F.expr("try_cast(try_variant_get(try_parse_json(body), '$', 'array<variant>') as array<variant>)").alias("a"))
+    rows = parsed.select(*keys, F.col("a").isNull().alias("bad"), F.explode_outer("a").alias("v")).filter("bad or v is not null").select(*keys, "bad", F.expr("try_variant_get(v, '$', 'map<string,variant>')").alias("m"))
+    text = F.try_variant_get(F.col("m")["date"], "$", "string")
+    day = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}(T00:00:00(\.0+)?(Z|[+-]\d{2}:\d{2}))?$"), F.substring(text, 1, 10)).try_cast("date")
+    columns = [day.alias("session"), F.when(F.col("bad") | F.col("m").isNull(), "body_malformed").when(day.isNull(), "date_invalid").alias("problem")]
     for f in PRICE_FIELDS:
         state, value = tri_state(F.col("m")[f], F.map_contains_key("m", f))
         columns += [state.alias(f"{f}_state"), value.alias(f)]
-    found = rows.select(*keys, *columns).filter(F.col("session").between(F.lit(low).cast("date"), F.lit(high).cast("date")))
+    found = rows.select(*keys, *columns).filter(F.col("session").between(F.lit(low).cast("date"), F.lit(high).cast("date")) | F.col("problem").isNotNull())
     many = F.count("*").over(Window.partitionBy(*keys, "session"))
-    return found.withColumn("problem", F.when(many > 1, "duplicate_session"))
+    return found.withColumn("problem", F.coalesce("problem", F.when(many > 1, "duplicate_session")))
 
 
-def ohlc_flags() -> Column:
-    """Fields in doubt where high is under low or open or close outside them; values stay."""
-    broken = (F.col("high") < F.col("low")) | ~F.col("open").between(F.col("low"), F.col("high")) | ~F.col("close").between(F.col("low"), F.col("high"))
-    return F.when(F.coalesce(broken, F.lit(False)), F.array(*[F.lit(x) for x in ("close", "high", "low", "open")])).otherwise(F.array().cast("array<string>"))
+def ohlc_flags(prefix: str = "") -> Column:
+    """Fields in doubt where high is under low or open or close outside them; values stay, and volume is
+    not in doubt. ``prefix`` is "adj" for the adjusted group."""
+    names = {x: f"adj{x.capitalize()}" if prefix else x for x in ("close", "high", "low", "open")}
+    close, high, low, open_ = (F.col(names[x]) for x in ("close", "high", "low", "open"))
+    broken = (high < low) | ~open_.between(low, high) | ~close.between(low, high)
+    return F.when(F.coalesce(broken, F.lit(False)), F.array(*[F.lit(x) for x in names.values()])).otherwise(F.array().cast("array<string>"))
 
 
 def macro_pages(pages: DataFrame, request: list[str]) -> DataFrame:
     """Observations of pages whose offsets follow each other and whose totals agree, else a problem."""
-    held = pages.withColumns({"obs": F.from_json("body", "struct<offset:long,count:long,observations:array<struct<date:string,value:string>>>")}).select(*request, "obs.*").withColumn("n", F.size("observations").cast("long"))
+    held = pages.withColumns({"obs": F.from_json("body", "struct<offset:long,count:long,observations:array<struct<date:string,value:string,realtime_start:string,realtime_end:string>>>")}).select(*request, "obs.*").withColumn("n", F.size("observations").cast("long"))
     order = Window.partitionBy(*request).orderBy("offset")
     before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     checked = held.withColumn("gap", (F.col("offset") != before).cast("int"))
@@ -69,7 +89,7 @@ def macro_pages(pages: DataFrame, request: list[str]) -> DataFrame:
     rows = checked.withColumn("problem", problem)
     out = rows.select(*request, "offset", "problem", F.posexplode_outer(F.when(F.col("problem").isNull(), F.col("observations"))).alias("i", "o"))
     state = F.when(F.col("o.value") == ".", "source_missing").when(F.col("o.value").try_cast("decimal(18,4)").isNull(), "unparseable").otherwise("observed")
-    return out.select(*request, (F.col("offset") + F.col("i")).alias("place"), F.to_date("o.date").alias("reference_date"), F.when(state == "observed", F.col("o.value").try_cast("decimal(18,4)")).alias("value"), F.when(F.col("o").isNotNull(), state).alias("state"), "problem")
+    return out.select(*request, (F.col("offset") + F.col("i")).alias("place"), F.to_date("o.date").alias("reference_date"), F.when(state == "observed", F.col("o.value").try_cast("decimal(18,4)")).alias("value"), F.when(F.col("o").isNotNull(), state).alias("state"), F.to_date("o.realtime_start").alias("realtime_start"), F.to_date("o.realtime_end").alias("realtime_end"), "problem")
 
 
 def yield_xml(bodies: DataFrame, keys: list[str], field: str) -> DataFrame:
@@ -81,45 +101,78 @@ def yield_xml(bodies: DataFrame, keys: list[str], field: str) -> DataFrame:
     return rows.select(*keys, F.to_date(F.substring("e.content.properties.NEW_DATE", 1, 10)).alias("reference_date"), value.alias("value"), F.when(raw.isNull() | (raw == ""), "source_null").when(value.isNull(), "unparseable").otherwise("observed").alias("state"))
 
 
+PARTS = "kind string, id string, name string, context string, unit string, text string, scale long, sign string, decimals string, form string, nil boolean, dimensions array<string>"
+
+
+def _inline_parts(body: str) -> Iterator[tuple]:
+    """The parts of one document in the order of :data:`PARTS`; what cannot be read is a problem part."""
+    from xml.etree import ElementTree
+
+    def problem(what: str, element=None) -> tuple:
+        return ("problem", None if element is None else element.get("id"), what, *[None] * 8, [])
+
+    if body is None or "<!ENTITY" in body or "<!DOCTYPE" in body:
+        yield problem("empty" if body is None else "declarations_refused")
+        return
+    if len(body.encode()) > MOST_BYTES:
+        yield problem("too_large")
+        return
+    try:
+        root = ElementTree.fromstring(body)
+    except ElementTree.ParseError:
+        yield problem("not_well_formed")
+        return
+    for e in root.iter():
+        name = e.tag.rpartition("}")[2] if isinstance(e.tag, str) else ""
+        text = "".join(e.itertext())
+        if name == "nonFraction":
+            scale = e.get("scale") or "0"
+            if not scale.lstrip("-").isdigit() or len(scale) > 4:
+                yield problem("scale_invalid", e)
+                continue
+            nil = next((v == "true" for k, v in e.attrib.items() if k.rpartition("}")[2] == "nil"), False)
+            form = (e.get("format") or "").rpartition(":")[2] or None
+            yield ("fact", e.get("id"), e.get("name"), e.get("contextRef"), e.get("unitRef"), text, int(scale), e.get("sign"), e.get("decimals"), form, nil, [])
+        elif name == "context":
+            members = sorted(f"{x.get('dimension')}={''.join(x.itertext()).strip()}" for x in e.iter() if isinstance(x.tag, str) and x.tag.rpartition("}")[2] in ("explicitMember", "typedMember"))
+            period = next(("".join(x.itertext()).strip() for x in e.iter() if isinstance(x.tag, str) and x.tag.rpartition("}")[2] == "period"), text.strip())
+            yield ("context", e.get("id"), None, None, None, period, None, None, None, None, None, members)
+        elif name == "unit":
+            yield ("unit", e.get("id"), None, None, None, text.strip(), *[None] * 5, [])
+
+
 def inline_facts(documents: DataFrame, key: str) -> DataFrame:
-    """Facts, contexts and units of XHTML documents, one row each (kind, id, name, context, unit, value, scale, sign)."""
+    """Facts, contexts and units of XHTML documents, one row each. Documents over 64 MiB, with entity or
+    type declarations or not well-formed, and facts with a bad scale, give a problem row; the job goes on."""
     import pandas as pd
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from xml.etree import ElementTree
+    names = [x.split()[0] for x in PARTS.split(", ")]
 
-        columns = ["doc", "kind", "id", "name", "context", "unit", "text", "scale", "sign"]
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for doc, body in zip(batch["doc"], batch["body"]):
-                try:
-                    root = ElementTree.fromstring(body)
-                except (ElementTree.ParseError, TypeError):
-                    rows.append((doc, "problem", None, "not_well_formed", None, None, None, None, None))
-                    continue
-                for e in root.iter():
-                    name = e.tag.rpartition("}")[2]
-                    if name == "nonFraction":
-                        rows.append((doc, "fact", e.get("id"), e.get("name"), e.get("contextRef"), e.get("unitRef"), "".join(e.itertext()), int(e.get("scale") or 0), e.get("sign")))
-                    elif name == "context":
-                        rows.append((doc, "context", e.get("id"), None, None, None, "".join(e.itertext()).strip(), None, None))
-                    elif name == "unit":
-                        rows.append((doc, "unit", e.get("id"), None, None, None, "".join(e.itertext()).strip(), None, None))
-            out = pd.DataFrame(rows, columns=columns)
-            out["scale"] = out["scale"].astype("Int64")
+            rows = [(doc, *part) for doc, body in zip(batch["doc"], batch["body"]) for part in _inline_parts(body)]
+            out = pd.DataFrame(rows, columns=["doc", *names])
+            out["scale"], out["nil"] = out["scale"].astype("Int64"), out["nil"].astype("boolean")
             yield out
 
     kind = documents.schema[key].dataType.simpleString()
-    return documents.select(F.col(key).alias("doc"), "body").mapInPandas(parse, f"doc {kind}, kind string, id string, name string, context string, unit string, text string, scale long, sign string")
+    return documents.select(F.col(key).alias("doc"), "body").mapInPandas(parse, f"doc {kind}, {PARTS}")
 
 
 def resolved_facts(parts: DataFrame) -> DataFrame:
-    """Facts with the texts of their contexts and units."""
-    contexts = parts.filter("kind = 'context'").select("doc", F.col("id").alias("context"), F.col("text").alias("period"))
+    """Facts with the periods and dimensions of their contexts and the texts of their units."""
+    contexts = parts.filter("kind = 'context'").select("doc", F.col("id").alias("context"), F.col("text").alias("period"), F.col("dimensions").alias("members"))
     units = parts.filter("kind = 'unit'").select("doc", F.col("id").alias("unit"), F.col("text").alias("measure"))
     return parts.filter("kind = 'fact'").join(contexts, ["doc", "context"], "left").join(units, ["doc", "unit"], "left")
 
 
+def selected_facts(resolved: DataFrame, tag: str, members: list[str]) -> DataFrame:
+    """Facts of a qualified tag whose context has exactly these dimensions, in any order; a nil fact counts
+    as chosen and has no value."""
+    wanted = F.array(*[F.lit(m) for m in sorted(members)]) if members else F.array().cast("array<string>")
+    return resolved.filter((F.col("name") == tag) & (F.col("members") == wanted)).withColumn("text", F.when(~F.coalesce("nil", F.lit(False)), F.col("text")))
+
+
 def verified(bodies: DataFrame) -> DataFrame:
     """problem is set where a body is not the one that was pinned."""
     raw = F.col("body").cast("binary")
@@ -151,4 +204,4 @@ def date_fits(day: Column, frequency: Column) -> Column:
 
 def write_by_year(rows: DataFrame, date: str, path: str) -> None:
     """Partitioned by year, so a read of some years touches those folders only."""
-    rows.withColumn("year", F.year(date)).repartition("year").write.partitionBy("year").mode("append").parquet(path)
+    rows.withColumn("year", F.year(date)).repartition("year", F.pmod(F.xxhash64(date), F.lit(32))).write.partitionBy("year").mode("append").parquet(path)

@@ -19,21 +19,37 @@ def company_rows(spark, rows):
     return spark.createDataFrame([(1, i, *[None if v is None else Decimal(v) for v in r], D(2025, 12, 31)) for i, r in enumerate(rows)], schema)
 
 
+def values(rows, *names, policy=sectors.Policy()):
+    found = sectors.sector_values(rows, ["sector"], {n: sectors.METRICS[n] for n in names}, policy).collect()
+    return {r.metric: r for r in found} if len(names) > 1 else found[0]
+
+
 def pe(spark, incomes, caps=None):
-    rows = company_rows(spark, [((caps or [100] * 9)[i], x, 1, 1) for i, x in enumerate(incomes)])
-    metric = sectors.METRICS["price_earnings"]
-    return sectors.sector_values(sectors.assessed(rows, metric), ["sector"], metric).first()
+    return values(company_rows(spark, [((caps or [100] * 9)[i], x, 1, 1) for i, x in enumerate(incomes)]), "price_earnings")
 
 
 def test_total_keeps_a_loss_and_the_distribution_leaves_it_out(spark):
     r = pe(spark, [10, 1, -9])
-    assert (r.n, r.k, r.v, r.total) == (3, 3, 2, 150.0)
+    assert (r.n, r.k, r.v, r.v_ratio, r.total) == (3, 3, 3, 2, 150.0)
     assert (r.p25, r.median, r.p75, r["mean"]) == (32.5, 55.0, 77.5, 55.0)
-    assert r.positive == 3
+    assert (r.positive, r.zero, r.negative, r.zero_denominators) == (2, 0, 1, 0)
+    assert r.comparable and not r.comparable_ratio  # two of the distribution are too few
+
+
+def test_profit_breadth_counts_all_with_an_income(spark):
+    r = values(company_rows(spark, [(100, x, 1, 1) for x in (10, 1, -9)]), "profit_breadth")
+    assert r.total == pytest.approx(2 / 3) and (r.positive, r.negative, r.v) == (2, 1, 3)
 
 
 def test_total_is_null_when_the_denominators_sum_to_zero_or_less(spark):
-    assert pe(spark, [10, 1, -11]).total is None
+    r = pe(spark, [10, 1, -11])
+    assert r.total is None and r.v == 3 and "denominator_nonpositive" in r.flags
+
+
+def test_a_total_within_its_error_is_null(spark):
+    rows = company_rows(spark, [(100, 3, 1, 1), (100, 3, 1, 1), (100, -5, 1, 1)]).withColumn("income_error", F.lit(1).cast("decimal(18,2)"))
+    r = values(rows, "price_earnings")
+    assert r.total is None and "denominator_indistinguishable_from_zero" in r.flags and r.v_ratio == 2
 
 
 def test_a_missing_input_leaves_both_sums(spark):
@@ -41,18 +57,88 @@ def test_a_missing_input_leaves_both_sums(spark):
     assert (r.n, r.k, r.v) == (3, 2, 2) and r.total == pytest.approx(200 / 11)
 
 
+def test_evidence_issues_keep_a_company_out(spark):
+    rows = company_rows(spark, [(100, 10, 1, 1), (100, 1, 1, 1)]).withColumn("income_issues", F.when(F.col("issuer") == 1, F.array(F.lit("unsupported_currency"))))
+    assert values(rows, "price_earnings").k == 1
+    reasons = sectors.exclusion_counts(sectors.assessed(rows, sectors.METRICS["price_earnings"]).select("sector", "m.reasons"), ["sector"]).collect()
+    assert [(r.reason, r.n) for r in reasons] == [("unsupported_currency", 1)]
+
+
 def test_growth_of_one_large_company_is_not_broad(spark):
-    rows = company_rows(spark, [(1, 1, 110, 100)] + [(1, 1, 9, 10)] * 9)
-    metric = sectors.METRICS["revenue_growth"]
-    r = sectors.sector_values(sectors.assessed(rows, metric), ["sector"], metric).first()
-    assert r.total == pytest.approx(1 / 190) and r["median"] == pytest.approx(-0.1) and r.breadth == 0.1
+    found = values(company_rows(spark, [(1, 1, 110, 100)] + [(1, 1, 9, 10)] * 9), "revenue_growth", "growth_breadth")
+    r = found["revenue_growth"]
+    assert r.total == pytest.approx(1 / 190) and r["median"] == pytest.approx(-0.1) and found["growth_breadth"].total == 0.1
+    said = lambda r: r.select(sectors.growth_observations(*map(F.col, ("total", "median", "positive", "zero", "negative", "v", "comparable"))).alias("o")).first().o
+    frame = sectors.sector_values(company_rows(spark, [(1, 1, 110, 100)] + [(1, 1, 9, 10)] * 9), ["sector"], {"revenue_growth": sectors.METRICS["revenue_growth"]})
+    assert said(frame) == ["aggregate_grew_most_declined", "median_declined", "1/0/9/10"]
+    assert said(frame.withColumn("comparable", F.lit(False))) == []
+
 
+def test_breadth_is_among_valid_growths(spark):
+    r = values(company_rows(spark, [(1, 1, 11, 10), (1, 1, 11, 0)]), "growth_breadth")
+    assert (r.n, r.k, r.v, r.total, r.zero_denominators) == (2, 2, 1, 1.0, 1)
 
-def test_gate_is_reached_by_equality(spark):
+
+def test_gate_is_reached_by_equality_and_asks_for_a_whole_roster(spark):
     policy = sectors.Policy(least_contributors=2, issuer_coverage=1.0, cap_coverage=1.0)
     rows = company_rows(spark, [(100, 10, 1, 1), (100, 5, 1, 1)])
-    metric = sectors.METRICS["price_earnings"]
-    assert sectors.sector_values(sectors.assessed(rows, metric), ["sector"], metric, policy).first().comparable
+    assert values(rows, "price_earnings", policy=policy).comparable
+    r = values(rows.withColumn("roster_complete", F.lit(False)), "price_earnings", policy=policy)
+    assert not r.comparable and {"partial_sector_universe", "limited_coverage"} <= set(r.flags)
+
+
+def test_coverage_and_dates_go_by_the_cohort(spark):
+    rows = company_rows(spark, [(100, 10, 1, 1), (300, -1, 1, 1), (600, None, 1, 1)]).withColumns({"cap_date": F.date_add("period_end", F.col("issuer")), "period_end": F.date_sub("period_end", F.col("issuer") * 10)})
+    r = values(rows, "price_earnings")
+    assert r.cap_coverage == 0.4 and r.cap_coverage_ratio == 0.1 and r.ratio_eligibility == 0.5
+    assert (r.first_end, r.last_end, r.first_quote, r.last_quote) == (D(2025, 12, 21), D(2025, 12, 31), D(2025, 12, 31), D(2026, 1, 1))
+    unknown = values(company_rows(spark, [(100, 10, 1, 1), (None, 5, 1, 1)]), "price_earnings")
+    assert unknown.full_cap is None and "full_capitalization_unknown" in unknown.flags
+
+
+def test_growth_leaves_out_the_prior_leaders(spark):
+    caps = [(1, 10), (2, 20), (3, 30), (4, 40), (5, 50), (60, 1), (70, 2)]
+    rows = company_rows(spark, [(now, 1, 200 if i < 5 else 110, 100) for i, (now, _) in enumerate(caps)])
+    rows = rows.withColumn("prior_cap", F.element_at(F.array(*[F.lit(p) for _, p in caps]), F.col("issuer") + 1).cast("decimal(18,2)"))
+    r = sectors.concentration(rows, ["sector"]).first()
+    assert r.top_share == pytest.approx((60 + 70 + 5 + 4 + 3) / 145) and r.growth == pytest.approx(520 / 700) and r.growth_without_top == pytest.approx(0.1)
+    r = sectors.concentration(rows.withColumn("prior_cap", F.when(F.col("issuer") > 0, F.col("prior_cap"))), ["sector"]).first()
+    assert r.growth_without_top is None and r.top_share is not None
+
+
+def test_axis_holds_zero(spark):
+    rows = spark.createDataFrame([("a", 2.0), ("a", 4.0), ("b", -1.0), ("b", 3.0), ("c", 0.0), ("d", None)], "k string, v double")
+    got = {}
+    for r in sectors.axis_ticks(rows, ["k"], "v").collect():
+        got.setdefault(r.k, {})[r.tick] = r.value
+    assert {k: (round(v[0], 9), round(v[4], 9)) for k, v in got.items()} == {"a": (0.0, 4.2), "b": (-1.2, 3.2), "c": (0.0, 1.0), "d": (0.0, 1.0)}
+
+
+def evidence(spark, **other):
+    row = {"value": Decimal(5), "absolute_error": Decimal(1), "currency": "USD", "basis": "common_equity", "input_hash": "a" * 64, "usable": True, "period_start": None, "period_end": D(2025, 12, 31), "flags": ["revised_view"]} | other
+    schema = "value decimal(18,2), absolute_error decimal(18,2), currency string, basis string, input_hash string, usable boolean, period_start date, period_end date, flags array<string>"
+    return spark.createDataFrame([tuple(row.values())], schema).select(F.struct("*").alias("e"))
+
+
+@pytest.mark.parametrize(
+    ("other", "instant", "want"),
+    [
+        ({}, True, []),
+        ({"absolute_error": None}, True, ["source_precision_unknown"]),
+        ({"absolute_error": Decimal(-1)}, True, ["source_precision_invalid"]),
+        ({"input_hash": "A" * 64}, True, ["evidence_hash_invalid"]),
+        ({"value": None, "usable": None}, True, ["evidence_unusable", "evidence_value_invalid"]),
+        ({"currency": None, "basis": "x", "flags": ["late"]}, True, ["incompatible_evidence_basis", "late", "unsupported_currency"]),
+        ({"period_end": D(2025, 12, 30)}, True, ["incompatible_equity_date"]),
+        ({"period_start": D(2025, 1, 1)}, False, []),
+        ({"period_start": D(2024, 12, 1)}, False, ["unsupported_flow_period"]),
+        ({"period_start": D(2025, 2, 1), "period_end": D(2026, 1, 31)}, False, ["unsupported_flow_period"]),
+        ({}, False, ["unsupported_flow_period"]),
+    ],
+)
+def test_evidence_issues(spark, other, instant, want):
+    got = evidence(spark, **other).select(sectors.evidence_issues(F.col("e"), "common_equity", F.lit("2025-12-31").cast("date"), instant).alias("x")).first().x
+    assert sorted(got) == want
 
 
 def test_restated_fact_by_mode(spark):
@@ -69,17 +155,37 @@ def series(spark, rows):
 
 def test_a_newer_empty_response_blocks(spark):
     rows = series(spark, [(D(2024, 1, 1), dt.datetime(2024, 1, 2), 5.0), (D(2024, 1, 1), dt.datetime(2024, 1, 3), None)])
-    cutoffs = spark.createDataFrame([(dt.datetime(2024, 1, 2, 12),), (dt.datetime(2024, 1, 4),)], "cutoff timestamp")
-    found = {r.cutoff.day: r for r in selection.response_at_cutoff(rows, cutoffs, ["issuer", "series"]).collect()}
-    assert found[2].value == 5.0 and found[4].value is None and found[4].reason == "value_missing"
+    cutoffs = spark.createDataFrame([(dt.datetime(2024, 1, 2, 12),), (dt.datetime(2024, 1, 4),), (dt.datetime(2024, 1, 1),), (dt.datetime(2024, 2, 4),)], "cutoff timestamp")
+    found = {(r.cutoff.month, r.cutoff.day): r for r in selection.response_at_cutoff(rows, cutoffs, ["issuer", "series"]).collect()}
+    assert set(found) == {(1, 2), (1, 4), (2, 4)}
+    assert found[1, 2].value == 5.0 and found[1, 4].value is None and found[2, 4].reason == "value_missing"
+
 
+def backward(spark, answers, responses, day, age, cutoff=dt.datetime(2025, 2, 1)):
+    a = spark.createDataFrame(answers, "issuer int, response long, reference_date date, value double")
+    r = spark.createDataFrame(responses, "issuer int, response long, retrieved_at timestamp, window_from date, window_to date")
+    asked = spark.createDataFrame([(1, day, cutoff)], "issuer int, selected date, cutoff timestamp")
+    return [(x.reference_date, x.value, x.reason) for x in selection.latest_reference(a, r, asked, ["issuer"], age).collect()]
 
-@pytest.mark.parametrize(("day", "want"), [(10, D(2024, 1, 9)), (13, D(2024, 1, 10)), (14, None)])
-def test_bounded_backward_date(spark, day, want):
-    rows = series(spark, [(D(2024, 1, 9), dt.datetime(2024, 1, 9), 1.0), (D(2024, 1, 10), dt.datetime(2024, 1, 11), 2.0)])
-    asked = spark.createDataFrame([(1, "s", D(2024, 1, day), dt.datetime(2024, 1, 10) if day == 10 else dt.datetime(2024, 2, 1))], "issuer int, series string, selected date, cutoff timestamp")
-    found = selection.latest_reference(rows, asked, ["issuer", "series"], 3).collect()
-    assert [r.reference_date for r in found] == ([] if want is None else [want])
+
+def test_bounded_backward_date_keeps_the_observation_date(spark):
+    answers, responses = [(1, 1, D(2025, 1, 3), 4.25)], [(1, 1, dt.datetime(2025, 1, 3), D(2025, 1, 1), D(2025, 1, 6))]
+    assert backward(spark, answers, responses, D(2025, 1, 6), 3) == [(D(2025, 1, 3), 4.25, None)]
+    assert backward(spark, answers, responses, D(2025, 1, 6), 2) == []
+    assert backward(spark, answers, responses, D(2025, 1, 6), 3, dt.datetime(2025, 1, 2)) == []
+
+
+def test_backward_date_does_not_skip_a_newer_missing_or_empty_response(spark):
+    answers = [(1, 1, D(2025, 1, 2), 4.25), (1, 2, D(2025, 1, 3), None)]
+    responses = [(1, 1, dt.datetime(2025, 1, 3), D(2025, 1, 1), D(2025, 1, 3)), (1, 2, dt.datetime(2025, 1, 4), D(2025, 1, 3), D(2025, 1, 3))]
+    assert backward(spark, answers, responses, D(2025, 1, 6), 7) == [(D(2025, 1, 3), None, "value_missing")]
+    full = [(1, 1, D(2025, 1, 3), 4.25)]
+    empty = [responses[0], (1, 3, dt.datetime(2025, 1, 5), D(2025, 1, 3), D(2025, 1, 4))]
+    assert backward(spark, full, empty, D(2025, 1, 6), 7) == [(D(2025, 1, 3), None, "value_missing")]
+    elsewhere = [responses[0], (1, 3, dt.datetime(2025, 1, 5), D(2025, 1, 4), D(2025, 1, 4))]  # its window does not reach the date
+    assert backward(spark, full, elsewhere, D(2025, 1, 6), 7) == [(D(2025, 1, 3), 4.25, None)]
+    tied = [responses[0], (1, 3, dt.datetime(2025, 1, 3), D(2025, 1, 3), D(2025, 1, 4))]
+    assert backward(spark, full, tied, D(2025, 1, 6), 7) == [(D(2025, 1, 3), None, "ambiguous_response")]
 
 
 def test_publication_by_date_alone_must_be_before_the_cutoff(spark):
@@ -132,11 +238,124 @@ def test_bridge_needs_all_seven_claims(spark):
     assert {r.k: r.equity for r in valuation.bridge(values, claims, ["k"]).collect()} == {1: 70.0, 2: None}
 
 
+def test_reverse_solve_is_inconclusive_at_the_ends(spark):
+    assert valuation.reverse_solve(forecast(spark, 5, target=193.4375), ["k"], "growth", 0.1, 0.2).first().state == "inconclusive"  # a root at the end
+    flat = forecast(spark, 5, target=0.0, margins=[0.0] * 5, taxes=[0.0] * 5, reinvestment=[0.0] * 5, terminal_margin=0.0)
+    assert valuation.reverse_solve(flat, ["k"], "growth", -0.5, 0.5).first().state == "inconclusive"
+    assert valuation.reverse_solve(forecast(spark, 5, target=1000.0), ["k"], "reinvestment", 0.0, 0.1).first().state == "no_solution"
+
+
+def test_a_parabola_that_touches_the_target_is_inconclusive(spark):
+    # two years and no terminal value: 100 z (-0.2) / 1.1 + 100 z z (0.1) / 1.21 is least at z = 1.1, where it is -10
+    rows = forecast(spark, 2, target=-10.0, margins=[-0.2, 0.1], taxes=[0.0] * 2, reinvestment=[0.0] * 2, terminal_margin=0.0)
+    for low, high in ((-0.513, 0.507), (-0.5, 0.7)):
+        assert valuation.reverse_solve(rows, ["k"], "growth", low, high).first().state == "inconclusive"
+    below, above = rows.withColumn("target", F.lit(-10.5)), rows.withColumn("target", F.lit(-9.0))
+    assert valuation.reverse_solve(below, ["k"], "growth", -0.5, 0.7).first().state == "no_solution"
+    assert valuation.reverse_solve(above, ["k"], "growth", -0.5, 0.7).first().state == "non_unique"
+
+
+def test_a_root_on_a_grid_point_is_found(spark):
+    r = valuation.reverse_solve(forecast(spark, 5, target=193.4375), ["k"], "growth", -0.3, 0.5).first()
+    assert r.state == "converged" and r.solution == pytest.approx(0.1, abs=1e-9)
+
+
+def test_scenarios_are_valued_again_at_the_solution(spark):
+    rows = forecast(spark, 5, target=193.4375, shares=10.0)
+    r = valuation.scenario_results(rows, ["k"], "growth", -0.513, 0.507).first()
+    assert r.state == "converged" and r.per_share == pytest.approx(19.34375, abs=1e-6)
+    assert valuation.scenario_results(rows.withColumn("target", F.lit(1e12)), ["k"], "growth", -0.5, 0.5).first().per_share is None
+
+
 def test_price_states(spark):
-    body = '[{"date":"2024-01-02T00:00:00Z","open":99,"high":99,"low":90,"close":100,"volume":true},{"date":"2024-01-03","close":null},{"date":"2024-01-03","close":1}]'
-    found = bodies.eod_prices(spark.createDataFrame([(1, body)], "k int, body string"), ["k"], "2024-01-01", "2024-01-31").withColumn("flags", bodies.ohlc_flags()).orderBy("session", "close_state").collect()
+    body = '[{"date":"2024-01-02T00:00:00Z","open":99,"high":99,"low":90,"close":100,"volume":true,"adjClose":5,"adjHigh":4,"adjLow":1},{"date":"2024-01-03","close":null},{"date":"2024-01-03","close":"100.5"},{"date":"2024-01-04","splitFactor":-1,"divCash":1e2},{"date":"2024-01-05T09:00:00Z"},7]'
+    rows = bodies.eod_prices(spark.createDataFrame([(1, body)], "k int, body string"), ["k"], "2024-01-01", "2024-01-31")
+    found = rows.withColumns({"flags": bodies.ohlc_flags(), "adj_flags": bodies.ohlc_flags("adj")}).orderBy(F.asc_nulls_last("session"), "close_state", "problem").collect()
     assert found[0].volume_state == "unparseable" and float(found[0].close) == 100 and found[0].flags == ["close", "high", "low", "open"]
-    assert [r.close_state for r in found[1:]] == ["observed", "source_null"] and all(r.problem == "duplicate_session" for r in found[1:])
+    assert found[0].adj_flags == ["adjClose", "adjHigh", "adjLow", "adjOpen"]
+    assert [r.close_state for r in found[1:3]] == ["source_null", "unparseable"] and all(r.problem == "duplicate_session" for r in found[1:3])
+    assert found[3].splitFactor_state == "unparseable" and float(found[3].divCash) == 100 and found[3].problem is None
+    assert sorted(r.problem for r in found[4:]) == ["body_malformed", "date_invalid"]
+
+
+def test_a_price_body_that_repeats_a_key_or_is_no_array_is_a_problem(spark):
+    rows = spark.createDataFrame([(1, '[{"date":"2024-01-02","close":1,"close":2}]'), (2, "{}"), (3, "x"), (4, None), (5, "[]")], "k int, body string")
+    found = bodies.eod_prices(rows, ["k"], "2024-01-01", "2024-01-31").collect()
+    assert sorted((r.k, r.problem) for r in found) == [(k, "body_malformed") for k in (1, 2, 3, 4)]
+
+
+def test_older_documents_have_bounds(spark):
+    body = '{"filings":{"recent":{},"files":[{"name":"a","filingCount":3,"filingFrom":"2001-01-01","filingTo":"2002-01-01"},{"name":"b","filingFrom":"2003-01-01","filingTo":"2002-01-01"},{"filingCount":1},{"name":"c"}]}}'
+    found = bodies.older_documents(spark.createDataFrame([(1, body)], "k int, body string"), ["k"]).collect()
+    assert [(r.name, r.advertised, r.problem) for r in found] == [("a", 3, None), ("b", None, "bounds_crossed"), (None, 1, "name_missing"), ("c", None, "bounds_missing")]
+
+
+def test_inline_facts_with_dimensions_formats_and_problems(spark):
+    body = (
+        '<html xmlns:ix="urn:ix" xmlns:xsi="urn:xsi"><context id="c"><segment><explicitMember dimension="d:B">m:2</explicitMember><typedMember dimension="d:A"><v>1</v></typedMember></segment><period>2024</period></context><unit id="u">USD</unit>'
+        '<ix:nonFraction id="f" name="a:X" contextRef="c" unitRef="u" scale="x">1</ix:nonFraction><ix:nonFraction id="g" name="a:X" contextRef="c" unitRef="u" scale="-2" decimals="INF" format="ixt:num-dot-decimal">1,5 0.2 5</ix:nonFraction><ix:nonFraction id="h" name="a:X" contextRef="c" unitRef="u" xsi:nil="true"/></html>'
+    )
+    rows = spark.createDataFrame([(1, body), (2, "<!DOCTYPE a []><a/>")], "k int, body string")
+    parts = bodies.inline_facts(rows, "k")
+    assert sorted((r.doc, r.name) for r in parts.filter("kind = 'problem'").collect()) == [(1, "scale_invalid"), (2, "declarations_refused")]
+    facts = bodies.selected_facts(bodies.resolved_facts(parts), "a:X", ["d:B=m:2", "d:A=1"])
+    found = {r.id: r for r in facts.withColumn("n", scalar.scaled_number(F.col("text"), F.col("scale"), F.col("sign"), F.col("form"))).collect()}
+    assert set(found) == {"g", "h"} and found["g"].n == Decimal("1.5025") and found["g"].decimals == "INF" and found["h"].n is None and found["g"].period == "2024"
+    assert bodies.selected_facts(bodies.resolved_facts(parts), "a:X", []).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "scale", "sign", "form", "want"),
+    [("+5", 0, None, None, "5"), (".5", 0, "-", None, "-0.5"), ("5.", 3, None, None, "5000"), ("1,000", 0, None, None, None), ("1,000", -3, None, "num-dot-decimal", "1"), ("\u00a01 000.2 5\n", 0, None, "num-dot-decimal", "1000.25"), ("dash", 6, None, "fixed-zero", "0"), ("5", 0, None, "num-unit-decimal", None), ("-5", 0, None, None, None), ("123456789012345678.1", 0, None, None, "123456789012345678.1"), ("", 0, None, None, None), (None, 0, None, None, None)],
+)
+def test_scaled_numbers_are_exact(spark, text, scale, sign, form, want):
+    row = spark.createDataFrame([(text, scale, sign, form)], "t string, s int, g string, f string")
+    got = row.select(scalar.scaled_number(*map(F.col, "tsgf")).alias("x")).first().x
+    assert got == (None if want is None else Decimal(want))
+
+
+def points(spark, rows):
+    return spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)], "k int, point_id long, quarter_end date, value double, input_hash string, flags array<string>")
+
+
+def test_samples_have_all_their_reasons(spark):
+    q = D(2025, 3, 31)
+    rows = points(spark, [(q, 1.0, "h", []), (q, 1.0, "h", []), (D(2025, 1, 31), 1.0, "h", []), (D(2025, 6, 30), 1.0, "h", []), (D(2025, 6, 30), 1.0, "other", []), (D(2025, 9, 30), None, " ", ["late"]), (D(2025, 12, 31), float("inf"), "h", [])])
+    got = {r.point_id: r.reasons for r in history.sampled(rows, ["k"]).collect()}
+    assert got == {0: [], 1: ["duplicate_sample"], 2: ["not_quarter_end"], 3: ["conflicting_quarter"], 4: ["conflicting_quarter"], 5: ["late", "missing_lineage", "missing_value"], 6: ["nonfinite_value"]}
+    other = history.sampled(rows, ["k"], F.col("point_id") != 4).collect()
+    assert {r.point_id: r.reasons for r in other}[3] == [] and {r.point_id: r.reasons for r in other}[4] == ["incompatible_series"]
+
+
+@pytest.mark.parametrize(("rates", "want"), [((0.0, 0.0, 0.1), "mixed"), ((0.0, 0.03, 0.06), "rising"), ((0.06, 0.03, 0.0), "falling"), ((0.0, 0.02, 0.0), "broadly_stable"), ((0.0, None, 0.0), None)])
+def test_trend_of_three_rates(spark, rates, want):
+    ends = [(D(2025, 1, 1), D(2025, 3, 31)), (D(2025, 4, 1), D(2025, 6, 30)), (D(2025, 7, 1), D(2025, 9, 30))]
+    rows = spark.createDataFrame([(1, *e, r) for e, r in zip(ends, rates)], "k int, period_start date, period_end date, rate double")
+    last = history.trend(rows, ["k"], "rate", 0.02).orderBy(F.desc("period_end")).first()
+    assert last.trend == want and last.reasons == ([] if want else ["trend_input_unavailable"])
+    gap = rows.withColumns({"period_start": F.when(F.month("period_start") == 7, F.date_add("period_start", 1)).otherwise(F.col("period_start"))})
+    assert history.trend(gap, ["k"], "rate", 0.02).orderBy(F.desc("period_end")).first().reasons[0] == "nonconsecutive_trend_quarters"
+
+
+def test_a_year_never_meets_a_quarter(spark):
+    rows = spark.createDataFrame([(1, D(2024, 10, 1), D(2024, 12, 31), 10), (1, D(2024, 1, 1), D(2024, 12, 31), 40), (1, D(2025, 1, 1), D(2025, 12, 31), 50), (1, D(2025, 10, 1), D(2025, 12, 31), 20), (1, D(2024, 2, 1), D(2024, 4, 30), 1), (1, D(2025, 2, 1), D(2025, 4, 30), 1)], "k int, period_start date, period_end date, v long")
+    got = {(r.period_start, r.period_end): r.prior for r in periods.compared(rows, ["k"], "v").collect()}
+    assert got[D(2025, 1, 1), D(2025, 12, 31)] == 40 and got[D(2025, 10, 1), D(2025, 12, 31)] == 10 and got[D(2025, 2, 1), D(2025, 4, 30)] is None
+
+
+def test_observations_and_review(spark):
+    rows = spark.createDataFrame([(1, "revenue_growth", 0.0, True, []), (1, "free_cash_flow", -1.0, True, []), (1, "operating_margin", -0.1, True, []), (1, "net_margin", -2.0, True, ["extreme_margin"]), (1, "return_on_assets", None, False, ["x"])], "k int, metric string, value double, usable boolean, reasons array<string>")
+    assert {r.metric: r.rule for r in metrics.observed(rows).collect()} == {"revenue_growth": "revenue_unchanged", "free_cash_flow": "cash_spending_gap", "operating_margin": "operating_loss", "net_margin": "consolidated_loss"}
+    got = [(r.place, r.topic, r.rule, r.metrics) for r in metrics.review_items(rows, ["k"]).orderBy("place").collect()]
+    assert got == [(1, "data_availability", "data_review", ["return_on_assets"]), (2, "extreme_margin", "extreme_margin_review", ["net_margin"]), (3, "cash_generation", "cash_spending_gap", ["free_cash_flow"])]
+    assert metrics.review_items(rows, ["k"], 9).filter("topic = 'earnings'").first().metrics == ["net_margin", "operating_margin"]
+
+
+def test_levels_of_a_lineage(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (3, 4), (9, 9)], "parent int, child int")
+    roots = spark.createDataFrame([(1,), (9,)], "node int")
+    got = {r.node: r.depth for r in selection.acyclic_levels(edges, roots, 5).collect()}
+    assert got == {1: 0, 2: 1, 3: 2, 4: 3, 9: 5}
 
 
 def test_inline_document_that_is_not_well_formed(spark):
@@ -158,11 +377,15 @@ def test_histogram_edges(spark):
     assert {(r.k, r.bin): r.n for r in sectors.histogram(rows, ["k"], "v", 2).collect()} == {(1, 0): 1, (1, 1): 2, (2, 0): 2}
 
 
-def test_membership_conflict(spark):
-    rows = spark.createDataFrame([(1, "a", D(2024, 1, 1), None), (1, "b", D(2024, 1, 1), D(2024, 2, 1))], "issuer int, class string, effective_from date, effective_to date")
+def test_membership_by_what_was_known(spark):
+    known = dt.datetime(2024, 1, 1)
+    rows = spark.createDataFrame([(1, "a", D(2024, 1, 1), None, known), (1, "b", D(2024, 1, 1), D(2024, 2, 1), known), (2, "a", D(2024, 1, 1), None, dt.datetime(2024, 1, 5, 23)), (3, "a", D(2024, 1, 1), None, dt.datetime(2024, 1, 6))], "issuer int, class string, effective_from date, effective_to date, known_at timestamp")
     dates = spark.createDataFrame([(D(2024, 1, 5),), (D(2024, 2, 1),)], "as_of date")
-    found = {r.as_of.month: r for r in sectors.membership_at(rows, dates).collect()}
-    assert found[1].reason == "classification_conflict" and found[2]["class"] == "a"
+    issuers = spark.createDataFrame([(1,), (2,), (3,), (4,)], "issuer int")
+    ask = lambda before: {(r.issuer, r.as_of.month): (r["class"], r.reason) for r in sectors.membership_at(issuers, rows, dates, F.lit(before).cast("timestamp")).collect()}
+    found = ask("2025-01-01")
+    assert found == {(1, 1): (None, "classification_conflict"), (1, 2): ("a", None), (2, 1): ("a", None), (2, 2): ("a", None), (3, 1): (None, "classification_unavailable"), (3, 2): ("a", None), (4, 1): (None, "classification_unavailable"), (4, 2): (None, "classification_unavailable")}
+    assert ask("2024-01-02")[2, 2] == (None, "classification_unavailable")
 
 
 def test_feed_keeps_the_baseline_of_a_failed_poll(spark, tmp_path):
@@ -175,9 +398,19 @@ def test_feed_keeps_the_baseline_of_a_failed_poll(spark, tmp_path):
     assert sorted((r.issuer, r.accession, r.state) for r in feed.found().collect()) == [(1, 10, "changed"), (1, 10, "new"), (1, 11, "new"), (2, 20, "new"), (2, 22, "new")]
 
 
+def inventory(spark, rows):
+    cutoff = dt.datetime(2024, 1, 10)
+    return spark.createDataFrame([(k, a, form, None if day is None else dt.datetime(2024, 1, day), cutoff, c) for k, a, form, day, c in rows], "issuer int, accession string, form string, acceptance_at timestamp, cutoff timestamp, content string")
+
+
 def test_outcome_of_a_comparison(spark):
-    rows = spark.createDataFrame([(0, 1, 0, 1), (0, 1, 1, 0), (1, 0, 0, 0), (0, 0, 0, 0)], "f int, n int, c int, a int")
-    assert [r.o for r in rows.select(changes.outcome(*map(F.col, "fnca")).alias("o")).collect()] == ["amendment", "mixed", "incomplete", "no_change"]
+    same = [(k, "old", "10-K", 1, "x") for k in range(1, 10)]
+    now = [r for r in same if r[0] not in (5, 6)] + [(2, "n", "10-K", 2, "x"), (3, "n", "10-K/A", 2, "x"), (4, "n", "10-K", 2, "x"), (4, "m", "10-K/A", 2, "x"), (6, "old", "10-K", 1, "y"), (7, "n", "10-K", None, "x"), (8, "n", "10-K", 11, "x"), (8, "o", "8-K", 2, "x"), (9, "n", "10-K", 2, "x"), (9, "n", "10-K", 2, "x")]
+    got = {r.issuer: (r.outcome, r.flags) for r in changes.compared_inventories(inventory(spark, same), inventory(spark, now), ["issuer"], ["10-K", "10-K/A"]).collect()}
+    assert got == {
+        1: ("no_change", []), 2: ("new_filing", []), 3: ("amendment", []), 4: ("mixed_changes", []), 5: ("incomplete", ["baseline_accession_missing"]), 6: ("incomplete", ["existing_accession_metadata_changed"]),
+        7: ("incomplete", ["current_acceptance_unverified"]), 8: ("no_change", []), 9: ("incomplete", ["current_duplicate_accession"]),
+    }
 
 
 def test_places_go_on_over_ranges(spark):
