@@ -2,6 +2,11 @@
 
 Each stage takes all that the one before it kept. The first four return the columns of ``documents``;
 the last returns the packed pieces.
+
+Defined cases: a null text counts as empty, so the quality rules reject it, as they do texts without
+words; null languages and sources are groups of their own; of rows under one doc_id, and of rows with
+a null doc_id and one text, one stays; other columns go through unchanged whatever their names; an empty
+table gives empty stages; without labels of both kinds the classifier keeps all or none by their share.
 """
 
 from __future__ import annotations

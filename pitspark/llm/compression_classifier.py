@@ -142,7 +142,7 @@ def score(text: Column, model: Model | float) -> Column:
 
 
 def classified(docs: DataFrame, labels: DataFrame, usable: Column) -> DataFrame:
-    """``docs`` with score and predicted (1 where the score is 0.5 or more)."""
+    """``docs`` with score and predicted (1 where the score is 0.5 or more); columns of these names are replaced."""
     model = fit(docs, labels, usable)
     scored = docs.withColumn("score", score(text_or_empty("text"), model))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

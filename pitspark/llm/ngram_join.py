@@ -36,7 +36,7 @@ from pitspark.llm.components import connected_components
 CELL_BITS = 22
 CELLS = 1 << CELL_BITS
 PART_CELLS = 1 << 15
-MAP_BITS = 1 << 23
+MOST_BITS = 1 << 27  # of a map that goes to all tasks; beyond, a join does its work
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], dtype=np.uint64)
 
@@ -129,19 +129,22 @@ def with_prefixes(docs: DataFrame, levels: np.ndarray, width: int, percent: int)
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """node and its whole set, for the wanted nodes and few others.
 
-    A map of :data:`MAP_BITS` bits by hash, whose size is fixed, tells which texts to read; where very
-    many nodes are wanted it lets more of the others through, which costs work and changes nothing.
+    A map of bits by hash, sized to the number of nodes up to :data:`MOST_BITS`, tells which texts to read;
+    the few others that it lets through cost work and change nothing. More nodes than that are met by a join.
     """
+    many = wanted.count()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = [shingles(t, width).view(np.int64) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], names=["node", "members"])
 
-    bit = F.pmod(F.xxhash64("node"), F.lit(MAP_BITS))
+    rows = docs.select(F.col("doc_id").cast("long").alias("node"), text_or_empty("text").alias("text"))
+    if many * 4 > MOST_BITS:
+        return rows.join(wanted.distinct(), "node", "left_semi").mapInArrow(make, "node long, members array<long>")
+    bit = F.pmod(F.xxhash64("node"), F.lit(1 << max(16, (many * 8).bit_length())))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
     marks = wanted.groupBy(F.floor(bit / 64).alias("word")).agg(F.bit_or(one).alias("bits"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("node"), text_or_empty("text").alias("text"))
     hit = rows.withColumns({"word": F.floor(bit / 64), "one": one}).join(F.broadcast(marks), "word").filter(F.col("bits").bitwiseAND(F.col("one")) != 0)
     return hit.select("node", "text").mapInArrow(make, "node long, members array<long>")
 
@@ -249,11 +252,25 @@ def _between_components(met: DataFrame, grouped: DataFrame, joined: DataFrame, p
     return expanded.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
 
 
+def _row_id() -> Column:
+    """doc_id, or for a null one a number from the text's hash, beyond the ids in use."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(text_or_empty("text")), 2))
+
+
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the rows whose component has a smaller doc_id; rows of one doc_id all stay or go.
+    """One row of each component of ``docs``: that with the smallest doc_id.
 
-    Rows with a null doc_id stay only where no numbered row shares their text.
+    Rows with a null doc_id are told apart by their texts, and a numbered row goes before them. Of rows
+    under one doc_id, that with the smallest text stays (then by the row as JSON). Columns go through as
+    one struct, so that no name of theirs can clash with one used here.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), width, percent)
-    gone = written(found.filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    whole = docs.select(_row_id().alias("id"), F.struct("*").alias("row"))
+    found = near_duplicates(docs.select(_row_id().alias("doc_id"), "text"), width, percent)
+    states = found.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("rows"), F.max(F.col("doc_id") != F.col("component_id")).alias("gone"))
+    states = written(states.filter("gone or rows > 1"), "gone")
+    marked = whole.join(states, "id", "left")
+    kept = marked.filter("rows is null").select("row")
+    if not states.filter("not gone").isEmpty():
+        again = marked.filter("not gone").groupBy("id").agg(F.min_by("row", F.struct(F.col("row.text"), F.to_json("row"))).alias("row"))
+        kept = kept.unionByName(again.select("row"))
+    return kept.select("row.*")

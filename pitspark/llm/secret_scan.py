@@ -169,7 +169,7 @@ def without_secrets(docs: DataFrame, ledger: str | None = None) -> DataFrame:
     """``docs`` with the secrets of each text redacted; other texts and columns are as they were."""
     ledger = ledger or shared_dir(docs.sparkSession, "ledger")
     known = update_ledger(docs.select("text"), ledger).filter(F.size("found") > 0).select(F.col("blob").alias("_blob"))
-    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), address(text_or_empty("text")).alias("_blob"))
+    whole = docs.select(F.struct("*").alias("row"), address(text_or_empty("text")).alias("_blob"))
     marked = whole.join(known.withColumn("_found", F.lit(True)), "_blob", "left")
     text = F.when(F.col("_found"), redacted(F.col("row.text"))).otherwise(F.col("row.text"))
-    return marked.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
+    return marked.select(*[text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])

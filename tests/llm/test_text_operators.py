@@ -479,6 +479,150 @@ def test_words_never_seen_score_below_words_that_were(spark):
     assert sum(r.score for r in a) / sum(r.n_tokens for r in a) > sum(r.score for r in b) / sum(r.n_tokens for r in b) + 1
 
 
+def test_packed_ids_are_the_library_s(spark, odd):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    want = Counter()
+    for doc_id, text, *_ in ODD:
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        for start in range(0, len(ids), packing.CAPACITY):
+            piece = ids[start : start + packing.CAPACITY]
+            want[doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids)] += 1
+    got = packing.packed_sequences(odd, P.path("byte_bpe_50k.json"), 1).collect()
+    assert Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got) == want
+
+
+def test_classifier_scores_recomputed(spark):
+    import zstandard
+
+    random.seed(21)
+    good, bad = [f"good{i}" for i in range(300)], [f"bad{i}" for i in range(300)]
+    rows = [(i, " ".join(random.choices(good if i % 2 else bad, k=80)), i % 2) for i in range(300)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q, 0) for i, _, q in rows], "doc_id long, quality int, toxic int")
+    usable = F.col("doc_id") % 3 != 1
+    model = compression_classifier.fit(docs, labels, usable)
+    turned = labels.withColumn("quality", F.when(usable, F.col("quality")).otherwise(1 - F.col("quality")))
+    assert compression_classifier.fit(docs, turned, usable) == model  # held-out labels teach nothing
+    sizes = []
+    for held in (model.good, model.bad):
+        dictionary = zstandard.ZstdCompressionDict(held)
+        sizes.append([sum(len(zstandard.ZstdCompressor(level=compression_classifier.LEVEL, dict_data=dictionary, write_content_size=False, write_checksum=False, write_dict_id=False).compress(t.encode()[k : k + compression_classifier.BLOCK])) for k in range(0, len(t.encode()), compression_classifier.BLOCK)) for _, t, _ in rows])
+    got = {r.doc_id: r.score for r in compression_classifier.classified(docs, labels, usable).collect()}
+    a, b, c = model.weights
+    for (i, text, _), g, w in zip(rows, *sizes):
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-(a + b * (w - g) / max(g, w) + c * np.log(min(g, w) / len(text.encode()))))), abs=1e-9)
+
+
+def test_media_levels_equal_the_plain_definition(spark):
+    random.seed(22)
+    payload = bytes(random.randrange(256) for _ in range(192 * 9))
+    signal = np.frombuffer(payload, np.uint8).astype(int) - 128
+    taps = media._phases()[::-1].reshape(-1)  # one filter at twice the rate
+    raised = np.zeros(2 * len(signal), int)
+    raised[::2] = signal
+    full = np.convolve(raised, taps)
+    # the output at 2/3 of the rate is every third sample, from the middle of the filter
+    want = media.resampled(signal.astype(float))
+    best = min(range(len(taps)), key=lambda d: np.abs(full[d : d + 3 * len(want) : 3][: len(want)] - want[: len(full[d::3][: len(want)])]).max() if len(full[d::3]) >= len(want) else 1e18)
+    assert np.array_equal(full[best::3][: len(want)], want)
+    levels, _ = media.features(payload)
+    frame = np.floor(want / 16)[: media.FRAME]
+    t = np.arange(media.FRAME)
+    for band in range(media.BANDS):
+        power = 0.0
+        for f in range(1, media.FRAME // 2 + 1):
+            parts = [np.floor((frame * np.rint(turn(2 * np.pi * t * f / media.FRAME) * np.hanning(media.FRAME) * 1024)).sum() / 2**14) for turn in (np.cos, np.sin)]
+            power += (parts[0] ** 2 + parts[1] ** 2) * media._mel()[f - 1, band]
+        assert levels[0, band] == sum(power >= 10 ** (k / 20) for k in range(1, 256))
+
+
+def test_stored_tensors_hold_the_levels(spark, odd):
+    import pyarrow as pa
+
+    from pitspark.llm.common import filesystem, written
+
+    stored = written(media.to_media(odd), "media")
+    out = shared_dir(spark, "tensors")
+    media.media_features(stored, out).collect()
+    fs, path = filesystem(out)
+    found = defaultdict(list)
+    for info in fs.get_file_info(__import__("pyarrow.fs", fromlist=["FileSelector"]).FileSelector(path)):
+        with fs.open_input_file(info.path) as f, pa.ipc.open_stream(f) as stream:
+            for batch in stream:
+                assert batch.schema.field("levels").type == media.tensor_type()
+                parts = batch.column("levels").to_numpy_ndarray()
+                for k, (doc, begin, end) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "begin_s", "end_s")))):
+                    found[doc].append((begin, end, parts[k].tobytes()))
+    for doc_id, text, *_ in ODD:
+        levels, _ = media.features(media.padded(text or "")[1])
+        want = []
+        for a in range(0, len(levels), media.TENSOR_FRAMES):
+            part = levels[a : a + media.TENSOR_FRAMES]
+            want.append((media.seconds(a), media.seconds(a + len(part)), np.pad(part, ((0, media.TENSOR_FRAMES - len(part)), (0, 0))).tobytes()))
+        assert not Counter(want) - Counter(found[doc_id])
+
+
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    near = base.replace("w30", "x30")
+    other, third = " ".join(f"o{i}" for i in range(60)), " ".join(f"t{i}" for i in range(60))
+    rows = [(5, base, "a"), (None, base, "b"), (None, near, "c"), (7, near, "d"), (None, other, "e"), (None, other, "f"), (9, third, "g"), (9, third, "h"), (9, "zz", "i"), (None, None, "j"), (11, "", "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `gone.x` string").withColumns({"id": F.lit(1), "rows": F.lit(2), "row": F.lit(3)})
+    kept = ngram_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "", r["gone.x"]) for r in kept.collect()) == [(0, "", "j"), (0, other, "e"), (5, base, "a"), (9, third, "g"), (11, "", "k")]
+    assert ngram_join.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_the_map_of_wanted_nodes_and_the_join_agree(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"a{i} b{i} c{i}") for i in range(50)], "doc_id long, text string")
+    wanted = docs.filter("doc_id % 7 = 0").select(F.col("doc_id").alias("node"))
+    by_map = {r.node: r.members for r in ngram_join.sets_of(docs, wanted, 2).collect()}
+    monkeypatch.setattr(ngram_join, "MOST_BITS", 8)
+    by_join = {r.node: r.members for r in ngram_join.sets_of(docs, wanted, 2).collect()}
+    assert set(by_join) == set(range(0, 50, 7)) and all(by_map[k] == v for k, v in by_join.items())
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    random.seed(23)
+    word = lambda: f"w{random.randrange(4000)}"
+    texts = [" ".join(word() for _ in range(90)) for _ in range(40)]
+    rows = [(i, t, random.choice(["en", "de", None]), random.choice(["a", None])) for i, t in enumerate(texts)]
+    rows += [(3, texts[3], "en", "a"), (None, texts[5], "en", "a"), (None, " ".join(word() for _ in range(90)), None, None), (50, None, "en", "a"), (51, "", "en", "a"), (52, "token: abcdefghijklmnop " + " ".join(word() for _ in range(90)), "en", "a"), (53, " ".join(word() for _ in range(30000)), "en", "a")]
+    docs = spark.createDataFrame([(*r, 7, "x", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, `row.x` string, id int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1 if i % 2 else 0, 0) for i in range(0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for given in (docs, docs.limit(0)):
+        kept, found = given, []
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, kept, str(tmp_path))
+            assert kept.columns == docs.columns
+            found.append({(r.doc_id, r.text) for r in kept.collect()})
+        pieces = corpus_pipeline.STAGES[-1][1](spark, kept, str(tmp_path))
+        assert {r.doc_id for r in pieces.collect()} == {k for k, _ in found[-1]}
+        if given is docs:
+            assert not {50, 51} & {k for k, _ in found[0]} and found[1] == found[0]
+            assert len(found[2]) == kept.count() and sum(t == texts[5] for _, t in found[2]) == sum(t == texts[3] for _, t in found[2]) == 1
+            assert all("abcdefghijklmnop" not in t for _, t in found[3])
+
+
+def test_empty_tables(spark, empty):
+    assert secret_scan.secret_digest(empty).count() == 0 and secret_scan.without_secrets(empty).columns == empty.columns
+    assert ngram_join.near_duplicates(empty).count() == 0
+
+
+def test_repeated_page_ids(spark):
+    big = "y" * 150
+    pages = spark.createDataFrame([(1, "u", big), (1, "v", big), (2, "w", big), (2, "w", "small")], "page_id long, url string, html string")
+    got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.archived(pages).collect())
+    assert got == [(1, 150, "response", None), (1, 150, "response", None), (2, 5, "response", None), (2, 150, "revisit", 1)]
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
