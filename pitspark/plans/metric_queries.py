@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitspark.functions import flags, scalar
-from pitspark.operators import history, metrics, periods
+from pitspark.operators import history, inputs, metrics, periods
 from pitspark.plans.bridge import VIEWS
 from pitspark.plans.registry import Data, query
 from pitspark.plans.sector_queries import r6
@@ -172,20 +172,17 @@ def f16(t: Data) -> DataFrame:
     return metrics.observed(seen(t)).select(*KEYS, "metric", "rule")
 
 
-LONG = ["price_earnings", "net_margin", "free_cash_flow_margin"]
-VIEWS["long_metrics"] = """select issuer, qidx, 'price_earnings' as metric, case when cap > 0 and income > 0 then cast(cap as double) / cast(income as double) end as value, case when cap > 0 and income > 0 then 'valid' else 'not_meaningful' end as status from {snapshots}
-  union all select issuer, qidx, 'net_margin', cast(income as double) / cast(revenue as double), 'valid' from {snapshots} union all select issuer, qidx, 'free_cash_flow_margin', cast(fcf as double) / cast(revenue as double), 'valid' from {snapshots}"""
+VIEWS["assessed"] = """select s.issuer, s.qidx, case when s.industry % 7 = 3 then 'inapplicable' when s.cap <= 0 or s.income <= 0 then case when s.qidx < 7980 then 'stale' else 'not_meaningful' end when s.qidx < 7980 then 'stale' else 'valid' end as status from {snapshots} s"""
 
 
-def long_rows(t: Data) -> DataFrame:
-    rows = metrics.long_metrics(t.snapshots, LONG, KEYS)
-    return rows.withColumn("status", metrics.status(F.col("value"), F.col("reasons"), F.lit(0), 1))
-
-
-@query("A16_status_counts", "select metric, qidx, count(case when status = 'valid' then 1 end) as valid, count(case when status = 'not_meaningful' then 1 end) as not_meaningful, round(cast(count(case when status = 'valid' then 1 end) as double) / count(*), 6) as covered from {long_metrics} group by 1, 2")
+@query("A16_status_counts", """select q.qidx, count(*) as members, count(case when a.status = 'valid' then 1 end) as valid, count(case when a.status = 'not_meaningful' then 1 end) as not_meaningful, count(case when a.status is null then 1 end) as missing, 0::bigint as invalid, count(case when a.status = 'stale' then 1 end) as stale, 0::bigint as unsupported,
+  count(case when a.status = 'inapplicable' then 1 end) as inapplicable, round(cast(count(case when a.status = 'valid' then 1 end) as double) / count(*), 6) as covered from {issuers} i cross join (select distinct qidx from {flows}) q left join {assessed} a on a.issuer = i.issuer and a.qidx = q.qidx group by 1""")
 def a16(t: Data) -> DataFrame:
-    valid, empty = F.count_if(F.col("status") == "valid"), F.count_if(F.col("status") == "not_meaningful")
-    return long_rows(t).groupBy("metric", "qidx").agg(valid.alias("valid"), empty.alias("not_meaningful"), F.round(valid / F.count("*"), 6).alias("covered"))
+    """Every status over the whole roster of issuers and quarters; quarters before twelve months are full are missing."""
+    rows = metrics.metric(t.snapshots, "price_earnings")
+    assessed = rows.select(*KEYS, metrics.status(F.col("value"), F.col("reasons"), (F.lit(7980) - F.col("qidx")) * 91, 0, F.col("industry") % 7 != 3).alias("status"))
+    roster = t.issuers.select("issuer").crossJoin(F.broadcast(t.flows.select("qidx").distinct()))
+    return inputs.status_counts(assessed, roster, ["qidx"], ["issuer"]).withColumn("covered", F.round("covered", 6))
 
 
 @query("O2_review_topics", """with c as (select issuer, qidx, metric, rule, case rule when 'cash_spending_gap' then 'cash_generation' when 'revenue_declined' then 'revenue' else 'earnings' end as topic, case rule when 'cash_spending_gap' then 1 else 2 end as rank from {rules} where rule in ('cash_spending_gap', 'revenue_declined', 'operating_loss', 'consolidated_loss')
@@ -196,24 +193,58 @@ def o2(t: Data) -> DataFrame:
     return metrics.review_items(seen(t), KEYS).select(*KEYS, "topic", "rule", flags.text(F.col("metrics")).alias("metrics"), "place")
 
 
-@query("P16_operand_compatibility", "select a.issuer, a.qidx, concat_ws('|', case when a.period_end <> b.period_end then 'different_period' end, case when a.revenue > 2 * b.revenue then 'different_scope' end) as reasons from {flows} a join {flows} b on a.issuer = b.issuer and b.qidx = a.qidx - a.qidx % 2")
-def p16(t: Data) -> DataFrame:
-    other = t.flows.select("issuer", F.col("qidx").alias("q"), F.col("period_end").alias("end2"), F.col("revenue").alias("rev2"))
-    joined = t.flows.withColumn("q", F.col("qidx") - F.col("qidx") % 2).join(other, ["issuer", "q"])
-    codes = flags.reasons(different_period=F.col("period_end") != F.col("end2"), different_scope=F.col("revenue") > 2 * F.col("rev2"))
-    return joined.select(*KEYS, flags.text(codes).alias("reasons"))
+#: A line of an order as a selected input: its columns decide what is wrong with it.
+VIEWS["input_rows"] = """select l_orderkey as request, l_linenumber as line, l_suppkey as issuer, case l_returnflag when 'N' then 'cfo' when 'A' then 'capex' else 'cost' end as concept, cast(round(l_discount * 100) as int) as d, cast(round(l_tax * 100) as int) as x, cast(l_quantity as int) as q,
+    cast(l_extendedprice as decimal(18,4)) as value, cast(date_trunc('quarter', l_shipdate) as date) as quarter_start, cast(l_shipdate as date) as day, l_linestatus as link from {lineitem}"""
+
+
+def input_parts(t: Data) -> DataFrame:
+    d, x, q = F.col("d"), F.col("x"), F.col("q")
+    rows = t.input_rows
+    unit = F.when(d == 0, "shares").when(d == 1, "USD/shares").when(d == 2, "usd").otherwise("USD")
+    numerators = F.when(d == 0, F.array(F.lit("xbrli:shares"))).when(d == 3, F.array(F.lit("iso4217:EUR"))).otherwise(F.array(F.lit("iso4217:USD")))
+    descriptor = F.concat(F.lit('{"consolidation":"consolidated","instrument":null,"scope_evidence":"'), F.when(x == 3, " ").otherwise("statement"), F.lit('"}'))
+    start = F.when(q == 1, F.date_add("day", 1)).otherwise(F.col("quarter_start"))
+    return rows.select(
+        "request", "line", "concept", "value", "link", "day", "quarter_start", d.alias("d"), x.alias("x"), q.alias("q"),
+        F.struct(F.col("issuer").alias("issuer"), F.array(F.lit("cfo"), F.lit("capex")).alias("concepts"), F.col("quarter_start").alias("period"), F.when(d == 0, "shares").otherwise("USD").alias("unit"), F.when(d == 4, "EUR").alias("currency"), F.lit("consolidated").alias("scope"), F.array(F.col("request")).alias("captures"), F.lit("1998-06-30 12:00:00").cast("timestamp").alias("captured_before"), F.lit(None).cast("date").alias("filed_cutoff")).alias("asked"),
+        F.struct(F.when(q > 45, F.add_months("quarter_start", 3)).otherwise(F.col("quarter_start")).alias("id"), F.lit("duration").alias("kind"), start.alias("start"), F.col("day").alias("end")).alias("period"),
+        F.struct(unit.alias("key"), numerators.alias("numerators"), F.when(d == 1, F.array(F.lit("xbrli:shares"))).alias("denominators")).alias("unit"),
+        F.struct(F.when((x == 0) & (F.col("link") == "O"), "segment").otherwise("consolidated").alias("id"), F.when(x == 1, F.col("issuer") + 1).otherwise(F.col("issuer")).alias("issuer"), F.lit("consolidated").alias("kind"), F.lit(None).cast("string").alias("instrument"), descriptor.alias("descriptor"), F.sha2(F.when(x == 2, F.reverse(descriptor)).otherwise(descriptor), 256).alias("sha256")).alias("scope"),
+        F.struct("concept", F.when(q != 2, F.col("value")).alias("value"), F.when(q == 2, "missing").otherwise("observed").alias("status"), F.col("request").alias("capture"), F.concat(F.lpad(F.col("request").cast("string"), 10, "0"), F.when(x == 4, "/").otherwise("-24-00000"), "line").alias("accession"), F.col("day").alias("filed"),
+                 F.when(x == 5, "https://user@host/a").otherwise("https://host/a").alias("source_url"), F.lit("/facts/0").alias("locator"), F.sha2(F.col("request").cast("string"), 256).alias("source_sha256"), F.lit("a:X").alias("tag"), F.col("value").cast("string").alias("text")).alias("fact"),
+    )
 
 
-@query("P15_input_context", "select issuer, qidx, concat_ws('|', case when qidx % 6 = 0 then 'currency_mismatch' end, case when issuer % 4 = 0 then 'scope_mismatch' end) as reasons from {flows}")
+@query("P15_input_context", """select request, line, concat_ws('|', case when concept = 'cost' then 'input_concept_mismatch' end, case when q = 2 then 'input_fact_not_observed' end, case when q = 1 then 'input_period_invalid' end, case when q > 45 then 'input_period_mismatch' end, case when x in (4, 5) or day > date '1998-06-30' then 'input_provenance_invalid' end,
+  case when d = 4 then 'input_reporting_currency_mismatch' end, case when x in (2, 3) then 'input_scope_invalid' end, case when x = 1 or (x = 0 and link = 'O') then 'input_scope_mismatch' end, case when d in (2, 3) then 'input_unit_invalid' end, case when d in (1, 2) then 'input_unit_mismatch' end, case when q = 2 then 'input_value_invalid' end) as reasons from {input_rows}""")
 def p15(t: Data) -> DataFrame:
-    codes = flags.reasons(scope_mismatch=F.col("issuer") % 4 == 0, currency_mismatch=F.col("qidx") % 6 == 0, unit_mismatch=F.lit(False))
-    return t.flows.select(*KEYS, flags.text(codes).alias("reasons"))
+    codes = inputs.input_issues(*map(F.col, ("asked", "period", "unit", "scope", "fact")))
+    return input_parts(t).select("request", "line", flags.text(codes).alias("reasons"))
 
 
-@query("P17_numeric_limits", "select issuer, qidx, revenue > 500000 as exceeded, cast(case when revenue <= 500000 then revenue end as double) as value from {flows}")
+@query("P16_operand_compatibility", """select a.request, concat_ws('|', case when a.day <> b.day or a.quarter_start <> b.quarter_start then 'incompatible_periods' end, case when a.link <> b.link then 'incompatible_reporting_basis' end, case when a.concept not in ('cfo', 'capex') or b.concept not in ('cfo', 'capex') or a.x = 0 or b.x = 0 then 'incompatible_statement_family' end,
+  case when a.u <> b.u or a.d in (1, 2) or b.d in (1, 2) then 'incompatible_units' end, case when a.q = 2 or b.q = 2 then 'source_input_unavailable' end, case when a.concept <> 'cfo' or b.concept <> 'capex' then 'unexpected_concept' end, case when a.d = 4 or b.d = 4 then 'unsupported_semantic_scope' end) as reasons
+  from (select *, case d when 1 then 'USD/shares' when 2 then 'usd' else 'USD' end as u from {input_rows}) a join (select *, case d when 1 then 'USD/shares' when 2 then 'usd' else 'USD' end as u from {input_rows}) b on a.request = b.request and a.line = 1 and b.line = 2""")
+def p16(t: Data) -> DataFrame:
+    d = F.col("d")
+    one = F.struct(
+        "line", "concept", F.when(F.col("q") != 2, F.col("value")).alias("value"), F.array(F.lit("revised_view")).alias("issues"), F.lit("own").alias("history_key"), F.when(F.col("link") == "O", "us_gaap").otherwise("ifrs").alias("basis"), F.when(d == 1, "USD/shares").when(d == 2, "usd").otherwise("USD").alias("unit"),
+        F.lit("duration").alias("kind"), F.col("quarter_start").alias("start"), F.col("day").alias("end"), F.col("request").alias("edition"), F.when((F.col("x") == 0) | ~F.col("concept").isin("cfo", "capex"), "notes").otherwise("cash_flow").alias("family"), F.when(d == 4, "segment").otherwise("consolidated").alias("scope"),
+    )
+    rows = input_parts(t).select("request", "line", one.alias("o"))
+    first, second = (rows.filter(F.col("line") == k).select("request", F.col("o").alias(f"o{k}")) for k in (1, 2))
+    pairs = first.join(second, "request").withColumn("operands", F.array("o1", "o2"))
+    return pairs.select("request", flags.text(inputs.operand_issues(F.col("operands"), ["cfo", "capex"])).alias("reasons"))
+
+
+@query("P17_numeric_limits", "select event_id, case when event_type = 'error' then false when event_type = 'click' then event_id % 2 = 0 else true end as within from {events}")
 def p17(t: Data) -> DataFrame:
-    value = F.when(F.col("revenue") <= 500000, F.col("revenue"))
-    return t.flows.select(*KEYS, value.isNull().alias("exceeded"), value.cast("double").alias("value"))
+    """Errors have exponents out of bounds, every other click too many digits."""
+    digits = F.repeat(F.lit("7"), F.when(F.col("event_id") % 2 == 0, 999).otherwise(1001).cast("int"))
+    power = F.when(F.col("event_id") % 2 == 0, "E1000").otherwise("E-1003")
+    text = F.when(F.col("event_type") == "error", F.concat(F.lit("1234.5"), power)).when(F.col("event_type") == "click", digits).otherwise(F.concat(F.lit("-0.00"), F.col("event_id"), F.lit("E900")))
+    return t.events.select("event_id", inputs.within_limits(text).alias("within"))
 
 
 @query("P18_denominator", "select issuer, qidx, concat_ws('|', case when income <= 0 then 'denominator_nonpositive' end, case when qidx % 5 = 0 then 'denominator_precision_unknown' end, case when income > 0 and qidx % 5 <> 0 and income <= 1000 then 'denominator_within_error' end) as reasons from {flows}")
@@ -223,16 +254,30 @@ def p18(t: Data) -> DataFrame:
     return t.flows.select(*KEYS, flags.text(F.filter(flags.normal(codes), lambda c: c.isNotNull())).alias("reasons")).withColumn("reasons", F.expr("array_join(array_sort(split(reasons, '[|]')), '|')"))
 
 
-@query("P28_evidence_rows", "select issuer, qidx, cast(fcf as double) as value, sha256(concat_ws(':', cast(issuer as varchar), cast(qidx as varchar))) as input_hash from {snapshots}")
+def flow_hash(name: str):
+    return F.sha2(F.concat_ws(":", F.lit(name), "issuer", "qidx", F.col(name).cast("string")), 256)
+
+
+HASH = "sha256('{c}:' || cast(issuer as varchar) || ':' || cast(qidx as varchar) || ':' || cast({c} as varchar))"
+
+
+@query("P28_evidence_rows", f"select issuer, qidx, cast(case when capex >= 0 then fcf end as double) as value, cast(error * 2 as double) as error, sha256({HASH.format(c='cfo')} || '|' || {HASH.format(c='capex')}) as input_hash, cast(period_end + 1 - interval 12 month as date) as period_start, period_end, case when capex < 0 then 'capex_negative' else '' end as flags, capex >= 0 as usable from {{snapshots}}")
 def p28(t: Data) -> DataFrame:
-    return t.snapshots.select(*KEYS, f2("fcf", "value"), F.sha2(F.concat_ws(":", "issuer", "qidx"), 256).alias("input_hash"))
+    """Free cash flow as an evidence value: both operands' errors add up."""
+    codes = flags.reasons(capex_negative=F.col("capex") < 0)
+    e = inputs.evidence(F.when(F.col("capex") >= 0, F.col("fcf")), F.col("error") * 2, [flow_hash("cfo"), flow_hash("capex")], F.col("period_end"), 12, codes, "cash_ppe_fcf")
+    rows = t.snapshots.select(*KEYS, e.alias("e"))
+    return rows.select(*KEYS, F.col("e.value").cast("double").alias("value"), F.col("e.absolute_error").cast("double").alias("error"), "e.input_hash", "e.period_start", "e.period_end", flags.text(F.col("e.flags")).alias("flags"), "e.usable")
 
 
-@query("P29_operand_hashes", "select issuer, qidx, case when qidx % 9 = 0 then 'operand_hash_mismatch' else '' end as reasons from {snapshots}")
+@query("P29_operand_hashes", "select issuer, qidx, concat_ws('|', case when cap <= 0 or income < 0 then 'company_metric_input_mismatch' end, case when cap <= 0 then 'company_metric_input_missing' end) as reasons from {snapshots}")
 def p29(t: Data) -> DataFrame:
-    declared = F.array(F.sha2(F.col("cfo").cast("string"), 256), F.sha2(F.col("capex").cast("string"), 256))
-    evidence = F.when(F.col("qidx") % 9 == 0, F.reverse(declared)).otherwise(declared)
-    return t.snapshots.select(*KEYS, flags.text(flags.reasons(operand_hash_mismatch=declared != evidence)).alias("reasons"))
+    """A metric that was computed before its income was restated (here: a loss), or without a cap, is refused."""
+    stale = F.sha2(F.lit("before"), 256)
+    rows = t.snapshots
+    declared = rows.select(*KEYS, F.lit("price_earnings").alias("metric"), F.array(F.lit("cap"), F.lit("income")).alias("fields"), F.array(flow_hash("cap"), F.when(F.col("income") < 0, stale).otherwise(flow_hash("income"))).alias("operand_hashes"))
+    held = rows.filter("cap > 0").select(*KEYS, F.lit("cap").alias("field"), flow_hash("cap").alias("input_hash")).unionByName(rows.select(*KEYS, F.lit("income").alias("field"), flow_hash("income").alias("input_hash")))
+    return inputs.accepted_metrics(declared, held, KEYS).select(*KEYS, flags.text(F.col("reasons")).alias("reasons"))
 
 
 @query("U4_flag_sets", "select issuer, qidx, concat_ws('|', case when income < 0 then 'loss' end, case when fcf < 0 then 'outflow' end) as every, case when income < 0 and not fcf < 0 then 'loss' else '' end as only_first, not (income < 0) or fcf < 0 as subset from {snapshots}")
@@ -307,7 +352,9 @@ def f20(t: Data) -> DataFrame:
     return t.events.select("event_id", scalar.window_start(F.date_add(F.to_date("ts"), 31), 3).alias("start"))
 
 
-@query("J31_history_points", "select m.issuer, m.qidx, m.metric, count(h.value) as points from {long_metrics} m left join {long_metrics} h on h.issuer = m.issuer and h.metric = m.metric and h.qidx < m.qidx and h.qidx >= m.qidx - 8 group by 1, 2, 3")
+@query("J31_history_points", """select a.issuer, a.qidx, b.qidx as then, round(cast(b.income as double), 2) as value, concat_ws('|', case when b.cap_date <> b.period_end then 'historical_evaluation_date_mismatch' end, case when b.cap <= 0 then 'historical_metric_unavailable' end, case when (a.cap > 50000) <> (b.cap > 50000) then 'incompatible_series' end) as reasons
+  from {snapshots} a join {snapshots} b on a.issuer = b.issuer and b.qidx < a.qidx and b.qidx >= a.qidx - 12""".replace("round(cast(b.income as double), 2) as value", "round(cast(case when b.cap > 0 then b.income end as double), 2) as value"))
 def j31(t: Data) -> DataFrame:
-    earlier = Window.partitionBy("issuer", "metric").orderBy("qidx").rangeBetween(-8, -1)
-    return long_rows(t).select(*KEYS, "metric", F.count("value").over(earlier).alias("points"))
+    """Points of the last three years; a company that crossed a size limit has another context."""
+    rows = t.snapshots.select(*KEYS, F.when(F.col("cap") > 50000, "large").otherwise("small").alias("context"), F.col("cap_date").alias("evaluated"), "period_end", F.when(F.col("cap") > 0, F.col("income").cast("double")).alias("value"))
+    return inputs.history_points(rows, rows, ["issuer"], 12).select(*KEYS, "then", F.round("value", 2).alias("value"), flags.text(F.col("reasons")).alias("reasons"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pitspark.functions import flags, scalar
-from pitspark.operators import changes, history, metrics, periods, sectors, selection, valuation
+from pitspark.operators import changes, history, inputs, metrics, periods, sectors, selection, valuation
 from pitspark.sources import bodies
 from pitspark.streaming.change_feed import ChangeFeed
 
@@ -427,3 +427,40 @@ def test_the_ordered_query_does_not_go_through_one_task(spark):
 
     found = catalog.QUERIES["O3_ordered_with_gaps_last"](spark, "/root/testdata/sf0.001")
     assert "SinglePartition" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_numeric_limits(spark):
+    rows = [("1", True), ("-0.0", True), ("7" * 1000, True), ("7" * 1001, False), ("1E1000", True), ("12E1000", False), ("1e-1000", True), ("1.5E-1000", False), ("x", False), ("", False), ("1E99999999999999999999", False), (None, None)]
+    got = spark.createDataFrame(rows, "t string, want boolean").select(inputs.within_limits(F.col("t")).alias("x"), "want").collect()
+    assert all(r.x == r.want for r in got)
+
+
+def test_units_and_scopes(spark):
+    units = [("USD", ["iso4217:USD"], None, True), ("USD", ["iso4217:EUR"], [], False), ("shares", ["xbrli:shares"], [], True), ("USD/shares", ["iso4217:USD"], ["xbrli:shares"], True), ("USD/shares", ["iso4217:USD"], [], False), ("usd", ["iso4217:usd"], [], None), (None, None, None, None)]
+    rows = spark.createDataFrame(units, "key string, numerators array<string>, denominators array<string>, want boolean")
+    assert all(r.x == r.want for r in rows.select(inputs.unit_fits(F.struct("key", "numerators", "denominators")).alias("x"), "want").collect())
+
+
+def test_operands_of_one_formula(spark):
+    schema = "concept string, value decimal(18,2), issues array<string>, history_key string, basis string, unit string, kind string, start date, end date, edition string, family string, scope string"
+    good = ("cfo", Decimal(5), ["revised_view"], "own", "us_gaap", "USD", "duration", D(2025, 1, 1), D(2025, 3, 31), "e", "cash_flow", "consolidated")
+
+    def ask(**other):
+        names = [x.split()[0] for x in schema.split(", ")]
+        second = tuple(other.get(n, "capex" if n == "concept" else v) for n, v in zip(names, good))
+        rows = spark.createDataFrame([(1, good), (2, second)], f"k int, o struct<{', '.join(x.replace(' ', ':', 1) for x in schema.split(', '))}>".replace("decimal(18:2)", "decimal(18,2)"))
+        operands = F.transform(F.array_sort(F.collect_list(F.struct("k", "o"))), lambda x: x["o"])
+        return rows.agg(operands.alias("x")).select(inputs.operand_issues(F.col("x"), ["cfo", "capex"]).alias("r")).first().r
+
+    assert ask() == []
+    assert ask(value=None, issues=["late"]) == ["late", "source_input_unavailable"]
+    assert ask(start=None) == ["flow_period_required", "incompatible_periods"]
+    assert ask(basis="other", unit="EUR", edition="f") == ["incompatible_filing_editions", "incompatible_reporting_basis", "incompatible_units", "unsupported_reporting_basis"]
+    assert ask(scope=None, family="income", history_key="x", concept="cfo") == ["incompatible_history_policy", "incompatible_statement_family", "unexpected_concept", "unsupported_semantic_scope"]
+
+
+def test_a_metric_is_accepted_with_its_evidence_only(spark):
+    metrics_ = spark.createDataFrame([(1, "m", ["a", "b"], ["1", "2"]), (2, "m", ["a", "b"], ["2", "1"]), (3, "m", ["a", "b"], ["1", "2"])], "k int, metric string, fields array<string>, operand_hashes array<string>")
+    held = spark.createDataFrame([(k, f, h) for k in (1, 2) for f, h in (("a", "1"), ("b", "2"))] + [(3, "a", "1")], "k int, field string, input_hash string")
+    got = {r.k: r.reasons for r in inputs.accepted_metrics(metrics_, held, ["k"]).collect()}
+    assert got == {1: [], 2: ["company_metric_input_mismatch"], 3: ["company_metric_input_mismatch", "company_metric_input_missing"]}
