@@ -19,20 +19,25 @@ def d2(name: str):
     return F.col(name).cast("double").alias(name)
 
 
-def edition_sql(pick: str) -> str:
-    return f"""with p as (select fact, line, {pick}(filed) as filed from {{editions}} group by 1, 2)
-      select fact, line, p.filed, cast(case when count(distinct e.value) = 1 then min(e.value) end as double) as value, case when count(distinct e.value) > 1 then 'ambiguous_filing_order' end as reason
-      from p join {{editions}} e using (fact, line) where e.filed = p.filed group by 1, 2, 3"""
+VIEWS["versions"] = """select l_suppkey as issuer, l_orderkey as version, cast(l_shipdate as date) as filed, case when l_quantity >= 48 then null else l_shipdate + interval 1 hour * cast(l_quantity as int) end as acceptance_at,
+    case when l_tax >= 0.08 then 'ifrs' else 'us_gaap' end as basis, case when l_discount >= 0.10 then null else 'USD' end as currency, case when l_quantity < 3 then 'partial' else 'covered' end as state from {lineitem}"""
 
 
-@query("W1_original_edition", edition_sql("min"))
+def version_sql(pick: str, mode: str) -> str:
+    return f"""with e as (select * from (select *, {pick}(filed) over (partition by issuer) as f from {{versions}}) where filed = f), g as (select issuer, count(distinct version) as v, bool_and(acceptance_at is not null) as ok, {pick}(acceptance_at) as a from e group by 1),
+      k as (select issuer, count(distinct version) as n from e join g using (issuer) where e.acceptance_at = g.a group by 1),
+      h as (select e.*, v > 1 as several, v > 1 and ok and k.n = 1 as timed from e join g using (issuer) left join k using (issuer) where not (v > 1 and ok and k.n = 1) or e.acceptance_at = g.a)
+      select issuer, filed, case when count(distinct version) = 1 then min(version) end as version, case when bool_or(several and not timed) then 'ambiguous_filing_order' when count(distinct basis) > 1 then 'incompatible_reporting_basis' when bool_or(currency is null or state <> 'covered') then 'unresolved_coverage' end as reason, '{mode}' as mode from h group by 1, 2"""
+
+
+@query("W1_original_edition", version_sql("min", "earliest_available"))
 def w1(t: Data) -> DataFrame:
-    return selection.editions(t.editions, KEY, latest=False).select(*KEY, "filed", d2("value"), "reason")
+    return selection.chosen_versions(t.versions, ["issuer"], latest=False)
 
 
-@query("W1_latest_edition", edition_sql("max"))
+@query("W1_latest_edition", version_sql("max", "revised_view"))
 def w1_latest(t: Data) -> DataFrame:
-    return selection.editions(t.editions, KEY, latest=True).select(*KEY, "filed", d2("value"), "reason")
+    return selection.chosen_versions(t.versions, ["issuer"], latest=True)
 
 
 @query("A1_fact_conflicts", "select fact, line, count(distinct (value, form)) as signatures, count(distinct (value, form)) > 1 as conflict from {editions} group by 1, 2")
@@ -50,17 +55,24 @@ def p1(t: Data) -> DataFrame:
     return selection.successful(t.captures, F.lit(CUTOFF).cast("timestamp")).select("capture", "object_key")
 
 
-@query("W2_newest_capture", """with x as (select *, rank() over (partition by source, object_key order by fetched_at desc) as r from {captures})
-  select source, object_key, fetched_at, case when count(distinct body_hash) = 1 then min(body_hash) end as body_hash, count(distinct body_hash) > 1 as ambiguous from x where r = 1 group by 1, 2, 3""")
+VIEWS["role_captures"] = "select user_id as object_key, 'facts' as role, event_id as capture, date_trunc('hour', ts) as fetched_at, md5(event_type) as body_hash from {events} where event_type <> 'error' union all select user_id, 'index', event_id, date_trunc('hour', ts), md5(event_type) from {events} where event_type in ('purchase', 'signup')"
+
+
+@query("W2_newest_capture", """with x as (select *, max(fetched_at) over (partition by object_key, role) as newest from {role_captures}), c as (select object_key, capture from x group by 1, 2 having bool_or(fetched_at = newest) and bool_or(fetched_at < newest))
+  select object_key, role, fetched_at, case when count(distinct body_hash) = 1 and object_key not in (select object_key from c) then min(body_hash) end as body_hash, case when count(distinct body_hash) > 1 then 'ambiguous_capture_vintage' when object_key in (select object_key from c) then 'incompatible_source_roles' end as reason from x where fetched_at = newest group by 1, 2, 3""")
 def w2(t: Data) -> DataFrame:
-    return selection.newest(t.captures, ["source", "object_key"], "fetched_at", F.col("body_hash")).select("source", "object_key", "fetched_at", F.col("content").alias("body_hash"), "ambiguous")
+    return selection.source_captures(t.role_captures, ["object_key"])
 
 
-@query("W4_freshness_boundary", """with x as (select object_key, http_status = 200 as ok, max(case when http_status = 200 then 1 else 0 end) over (partition by object_key order by fetched_at desc, capture desc rows unbounded preceding) as good_after from {captures})
-  select object_key, count(case when good_after = 0 then 1 end) as failures, bool_or(ok) as ever_good from x group by 1""")
+VIEWS["attempts"] = """select user_id as object_key, case event_type when 'view' then 'success' when 'click' then 'not_modified' when 'error' then 'http_error' when 'purchase' then 'archive_error' else 'interrupted_unknown' end as state, case when event_type = 'purchase' and value > 150 then null else ts end as finished_at from {events}"""
+
+
+@query("W4_freshness_boundary", f"""with k as (select *, coalesce(finished_at <= timestamp '{CUTOFF}', false) as known from {{attempts}}), e as (select object_key, max(case when known and state = 'success' then finished_at end) as newest, max(case when known and state = 'not_modified' then finished_at end) as validated, bool_or(not known or state = 'interrupted_unknown') as unknown from k group by 1),
+  b as (select object_key, newest, unknown, case when newest is not null then greatest(newest, coalesce(validated, newest)) end as boundary from e),
+  f as (select b.object_key, newest, unknown, boundary, count(case when known and state in ('http_error', 'archive_error') and (boundary is null or finished_at >= boundary) then 1 end) as failures from b join k using (object_key) group by 1, 2, 3, 4)
+  select object_key, boundary, failures, concat_ws('|', case when failures > 0 and newest is null then 'capture_failed' end, case when newest is null then 'capture_unavailable' end, case when failures > 0 and newest is not null then 'newer_capture_failed' end, case when unknown then 'source_attempt_outcome_unknown' end) as flags from f""")
 def w4(t: Data) -> DataFrame:
-    rows = t.captures.select("object_key", "fetched_at", "capture", (F.col("http_status") == 200).alias("ok"))
-    return selection.failures_since_success(rows, ["object_key"], ["fetched_at", "capture"])
+    return selection.freshness(t.attempts, ["object_key"], F.lit(CUTOFF).cast("timestamp_ntz")).select("object_key", "boundary", "failures", flags.text(F.col("flags")).alias("flags"))
 
 
 VIEWS["requirements"] = "select distinct c_custkey as object_key, cast('view' as varchar(10)) as source from {customer}"
@@ -160,12 +172,15 @@ def j11(t: Data) -> DataFrame:
     return t.vintages_spark.filter(inside).select("issuer", "series", "reference_date", d2("value"))
 
 
-@query("J12_series_definition", "select response, case when series = 'signup' then 'definition_missing' when reference_date < date '2024-01-05' then 'definition_from_future' end as reason from {series}")
+VIEWS["definitions"] = "select event_type as series, cast(min(ts) as date) + 5 as known_on, 1 as definition from {events} where event_type <> 'signup' group by 1 union all select event_type, cast(min(ts) as date) + 20, 2 from {events} where event_type in ('view', 'click') group by 1"
+
+
+@query("J12_series_definition", """select response, case when s.series in (select series from {definitions}) then case when max(d.known_on) is null then 'definition_from_future' end else 'definition_missing' end as reason, max(d.definition) as definition from {series} s left join {definitions} d on d.series = s.series and d.known_on <= s.reference_date group by response, s.series""")
 def j12(t: Data) -> DataFrame:
-    rows = [("view", "2024-01-05"), ("click", "2024-01-05"), ("error", "2024-01-05"), ("purchase", "2024-01-05")]
-    known = t.spark.createDataFrame(rows, "series string, since string").withColumn("since", F.to_date("since"))
-    joined = t.series.join(F.broadcast(known), "series", "left")
-    return joined.select("response", F.when(F.col("since").isNull(), "definition_missing").when(F.col("reference_date") < F.col("since"), "definition_from_future").alias("reason"))
+    known = t.events.groupBy(F.col("event_type").alias("series")).agg(F.to_date(F.min("ts")).alias("first")).filter("series <> 'signup'")
+    later = F.array(F.struct(F.date_add("first", 5).alias("known_on"), F.lit(1).alias("definition")), F.struct(F.when(F.col("series").isin("view", "click"), F.date_add("first", 20)).alias("known_on"), F.lit(2).alias("definition")))
+    definitions = known.select("series", F.explode(later).alias("d")).select("series", "d.*").filter("known_on is not null")
+    return selection.with_definition(t.series, definitions, ["series"]).select("response", "reason", "definition")
 
 
 @query("P12_publication_knowledge", f"""select response, case when response % 3 = 0 then case when retrieved_at > timestamp '{CUTOFF}' then 'published_after_cutoff' end when response % 3 = 1 then 'publication_unknown'
@@ -177,25 +192,44 @@ def p12(t: Data) -> DataFrame:
     return t.series.select("response", selection.publication_problem(at, on, F.lit(CUTOFF).cast("timestamp"), as_of).alias("reason"))
 
 
-@query("P11_session_in_binding", "select response from {series} where reference_date >= date '2024-01-05' and reference_date < date '2024-01-12'")
+VIEWS["listings"] = "select c_custkey as issuer, date '2024-01-02' + cast(c_nationkey as int) as valid_from, case when c_mktsegment = 'BUILDING' then null else date '2024-01-20' + cast(c_nationkey as int) end as valid_to, case when c_acctbal < 2000 then date '2024-01-24' end as closed_on from {customer}"
+
+
+@query("P11_session_in_binding", "select s.response from {series} s join {listings} b on b.issuer = s.issuer and s.reference_date >= b.valid_from and s.reference_date < least(coalesce(b.valid_to, date '9999-12-31'), coalesce(b.closed_on, date '9999-12-31'))")
 def p11(t: Data) -> DataFrame:
-    return t.series.filter("reference_date >= date '2024-01-05' and reference_date < date '2024-01-12'").select("response")
+    nation = F.col("c_nationkey").cast("int")
+    listings = t.customer.select(F.col("c_custkey").alias("issuer"), F.date_add(F.lit("2024-01-02").cast("date"), nation).alias("valid_from"), F.when(F.col("c_mktsegment") != "BUILDING", F.date_add(F.lit("2024-01-20").cast("date"), nation)).alias("valid_to"), F.when(F.col("c_acctbal") < 2000, F.lit("2024-01-24").cast("date")).alias("closed_on"))
+    return selection.sessions_in_binding(t.series.withColumn("session", F.col("reference_date")), listings, ["issuer"]).select("response")
+
+
+VIEWS["coverage"] = "select l_orderkey as fact, l_linenumber as line, cast(l_shipdate as date) as filed, case l_returnflag when 'N' then 'periodic_complete' when 'A' then 'reviewed_equivalent' else 'partial' end as authority, case when l_linestatus = 'F' then 'audited' else 'unaudited' end as assurance from {lineitem}"
 
 
-@query("P13_eligible_coverage", "select fact, line, filed from {editions} where form in ('A', 'N') and filed <= date '1998-06-30'")
+@query("P13_eligible_coverage", """select 'plain' as ask, fact, line, filed from {coverage} where authority = 'periodic_complete' and filed <= date '1998-06-30' union all select 'reviewed', fact, line, filed from {coverage} where authority in ('periodic_complete', 'reviewed_equivalent') and filed <= date '1998-06-30'
+  union all select 'audited', fact, line, filed from {coverage} where authority in ('periodic_complete', 'reviewed_equivalent') and assurance = 'audited' and filed <= date '1998-06-30'""")
 def p13(t: Data) -> DataFrame:
-    return t.editions.filter(F.col("form").isin("A", "N") & (F.col("filed") <= F.lit("1998-06-30").cast("date"))).select("fact", "line", "filed")
+    cutoff = F.lit("1998-06-30").cast("date")
+    asks = [("plain", False, False), ("reviewed", True, False), ("audited", True, True)]
+    found = [selection.eligible_coverage(t.coverage, reviewed, audited, cutoff).select(F.lit(name).alias("ask"), "fact", "line", "filed") for name, reviewed, audited in asks]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
-@query("A2_batch_eligibility", "select object_key, max(case when http_status = 200 then fetched_at end) as last_good, bool_and(http_status = 200) as all_good, count(distinct source) as sources from {captures} group by 1")
+VIEWS["batch_inputs"] = "select user_id as batch, event_id as response, case event_type when 'view' then 'observations' when 'error' then 'fetch_outcome' else 'metadata' end as role, case when event_type = 'signup' and value > 190 then null else ts end as ended_at from {events}"
+
+
+@query("A2_batch_eligibility", """select batch, max(case when role <> 'metadata' then ended_at end) as response_at, max(ended_at) as known_at, bool_and(coalesce(ended_at <= timestamp '2024-01-31 00:00:00', false)) and max(case when role <> 'metadata' then ended_at end) is not null as eligible, coalesce(array_to_string(list_sort(list(response) filter (role <> 'metadata')), ','), '') as responses from {batch_inputs} group by 1""")
 def a2(t: Data) -> DataFrame:
-    return t.captures.groupBy("object_key").agg(F.max(F.when(F.col("http_status") == 200, F.col("fetched_at"))).alias("last_good"), F.bool_and(F.col("http_status") == 200).alias("all_good"), F.count_distinct("source").alias("sources"))
+    found = selection.eligible_batches(t.batch_inputs, ["batch"], F.lit("2024-01-31 00:00:00").cast("timestamp_ntz"))
+    return found.withColumn("responses", F.array_join(F.transform("responses", lambda x: x.cast("string")), ","))
+
+
+VIEWS["statements"] = "select l_suppkey as issuer, cast(l_shipdate as date) as period_end, case when l_tax >= 0.08 then 'ifrs' else 'us_gaap' end as basis, l_returnflag as family, l_orderkey as edition, case when l_discount = 0 then 'segment' else 'consolidated' end as scope, case when l_quantity > 48 then 'EUR' else 'USD' end as currency from {lineitem}"
 
 
-@query("A23_statement_coherence", "select issuer, filed, concat_ws('|', case when count(distinct form) > 1 then 'mixed_bases' end, case when count(distinct fact) > 1 then 'mixed_editions' end) as reasons from {editions} group by 1, 2")
+@query("A23_statement_coherence", """select issuer, period_end, concat_ws('|', case when count(distinct basis) > 1 then 'incompatible_reporting_basis' end, case when count(distinct family) > 1 and count(distinct scope) > 1 then 'incompatible_semantic_scopes' end, case when count(distinct family) > 1 and count(distinct currency) > 1 then 'incompatible_statement_currencies' end,
+  case when count(distinct family) > 1 and count(distinct edition) > 1 then 'mixed_statement_editions' end) as flags from {statements} group by 1, 2""")
 def a23(t: Data) -> DataFrame:
-    grouped = t.editions.groupBy("issuer", "filed").agg(F.count_distinct("form").alias("forms"), F.count_distinct("fact").alias("facts"))
-    return grouped.select("issuer", "filed", flags.text(flags.reasons(mixed_bases=F.col("forms") > 1, mixed_editions=F.col("facts") > 1)).alias("reasons"))
+    return selection.statement_coherence(t.statements, ["issuer", "period_end"]).select("issuer", "period_end", flags.text(F.col("flags")).alias("flags"))
 
 
 @query("O4_latest_per_key", "select object_key, max_by(capture, (fetched_at, capture)) as capture from {captures} group by 1")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pitspark.functions import flags, scalar
 from pitspark.functions.storage import work_dir
+from pitspark.operators import selection
 from pitspark.plans.bridge import VIEWS
 from pitspark.plans.registry import Data, query
 from pitspark.sources import bodies
@@ -170,9 +171,15 @@ def s8(t: Data) -> DataFrame:
     return new.select("input_hash", F.lit("append").alias("action")).unionByName(conflict.select("input_hash", F.lit("conflict").alias("action")))
 
 
-@query("S9_publish_latest", "select o_custkey as scope, max(o_orderkey) as snapshot from {orders} group by 1")
+@query("S9_publish_latest", """select coalesce(p.scope, o.scope) as scope, case when o.sequence > coalesce(p.sequence, -1) then o.sequence else p.sequence end as sequence, case when o.sequence > coalesce(p.sequence, -1) then o.snapshot else p.snapshot end as snapshot, case when o.scope is null then 'unchanged' when o.sequence > coalesce(p.sequence, -1) then 'moved' else 'kept' end as action
+  from (select o_custkey as scope, max(o_orderkey) as sequence, max(o_orderkey) * 10 as snapshot from {orders} where o_orderstatus = 'F' group by 1) p full outer join (select o_custkey as scope, max(o_orderkey) as sequence, max(o_orderkey) * 10 + 1 as snapshot from {orders} where o_orderpriority in ('1-URGENT', '2-HIGH') group by 1) o on o.scope = p.scope""")
 def s9(t: Data) -> DataFrame:
-    return t.orders.groupBy(F.col("o_custkey").alias("scope")).agg(F.max_by("o_orderkey", "o_orderkey").alias("snapshot"))
+    """Offers of urgent orders to the pointers of filled ones: a lower or equal sequence does not move them."""
+
+    def pointers(rows: DataFrame, add: int) -> DataFrame:
+        return rows.groupBy(F.col("o_custkey").alias("scope")).agg(F.max("o_orderkey").alias("sequence")).withColumn("snapshot", F.col("sequence") * 10 + add)
+
+    return selection.forward_only(pointers(t.orders.filter("o_orderstatus = 'F'"), 0), pointers(t.orders.filter("o_orderpriority in ('1-URGENT', '2-HIGH')"), 1), ["scope"])
 
 
 @query("S12_verify_bodies", "select page_id, case when page_id % 5 = 0 then 'hash_mismatch' when page_id % 5 = 1 then 'size_mismatch' end as problem from {pages}")
@@ -188,21 +195,19 @@ def s13(t: Data) -> DataFrame:
     return failed.select("request", F.lit("source_unavailable").alias("flag"), F.lit(0).alias("observations"))
 
 
-@query("P3_fact_numbers", "select event_id, case event_id % 4 when 0 then 'missing_field' when 1 then 'null_value' when 2 then 'nonfinite' else 'observed' end as state from {events}")
+@query("P3_fact_numbers", "select event_id, case event_type when 'signup' then 'missing_field' when 'error' then 'null_value' when 'click' then 'nonfinite' when 'purchase' then case when value > 100 then 'not_numeric' else 'observed' end else 'observed' end as state from {events}")
 def p3(t: Data) -> DataFrame:
-    kind = F.col("event_id") % 4
-    number = F.when(kind == 2, F.lit("Infinity")).when(kind == 3, F.col("value").cast("string")).try_cast("double")
-    present = kind != 0
-    state = F.when(~present, "missing_field").when(number.isNull(), "null_value").when(number.isin(float("inf"), float("-inf")) | F.isnan(number), "nonfinite").otherwise("observed")
-    return t.events.select("event_id", state.alias("state"))
+    kind, value = F.col("event_type"), F.col("value").cast("string")
+    text = F.when(kind == "error", "null").when(kind == "click", '"NaN"').when((kind == "purchase") & (F.col("value") > 100), F.concat(F.lit('"'), value, F.lit('"'))).otherwise(value)
+    body = F.when(kind == "signup", '{"end":"x"}').otherwise(F.concat(F.lit('{"val":'), text, F.lit("}")))
+    return t.events.select("event_id", bodies.fact_number(F.parse_json(body), "val")[0].alias("state"))
 
 
-@query("P4_daily_labels", "select event_id, case when event_id % 3 = 0 then cast(ts as date) when event_id % 3 = 1 then cast(ts as date) end as day from {events}")
+@query("P4_daily_labels", "select event_id, case when event_type in ('view', 'click', 'error') then cast(ts as date) end as day from {events}")
 def p4(t: Data) -> DataFrame:
-    day = F.to_date("ts").cast("string")
-    label = F.when(F.col("event_id") % 3 == 0, F.concat(day, F.lit("T00:00:00Z"))).when(F.col("event_id") % 3 == 1, day).otherwise(F.concat(day, F.lit("T09:30:00Z")))
-    good = label.rlike(r"^\d{4}-\d{2}-\d{2}(T00:00:00(\.0+)?(Z|[+-]\d{2}:\d{2}))?$")
-    return t.events.select("event_id", F.when(good, F.substring(label, 1, 10)).try_cast("date").alias("day"))
+    day, kind = F.to_date("ts").cast("string"), F.col("event_type")
+    label = F.when(kind == "view", F.concat(day, F.lit("T00:00:00Z"))).when(kind == "click", day).when(kind == "error", F.concat(day, F.lit("T00:00:00.000+05:30"))).when(kind == "purchase", F.concat(day, F.lit("T09:30:00Z"))).otherwise(F.lit("2024-02-30"))
+    return t.events.select("event_id", bodies.day_label(label).alias("day"))
 
 
 @query("P5_period_kinds", "select issuer, qidx, case when qidx % 5 = 0 then 'instant' when qidx % 5 = 1 then 'start_after_end' else 'duration' end as kind from {flows}")
@@ -236,27 +241,33 @@ def p10(t: Data) -> DataFrame:
     return rows.select("issuer", "qidx", "frequency", bodies.date_fits(F.col("period_start"), F.col("frequency")).alias("fits"), bodies.date_fits(F.col("period_end"), F.col("frequency")).alias("end_fits"))
 
 
-@query("P26_filing_fields", "select o_orderkey, case o_orderkey % 3 when 0 then '' when 1 then 'accession_malformed' else 'unsafe_document_path' end as reasons from {orders}")
+@query("P26_filing_fields", """select o_orderkey, concat_ws('|', case when o_orderpriority = '1-URGENT' then 'acceptance_timezone_unverified' end, case when o_orderpriority = '2-HIGH' then 'accession_malformed' end, case when o_orderpriority = '3-MEDIUM' then 'unsafe_document_path' end) as reasons, case when o_orderpriority <> '1-URGENT' then o_orderdate - interval 5 hour end as acceptance_at from {orders}""")
 def p26(t: Data) -> DataFrame:
-    kind = F.col("o_orderkey") % 3
-    accession = F.when(kind == 1, F.lit("12-3")).otherwise(F.concat(F.lpad(F.col("o_orderkey").cast("string"), 10, "0"), F.lit("-24-000001")))
-    path = F.when(kind == 2, F.lit("../a.htm")).otherwise(F.lit("a.htm"))
-    codes = flags.reasons(accession_malformed=~accession.rlike(r"^\d{10}-\d{2}-\d{6}$"), unsafe_document_path=~path.rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]*$"))
-    return t.orders.select("o_orderkey", flags.text(codes).alias("reasons"))
+    kind = F.col("o_orderpriority")
+    accession = F.when(kind == "2-HIGH", F.lit("12-3")).otherwise(F.concat(F.lpad(F.col("o_orderkey").cast("string"), 10, "0"), F.lit("-24-000001")))
+    path = F.when(kind == "3-MEDIUM", F.lit("../a.htm")).otherwise(F.lit("a.htm"))
+    label = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.when(kind == "1-URGENT", "").otherwise("+05:00"))
+    at, codes = bodies.filing_fields(accession, path, label)
+    return t.orders.select("o_orderkey", flags.text(codes).alias("reasons"), at.cast("timestamp_ntz").alias("acceptance_at"))
 
 
-@query("P27_history_completeness", "select issuer, source_ref, concat_ws('|', case when effective_to > date '2001-06-01' then 'event_history_incomplete' end, case when effective_from < date '1995-06-01' then 'filing_history_incomplete' end) as reasons from {membership}")
+@query("P27_history_completeness", """select issuer, source_ref, concat_ws('|', case when b + 200 < greatest(d, date '1999-12-31') or a > least(c, d) then 'event_history_incomplete' end, case when a > least(c, d) or b < greatest(d, date '1999-12-31') then 'filing_history_incomplete' end) as reasons
+  from (select issuer, source_ref, date '1996-01-01' + cast(issuer % 400 as int) as a, date '2000-06-01' - cast(issuer % 300 as int) as b, last_day(effective_from) as c, effective_from + 40 as d from {membership})""")
 def p27(t: Data) -> DataFrame:
-    codes = flags.reasons(filing_history_incomplete=F.col("effective_from") < F.lit("1995-06-01").cast("date"), event_history_incomplete=F.col("effective_to") > F.lit("2001-06-01").cast("date"))
+    """Inventories and event reviews of each issuer span different dates; a fact asks for those between its
+    period or filing and its filing or retrieval."""
+    low, high = F.date_add(F.lit("1996-01-01").cast("date"), (F.col("issuer") % 400).cast("int")), F.date_sub(F.lit("2000-06-01").cast("date"), (F.col("issuer") % 300).cast("int"))
+    codes = bodies.history_gaps(F.last_day("effective_from"), F.date_add("effective_from", 40), F.lit("1999-12-31").cast("date"), (low, high), (low, F.date_add(high, 200)))
     return t.membership.select("issuer", "source_ref", flags.text(codes).alias("reasons"))
 
 
-@query("J23_mapping_rules", "select o_orderkey as request, case when n = 0 then 'unsupported_scope' when n > 1 then 'rule_conflict' else 'mapped' end as state from (select o_orderkey, count(r.status) as n from {orders} left join (values ('F', '1-URGENT'), ('F', '1-URGENT'), ('P', '1-URGENT'), ('P', '5-LOW')) r(status, priority) on r.status = o_orderstatus and r.priority = o_orderpriority group by 1)")
+VIEWS["mapping_rules"] = "select o_orderstatus as status, o_orderpriority as priority, cast(year(o_orderdate) as int) as year from {orders} where o_totalprice > 180000 and o_orderstatus <> 'O' group by 1, 2, 3 union all select o_orderstatus, o_orderpriority, cast(year(o_orderdate) as int) from {orders} where o_orderstatus = 'F' group by 1, 2, 3 having max(o_totalprice) > 250000"
+
+
+@query("J23_mapping_rules", "select o_orderkey as request, case when count(r.status) = 0 then 'unsupported_scope' when count(r.status) > 1 then 'rule_conflict' else 'mapped' end as state from {orders} left join {mapping_rules} r on r.status = o_orderstatus and r.priority = o_orderpriority and r.year = year(o_orderdate) group by 1")
 def j23(t: Data) -> DataFrame:
-    rules = t.spark.createDataFrame([("F", "1-URGENT", 2), ("P", "1-URGENT", 1), ("P", "5-LOW", 1)], "o_orderstatus string, o_orderpriority string, rules int")
-    joined = t.orders.join(F.broadcast(rules), ["o_orderstatus", "o_orderpriority"], "left")
-    state = F.when(F.col("rules").isNull(), "unsupported_scope").when(F.col("rules") > 1, "rule_conflict").otherwise("mapped")
-    return joined.select(F.col("o_orderkey").alias("request"), state.alias("state"))
+    asked = t.orders.select(F.col("o_orderkey").alias("request"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.year("o_orderdate").alias("year"))
+    return selection.rule_states(asked, t.mapping_rules, ["status", "priority", "year"]).select("request", "state")
 
 
 VIEWS["resolution_rows"] = "select l_orderkey as request, l_linenumber as concept, l_returnflag as tag, l_linestatus as detail, cast(case when l_partkey % 50 = 0 then null else round(l_quantity / 25) end as int) as value, l_suppkey * 1000000 + l_partkey as place from {lineitem}"

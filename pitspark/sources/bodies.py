@@ -7,6 +7,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitspark.functions import flags
+
 FACTS = "struct<facts:map<string,map<string,struct<units:map<string,array<struct<start:string,end:string,val:decimal(38,4),accn:string,form:string,filed:string>>>>>>>"
 FILINGS = "struct<filings:struct<recent:struct<accessionNumber:array<string>,form:array<string>,filingDate:array<string>>,files:array<struct<name:string,filingCount:long,filingFrom:string,filingTo:string>>>>"
 #: Fields of a session, raw and adjusted, as the source names them (fixed values).
@@ -51,6 +53,34 @@ def tri_state(value: Column, present: Column) -> tuple[Column, Column]:
     return state, F.when(state == "observed", number)
 
 
+def fact_number(row: Column, field: str) -> tuple[Column, Column]:
+    """(state, number) of a fact's field in its variant: absent, null, not finite, of another type, or observed."""
+    value = F.try_variant_get(row, f"$.{field}", "variant")
+    kind, text = F.schema_of_variant(value), F.try_variant_get(row, f"$.{field}", "string")
+    number = F.when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(row, f"$.{field}", "decimal(38,10)"))
+    state = F.when(value.isNull(), "missing_field").when(F.is_variant_null(value), "null_value").when(text.isin("NaN", "Infinity", "-Infinity"), "nonfinite").when(number.isNull(), "not_numeric").otherwise("observed")
+    return state, F.when(state == "observed", number)
+
+
+def day_label(text: Column) -> Column:
+    """The date of a label that names a day: bare or at midnight. It is taken as written, never shifted by a zone."""
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}(T00:00:00(\.0+)?(Z|[+-]\d{2}:\d{2}))?$"), F.substring(text, 1, 10)).try_cast("date")
+
+
+def filing_fields(accession: Column, document: Column, accepted: Column) -> tuple[Column, Column]:
+    """(acceptance time, reasons) of a filing row: a time without a zone is unverified and stays null."""
+    zoned = accepted.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$")
+    codes = flags.reasons(accession_malformed=~F.coalesce(accession.rlike(r"^\d{10}-\d{2}-\d{6}$"), F.lit(False)), unsafe_document_path=~document.rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]*$"), acceptance_timezone_unverified=~F.coalesce(zoned, F.lit(False)))
+    return F.when(zoned, accepted).try_cast("timestamp"), codes
+
+
+def history_gaps(period_end: Column, filed: Column, retrieved: Column, inventory: tuple[Column, Column], events: tuple[Column, Column]) -> Column:
+    """Which of the filing inventory and the event review do not span a fact's dates: from the earlier of
+    its period's end and filing to the later of its filing and retrieval."""
+    low, high = F.least(period_end, filed), F.greatest(filed, retrieved)
+    return flags.reasons(**{f"{name}_history_incomplete": (span[0] > low) | (span[1] < high) for name, span in (("filing", inventory), ("event", events))})
+
+
 def eod_prices(bodies: DataFrame, keys: list[str], low: str, high: str) -> DataFrame:
     """Sessions within the window, each field with state and value.
 
@@ -59,7 +89,7 @@ def eod_prices(bodies: DataFrame, keys: list[str], low: str, high: str) -> DataF
     parsed = bodies.select(*keys, F.expr("try_cast(try_variant_get(try_parse_json(body), '$', 'array<variant>') as array<variant>)").alias("a"))
     rows = parsed.select(*keys, F.col("a").isNull().alias("bad"), F.explode_outer("a").alias("v")).filter("bad or v is not null").select(*keys, "bad", F.expr("try_variant_get(v, '$', 'map<string,variant>')").alias("m"))
     text = F.try_variant_get(F.col("m")["date"], "$", "string")
-    day = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}(T00:00:00(\.0+)?(Z|[+-]\d{2}:\d{2}))?$"), F.substring(text, 1, 10)).try_cast("date")
+    day = day_label(text)
     columns = [day.alias("session"), F.when(F.col("bad") | F.col("m").isNull(), "body_malformed").when(day.isNull(), "date_invalid").alias("problem")]
     for f in PRICE_FIELDS:
         state, value = tri_state(F.col("m")[f], F.map_contains_key("m", f))
