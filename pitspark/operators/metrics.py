@@ -84,19 +84,34 @@ def long_metrics(rows: DataFrame, names: list[str], keys: list[str]) -> DataFram
     return rows.select(*keys, F.explode(F.array(*found)).alias("m")).select(*keys, "m.*")
 
 
-def status(value: Column, codes: Column, age_days: Column, most_days: int, applicable: Column | None = None) -> Column:
-    """valid, not_meaningful, missing, invalid, stale, unsupported or inapplicable, by priority."""
-    applicable = F.lit(True) if applicable is None else applicable
-    meaningless = F.forall(codes, lambda c: c.contains("nonpositive"))
+def status(value: Column, codes: Column, age_days: Column, most_days: int, applicable: Column | None = None, problems: Column | None = None, missing: Column | None = None, precise: Column | None = None, overdue: Column | None = None) -> Column:
+    """valid, not_meaningful, missing, invalid, stale, unsupported or inapplicable, by priority.
+
+    ``problems`` are codes of the profile and the cutoffs, ``missing`` says that an input has no value,
+    ``precise`` that every input's error is known, ``overdue`` that a filing was expected by now. A null
+    value is not meaningful for reasons of its denominator only, and only if all inputs are precise.
+    """
+    none = F.array().cast("array<string>")
+    applicable, problems = F.lit(True) if applicable is None else applicable, none if problems is None else problems
+    precise, overdue = F.lit(True) if precise is None else precise, F.lit(False) if overdue is None else overdue
+    own = flags.blocking(codes, flags.METRIC_INFORMATIONAL)
+    missing = F.exists(own, lambda c: c.contains("missing")) if missing is None else missing
+    of_denominator = F.forall(own, lambda c: c.contains("nonpositive") | c.contains("within_error"))
+    empty = (
+        F.when((F.size(own) > 0) & of_denominator & precise, "not_meaningful")
+        .when(missing | F.array_contains(own, "denominator_precision_unknown") | of_denominator, "missing")
+        .when(F.exists(own, lambda c: c.startswith("unsupported_") | c.isin("revision_compatibility_unproven", "incompatible_comparison_basis")), "unsupported")
+        .otherwise("invalid")
+    )
     first = (
-        F.when(F.size(F.filter(codes, lambda c: c.startswith("unsupported_"))) > 0, "unsupported")
+        F.when(F.size(problems) > 0, F.when(F.forall(problems, lambda c: c.startswith("unsupported_")), "unsupported").otherwise("invalid"))
         .when(applicable.isNull(), "unsupported")
         .when(~applicable, "inapplicable")
-        .when(value.isNull(), F.when(F.exists(codes, lambda c: c.contains("missing")), "missing").when((F.size(codes) > 0) & meaningless, "not_meaningful").when(F.size(codes) == 0, "missing").otherwise("invalid"))
-        .when(F.size(flags.blocking(codes, flags.METRIC_INFORMATIONAL)) > 0, "invalid")
+        .when(value.isNull(), empty)
+        .when(F.size(own) > 0, "invalid")
         .otherwise("valid")
     )
-    return F.when(first.isin("valid", "not_meaningful") & (age_days > most_days), "stale").otherwise(first)
+    return F.when(first.isin("valid", "not_meaningful") & ((age_days > most_days) | overdue), "stale").otherwise(first)
 
 
 #: Observation, topic and category by metric and sign (fixed values); the first sign that fits counts.

@@ -87,8 +87,30 @@ def calendar_match(flows: DataFrame, calendar: DataFrame, by: list[str]) -> Data
     return flows.join(calendar, [*by, "period_start", "period_end"], "left")
 
 
+def monthly_windows(rows: DataFrame, by: list[str], most: int = 120) -> DataFrame:
+    """A range (start, stop) clipped to calendar months; one of more than ``most`` months, or whose ends
+    are crossed, gives one row with a reason."""
+    months = F.months_between(F.trunc("stop", "month"), F.trunc("start", "month")) + 1
+    reason = F.when(F.col("start") > F.col("stop"), "ends_crossed").when(months > most, "too_many_months").otherwise("")
+    every = F.when(reason == "", F.sequence(F.trunc("start", "month"), F.col("stop"), F.expr("interval 1 month")))
+    found = rows.select(*by, "start", "stop", reason.alias("reason"), F.explode_outer(every).alias("_m"))
+    clipped = [F.when(F.col("reason") == "", c) for c in (F.greatest("start", "_m"), F.least("stop", F.last_day("_m")))]
+    return found.select(*by, clipped[0].alias("start"), clipped[1].alias("stop"), "reason")
+
+
 def supported_span(start: Column, end: Column) -> Column:
     """Quarters of 13 or 14 weeks or whole months, years of 52 or 53 weeks or twelve months."""
     days = F.datediff(end, start) + 1
     months = scalar.month_span(start, end)
     return F.when(months.isin(3, 12), F.concat(F.lit("months_"), months)).when(days.isin(91, 98), "quarter_weeks").when(days.isin(364, 371), "year_weeks").otherwise("unsupported")
+
+
+def fiscal_year(ends: Column, start: Column) -> Column:
+    """The kind of a fiscal year given its start and the ends of its four quarters, or unsupported: months,
+    or weeks with three quarters of 13 and at most one of 14, which make 364 or 371 days."""
+    starts = F.concat(F.array(start), F.transform(F.slice(ends, 1, 3), lambda e: F.date_add(e, 1)))
+    kinds = F.zip_with(starts, ends, supported_span)
+    days = F.zip_with(starts, ends, lambda s, e: F.datediff(e, s) + 1)
+    long = F.size(F.filter(days, lambda d: d == 98))
+    whole = F.size(ends) == 4
+    return F.when(whole & F.forall(kinds, lambda k: k == "months_3"), "months").when(whole & F.forall(days, lambda d: d.isin(91, 98)) & (long <= 1), F.when(long == 1, "weeks_53").otherwise("weeks_52")).otherwise("unsupported")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitspark.functions import flags
+
 #: Claims of the bridge from enterprise value to equity: two add, five subtract (fixed values).
 ADDED, SUBTRACTED = ("cash", "non_operating_assets"), ("debt", "leases", "preferred", "minorities", "pensions")
 DOMINANT = 0.75
@@ -32,8 +34,6 @@ def forward(rows: DataFrame) -> DataFrame:
 
 
 def domain_reasons() -> Column:
-    from pitspark.functions import flags
-
     return flags.reasons(
         wacc_not_above_growth=F.col("wacc") <= F.col("terminal_growth"),
         growth_above_risk_free=F.col("terminal_growth") > F.col("risk_free"),
@@ -44,18 +44,55 @@ def domain_reasons() -> Column:
     )
 
 
-def bridge(values: DataFrame, claims: DataFrame, key: list[str]) -> DataFrame:
-    """Equity from enterprise value; null unless all seven kinds of claim are there and eligible."""
+def bridge(values: DataFrame, claims: DataFrame, key: list[str], currency: Column, at: Column, most_age: int) -> DataFrame:
+    """Equity from enterprise value, all or nothing: null with reasons unless every one of the seven kinds of
+    claim (key, kind, amount, state, currency, known_at, as_of) is there once, eligible, in the currency,
+    known at the valuation and no older than ``most_age`` days. No claim counts as zero for being absent."""
+    day = F.to_date(at)
+    asked = claims.join(values.select(*key, currency.alias("_currency"), at.alias("_at"), day.alias("_day")).distinct(), key)
+    age = F.datediff("_day", "as_of")
+    good = (F.col("state") != "unavailable") & F.col("amount").isNotNull() & (F.col("currency") == F.col("_currency")) & (F.col("known_at") <= F.col("_at")) & (age >= 0) & (age <= most_age)
     sign = F.when(F.col("kind").isin(*ADDED), 1).otherwise(-1)
-    summed = claims.groupBy(*key).agg(F.count_distinct("kind").alias("kinds"), F.bool_and("eligible").alias("eligible"), F.sum(F.col("amount") * sign).alias("net"))
+    kinds = [*ADDED, *SUBTRACTED]
+    counted = [F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in kinds] + [F.count_if((F.col("kind") == k) & ~F.coalesce(good, F.lit(False))).alias(f"bad_{k}") for k in kinds]
+    summed = asked.groupBy(*key).agg(F.sum(F.col("amount") * sign).alias("net"), *counted)
     joined = values.join(summed, key, "left")
-    whole = (F.col("kinds") == len(ADDED) + len(SUBTRACTED)) & F.col("eligible")
-    return joined.withColumn("equity", F.when(whole, F.col("ev") + F.col("net").cast("double")))
+    none = lambda c: F.coalesce(F.col(c), F.lit(0))
+    codes = flags.reasons(**{f"claim_missing:{k}": none(f"n_{k}") == 0 for k in kinds}, **{f"claim_repeated:{k}": none(f"n_{k}") > 1 for k in kinds}, **{f"ineligible_claim:{k}": none(f"bad_{k}") > 0 for k in kinds})
+    out = joined.withColumn("reasons", codes).withColumn("equity", F.when(F.size("reasons") == 0, F.col("ev") + F.col("net").cast("double")))
+    return out.drop(*[f"{p}_{k}" for p in ("n", "bad") for k in kinds])
+
+
+def quote_reasons(price: Column, share: Column, currency: Column, at: Column, quote_age: int, share_age: int) -> Column:
+    """Why a price (value, currency, reference_date, known_at, action_basis, usable) and a share count (basic,
+    diluted, currency, as_of, known_at, action_basis) cannot give a market value at ``at``."""
+    day = F.to_date(at)
+    within = lambda date, most: F.coalesce(F.datediff(day, date).between(0, most), F.lit(False))
+    return flags.reasons(
+        ineligible_quote=~F.coalesce(price["usable"] & (price["value"] > 0) & (price["currency"] == currency), F.lit(False)),
+        quote_time_or_freshness=~F.coalesce(price["known_at"] <= at, F.lit(False)) | ~within(price["reference_date"], quote_age),
+        ineligible_common_pool=~F.coalesce((share["basic"] > 0) & (share["basic"] == share["diluted"]) & (share["currency"] == currency), F.lit(False)),
+        share_time_or_freshness=~F.coalesce(share["known_at"] <= at, F.lit(False)) | ~within(share["as_of"], share_age),
+        price_share_action_mismatch=~F.coalesce(price["action_basis"] == share["action_basis"], F.lit(False)),
+    )
+
+
+def sensitivity(rows: DataFrame, x: tuple[str, list[float]], y: tuple[str, list[float]], reverse: tuple[str, float, float] | None = None, key: list[str] | None = None) -> DataFrame:
+    """Cells of two parameters: every row with each value of both (columns x and y hold the places), valued
+    again, or with ``reverse`` (parameter, low, high) solved for its target in each cell."""
+    axis = lambda values: F.posexplode(F.array(*[F.lit(float(v)) for v in values]))
+    cells = rows.select("*", axis(x[1]).alias("x", "_x")).select("*", axis(y[1]).alias("y", "_y"))
+    cells = with_parameter(with_parameter(cells, x[0], F.col("_x")), y[0], F.col("_y")).drop("_x", "_y")
+    if reverse is None:
+        return forward(cells)
+    parameter, low, high = reverse
+    return scenario_results(cells, [*(key or []), "x", "y"], parameter, low, high)
 
 
 def with_parameter(rows: DataFrame, parameter: str, value: Column) -> DataFrame:
-    """``rows`` with every year's growth, margins or reinvestment set to ``value``."""
-    return rows.withColumn(parameter, F.transform(parameter, lambda _: value))
+    """``rows`` with a parameter set to ``value``, in every year where it goes by year."""
+    yearly = parameter in ("growth", "margins", "taxes", "reinvestment")
+    return rows.withColumn(parameter, F.transform(parameter, lambda _: value) if yearly else value)
 
 
 def reverse_solve(rows: DataFrame, key: list[str], parameter: str, low: float, high: float, cells: int = 32, rounds: int = 4) -> DataFrame:

@@ -80,11 +80,15 @@ def w9(t: Data) -> DataFrame:
     return periods.segments(points, ["issuer"], "period_end", "value", 100).select("issuer", "period_end", "segment")
 
 
-@query("F12_period_support", """select issuer, qidx, 'months_3' as kind, case when qidx % 2 = 0 then 'quarter_weeks' else 'unsupported' end as weeks from {flows}""")
+@query("F12_period_support", """select issuer, year, case when quarters <> 4 then 'unsupported' else 'months' end as kind, case when quarters <> 4 then 'unsupported' when odd = 0 then 'weeks_52' when odd = 1 then 'weeks_53' else 'unsupported' end as weeks
+  from (select issuer, cast(qidx // 4 as int) as year, count(*) as quarters, count(case when income < 0 then 1 end) as odd from {flows} group by 1, 2)""")
 def f12(t: Data) -> DataFrame:
-    start = F.date_add("period_start", 1)
-    weeks = F.date_add(start, F.when(F.col("qidx") % 2 == 0, 90).otherwise(87))
-    return t.flows.select(*KEYS, periods.supported_span(F.col("period_start"), F.col("period_end")).alias("kind"), periods.supported_span(start, weeks).alias("weeks"))
+    """Years as they are, and as if a quarter had 13 weeks, or 14 where it made a loss."""
+    year = t.flows.withColumn("year", F.floor(F.col("qidx") / 4).cast("int")).groupBy("issuer", "year").agg(F.array_sort(F.collect_list(F.struct("qidx", "period_start", "period_end", (F.col("income") < 0).alias("loss")))).alias("q"))
+    start = F.get("q", F.lit(0))["period_start"]
+    weeks = F.transform("q", lambda x: F.when(x["loss"], 98).otherwise(91))
+    ends = F.transform(F.sequence(F.lit(1), F.size("q")), lambda n: F.date_add(start, F.aggregate(F.slice(weeks, F.lit(1), n), F.lit(-1), lambda a, b: a + b)))
+    return year.select("issuer", "year", periods.fiscal_year(F.transform("q", lambda x: x["period_end"]), start).alias("kind"), periods.fiscal_year(ends, start).alias("weeks"))
 
 
 @query("F13_month_span", "select issuer, qidx, 3 as months from {flows}")
@@ -147,12 +151,16 @@ def f10(t: Data) -> DataFrame:
     return t.flows.select(*KEYS, metrics.identity_gap(F.col("revenue"), F.col("cost"), F.col("cfo"), error).alias("state"))
 
 
-@query("F15_metric_status", """select issuer, qidx, case when s.first in ('valid', 'not_meaningful') and qidx < 7990 then 'stale' else s.first end as status from (
-  select issuer, qidx, case when cap > 0 and income > 0 then 'valid' else 'not_meaningful' end as first from {snapshots}) s""")
+@query("F15_metric_status", """select issuer, qidx, case when first in ('valid', 'not_meaningful') and (qidx < 7985 or (qidx < 7990 and sector = 2)) then 'stale' else first end as status from (
+  select issuer, qidx, sector, case when industry = 4 then case when cap > 60000 then 'invalid' else 'unsupported' end when industry = 5 then 'unsupported' when industry = 6 then 'inapplicable' when cap <= 0 or income <= 0 then case when cost > 20 * cfo then 'missing' else 'not_meaningful' end else 'valid' end as first from {snapshots}) s""")
 def f15(t: Data) -> DataFrame:
+    """One industry has no profile, one was not reviewed, one does not apply; costly companies have no precision."""
     rows = metrics.metric(t.snapshots, "price_earnings")
-    age = (F.lit(7990) - F.col("qidx")) * 91
-    return rows.select(*KEYS, metrics.status(F.col("value"), F.col("reasons"), age, 0).alias("status"))
+    industry = F.col("industry")
+    problems = flags.reasons(unsupported_profile_instrument_basis=industry == 4, input_after_evaluation_cutoff=(industry == 4) & (F.col("cap") > 60000))
+    applicable = F.when(industry == 5, F.lit(None).cast("boolean")).otherwise(industry != 6)
+    found = metrics.status(F.col("value"), F.col("reasons"), (F.lit(7985) - F.col("qidx")) * 91, 0, applicable, problems, precise=F.col("cost") <= 20 * F.col("cfo"), overdue=(F.col("sector") == 2) & (F.col("qidx") < 7990))
+    return rows.select(*KEYS, found.alias("status"))
 
 
 SEEN = ["revenue_growth", "free_cash_flow", "free_cash_flow_margin", "operating_margin", "net_margin"]

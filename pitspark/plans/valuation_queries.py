@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitspark.functions import flags, scalar
-from pitspark.operators import changes, valuation
+from pitspark.operators import changes, periods, valuation
 from pitspark.plans.bridge import VIEWS
 from pitspark.plans.registry import Data, query
 
@@ -97,12 +97,11 @@ def f24(t: Data) -> DataFrame:
     return t.events.select("event_id", F.unix_timestamp(due).alias("due"))
 
 
-@query("S11_monthly_windows", "with s as (select s_suppkey as issuer, date '2023-11-15' + cast(s_suppkey % 40 as int) as a, date '2024-03-10' as b from {supplier}), m as (select issuer, a, b, unnest(generate_series(date_trunc('month', a), b, interval 1 month)) as m from s) select issuer, greatest(a, cast(m as date)) as start, least(b, last_day(m)) as stop from m")
+@query("S11_monthly_windows", "with s as (select s_suppkey as issuer, date '2023-11-15' - cast(s_suppkey * 97 % 5000 as int) as a, date '2024-03-10' as b from {supplier}), m as (select issuer, a, b, unnest(generate_series(date_trunc('month', a), b, interval 1 month)) as m from s where datediff('month', a, b) < 120) select issuer, greatest(a, cast(m as date)) as start, least(b, last_day(m)) as stop, '' as reason from m union all select issuer, null, null, 'too_many_months' from s where datediff('month', a, b) >= 120")
 def s11(t: Data) -> DataFrame:
-    start, stop = F.date_add(F.lit("2023-11-15").cast("date"), (F.col("s_suppkey") % 40).cast("int")), F.lit("2024-03-10").cast("date")
-    rows = t.supplier.select(F.col("s_suppkey").alias("issuer"), start.alias("a"), stop.alias("b"))
-    months = rows.select("issuer", "a", "b", F.explode(F.sequence(F.trunc("a", "month"), F.col("b"), F.expr("interval 1 month"))).alias("m"))
-    return months.select("issuer", F.greatest("a", "m").alias("start"), F.least("b", F.last_day("m")).alias("stop"))
+    start = F.date_sub(F.lit("2023-11-15").cast("date"), (F.col("s_suppkey") * 97 % 5000).cast("int"))
+    rows = t.supplier.select(F.col("s_suppkey").alias("issuer"), start.alias("start"), F.lit("2024-03-10").cast("date").alias("stop"))
+    return periods.monthly_windows(rows, ["issuer"])
 
 
 # ---- valuation ------------------------------------------------------------------------------------
@@ -143,14 +142,18 @@ def v2(t: Data) -> DataFrame:
     return rows.select("issuer", "scenario", flags.text(valuation.domain_reasons()).alias("reasons"))
 
 
-VIEWS["claims"] = """select s_suppkey as issuer, kind, cast(s_acctbal as decimal(12,2)) + n as amount, not (s_suppkey % 10 = 3 and kind = 'debt') as eligible from {supplier}
-  cross join (values ('cash', 1), ('non_operating_assets', 2), ('debt', 3), ('leases', 4), ('preferred', 5), ('minorities', 6), ('pensions', 7)) as k(kind, n) where not (s_suppkey % 10 = 5 and kind = 'pensions')"""
+VIEWS["claims"] = """select s_suppkey as issuer, kind, cast(s_acctbal as decimal(12,2)) + n as amount, case when s_acctbal < 0 and kind = 'debt' then 'unavailable' else 'eligible_amount' end as state, case when s_nationkey = 3 and kind = 'leases' then 'EUR' else 'USD' end as currency, cast(case when s_nationkey = 4 and kind = 'preferred' then date '2000-02-01' else date '2000-01-01' end as timestamp) as known_at,
+    case when s_nationkey = 5 and kind = 'minorities' then date '1998-01-01' else date '1999-12-31' end as as_of from {supplier}
+  cross join (values ('cash', 1), ('non_operating_assets', 2), ('debt', 3), ('leases', 4), ('preferred', 5), ('minorities', 6), ('pensions', 7)) as k(kind, n) where not (s_nationkey = 6 and kind = 'pensions')
+  union all select s_suppkey, 'cash', cast(s_acctbal as decimal(12,2)), 'eligible_amount', 'USD', cast(date '2000-01-01' as timestamp), date '1999-12-31' from {supplier} where s_nationkey = 7"""
 
 
-@query("V3_equity_bridge", """select p.issuer, p.scenario, round(case when c.kinds = 7 and c.ok then p.pv + p.tv + cast(c.net as double) end, 2) as equity from {paths} p
-  left join (select issuer, count(distinct kind) as kinds, bool_and(eligible) as ok, sum(case when kind in ('cash', 'non_operating_assets') then amount else -amount end) as net from {claims} group by 1) c on c.issuer = p.issuer""")
+@query("V3_equity_bridge", """select p.issuer, p.scenario, round(case when c.reasons = '' then p.pv + p.tv + cast(c.net as double) end, 2) as equity, c.reasons from {paths} p
+  join (select c.issuer, sum(case when kind in ('cash', 'non_operating_assets') then amount else -amount end) as net, concat_ws('|', case when max(s_nationkey) = 6 then 'claim_missing:pensions' end, case when max(s_nationkey) = 7 then 'claim_repeated:cash' end, case when max(s_acctbal) < 0 then 'ineligible_claim:debt' end, case when max(s_nationkey) = 3 then 'ineligible_claim:leases' end, case when max(s_nationkey) = 5 then 'ineligible_claim:minorities' end, case when max(s_nationkey) = 4 then 'ineligible_claim:preferred' end) as reasons
+    from {claims} c join {supplier} on s_suppkey = c.issuer group by 1) c on c.issuer = p.issuer""")
 def v3(t: Data) -> DataFrame:
-    return valuation.bridge(valuation.forward(cases(t)), t.claims, ["issuer"]).select("issuer", "scenario", r2("equity"))
+    found = valuation.bridge(valuation.forward(cases(t)), t.claims, ["issuer"], F.lit("USD"), F.lit("2000-01-15").cast("timestamp"), 400)
+    return found.select("issuer", "scenario", r2("equity"), flags.text(F.col("reasons")).alias("reasons"))
 
 
 VIEWS["targets"] = """select p.*, cast(s.cap as double) * 4 as target, cast(s.error as double) * 200 as shares, y1 / 1.1 + y2 / (1.1 * 1.1) + y3 / (1.1 * 1.1 * 1.1) as held from {paths} p join {snapshots} s on s.issuer = p.issuer and s.qidx = 7999"""
@@ -201,9 +204,17 @@ def grid(t: Data) -> DataFrame:
     return valuation.forward(with_years(rows))
 
 
-@query("V6_sensitivity_cells", "select issuer, x, y, round(ev, 2) as ev from {cells}")
+#: Cells of growth and reinvestment, solved for the margin that meets the target; the terminal margin stays.
+VIEWS["reverse_cells"] = """select issuer, x, y, case when target - tv + k * held >= 0 then (target - tv + k * held) / (0.75 * held) else (target - tv + k * held) / held end as margin from (select issuer, x, y, k, target, y1 / 1.1 + y2 / (1.1 * 1.1) + y3 / (1.1 * 1.1 * 1.1) as held, (y3 * 1.02 * 0.15::double * 0.75 - y3 * 1.02 * 0.15::double * 0.75 * 0.02 / 0.08) / 0.08 / (1.1 * 1.1 * 1.1) as tv
+  from (select issuer, x, y, 0.04::double + y * 0.01::double as k, target, revenue * (1 + g) as y1, revenue * (1 + g) * (1 + g) as y2, revenue * (1 + g) * (1 + g) * (1 + g) as y3 from (select issuer, cast(revenue as double) as revenue, cast(cap as double) * 4 as target, cast(x as int) as x, cast(y as int) as y, 0.05::double + x * 0.01::double as g from {snapshots} cross join range(0, 3) u(x) cross join range(0, 3) v(y) where qidx = 7999)))"""
+
+
+@query("V6_sensitivity_cells", """select 'reprice' as mode, issuer, x + 1 as x, y + 1 as y, round(ev, 2) as value, 'valued' as state from {cells} union all select 'reverse', issuer, x, y, round(case when margin > -0.5 and margin < 1 then margin end, 4), case when margin > -0.5 and margin < 1 then 'converged' else 'no_solution' end from {reverse_cells}""")
 def v6(t: Data) -> DataFrame:
-    return grid(t).select("issuer", "x", "y", r2("ev"))
+    priced = grid(t).select(F.lit("reprice").alias("mode"), "issuer", (F.col("x") + 1).alias("x"), (F.col("y") + 1).alias("y"), r2("ev", "value"), F.lit("valued").alias("state"))
+    base = targeted(t).filter("scenario = 'base'")
+    solved = valuation.sensitivity(base, ("growth", [0.05, 0.06, 0.07]), ("reinvestment", [0.04, 0.05, 0.06]), ("margins", -0.5, 1.0), ["issuer"])
+    return priced.unionByName(solved.select(F.lit("reverse").alias("mode"), "issuer", "x", "y", F.round("solution", 4).alias("value"), "state"))
 
 
 VIEWS["elasticities"] = """select issuer, 'growth' as parameter, ((max(case when x = 1 and y = 0 then ev end) - max(case when x = -1 and y = 0 then ev end)) / max(case when x = 0 and y = 0 then ev end)) / (0.02::double / 0.06::double) as elasticity from {cells} group by 1
@@ -246,9 +257,13 @@ def p25(t: Data) -> DataFrame:
     return t.ttm.select("issuer", "qidx", flags.text(codes).alias("reasons"))
 
 
-@query("P30_price_evidence", "select response, cast(value as double) as price, case when value is null then 'value_missing' when reference_date > date '2024-01-25' then 'price_after_valuation' else '' end as reasons from {series} where series in ('view', 'error')")
-def p30(t: Data) -> DataFrame:
-    codes = flags.reasons(value_missing=F.col("value").isNull(), price_after_valuation=F.col("value").isNotNull() & (F.col("reference_date") > F.lit("2024-01-25").cast("date")))
-    return t.series.filter(F.col("series").isin("view", "error")).select("response", F.col("value").cast("double").alias("price"), flags.text(codes).alias("reasons"))
+VIEWS["quotes"] = """select event_id as response, case when event_type = 'error' then null else cast(value as decimal(18,4)) - 20 end as price, case when event_type = 'signup' then 'EUR' else 'USD' end as currency, cast(ts as date) as reference_date, ts as known_at, case when event_type = 'click' then 'split_only' else 'unadjusted' end as action_basis, c_acctbal, c_nationkey from {events} join {customer} on c_custkey = user_id"""
 
 
+@query("P30_price_evidence", """select response, concat_ws('|', case when c_acctbal <= 0 then 'ineligible_common_pool' end, case when price is null or price <= 0 or currency <> 'USD' then 'ineligible_quote' end, case when action_basis <> 'unadjusted' then 'price_share_action_mismatch' end, case when known_at > timestamp '2024-01-25 00:00:00' or reference_date < date '2024-01-15' then 'quote_time_or_freshness' end, case when c_nationkey = 9 then 'share_time_or_freshness' end) as reasons from {quotes}""")
+def p30(t: Data) -> DataFrame:
+    price = F.struct(F.col("price").alias("value"), "currency", "reference_date", "known_at", "action_basis", F.lit(True).alias("usable"))
+    count = F.col("c_acctbal")
+    share = F.struct(count.alias("basic"), count.alias("diluted"), F.lit("USD").alias("currency"), F.lit("2023-12-31").cast("date").alias("as_of"), F.when(F.col("c_nationkey") != 9, F.lit("2024-01-02").cast("timestamp_ntz")).alias("known_at"), F.lit("unadjusted").alias("action_basis"))
+    codes = valuation.quote_reasons(price, share, F.lit("USD"), F.lit("2024-01-25 00:00:00").cast("timestamp_ntz"), 10, 60)
+    return t.quotes.select("response", flags.text(codes).alias("reasons"))

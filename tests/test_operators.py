@@ -232,10 +232,14 @@ def test_reverse_solve(spark, parameter, want, low, high):
 
 
 def test_bridge_needs_all_seven_claims(spark):
-    values = spark.createDataFrame([(1, 100.0), (2, 100.0)], "k int, ev double")
+    values = spark.createDataFrame([(k, 100.0) for k in range(1, 6)], "k int, ev double")
     kinds = [*valuation.ADDED, *valuation.SUBTRACTED]
-    claims = spark.createDataFrame([(1, x, Decimal(10), True) for x in kinds] + [(2, x, Decimal(10), True) for x in kinds[:6]], "k int, kind string, amount decimal(18,2), eligible boolean")
-    assert {r.k: r.equity for r in valuation.bridge(values, claims, ["k"]).collect()} == {1: 70.0, 2: None}
+    known, old = dt.datetime(2024, 1, 1), D(2023, 12, 31)
+    row = lambda k, kind, **o: tuple(({"k": k, "kind": kind, "amount": Decimal(10), "state": "eligible_amount", "currency": "USD", "known_at": known, "as_of": old} | o).values())
+    claims = [row(1, x) for x in kinds] + [row(2, x) for x in kinds[:6]] + [row(3, x, **({"currency": "EUR"} if x == "debt" else {})) for x in kinds] + [row(4, x, **({"as_of": D(2020, 1, 1)} if x == "cash" else {})) for x in kinds] + [row(5, x) for x in [*kinds, "cash"]]
+    rows = spark.createDataFrame(claims, "k int, kind string, amount decimal(18,2), state string, currency string, known_at timestamp, as_of date")
+    got = {r.k: (r.equity, r.reasons) for r in valuation.bridge(values, rows, ["k"], F.lit("USD"), F.lit("2024-01-02").cast("timestamp"), 100).collect()}
+    assert got == {1: (70.0, []), 2: (None, ["claim_missing:pensions"]), 3: (None, ["ineligible_claim:debt"]), 4: (None, ["ineligible_claim:cash"]), 5: (None, ["claim_repeated:cash"])}
 
 
 def test_reverse_solve_is_inconclusive_at_the_ends(spark):
@@ -464,3 +468,43 @@ def test_a_metric_is_accepted_with_its_evidence_only(spark):
     held = spark.createDataFrame([(k, f, h) for k in (1, 2) for f, h in (("a", "1"), ("b", "2"))] + [(3, "a", "1")], "k int, field string, input_hash string")
     got = {r.k: r.reasons for r in inputs.accepted_metrics(metrics_, held, ["k"]).collect()}
     assert got == {1: [], 2: ["company_metric_input_mismatch"], 3: ["company_metric_input_mismatch", "company_metric_input_missing"]}
+
+
+def test_editions_go_by_acceptance_only_where_all_are_verified(spark):
+    day, hour = D(2024, 1, 5), lambda h: dt.datetime(2024, 1, 5, h)
+    rows = [("one", 1, day, None, "g", "USD", "covered"), ("timed", 1, day, hour(1), "g", "USD", "covered"), ("timed", 2, day, hour(2), "g", "USD", "covered"), ("open", 1, day, hour(1), "g", "USD", "covered"), ("open", 2, day, None, "g", "USD", "covered"), ("tie", 1, day, hour(1), "g", "USD", "covered"), ("tie", 2, day, hour(1), "g", "USD", "covered"), ("basis", 1, day, hour(1), "g", "USD", "covered"), ("basis", 1, day, hour(1), "h", "USD", "covered"), ("gap", 1, D(2024, 1, 4), None, "g", "USD", "covered"), ("gap", 2, day, None, "g", None, "covered")]
+    frame = spark.createDataFrame(rows, "fact string, version int, filed date, acceptance_at timestamp, basis string, currency string, state string")
+    last = {r.fact: (r.version, r.reason) for r in selection.chosen_versions(frame, ["fact"], latest=True).collect()}
+    assert last == {"one": (1, None), "timed": (2, None), "open": (None, "ambiguous_filing_order"), "tie": (None, "ambiguous_filing_order"), "basis": (1, "incompatible_reporting_basis"), "gap": (2, "unresolved_coverage")}
+    first = {r.fact: (r.version, r.reason) for r in selection.chosen_versions(frame, ["fact"], latest=False).collect()}
+    assert first["timed"] == (1, None) and first["gap"] == (1, None)
+
+
+def test_freshness_of_a_source(spark):
+    at = lambda d: dt.datetime(2024, 1, d)
+    rows = [("ok", "success", at(2)), ("ok", "http_error", at(1)), ("stale", "success", at(2)), ("stale", "http_error", at(2)), ("again", "success", at(1)), ("again", "http_error", at(2)), ("again", "not_modified", at(3)), ("never", "archive_error", at(1)), ("open", "success", at(1)), ("open", "success", None), ("later", "success", at(9))]
+    frame = spark.createDataFrame(rows, "k string, state string, finished_at timestamp")
+    got = {r.k: r.flags for r in selection.freshness(frame, ["k"], F.lit("2024-01-05").cast("timestamp")).collect()}
+    assert got == {"ok": [], "stale": ["newer_capture_failed"], "again": [], "never": ["capture_failed", "capture_unavailable"], "open": ["source_attempt_outcome_unknown"], "later": ["capture_unavailable", "source_attempt_outcome_unknown"]}
+
+
+def test_a_pointer_moves_forward_only(spark):
+    schema = "k string, sequence int, snapshot string"
+    now, offer = spark.createDataFrame([("a", 5, "old"), ("b", 5, "old"), ("c", 5, "old"), ("d", 5, "old")], schema), spark.createDataFrame([("a", 6, "new"), ("b", 5, "new"), ("c", 4, "new"), ("e", 1, "new")], schema)
+    got = {r.k: (r.sequence, r.snapshot, r.action) for r in selection.forward_only(now, offer, ["k"]).collect()}
+    assert got == {"a": (6, "new", "moved"), "b": (5, "old", "kept"), "c": (5, "old", "kept"), "d": (5, "old", "unchanged"), "e": (1, "new", "moved")}
+
+
+def test_status_by_priority(spark):
+    rows = [(5.0, [], [], True, 0, "valid"), (None, ["denominator_nonpositive"], [], True, 0, "not_meaningful"), (None, ["denominator_nonpositive"], [], False, 0, "missing"), (None, [], [], True, 0, "missing"), (None, ["x", "denominator_missing"], [], True, 0, "missing"), (None, ["unsupported_x"], [], True, 0, "unsupported"), (None, ["x"], [], True, 0, "invalid"), (5.0, ["x"], [], True, 0, "invalid"), (5.0, ["extreme_margin"], [], True, 0, "valid"), (5.0, [], ["unsupported_p"], True, 0, "unsupported"), (5.0, [], ["unsupported_p", "late"], True, 0, "invalid"), (5.0, [], [], True, 99, "stale"), (5.0, ["x"], [], True, 99, "invalid")]
+    frame = spark.createDataFrame(rows, "v double, r array<string>, p array<string>, precise boolean, age int, want string")
+    got = frame.select(metrics.status(F.col("v"), F.col("r"), F.col("age"), 10, problems=F.col("p"), precise=F.col("precise")).alias("s"), "want").collect()
+    assert [r.s for r in got] == [r.want for r in got]
+    assert frame.limit(1).select(metrics.status(F.col("v"), F.col("r"), F.col("age"), 10, F.lit(None).cast("boolean")).alias("s")).first().s == "unsupported"
+
+
+def test_months_of_a_range_are_bounded(spark):
+    rows = spark.createDataFrame([(1, D(2024, 1, 15), D(2024, 3, 2)), (2, D(2000, 1, 1), D(2010, 1, 1)), (3, D(2024, 2, 1), D(2024, 1, 1)), (4, D(2014, 4, 1), D(2024, 3, 31))], "k int, start date, stop date")
+    found = periods.monthly_windows(rows, ["k"]).collect()
+    assert [(r.start, r.stop) for r in found if r.k == 1] == [(D(2024, 1, 15), D(2024, 1, 31)), (D(2024, 2, 1), D(2024, 2, 29)), (D(2024, 3, 1), D(2024, 3, 2))]
+    assert [(r.k, r.start, r.reason) for r in found if r.k in (2, 3)] == [(2, None, "too_many_months"), (3, None, "ends_crossed")] and sum(r.k == 4 for r in found) == 120
