@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitspark.llm.common import written
+from pitspark.llm.common import Scratch
 
 MOST_ROUNDS = 60
 
@@ -25,16 +25,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Each round links the larger neighbours of a node to its smallest one, then the smaller neighbours;
     when a round changes nothing, every node hangs on the smallest of its component. Rounds are stored,
-    so a lost executor costs one round at most. Edges from a node to itself and null ends are left out.
+    so a lost executor costs one round at most, and each goes when the next is there. Edges from a node to itself and null ends are left out.
     """
-    now = written(edges.select("u", "v").filter("u <> v").distinct(), "edges")
+    scratch = Scratch(edges.sparkSession, "components")
+    now = scratch.put(edges.select("u", "v").filter("u <> v").distinct(), "0")
     state = None
-    for _ in range(MOST_ROUNDS):
+    for round_ in range(MOST_ROUNDS):
         large = _star(_both_ways(now)).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         starred = _star(down)
         small = starred.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(starred.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        now = written(small, "edges")
+        now = scratch.put(small, str(round_ + 1))
+        scratch.drop(str(round_))
         found = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if found == state:
             break

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitspark.llm.common import slices, text_or_empty, written
+from pitspark.llm.common import Scratch, slices, text_or_empty, written
 from pitspark.llm.components import connected_components
 
 CELL_BITS = 22
@@ -66,7 +66,7 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def cell_levels(docs: DataFrame, width: int) -> np.ndarray:
+def cell_levels(docs: DataFrame, width: int, scratch: Scratch) -> np.ndarray:
     """For each cell, how common its shingles are: the whole log2 of its count over the mean.
 
     A fixed :data:`CELLS` counters come to the driver however many documents there are.
@@ -91,10 +91,11 @@ def cell_levels(docs: DataFrame, width: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(s.tobytes(), 1) for s in sums.values()], pa.binary())], names=["part", "counts"])
 
     schema = "part int, counts binary"
-    counted = written(docs.select(text_or_empty("text").alias("text")).mapInArrow(count, schema), "cells")
+    counted = scratch.put(docs.select(text_or_empty("text").alias("text")).mapInArrow(count, schema), "cells")
     totals = np.zeros(CELLS, np.uint64)
     for row in counted.repartition("part").mapInArrow(add, schema).collect():
         totals[row["part"] * PART_CELLS : (row["part"] + 1) * PART_CELLS] = np.frombuffer(zlib.decompress(row["counts"]), np.uint64)
+    scratch.drop("cells")
     mean, levels = max(1.0, float(totals.mean())), np.empty(CELLS, np.uint8)
     for a in range(0, CELLS, PART_CELLS):
         levels[a : a + PART_CELLS] = np.log2(np.maximum(1.0, totals[a : a + PART_CELLS] / mean))
@@ -176,15 +177,17 @@ def _share_enough(percent: int) -> Column:
     return F.lit(100 + percent) * (F.col("shared") + F.greatest(*after)) >= percent * (F.col("n") + F.col("o"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (u, v), of a stored table, whose whole sets are alike enough."""
+def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (u, v), of a stored table, whose whole sets are alike enough, stored as ``name``."""
     wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node")))
-    sets = written(sets_of(docs, wanted, width), "sets")
+    sets = scratch.put(sets_of(docs, wanted, width), f"{name}-sets")
     left = sets.select(F.col("node").alias("u"), F.col("members").alias("a"))
     right = sets.select(F.col("node").alias("v"), F.col("members").alias("b"))
     shared = F.size(F.array_intersect("a", "b"))
     both = pairs.join(left, "u").join(right, "v")
-    return both.filter(F.lit(100) * shared >= percent * (F.size("a") + F.size("b") - shared)).select("u", "v").distinct()
+    links = scratch.put(both.filter(F.lit(100) * shared >= percent * (F.size("a") + F.size("b") - shared)).select("u", "v").distinct(), name)
+    scratch.drop(f"{name}-sets")
+    return links
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -192,38 +195,40 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     Two documents link when 100 * shared >= ``percent`` * all of their distinct ``width``-word shingles.
     """
-    texts = docs.select("doc_id", "text")
-    rows = written(with_prefixes(texts, cell_levels(texts, width), width, percent), "prefixes")
+    texts, scratch = docs.select("doc_id", "text"), Scratch(docs.sparkSession, "near-duplicates")
+    rows = scratch.put(with_prefixes(texts, cell_levels(texts, width, scratch), width, percent), "prefixes")
 
     nodes = rows.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("node"))
     keyed = rows.filter("n > 0").select("doc_id", "n", "sig", F.xxhash64("prefix").alias("key"))
-    members = written(keyed.groupBy("sig", "n", "key").agg(F.min("doc_id").alias("node")).filter("node is not null").select("node", "n", "key"), "members")
+    members = scratch.put(keyed.groupBy("sig", "n", "key").agg(F.min("doc_id").alias("node")).filter("node is not null").select("node", "n", "key"), "members")
     groups = members.groupBy("n", "key").agg(F.min("node").alias("gid"), F.count("*").alias("many"))
-    grouped = written(members.join(groups, ["n", "key"]).select("node", "gid", "n", "many"), "grouped")
+    grouped = scratch.put(members.join(groups, ["n", "key"]).select("node", "gid", "n", "many"), "grouped")
+    scratch.drop("members")
 
     leaders = grouped.filter("node = gid").select("gid").distinct()
     firsts = rows.filter("n > 0").join(leaders, F.col("doc_id") == F.col("gid"), "left_semi")
     entries = firsts.select(F.col("doc_id").alias("gid"), F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("i", "token")).repartition("token")
     tokens = entries.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("i", "n", "gid")).alias("lead")).filter("c > 1")
-    met = written(entries.join(tokens, "token").select("token", "gid", "n", "i", F.col("lead.gid").alias("lead"), F.col("lead.n").alias("o"), F.col("lead.i").alias("j")), "met")
+    met = scratch.put(entries.join(tokens, "token").select("token", "gid", "n", "i", F.col("lead.gid").alias("lead"), F.col("lead.n").alias("o"), F.col("lead.i").alias("j")), "met")
 
     ends = met.filter((F.col("gid") != F.col("lead")) & _may_link(percent)).select(F.col("gid").alias("u"), F.col("lead").alias("v"), "n", "o").distinct()
     stars = _enough_shared(ends, met, percent)
     inner = grouped.filter("node <> gid").select(F.col("node").alias("u"), F.col("gid").alias("v"))
     first_pairs = stars.unionByName(inner).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    first_pairs = written(first_pairs, "pairs")
-    links = written(verified(first_pairs, texts, width, percent), "links")
-    joined = written(connected_components(links), "components")
+    first_pairs = scratch.put(first_pairs, "first-pairs")
+    joined = scratch.put(connected_components(verified(first_pairs, texts, width, percent, scratch, "first-links")), "first-components")
 
-    rest = written(_between_components(met, grouped, joined, percent).join(first_pairs, ["u", "v"], "left_anti"), "pairs")
-    more = written(verified(rest, texts, width, percent), "links")
+    rest = scratch.put(_between_components(met, grouped, joined, percent, scratch).join(first_pairs, ["u", "v"], "left_anti"), "pairs")
+    scratch.drop("met", "grouped", "mixed", "near", "first-pairs", "first-links")
+    more = verified(rest, texts, width, percent, scratch, "links")
     everything = connected_components(more.unionByName(joined.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+    scratch.drop("pairs", "links", "first-components")
 
     ids = rows.select("doc_id", "n", "sig").join(nodes, "sig", "left").join(everything, "node", "left")
     return ids.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "doc_id").alias("component_id"))
 
 
-def _between_components(met: DataFrame, grouped: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
+def _between_components(met: DataFrame, grouped: DataFrame, joined: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Candidate pairs (u > v) of nodes in different components.
 
     The largest component of each shingle's entries is one side only, so a group of like documents that
@@ -235,13 +240,13 @@ def _between_components(met: DataFrame, grouped: DataFrame, joined: DataFrame, p
     sizes = entries.groupBy("token", "comp").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("token").agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("top")).filter("comps > 1")
     mixed = mixed.select("token", F.col("top.comp").alias("top"))
-    here = written(entries.join(mixed, "token"), "mixed")
+    here = scratch.put(entries.join(mixed, "token"), "mixed")
     minor = here.filter("comp <> top").select("token", "gid", "n", "i", "comp")
     other = here.select("token", F.col("gid").alias("gid2"), F.col("n").alias("o"), F.col("i").alias("j"), F.col("comp").alias("comp2"), "top")
     # two minor entries would meet from both sides; one order is enough
     once = (F.col("comp2") == F.col("top")) | (F.col("comp") > F.col("comp2"))
     near = minor.join(other, "token").filter((F.col("comp") != F.col("comp2")) & once & _may_link(percent)).select("gid", "comp", "n", "gid2", "comp2", "o").distinct()
-    near = written(near, "near")
+    near = scratch.put(near, "near")
     kept = _enough_shared(near.select(F.col("gid").alias("u"), F.col("gid2").alias("v"), "n", "o").distinct(), met, percent)
     pairs = near.join(kept.select(F.col("u").alias("gid"), F.col("v").alias("gid2")), ["gid", "gid2"], "left_semi").select("gid", "comp", "gid2", "comp2")
     within = held.alias("a").join(held.alias("b"), (F.col("a.gid") == F.col("b.gid")) & (F.col("a.comp") > F.col("b.comp")))
