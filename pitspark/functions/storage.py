@@ -15,6 +15,12 @@ def _own_folder(application: str) -> str:
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name under ``spark.checkpoint.dir``; a temporary one where that is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark.sparkContext.applicationId)
+    """A new folder name under ``spark.checkpoint.dir``; where that is unset, a temporary one on a ``local``
+    master. A cluster's executors would not see that, so there it is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _own_folder(spark.sparkContext.applicationId)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

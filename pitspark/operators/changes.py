@@ -57,6 +57,12 @@ def overlapping(documents: DataFrame, low: Column, high: Column) -> DataFrame:
     return documents.filter((F.col("date_from") <= high) & (F.col("date_to") >= low))
 
 
+def required_documents(references: DataFrame, fetched: DataFrame, key: list[str], low: Column, high: Column) -> DataFrame:
+    """References whose dates meet the window, with state held or missing: whether the document was fetched."""
+    there = fetched.select(*key, F.lit(True).alias("_there")).distinct()
+    return overlapping(references, low, high).join(there, key, "left").withColumn("state", F.when(F.col("_there"), "held").otherwise("missing")).drop("_there")
+
+
 def inventory_problems(documents: DataFrame, by: list[str], advertised: DataFrame) -> DataFrame:
     """Inventories whose count differs from what they advertise, or that hold an accession twice."""
     held = documents.groupBy(*by).agg(F.count("*").alias("n"), F.count_distinct("accession").alias("accessions"))
@@ -64,11 +70,8 @@ def inventory_problems(documents: DataFrame, by: list[str], advertised: DataFram
 
 
 def manifest_hash(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
-    """A hash of each group's rows that their order does not change.
-
-    Row hashes are spread over 256 parts, each part is hashed in sorted order, and the parts are hashed;
-    so no array holds a whole hot group.
-    """
-    hashed = rows.select(*by, F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns]), 256).alias("h"))
-    parts = hashed.groupBy(*by, F.substring("h", 1, 2).alias("part")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("p"))
-    return parts.groupBy(*by).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat("part", "p"))), ""), 256).alias("manifest"))
+    """A hash of each group's rows that their order does not change: of how many there are, and of four sums
+    of 60-bit words of their hashes. Sums meet before the shuffle, so a hot group costs a row for each task."""
+    h = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns]), 256)
+    words = [F.sum(F.conv(F.substring("h", 1 + 15 * k, 15), 16, 10).cast("decimal(20,0)")).cast("string") for k in range(4)]
+    return rows.select(*by, h.alias("h")).groupBy(*by).agg(F.sha2(F.concat_ws("|", F.count("*").cast("string"), *words), 256).alias("manifest"))

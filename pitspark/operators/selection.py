@@ -152,6 +152,34 @@ def forward_only(published: DataFrame, offered: DataFrame, by: list[str]) -> Dat
     return top.select(*by, "x.sequence", "x.snapshot", F.when(F.col("asked") == 0, "unchanged").when(F.col("x.held") == 0, "kept").otherwise("moved").alias("action"))
 
 
+def outside(rows: DataFrame, manifest: DataFrame, on: list[str], reason: str) -> DataFrame:
+    """Keys of ``rows`` that the manifest lacks, with a reason; there should be none."""
+    return rows.select(*on).distinct().join(manifest.select(*on), on, "left_anti").withColumn("reason", F.lit(reason))
+
+
+def scoped_events(facts: DataFrame, events: DataFrame, by: str, optional: list[str], cutoff: Column) -> DataFrame:
+    """Facts in the scope of an event announced by the cutoff: the filing must be the same; period, concept
+    or line only where the event names one. Joins are equi joins, one for each set of named columns."""
+    known = events.filter(F.col("announced") <= cutoff)
+    named = F.concat_ws(",", *[F.when(F.col(c).isNotNull(), F.lit(c)) for c in optional])
+    found = []
+    for bits in range(1 << len(optional)):
+        mine = [c for k, c in enumerate(optional) if bits >> k & 1]
+        found.append(facts.join(known.filter(named == ",".join(mine)).select(by, *mine), [by, *mine], "left_semi"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.distinct()
+
+
+def without_duplicates(rows: DataFrame, key: list[str], content: list[str]) -> DataFrame:
+    """One row for each key whose rows all agree in ``content``; keys with different contents are rejected
+    and have a reason instead."""
+    found = rows.groupBy(*key).agg(F.count("*").alias("copies"), F.min(F.struct(*content)).alias("low"), F.max(F.struct(*content)).alias("high"))
+    same = F.col("low").eqNullSafe(F.col("high"))
+    return found.select(*key, "copies", *[F.when(same, F.col(f"low.{c}")).alias(c) for c in content], F.when(~same, "conflicting_duplicates").alias("reason"))
+
+
 def conflicts(rows: DataFrame, by: list[str], signature: list[Column]) -> DataFrame:
     """Groups with more than one distinct signature; a null is a signature of its own."""
     return rows.groupBy(*by).agg(F.count_distinct(F.struct(*signature)).alias("signatures")).withColumn("conflict", F.col("signatures") > 1)

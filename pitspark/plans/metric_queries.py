@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitspark.functions import flags, scalar
-from pitspark.operators import history, inputs, metrics, periods
+from pitspark.operators import history, inputs, metrics, periods, selection
 from pitspark.plans.bridge import VIEWS
 from pitspark.plans.registry import Data, query
 from pitspark.plans.sector_queries import r6
@@ -295,9 +295,10 @@ def u4(t: Data) -> DataFrame:
     return t.snapshots.select(*KEYS, flags.text(flags.union(a, b)).alias("every"), flags.text(F.array_except(a, mapped)).alias("only_first"), flags.is_subset(a, mapped).alias("subset"))
 
 
-@query("U3_exact_duplicates", "select text_hash, count(*) as copies, count(distinct lang) > 1 as conflict from (select md5(text) as text_hash, lang from {documents}) group by 1 having count(*) > 1")
+@query("U3_exact_duplicates", "select text_hash, count(*) as copies, case when count(distinct lang) = 1 then min(lang) end as lang, case when count(distinct lang) > 1 then 'conflicting_duplicates' end as reason from (select md5(text) as text_hash, lang from {documents}) group by 1")
 def u3(t: Data) -> DataFrame:
-    return t.documents.groupBy(F.md5("text").alias("text_hash")).agg(F.count("*").alias("copies"), (F.count_distinct("lang") > 1).alias("conflict")).filter("copies > 1")
+    """One row for each text; copies that differ in language are rejected."""
+    return selection.without_duplicates(t.documents.select(F.md5("text").alias("text_hash"), "lang"), ["text_hash"], ["lang"])
 
 
 VIEWS["points"] = """select issuer, period_end as quarter_end, qidx, cast(income as double) as value, md5(cast(revenue as varchar(40))) as input_hash, qidx * 10 as point_id from {flows} union all select issuer, period_end, qidx, cast(income as double), md5(cast(revenue as varchar(40))), qidx * 10 + 1 from {flows} where qidx % 5 = 0

@@ -111,13 +111,10 @@ def j4(t: Data) -> DataFrame:
 VIEWS["affected"] = "select o_orderkey as filing, case when o_orderstatus = 'P' then null else 1 end as line, cast(o_orderdate as date) as announced from {orders} where o_orderpriority = '1-URGENT' and o_orderdate <= timestamp '1999-01-01 00:00:00'"
 
 
-@query("J5_event_scope", "select distinct e.fact, e.line from {editions} e join {affected} a on a.filing = e.fact and (a.line is null or a.line = e.line)")
+@query("J5_event_scope", "select distinct e.fact, e.line from {editions} e join {affected} a on a.filing = e.fact and (a.line is null or a.line = e.line) where a.announced <= date '1997-06-30'")
 def j5(t: Data) -> DataFrame:
-    """Two equi joins in place of one with OR: events with a line, and events for a whole filing."""
-    facts, events = t.editions.select("fact", "line").distinct(), t.affected
-    exact = facts.join(events.filter("line is not null").select(F.col("filing").alias("fact"), F.col("line").cast("int").alias("line")), ["fact", "line"], "left_semi")
-    whole = facts.join(events.filter("line is null").select(F.col("filing").alias("fact")), "fact", "left_semi")
-    return exact.unionByName(whole).distinct()
+    events = t.affected.select(F.col("filing").alias("fact"), F.col("line").cast("int").alias("line"), "announced")
+    return selection.scoped_events(t.editions.select("fact", "line").distinct(), events, "fact", ["line"], F.lit("1997-06-30").cast("date"))
 
 
 @query("J6_flags_by_batch_or_period", "select distinct issuer, qidx, flag from (select issuer, qidx, 'batch_low' as flag from {flows} join (select issuer as i from {flows} group by 1 having min(revenue) < 100000) on i = issuer union all select issuer, qidx, 'period_loss' from {flows} where income < 0)")
@@ -265,9 +262,16 @@ def j27(t: Data) -> DataFrame:
     return selection.acyclic_levels(edges, roots, 40)
 
 
-@query("J28_outside_manifest", "select o_orderkey as filing from {orders} where not exists (select 1 from {lineitem} where l_orderkey = o_orderkey)")
+@query("J28_outside_manifest", """select o_orderkey as key, 'resolution_unflagged' as reason from {orders} where not exists (select 1 from {lineitem} where l_orderkey = o_orderkey) union all select distinct l_suppkey, 'coverage_outside_manifest' from {lineitem} where l_suppkey not in (select s_suppkey from {supplier} where s_acctbal > 0)
+  union all select distinct user_id, 'capture_outside_manifest' from {events} where user_id not in (select c_custkey from {customer} where c_acctbal > 0)""")
 def j28(t: Data) -> DataFrame:
-    return t.orders.select(F.col("o_orderkey").alias("filing")).join(t.lineitem.select(F.col("l_orderkey").alias("filing")), "filing", "left_anti")
+    checks = [
+        (t.orders.select(F.col("o_orderkey").alias("key")), t.lineitem.select(F.col("l_orderkey").alias("key")), "resolution_unflagged"),
+        (t.lineitem.select(F.col("l_suppkey").alias("key")), t.supplier.filter("s_acctbal > 0").select(F.col("s_suppkey").alias("key")), "coverage_outside_manifest"),
+        (t.events.select(F.col("user_id").alias("key")), t.customer.filter("c_acctbal > 0").select(F.col("c_custkey").alias("key")), "capture_outside_manifest"),
+    ]
+    found = [selection.outside(rows, manifest, ["key"], reason) for rows, manifest, reason in checks]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 @query("J30_details_for_every_record", "select distinct l_partkey as record from {lineitem} where not exists (select 1 from {part} where p_partkey = l_partkey and p_size > 1)")

@@ -279,14 +279,17 @@ def a3(t: Data) -> DataFrame:
     return bodies.resolution(t.resolution_rows, ["request", "concept"])
 
 
-@query("R1_filing_change_feed", "select o_custkey as issuer, o_orderkey as accession, 'new' as state from {orders}")
+@query("R1_filing_change_feed", """with o as (select o_custkey as issuer, o_orderkey as accession, o_orderstatus as s, o_orderpriority = '1-URGENT' as u, o_totalprice < 20000 as gone from {orders}), good as (select issuer from o where not gone group by 1 having bool_and(s <> 'P'))
+  select issuer, accession, 'new' as state from o union all select issuer, accession, case when gone then 'removed' else 'changed' end from o join good using (issuer) where gone or u union all select issuer, accession, case when gone then 'new' else 'changed' end from o join good using (issuer) where gone or u""")
 def r1(t: Data) -> DataFrame:
-    """A stream over the inventory table, as one poll into an empty baseline."""
-    schema = t.orders.schema
-    polls = t.spark.readStream.schema(schema).parquet(f"{t.sf_dir}/orders.parquet*")
-    rows = polls.select(F.col("o_custkey").alias("issuer"), F.col("o_orderkey").alias("accession"), F.col("o_orderstatus").alias("content"), F.lit(True).alias("complete"))
+    """Three polls: a stream over the inventory table; one in which small filings are gone, urgent ones are
+    amended and some issuers' answers are not complete; and the first inventory again."""
+    polls = t.spark.readStream.schema(t.orders.schema).parquet(f"{t.sf_dir}/orders.parquet*")
+    same = lambda rows: rows.select(F.col("o_custkey").alias("issuer"), F.col("o_orderkey").alias("accession"), F.col("o_orderstatus").alias("content"), F.lit(True).alias("complete"))
     feed = ChangeFeed(t.spark, work_dir(t.spark, "feed"))
-    feed.start(rows).awaitTermination()
+    feed.start(same(polls)).awaitTermination()
+    content = F.when(F.col("o_orderpriority") == "1-URGENT", "amended").otherwise(F.col("o_orderstatus"))
+    second = t.orders.filter("o_totalprice >= 20000").select(F.col("o_custkey").alias("issuer"), F.col("o_orderkey").alias("accession"), content.alias("content"), (F.col("o_orderstatus") != "P").alias("complete"))
+    feed.apply(second, 1)
+    feed.apply(same(t.orders), 2)
     return feed.found()
-
-

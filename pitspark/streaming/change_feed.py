@@ -8,33 +8,50 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pitspark.operators import changes
 
-STATE = "issuer long, accession long, content string"
+STATE = "issuer long, accession long, content string, poll long"
+#: After so many polls the inventories are stored whole again, so that a poll reads few folders.
+EVERY = 32
 
 
 class ChangeFeed:
-    """Baselines under ``folder``/state-N and changes under ``folder``/changes.
+    """Inventories under ``folder``/held-N and changes under ``folder``/changes.
 
     A micro-batch holds whole inventories (issuer, accession, content, complete). An issuer with a row
-    that is not complete keeps its baseline, and its changes are not reported. A batch that runs again
-    reads the same baseline and overwrites its own output, so it is counted once.
+    that is not complete keeps its baseline, and its changes are not reported; so does one without rows. A
+    poll stores the inventories of the issuers in it alone; an issuer's newest poll is its baseline. A
+    batch that runs again reads the same baseline and overwrites its own output, so it is counted once.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
-    def state(self, batch: int) -> DataFrame:
+    def state(self, batch: int, issuers: DataFrame | None = None) -> DataFrame:
+        """issuer, accession and content as of a batch, of the given issuers or of all."""
         if batch < 0:
-            return self.spark.createDataFrame([], STATE)
-        return self.spark.read.schema(STATE).parquet(f"{self.folder}/state-{batch}")
+            return self.spark.createDataFrame([], STATE).select("issuer", "accession", "content")
+        whole = (batch + 1) // EVERY * EVERY - 1
+        names = [f"{self.folder}/whole-{whole}"] * (whole >= 0) + [f"{self.folder}/held-{k}" for k in range(whole + 1, batch + 1)]
+        rows = self.spark.read.schema(STATE).parquet(*names)
+        rows = rows if issuers is None else rows.join(issuers, "issuer", "left_semi")
+        last = rows.groupBy("issuer").agg(F.max("poll").alias("poll"))
+        return rows.join(last, ["issuer", "poll"], "left_semi").select("issuer", "accession", "content")
 
     def apply(self, polled: DataFrame, batch: int) -> None:
-        before = self.state(batch - 1)
         failed = polled.filter(~F.col("complete")).select("issuer").distinct()
         good = polled.join(failed, "issuer", "left_anti").select("issuer", "accession", "content")
-        seen = good.select("issuer").distinct()
-        compared = changes.compare(before.join(seen, "issuer", "left_semi"), good, ["issuer", "accession"], "content").filter("state <> 'same'")
+        before = self.state(batch - 1, good.select("issuer").distinct())
+        compared = changes.compare(before, good, ["issuer", "accession"], "content").filter("state <> 'same'")
         compared.withColumn("poll", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{self.folder}/changes/poll={batch}-")
-        before.join(seen, "issuer", "left_anti").unionByName(good).write.mode("overwrite").parquet(f"{self.folder}/state-{batch}")
+        good.withColumn("poll", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{self.folder}/held-{batch}")
+        if (batch + 1) % EVERY == 0:
+            self._whole(batch)
+
+    def _whole(self, batch: int) -> None:
+        whole = batch + 1 - EVERY
+        names = [f"{self.folder}/whole-{whole - 1}"] * (whole > 0) + [f"{self.folder}/held-{k}" for k in range(whole, batch + 1)]
+        rows = self.spark.read.schema(STATE).parquet(*names)
+        last = rows.groupBy("issuer").agg(F.max("poll").alias("poll"))
+        rows.join(last, ["issuer", "poll"], "left_semi").select("issuer", "accession", "content", "poll").write.mode("overwrite").parquet(f"{self.folder}/whole-{batch}")
 
     def start(self, polls: DataFrame) -> StreamingQuery:
         """Runs over what there is now and stops."""

@@ -508,3 +508,26 @@ def test_months_of_a_range_are_bounded(spark):
     found = periods.monthly_windows(rows, ["k"]).collect()
     assert [(r.start, r.stop) for r in found if r.k == 1] == [(D(2024, 1, 15), D(2024, 1, 31)), (D(2024, 2, 1), D(2024, 2, 29)), (D(2024, 3, 1), D(2024, 3, 2))]
     assert [(r.k, r.start, r.reason) for r in found if r.k in (2, 3)] == [(2, None, "too_many_months"), (3, None, "ends_crossed")] and sum(r.k == 4 for r in found) == 120
+
+
+def test_feed_reads_whole_inventories_again_and_none_elsewhere(spark, tmp_path, monkeypatch):
+    from pitspark.streaming import change_feed
+
+    monkeypatch.setattr(change_feed, "EVERY", 2)
+    feed = ChangeFeed(spark, f"file://{tmp_path}/feed")
+    schema = "issuer long, accession long, content string, complete boolean"
+    polls = [[(1, 1, "a", True), (2, 1, "a", True)], [(1, 1, "a", True), (1, 2, "a", True)], [(2, 2, "a", True)], [(1, 2, "b", True)], [(2, 2, "a", True)]]
+    for k, rows in enumerate(polls):
+        feed.apply(spark.createDataFrame(rows, schema), k)
+    feed.apply(spark.createDataFrame(polls[4], schema), 4)  # runs again
+    assert sorted((r.issuer, r.accession, r.content) for r in feed.state(4).collect()) == [(1, 2, "b"), (2, 2, "a")]
+    found = sorted((r.issuer, r.accession, r.state) for r in feed.found().collect())
+    assert found == [(1, 1, "new"), (1, 1, "removed"), (1, 2, "changed"), (1, 2, "new"), (2, 1, "new"), (2, 1, "removed"), (2, 2, "new")]
+
+
+def test_duplicates_and_documents(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 1), ("b", 1), ("b", None), ("c", None)], "k string, v int")
+    assert {r.k: (r.copies, r.v, r.reason) for r in selection.without_duplicates(rows, ["k"], ["v"]).collect()} == {"a": (2, 1, None), "b": (2, None, "conflicting_duplicates"), "c": (1, None, None)}
+    refs = spark.createDataFrame([("x", D(2024, 1, 1), D(2024, 2, 1)), ("y", D(2024, 2, 1), D(2024, 3, 1)), ("z", D(2023, 1, 1), D(2023, 2, 1))], "name string, date_from date, date_to date")
+    low, high = (F.lit(d).cast("date") for d in ("2024-02-01", "2024-02-02"))
+    assert {r.name: r.state for r in changes.required_documents(refs, spark.createDataFrame([("y",), ("z",)], "name string"), ["name"], low, high).collect()} == {"x": "missing", "y": "held"}
