@@ -64,9 +64,15 @@ def required_documents(references: DataFrame, fetched: DataFrame, key: list[str]
 
 
 def inventory_problems(documents: DataFrame, by: list[str], advertised: DataFrame) -> DataFrame:
-    """Inventories whose count differs from what they advertise, or that hold an accession twice."""
-    held = documents.groupBy(*by).agg(F.count("*").alias("n"), F.count_distinct("accession").alias("accessions"))
-    return advertised.join(held, by, "left").select(*by, (F.coalesce("n", F.lit(0)) != F.col("advertised")).alias("wrong_count"), (F.coalesce("n", F.lit(0)) != F.coalesce("accessions", F.lit(0))).alias("duplicates"))
+    """Reasons against each document (advertised: by, advertised, date_from, date_to): another number of rows
+    than it says, a row outside its dates, an accession twice, or one with different content (also elsewhere)."""
+    of = documents.groupBy("accession").agg(F.count_distinct("content") > 1).toDF("accession", "differs")
+    held = documents.join(of, "accession").join(advertised.select(*by, "date_from", "date_to"), by)
+    out = held.groupBy(*by).agg(F.count("*").alias("n"), F.count_distinct("accession").alias("accessions"), F.bool_or("differs").alias("differs"), F.bool_or(~F.coalesce(F.col("filed").between(F.col("date_from"), F.col("date_to")), F.lit(False))).alias("outside"))
+    joined = advertised.select(*by, "advertised").join(out, by, "left")
+    n = F.coalesce("n", F.lit(0))
+    codes = flags.reasons(inventory_count_mismatch=n != F.col("advertised"), filing_outside_bounds=F.col("outside"), duplicate_accession=n != F.coalesce("accessions", F.lit(0)), conflicting_filing_metadata=F.col("differs"))
+    return joined.select(*by, codes.alias("reasons"))
 
 
 def manifest_hash(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:

@@ -28,21 +28,31 @@ def year_to_date(flows: DataFrame, by: list[str], values: list[str]) -> DataFram
     return rows.filter((F.month("start") == 1) & (F.quarter("end") == F.col("quarters")))
 
 
-def quarter_from_year_to_date(ytd: DataFrame, by: list[str], value: str) -> DataFrame:
-    """A quarter's amount: a year-to-date amount less the one before it with the same start."""
-    before = ytd.select(*by, "start", (F.col("quarters") + 1).alias("quarters"), F.col(value).alias("before"))
+def quarter_from_year_to_date(ytd: DataFrame, by: list[str], value: str, same: tuple[str, ...] = ()) -> DataFrame:
+    """A quarter's amount: a year-to-date amount less the one before it with the same start.
+
+    ``same`` columns (edition, basis) have to agree in both, else there is no amount."""
+    before = ytd.select(*by, "start", (F.col("quarters") + 1).alias("quarters"), F.col(value).alias("before"), *[F.col(c).alias(f"_{c}") for c in same])
     joined = ytd.join(before, [*by, "start", "quarters"], "left")
-    amount = F.when(F.col("quarters") == 1, F.col(value)).otherwise(F.col(value) - F.col("before"))
+    agree = F.lit(True)
+    for c in same:
+        agree = agree & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    amount = F.when(F.col("quarters") == 1, F.col(value)).otherwise(F.when(agree, F.col(value) - F.col("before")))
     return joined.select(*by, "end", amount.alias(value))
 
 
-def annual_bridge(ytd: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Twelve months to a quarter end: last year's whole, plus this year to date, less last year to date."""
+def annual_bridge(ytd: DataFrame, by: list[str], value: str, same: tuple[str, ...] = ()) -> DataFrame:
+    """Twelve months to a quarter end: last year's whole, plus this year to date, less last year to date;
+    null where the three do not agree in the ``same`` columns."""
     year = F.year("end")
-    now = ytd.filter("quarters < 4").select(*by, year.alias("year"), "quarters", "end", F.col(value).alias("now"))
-    prior = ytd.select(*by, (year + 1).alias("year"), "quarters", F.col(value).alias("prior"))
-    whole = ytd.filter("quarters = 4").select(*by, (year + 1).alias("year"), F.col(value).alias("whole"))
-    return now.join(prior, [*by, "year", "quarters"]).join(whole, [*by, "year"]).select(*by, "end", (F.col("whole") + F.col("now") - F.col("prior")).alias(value))
+    now = ytd.filter("quarters < 4").select(*by, year.alias("year"), "quarters", "end", F.col(value).alias("now"), *same)
+    prior = ytd.select(*by, (year + 1).alias("year"), "quarters", F.col(value).alias("prior"), *[F.col(c).alias(f"_{c}") for c in same])
+    whole = ytd.filter("quarters = 4").select(*by, (year + 1).alias("year"), F.col(value).alias("whole"), *[F.col(c).alias(f"__{c}") for c in same])
+    agree = F.lit(True)
+    for c in same:
+        agree = agree & F.col(c).eqNullSafe(F.col(f"_{c}")) & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    joined = now.join(prior, [*by, "year", "quarters"]).join(whole, [*by, "year"])
+    return joined.select(*by, "end", F.when(agree, F.col("whole") + F.col("now") - F.col("prior")).alias(value))
 
 
 def compared(flows: DataFrame, by: list[str], value: str) -> DataFrame:

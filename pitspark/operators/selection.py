@@ -119,14 +119,21 @@ def statement_coherence(statements: DataFrame, by: list[str]) -> DataFrame:
     return found.select(*by, flags.reasons(**codes).alias("flags"))
 
 
+def coherent(rows: DataFrame, by: list[str], reasons: dict[str, str]) -> DataFrame:
+    """For each group, the reasons whose column has more than one value in it; a null is a value."""
+    many = [F.count_distinct(F.struct(c)).alias(code) for code, c in reasons.items()]
+    found = rows.groupBy(*by).agg(*many)
+    return found.select(*by, flags.reasons(**{code: F.col(code) > 1 for code in reasons}).alias("reasons"))
+
+
 def with_definition(observations: DataFrame, definitions: DataFrame, by: list[str]) -> DataFrame:
     """Observations (by, reference_date) with the newest definition (by, known_on, definition) of their
     series by that date; one that came later only is from the future, never used."""
     times = definitions.groupBy(*by).agg(F.sort_array(F.collect_set(F.struct("known_on", "definition"))).alias("_all"))
     joined = observations.join(times, by, "left")
-    held = F.element_at(F.filter("_all", lambda d: d["known_on"] <= F.col("reference_date")), -1)
-    reason = F.when(F.col("_all").isNull(), "definition_missing").when(F.size(F.filter("_all", lambda d: d["known_on"] <= F.col("reference_date"))) == 0, "definition_from_future")
-    return joined.withColumns({"definition": F.when(reason.isNull(), held["definition"]), "reason": reason}).drop("_all")
+    known = F.filter("_all", lambda d: d["known_on"] <= F.col("reference_date"))
+    reason = F.when(F.col("_all").isNull(), "definition_missing").when(F.size(known) == 0, "definition_from_future")
+    return joined.withColumns({"definition": F.when(reason.isNull(), F.element_at(known, -1)["definition"]), "reason": reason}).drop("_all")
 
 
 def rule_states(requests: DataFrame, rules: DataFrame, by: list[str]) -> DataFrame:

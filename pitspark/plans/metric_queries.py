@@ -27,19 +27,23 @@ def w5(t: Data) -> DataFrame:
 
 
 VIEWS["ytd"] = """select * from (select issuer, min(period_start) over (partition by issuer, year(period_end)) as start_, period_end as end_, count(*) over (partition by issuer, year(period_end) order by period_end) as quarters,
-   sum(revenue) over (partition by issuer, year(period_end) order by period_end) as revenue from {gapped}) where month(start_) = 1 and quarter(end_) = quarters"""
+   sum(revenue) over (partition by issuer, year(period_end) order by period_end) as revenue, cap_date = period_end as edition from {gapped}) where month(start_) = 1 and quarter(end_) = quarters"""
 
 
-@query("J17_quarter_from_ytd", """select a.issuer, a.end_ as "end", cast(case when a.quarters = 1 then a.revenue else a.revenue - b.revenue end as double) as revenue from {ytd} a left join {ytd} b on a.issuer = b.issuer and a.start_ = b.start_ and a.quarters = b.quarters + 1""")
+def editions(t: Data) -> DataFrame:
+    """Year-to-date amounts; those whose last line was shipped on the quarter's last day are of one edition."""
+    last = t.gapped.select("issuer", F.col("period_end").alias("end"), (F.col("cap_date") == F.col("period_end")).alias("edition"))
+    return periods.year_to_date(t.gapped, ["issuer"], ["revenue"]).join(last, ["issuer", "end"])
+
+
+@query("J17_quarter_from_ytd", """select a.issuer, a.end_ as "end", cast(case when a.quarters = 1 then a.revenue when a.edition = b.edition then a.revenue - b.revenue end as double) as revenue from {ytd} a left join {ytd} b on a.issuer = b.issuer and a.start_ = b.start_ and a.quarters = b.quarters + 1""")
 def j17(t: Data) -> DataFrame:
-    ytd = periods.year_to_date(t.gapped, ["issuer"], ["revenue"])
-    return periods.quarter_from_year_to_date(ytd, ["issuer"], "revenue").select("issuer", "end", f2("revenue"))
+    return periods.quarter_from_year_to_date(editions(t), ["issuer"], "revenue", ("edition",)).select("issuer", "end", f2("revenue"))
 
 
-@query("J16_annual_bridge", """select a.issuer, a.end_ as "end", cast(w.revenue + a.revenue - b.revenue as double) as revenue from {ytd} a join {ytd} b on a.issuer = b.issuer and year(a.end_) = year(b.end_) + 1 and a.quarters = b.quarters join {ytd} w on w.issuer = a.issuer and year(a.end_) = year(w.end_) + 1 and w.quarters = 4 where a.quarters < 4""")
+@query("J16_annual_bridge", """select a.issuer, a.end_ as "end", cast(case when a.edition = b.edition and a.edition = w.edition then w.revenue + a.revenue - b.revenue end as double) as revenue from {ytd} a join {ytd} b on a.issuer = b.issuer and year(a.end_) = year(b.end_) + 1 and a.quarters = b.quarters join {ytd} w on w.issuer = a.issuer and year(a.end_) = year(w.end_) + 1 and w.quarters = 4 where a.quarters < 4""")
 def j16(t: Data) -> DataFrame:
-    ytd = periods.year_to_date(t.gapped, ["issuer"], ["revenue"])
-    return periods.annual_bridge(ytd, ["issuer"], "revenue").select("issuer", "end", f2("revenue"))
+    return periods.annual_bridge(editions(t), ["issuer"], "revenue", ("edition",)).select("issuer", "end", f2("revenue"))
 
 
 @query("J15_comparable_period", """select a.issuer, a.period_end, cast(b.revenue as double) as prior, round(case when b.revenue > 0 then cast(a.revenue - b.revenue as double) / cast(b.revenue as double) end, 6) as growth from {gapped} a left join {gapped} b on a.issuer = b.issuer and a.qidx = b.qidx + 4""")

@@ -287,9 +287,14 @@ def j32(t: Data) -> DataFrame:
     return frozen.join(stored, ["issuer", "qidx"], "full_outer").filter(~F.col("revenue").eqNullSafe(F.col("stored"))).select("issuer", "qidx")
 
 
-@query("A22_one_history_each", "select issuer, count(distinct qidx % 4) as quarters, count(distinct qidx % 4) <= 1 as coherent from {flows} group by 1")
+@query("A22_one_history_each", "select issuer, qidx, concat_ws('|', case when cap <= 0 then 'mixed_editions' end, case when last_day(cap_date) <> period_end then 'mixed_period_ends' end, case when income < 0 then 'mixed_windows' end) as reasons from {snapshots}")
 def a22(t: Data) -> DataFrame:
-    return t.flows.groupBy("issuer").agg(F.count_distinct(F.col("qidx") % 4).alias("quarters")).withColumn("coherent", F.col("quarters") <= 1)
+    """A multiple ends with its quote's month; a loss is taken over a quarter; without a cap an older edition stands."""
+    rows = t.snapshots
+    flow = rows.select("issuer", "qidx", F.lit("margin").alias("metric"), F.lit("own").alias("history"), "period_end", F.lit("year").alias("window"), F.lit(1).alias("edition"))
+    price = rows.select("issuer", "qidx", F.lit("multiple").alias("metric"), F.lit("own").alias("history"), F.last_day("cap_date").alias("period_end"), F.when(F.col("income") < 0, "quarter").otherwise("year").alias("window"), F.when(F.col("cap") <= 0, 0).otherwise(1).alias("edition"))
+    found = selection.coherent(flow.unionByName(price), ["issuer", "qidx"], {"mixed_histories": "history", "mixed_period_ends": "period_end", "mixed_windows": "window", "mixed_editions": "edition"})
+    return found.select("issuer", "qidx", flags.text(F.col("reasons")).alias("reasons"))
 
 
 @query("A24_publication_completeness", "select o_orderkey as batch, count(l_orderkey) > 0 and count(case when l_quantity is null then 1 end) = 0 as complete from {orders} left join {lineitem} on l_orderkey = o_orderkey group by 1")

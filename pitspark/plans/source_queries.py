@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitspark.functions import flags, scalar
+from pitspark.functions.concepts import CONCEPTS, expected_unit
 from pitspark.functions.storage import work_dir
 from pitspark.operators import selection
 from pitspark.plans.bridge import VIEWS
@@ -22,9 +23,13 @@ def fact_bodies(t: Data) -> DataFrame:
     return tags.groupBy("issuer").agg(F.to_json(F.struct(F.create_map(F.lit("gaap"), F.map_from_entries(F.collect_list(entry))).alias("facts"))).alias("body"))
 
 
-@query("S1_scan_company_facts", """select issuer, tag, '/facts/gaap/' || tag || '/units/USD/' || cast(row_number() over (partition by issuer, tag order by period_start) - 1 as varchar) as locator, cast(val as double) as val, period_end as filed from (select issuer, 'revenue' as tag, revenue as val, period_start, period_end from {flows} union all select issuer, 'cost', cost, period_start, period_end from {flows})""")
+@query("S1_scan_company_facts", """select issuer, tag, '/facts/gaap/' || tag || '/units/USD/' || cast(row_number() over (partition by issuer, tag order by period_start) - 1 as varchar) as locator, cast(val as double) as val, period_end as filed, 'observed' as state, null::varchar as problem
+  from (select issuer, 'revenue' as tag, revenue as val, period_start, period_end from {flows} union all select issuer, 'cost', cost, period_start, period_end from {flows}) where issuer not in (select issuer from {issuers} where cap < 0) union all select issuer, null, null, null, null, null, 'body_malformed' from {issuers} where cap < 0""")
 def s1(t: Data) -> DataFrame:
-    return bodies.company_facts(fact_bodies(t), ["issuer"]).select("issuer", "tag", "locator", F.col("val").cast("double").alias("val"), F.to_date("filed").alias("filed"))
+    """Bodies of issuers with a negative cap repeat a key."""
+    torn = t.issuers.select("issuer", (F.col("cap") < 0).alias("torn"))
+    made = fact_bodies(t).join(torn, "issuer").withColumn("body", F.when(F.col("torn"), F.concat(F.lit('{"facts":{},'), F.substr("body", F.lit(2)))).otherwise(F.col("body")))
+    return bodies.company_facts(made, ["issuer"]).select("issuer", "tag", "locator", F.col("val").cast("double").alias("val"), F.to_date("filed").alias("filed"), "state", "problem")
 
 
 VIEWS["order_rows"] = "select o_custkey as issuer, cast(o_orderkey as varchar(20)) as accession, o_orderstatus as form, cast(o_orderdate as date) as filed, row_number() over (partition by o_custkey order by o_orderkey) - 1 as i from {orders}"
@@ -228,11 +233,11 @@ def p7(t: Data) -> DataFrame:
     return t.supplier.select("s_suppkey", scalar.issuer_id(raw).alias("id"))
 
 
-@query("P8_concept_units", "select issuer, qidx, concept, case concept when 'shares' then 'shares' when 'eps' then 'USD/shares' else 'USD' end as unit from {flows} cross join (values ('revenue'), ('shares'), ('eps')) c(concept)")
+@query("P8_concept_units", "select s_suppkey as issuer, concept, case when concept in ('weighted_average_shares_basic', 'weighted_average_shares_diluted', 'common_shares_outstanding') then 'shares' when concept in ('eps_basic', 'eps_diluted') then (case when s_nationkey < 12 then 'USD' else 'EUR' end) || '/shares' when concept = 'other' then null else case when s_nationkey < 12 then 'USD' else 'EUR' end end as unit from {supplier} cross join (select unnest([" + ", ".join(f"'{c}'" for c in (*CONCEPTS, "other")) + "]) as concept) c")
 def p8(t: Data) -> DataFrame:
-    units = t.spark.createDataFrame([("revenue", "USD"), ("shares", "shares"), ("eps", "USD/shares")], "concept string, unit string")
-    asked = t.flows.select("issuer", "qidx", F.explode(F.array(F.lit("revenue"), F.lit("shares"), F.lit("eps"))).alias("concept"))
-    return asked.join(F.broadcast(units), "concept", "left").select("issuer", "qidx", "concept", "unit")
+    currency = F.when(F.col("s_nationkey") < 12, "USD").otherwise("EUR")
+    asked = t.supplier.select(F.col("s_suppkey").alias("issuer"), currency.alias("currency"), F.explode(F.array(*[F.lit(c) for c in (*CONCEPTS, "other")])).alias("concept"))
+    return asked.select("issuer", "concept", expected_unit(F.col("concept"), F.col("currency")).alias("unit"))
 
 
 @query("P10_reference_date_fits", "select issuer, qidx, frequency, case frequency when 'daily' then true when 'monthly' then true when 'quarterly' then true else month(period_start) = 1 end as fits, false as end_fits from {flows} cross join (values ('monthly'), ('quarterly'), ('yearly')) f(frequency)")
@@ -270,11 +275,14 @@ def j23(t: Data) -> DataFrame:
     return selection.rule_states(asked, t.mapping_rules, ["status", "priority", "year"]).select("request", "state")
 
 
-VIEWS["resolution_rows"] = "select l_orderkey as request, l_linenumber as concept, l_returnflag as tag, l_linestatus as detail, cast(case when l_partkey % 50 = 0 then null else round(l_quantity / 25) end as int) as value, l_suppkey * 1000000 + l_partkey as place from {lineitem}"
+VIEWS["resolution_rows"] = """select l_orderkey as request, l_linenumber % 3 as concept, l_returnflag as tag, l_linestatus as detail, cast(case when l_partkey % 50 = 0 then null else round(l_quantity / 25) end as int) as value, l_suppkey * 1000000 + l_partkey as place,
+    case when o_orderpriority = '5-LOW' then case when o_orderstatus = 'P' then 'source_missing' else 'partial' end else 'covered' end as coverage, case o_orderpriority when '4-NOT SPECIFIED' then 0 when '3-MEDIUM' then case when o_orderstatus = 'P' then 2 else 1 end else 1 end as rules, l_tax > 0.07 as conflict, case when o_orderpriority = '2-HIGH' then 'N' end as preferred from {lineitem} join {orders} on o_orderkey = l_orderkey"""
 
 
-@query("A3_observation_resolution", """select request, concept, case when count(case when value is null then 1 end) > 0 then 'missing' when count(distinct value) > 1 then 'value_conflict' when count(distinct tag) > 1 then 'equivalent_tags' when count(distinct detail) > 1 then 'metadata_conflict' else 'observed' end as state,
-  case when count(case when value is null then 1 end) = 0 and count(distinct value) = 1 and count(distinct tag) = 1 and count(distinct detail) = 1 then min(value) end as value from {resolution_rows} group by 1, 2""")
+@query("A3_observation_resolution", """with g as (select request, concept, min(coverage) as c, max(rules) as rules, bool_or(conflict) as conflict, count(case when value is null then 1 end) as gaps, count(distinct value) as n, count(distinct tag) as tags, count(distinct detail) as details, coalesce(bool_or(tag = preferred), false) as has, count(distinct case when tag = preferred then detail end) as own, min(value) as v from {resolution_rows} group by 1, 2)
+  select request, concept, case when c <> 'covered' then 'missing' when rules = 0 then 'unsupported_scope' when rules > 1 or conflict then 'ambiguous' when gaps > 0 then 'missing' when n > 1 or (tags > 1 and not has) or (case when has then own else details end) > 1 then 'ambiguous' else 'observed' end as state,
+    case when c = 'source_missing' then c when c <> 'covered' then 'unresolved_coverage' when rules = 0 then 'no_reviewed_complete_scope_tag' when rules > 1 then 'conflicting_mapping_rules' when conflict then 'filing_metadata_conflict' when gaps > 0 then 'missing_value' when n > 1 then 'conflicting_reviewed_observations' when tags > 1 and not has then 'equivalent_tags_without_reviewed_preference' when (case when has then own else details end) > 1 then 'same_value_different_source_metadata' end as reason,
+    case when c = 'covered' and rules = 1 and not conflict and gaps = 0 and n = 1 and (tags = 1 or has) and (case when has then own else details end) = 1 then v end as value from g""")
 def a3(t: Data) -> DataFrame:
     return bodies.resolution(t.resolution_rows, ["request", "concept"])
 

@@ -72,11 +72,14 @@ def j14(t: Data) -> DataFrame:
     return changes.required_documents(rows, fetched, ["source_ref"], F.lit(DAY1).cast("date"), F.lit(DAY2).cast("date")).select("issuer", "source_ref", "state")
 
 
-@query("A25_inventory_checks", "select issuer, n <> advertised as wrong_count, n <> d as duplicates from (select issuer, count(*) as n, count(distinct accession) as d, count(*) + case when issuer % 10 = 0 then 1 else 0 end as advertised from (select * from {current} union all select * from {current} where accession % 40 = 1) group by 1)")
+VIEWS["document_rows"] = "select o_custkey as document, o_orderkey as accession, cast(o_orderdate as date) as filed, cast(o_totalprice as decimal(12,2)) as content from {orders} union all select o_custkey, o_orderkey, cast(o_orderdate as date), cast(o_totalprice as decimal(12,2)) from {orders} where o_totalprice > 450000 union all select o_custkey + 1, o_orderkey, cast(o_orderdate as date), cast(o_totalprice + 1 as decimal(12,2)) from {orders} where o_totalprice < 3000"
+VIEWS["documents_said"] = "select c_custkey as document, count(o_orderkey) as advertised, date '1995-01-10' as date_from, date '2002-01-01' as date_to from {customer} left join {orders} on o_custkey = c_custkey group by 1"
+
+
+@query("A25_inventory_checks", """with m as (select accession from {document_rows} group by 1 having count(distinct content) > 1), h as (select document, count(*) as n, count(distinct accession) as d, bool_or(accession in (select accession from m)) as differs, bool_or(filed < date '1995-01-10') as outside from {document_rows} group by 1)
+  select s.document, concat_ws('|', case when differs then 'conflicting_filing_metadata' end, case when n <> d then 'duplicate_accession' end, case when outside then 'filing_outside_bounds' end, case when coalesce(n, 0) <> advertised then 'inventory_count_mismatch' end) as reasons from {documents_said} s left join h on h.document = s.document""")
 def a25(t: Data) -> DataFrame:
-    held = t.current.unionByName(t.current.filter("accession % 40 = 1"))
-    advertised = held.groupBy("issuer").agg((F.count("*") + F.when(F.col("issuer") % 10 == 0, 1).otherwise(0)).alias("advertised"))
-    return changes.inventory_problems(held, ["issuer"], advertised)
+    return changes.inventory_problems(t.document_rows, ["document"], t.documents_said).select("document", flags.text(F.col("reasons")).alias("reasons"))
 
 
 WORDS = ", '|', ".join(f"cast(sum(cast(cast('0x' || substr(h, {1 + 15 * k}, 15) as bigint) as hugeint)) as varchar)" for k in range(4))

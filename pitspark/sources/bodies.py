@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from pitspark.functions import flags
 
-FACTS = "struct<facts:map<string,map<string,struct<units:map<string,array<struct<start:string,end:string,val:decimal(38,4),accn:string,form:string,filed:string>>>>>>>"
 FILINGS = "struct<filings:struct<recent:struct<accessionNumber:array<string>,form:array<string>,filingDate:array<string>>,files:array<struct<name:string,filingCount:long,filingFrom:string,filingTo:string>>>>"
 #: Fields of a session, raw and adjusted, as the source names them (fixed values).
 PRICE_FIELDS = ("open", "high", "low", "close", "volume", "adjOpen", "adjHigh", "adjLow", "adjClose", "adjVolume", "divCash", "splitFactor")
@@ -17,12 +16,20 @@ MOST_BYTES = 64 << 20
 
 
 def company_facts(bodies: DataFrame, keys: list[str]) -> DataFrame:
-    """One observation for each element of facts.{taxonomy}.{tag}.units.{unit}, with its JSON pointer."""
-    facts = bodies.select(*keys, F.from_json("body", FACTS).getField("facts").alias("f")).select(*keys, F.explode("f").alias("taxonomy", "tags"))
-    tags = facts.select(*keys, "taxonomy", F.explode("tags").alias("tag", "x")).select(*keys, "taxonomy", "tag", F.explode("x.units").alias("unit", "rows"))
-    rows = tags.select(*keys, "taxonomy", "tag", "unit", F.posexplode("rows").alias("i", "r"))
-    locator = F.concat_ws("/", F.lit("/facts"), "taxonomy", "tag", F.lit("units"), F.replace("unit", F.lit("/"), F.lit("~1")), "i")
-    return rows.select(*keys, "taxonomy", "tag", "unit", locator.alias("locator"), "r.*")
+    """One observation for each element of facts.{taxonomy}.{tag}.units.{unit}, with its JSON pointer, the
+    number (exact, its text without trailing zeros) and the number's state. A body that is no JSON object
+    with facts, or repeats a key, gives one row with a problem."""
+    units = "map<string,map<string,struct<units:map<string,array<variant>>>>>"
+    parsed = bodies.select(*keys, F.expr(f"try_variant_get(try_parse_json(body), '$.facts', '{units}')").alias("f"))
+    facts = parsed.select(*keys, F.col("f").isNull().alias("bad"), F.explode_outer("f").alias("taxonomy", "tags")).filter("bad or tags is not null")
+    tags = facts.select(*keys, "bad", "taxonomy", F.explode_outer("tags").alias("tag", "x")).select(*keys, "bad", "taxonomy", "tag", F.explode_outer("x.units").alias("unit", "rows"))
+    rows = tags.select(*keys, "bad", "taxonomy", "tag", "unit", F.posexplode_outer("rows").alias("i", "r")).filter("bad or r is not null")
+    escaped = [F.replace(F.replace(c, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")) for c in ("taxonomy", "tag", "unit")]
+    locator = F.concat_ws("/", F.lit("/facts"), escaped[0], escaped[1], F.lit("units"), escaped[2], "i")
+    state, value = fact_number(F.col("r"), "val")
+    fields = [F.try_variant_get("r", f"$.{c}", "string").alias(c) for c in ("start", "end", "accn", "form", "filed")]
+    bad = F.col("bad")
+    return rows.select(*keys, "taxonomy", "tag", "unit", F.when(~bad, locator).alias("locator"), *fields, value.alias("val"), F.try_variant_get("r", "$.val", "string").alias("text"), F.when(~bad, state).alias("state"), F.when(bad, "body_malformed").alias("problem"))
 
 
 def filing_index(bodies: DataFrame, keys: list[str]) -> DataFrame:
@@ -216,10 +223,35 @@ def to_publish(batch: DataFrame, published: DataFrame, key: list[str], output: s
 
 
 def resolution(rows: DataFrame, by: list[str]) -> DataFrame:
-    """The state of each (request, concept): conflicts of value, tag or text before a value is given."""
-    grouped = rows.groupBy(*by).agg(F.count_distinct("value").alias("values"), F.count_distinct("tag").alias("tags"), F.count_distinct("detail").alias("details"), F.count_if(F.col("value").isNull()).alias("gaps"), F.min_by("value", "place").alias("first"))
-    state = F.when(F.col("gaps") > 0, "missing").when(F.col("values") > 1, "value_conflict").when(F.col("tags") > 1, "equivalent_tags").when(F.col("details") > 1, "metadata_conflict").otherwise("observed")
-    return grouped.select(*by, state.alias("state"), F.when(state == "observed", F.col("first")).alias("value"))
+    """The state of each (request, concept) by its considered rows, in this order: coverage that is not
+    covered is missing; no mapping rule is unsupported_scope, several are ambiguous; a filing's metadata in
+    conflict, then a bad value; more than one value; more than one tag without a preferred one; one value
+    with different details. Else the row of the lowest place is observed.
+
+    ``rows`` (by, value, tag, detail, place) may also have coverage (covered or not), rules (their number),
+    conflict (a filing's metadata differ), bad (why a value cannot be read) and preferred (a tag).
+    """
+    has = lambda c, kind, default: F.coalesce(F.col(c), F.lit(default)) if c in rows.columns else F.lit(default).cast(kind)
+    held = rows.select(
+        *by, "value", "tag", "detail", "place", has("coverage", "string", "covered").alias("coverage"), has("rules", "int", 1).alias("rules"), has("conflict", "boolean", False).alias("conflict"),
+        F.coalesce(F.col("bad") if "bad" in rows.columns else F.lit(None), F.when(F.col("value").isNull(), "missing_value")).alias("bad"), (F.col("tag") == (F.col("preferred") if "preferred" in rows.columns else F.lit(None).cast("string"))).alias("wanted"),
+    )
+    wanted = F.coalesce(F.col("wanted"), F.lit(False))
+    grouped = held.groupBy(*by).agg(
+        F.min("coverage").alias("c0"), F.max("coverage").alias("c1"), F.max("rules").alias("rules"), F.max("conflict").alias("conflict"), F.min("bad").alias("bad"), F.count_distinct("value").alias("values"), F.count_distinct("tag").alias("tags"), F.count_distinct("detail").alias("details"),
+        F.max(wanted).alias("has"), F.count_distinct(F.when(wanted, F.col("detail"))).alias("own_details"), F.min_by("value", "place").alias("first"), F.min_by(F.when(wanted, F.col("value")), F.when(wanted, F.col("place"))).alias("own"),
+    )
+    covered = (F.col("c0") == "covered") & (F.col("c1") == "covered")
+    chain = [
+        (~covered, "missing", F.when(F.col("c1") == "source_missing", "source_missing").otherwise("unresolved_coverage")), (F.col("rules") == 0, "unsupported_scope", F.lit("no_reviewed_complete_scope_tag")), (F.col("rules") > 1, "ambiguous", F.lit("conflicting_mapping_rules")),
+        (F.col("conflict"), "ambiguous", F.lit("filing_metadata_conflict")), (F.col("bad").isNotNull(), "missing", F.col("bad")), (F.col("values") > 1, "ambiguous", F.lit("conflicting_reviewed_observations")),
+        ((F.col("tags") > 1) & ~F.col("has"), "ambiguous", F.lit("equivalent_tags_without_reviewed_preference")), (F.when(F.col("has"), F.col("own_details")).otherwise(F.col("details")) > 1, "ambiguous", F.lit("same_value_different_source_metadata")),
+    ]
+    state, reason = F.lit("observed"), F.lit(None).cast("string")
+    for condition, s, r in reversed(chain):
+        state, reason = F.when(condition, s).otherwise(state), F.when(condition, r).otherwise(reason)
+    value = F.when(F.col("has"), F.col("own")).otherwise(F.col("first"))
+    return grouped.select(*by, state.alias("state"), reason.alias("reason"), F.when(state == "observed", value).alias("value"))
 
 
 def period(start: Column, end: Column) -> Column:

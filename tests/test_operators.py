@@ -531,3 +531,42 @@ def test_duplicates_and_documents(spark):
     refs = spark.createDataFrame([("x", D(2024, 1, 1), D(2024, 2, 1)), ("y", D(2024, 2, 1), D(2024, 3, 1)), ("z", D(2023, 1, 1), D(2023, 2, 1))], "name string, date_from date, date_to date")
     low, high = (F.lit(d).cast("date") for d in ("2024-02-01", "2024-02-02"))
     assert {r.name: r.state for r in changes.required_documents(refs, spark.createDataFrame([("y",), ("z",)], "name string"), ["name"], low, high).collect()} == {"x": "missing", "y": "held"}
+
+
+def test_company_facts_by_type(spark):
+    body = '{"facts":{"g":{"a/b":{"units":{"USD/shares":[{"start":"2024-01-01","end":"2024-03-31","val":1.10,"accn":"x","form":"10-Q","filed":"2024-05-01"},{"val":"5"},{"val":null},{"end":"2024-01-01"},{"val":"NaN"},{"val":12345678901234567890.5}]}}}}}'
+    rows = spark.createDataFrame([(1, body), (2, '{"facts":{},"facts":{}}'), (3, "[]"), (4, None), (5, '{"facts":{}}')], "k int, body string")
+    found = bodies.company_facts(rows, ["k"]).orderBy("k", "locator").collect()
+    assert [(r.k, r.problem) for r in found if r.k > 1] == [(2, "body_malformed"), (3, "body_malformed"), (4, "body_malformed")]
+    facts = [r for r in found if r.k == 1]
+    assert [r.state for r in facts] == ["observed", "not_numeric", "null_value", "missing_field", "nonfinite", "observed"]
+    assert facts[0].locator == "/facts/g/a~1b/units/USD~1shares/0" and facts[0].val == Decimal("1.1") and facts[5].val == Decimal("12345678901234567890.5") and facts[0].filed == "2024-05-01"
+
+
+def test_resolution_in_its_order(spark):
+    good = ("covered", 1, False, 5, None, "t", "d", 3, None)
+    cases = {
+        "observed": [good], "gap": [("source_missing", 0, True, None, None, "t", "d", 1, None)], "none": [("covered", 0, True, 5, None, "t", "d", 1, None)], "many": [("covered", 2, True, 5, None, "t", "d", 1, None)], "torn": [("covered", 1, True, None, "json_null", "t", "d", 1, None)],
+        "bad": [good, ("covered", 1, False, None, "json_null", "t", "d", 1, None)], "two": [good, ("covered", 1, False, 6, None, "t", "d", 1, None)], "tags": [good, ("covered", 1, False, 5, None, "u", "d", 1, None)], "meta": [good, ("covered", 1, False, 5, None, "t", "e", 1, None)],
+        "chosen": [("covered", 1, False, 5, None, "t", "d", 3, "t"), ("covered", 1, False, 5, None, "u", "e", 1, "t")], "first": [good, ("covered", 1, False, 5, None, "t", "d", 1, None)],
+    }
+    rows = [(k, *r) for k, many in cases.items() for r in many]
+    frame = spark.createDataFrame(rows, "k string, coverage string, rules int, conflict boolean, value int, bad string, tag string, detail string, place int, preferred string")
+    got = {r.k: (r.state, r.reason, r.value) for r in bodies.resolution(frame, ["k"]).collect()}
+    assert got == {
+        "observed": ("observed", None, 5), "gap": ("missing", "source_missing", None), "none": ("unsupported_scope", "no_reviewed_complete_scope_tag", None), "many": ("ambiguous", "conflicting_mapping_rules", None), "torn": ("ambiguous", "filing_metadata_conflict", None), "bad": ("missing", "json_null", None),
+        "two": ("ambiguous", "conflicting_reviewed_observations", None), "tags": ("ambiguous", "equivalent_tags_without_reviewed_preference", None), "meta": ("ambiguous", "same_value_different_source_metadata", None), "chosen": ("observed", None, 5), "first": ("observed", None, 5),
+    }
+
+
+def test_year_to_date_of_another_edition_gives_no_amount(spark):
+    rows = spark.createDataFrame([(1, D(2024, 1, 1), D(2024, 3, 31), 1, 10, "a"), (1, D(2024, 1, 1), D(2024, 6, 30), 2, 25, "b"), (1, D(2024, 1, 1), D(2024, 9, 30), 3, 45, "b")], "k int, start date, end date, quarters int, v int, edition string")
+    got = {r.end.month: r.v for r in periods.quarter_from_year_to_date(rows, ["k"], "v", ("edition",)).collect()}
+    assert got == {3: 10, 6: None, 9: 20}
+
+
+def test_inventory_problems(spark):
+    rows = spark.createDataFrame([(1, "a", D(2024, 1, 1), 1), (1, "a", D(2024, 1, 1), 1), (2, "b", D(2023, 1, 1), 1), (3, "c", D(2024, 1, 1), 1), (4, "c", D(2024, 1, 1), 2)], "d int, accession string, filed date, content int")
+    said = spark.createDataFrame([(d, n, D(2024, 1, 1), D(2024, 12, 31)) for d, n in ((1, 2), (2, 2), (3, 1), (4, 1), (5, 0))], "d int, advertised int, date_from date, date_to date")
+    got = {r.d: r.reasons for r in changes.inventory_problems(rows, ["d"], said).collect()}
+    assert got == {1: ["duplicate_accession"], 2: ["filing_outside_bounds", "inventory_count_mismatch"], 3: ["conflicting_filing_metadata"], 4: ["conflicting_filing_metadata"], 5: []}
