@@ -65,11 +65,22 @@ REGISTRY: dict[str, MetricSpec] = {
 }
 
 
+def _codes(rows: DataFrame, spec: MetricSpec) -> Column:
+    """The reasons of a metric; where there are columns ``<input>_error`` and ``<input>_issues`` for its
+    inputs, also a last input (the denominator) within its error, and the evidence issues of each."""
+    found = spec.reasons(*[F.col(c) for c in spec.inputs])
+    last, error = F.col(spec.inputs[-1]), f"{spec.inputs[-1]}_error"
+    if "denominator_nonpositive" in found and error in rows.columns:
+        found["denominator_within_error"] = (last > 0) & (last <= F.col(error))
+    issues = [F.coalesce(F.col(f"{c}_issues"), F.array().cast("array<string>")) for c in spec.inputs if f"{c}_issues" in rows.columns]
+    return flags.union(flags.reasons(**found), *issues)
+
+
 def metric(rows: DataFrame, name: str) -> DataFrame:
     """``rows`` with value and reasons of a metric; the value is null where a reason blocks."""
     spec = REGISTRY[name]
     inputs = [F.col(c) for c in spec.inputs]
-    codes = flags.reasons(**spec.reasons(*inputs))
+    codes = _codes(rows, spec)
     return rows.withColumns({"value": scalar.guarded(spec.value(*inputs), codes), "reasons": codes})
 
 
@@ -79,7 +90,7 @@ def long_metrics(rows: DataFrame, names: list[str], keys: list[str]) -> DataFram
     for name in names:
         spec = REGISTRY[name]
         inputs = [F.col(c) for c in spec.inputs]
-        codes = flags.reasons(**spec.reasons(*inputs))
+        codes = _codes(rows, spec)
         found.append(F.struct(F.lit(name).alias("metric"), scalar.guarded(spec.value(*inputs), codes).cast("double").alias("value"), codes.alias("reasons")))
     return rows.select(*keys, F.explode(F.array(*found)).alias("m")).select(*keys, "m.*")
 

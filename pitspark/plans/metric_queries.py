@@ -134,12 +134,12 @@ registered("F4_free_cash_flow_margin", "free_cash_flow_margin", "cast(cfo - cape
 CURRENT = lambda s: s.withColumns({"current_assets": F.col("cfo"), "current_liabilities": F.col("capex")})
 registered("F5_current_ratio", "current_ratio", "case when capex > 0 then cast(cfo as double) / cast(capex as double) end", "case when capex <= 0 then 'denominator_nonpositive' else '' end", CURRENT)
 registered("F5_net_working_capital", "net_working_capital", "cast(cfo - capex as double)", NONE, CURRENT)
-MULTIPLE = "concat_ws('|', case when {d} <= 0 then 'denominator_nonpositive' end, case when cap <= 0 then 'market_cap_nonpositive' end)"
+MULTIPLE = "concat_ws('|', case when {d} <= 0 then 'denominator_nonpositive' end, case when {d} > 0 and {d} <= {d}_error then 'denominator_within_error' end, case when cap <= 0 then 'market_cap_nonpositive' end)"
 for _id, _metric, _den in (("F9_price_earnings", "price_earnings", "income"), ("F9_price_sales", "price_sales", "revenue"), ("F9_price_fcf", "price_fcf", "fcf")):
-    registered(_id, _metric, f"case when cap > 0 and {_den} > 0 then cast(cap as double) / cast({_den} as double) end", MULTIPLE.replace("{d}", _den))
+    registered(_id, _metric, f"case when cap > 0 and {_den} > {_den}_error then cast(cap as double) / cast({_den} as double) end", MULTIPLE.replace("{d}", _den))
 
 
-@query("F7_revenue_growth", "select issuer, qidx, round(case when prior_revenue > 0 then cast(revenue - prior_revenue as double) / cast(prior_revenue as double) end, 6) as value, case when prior_revenue is null then 'comparison_missing' when prior_revenue <= 0 then 'denominator_nonpositive' else '' end as reasons from {snapshots}")
+@query("F7_revenue_growth", "select issuer, qidx, round(case when prior_revenue > prior_revenue_error then cast(revenue - prior_revenue as double) / cast(prior_revenue as double) end, 6) as value, case when prior_revenue is null then 'comparison_missing' when prior_revenue <= 0 then 'denominator_nonpositive' when prior_revenue <= prior_revenue_error then 'denominator_within_error' else '' end as reasons from {snapshots}")
 def f7(t: Data) -> DataFrame:
     return metrics.metric(t.snapshots, "revenue_growth").select(*KEYS, r6("value"), flags.text(F.col("reasons")).alias("reasons"))
 
@@ -156,7 +156,7 @@ def f10(t: Data) -> DataFrame:
 
 
 @query("F15_metric_status", """select issuer, qidx, case when first in ('valid', 'not_meaningful') and (qidx < 7985 or (qidx < 7990 and sector = 2)) then 'stale' else first end as status from (
-  select issuer, qidx, sector, case when industry = 4 then case when cap > 60000 then 'invalid' else 'unsupported' end when industry = 5 then 'unsupported' when industry = 6 then 'inapplicable' when cap <= 0 or income <= 0 then case when cost > 20 * cfo then 'missing' else 'not_meaningful' end else 'valid' end as first from {snapshots}) s""")
+  select issuer, qidx, sector, case when industry = 4 then case when cap > 60000 then 'invalid' else 'unsupported' end when industry = 5 then 'unsupported' when industry = 6 then 'inapplicable' when cap <= 0 or income <= income_error then case when cost > 20 * cfo then 'missing' else 'not_meaningful' end else 'valid' end as first from {snapshots}) s""")
 def f15(t: Data) -> DataFrame:
     """One industry has no profile, one was not reviewed, one does not apply; costly companies have no precision."""
     rows = metrics.metric(t.snapshots, "price_earnings")
@@ -168,7 +168,7 @@ def f15(t: Data) -> DataFrame:
 
 
 SEEN = ["revenue_growth", "free_cash_flow", "free_cash_flow_margin", "operating_margin", "net_margin"]
-VIEWS["seen"] = """select issuer, qidx, 'revenue_growth' as metric, case when prior_revenue > 0 then cast(revenue - prior_revenue as double) / cast(prior_revenue as double) end as value, false as extreme from {snapshots}
+VIEWS["seen"] = """select issuer, qidx, 'revenue_growth' as metric, case when prior_revenue > prior_revenue_error then cast(revenue - prior_revenue as double) / cast(prior_revenue as double) end as value, false as extreme from {snapshots}
   union all select issuer, qidx, 'free_cash_flow', case when capex >= 0 then cast(fcf as double) end, false from {snapshots} union all select issuer, qidx, 'free_cash_flow_margin', case when capex >= 0 then cast(fcf as double) / cast(revenue as double) end, false from {snapshots}
   union all select issuer, qidx, 'operating_margin', cast(operating_income as double) / cast(revenue as double), abs(operating_income) > revenue from {snapshots} union all select issuer, qidx, 'net_margin', cast(income as double) / cast(revenue as double), abs(income) > revenue from {snapshots}"""
 VIEWS["rules"] = """select issuer, qidx, metric, value, extreme, case when metric = 'revenue_growth' then case when value > 0 then 'revenue_grew' when value < 0 then 'revenue_declined' when value = 0 then 'revenue_unchanged' end
@@ -184,7 +184,7 @@ def f16(t: Data) -> DataFrame:
     return metrics.observed(seen(t)).select(*KEYS, "metric", "rule")
 
 
-VIEWS["assessed"] = """select s.issuer, s.qidx, case when s.industry % 7 = 3 then 'inapplicable' when s.cap <= 0 or s.income <= 0 then case when s.qidx < 7980 then 'stale' else 'not_meaningful' end when s.qidx < 7980 then 'stale' else 'valid' end as status from {snapshots} s"""
+VIEWS["assessed"] = """select s.issuer, s.qidx, case when s.industry % 7 = 3 then 'inapplicable' when s.cap <= 0 or s.income <= s.income_error then case when s.qidx < 7980 then 'stale' else 'not_meaningful' end when s.qidx < 7980 then 'stale' else 'valid' end as status from {snapshots} s"""
 
 
 @query("A16_status_counts", """select q.qidx, count(*) as members, count(case when a.status = 'valid' then 1 end) as valid, count(case when a.status = 'not_meaningful' then 1 end) as not_meaningful, count(case when a.status is null then 1 end) as missing, 0::bigint as invalid, count(case when a.status = 'stale' then 1 end) as stale, 0::bigint as unsupported,

@@ -570,3 +570,8 @@ def test_inventory_problems(spark):
     said = spark.createDataFrame([(d, n, D(2024, 1, 1), D(2024, 12, 31)) for d, n in ((1, 2), (2, 2), (3, 1), (4, 1), (5, 0))], "d int, advertised int, date_from date, date_to date")
     got = {r.d: r.reasons for r in changes.inventory_problems(rows, ["d"], said).collect()}
     assert got == {1: ["duplicate_accession"], 2: ["filing_outside_bounds", "inventory_count_mismatch"], 3: ["conflicting_filing_metadata"], 4: ["conflicting_filing_metadata"], 5: []}
+
+
+def test_a_multiple_needs_a_denominator_beyond_its_error_and_good_evidence(spark):
+    rows = spark.createDataFrame([(Decimal(100), Decimal(5), Decimal(1), None), (Decimal(100), Decimal(5), Decimal(5), None), (Decimal(100), Decimal(5), None, ["unsupported_currency"])], "cap decimal(18,2), income decimal(18,2), income_error decimal(18,2), cap_issues array<string>")
+    assert [(r.value, r.reasons) for r in metrics.metric(rows, "price_earnings").collect()] == [(20.0, []), (None, ["denominator_within_error"]), (None, ["unsupported_currency"])]
