@@ -201,15 +201,19 @@ def top_by_cap(rows: DataFrame, by: list[str], many: int = 5) -> DataFrame:
 
 def concentration(companies: DataFrame, by: list[str], many: int = 5, policy: Policy = Policy()) -> DataFrame:
     """Share of cap in today's largest companies, and total growth with and without those that were the
-    largest at the prior date. Either is null where a cap of its date is unknown."""
-    growth = {"growth": METRICS["revenue_growth"]}
-    share = top_by_cap(companies, by, many).groupBy(*by).agg(F.sum("cap").alias("held")).join(known_caps(companies, by), by)
-    share = share.select(*by, scalar.ratio(F.col("held"), F.col("full")).alias("top_share"))
-    gone = leaders(companies, by, "prior_cap", many).select(*by, "issuer")
-    rest = companies.join(known_caps(companies, by, "prior_cap").select(*by), by, "left_semi").join(gone, [*by, "issuer"], "left_anti")
-    every = sector_values(companies, by, growth, policy).select(*by, F.col("total").alias("growth"))
-    without = sector_values(rest, by, growth, policy).select(*by, F.col("total").alias("growth_without_top"))
-    return every.join(share, by, "left").join(without, by, "left").select(*by, "top_share", "growth", "growth_without_top")
+    largest at the prior date. Either is null where a cap of its date is unknown.
+
+    Both growths come from one aggregation: the second is of columns that are null for the leaders."""
+    whole = lambda c: F.bool_and(F.coalesce(F.col(c) > 0, F.lit(False)))
+    known = companies.groupBy(*by).agg(whole("cap").alias("known"), whole("prior_cap").alias("known_then"), F.sum("cap").alias("full"))
+    held = leaders(companies, by, "cap", many).groupBy(*by).agg(F.sum("cap").alias("held"))
+    gone = leaders(companies, by, "prior_cap", many).select(*by, "issuer", F.lit(True).alias("_gone"))
+    rest = {f"rest_{c}": F.when(F.col("_gone").isNull(), F.col(c)) for c in ("revenue", "prior_revenue", "prior_revenue_error") if c in companies.columns}
+    marked = companies.join(gone, [*by, "issuer"], "left").withColumns(rest)
+    both = sector_values(marked, by, {"growth": METRICS["revenue_growth"], "rest": SectorMetric("rest_revenue", "rest_prior_revenue", "growth")}, policy)
+    growth = both.groupBy(*by).agg(*[F.max(F.when(F.col("metric") == m, F.col("total"))).alias(m) for m in ("growth", "rest")])
+    out = growth.join(known, by).join(held, by, "left")
+    return out.select(*by, F.when(F.col("known"), scalar.ratio(F.col("held"), F.col("full"))).alias("top_share"), "growth", F.when(F.col("known_then"), F.col("rest")).alias("growth_without_top"))
 
 
 def histogram(rows: DataFrame, by: list[str], value: str, bins: int) -> DataFrame:
