@@ -365,9 +365,9 @@ def f20(t: Data) -> DataFrame:
     return t.events.select("event_id", scalar.window_start(F.date_add(F.to_date("ts"), 31), 3).alias("start"))
 
 
-@query("J31_history_points", """select a.issuer, a.qidx, b.qidx as then, round(cast(b.income as double), 2) as value, concat_ws('|', case when b.cap_date <> b.period_end then 'historical_evaluation_date_mismatch' end, case when b.cap <= 0 then 'historical_metric_unavailable' end, case when (a.cap > 50000) <> (b.cap > 50000) then 'incompatible_series' end) as reasons
-  from {snapshots} a join {snapshots} b on a.issuer = b.issuer and b.qidx < a.qidx and b.qidx >= a.qidx - 12""".replace("round(cast(b.income as double), 2) as value", "round(cast(case when b.cap > 0 then b.income end as double), 2) as value"))
+@query("J31_history_points", """select a.issuer, a.qidx, b.qidx as then, cast(case when b.cap > 0 then b.income end as double) as value, concat_ws('|', case when b.cap_date <> b.period_end then 'historical_evaluation_date_mismatch' end, case when b.cap <= 0 then 'historical_metric_unavailable' end, case when (a.cap > 50000) <> (b.cap > 50000) then 'incompatible_series' end) as reasons
+  from {snapshots} a join {snapshots} b on a.issuer = b.issuer and b.qidx < a.qidx and b.qidx >= a.qidx - 12""")
 def j31(t: Data) -> DataFrame:
     """Points of the last three years; a company that crossed a size limit has another context."""
     rows = t.snapshots.select(*KEYS, F.when(F.col("cap") > 50000, "large").otherwise("small").alias("context"), F.col("cap_date").alias("evaluated"), "period_end", F.when(F.col("cap") > 0, F.col("income").cast("double")).alias("value"))
-    return inputs.history_points(rows, rows, ["issuer"], 12).select(*KEYS, "then", F.round("value", 2).alias("value"), flags.text(F.col("reasons")).alias("reasons"))
+    return inputs.history_points(rows, rows, ["issuer"], 12).select(*KEYS, "then", "value", flags.text(F.col("reasons")).alias("reasons"))

@@ -61,7 +61,7 @@ VIEWS["role_captures"] = "select user_id as object_key, 'facts' as role, event_i
 @query("W2_newest_capture", """with x as (select *, max(fetched_at) over (partition by object_key, role) as newest from {role_captures}), c as (select object_key, capture from x group by 1, 2 having bool_or(fetched_at = newest) and bool_or(fetched_at < newest))
   select object_key, role, fetched_at, case when count(distinct body_hash) = 1 and object_key not in (select object_key from c) then min(body_hash) end as body_hash, case when count(distinct body_hash) > 1 then 'ambiguous_capture_vintage' when object_key in (select object_key from c) then 'incompatible_source_roles' end as reason from x where fetched_at = newest group by 1, 2, 3""")
 def w2(t: Data) -> DataFrame:
-    return selection.source_captures(t.role_captures, ["object_key"])
+    return selection.source_captures(t.role_captures, ["object_key"]).withColumn("fetched_at", F.col("fetched_at").cast("timestamp_ntz"))
 
 
 VIEWS["attempts"] = """select user_id as object_key, case event_type when 'view' then 'success' when 'click' then 'not_modified' when 'error' then 'http_error' when 'purchase' then 'archive_error' else 'interrupted_unknown' end as state, case when event_type = 'purchase' and value > 150 then null else ts end as finished_at from {events}"""
