@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitspark.functions import flags
@@ -84,3 +84,15 @@ def slot_due(anchor: Column, slot: Column, cadence_seconds: int, jitter_seconds:
     digits = F.substring(F.sha2(F.concat_ws("\n", seed, slot), 256), 1, 16)
     jitter = F.conv(digits, 16, 10).cast("decimal(20,0)") % F.lit(jitter_seconds + 1)
     return F.timestamp_seconds(F.unix_timestamp(anchor) + slot * cadence_seconds + jitter.cast("long"))
+
+
+#: Dates or cutoffs of one request; they go to every task.
+MOST_ASKED = 100_000
+
+
+def asked_for(values: DataFrame, column: str, name: str) -> DataFrame:
+    """One row that holds the distinct values of a request's column as a sorted array; more than
+    :data:`MOST_ASKED` are an error, as the row is broadcast."""
+    every = values.agg(F.sort_array(F.collect_set(column)).alias("v"))
+    checked = F.when(F.size("v") <= MOST_ASKED, F.col("v")).otherwise(F.raise_error(F.lit(f"a request may ask for {MOST_ASKED} values of {column}")))
+    return F.broadcast(every.select(checked.alias(name)))

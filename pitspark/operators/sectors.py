@@ -238,7 +238,7 @@ def membership_at(issuers: DataFrame, assignments: DataFrame, dates: DataFrame,
     ``classification_unavailable``; two at once are a conflict, never a choice. The dates of a request
     are few: they go to each assignment as an array, and rows are made for matching dates only.
     """
-    every = F.broadcast(dates.agg(F.sort_array(F.collect_set("as_of")).alias("dates")))
+    every = scalar.asked_for(dates, "as_of", "dates")
     inside = assignments.filter(F.col("known_at") <= known_before).crossJoin(every)
     ends = F.coalesce("effective_to", F.lit("9999-12-31").cast("date"))
     fits = F.filter("dates", lambda d: (F.col("effective_from") <= d) & (d < ends) & (F.col("known_at") < F.date_add(d, 1)))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitspark.functions import flags
+from pitspark.functions import flags, scalar
 from pitspark.functions.storage import work_dir
 
 
@@ -204,7 +204,7 @@ def response_at_cutoff(responses: DataFrame, cutoffs: DataFrame, by: list[str])
     the first at or after it. One aggregation leaves a row for each key and interval; the newest so far is
     a running maximum over a key's intervals. So no response is copied to several cutoffs.
     """
-    every = F.broadcast(cutoffs.agg(F.sort_array(F.collect_set("cutoff")).alias("_all")))
+    every = scalar.asked_for(cutoffs, "cutoff", "_all")
     first = F.array_position(F.transform("_all", lambda c: c >= F.col("retrieved_at")), True) - 1
     dealt = responses.crossJoin(every).withColumn("_i", first.cast("int")).filter("_i >= 0")
     at = dealt.groupBy(*by, "_i", "retrieved_at").agg(F.count_distinct("response").alias("responses"), F.max(F.struct("response", "value")).alias("last"))

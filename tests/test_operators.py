@@ -575,3 +575,11 @@ def test_inventory_problems(spark):
 def test_a_multiple_needs_a_denominator_beyond_its_error_and_good_evidence(spark):
     rows = spark.createDataFrame([(Decimal(100), Decimal(5), Decimal(1), None), (Decimal(100), Decimal(5), Decimal(5), None), (Decimal(100), Decimal(5), None, ["unsupported_currency"])], "cap decimal(18,2), income decimal(18,2), income_error decimal(18,2), cap_issues array<string>")
     assert [(r.value, r.reasons) for r in metrics.metric(rows, "price_earnings").collect()] == [(20.0, []), (None, ["denominator_within_error"]), (None, ["unsupported_currency"])]
+
+
+def test_a_request_with_too_many_dates_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(scalar, "MOST_ASKED", 2)
+    dates = spark.createDataFrame([(D(2024, 1, k),) for k in (1, 2, 3, 3)], "as_of date")
+    assert scalar.asked_for(dates.limit(2), "as_of", "x").first().x == [D(2024, 1, 1), D(2024, 1, 2)]
+    with pytest.raises(Exception, match="a request may ask for 2"):
+        scalar.asked_for(dates, "as_of", "x").collect()
