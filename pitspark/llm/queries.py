@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pitspark.llm import byte_bpe, compression_classifier, media, ngram_join, packing, pitman_yor, quality_rules, secret_scan, sql, token_records, warc
+from pitspark.llm import byte_bpe, compression_classifier, i_match, media, merkle, ngram_join, packing, pitman_yor, quality_rules, secret_scan, sql, token_records, warc
 from pitspark.llm.common import crc_mod
 
 END_ID = 1
@@ -61,6 +61,14 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op12_i_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return i_match.fingerprinted(_table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_records": op1_token_records,
     "op2_warc": op2_warc,
@@ -72,6 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_media": op9_media,
     "op10_ngram_join": op10_ngram_join,
+    "op12_i_match": op12_i_match,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 SQL: dict[str, str] = dict(sql.SQL)

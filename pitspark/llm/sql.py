@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pitspark.llm.i_match import COMMONEST, LEVELS, RAREST, SLOTS
+from pitspark.llm.merkle import FAN, HASHED
 from pitspark.llm.quality_rules import AT, DIGITS, RULES, SYMBOLS, WEIGHT
 from pitspark.llm.secret_scan import RULES as SECRETS
 
@@ -75,4 +77,84 @@ with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text,
   r as (select doc_id as a, doc_id as b from documents union select r.a, e.b from r join e on r.b = e.a)
 select d.doc_id, coalesce(n.n, 0) as n_shingles, (select min(b) from r where r.a = d.doc_id) as component_id from documents d left join n on n.doc_id = d.doc_id"""
 
-SQL = {"op2_warc": WARC, "op3_quality_rules": quality_rules(), "op8_secret_scan": secrets(), "op10_ngram_join": NEAR}
+
+def crc32(data: str) -> str:
+    """The unsigned CRC-32 of a list of bytes (the reflected polynomial EDB88320, eight bits a byte)."""
+    table = []
+    for k in range(256):
+        for _ in range(8):
+            k = k >> 1 ^ (0xEDB88320 if k & 1 else 0)
+        table.append(k)
+    return f"xor(list_reduce(list_prepend(cast(4294967295 as bigint), {data}), lambda c, b: xor(c >> 8, list_extract(cast({table} as bigint[]), xor(c, b) % 256 + 1))), 4294967295)"
+
+
+def i_match() -> str:
+    lowered = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    terms = f"list_filter(list_distinct(string_split_regex({lowered}, '{SPACE}+')), lambda w: w <> '')"
+    number = "cast('0x' || substr(md5(term), {}, 8) as bigint)"
+    subset = f"substr('{LEVELS}', least(32 - length(bin({number.format(1)})), {len(LEVELS) - 1}) + 1, 1) || lpad(cast({number.format(9)} % {SLOTS} as varchar), 2, '0')"
+
+    def near(a: str, b: str) -> str:
+        def entries(x: str) -> str:
+            return f"list_filter(string_split(coalesce(string_split({x}, ':')[2], ''), ','), lambda e: e <> '')"
+
+        agree = f"list_intersect({entries(a)}, {entries(b)})"
+        ids = f"list_distinct(list_transform(list_concat({entries(a)}, {entries(b)}), lambda e: e[1:3]))"
+        at = "len(list_filter({}, lambda e: e[1] = l))"
+        sums = [f"list_sum(list_transform({list(LEVELS)}, lambda l: case when {at.format(ids)} * 2 <= {SLOTS} then {at.format(x)} else 0 end))" for x in (agree, ids)]
+        return f"case when {a} = {b} then 1.0 else coalesce(cast({sums[0]} as double) / nullif(cast({sums[1]} as double), 0), 0.0) end"
+
+    return f"""
+with t as (select doc_id, coalesce(text, '') as text from documents),
+  n as (select doc_id, text, coalesce(lead(text) over (order by doc_id), first_value(text) over (order by doc_id)) as next, coalesce(lead(doc_id) over (order by doc_id), first_value(doc_id) over (order by doc_id)) as next_id from t),
+  e as (select doc_id, next_id, text, cast(length(text) as bigint) as n_chars, left(text, length(text) - length(text) // 2) || left(next, length(text) // 2) as edited from n),
+  lex as (select term, {subset} as subset from (select term, count(*) as c from (select unnest({terms.format("text")}) as term from t) group by term)
+    where c * {RAREST} >= (select count(*) from t) and c <= (select ceil(count(*) / {COMMONEST}) from t)),
+  w as (select doc_id, 0 as kind, unnest({terms.format("text")}) as term from e union all select doc_id, 1, unnest({terms.format("edited")}) from e),
+  g as (select doc_id, kind, subset || substr(md5(string_agg(subset || w.term, ' ' order by w.term)), 1, 4) as entry from w join lex on lex.term = w.term group by doc_id, kind, subset),
+  p as (select doc_id, kind, string_agg(entry, ',' order by entry) as listed from g group by doc_id, kind),
+  f as (select e.doc_id, next_id, n_chars, sha256(edited) as edited_sha256, coalesce(substr(md5(a.listed), 1, 16) || ':' || a.listed, '=' || substr(sha256(text), 1, 16)) as fingerprint, coalesce(substr(md5(b.listed), 1, 16) || ':' || b.listed, '=' || substr(sha256(edited), 1, 16)) as edited_fingerprint
+    from e left join p a on a.doc_id = e.doc_id and a.kind = 0 left join p b on b.doc_id = e.doc_id and b.kind = 1)
+select f.doc_id, f.n_chars, f.edited_sha256, f.fingerprint, f.edited_fingerprint, {near("f.fingerprint", "f.edited_fingerprint")} as near_edited, {near("f.fingerprint", "x.fingerprint")} as near_next from f join f x on x.doc_id = f.next_id"""
+
+
+def merkle(levels: int = 6) -> str:
+    """Trees of up to FAN ** ``levels`` leaves a source and as many sources."""
+
+    def field(x: str) -> str:
+        return f"coalesce(cast(strlen(cast({x} as varchar)) as varchar) || ':' || cast({x} as varchar), '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(field(text if c == "text" else c) for c in HASHED) + ")"
+
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    code = crc32("list_transform(string_split(cast(doc_id as varchar), ''), lambda c: cast(ascii(c) as bigint))")
+    steps = []
+
+    def climb(tree: str) -> None:
+        """Tables {tree}1.. from {tree}0 (tree, r, h): each node with its siblings; beyond the root a node goes up unchanged."""
+        for k in range(levels):
+            run = f"partition by tree, r // {FAN} order by r rows between"
+            steps.append(
+                f"{tree}s{k} as (select tree, r, h, count(*) over (partition by tree) as n, coalesce(string_agg(h, '') over ({run} unbounded preceding and 1 preceding), '') as lft, coalesce(string_agg(h, '') over ({run} 1 following and unbounded following), '') as rgt from {tree}{k})"
+            )
+            steps.append(f"{tree}{k + 1} as (select tree, r // {FAN} as r, case when n > 1 then sha256(string_agg(h, '' order by r)) else any_value(h) end as h from {tree}s{k} group by tree, r // {FAN}, n)")
+
+    climb("d")
+    steps.append(f"t0 as (select 0 as tree, row_number() over (order by tree nulls first) - 1 as r, h, tree as name from d{levels})")
+    climb("t")
+    joins = " ".join(f"join ds{k} d{k}_ on d{k}_.tree is not distinct from l.source and d{k}_.r = l.r // {FAN**k}" for k in range(levels))
+    joins += " join t0 on t0.name is not distinct from l.source " + " ".join(f"join ts{k} t{k}_ on t{k}_.r = t0.r // {FAN**k}" for k in range(levels))
+    nodes = [f"d{k}_" for k in range(levels)] + [f"t{k}_" for k in range(levels)]
+    sides = "[" + ", ".join(f"{{'n': {x}.n, 'l': {x}.lft, 'r': {x}.rgt}}" for x in nodes) + "]"
+    folds = []
+    for k in range(2 * levels):
+        folds.append(f"f{k + 1} as (select *, case when sides[{k + 1}].n > 1 then sha256(sides[{k + 1}].l || c{k} || sides[{k + 1}].r) else c{k} end as c{k + 1} from f{k})")
+    return f"""
+with l as (select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as r from (select doc_id, source, {leaf("text")} as leaf, case when doc_id is not null and {code} % 5 = 0 then {leaf(lowered)} end as tampered from documents)),
+  d0 as (select source as tree, r, leaf as h from l), {", ".join(steps)},
+  f0 as (select l.doc_id, l.leaf, t0.h as subroot, (select h from t{levels}) as root, {sides} as sides, coalesce(l.tampered, l.leaf) as c0 from l {joins}), {", ".join(folds)}
+select doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(sides, lambda s: s.l || s.r), '')) as proof_sha256, c{2 * levels} as folded_root, c{2 * levels} = root as verified from f{2 * levels}"""
+
+
+SQL = {"op2_warc": WARC, "op3_quality_rules": quality_rules(), "op8_secret_scan": secrets(), "op10_ngram_join": NEAR, "op12_i_match": i_match(), "op13_merkle_manifest": merkle()}
