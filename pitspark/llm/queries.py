@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pitspark.llm import byte_bpe, compression_classifier, i_match, media, merkle, ngram_join, packing, pitman_yor, quality_rules, secret_scan, sql, token_records, warc
+from pitspark.llm import byte_bpe, compression_classifier, i_match, media, merkle, ngram_join, packing, pitman_yor, quality_rules, secret_scan, spelling, sql, token_records, warc
 from pitspark.llm.common import crc_mod
 
 END_ID = 1
@@ -61,6 +61,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 def op12_i_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i_match.fingerprinted(_table(spark, sf_dir, "documents"))
 
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_media": op9_media,
     "op10_ngram_join": op10_ngram_join,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_i_match": op12_i_match,
     "op13_merkle_manifest": op13_merkle_manifest,
 }

@@ -6,6 +6,7 @@ from pitspark.llm.i_match import COMMONEST, LEVELS, RAREST, SLOTS
 from pitspark.llm.merkle import FAN, HASHED
 from pitspark.llm.quality_rules import AT, DIGITS, RULES, SYMBOLS, WEIGHT
 from pitspark.llm.secret_scan import RULES as SECRETS
+from pitspark.llm.spelling import DELETED_ONE_IN, FORM_TIMES, LEAST_COUNT, LEAST_LETTERS
 
 WORD, SPACE = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]"
 
@@ -88,6 +89,24 @@ def crc32(data: str) -> str:
     return f"xor(list_reduce(list_prepend(cast(4294967295 as bigint), {data}), lambda c, b: xor(c >> 8, list_extract(cast({table} as bigint[]), xor(c, b) % 256 + 1))), 4294967295)"
 
 
+def spelling() -> str:
+    lowered = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    octets = "flatten(list_transform(string_split(cast(doc_id as varchar) || ':' || run, ''), lambda c: case when unicode(c) < 128 then [cast(unicode(c) as bigint)] else [cast(192 + unicode(c) // 64 as bigint), cast(128 + unicode(c) % 64 as bigint)] end))"
+    return f"""
+with recursive r as (select doc_id, unnest(regexp_extract_all({lowered}, '[a-zÀ-ÿ]+')) as run from documents),
+  u as (select run, count(*) as many, {crc32(octets)} as h from r where length(run) >= {LEAST_LETTERS} group by doc_id, run),
+  v as (select case when h % {DELETED_ONE_IN} = 0 then left(run, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, many from u),
+  w as (select word, cast(sum(many) as bigint) as n from v where length(word) >= {LEAST_LETTERS} group by word having sum(many) >= {LEAST_COUNT}),
+  x as (select word, n, i, left(word, i) || substr(word, i + 2) as rest from (select word, n, unnest(range(0, length(word))) as i from w)),
+  e as (select a.word, a.n, b.word as near, b.n as near_n from x a join x b on a.rest = b.rest and a.i = b.i and a.word <> b.word and length(a.word) = length(b.word)
+    union select x.word, x.n, w.word, w.n from x join w on w.word = x.rest union select w.word, w.n, x.word, x.n from x join w on w.word = x.rest),
+  b as (select word, n, count(*) as n_near, max(near_n) as most from e group by word, n),
+  f as (select b.word, min(near) as form, most as form_n from b join e on e.word = b.word and e.near_n = b.most where most >= {FORM_TIMES} * b.n group by b.word, most),
+  c as (select word, form as root, 1 as k from f union all select c.word, f.form, k + 1 from c join f on f.word = c.root),
+  t as (select word, arg_max(root, k) as root from c group by word)
+select w.word, f.form, coalesce(t.root, w.word) as root, w.n, coalesce(b.n_near, 0) as n_near, f.form_n from w left join b on b.word = w.word left join f on f.word = w.word left join t on t.word = w.word"""
+
+
 def i_match() -> str:
     lowered = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     terms = f"list_filter(list_distinct(string_split_regex({lowered}, '{SPACE}+')), lambda w: w <> '')"
@@ -157,4 +176,4 @@ with l as (select *, row_number() over (partition by source order by doc_id null
 select doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(sides, lambda s: s.l || s.r), '')) as proof_sha256, c{2 * levels} as folded_root, c{2 * levels} = root as verified from f{2 * levels}"""
 
 
-SQL = {"op2_warc": WARC, "op3_quality_rules": quality_rules(), "op8_secret_scan": secrets(), "op10_ngram_join": NEAR, "op12_i_match": i_match(), "op13_merkle_manifest": merkle()}
+SQL = {"op2_warc": WARC, "op3_quality_rules": quality_rules(), "op8_secret_scan": secrets(), "op10_ngram_join": NEAR, "op11_spelling_variants": spelling(), "op12_i_match": i_match(), "op13_merkle_manifest": merkle()}
