@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitspark.functions import flags
-from pitspark.operators import selection
+from pitspark.operators import observations, selection
 from pitspark.plans.bridge import VIEWS
 from pitspark.plans.registry import Data, query
 
@@ -125,10 +125,47 @@ def j6(t: Data) -> DataFrame:
     return first.unionByName(flows.filter("income < 0").select("issuer", "qidx", F.lit("period_loss").alias("flag"))).distinct()
 
 
-@query("J7_response_as_of", """with k as (select issuer, series, cutoff, response, value, retrieved_at, rank() over (partition by issuer, series, cutoff order by retrieved_at desc) as r from {series} join {cutoffs} on retrieved_at <= cutoff)
-  select issuer, series, cutoff, retrieved_at, cast(case when count(*) = 1 then min(value) end as double) as value, case when count(*) > 1 then 'ambiguous_response' when min(value) is null then 'value_missing' end as reason from k where r = 1 group by 1, 2, 3, 4""")
+BATCH_DAYS = "case event_type when 'view' then 4 when 'click' then 1 when 'signup' then 12 else 2 end"
+VIEWS["batches"] = f"""select user_id as issuer, event_id as batch, date_trunc('hour', ts) as response_at, date_trunc('hour', ts) + case when event_type = 'signup' then interval 30 hour else interval 0 hour end as known_at, ts as published_at,
+  case when event_type = 'purchase' then 'one answer' else cast(event_id as varchar(20)) end as answers, cast(cast(ts as date) - {BATCH_DAYS} * interval 1 day as date) as window_from, cast(cast(ts as date) + case when event_type = 'view' then interval 3 day else interval 0 day end as date) as window_to,
+  case when event_id % 11 = 0 then 'partial' else 'complete' end as coverage_state from {{events}}"""
+VIEWS["held_observations"] = """select user_id as issuer, event_id as batch, cast(cast(ts as date) - case event_type when 'view' then interval 1 day when 'click' then interval 3 day else interval 0 day end as date) as reference_date,
+  case when event_id % 13 = 5 then null else cast(value as decimal(12,2)) end as value, case when event_id % 13 = 5 then 'source_null' else 'observed' end as value_state from {events} where event_type <> 'error'
+  union all select user_id, event_id, cast(ts as date), cast(value + 1 as decimal(12,2)), 'observed' from {events} where event_id % 7 = 3 and event_type <> 'error'"""
+VIEWS["batch_quality"] = "select event_id as batch, case when value > 60 then 'outlier' else 'rounded' end as rule, case when value > 60 then 'error' else 'warning' end as severity, case when event_id % 2 = 0 then cast(null as date) else cast(ts as date) end as reference_date from {events} where event_id % 5 = 1"
+VIEWS["asks"] = """select issuer, cast(s as date) as selected, cast(c as timestamp) as cutoff from (select distinct user_id as issuer from {events} union select c_custkey from {customer} where c_custkey % 40 = 0) i
+  cross join (select '2024-01-05' as s union all select '2024-01-09' union all select '2024-01-17' union all select '2024-01-30') d cross join (select '2024-01-10 00:00:00' as c union all select '2024-01-20 12:00:00' union all select '2024-02-01 00:00:00') e"""
+
+
+def observed_sql(age: int | None) -> str:
+    """The definition, by joining every ask with all batches of its key."""
+    days = age or 0
+    day = "q.selected" if age is None else "coalesce(d.reference_date, q.selected)"
+    reach = "true" if age is None else "(d.reference_date is null or b.window_to >= d.reference_date)"
+    return f"""with e as (select q.*, b.batch, b.response_at, b.published_at, b.answers, b.window_to, b.coverage_state from {{asks}} q join {{batches}} b on b.issuer = q.issuer and b.known_at <= q.cutoff and b.window_from <= q.selected and b.window_to >= q.selected - {days}),
+      d as (select e.issuer, e.selected, e.cutoff, max(o.reference_date) as reference_date from e join {{held_observations}} o on o.batch = e.batch and o.reference_date between e.selected - {days} and e.selected group by 1, 2, 3),
+      k as (select b.*, {day} as day, rank() over (partition by b.issuer, b.selected, b.cutoff order by b.response_at desc) as k from e b join {{asks}} q using (issuer, selected, cutoff) left join d using (issuer, selected, cutoff) where {reach}),
+      t as (select issuer, selected, cutoff, day, max(response_at) as response_at, count(distinct answers) > 1 as tied, arg_max(batch, (published_at, batch)) as batch from k where k = 1 group by 1, 2, 3, 4),
+      o as (select batch, reference_date, count(*) as n, min(value) as value, min(value_state) as value_state from {{held_observations}} group by 1, 2),
+      r as (select q.*, coalesce(t.day, q.selected) as day, t.response_at, coalesce(t.tied, false) as tied, case when not t.tied then t.batch end as batch from {{asks}} q left join t using (issuer, selected, cutoff)),
+      u as (select r.*, b.coverage_state, o.n, o.value, o.value_state, (select string_agg(distinct f.rule, '|') from {{batch_quality}} f where f.batch = r.batch and (f.reference_date is null or f.reference_date = r.day)) as rules,
+          (select count(*) from {{batch_quality}} f where f.batch = r.batch and (f.reference_date is null or f.reference_date = r.day) and f.severity = 'error') > 0 as blocked
+        from r left join {{batches}} b on b.batch = r.batch left join o on o.batch = r.batch and o.reference_date = r.day),
+      w as (select *, coalesce(n, 0) = 1 as one from u)
+    select issuer, selected, cutoff, day as reference_date, case when one then date_diff('day', day, selected) end as age_days, batch, response_at, coverage_state, cast(case when one then value end as double) as value, case when one then value_state end as value_state,
+      array_to_string(list_sort(list_filter([case when response_at is null then 'no_eligible_batch' end, case when tied then 'ambiguous_batch' end, case when batch is not null and n is null then 'missing_observation' end, case when n > 1 then 'ambiguous_observation' end,
+        case when one and coverage_state <> 'complete' then 'incomplete_coverage' end, case when one and day <> selected then 'backward_selected' end, case when one and value_state <> 'observed' then value_state end, case when one then rules end], lambda x: x is not null)), '|') as flags,
+      one and value_state = 'observed' and coverage_state = 'complete' and not blocked as usable from w"""
+
+
+def observed_query(t: Data, age: int | None) -> DataFrame:
+    found = observations.observed(t.asks, t.batches, t.held_observations, t.batch_quality, ["issuer"], age)
+    return found.select("issuer", "selected", "cutoff", "reference_date", "age_days", "batch", "response_at", "coverage_state", d2("value"), "value_state", flags.text(F.col("flags")).alias("flags"), "usable")
+
+
+@query("J7_response_as_of", observed_sql(None))
 def j7(t: Data) -> DataFrame:
-    return selection.response_at_cutoff(t.series, t.cutoffs, ["issuer", "series"]).select("issuer", "series", "cutoff", "retrieved_at", d2("value"), "reason")
+    return observed_query(t, None)
 
 
 @query("W3_newest_response", """with k as (select *, rank() over (partition by series, reference_date order by retrieved_at desc) as r from {series})
@@ -137,17 +174,9 @@ def w3(t: Data) -> DataFrame:
     return selection.newest(t.series, ["series", "reference_date"], "retrieved_at", F.col("response")).select("series", "reference_date", "retrieved_at", "ambiguous")
 
 
-VIEWS["selections"] = "select distinct user_id as issuer, cast(s as date) as selected, cast('2024-01-28 00:00:00' as timestamp) as cutoff from {events} cross join (select '2024-01-09' as s union all select '2024-01-17' union all select '2024-01-30') d"
-VIEWS["responses"] = "select event_id as response, user_id as issuer, ts as retrieved_at, cast(cast(ts as date) - interval 4 day as date) as window_from, cast(ts as date) as window_to from {events}"
-VIEWS["answers"] = "select event_id as response, user_id as issuer, cast(cast(ts as date) - case when event_type = 'view' then interval 1 day when event_type = 'click' then interval 3 day else interval 0 day end as date) as reference_date, case when event_type = 'purchase' then null else cast(value as decimal(12,2)) end as value from {events} where event_type <> 'error'"
-
-
-@query("J8_bounded_backward_as_of", """with d as (select q.issuer, q.selected, q.cutoff, max(a.reference_date) as reference_date from {selections} q join {answers} a on a.issuer = q.issuer and a.reference_date between q.selected - 3 and q.selected join {responses} r on r.response = a.response and r.retrieved_at <= q.cutoff group by 1, 2, 3),
-  c as (select d.*, r.response, r.retrieved_at, rank() over (partition by d.issuer, d.selected order by r.retrieved_at desc) as k from d join {responses} r on r.issuer = d.issuer and d.reference_date between r.window_from and r.window_to and r.retrieved_at <= d.cutoff)
-  select c.issuer, c.selected, c.reference_date, c.retrieved_at, cast(case when count(*) = 1 then min(a.value) end as double) as value, case when count(*) > 1 then 'ambiguous_response' when min(a.value) is null then 'value_missing' end as reason from c left join {answers} a on a.response = c.response and a.reference_date = c.reference_date where k = 1 group by 1, 2, 3, 4""")
+@query("J8_bounded_backward_as_of", observed_sql(6))
 def j8(t: Data) -> DataFrame:
-    found = selection.latest_reference(t.answers, t.responses, t.selections, ["issuer"], 3)
-    return found.select("issuer", "selected", "reference_date", "retrieved_at", d2("value"), "reason")
+    return observed_query(t, 6)
 
 
 @query("J10_interval_containment", "select l_suppkey as issuer, l_orderkey as fact, m.class from {lineitem} join {orders} on o_orderkey = l_orderkey join {membership} m on m.issuer = o_custkey and cast(l_shipdate as date) >= m.effective_from and cast(l_shipdate as date) < coalesce(m.effective_to, date '2001-12-31')")
@@ -180,13 +209,15 @@ def j12(t: Data) -> DataFrame:
     return selection.with_definition(t.series, definitions, ["series"]).select("response", "reason", "definition")
 
 
-@query("P12_publication_knowledge", f"""select response, case when response % 3 = 0 then case when retrieved_at > timestamp '{CUTOFF}' then 'published_after_cutoff' end when response % 3 = 1 then 'publication_unknown'
-  when reference_date >= date '2024-01-20' then 'published_after_cutoff' when reference_date + 0 >= reference_date and issuer % 2 = 0 then 'source_vintage_ambiguous' end as reason from {{series}}""")
+VIEWS["publications"] = """select event_id as response, case event_type when 'view' then 'instant' when 'click' then 'date' else 'unknown' end as precision, case when event_type = 'view' then ts + interval 1 hour * cast(floor(value) as int) end as published_at, case when event_type = 'click' then cast(ts as date) end as published_on,
+  case when value > 90 then cast(ts as date) end as realtime_start, case when value < 10 then cast(ts as date) end as source_as_of from {events}"""
+
+
+@query("P12_publication_knowledge", f"""select response, case when source_as_of >= date '2024-01-20' or realtime_start >= date '2024-01-20' then 'ambiguous_source_vintage_at_instant' when precision = 'instant' then case when published_at > timestamp '{CUTOFF}' then 'source_publication_after_cutoff' end
+  when precision = 'date' then case when published_on >= date '2024-01-20' then 'ambiguous_source_publication_date' end else 'unknown_source_publication_time' end as reason from {{publications}}""")
 def p12(t: Data) -> DataFrame:
-    kind = F.col("response") % 3
-    at, on = F.when(kind == 0, F.col("retrieved_at")), F.when(kind == 2, F.col("reference_date"))
-    as_of = F.when(F.col("issuer") % 2 == 0, F.col("reference_date")).otherwise(F.date_sub("reference_date", 1))
-    return t.series.select("response", selection.publication_problem(at, on, F.lit(CUTOFF).cast("timestamp"), as_of).alias("reason"))
+    columns = [F.col(c) for c in ("precision", "published_at", "published_on", "realtime_start")]
+    return t.publications.select("response", observations.publication_problem(*columns, F.lit(CUTOFF).cast("timestamp"), F.col("source_as_of")).alias("reason"))
 
 
 VIEWS["listings"] = "select c_custkey as issuer, date '2024-01-02' + cast(c_nationkey as int) as valid_from, case when c_mktsegment = 'BUILDING' then null else date '2024-01-20' + cast(c_nationkey as int) end as valid_to, case when c_acctbal < 2000 then date '2024-01-24' end as closed_on from {customer}"

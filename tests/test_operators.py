@@ -149,53 +149,6 @@ def test_restated_fact_by_mode(spark):
     assert last["y"].value is None and last["y"].reason == "ambiguous_filing_order"
 
 
-def series(spark, rows):
-    return spark.createDataFrame([(i, 1, "s", *r) for i, r in enumerate(rows)], "response long, issuer int, series string, reference_date date, retrieved_at timestamp, value double")
-
-
-def test_a_newer_empty_response_blocks(spark):
-    rows = series(spark, [(D(2024, 1, 1), dt.datetime(2024, 1, 2), 5.0), (D(2024, 1, 1), dt.datetime(2024, 1, 3), None)])
-    cutoffs = spark.createDataFrame([(dt.datetime(2024, 1, 2, 12),), (dt.datetime(2024, 1, 4),), (dt.datetime(2024, 1, 1),), (dt.datetime(2024, 2, 4),)], "cutoff timestamp")
-    found = {(r.cutoff.month, r.cutoff.day): r for r in selection.response_at_cutoff(rows, cutoffs, ["issuer", "series"]).collect()}
-    assert set(found) == {(1, 2), (1, 4), (2, 4)}
-    assert found[1, 2].value == 5.0 and found[1, 4].value is None and found[2, 4].reason == "value_missing"
-
-
-def backward(spark, answers, responses, day, age, cutoff=dt.datetime(2025, 2, 1)):
-    a = spark.createDataFrame(answers, "issuer int, response long, reference_date date, value double")
-    r = spark.createDataFrame(responses, "issuer int, response long, retrieved_at timestamp, window_from date, window_to date")
-    asked = spark.createDataFrame([(1, day, cutoff)], "issuer int, selected date, cutoff timestamp")
-    return [(x.reference_date, x.value, x.reason) for x in selection.latest_reference(a, r, asked, ["issuer"], age).collect()]
-
-
-def test_bounded_backward_date_keeps_the_observation_date(spark):
-    answers, responses = [(1, 1, D(2025, 1, 3), 4.25)], [(1, 1, dt.datetime(2025, 1, 3), D(2025, 1, 1), D(2025, 1, 6))]
-    assert backward(spark, answers, responses, D(2025, 1, 6), 3) == [(D(2025, 1, 3), 4.25, None)]
-    assert backward(spark, answers, responses, D(2025, 1, 6), 2) == []
-    assert backward(spark, answers, responses, D(2025, 1, 6), 3, dt.datetime(2025, 1, 2)) == []
-
-
-def test_backward_date_does_not_skip_a_newer_missing_or_empty_response(spark):
-    answers = [(1, 1, D(2025, 1, 2), 4.25), (1, 2, D(2025, 1, 3), None)]
-    responses = [(1, 1, dt.datetime(2025, 1, 3), D(2025, 1, 1), D(2025, 1, 3)), (1, 2, dt.datetime(2025, 1, 4), D(2025, 1, 3), D(2025, 1, 3))]
-    assert backward(spark, answers, responses, D(2025, 1, 6), 7) == [(D(2025, 1, 3), None, "value_missing")]
-    full = [(1, 1, D(2025, 1, 3), 4.25)]
-    empty = [responses[0], (1, 3, dt.datetime(2025, 1, 5), D(2025, 1, 3), D(2025, 1, 4))]
-    assert backward(spark, full, empty, D(2025, 1, 6), 7) == [(D(2025, 1, 3), None, "value_missing")]
-    elsewhere = [responses[0], (1, 3, dt.datetime(2025, 1, 5), D(2025, 1, 4), D(2025, 1, 4))]  # its window does not reach the date
-    assert backward(spark, full, elsewhere, D(2025, 1, 6), 7) == [(D(2025, 1, 3), 4.25, None)]
-    tied = [responses[0], (1, 3, dt.datetime(2025, 1, 3), D(2025, 1, 3), D(2025, 1, 4))]
-    assert backward(spark, full, tied, D(2025, 1, 6), 7) == [(D(2025, 1, 3), None, "ambiguous_response")]
-
-
-def test_publication_by_date_alone_must_be_before_the_cutoff(spark):
-    row = spark.range(1).select(
-        selection.publication_problem(F.lit(None).cast("timestamp"), F.lit("2024-01-05").cast("date"), F.lit("2024-01-05 10:00:00").cast("timestamp"), F.lit("2024-01-01").cast("date")).alias("a"),
-        selection.publication_problem(F.lit("2024-01-05 10:00:00").cast("timestamp"), F.lit(None).cast("date"), F.lit("2024-01-05 10:00:00").cast("timestamp"), F.lit("2024-01-01").cast("date")).alias("b"),
-    ).first()
-    assert row.a == "published_after_cutoff" and row.b is None
-
-
 def test_history_band_excludes_the_window_start(spark):
     ends = [D(2025, 3, 31), D(2025, 6, 30), D(2025, 9, 30), D(2025, 12, 31), D(2022, 12, 31)]
     points = spark.createDataFrame([(1, e, v, i) for i, (e, v) in enumerate(zip(ends, (10.0, 20.0, 30.0, 40.0, 999.0)))], "k int, quarter_end date, value double, point_id long")
