@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitspark.functions import flags
+from pitspark.operators import roots
 
 #: Claims of the bridge from enterprise value to equity: two add, five subtract (fixed values).
 ADDED, SUBTRACTED = ("cash", "non_operating_assets"), ("debt", "leases", "preferred", "minorities", "pensions")
@@ -77,96 +78,49 @@ def quote_reasons(price: Column, share: Column, currency: Column, at: Column, qu
     )
 
 
-def sensitivity(rows: DataFrame, x: tuple[str, list[float]], y: tuple[str, list[float]], reverse: tuple[str, float, float] | None = None, key: list[str] | None = None) -> DataFrame:
+def sensitivity(rows: DataFrame, x: tuple[str, list[float]], y: tuple[str, list[float]], reverse: tuple[str, float, float] | None = None) -> DataFrame:
     """Cells of two parameters: every row with each value of both (columns x and y hold the places), valued
-    again, or with ``reverse`` (parameter, low, high) solved for its target in each cell."""
+    again, or with ``reverse`` (variable, low, high) solved for its target in each cell."""
     axis = lambda values: F.posexplode(F.array(*[F.lit(float(v)) for v in values]))
     cells = rows.select("*", axis(x[1]).alias("x", "_x")).select("*", axis(y[1]).alias("y", "_y"))
     cells = with_parameter(with_parameter(cells, x[0], F.col("_x")), y[0], F.col("_y")).drop("_x", "_y")
     if reverse is None:
         return forward(cells)
-    parameter, low, high = reverse
-    return scenario_results(cells, [*(key or []), "x", "y"], parameter, low, high)
+    return scenario_results(cells, *reverse)
 
 
 def with_parameter(rows: DataFrame, parameter: str, value: Column) -> DataFrame:
-    """``rows`` with a parameter set to ``value``, in every year where it goes by year."""
-    yearly = parameter in ("growth", "margins", "taxes", "reinvestment")
-    return rows.withColumn(parameter, F.transform(parameter, lambda _: value) if yearly else value)
+    """``rows`` with a parameter set to ``value``, in every year where it goes by year.
 
-
-def reverse_solve(rows: DataFrame, key: list[str], parameter: str, low: float, high: float, cells: int = 32, rounds: int = 4) -> DataFrame:
-    """The parameter at which the value meets ``target``, by a grid and halvings of its bracket.
-
-    One sign change on the grid is a solution, several are non_unique, none is no_solution. A root that
-    may only touch (the parabola through three neighbours comes to the target between them) and one at an
-    end of the range are inconclusive: the grid cannot tell them from none or two. All of it happens within
-    the row, so there is no join and no shuffle.
+    The names of the solver's variables stand for what it varies: growth or reinvestment in every year, or
+    the terminal margin, towards which the years' margins fade from ``anchor_margin`` by ``weights``.
     """
-    step = (high - low) / cells
-    points = F.array(*[F.lit(low + step * i) for i in range(cells + 1)])
-    near = F.greatest(F.abs(F.col("target")), F.lit(1.0)) * 1e-12
-    # a value on a grid point to the last digits counts as met there
-    gaps = F.transform(F.transform(points, lambda p: _gap(parameter, p)), lambda g: F.when(F.abs(g) <= near, 0.0).otherwise(g))
-    found = rows.withColumn("_g", gaps)
-    places = F.sequence(F.lit(1), F.lit(cells - 1))
-    at = lambda i: F.get("_g", i)
-    crossed = F.filter(F.sequence(F.lit(0), F.lit(cells - 1)), lambda i: (at(i) * at(i + 1) < 0) | ((i > 0) & (at(i) == 0) & (at(i - 1) * at(i + 1) < 0)))
-
-    def touches(i: Column) -> Column:
-        a, b, c = at(i - 1), at(i), at(i + 1)
-        bend = a - 2 * b + c
-        lowest = b - (c - a) * (c - a) / (8 * F.nullif(bend, F.lit(0.0)))
-        same = (a * c > 0) & (a * b >= 0) & (F.abs(b) <= F.abs(a)) & (F.abs(b) <= F.abs(c))
-        return same & F.coalesce((lowest * a <= 0) | (F.abs(lowest) <= F.greatest(F.abs(F.col("target")), F.lit(1.0)) * 1e-6), F.lit(False))
-
-    ends = (at(F.lit(0)) == 0) | (at(F.lit(cells)) == 0)
-    found = found.withColumns({"_c": crossed, "_t": ends | F.exists(places, touches)})
-    roots = F.size("_c")
-    state = F.when(F.col("target").isNull() | at(F.lit(0)).isNull(), "no_input").when(F.col("_t"), "inconclusive").when(roots == 1, "converged").when(roots == 0, "no_solution").otherwise("non_unique")
-    bracket = found.withColumns({"state": state, "a": F.lit(low) + step * F.get("_c", F.lit(0)), "b": F.lit(low) + step * (F.get("_c", F.lit(0)) + 1)})
-
-    def halve(x: Column, _: Column) -> Column:
-        middle = (x["a"] + x["b"]) / 2
-        upper = F.signum(_gap(parameter, middle)) == F.signum(_gap(parameter, x["a"]))
-        return F.struct(F.when(upper, middle).otherwise(x["a"]).alias("a"), F.when(upper, x["b"]).otherwise(middle).alias("b"))
-
-    halved = F.aggregate(F.sequence(F.lit(1), F.lit(rounds * 10)), F.struct("a", "b"), halve)
-    bracket = bracket.withColumn("_ends", F.when(F.col("state") == "converged", halved))
-    on_point = F.get("_g", F.get("_c", F.lit(0))) == 0
-    solution = F.when(F.col("state") == "converged", F.when(on_point, F.col("a")).otherwise((F.col("_ends.a") + F.col("_ends.b")) / 2))
-    return bracket.withColumn("solution", solution).drop("a", "b", "_g", "_c", "_t", "_ends")
-
-
-def scenario_results(rows: DataFrame, key: list[str], parameter: str, low: float, high: float) -> DataFrame:
-    """Solved scenarios, valued again at the solution, for each share (``shares``); null unless converged."""
-    solved = reverse_solve(rows, key, parameter, low, high)
-    priced = forward(with_parameter(solved, parameter, F.coalesce("solution", F.lit(0.0))))
-    good = F.col("state") == "converged"
-    return priced.withColumns({"ev": F.when(good, F.col("ev")), "per_share": F.when(good & (F.col("shares") > 0), F.col("ev") / F.col("shares"))})
-
+    if parameter == roots.MARGIN:
+        path = faded(F.col("anchor_margin"), F.transform("weights", lambda _: value), F.col("weights"))
+        return rows.withColumns({"margins": path, "terminal_margin": value})
+    name = {roots.GROWTH: "growth", roots.REINVESTMENT: "reinvestment"}.get(parameter, parameter)
+    return rows.withColumn(name, F.transform(name, lambda _: value) if name in roots.YEARLY else value)
 
-def _gap(parameter: str, value: Column) -> Column:
-    """The value's distance from the target as one expression of a constant yearly parameter."""
-    years = F.arrays_zip("growth", "margins", "taxes", "reinvestment")
-    start = F.struct(F.col("revenue").cast("double").alias("rev"), F.lit(0.0).alias("pv"), F.lit(1.0).alias("disc"))
 
-    def part(y: Column, name: str) -> Column:
-        return value if name == parameter else y[name]
+def reverse_solve(rows: DataFrame, variable: str, low: float, high: float, bounds: roots.Bounds = roots.Bounds()) -> DataFrame:
+    """``rows`` with the variable's value at which they meet ``target``: state, solution, roots, unresolved,
+    evaluations and subdivisions.
 
-    def year(state: Column, y: Column) -> Column:
-        rev = state["rev"] * (1 + part(y, "growth"))
-        ebit = rev * part(y, "margins")
-        disc = state["disc"] * (1 + F.col("wacc"))
-        flow = ebit - F.greatest(ebit, F.lit(0.0)) * y["taxes"] - rev * part(y, "reinvestment")
-        return F.struct(rev.alias("rev"), (state["pv"] + flow / disc).alias("pv"), disc.alias("disc"))
+    Every domain is proven to hold no root or one (:mod:`pitspark.operators.roots`): converged has one root,
+    non_unique several, no_solution none anywhere; whatever was not proven within the budget, as a root that
+    only touches or lies at an end, leaves inconclusive with the domains in question; a null or an array of
+    another length is no_input. Within the row, so there is no join and no shuffle.
+    """
+    found = rows.withColumn("_found", roots.solver(variable, low, high, bounds)(roots.inputs(rows.columns)))
+    return found.select(*rows.columns, "_found.*")
 
-    def whole(x: Column) -> Column:
-        nopat = x["rev"] * (1 + F.col("terminal_growth")) * F.col("terminal_margin") * (1 - F.col("terminal_tax"))
-        terminal = (nopat - nopat * F.col("terminal_growth") / F.col("terminal_roic")) / (F.col("wacc") - F.col("terminal_growth")) / x["disc"]
-        return x["pv"] + terminal - F.col("target")
 
-    return F.aggregate(years, start, year, whole)
+def scenario_results(rows: DataFrame, variable: str, low: float, high: float) -> DataFrame:
+    """Solved scenarios, valued again at the solution, for each share (``shares``); null unless converged."""
+    solved = reverse_solve(rows, variable, low, high)
+    priced = forward(with_parameter(solved, variable, F.coalesce("solution", F.lit(0.0))))
+    good = F.col("state") == "converged"
+    return priced.withColumns({"ev": F.when(good, F.col("ev")), "per_share": F.when(good & (F.col("shares") > 0), F.col("ev") / F.col("shares"))})
 
 
 def faded(anchor: Column, values: Column, weights: Column) -> Column:

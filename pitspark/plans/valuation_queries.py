@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitspark.functions import flags, scalar
-from pitspark.operators import changes, periods, valuation
+from pitspark.operators import changes, periods, roots, valuation
 from pitspark.plans.bridge import VIEWS
 from pitspark.plans.registry import Data, query
 
@@ -114,12 +114,12 @@ def s11(t: Data) -> DataFrame:
 # ---- valuation ------------------------------------------------------------------------------------
 
 SCENARIOS = "(values ('low', 0.02, 0.10), ('base', 0.06, 0.15), ('high', 0.10, 0.20))"
-VIEWS["anchors"] = "select issuer, cast(revenue as double) as revenue from {ttm} where qidx = 7999"
+VIEWS["anchors"] = "select issuer, qidx, cast(revenue as double) as revenue from {ttm}"
 VIEWS["scenarios"] = f"select * from {SCENARIOS} as s(scenario, g, m)"
 #: One year at a time: the same recursion as the fold, so that both engines round alike.
-VIEWS["paths"] = """select issuer, scenario, g, m, revenue, y1, y2, y3, (y1 * m - greatest(y1 * m, 0) * 0.25 - y1 * 0.05) / (1.1) + (y2 * m - greatest(y2 * m, 0) * 0.25 - y2 * 0.05) / (1.1 * 1.1) + (y3 * m - greatest(y3 * m, 0) * 0.25 - y3 * 0.05) / (1.1 * 1.1 * 1.1) as pv,
-    (y3 * 1.02 * m * 0.75 - y3 * 1.02 * m * 0.75 * 0.02 / 0.08) / 0.08 / (1.1 * 1.1 * 1.1) as tv from (select issuer, scenario, g, m, revenue, revenue * (1 + g) as y1, revenue * (1 + g) * (1 + g) as y2, revenue * (1 + g) * (1 + g) * (1 + g) as y3
-    from (select issuer, scenario, cast(g as double) as g, cast(m as double) as m, revenue from {anchors} cross join {scenarios}))"""
+VIEWS["paths"] = """select issuer, qidx, scenario, g, m, revenue, y1, y2, y3, (y1 * m - greatest(y1 * m, 0) * 0.25 - y1 * 0.05) / (1.1) + (y2 * m - greatest(y2 * m, 0) * 0.25 - y2 * 0.05) / (1.1 * 1.1) + (y3 * m - greatest(y3 * m, 0) * 0.25 - y3 * 0.05) / (1.1 * 1.1 * 1.1) as pv,
+    (y3 * 1.02 * m * 0.75 - y3 * 1.02 * m * 0.75 * 0.02 / 0.08) / 0.08 / (1.1 * 1.1 * 1.1) as tv from (select issuer, qidx, scenario, g, m, revenue, revenue * (1 + g) as y1, revenue * (1 + g) * (1 + g) as y2, revenue * (1 + g) * (1 + g) * (1 + g) as y3
+    from (select issuer, qidx, scenario, cast(g as double) as g, cast(m as double) as m, revenue from {anchors} cross join {scenarios}))"""
 
 
 def cases(t: Data) -> DataFrame:
@@ -129,24 +129,28 @@ def cases(t: Data) -> DataFrame:
 
 def with_years(rows: DataFrame) -> DataFrame:
     many = F.lit(3)
-    fixed = {"wacc": 0.10, "risk_free": 0.04, "terminal_growth": 0.02, "terminal_tax": 0.25, "terminal_roic": 0.08}
-    rows = rows.withColumns({"growth": F.array_repeat(F.col("g"), many), "margins": F.array_repeat(F.col("m"), many), "taxes": F.array_repeat(F.lit(0.25), many), "reinvestment": F.array_repeat(F.lit(0.05), many), "terminal_margin": F.col("m")})
+    fixed = {"wacc": 0.10, "risk_free": 0.04, "terminal_growth": 0.02, "terminal_tax": 0.25, "terminal_roic": 0.08, "anchor_margin": 0.1}
+    rows = rows.withColumns({"growth": F.array_repeat(F.col("g"), many), "margins": F.array_repeat(F.col("m"), many), "taxes": F.array_repeat(F.lit(0.25), many), "reinvestment": F.array_repeat(F.lit(0.05), many), "terminal_margin": F.col("m"), "weights": F.array(F.lit(0.25), F.lit(0.5), F.lit(1.0))})
     return rows.withColumns({k: F.lit(v) for k, v in fixed.items()})
 
 
-def r2(name: str, out: str | None = None):
-    return F.round(F.col(name), 2).alias(out or name)
+#: Amounts of exact decimals often end in a five, which two engines round apart; this keeps them off the edge.
+OFF = 0.00003333
 
 
-@query("V1_forward_dcf", "select issuer, scenario, round(pv, 0) as explicit_pv, round(tv, 0) as terminal_pv, round(pv + tv, 2) as ev, case when pv + tv > 0 then tv / (pv + tv) > 0.75 end as dominant from {paths}")
+def r2(name: str, out: str | None = None, digits: int = 2):
+    return F.round(F.col(name) + OFF, digits).alias(out or name)
+
+
+@query("V1_forward_dcf", f"select issuer, qidx, scenario, round(pv + {OFF}, 0) as explicit_pv, round(tv + {OFF}, 0) as terminal_pv, round(pv + tv + {OFF}, 2) as ev, case when pv + tv > 0 then tv / (pv + tv) > 0.75 end as dominant from {{paths}}")
 def v1(t: Data) -> DataFrame:
-    return valuation.forward(cases(t)).select("issuer", "scenario", F.round("explicit_pv", 0).alias("explicit_pv"), F.round("terminal_pv", 0).alias("terminal_pv"), r2("ev"), "dominant")
+    return valuation.forward(cases(t)).select("issuer", "qidx", "scenario", r2("explicit_pv", digits=0), r2("terminal_pv", digits=0), r2("ev"), "dominant")
 
 
-@query("V2_domain_reasons", "select issuer, scenario, concat_ws('|', case when scenario = 'high' then 'growth_above_risk_free' end, case when issuer % 2 = 0 then 'wacc_not_above_growth' end) as reasons from {paths}")
+@query("V2_domain_reasons", "select issuer, qidx, scenario, concat_ws('|', case when scenario = 'high' then 'growth_above_risk_free' end, case when issuer % 2 = 0 then 'wacc_not_above_growth' end) as reasons from {paths}")
 def v2(t: Data) -> DataFrame:
     rows = cases(t).withColumns({"risk_free": F.when(F.col("scenario") == "high", 0.01).otherwise(0.04), "wacc": F.when(F.col("issuer") % 2 == 0, 0.02).otherwise(0.10)})
-    return rows.select("issuer", "scenario", flags.text(valuation.domain_reasons()).alias("reasons"))
+    return rows.select("issuer", "qidx", "scenario", flags.text(valuation.domain_reasons()).alias("reasons"))
 
 
 VIEWS["claims"] = """select s_suppkey as issuer, kind, cast(s_acctbal as decimal(12,2)) + n as amount, case when s_acctbal < 0 and kind = 'debt' then 'unavailable' else 'eligible_amount' end as state, case when s_nationkey = 3 and kind = 'leases' then 'EUR' else 'USD' end as currency, cast(case when s_nationkey = 4 and kind = 'preferred' then date '2000-02-01' else date '2000-01-01' end as timestamp) as known_at,
@@ -155,54 +159,66 @@ VIEWS["claims"] = """select s_suppkey as issuer, kind, cast(s_acctbal as decimal
   union all select s_suppkey, 'cash', cast(s_acctbal as decimal(12,2)), 'eligible_amount', 'USD', cast(date '2000-01-01' as timestamp), date '1999-12-31' from {supplier} where s_nationkey = 7"""
 
 
-@query("V3_equity_bridge", """select p.issuer, p.scenario, round(case when c.reasons = '' then p.pv + p.tv + cast(c.net as double) end, 2) as equity, c.reasons from {paths} p
+@query("V3_equity_bridge", f"""select p.issuer, p.qidx, p.scenario, round(case when c.reasons = '' then p.pv + p.tv + cast(c.net as double) end + {OFF}, 2) as equity, c.reasons from {{paths}} p
   join (select c.issuer, sum(case when kind in ('cash', 'non_operating_assets') then amount else -amount end) as net, concat_ws('|', case when max(s_nationkey) = 6 then 'claim_missing:pensions' end, case when max(s_nationkey) = 7 then 'claim_repeated:cash' end, case when max(s_acctbal) < 0 then 'ineligible_claim:debt' end, case when max(s_nationkey) = 3 then 'ineligible_claim:leases' end, case when max(s_nationkey) = 5 then 'ineligible_claim:minorities' end, case when max(s_nationkey) = 4 then 'ineligible_claim:preferred' end) as reasons
-    from {claims} c join {supplier} on s_suppkey = c.issuer group by 1) c on c.issuer = p.issuer""")
+    from {{claims}} c join {{supplier}} on s_suppkey = c.issuer group by 1) c on c.issuer = p.issuer""")
 def v3(t: Data) -> DataFrame:
     found = valuation.bridge(valuation.forward(cases(t)), t.claims, ["issuer"], F.lit("USD"), F.lit("2000-01-15").cast("timestamp"), 400)
-    return found.select("issuer", "scenario", r2("equity"), flags.text(F.col("reasons")).alias("reasons"))
+    return found.select("issuer", "qidx", "scenario", r2("equity"), flags.text(F.col("reasons")).alias("reasons"))
 
 
-VIEWS["targets"] = """select p.*, cast(s.cap as double) * 4 as target, cast(s.error as double) * 200 as shares, y1 / 1.1 + y2 / (1.1 * 1.1) + y3 / (1.1 * 1.1 * 1.1) as held from {paths} p join {snapshots} s on s.issuer = p.issuer and s.qidx = 7999"""
-#: The value is a straight line in the margin on either side of zero, as tax is paid on profits only.
-VIEWS["solved"] = """select *, case when margin > -0.5 and margin < 1 then 'converged' else 'no_solution' end as state, case when margin > -0.5 and margin < 1 then margin end as solution
-  from (select *, case when target - tv + 0.05 * held >= 0 then (target - tv + 0.05 * held) / (0.75 * held) else (target - tv + 0.05 * held) / held end as margin from {targets})"""
+VIEWS["targets"] = """select p.*, cast(s.cap as double) * 4 as target, cast(s.error as double) * 200 as shares, y1 / 1.1 + y2 / (1.1 * 1.1) + y3 / (1.1 * 1.1 * 1.1) as held from {paths} p join {snapshots} s on s.issuer = p.issuer and s.qidx = p.qidx"""
+#: A straight line in the terminal margin, to which margins fade from 0.1: what it is at zero, and its slope.
+FADE = "(y1 * (0.75 * 0.75 * 0.1 - {k}) / 1.1 + y2 * (0.75 * 0.5 * 0.1 - {k}) / (1.1 * 1.1) - y3 * {k} / (1.1 * 1.1 * 1.1)) as base, (0.75 * (y1 * 0.25 / 1.1 + y2 * 0.5 / (1.1 * 1.1) + y3 / (1.1 * 1.1 * 1.1)) + y3 * 1.02 * 0.75 * 0.75 / 0.08 / (1.1 * 1.1 * 1.1)) as slope"
+RANGES = {roots.GROWTH: (-0.3, 1.0), roots.MARGIN: (0.01, 1.0), roots.REINVESTMENT: (0.0, 0.5)}
+#: Growth has no formula: the value rises with it here, so that sixty halvings find where it meets the target.
+GROWN = "revenue * (((1 + x) * (m * 0.75 - 0.05)) / 1.1 + ((1 + x) * (1 + x) * (m * 0.75 - 0.05)) / 1.21 + ((1 + x) * (1 + x) * (1 + x) * (m * 0.75 - 0.05)) / 1.331 + (1 + x) * (1 + x) * (1 + x) * 1.02 * m * 0.75 * 0.75 / 0.08 / 1.331)"
+SOLVED = f"""with recursive h as (select issuer, qidx, scenario, m, revenue, target, cast(-0.3 as double) as a, cast(1.0 as double) as b, 0 as k from {{targets}}
+    union all select issuer, qidx, scenario, m, revenue, target, case when v < target then x else a end, case when v < target then b else x end, k + 1 from (select *, {GROWN} as v from (select *, (a + b) / 2 as x from h where k < 60))),
+  s as (select issuer, qidx, scenario, '{roots.GROWTH}' as variable, a as x from h where k = 60
+    union all select issuer, qidx, scenario, '{roots.MARGIN}', (target - base) / slope from (select *, {FADE.format(k="0.05")} from {{targets}})
+    union all select issuer, qidx, scenario, '{roots.REINVESTMENT}', (pv + 0.05 * held + tv - target) / held from {{targets}}),
+  z as (select *, case variable {" ".join(f"when '{v}' then x > {a} + 1e-9 and x < {b} - 1e-9" for v, (a, b) in RANGES.items())} end as inside from s),
+  r as (select issuer, qidx, scenario, variable, case when inside then 'converged' else 'no_solution' end as state, case when inside then x end as solution from z)"""
 
 
 def targeted(t: Data) -> DataFrame:
-    anchors = t.snapshots.filter("qidx = 7999").select("issuer", (F.col("cap").cast("double") * 4).alias("target"), (F.col("error").cast("double") * 200).alias("shares"))
-    return cases(t).join(anchors, "issuer")
+    anchors = t.snapshots.select("issuer", "qidx", (F.col("cap").cast("double") * 4).alias("target"), (F.col("error").cast("double") * 200).alias("shares"))
+    return cases(t).join(anchors, ["issuer", "qidx"])
 
 
-@query("V4_reverse_solve", "select issuer, scenario, state, round(solution, 4) as solution from {solved}")
+@query("V4_reverse_solve", SOLVED + " select issuer, qidx, scenario, variable, state, round(solution, 4) as solution from r")
 def v4(t: Data) -> DataFrame:
-    solved = valuation.reverse_solve(targeted(t), ["issuer", "scenario"], "margins", -0.5, 1.0)
-    return solved.select("issuer", "scenario", "state", F.round("solution", 4).alias("solution"))
+    rows, found = targeted(t), []
+    for variable, ends in RANGES.items():
+        solved = valuation.reverse_solve(rows, variable, *ends)
+        found.append(solved.select("issuer", "qidx", "scenario", F.lit(variable).alias("variable"), "state", F.round("solution", 4).alias("solution")))
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 def results(t: Data) -> DataFrame:
-    return valuation.scenario_results(targeted(t), ["issuer", "scenario"], "margins", -0.5, 1.0)
+    return valuation.scenario_results(targeted(t), roots.MARGIN, *RANGES[roots.MARGIN])
 
 
-@query("V5_scenario_results", "select issuer, scenario, state, round(case when state = 'converged' then target end, 2) as ev, round(case when state = 'converged' then target / shares end, 2) as per_share from {solved}")
+@query("V5_scenario_results", SOLVED + f" select issuer, qidx, scenario, state, round(case when state = 'converged' then target end + {OFF}, 2) as ev, round(case when state = 'converged' then target / shares end + {OFF}, 2) as per_share from r join {{targets}} using (issuer, qidx, scenario) where variable = '{roots.MARGIN}'")
 def v5(t: Data) -> DataFrame:
-    return results(t).select("issuer", "scenario", "state", r2("ev"), r2("per_share"))
+    return results(t).select("issuer", "qidx", "scenario", "state", r2("ev"), r2("per_share"))
 
 
-@query("A20_scenario_span", "select issuer, round(case when bool_and(state = 'converged') then min(solution) end, 4) as low, round(case when bool_and(state = 'converged') then max(solution) end, 4) as high from {solved} group by 1")
+@query("A20_scenario_span", SOLVED + f" select issuer, qidx, round(case when bool_and(state = 'converged') then min(solution) end, 4) as low, round(case when bool_and(state = 'converged') then max(solution) end, 4) as high from r where variable = '{roots.MARGIN}' group by 1, 2")
 def a20(t: Data) -> DataFrame:
-    found = valuation.span(results(t), ["issuer"], "solution", "state")
-    return found.select("issuer", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
+    found = valuation.span(results(t), ["issuer", "qidx"], "solution", "state")
+    return found.select("issuer", "qidx", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
 
 
-@query("J21_companies_and_cells", "select a.issuer, s.scenario, cast(x as int) as x, cast(y as int) as y from {anchors} a cross join {scenarios} s cross join range(-1, 2) u(x) cross join range(-1, 2) v(y)")
+@query("J21_companies_and_cells", "select a.issuer, a.qidx, s.scenario, cast(x as int) as x, cast(y as int) as y from {anchors} a cross join {scenarios} s cross join range(-1, 2) u(x) cross join range(-1, 2) v(y)")
 def j21(t: Data) -> DataFrame:
     axis = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    return cases(t).select("issuer", "scenario", F.explode(axis).alias("x")).withColumn("y", F.explode(axis))
+    return cases(t).select("issuer", "qidx", "scenario", F.explode(axis).alias("x")).withColumn("y", F.explode(axis))
 
 
-VIEWS["cells"] = """select issuer, x, y, pv + tv as ev from (select issuer, x, y, (y1 * m - greatest(y1 * m, 0) * 0.25 - y1 * 0.05) / (1.1) + (y2 * m - greatest(y2 * m, 0) * 0.25 - y2 * 0.05) / (1.1 * 1.1) + (y3 * m - greatest(y3 * m, 0) * 0.25 - y3 * 0.05) / (1.1 * 1.1 * 1.1) as pv, (y3 * 1.02 * m * 0.75 - y3 * 1.02 * m * 0.75 * 0.02 / 0.08) / 0.08 / (1.1 * 1.1 * 1.1) as tv
-  from (select issuer, x, y, m, revenue * (1 + g) as y1, revenue * (1 + g) * (1 + g) as y2, revenue * (1 + g) * (1 + g) * (1 + g) as y3 from (select issuer, revenue, cast(x as int) as x, cast(y as int) as y, 0.06::double + x * 0.01::double as g, 0.15::double + y * 0.02::double as m from {anchors} cross join range(-1, 2) u(x) cross join range(-1, 2) v(y))))"""
+VIEWS["cells"] = """select issuer, qidx, x, y, pv + tv as ev from (select issuer, qidx, x, y, (y1 * m - greatest(y1 * m, 0) * 0.25 - y1 * 0.05) / (1.1) + (y2 * m - greatest(y2 * m, 0) * 0.25 - y2 * 0.05) / (1.1 * 1.1) + (y3 * m - greatest(y3 * m, 0) * 0.25 - y3 * 0.05) / (1.1 * 1.1 * 1.1) as pv, (y3 * 1.02 * m * 0.75 - y3 * 1.02 * m * 0.75 * 0.02 / 0.08) / 0.08 / (1.1 * 1.1 * 1.1) as tv
+  from (select issuer, qidx, x, y, m, revenue * (1 + g) as y1, revenue * (1 + g) * (1 + g) as y2, revenue * (1 + g) * (1 + g) * (1 + g) as y3 from (select issuer, qidx, revenue, cast(x as int) as x, cast(y as int) as y, 0.06::double + x * 0.01::double as g, 0.15::double + y * 0.02::double as m from {anchors} cross join range(-1, 2) u(x) cross join range(-1, 2) v(y))))"""
 
 
 def grid(t: Data) -> DataFrame:
@@ -211,38 +227,38 @@ def grid(t: Data) -> DataFrame:
     return valuation.forward(with_years(rows))
 
 
-#: Cells of growth and reinvestment, solved for the margin that meets the target; the terminal margin stays.
-VIEWS["reverse_cells"] = """select issuer, x, y, case when target - tv + k * held >= 0 then (target - tv + k * held) / (0.75 * held) else (target - tv + k * held) / held end as margin from (select issuer, x, y, k, target, y1 / 1.1 + y2 / (1.1 * 1.1) + y3 / (1.1 * 1.1 * 1.1) as held, (y3 * 1.02 * 0.15::double * 0.75 - y3 * 1.02 * 0.15::double * 0.75 * 0.02 / 0.08) / 0.08 / (1.1 * 1.1 * 1.1) as tv
-  from (select issuer, x, y, 0.04::double + y * 0.01::double as k, target, revenue * (1 + g) as y1, revenue * (1 + g) * (1 + g) as y2, revenue * (1 + g) * (1 + g) * (1 + g) as y3 from (select issuer, cast(revenue as double) as revenue, cast(cap as double) * 4 as target, cast(x as int) as x, cast(y as int) as y, 0.05::double + x * 0.01::double as g from {snapshots} cross join range(0, 3) u(x) cross join range(0, 3) v(y) where qidx = 7999)))"""
+#: Cells of growth and reinvestment, solved for the terminal margin that meets the target.
+VIEWS["reverse_cells"] = f"""select issuer, qidx, x, y, (target - base) / slope as margin from (select *, {FADE.format(k="k")} from (select issuer, qidx, x, y, k, target, revenue * (1 + g) as y1, revenue * (1 + g) * (1 + g) as y2, revenue * (1 + g) * (1 + g) * (1 + g) as y3
+  from (select issuer, qidx, cast(revenue as double) as revenue, cast(cap as double) * 4 as target, cast(x as int) as x, cast(y as int) as y, 0.05::double + x * 0.01::double as g, 0.04::double + y * 0.01::double as k from {{snapshots}} cross join range(0, 3) u(x) cross join range(0, 3) v(y))))"""
 
 
-@query("V6_sensitivity_cells", """select 'reprice' as mode, issuer, x + 1 as x, y + 1 as y, round(ev, 2) as value, 'valued' as state from {cells} union all select 'reverse', issuer, x, y, round(case when margin > -0.5 and margin < 1 then margin end, 4), case when margin > -0.5 and margin < 1 then 'converged' else 'no_solution' end from {reverse_cells}""")
+@query("V6_sensitivity_cells", f"""select 'reprice' as mode, issuer, qidx, x + 1 as x, y + 1 as y, round(ev + {OFF}, 2) as value, 'valued' as state from {{cells}} union all select 'reverse', issuer, qidx, x, y, round(case when margin > 0.01 and margin < 1 then margin end, 4), case when margin > 0.01 and margin < 1 then 'converged' else 'no_solution' end from {{reverse_cells}}""")
 def v6(t: Data) -> DataFrame:
-    priced = grid(t).select(F.lit("reprice").alias("mode"), "issuer", (F.col("x") + 1).alias("x"), (F.col("y") + 1).alias("y"), r2("ev", "value"), F.lit("valued").alias("state"))
+    priced = grid(t).select(F.lit("reprice").alias("mode"), "issuer", "qidx", (F.col("x") + 1).alias("x"), (F.col("y") + 1).alias("y"), r2("ev", "value"), F.lit("valued").alias("state"))
     base = targeted(t).filter("scenario = 'base'")
-    solved = valuation.sensitivity(base, ("growth", [0.05, 0.06, 0.07]), ("reinvestment", [0.04, 0.05, 0.06]), ("margins", -0.5, 1.0), ["issuer"])
-    return priced.unionByName(solved.select(F.lit("reverse").alias("mode"), "issuer", "x", "y", F.round("solution", 4).alias("value"), "state"))
+    solved = valuation.sensitivity(base, ("growth", [0.05, 0.06, 0.07]), ("reinvestment", [0.04, 0.05, 0.06]), (roots.MARGIN, *RANGES[roots.MARGIN]))
+    return priced.unionByName(solved.select(F.lit("reverse").alias("mode"), "issuer", "qidx", "x", "y", F.round("solution", 4).alias("value"), "state"))
 
 
-VIEWS["elasticities"] = """select issuer, 'growth' as parameter, ((max(case when x = 1 and y = 0 then ev end) - max(case when x = -1 and y = 0 then ev end)) / max(case when x = 0 and y = 0 then ev end)) / (0.02::double / 0.06::double) as elasticity from {cells} group by 1
-  union all select issuer, 'margin', ((max(case when x = 0 and y = 1 then ev end) - max(case when x = 0 and y = -1 then ev end)) / max(case when x = 0 and y = 0 then ev end)) / (0.04::double / 0.15::double) from {cells} group by 1"""
+VIEWS["elasticities"] = """select issuer, qidx, 'growth' as parameter, ((max(case when x = 1 and y = 0 then ev end) - max(case when x = -1 and y = 0 then ev end)) / max(case when x = 0 and y = 0 then ev end)) / (0.02::double / 0.06::double) as elasticity from {cells} group by 1, 2
+  union all select issuer, qidx, 'margin', ((max(case when x = 0 and y = 1 then ev end) - max(case when x = 0 and y = -1 then ev end)) / max(case when x = 0 and y = 0 then ev end)) / (0.04::double / 0.15::double) from {cells} group by 1, 2"""
 
 
 def elasticities(t: Data) -> DataFrame:
-    cells = grid(t).groupBy("issuer").agg(*[F.max(F.when((F.col("x") == x) & (F.col("y") == y), F.col("ev"))).alias(n) for n, x, y in (("c", 0, 0), ("gl", -1, 0), ("gh", 1, 0), ("ml", 0, -1), ("mh", 0, 1))])
+    cells = grid(t).groupBy("issuer", "qidx").agg(*[F.max(F.when((F.col("x") == x) & (F.col("y") == y), F.col("ev"))).alias(n) for n, x, y in (("c", 0, 0), ("gl", -1, 0), ("gh", 1, 0), ("ml", 0, -1), ("mh", 0, 1))])
     growth = valuation.elasticity((F.lit(0.05), F.lit(0.06), F.lit(0.07)), (F.col("gl"), F.col("c"), F.col("gh")))
     margin = valuation.elasticity((F.lit(0.13), F.lit(0.15), F.lit(0.17)), (F.col("ml"), F.col("c"), F.col("mh")))
-    return cells.select("issuer", growth.alias("growth"), margin.alias("margin")).unpivot(["issuer"], ["growth", "margin"], "parameter", "elasticity")
+    return cells.select("issuer", "qidx", growth.alias("growth"), margin.alias("margin")).unpivot(["issuer", "qidx"], ["growth", "margin"], "parameter", "elasticity")
 
 
-@query("F23_elasticity", "select issuer, parameter, round(elasticity, 4) as elasticity from {elasticities}")
+@query("F23_elasticity", "select issuer, qidx, parameter, round(elasticity, 4) as elasticity from {elasticities}")
 def f23(t: Data) -> DataFrame:
-    return elasticities(t).select("issuer", "parameter", F.round("elasticity", 4).alias("elasticity"))
+    return elasticities(t).select("issuer", "qidx", "parameter", F.round("elasticity", 4).alias("elasticity"))
 
 
-@query("V7_sensitivity_summary", "select issuer, parameter, round(elasticity, 4) as elasticity, cast(rank() over (partition by issuer order by abs(elasticity) desc) as int) as rank from {elasticities}")
+@query("V7_sensitivity_summary", "select issuer, qidx, parameter, round(elasticity, 4) as elasticity, cast(rank() over (partition by issuer, qidx order by abs(elasticity) desc) as int) as rank from {elasticities}")
 def v7(t: Data) -> DataFrame:
-    return valuation.ranked(elasticities(t), ["issuer"], "elasticity").select("issuer", "parameter", F.round("elasticity", 4).alias("elasticity"), "rank")
+    return valuation.ranked(elasticities(t), ["issuer", "qidx"], "elasticity").select("issuer", "qidx", "parameter", F.round("elasticity", 4).alias("elasticity"), "rank")
 
 
 @query("W10_rank_by_size", "select sector, issuer, cast(case when cap <> 0 then rank() over (partition by sector order by abs(cap) desc nulls last) end as int) as rank from (select sector, issuer, case when issuer % 3 = 0 then null else cap end as cap from {issuers}) where cap is not null union all select sector, issuer, null from {issuers} where issuer % 3 = 0")
@@ -251,11 +267,11 @@ def w10(t: Data) -> DataFrame:
     return valuation.ranked(rows, ["sector"], "cap").select("sector", "issuer", "rank")
 
 
-@query("V8_margin_fade", "select issuer, round(0.75 * 0.1::double + 0.25 * m, 6) as first, round(0.25 * 0.1::double + 0.75 * m, 6) as last, scenario from {paths}")
+@query("V8_margin_fade", "select issuer, qidx, round(0.75 * 0.1::double + 0.25 * m, 6) as first, round(0.25 * 0.1::double + 0.75 * m, 6) as last, scenario from {paths}")
 def v8(t: Data) -> DataFrame:
     path = valuation.faded(F.lit(0.1), F.col("margins"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     rows = cases(t).withColumn("path", path)
-    return rows.select("issuer", "scenario", F.round(F.get("path", F.lit(0)), 6).alias("first"), F.round(F.get("path", F.lit(2)), 6).alias("last"))
+    return rows.select("issuer", "qidx", "scenario", F.round(F.get("path", F.lit(0)), 6).alias("first"), F.round(F.get("path", F.lit(2)), 6).alias("last"))
 
 
 @query("P25_anchor_eligibility", "select issuer, qidx, concat_ws('|', case when qidx >= 7996 then 'filed_not_before_valuation' end, case when qidx % 4 <> 3 then 'not_fiscal_year' end) as reasons from {ttm}")

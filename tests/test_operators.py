@@ -178,12 +178,6 @@ def test_forward_value(spark, years, ev, dominant):
     assert r.ev == pytest.approx(ev) and r.dominant == dominant and r.terminal_pv == pytest.approx(143.4375)
 
 
-@pytest.mark.parametrize(("parameter", "want", "low", "high"), [("growth", 0.1, -0.513, 0.507), ("reinvestment", 0.05, -0.21, 0.433), ("margins", 0.2, 0.013, 0.907)])
-def test_reverse_solve(spark, parameter, want, low, high):
-    r = valuation.reverse_solve(forecast(spark, 5, target=193.4375), ["k"], parameter, low, high).first()
-    assert r.state == "converged" and r.solution == pytest.approx(want, abs=1e-6)
-
-
 def test_bridge_needs_all_seven_claims(spark):
     values = spark.createDataFrame([(k, 100.0) for k in range(1, 6)], "k int, ev double")
     kinds = [*valuation.ADDED, *valuation.SUBTRACTED]
@@ -195,35 +189,6 @@ def test_bridge_needs_all_seven_claims(spark):
     assert got == {1: (70.0, []), 2: (None, ["claim_missing:pensions"]), 3: (None, ["ineligible_claim:debt"]), 4: (None, ["ineligible_claim:cash"]), 5: (None, ["claim_repeated:cash"])}
 
 
-def test_reverse_solve_is_inconclusive_at_the_ends(spark):
-    assert valuation.reverse_solve(forecast(spark, 5, target=193.4375), ["k"], "growth", 0.1, 0.2).first().state == "inconclusive"  # a root at the end
-    flat = forecast(spark, 5, target=0.0, margins=[0.0] * 5, taxes=[0.0] * 5, reinvestment=[0.0] * 5, terminal_margin=0.0)
-    assert valuation.reverse_solve(flat, ["k"], "growth", -0.5, 0.5).first().state == "inconclusive"
-    assert valuation.reverse_solve(forecast(spark, 5, target=1000.0), ["k"], "reinvestment", 0.0, 0.1).first().state == "no_solution"
-
-
-def test_a_parabola_that_touches_the_target_is_inconclusive(spark):
-    # two years and no terminal value: 100 z (-0.2) / 1.1 + 100 z z (0.1) / 1.21 is least at z = 1.1, where it is -10
-    rows = forecast(spark, 2, target=-10.0, margins=[-0.2, 0.1], taxes=[0.0] * 2, reinvestment=[0.0] * 2, terminal_margin=0.0)
-    for low, high in ((-0.513, 0.507), (-0.5, 0.7)):
-        assert valuation.reverse_solve(rows, ["k"], "growth", low, high).first().state == "inconclusive"
-    below, above = rows.withColumn("target", F.lit(-10.5)), rows.withColumn("target", F.lit(-9.0))
-    assert valuation.reverse_solve(below, ["k"], "growth", -0.5, 0.7).first().state == "no_solution"
-    assert valuation.reverse_solve(above, ["k"], "growth", -0.5, 0.7).first().state == "non_unique"
-
-
-def test_a_root_on_a_grid_point_is_found(spark):
-    r = valuation.reverse_solve(forecast(spark, 5, target=193.4375), ["k"], "growth", -0.3, 0.5).first()
-    assert r.state == "converged" and r.solution == pytest.approx(0.1, abs=1e-9)
-
-
-def test_scenarios_are_valued_again_at_the_solution(spark):
-    rows = forecast(spark, 5, target=193.4375, shares=10.0)
-    r = valuation.scenario_results(rows, ["k"], "growth", -0.513, 0.507).first()
-    assert r.state == "converged" and r.per_share == pytest.approx(19.34375, abs=1e-6)
-    assert valuation.scenario_results(rows.withColumn("target", F.lit(1e12)), ["k"], "growth", -0.5, 0.5).first().per_share is None
-
-
 def test_price_states(spark):
     body = '[{"date":"2024-01-02T00:00:00Z","open":99,"high":99,"low":90,"close":100,"volume":true,"adjClose":5,"adjHigh":4,"adjLow":1},{"date":"2024-01-03","close":null},{"date":"2024-01-03","close":"100.5"},{"date":"2024-01-04","splitFactor":-1,"divCash":1e2},{"date":"2024-01-05T09:00:00Z"},7]'
     rows = bodies.eod_prices(spark.createDataFrame([(1, body)], "k int, body string"), ["k"], "2024-01-01", "2024-01-31")
