@@ -36,21 +36,23 @@ def editions(rows: DataFrame, by: list[str], latest: bool) -> DataFrame:
 def chosen_versions(rows: DataFrame, by: list[str], latest: bool) -> DataFrame:
     """The filing version of the extreme filing date of each key, and the reasons against it.
 
-    ``rows`` (by, version, filed, acceptance_at, basis, currency, state): several versions of that date go
+    ``rows`` (by, version, filed, acceptance_at, basis, currency, state, complete): several versions of that date go
     by acceptance time, if all have a verified one (not null), else the order is ambiguous. More than one
     basis, a null currency or a state other than covered leave the choice unusable: an older version never
-    stands in. ``revised_view`` and ``earliest_available`` inform about the mode.
+    stands in. ``revised_view`` informs about the mode, and ``earliest_available`` where the history
+    (``complete``, for all rows of a key) does not reach back to the first filing.
     """
     extreme = F.max if latest else F.min
+    rows = rows.withColumn("basis", F.coalesce("basis", F.lit("")))  # none beside another one differs from it
     bad = F.bool_or(F.col("currency").isNull() | ~F.col("state").eqNullSafe(F.lit("covered"))).alias("bad")
     ends = [f(c).alias(f"{n}_{c}") for c in ("version", "basis") for n, f in (("low", F.min), ("high", F.max))]
-    at = rows.groupBy(*by, "filed", "acceptance_at").agg(*ends, bad)
+    at = rows.groupBy(*by, "filed", "acceptance_at").agg(*ends, bad, F.bool_and("complete").alias("complete"))
     time = F.struct("acceptance_at", *[f"{n}_{c}" for c in ("version", "basis") for n in ("low", "high")], "bad")
     day = at.groupBy(*by, "filed").agg(
         F.bool_and(F.col("acceptance_at").isNotNull()).alias("verified"), extreme(F.when(F.col("acceptance_at").isNotNull(), time)).alias("at"),
-        *[f(f"{n}_{c}").alias(f"{n}_{c}") for c in ("version", "basis") for n, f in (("low", F.min), ("high", F.max))], F.bool_or("bad").alias("bad"),
+        *[f(f"{n}_{c}").alias(f"{n}_{c}") for c in ("version", "basis") for n, f in (("low", F.min), ("high", F.max))], F.bool_or("bad").alias("bad"), F.bool_and("complete").alias("complete"),
     )
-    packed = day.groupBy(*by).agg(extreme(F.struct("filed", *[c for c in day.columns if c not in (*by, "filed")])).alias("x"))
+    packed = day.groupBy(*by).agg(extreme(F.struct("filed", *[c for c in day.columns if c not in (*by, "filed", "complete")])).alias("x"), F.bool_and("complete").alias("complete"))
     several = F.col("x.low_version") != F.col("x.high_version")
     by_time = several & F.col("x.verified") & (F.col("x.at.low_version") == F.col("x.at.high_version"))
     end = lambda c: F.when(by_time, F.col(f"x.at.{c}")).otherwise(F.col(f"x.{c}"))
@@ -58,7 +60,7 @@ def chosen_versions(rows: DataFrame, by: list[str], latest: bool) -> DataFrame:
     reason = F.lit(None).cast("string")
     for code, condition in reversed(codes.items()):
         reason = F.when(condition, code).otherwise(reason)
-    return packed.select(*by, F.col("x.filed").alias("filed"), F.when(~several | by_time, end("low_version")).alias("version"), reason.alias("reason"), F.lit("revised_view" if latest else "earliest_available").alias("mode"))
+    return packed.select(*by, F.col("x.filed").alias("filed"), F.when(~several | by_time, end("low_version")).alias("version"), reason.alias("reason"), (F.lit("revised_view") if latest else F.when(~F.col("complete"), "earliest_available")).alias("mode"))
 
 
 def source_captures(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -164,21 +166,6 @@ def outside(rows: DataFrame, manifest: DataFrame, on: list[str], reason: str) ->
     return rows.select(*on).distinct().join(manifest.select(*on), on, "left_anti").withColumn("reason", F.lit(reason))
 
 
-def scoped_events(facts: DataFrame, events: DataFrame, by: str, optional: list[str], cutoff: Column) -> DataFrame:
-    """Facts in the scope of an event announced by the cutoff: the filing must be the same; period, concept
-    or line only where the event names one. Joins are equi joins, one for each set of named columns."""
-    known = events.filter(F.col("announced") <= cutoff)
-    named = F.concat_ws(",", *[F.when(F.col(c).isNotNull(), F.lit(c)) for c in optional])
-    found = []
-    for bits in range(1 << len(optional)):
-        mine = [c for k, c in enumerate(optional) if bits >> k & 1]
-        found.append(facts.join(known.filter(named == ",".join(mine)).select(by, *mine), [by, *mine], "left_semi"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.distinct()
-
-
 def without_duplicates(rows: DataFrame, key: list[str], content: list[str]) -> DataFrame:
     """One row for each key whose rows all agree in ``content``; keys with different contents are rejected
     and have a reason instead."""

@@ -391,11 +391,15 @@ def test_a_metric_is_accepted_with_its_evidence_only(spark):
 def test_editions_go_by_acceptance_only_where_all_are_verified(spark):
     day, hour = D(2024, 1, 5), lambda h: dt.datetime(2024, 1, 5, h)
     rows = [("one", 1, day, None, "g", "USD", "covered"), ("timed", 1, day, hour(1), "g", "USD", "covered"), ("timed", 2, day, hour(2), "g", "USD", "covered"), ("open", 1, day, hour(1), "g", "USD", "covered"), ("open", 2, day, None, "g", "USD", "covered"), ("tie", 1, day, hour(1), "g", "USD", "covered"), ("tie", 2, day, hour(1), "g", "USD", "covered"), ("basis", 1, day, hour(1), "g", "USD", "covered"), ("basis", 1, day, hour(1), "h", "USD", "covered"), ("gap", 1, D(2024, 1, 4), None, "g", "USD", "covered"), ("gap", 2, day, None, "g", None, "covered")]
-    frame = spark.createDataFrame(rows, "fact string, version int, filed date, acceptance_at timestamp, basis string, currency string, state string")
+    frame = spark.createDataFrame(rows, "fact string, version int, filed date, acceptance_at timestamp, basis string, currency string, state string").withColumn("complete", F.col("fact") != "gap")
     last = {r.fact: (r.version, r.reason) for r in selection.chosen_versions(frame, ["fact"], latest=True).collect()}
     assert last == {"one": (1, None), "timed": (2, None), "open": (None, "ambiguous_filing_order"), "tie": (None, "ambiguous_filing_order"), "basis": (1, "incompatible_reporting_basis"), "gap": (2, "unresolved_coverage")}
     first = {r.fact: (r.version, r.reason) for r in selection.chosen_versions(frame, ["fact"], latest=False).collect()}
     assert first["timed"] == (1, None) and first["gap"] == (1, None)
+    modes = {r.fact: r.mode for r in selection.chosen_versions(frame, ["fact"], latest=False).collect()}
+    assert modes["gap"] == "earliest_available" and modes["one"] is None
+    half = spark.createDataFrame([("x", 1, day, None, None, "USD", "covered", True), ("x", 1, day, None, "g", "USD", "covered", True)], frame.schema)
+    assert selection.chosen_versions(half, ["fact"], latest=True).first().reason == "incompatible_reporting_basis"
 
 
 def test_freshness_of_a_source(spark):
