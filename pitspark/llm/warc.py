@@ -171,7 +171,9 @@ def write_bundles(pages: DataFrame, out: str, date: str) -> DataFrame:
                 file.abort()
             raise
 
-    with_types(pages).mapInArrow(write, INDEX).write.parquet(f"{out}/index")
+    # a task that runs again must write the same bytes, in whatever order its shuffle blocks come
+    ordered = with_types(pages).sortWithinPartitions("digest", "page_id", "url")
+    ordered.mapInArrow(write, INDEX).write.parquet(f"{out}/index")
     return read_index(pages.sparkSession, out)
 
 
