@@ -11,7 +11,7 @@ from pitspark.functions.storage import work_dir
 from pitspark.operators import selection
 from pitspark.plans.bridge import VIEWS
 from pitspark.plans.registry import Data, query
-from pitspark.sources import bodies
+from pitspark.sources import bodies, inline
 from pitspark.streaming.change_feed import ChangeFeed
 
 
@@ -115,29 +115,52 @@ def s5(t: Data) -> DataFrame:
     return bodies.yield_xml(feed, ["issuer"], "BC_10YEAR").select("issuer", "reference_date", F.col("value").cast("double").alias("value"), "state")
 
 
+SPACES = " ".join(f'xmlns:{k}="{v}"' for k, v in {"ix": inline.IX, "xbrli": inline.XBRLI, "xbrldi": inline.XBRLDI, "xsi": inline.XSI, "iso4217": inline.ISO4217, "ixt": inline.TRANSFORMS[0], "gaap": "urn:gaap", "d": "urn:d"}.items())
+_OWNER = "lpad(cast(issuer as string), 10, '0')"
+
+
 def inline_documents(t: Data) -> DataFrame:
-    sign = F.when(F.col("income") < 0, F.lit(' sign="-"')).otherwise("")
+    """A filing for each flow: a duration and an instant, a currency and a currency for each share, an amount, an
+    amount for each share, and a note in two parts; some are cut short, or have another entity, a scale that is no
+    number, or a continuation that leads to itself."""
+    case = lambda k, odd, usual: F.when(F.col("qidx") % 10 == k, F.lit(odd)).otherwise(F.lit(usual))
     amount = F.format_number(F.abs(F.round("income", 0)), 0)
+    owner = F.when(F.col("qidx") % 10 == 7, "9999999999").otherwise(F.expr(_OWNER))
+    context = lambda id_, period, members: F.concat(F.lit(f'<xbrli:context id="{id_}"><xbrli:entity><xbrli:identifier scheme="{inline.SCHEME}">'), owner, F.lit(f"</xbrli:identifier>{members}</xbrli:entity><xbrli:period>"), *period, F.lit("</xbrli:period></xbrli:context>"))
+    day = lambda tag, column: F.concat(F.lit(f"<xbrli:{tag}>"), F.col(column).cast("string"), F.lit(f"</xbrli:{tag}>"))
+    members = '<xbrli:segment><xbrldi:explicitMember dimension="d:B">d:two</xbrldi:explicitMember><xbrldi:explicitMember dimension="d:A">d:one</xbrldi:explicitMember></xbrli:segment>'
     body = F.concat(
-        F.lit('<html xmlns:ix="urn:ix"><context id="c1"><entity><segment><explicitMember dimension="d:B">m:2</explicitMember><explicitMember dimension="d:A">m:1</explicitMember></segment></entity><period>'), F.col("period_end").cast("string"), F.lit('</period></context><unit id="u1">USD</unit><p><ix:nonFraction id="f1" name="gaap:Income" contextRef="c1" unitRef="u1" decimals="-3" format="ixt:num-dot-decimal" scale="'), F.when(F.col("qidx") % 10 == 5, F.lit("x")).otherwise(F.lit("3")), F.lit('"'), sign, F.lit(">"), amount,
-        F.lit("</ix:nonFraction></p>"), F.when(F.col("qidx") % 10 == 0, F.lit("<br>")).otherwise(F.lit("")), F.lit("</html>"),
+        F.lit(f'<html xmlns="{inline.XHTML}" {SPACES}><body><ix:header><ix:resources>'), context("c1", [day("startDate", "period_start"), day("endDate", "period_end")], members), context("c2", [day("instant", "period_end")], ""),
+        F.lit('<xbrli:unit id="u1"><xbrli:measure>iso4217:USD</xbrli:measure></xbrli:unit><xbrli:unit id="u2"><xbrli:divide><xbrli:unitNumerator><xbrli:measure>iso4217:USD</xbrli:measure></xbrli:unitNumerator><xbrli:unitDenominator><xbrli:measure>xbrli:shares</xbrli:measure></xbrli:unitDenominator></xbrli:divide></xbrli:unit></ix:resources></ix:header>'),
+        F.lit('<p><ix:nonFraction id="f1" name="gaap:Income" contextRef="c1" unitRef="u1" decimals="-3" format="ixt:num-dot-decimal" scale="'), case(5, "--5", "3"), F.when(F.col("income") < 0, F.lit('" sign="-">')).otherwise('">'), amount,
+        F.lit('</ix:nonFraction><ix:nonFraction name="gaap:PerShare" contextRef="c1" unitRef="u2" decimals="2">1.25</ix:nonFraction><ix:nonFraction name="gaap:Assets" contextRef="c2" unitRef="u1" xsi:nil="true"/></p>'),
+        F.lit('<ix:nonNumeric name="gaap:Note" contextRef="c1" continuedAt="k">Part <ix:exclude>page 7</ix:exclude>one</ix:nonNumeric><p>between</p><ix:continuation id="k"'), case(3, ' continuedAt="k"', ""), F.lit("> and two</ix:continuation>"), case(0, "<br>", ""), F.lit("</body></html>"),
     )
-    return t.flows.select((F.col("issuer") * 100000 + F.col("qidx")).alias("doc"), body.alias("body"))
+    return t.flows.select((F.col("issuer") * 100000 + F.col("qidx")).alias("doc"), body.alias("body"), F.expr(_OWNER).alias("owner"))
 
 
 INLINE = "issuer * 100000 + qidx as doc"
+_WRONG = "qidx % 10 = 7"
 
 
-@query("S6_extract_inline_facts", f"select {INLINE}, case when qidx % 10 = 0 or (qidx % 10 = 5 and k = 'fact') then 'problem' else k end as kind, case when qidx % 10 = 0 then 'not_well_formed' when k = 'fact' and qidx % 10 = 5 then 'scale_invalid' when k = 'fact' then 'gaap:Income' end as name, case when k = 'context' and qidx % 10 <> 0 then 'd:A=m:1|d:B=m:2' else '' end as dimensions from {{flows}} cross join (values ('fact'), ('context'), ('unit')) v(k) where qidx % 10 <> 0 or k = 'fact'")
+@query("S6_extract_inline_facts", f"""select {INLINE}, 'problem' as kind, null as name, null as text, null as state, 'malformed_xml' as problem, null as period_kind, null as start_date, null as end_date, '' as dimensions, '' as measures from {{flows}} where qidx % 10 = 0
+  union all select {INLINE}, 'fact', '{{urn:gaap}}' || n, case when n = 'PerShare' then '1.25' when n = 'Assets' then '' when n = 'Note' then case when {_WRONG} or qidx % 10 = 3 then 'Part page 7one' else 'Part one and two' end end, case when {_WRONG} or (n = 'Income' and qidx % 10 = 5) or (n = 'Note' and qidx % 10 = 3) then 'unsupported' when n = 'Assets' then 'source_nil' when n = 'Note' then 'text' else 'observed' end,
+      case when {_WRONG} then 'invalid_context' when n = 'Income' and qidx % 10 = 5 then 'invalid_scale' when n = 'Note' and qidx % 10 = 3 then 'invalid_continuation' end, null, null, null, '', '' from {{flows}} cross join (values ('Income'), ('PerShare'), ('Assets'), ('Note')) v(n) where qidx % 10 <> 0
+  union all select {INLINE}, 'context', null, null, null, case when {_WRONG} then 'wrong_entity' end, case when {_WRONG} then null when k = 1 then 'duration' else 'instant' end, case when k = 1 and not {_WRONG} then period_start end, case when not {_WRONG} then period_end end, case when k = 1 and not {_WRONG} then '{{urn:d}}A={{urn:d}}one@segment|{{urn:d}}B={{urn:d}}two@segment' else '' end, '' from {{flows}} cross join (values (1), (2)) v(k) where qidx % 10 <> 0
+  union all select {INLINE}, 'unit', null, null, null, null, null, null, null, '', '{{{inline.ISO4217}}}USD' || case when k = 2 then '/{{{inline.XBRLI}}}shares' else '' end from {{flows}} cross join (values (1), (2)) v(k) where qidx % 10 <> 0""")
 def s6(t: Data) -> DataFrame:
-    return bodies.inline_facts(inline_documents(t), "doc").select("doc", "kind", "name", flags.text(F.col("dimensions")).alias("dimensions"))
+    rows = inline.inline_facts(inline_documents(t), "doc", "owner")
+    shown = F.when(F.coalesce(F.col("name") != "{urn:gaap}Income", F.lit(True)), F.col("text"))  # amounts are in J22
+    measures = F.concat_ws("/", F.array_join("numerators", "*"), F.when(F.size("denominators") > 0, F.array_join("denominators", "*")))
+    return rows.select("doc", "kind", "name", shown.alias("text"), "state", "problem", "period_kind", "start_date", "end_date", F.coalesce(flags.text(F.col("dimensions")), F.lit("")).alias("dimensions"), measures.alias("measures"))
 
 
-@query("J22_fact_context_unit", f"select {INLINE}, cast(period_end as varchar) as period, 'USD' as measure, cast(round(income, 0) as double) * 1000 as value from {{flows}} where qidx % 10 not in (0, 5)")
+@query("J22_fact_context_unit", f"select {INLINE}, case when not {_WRONG} then period_start end as start_date, case when not {_WRONG} then period_end end as end_date, '{inline.ISO4217}' as space, case when {_WRONG} or qidx % 10 = 5 then 'unsupported' else 'observed' end as state, case when not {_WRONG} and qidx % 10 <> 5 then cast(round(income, 0) as double) * 1000 end as value from {{flows}} where qidx % 10 <> 0")
 def j22(t: Data) -> DataFrame:
-    facts = bodies.selected_facts(bodies.resolved_facts(bodies.inline_facts(inline_documents(t), "doc")), "gaap:Income", ["d:B=m:2", "d:A=m:1"])
-    value = scalar.scaled_number(F.col("text"), F.col("scale"), F.col("sign"), F.col("form"))
-    return facts.select("doc", "period", "measure", (value.cast("double") + F.lit(0.0)).alias("value"))
+    found = inline.resolved_facts(inline.inline_facts(inline_documents(t), "doc", "owner"))
+    facts = inline.selected_facts(found, "{urn:gaap}Income", ["{urn:d}B={urn:d}two@segment", "{urn:d}A={urn:d}one@segment"])
+    value = scalar.scaled_number(F.col("text"), F.col("scale"), F.col("sign"), F.element_at(F.split("form", "}"), -1))
+    return facts.select("doc", "start_date", "end_date", F.regexp_extract(F.col("numerators")[0], r"\{(.*)\}USD", 1).alias("space"), "state", (value.cast("double") + F.lit(0.0)).alias("value"))
 
 
 @query("F19_scaled_numbers", """select event_id, case when event_type = 'error' then 0.0 when event_type = 'click' and event_id % 5 = 0 then null else cast(w as double) * case event_id % 3 when 0 then 1 when 1 then 1000 else 1 end / case when event_id % 3 = 2 then 100 else 1 end * case when event_id % 2 = 0 then 1 else -1 end end as value

@@ -138,78 +138,6 @@ def yield_xml(bodies: DataFrame, keys: list[str], field: str) -> DataFrame:
     return rows.select(*keys, F.to_date(F.substring("e.content.properties.NEW_DATE", 1, 10)).alias("reference_date"), value.alias("value"), F.when(raw.isNull() | (raw == ""), "source_null").when(value.isNull(), "unparseable").otherwise("observed").alias("state"))
 
 
-PARTS = "kind string, id string, name string, context string, unit string, text string, scale long, sign string, decimals string, form string, nil boolean, dimensions array<string>"
-
-
-def _inline_parts(body: str) -> Iterator[tuple]:
-    """The parts of one document in the order of :data:`PARTS`; what cannot be read is a problem part."""
-    from xml.etree import ElementTree
-
-    def problem(what: str, element=None) -> tuple:
-        return ("problem", None if element is None else element.get("id"), what, *[None] * 8, [])
-
-    if body is None or "<!ENTITY" in body or "<!DOCTYPE" in body:
-        yield problem("empty" if body is None else "declarations_refused")
-        return
-    if len(body.encode()) > MOST_BYTES:
-        yield problem("too_large")
-        return
-    try:
-        root = ElementTree.fromstring(body)
-    except ElementTree.ParseError:
-        yield problem("not_well_formed")
-        return
-    for e in root.iter():
-        name = e.tag.rpartition("}")[2] if isinstance(e.tag, str) else ""
-        text = "".join(e.itertext())
-        if name == "nonFraction":
-            scale = e.get("scale") or "0"
-            if not scale.lstrip("-").isdigit() or len(scale) > 4:
-                yield problem("scale_invalid", e)
-                continue
-            nil = next((v == "true" for k, v in e.attrib.items() if k.rpartition("}")[2] == "nil"), False)
-            form = (e.get("format") or "").rpartition(":")[2] or None
-            yield ("fact", e.get("id"), e.get("name"), e.get("contextRef"), e.get("unitRef"), text, int(scale), e.get("sign"), e.get("decimals"), form, nil, [])
-        elif name == "context":
-            members = sorted(f"{x.get('dimension')}={''.join(x.itertext()).strip()}" for x in e.iter() if isinstance(x.tag, str) and x.tag.rpartition("}")[2] in ("explicitMember", "typedMember"))
-            period = next(("".join(x.itertext()).strip() for x in e.iter() if isinstance(x.tag, str) and x.tag.rpartition("}")[2] == "period"), text.strip())
-            yield ("context", e.get("id"), None, None, None, period, None, None, None, None, None, members)
-        elif name == "unit":
-            yield ("unit", e.get("id"), None, None, None, text.strip(), *[None] * 5, [])
-
-
-def inline_facts(documents: DataFrame, key: str) -> DataFrame:
-    """Facts, contexts and units of XHTML documents, one row each. Documents over 64 MiB, with entity or
-    type declarations or not well-formed, and facts with a bad scale, give a problem row; the job goes on."""
-    import pandas as pd
-
-    names = [x.split()[0] for x in PARTS.split(", ")]
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(doc, *part) for doc, body in zip(batch["doc"], batch["body"]) for part in _inline_parts(body)]
-            out = pd.DataFrame(rows, columns=["doc", *names])
-            out["scale"], out["nil"] = out["scale"].astype("Int64"), out["nil"].astype("boolean")
-            yield out
-
-    kind = documents.schema[key].dataType.simpleString()
-    return documents.select(F.col(key).alias("doc"), "body").mapInPandas(parse, f"doc {kind}, {PARTS}")
-
-
-def resolved_facts(parts: DataFrame) -> DataFrame:
-    """Facts with the periods and dimensions of their contexts and the texts of their units."""
-    contexts = parts.filter("kind = 'context'").select("doc", F.col("id").alias("context"), F.col("text").alias("period"), F.col("dimensions").alias("members"))
-    units = parts.filter("kind = 'unit'").select("doc", F.col("id").alias("unit"), F.col("text").alias("measure"))
-    return parts.filter("kind = 'fact'").join(contexts, ["doc", "context"], "left").join(units, ["doc", "unit"], "left")
-
-
-def selected_facts(resolved: DataFrame, tag: str, members: list[str]) -> DataFrame:
-    """Facts of a qualified tag whose context has exactly these dimensions, in any order; a nil fact counts
-    as chosen and has no value."""
-    wanted = F.array(*[F.lit(m) for m in sorted(members)]) if members else F.array().cast("array<string>")
-    return resolved.filter((F.col("name") == tag) & (F.col("members") == wanted)).withColumn("text", F.when(~F.coalesce("nil", F.lit(False)), F.col("text")))
-
-
 def verified(bodies: DataFrame) -> DataFrame:
     """problem is set where a body is not the one that was pinned."""
     raw = F.col("body").cast("binary")

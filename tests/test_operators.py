@@ -212,20 +212,6 @@ def test_older_documents_have_bounds(spark):
     assert [(r.name, r.advertised, r.problem) for r in found] == [("a", 3, None), ("b", None, "bounds_crossed"), (None, 1, "name_missing"), ("c", None, "bounds_missing")]
 
 
-def test_inline_facts_with_dimensions_formats_and_problems(spark):
-    body = (
-        '<html xmlns:ix="urn:ix" xmlns:xsi="urn:xsi"><context id="c"><segment><explicitMember dimension="d:B">m:2</explicitMember><typedMember dimension="d:A"><v>1</v></typedMember></segment><period>2024</period></context><unit id="u">USD</unit>'
-        '<ix:nonFraction id="f" name="a:X" contextRef="c" unitRef="u" scale="x">1</ix:nonFraction><ix:nonFraction id="g" name="a:X" contextRef="c" unitRef="u" scale="-2" decimals="INF" format="ixt:num-dot-decimal">1,5 0.2 5</ix:nonFraction><ix:nonFraction id="h" name="a:X" contextRef="c" unitRef="u" xsi:nil="true"/></html>'
-    )
-    rows = spark.createDataFrame([(1, body), (2, "<!DOCTYPE a []><a/>")], "k int, body string")
-    parts = bodies.inline_facts(rows, "k")
-    assert sorted((r.doc, r.name) for r in parts.filter("kind = 'problem'").collect()) == [(1, "scale_invalid"), (2, "declarations_refused")]
-    facts = bodies.selected_facts(bodies.resolved_facts(parts), "a:X", ["d:B=m:2", "d:A=1"])
-    found = {r.id: r for r in facts.withColumn("n", scalar.scaled_number(F.col("text"), F.col("scale"), F.col("sign"), F.col("form"))).collect()}
-    assert set(found) == {"g", "h"} and found["g"].n == Decimal("1.5025") and found["g"].decimals == "INF" and found["h"].n is None and found["g"].period == "2024"
-    assert bodies.selected_facts(bodies.resolved_facts(parts), "a:X", []).count() == 0
-
-
 @pytest.mark.parametrize(
     ("text", "scale", "sign", "form", "want"),
     [("+5", 0, None, None, "5"), (".5", 0, "-", None, "-0.5"), ("5.", 3, None, None, "5000"), ("1,000", 0, None, None, None), ("1,000", -3, None, "num-dot-decimal", "1"), ("\u00a01 000.2 5\n", 0, None, "num-dot-decimal", "1000.25"), ("dash", 6, None, "fixed-zero", "0"), ("5", 0, None, "num-unit-decimal", None), ("-5", 0, None, None, None), ("123456789012345678.1", 0, None, None, "123456789012345678.1"), ("", 0, None, None, None), (None, 0, None, None, None)],
@@ -280,10 +266,6 @@ def test_levels_of_a_lineage(spark):
     assert got == {1: 0, 2: 1, 3: 2, 4: 3, 9: 5}
 
 
-def test_inline_document_that_is_not_well_formed(spark):
-    assert [r.kind for r in bodies.inline_facts(spark.createDataFrame([(1, "<a>"), (2, None)], "k int, body string"), "k").collect()] == ["problem", "problem"]
-
-
 def test_flags_are_sorted_sets(spark):
     r = spark.range(1).select(flags.union(F.array(F.lit("b"), F.lit("a")), F.array(F.lit("a"), F.lit(None))).alias("x"), flags.blocking(F.array(F.lit("revised_view"), F.lit("z"))).alias("y")).first()
     assert r.x == ["a", "b"] and r.y == ["z"]
