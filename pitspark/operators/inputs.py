@@ -57,6 +57,10 @@ def input_issues(asked: Column, period: Column, unit: Column, scope: Column, fac
     )
 
 
+#: Concepts of the vocabulary that belong to the cash flow statement (fixed values).
+CASH_CONCEPTS = ("cash_from_operating_activities", "capital_expenditures_ppe")
+
+
 def operand_issues(operands: Column, expected: list[str], balance_sheet: bool = False, same_period: bool = True) -> Column:
     """Why operands cannot go into one formula. ``operands`` is an array of structs (concept, value, issues,
     history_key, basis, unit, kind, start, end, edition, family, scope) in the order of the formula."""
@@ -68,7 +72,7 @@ def operand_issues(operands: Column, expected: list[str], balance_sheet: bool =
         return F.exists(operands, lambda o: F.coalesce(of(o), F.lit(True)))
 
     def family(o: Column) -> Column:
-        return F.lit("balance_sheet") if balance_sheet else F.when(o["concept"].isin("cfo", "capex"), "cash_flow").otherwise("income")
+        return F.lit("balance_sheet") if balance_sheet else F.when(o["concept"].isin(*CASH_CONCEPTS), "cash_flow").otherwise("income")
 
     kind = "instant" if balance_sheet else "duration"
     found = {
@@ -126,11 +130,18 @@ def history_points(current: DataFrame, snapshots: DataFrame, by: list[str], back
     return met.select(*by, "qidx", "then", "value", codes.alias("reasons"))
 
 
-def status_counts(assessed: DataFrame, roster: DataFrame, by: list[str], member: list[str]) -> DataFrame:
-    """Counts of every status over a whole roster (by, member); a member without a row is missing."""
-    joined = roster.join(assessed, [*by, *member], "left").withColumn("status", F.coalesce("status", F.lit("missing")))
-    counts = [F.count_if(F.col("status") == s).alias(s) for s in STATUSES]
-    return joined.groupBy(*by).agg(F.count("*").alias("members"), *counts).withColumn("covered", F.col("valid") / F.col("members"))
+STATUSES = ("valid", "not_meaningful", "missing", "invalid", "stale", "unsupported", "inapplicable")
 
 
-STATUSES = ("valid", "not_meaningful", "missing", "invalid", "stale", "unsupported", "inapplicable")
+def status_counts(assessed: DataFrame, roster: DataFrame, by: list[str], member: list[str]) -> DataFrame:
+    """Counts of every status over a whole roster (by, member, applicable).
+
+    A member that does not apply is inapplicable and one not reviewed (null) unsupported, whatever was
+    computed; an applicable one without a row is missing. ``covered`` is the share of applicable members that
+    are valid or not meaningful, null if none applies or one is not reviewed.
+    """
+    joined = roster.join(assessed, [*by, *member], "left")
+    status = F.when(F.col("applicable").isNull(), "unsupported").when(~F.col("applicable"), "inapplicable").otherwise(F.coalesce("status", F.lit("missing")))
+    counts = [F.count_if(F.col("status") == s).alias(s) for s in STATUSES]
+    found = joined.withColumn("status", status).groupBy(*by).agg(F.count("*").alias("members"), *counts, F.count_if("applicable").alias("applicable"), F.count_if(F.col("applicable").isNull()).alias("unreviewed"), F.count_if(F.col("applicable") & F.col("status").isin("valid", "not_meaningful")).alias("_done"))
+    return found.withColumn("covered", F.when((F.col("unreviewed") == 0) & (F.col("applicable") > 0), F.col("_done") / F.col("applicable"))).drop("_done")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitspark.functions import flags, scalar
-from pitspark.functions.storage import work_dir
+from pitspark.functions.storage import stored, work_dir
 
 
 @dataclass(frozen=True)
@@ -74,6 +74,26 @@ def evidence_issues(e: Column, basis: Column | str, evaluated: Column, instant:
     return flags.union(flags.blocking(e["flags"], flags.METRIC_INFORMATIONAL), flags.reasons(**found))
 
 
+def one_snapshot(companies: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each issuer of a group (``keys`` end in the issuer), with ``snapshot_issues``.
+
+    Equal rows are one snapshot; rows that differ are a conflict, in which none is chosen: the issuer stays on
+    the roster and nothing of it is used.
+    """
+    if "issuer" not in companies.columns or "snapshot_issues" in companies.columns:
+        return companies
+    others = [c for c in companies.columns if c not in keys]
+    found = companies.withColumn("_sign", F.xxhash64(*others)).groupBy(*keys).agg(F.min("_sign").alias("_low"), F.max("_sign").alias("_high"), *[F.first(c).alias(c) for c in others])
+    issues = F.when(F.col("_low") != F.col("_high"), F.array(F.lit("conflicting_issuer_snapshots")))
+    return found.withColumn("snapshot_issues", issues).drop("_low", "_high")
+
+
+def sound_cap(companies: DataFrame, cap: str = "cap") -> Column:
+    """Whether a cap is known: positive, without issues of its own or of its snapshot."""
+    issues = [F.coalesce(F.size(_or_null(companies, c, "array<string>")), F.lit(0)) <= 0 for c in (f"{cap}_issues", "snapshot_issues")]
+    return F.coalesce(F.col(cap) > 0, F.lit(False)) & issues[0] & issues[1]
+
+
 def _or_null(companies: DataFrame, name: str, kind: str) -> Column:
     return F.col(name) if name in companies.columns else F.lit(None).cast(kind)
 
@@ -82,12 +102,18 @@ def assessed(companies: DataFrame, metric: SectorMetric, name: str = "m") -> Dat
     """Adds a struct ``name`` to each roster row: num, den, error, sign, complete (K), valid (the company's
     own ratio counts), in_total, ratio, reasons (not in the total) and ratio_reasons (not in a distribution).
 
-    Absolute errors are read from ``<denominator>_error`` and evidence issues from ``<input>_issues``
+    ``name`` is the metric in ``applicable``, the profile's list, where there is such a column; flows whose
+    ``<input>_period`` differ are incompatible. Absolute errors are read from ``<denominator>_error`` and evidence issues from ``<input>_issues``
     where there are such columns; a missing error counts as none."""
     num = F.col(metric.numerator)
     den = F.col(metric.denominator) if metric.denominator else F.lit(None).cast("decimal(38,4)")
     inputs = [c for c in (metric.numerator, metric.denominator) if c]
     own = [_or_null(companies, f"{c}_issues", "array<string>") for c in inputs]
+    if "applicable" in companies.columns:
+        own.append(flags.reasons(unsupported_profile=~F.array_contains("applicable", name)))
+    spans = [F.col(f"{c}_period") for c in inputs if c not in ("cap", "prior_revenue") and f"{c}_period" in companies.columns]
+    if len(spans) > 1:
+        own.append(flags.reasons(incompatible_periods=F.size(F.array_distinct(F.array(*spans))) > 1))
     issues = flags.union(
         *[F.coalesce(c, F.array().cast("array<string>")) for c in own],
         flags.reasons(company_snapshot_missing=F.forall(F.array(*[F.col(c).isNull() for c in inputs]), lambda x: x), input_missing=F.exists(F.array(*[F.col(c).isNull() for c in inputs]), lambda x: x)),
@@ -95,6 +121,8 @@ def assessed(companies: DataFrame, metric: SectorMetric, name: str = "m") -> Dat
     issues = F.when(F.array_contains(issues, "company_snapshot_missing"), F.array_remove(issues, "input_missing")).otherwise(issues)
     if metric.numerator == "cap":
         issues = F.when((F.size(issues) == 0) & (num <= 0), F.array(F.lit("market_cap_nonpositive"))).otherwise(issues)
+    rejected = _or_null(companies, "snapshot_issues", "array<string>")
+    issues = F.when(F.coalesce(F.size(rejected), F.lit(0)) > 0, rejected).otherwise(issues)
     complete = F.size(issues) == 0
     error = F.coalesce(_or_null(companies, f"{metric.denominator}_error", "decimal(38,4)"), F.lit(0))
     dividend = num - den if metric.kind == "growth" else num
@@ -117,7 +145,7 @@ def assessed(companies: DataFrame, metric: SectorMetric, name: str = "m") -> Dat
 def _values(metric: SectorMetric, m: str) -> list[Column]:
     """Aggregates of one metric over the struct ``m``: sums and counts of both cohorts."""
     c = lambda f: F.col(f"{m}.{f}")
-    known = F.bool_and(F.coalesce(F.col("cap") > 0, F.lit(False)))
+    known = F.bool_and("_sound_cap")
     ends = F.array("period_end", "prior_end") if metric.kind == "growth" else F.array("period_end")
     out = {
         "n": F.count("*"), "k": F.count_if(c("complete")), "v": F.count_if(c("in_total")), "v_ratio": F.count_if(c("valid")),
@@ -138,12 +166,15 @@ def sector_values(companies: DataFrame, by: list[str], metrics: dict[str, Sector
 
     n is the roster, k those with complete inputs, v those in the total (growth also asks for a valid
     company growth), v_ratio those in the mean and the percentiles. Each method's coverage and gate go by
-    its own cohort. Optional columns: cap_date, prior_end, roster_complete, errors and issues of inputs.
+    its own cohort. Where there is an issuer, a group has one snapshot of each (:func:`one_snapshot`); the
+    full cap is known only if every issuer's is, without issues. Optional columns: cap_date, prior_end,
+    roster_complete, errors and issues of inputs, cap_issues, snapshot_issues, applicable, periods.
     """
     for name, kind in (("cap_date", "date"), ("prior_end", "date")):
         companies = companies.withColumn(name, _or_null(companies, name, kind))
     companies = companies.withColumn("roster_complete", F.coalesce(_or_null(companies, "roster_complete", "boolean"), F.lit(True)))
-    rows = companies
+    rows = one_snapshot(companies, [*by, "issuer"])
+    rows = rows.withColumn("_sound_cap", sound_cap(rows))
     for name, metric in metrics.items():
         rows = assessed(rows, metric, name)
     every = rows.groupBy(*by).agg(*[F.struct(*_values(metric, name)).alias(name) for name, metric in metrics.items()])
@@ -176,7 +207,7 @@ LEVELS = ("industry", "sector", "market")
 def multi_level(companies: DataFrame, by: list[str], metrics: dict[str, SectorMetric], policy: Policy = Policy()) -> DataFrame:
     """Industry, sector and market values, each computed from companies: every row goes to its three groups."""
     up = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), (F.col("sector") if k < 2 else F.lit(None).cast("int")).alias("in_sector"), (F.col("industry") if k < 1 else F.lit(None).cast("int")).alias("in_industry")) for k in range(3)]))
-    rows = companies.withColumn("up", up)
+    rows = one_snapshot(companies, [*by, "issuer"]).withColumn("up", up)
     found = sector_values(rows.withColumns({"level": F.col("up.level"), "in_sector": F.col("up.in_sector"), "in_industry": F.col("up.in_industry")}), [*by, "level", "in_sector", "in_industry"], metrics, policy)
     name = F.get(F.array(*[F.lit(x) for x in LEVELS]), F.col("level"))
     return found.withColumns({"level": name, "sector": F.col("in_sector"), "industry": F.col("in_industry")}).drop("in_sector", "in_industry")
@@ -190,30 +221,35 @@ def leaders(rows: DataFrame, by: list[str], cap: str = "cap", many: int = 5) ->
 
 def known_caps(rows: DataFrame, by: list[str], cap: str = "cap") -> DataFrame:
     """The full cap of the groups in which every one is known."""
-    found = rows.groupBy(*by).agg(F.bool_and(F.coalesce(F.col(cap) > 0, F.lit(False))).alias("known"), F.sum(cap).alias("full"))
+    found = rows.groupBy(*by).agg(F.bool_and(sound_cap(rows, cap)).alias("known"), F.sum(cap).alias("full"))
     return found.filter("known").select(*by, "full")
 
 
 def top_by_cap(rows: DataFrame, by: list[str], many: int = 5) -> DataFrame:
     """rank within each group by cap; groups with an unknown cap give no row."""
+    rows = one_snapshot(rows, [*by, "issuer"])
     return leaders(rows, by, "cap", many).join(known_caps(rows, by), by).drop("full")
 
 
 def concentration(companies: DataFrame, by: list[str], many: int = 5, policy: Policy = Policy()) -> DataFrame:
     """Share of cap in today's largest companies, and total growth with and without those that were the
-    largest at the prior date. Either is null where a cap of its date is unknown.
-
-    Both growths come from one aggregation: the second is of columns that are null for the leaders."""
-    whole = lambda c: F.bool_and(F.coalesce(F.col(c) > 0, F.lit(False)))
-    known = companies.groupBy(*by).agg(whole("cap").alias("known"), whole("prior_cap").alias("known_then"), F.sum("cap").alias("full"))
-    held = leaders(companies, by, "cap", many).groupBy(*by).agg(F.sum("cap").alias("held"))
-    gone = leaders(companies, by, "prior_cap", many).select(*by, "issuer", F.lit(True).alias("_gone"))
-    rest = {f"rest_{c}": F.when(F.col("_gone").isNull(), F.col(c)) for c in ("revenue", "prior_revenue", "prior_revenue_error") if c in companies.columns}
-    marked = companies.join(gone, [*by, "issuer"], "left").withColumns(rest)
+    largest at the prior date.
+
+    All three are null unless the roster is complete and no snapshot rejected, as the largest of a known part
+    are not the largest; a share needs every cap of its date known without issues. Snapshots are stored once
+    for the four readings; both growths come from one aggregation, the second of columns that are null for
+    the leaders."""
+    rows = stored(one_snapshot(companies, [*by, "issuer"]), "snapshots")
+    whole = F.coalesce(_or_null(rows, "roster_complete", "boolean"), F.lit(True)) & (F.coalesce(F.size(_or_null(rows, "snapshot_issues", "array<string>")), F.lit(0)) <= 0)
+    known = rows.groupBy(*by).agg(F.bool_and(whole).alias("whole"), F.bool_and(sound_cap(rows)).alias("known"), F.bool_and(sound_cap(rows, "prior_cap")).alias("known_then"), F.sum("cap").alias("full"))
+    held = leaders(rows, by, "cap", many).groupBy(*by).agg(F.sum("cap").alias("held"))
+    gone = leaders(rows, by, "prior_cap", many).select(*by, "issuer", F.lit(True).alias("_gone"))
+    rest = {f"rest_{c}": F.when(F.col("_gone").isNull(), F.col(c)) for c in ("revenue", "prior_revenue", "prior_revenue_error") if c in rows.columns}
+    marked = rows.join(gone, [*by, "issuer"], "left").withColumns(rest)
     both = sector_values(marked, by, {"growth": METRICS["revenue_growth"], "rest": SectorMetric("rest_revenue", "rest_prior_revenue", "growth")}, policy)
     growth = both.groupBy(*by).agg(*[F.max(F.when(F.col("metric") == m, F.col("total"))).alias(m) for m in ("growth", "rest")])
     out = growth.join(known, by).join(held, by, "left")
-    return out.select(*by, F.when(F.col("known"), scalar.ratio(F.col("held"), F.col("full"))).alias("top_share"), "growth", F.when(F.col("known_then"), F.col("rest")).alias("growth_without_top"))
+    return out.select(*by, F.when(F.col("whole") & F.col("known"), scalar.ratio(F.col("held"), F.col("full"))).alias("top_share"), F.when(F.col("whole"), F.col("growth")).alias("growth"), F.when(F.col("whole") & F.col("known_then"), F.col("rest")).alias("growth_without_top"))
 
 
 def histogram(rows: DataFrame, by: list[str], value: str, bins: int) -> DataFrame:
@@ -255,7 +291,7 @@ def display_status(value: Column, codes: Column, comparable: Column) -> Column:
     def has(part: str) -> Column:
         return F.exists(codes, lambda c: c.contains(part))
 
-    return F.when(value.isNotNull(), F.when(comparable, "eligible").otherwise("limited")).when(has("stale"), "stale").when(has("unsupported"), "unsupported").when(has("nonpositive"), "not_meaningful").otherwise("missing")
+    return F.when(value.isNotNull(), F.when(comparable, "eligible").otherwise("limited")).when(has("stale"), "stale").when(has("unsupported"), "unsupported").when(has("nonpositive") | has("indistinguishable"), "not_meaningful").otherwise("missing")
 
 
 def growth_observations(total: Column, median: Column, positive: Column, zero: Column, negative: Column, v: Column, comparable: Column) -> Column:

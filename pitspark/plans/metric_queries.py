@@ -184,17 +184,21 @@ def f16(t: Data) -> DataFrame:
     return metrics.observed(seen(t)).select(*KEYS, "metric", "rule")
 
 
-VIEWS["assessed"] = """select s.issuer, s.qidx, case when s.industry % 7 = 3 then 'inapplicable' when s.cap <= 0 or s.income <= s.income_error then case when s.qidx < 7980 then 'stale' else 'not_meaningful' end when s.qidx < 7980 then 'stale' else 'valid' end as status from {snapshots} s"""
+VIEWS["assessed"] = """select s.issuer, s.qidx, case when s.cap <= 0 or s.income <= s.income_error then case when s.qidx < 7980 then 'stale' else 'not_meaningful' end when s.qidx < 7980 then 'stale' else 'valid' end as status from {snapshots} s"""
 
 
-@query("A16_status_counts", """select q.qidx, count(*) as members, count(case when a.status = 'valid' then 1 end) as valid, count(case when a.status = 'not_meaningful' then 1 end) as not_meaningful, count(case when a.status is null then 1 end) as missing, 0::bigint as invalid, count(case when a.status = 'stale' then 1 end) as stale, 0::bigint as unsupported,
-  count(case when a.status = 'inapplicable' then 1 end) as inapplicable, round(cast(count(case when a.status = 'valid' then 1 end) as double) / count(*), 6) as covered from {issuers} i cross join (select distinct qidx from {flows}) q left join {assessed} a on a.issuer = i.issuer and a.qidx = q.qidx group by 1""")
+#: Industry 3 of seven does not apply; the market of an issuer with a negative account is not reviewed in early quarters.
+VIEWS["metric_roster"] = "select q.qidx, i.issuer, case when s_acctbal < 0 and q.qidx < 7984 then null else i.industry % 7 <> 3 end as applicable from {issuers} i join {supplier} on s_suppkey = i.issuer cross join (select distinct qidx from {flows}) q"
+
+
+@query("A16_status_counts", """select qidx, members, valid, not_meaningful, missing, 0::bigint as invalid, stale, unreviewed as unsupported, members - applicable - unreviewed as inapplicable, applicable, unreviewed, case when unreviewed = 0 and applicable > 0 then round(cast(valid + not_meaningful as double) / applicable, 6) end as covered
+  from (select r.qidx, count(*) as members, count(case when applicable and a.status = 'valid' then 1 end) as valid, count(case when applicable and a.status = 'not_meaningful' then 1 end) as not_meaningful, count(case when applicable and a.status is null then 1 end) as missing, count(case when applicable and a.status = 'stale' then 1 end) as stale,
+    count(case when applicable then 1 end) as applicable, count(case when applicable is null then 1 end) as unreviewed from {metric_roster} r left join {assessed} a on a.issuer = r.issuer and a.qidx = r.qidx group by 1)""")
 def a16(t: Data) -> DataFrame:
     """Every status over the whole roster of issuers and quarters; quarters before twelve months are full are missing."""
     rows = metrics.metric(t.snapshots, "price_earnings")
-    assessed = rows.select(*KEYS, metrics.status(F.col("value"), F.col("reasons"), (F.lit(7980) - F.col("qidx")) * 91, 0, F.col("industry") % 7 != 3).alias("status"))
-    roster = t.issuers.select("issuer").crossJoin(F.broadcast(t.flows.select("qidx").distinct()))
-    return inputs.status_counts(assessed, roster, ["qidx"], ["issuer"]).withColumn("covered", F.round("covered", 6))
+    assessed = rows.select(*KEYS, metrics.status(F.col("value"), F.col("reasons"), (F.lit(7980) - F.col("qidx")) * 91, 0, F.lit(True)).alias("status"))
+    return inputs.status_counts(assessed, t.metric_roster, ["qidx"], ["issuer"]).withColumn("covered", F.round("covered", 6))
 
 
 @query("O2_review_topics", """with c as (select issuer, qidx, metric, rule, case rule when 'cash_spending_gap' then 'cash_generation' when 'revenue_declined' then 'revenue' else 'earnings' end as topic, case rule when 'cash_spending_gap' then 1 else 2 end as rank from {rules} where rule in ('cash_spending_gap', 'revenue_declined', 'operating_loss', 'consolidated_loss')
@@ -206,7 +210,7 @@ def o2(t: Data) -> DataFrame:
 
 
 #: A line of an order as a selected input: its columns decide what is wrong with it.
-VIEWS["input_rows"] = """select l_orderkey as request, l_linenumber as line, l_suppkey as issuer, case l_returnflag when 'N' then 'cfo' when 'A' then 'capex' else 'cost' end as concept, cast(round(l_discount * 100) as int) as d, cast(round(l_tax * 100) as int) as x, cast(l_quantity as int) as q,
+VIEWS["input_rows"] = """select l_orderkey as request, l_linenumber as line, l_suppkey as issuer, case l_returnflag when 'N' then 'cash_from_operating_activities' when 'A' then 'capital_expenditures_ppe' else 'cost' end as concept, cast(round(l_discount * 100) as int) as d, cast(round(l_tax * 100) as int) as x, cast(l_quantity as int) as q,
     cast(l_extendedprice as decimal(18,4)) as value, cast(date_trunc('quarter', l_shipdate) as date) as quarter_start, cast(l_shipdate as date) as day, l_linestatus as link from {lineitem}"""
 
 
@@ -219,7 +223,7 @@ def input_parts(t: Data) -> DataFrame:
     start = F.when(q == 1, F.date_add("day", 1)).otherwise(F.col("quarter_start"))
     return rows.select(
         "request", "line", "concept", "value", "link", "day", "quarter_start", d.alias("d"), x.alias("x"), q.alias("q"),
-        F.struct(F.col("issuer").alias("issuer"), F.array(F.lit("cfo"), F.lit("capex")).alias("concepts"), F.col("quarter_start").alias("period"), F.when(d == 0, "shares").otherwise("USD").alias("unit"), F.when(d == 4, "EUR").alias("currency"), F.lit("consolidated").alias("scope"), F.array(F.col("request")).alias("captures"), F.lit("1998-06-30 12:00:00").cast("timestamp").alias("captured_before"), F.lit(None).cast("date").alias("filed_cutoff")).alias("asked"),
+        F.struct(F.col("issuer").alias("issuer"), F.array(F.lit("cash_from_operating_activities"), F.lit("capital_expenditures_ppe")).alias("concepts"), F.col("quarter_start").alias("period"), F.when(d == 0, "shares").otherwise("USD").alias("unit"), F.when(d == 4, "EUR").alias("currency"), F.lit("consolidated").alias("scope"), F.array(F.col("request")).alias("captures"), F.lit("1998-06-30 12:00:00").cast("timestamp").alias("captured_before"), F.lit(None).cast("date").alias("filed_cutoff")).alias("asked"),
         F.struct(F.when(q > 45, F.add_months("quarter_start", 3)).otherwise(F.col("quarter_start")).alias("id"), F.lit("duration").alias("kind"), start.alias("start"), F.col("day").alias("end")).alias("period"),
         F.struct(unit.alias("key"), numerators.alias("numerators"), F.when(d == 1, F.array(F.lit("xbrli:shares"))).alias("denominators")).alias("unit"),
         F.struct(F.when((x == 0) & (F.col("link") == "O"), "segment").otherwise("consolidated").alias("id"), F.when(x == 1, F.col("issuer") + 1).otherwise(F.col("issuer")).alias("issuer"), F.lit("consolidated").alias("kind"), F.lit(None).cast("string").alias("instrument"), descriptor.alias("descriptor"), F.sha2(F.when(x == 2, F.reverse(descriptor)).otherwise(descriptor), 256).alias("sha256")).alias("scope"),
@@ -235,19 +239,19 @@ def p15(t: Data) -> DataFrame:
     return input_parts(t).select("request", "line", flags.text(codes).alias("reasons"))
 
 
-@query("P16_operand_compatibility", """select a.request, concat_ws('|', case when a.day <> b.day or a.quarter_start <> b.quarter_start then 'incompatible_periods' end, case when a.link <> b.link then 'incompatible_reporting_basis' end, case when a.concept not in ('cfo', 'capex') or b.concept not in ('cfo', 'capex') or a.x = 0 or b.x = 0 then 'incompatible_statement_family' end,
-  case when a.u <> b.u or a.d in (1, 2) or b.d in (1, 2) then 'incompatible_units' end, case when a.q = 2 or b.q = 2 then 'source_input_unavailable' end, case when a.concept <> 'cfo' or b.concept <> 'capex' then 'unexpected_concept' end, case when a.d = 4 or b.d = 4 then 'unsupported_semantic_scope' end) as reasons
+@query("P16_operand_compatibility", """select a.request, concat_ws('|', case when a.day <> b.day or a.quarter_start <> b.quarter_start then 'incompatible_periods' end, case when a.link <> b.link then 'incompatible_reporting_basis' end, case when a.concept not in ('cash_from_operating_activities', 'capital_expenditures_ppe') or b.concept not in ('cash_from_operating_activities', 'capital_expenditures_ppe') or a.x = 0 or b.x = 0 then 'incompatible_statement_family' end,
+  case when a.u <> b.u or a.d in (1, 2) or b.d in (1, 2) then 'incompatible_units' end, case when a.q = 2 or b.q = 2 then 'source_input_unavailable' end, case when a.concept <> 'cash_from_operating_activities' or b.concept <> 'capital_expenditures_ppe' then 'unexpected_concept' end, case when a.d = 4 or b.d = 4 then 'unsupported_semantic_scope' end) as reasons
   from (select *, case d when 1 then 'USD/shares' when 2 then 'usd' else 'USD' end as u from {input_rows}) a join (select *, case d when 1 then 'USD/shares' when 2 then 'usd' else 'USD' end as u from {input_rows}) b on a.request = b.request and a.line = 1 and b.line = 2""")
 def p16(t: Data) -> DataFrame:
     d = F.col("d")
     one = F.struct(
         "line", "concept", F.when(F.col("q") != 2, F.col("value")).alias("value"), F.array(F.lit("revised_view")).alias("issues"), F.lit("own").alias("history_key"), F.when(F.col("link") == "O", "us_gaap").otherwise("ifrs").alias("basis"), F.when(d == 1, "USD/shares").when(d == 2, "usd").otherwise("USD").alias("unit"),
-        F.lit("duration").alias("kind"), F.col("quarter_start").alias("start"), F.col("day").alias("end"), F.col("request").alias("edition"), F.when((F.col("x") == 0) | ~F.col("concept").isin("cfo", "capex"), "notes").otherwise("cash_flow").alias("family"), F.when(d == 4, "segment").otherwise("consolidated").alias("scope"),
+        F.lit("duration").alias("kind"), F.col("quarter_start").alias("start"), F.col("day").alias("end"), F.col("request").alias("edition"), F.when((F.col("x") == 0) | ~F.col("concept").isin("cash_from_operating_activities", "capital_expenditures_ppe"), "notes").otherwise("cash_flow").alias("family"), F.when(d == 4, "segment").otherwise("consolidated").alias("scope"),
     )
     rows = input_parts(t).select("request", "line", one.alias("o"))
     first, second = (rows.filter(F.col("line") == k).select("request", F.col("o").alias(f"o{k}")) for k in (1, 2))
     pairs = first.join(second, "request").withColumn("operands", F.array("o1", "o2"))
-    return pairs.select("request", flags.text(inputs.operand_issues(F.col("operands"), ["cfo", "capex"])).alias("reasons"))
+    return pairs.select("request", flags.text(inputs.operand_issues(F.col("operands"), ["cash_from_operating_activities", "capital_expenditures_ppe"])).alias("reasons"))
 
 
 @query("P17_numeric_limits", "select event_id, case when event_type = 'error' then false when event_type = 'click' then event_id % 2 = 0 else true end as within from {events}")

@@ -11,13 +11,13 @@ from pitspark.plans.bridge import VIEWS
 from pitspark.plans.registry import Data, query
 
 VIEWS["pe_rows"] = """
-    select *, coalesce(cap > 0 and income is not null, false) as complete, coalesce(cap > 0 and income > 0 and income > income_error, false) as valid,
-      case when cap > 0 and income > 0 and income > income_error then cast(cap as double) / cast(income as double) end as ratio
-    from {snapshots}"""
+    select *, coalesce(not conflict and cap_issue is null and cap > 0 and income is not null, false) as complete, coalesce(not conflict and cap_issue is null and cap > 0 and income > 0 and income > income_error, false) as valid,
+      case when not conflict and cap_issue is null and cap > 0 and income > 0 and income > income_error then cast(cap as double) / cast(income as double) end as ratio
+    from {rostered}"""
 VIEWS["growth_rows"] = """
-    select *, prior_revenue is not null as complete, coalesce(prior_revenue > 0 and prior_revenue > prior_revenue_error, false) as valid,
-      case when prior_revenue > 0 and prior_revenue > prior_revenue_error then cast(revenue - prior_revenue as double) / cast(prior_revenue as double) end as ratio
-    from {snapshots}"""
+    select *, not conflict and prior_revenue is not null as complete, coalesce(not conflict and prior_revenue > 0 and prior_revenue > prior_revenue_error, false) as valid,
+      case when not conflict and prior_revenue > 0 and prior_revenue > prior_revenue_error then cast(revenue - prior_revenue as double) / cast(prior_revenue as double) end as ratio
+    from {rostered}"""
 BY = ["sector", "qidx"]
 PE, GROWTH = sectors.METRICS["price_earnings"], sectors.METRICS["revenue_growth"]
 
@@ -26,12 +26,17 @@ def r6(name: str, out: str | None = None):
     return F.round(F.col(name).cast("double"), 6).alias(out or name)
 
 
+def companies(t: Data) -> DataFrame:
+    """Snapshots of issuers, some of them twice, with what speaks against their caps."""
+    return t.snapshot_rows.withColumn("cap_issues", F.when(F.col("cap_issue").isNotNull(), F.array("cap_issue"))).drop("cap_issue")
+
+
 def pe(t: Data) -> DataFrame:
-    return sectors.assessed(t.snapshots, PE).select("*", "m.ratio", "m.reasons", "m.ratio_reasons")
+    return sectors.assessed(sectors.one_snapshot(companies(t), [*BY, "issuer"]), PE).select("*", "m.ratio", "m.reasons", "m.ratio_reasons")
 
 
 def values(t: Data, *names: str) -> DataFrame:
-    return sectors.sector_values(t.snapshots, BY, {name: sectors.METRICS[name] for name in names})
+    return sectors.sector_values(companies(t), BY, {name: sectors.METRICS[name] for name in names})
 
 
 def pe_values(t: Data) -> DataFrame:
@@ -47,7 +52,7 @@ TOTAL_PE = """case when sum(case when complete then income end) > 0 and sum(case
 TOTAL_GROWTH = """case when sum(case when valid then prior_revenue end) > 0 and sum(case when valid then prior_revenue end) > sum(case when valid then prior_revenue_error end)
     then cast(sum(case when valid then revenue - prior_revenue end) as double) / cast(sum(case when valid then prior_revenue end) as double) end"""
 BREADTH = "case when count(case when valid then 1 end) > 0 then cast(count(case when valid and ratio > 0 then 1 end) as double) / count(case when valid then 1 end) end"
-COVER = "case when bool_and(coalesce(cap > 0, false)) then cast(sum(case when {cohort} then cap end) as double) / cast(sum(cap) as double) end"
+COVER = "case when bool_and(coalesce(cap > 0 and cap_issue is null and not conflict, false)) then cast(sum(case when {cohort} then cap end) as double) / cast(sum(cap) as double) end"
 
 
 @query("A5_sector_total", f"select sector, qidx, round({TOTAL_PE}, 6) as total from {{pe_rows}} group by 1, 2")
@@ -71,15 +76,15 @@ def a7(t: Data) -> DataFrame:
 
 
 @query("A8_sector_breadth", f"""select sector, qidx, 'growth_breadth' as metric, round({BREADTH}, 6) as breadth from {{growth_rows}} group by 1, 2
-  union all select sector, qidx, 'profit_breadth', round(cast(count(case when income > 0 then 1 end) as double) / nullif(count(income), 0), 6) from {{snapshots}} group by 1, 2
-  union all select sector, qidx, 'cash_breadth', round(cast(count(case when cfo > capex then 1 end) as double) / nullif(count(fcf), 0), 6) from {{snapshots}} group by 1, 2""")
+  union all select sector, qidx, 'profit_breadth', round(cast(count(case when income > 0 then 1 end) as double) / nullif(count(income), 0), 6) from {{rostered}} where not conflict group by 1, 2
+  union all select sector, qidx, 'cash_breadth', round(cast(count(case when cfo > capex then 1 end) as double) / nullif(count(fcf), 0), 6) from {{rostered}} where not conflict group by 1, 2""")
 def a8(t: Data) -> DataFrame:
     return values(t, "growth_breadth", "profit_breadth", "cash_breadth").select(*BY, "metric", r6("total", "breadth"))
 
 
 @query("A9_sector_counts", """select sector, qidx, 'price_earnings' as metric, count(*) as n, count(case when complete then 1 end) as k, count(case when complete then 1 end) as v, count(case when valid then 1 end) as v_ratio,
   count(case when complete and income > 0 then 1 end) as positive, count(case when complete and income < 0 then 1 end) as negative, count(case when complete and income = 0 then 1 end) as zero, count(case when complete and income = 0 then 1 end) as zero_denominators from {pe_rows} group by 1, 2
-  union all select sector, qidx, 'operating_margin', count(*), count(*), count(*), count(case when revenue > revenue_error then 1 end), count(case when operating_income > 0 then 1 end), count(case when operating_income < 0 then 1 end), count(case when operating_income = 0 then 1 end), count(case when revenue = 0 then 1 end) from {snapshots} group by 1, 2
+  union all select sector, qidx, 'operating_margin', count(*), count(case when not conflict then 1 end), count(case when not conflict then 1 end), count(case when not conflict and revenue > revenue_error then 1 end), count(case when not conflict and operating_income > 0 then 1 end), count(case when not conflict and operating_income < 0 then 1 end), count(case when not conflict and operating_income = 0 then 1 end), count(case when not conflict and revenue = 0 then 1 end) from {rostered} group by 1, 2
   union all select sector, qidx, 'revenue_growth', count(*), count(case when complete then 1 end), count(case when valid then 1 end), count(case when valid then 1 end), count(case when ratio > 0 then 1 end), count(case when ratio < 0 then 1 end), count(case when ratio = 0 then 1 end), count(case when complete and prior_revenue = 0 then 1 end) from {growth_rows} group by 1, 2""")
 def a9(t: Data) -> DataFrame:
     return values(t, "price_earnings", "operating_margin", "revenue_growth").select(*BY, "metric", "n", "k", "v", "v_ratio", "positive", "negative", "zero", "zero_denominators")
@@ -108,22 +113,22 @@ def a12(t: Data) -> DataFrame:
 
 VIEWS["top_caps"] = """
     select sector, qidx, issuer, cap, rank from (select *, row_number() over (partition by sector, qidx order by cap desc, issuer) as rank,
-      min(case when cap > 0 then 1 else 0 end) over (partition by sector, qidx) as known from {snapshots}) where known = 1 and rank <= 5"""
+      min(case when cap > 0 and cap_issue is null and not conflict then 1 else 0 end) over (partition by sector, qidx) as known from {rostered}) where known = 1 and rank <= 5"""
 VIEWS["top_prior"] = """
     select sector, qidx, issuer, rank <= 5 as leads from (select sector, qidx, issuer, row_number() over (partition by sector, qidx order by prior_cap desc, issuer) as rank,
-      min(case when prior_cap > 0 then 1 else 0 end) over (partition by sector, qidx) as known from {snapshots}) where known = 1"""
+      min(case when prior_cap > 0 and not conflict then 1 else 0 end) over (partition by sector, qidx) as known from {rostered}) where known = 1"""
 
 
-@query("A13_concentration", f"""select a.sector, a.qidx, t.top_share, a.growth, w.growth_without_top from (select sector, qidx, round({TOTAL_GROWTH}, 6) as growth from {{growth_rows}} group by 1, 2) a
+@query("A13_concentration", f"""select a.sector, a.qidx, t.top_share, a.growth, w.growth_without_top from (select sector, qidx, case when not bool_or(conflict) then round({TOTAL_GROWTH}, 6) end as growth from {{growth_rows}} group by 1, 2) a
   left join (select c.sector, c.qidx, round(cast(c.held as double) / cast(f.full_cap as double), 6) as top_share from (select sector, qidx, sum(cap) as held from {{top_caps}} group by 1, 2) c join (select sector, qidx, sum(cap) as full_cap from {{snapshots}} group by 1, 2) f on f.sector = c.sector and f.qidx = c.qidx) t on t.sector = a.sector and t.qidx = a.qidx
   left join (select g.sector, g.qidx, round({TOTAL_GROWTH}, 6) as growth_without_top from {{growth_rows}} g join {{top_prior}} p on p.sector = g.sector and p.qidx = g.qidx and p.issuer = g.issuer where not p.leads group by 1, 2) w on w.sector = a.sector and w.qidx = a.qidx""")
 def a13(t: Data) -> DataFrame:
-    return sectors.concentration(t.snapshots, BY).select(*BY, r6("top_share"), r6("growth"), r6("growth_without_top"))
+    return sectors.concentration(companies(t), BY).select(*BY, r6("top_share"), r6("growth"), r6("growth_without_top"))
 
 
 @query("O1_top_five_by_cap", "select sector, qidx, issuer, cast(cap as double) as cap, cast(rank as int) as rank from {top_caps}")
 def o1(t: Data) -> DataFrame:
-    return sectors.top_by_cap(t.snapshots, BY).select(*BY, "issuer", F.col("cap").cast("double").alias("cap"), "rank")
+    return sectors.top_by_cap(companies(t), BY).select(*BY, "issuer", F.col("cap").cast("double").alias("cap"), "rank")
 
 
 @query("A14_histogram", """with g as (select sector, qidx, ratio, min(ratio) over (partition by sector, qidx) as low, max(ratio) over (partition by sector, qidx) as high from {pe_rows} where ratio is not null)
@@ -133,11 +138,11 @@ def a14(t: Data) -> DataFrame:
 
 
 @query("A15_exclusion_reasons", """select sector, qidx, reason, count(*) as n from (
-    select sector, qidx, 'company_denominator_nonpositive' as reason from {snapshots} where cap > 0 and income <= 0
-    union all select sector, qidx, 'company_denominator_indistinguishable_from_zero' from {snapshots} where cap > 0 and income > 0 and income <= income_error
-    union all select sector, qidx, 'market_cap_nonpositive' from {snapshots} where cap <= 0 and income is not null
-    union all select sector, qidx, 'input_missing' from {snapshots} where (cap is null) <> (income is null)
-    union all select sector, qidx, 'company_snapshot_missing' from {snapshots} where cap is null and income is null) group by 1, 2, 3""")
+    select sector, qidx, 'conflicting_issuer_snapshots' as reason from {rostered} where conflict
+    union all select sector, qidx, cap_issue from {rostered} where not conflict and cap_issue is not null
+    union all select sector, qidx, 'company_denominator_nonpositive' from {rostered} where not conflict and cap_issue is null and cap > 0 and income <= 0
+    union all select sector, qidx, 'company_denominator_indistinguishable_from_zero' from {rostered} where not conflict and cap_issue is null and cap > 0 and income > 0 and income <= income_error
+    union all select sector, qidx, 'market_cap_nonpositive' from {rostered} where not conflict and cap_issue is null and cap <= 0 and income is not null) group by 1, 2, 3""")
 def a15(t: Data) -> DataFrame:
     return sectors.exclusion_counts(pe(t), BY, "ratio_reasons")
 
@@ -148,7 +153,7 @@ def a15(t: Data) -> DataFrame:
   round({TOTAL_GROWTH}, 6), round(quantile_cont(ratio, 0.5), 6) from {{growth_rows}} group by grouping sets ((qidx, sector, industry), (qidx, sector), (qidx))""")
 def a18(t: Data) -> DataFrame:
     names = ("price_earnings", "revenue_growth")
-    return sectors.multi_level(t.snapshots, ["qidx"], {n: sectors.METRICS[n] for n in names}).select("qidx", "sector", "industry", "level", "metric", "n", "k", "v_ratio", r6("total"), r6("median"))
+    return sectors.multi_level(companies(t), ["qidx"], {n: sectors.METRICS[n] for n in names}).select("qidx", "sector", "industry", "level", "metric", "n", "k", "v_ratio", r6("total"), r6("median"))
 
 
 VIEWS["quarters"] = "select distinct qidx from {flows}"
@@ -199,7 +204,7 @@ def f18(t: Data) -> DataFrame:
 @query("F21_axis_ticks", """with e as (select sector, least(coalesce(min(ratio), 0), 0) as low, greatest(coalesce(max(ratio), 0), 0) as high from {growth_rows} group by 1), d as (select sector, case when low < 0 then low - (high - low) / 20 else low end as a, case when low = high then 1 else high + (high - low) / 20 end as b from e)
   select sector, cast(i as int) as tick, round(a + i * ((b - a) / 4), 6) as value from d cross join range(0, 5) t(i)""")
 def f21(t: Data) -> DataFrame:
-    return sectors.axis_ticks(sectors.assessed(t.snapshots, GROWTH).select("sector", "m.ratio"), ["sector"], "ratio").select("sector", "tick", r6("value"))
+    return sectors.axis_ticks(sectors.assessed(sectors.one_snapshot(companies(t), [*BY, "issuer"]), GROWTH).select("sector", "m.ratio"), ["sector"], "ratio").select("sector", "tick", r6("value"))
 
 
 VIEWS["evidence"] = """select o_orderkey as amount, case when o_orderstatus = 'P' then null else cast(o_totalprice as decimal(18,4)) end as value, case o_orderpriority when '2-HIGH' then null when '3-MEDIUM' then cast(-1 as decimal(18,4)) else cast(0.5 as decimal(18,4)) end as absolute_error,
@@ -217,7 +222,7 @@ def p14(t: Data) -> DataFrame:
     return rows.select("amount", F.array_join(F.sort_array(codes), "|").alias("reasons"))
 
 
-@query("P20_display_status", """select issuer, qidx, case when ratio is not null then 'eligible' when income <= 0 or cap <= 0 then 'not_meaningful' else 'missing' end as status from {pe_rows}""")
+@query("P20_display_status", """select issuer, qidx, case when ratio is not null then 'eligible' when not conflict and cap_issue is null and (income <= income_error or cap <= 0) then 'not_meaningful' else 'missing' end as status from {pe_rows}""")
 def p20(t: Data) -> DataFrame:
     return pe(t).select("issuer", "qidx", sectors.display_status(F.col("ratio"), F.col("ratio_reasons"), F.lit(True)).alias("status"))
 

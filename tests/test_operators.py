@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pitspark.functions import flags, scalar
+from pitspark.functions.concepts import CONCEPTS
 from pitspark.operators import changes, history, inputs, metrics, periods, sectors, selection, valuation
 from pitspark.sources import bodies
 from pitspark.streaming.change_feed import ChangeFeed
@@ -345,22 +346,29 @@ def test_units_and_scopes(spark):
     assert all(r.x == r.want for r in rows.select(inputs.unit_fits(F.struct("key", "numerators", "denominators")).alias("x"), "want").collect())
 
 
+CFO, CAPEX = inputs.CASH_CONCEPTS
+
+
 def test_operands_of_one_formula(spark):
     schema = "concept string, value decimal(18,2), issues array<string>, history_key string, basis string, unit string, kind string, start date, end date, edition string, family string, scope string"
-    good = ("cfo", Decimal(5), ["revised_view"], "own", "us_gaap", "USD", "duration", D(2025, 1, 1), D(2025, 3, 31), "e", "cash_flow", "consolidated")
+    good = (CFO, Decimal(5), ["revised_view"], "own", "us_gaap", "USD", "duration", D(2025, 1, 1), D(2025, 3, 31), "e", "cash_flow", "consolidated")
 
     def ask(**other):
         names = [x.split()[0] for x in schema.split(", ")]
-        second = tuple(other.get(n, "capex" if n == "concept" else v) for n, v in zip(names, good))
+        second = tuple(other.get(n, CAPEX if n == "concept" else v) for n, v in zip(names, good))
         rows = spark.createDataFrame([(1, good), (2, second)], f"k int, o struct<{', '.join(x.replace(' ', ':', 1) for x in schema.split(', '))}>".replace("decimal(18:2)", "decimal(18,2)"))
         operands = F.transform(F.array_sort(F.collect_list(F.struct("k", "o"))), lambda x: x["o"])
-        return rows.agg(operands.alias("x")).select(inputs.operand_issues(F.col("x"), ["cfo", "capex"]).alias("r")).first().r
+        return rows.agg(operands.alias("x")).select(inputs.operand_issues(F.col("x"), [CFO, CAPEX]).alias("r")).first().r
 
     assert ask() == []
     assert ask(value=None, issues=["late"]) == ["late", "source_input_unavailable"]
     assert ask(start=None) == ["flow_period_required", "incompatible_periods"]
     assert ask(basis="other", unit="EUR", edition="f") == ["incompatible_filing_editions", "incompatible_reporting_basis", "incompatible_units", "unsupported_reporting_basis"]
-    assert ask(scope=None, family="income", history_key="x", concept="cfo") == ["incompatible_history_policy", "incompatible_statement_family", "unexpected_concept", "unsupported_semantic_scope"]
+    assert ask(scope=None, family="income", history_key="x", concept=CFO) == ["incompatible_history_policy", "incompatible_statement_family", "unexpected_concept", "unsupported_semantic_scope"]
+
+
+def test_cash_concepts_are_those_of_the_vocabulary():
+    assert set(inputs.CASH_CONCEPTS) <= set(CONCEPTS)
 
 
 def test_a_metric_is_accepted_with_its_evidence_only(spark):
@@ -487,3 +495,62 @@ def test_a_request_with_too_many_dates_is_refused(spark, monkeypatch):
     assert scalar.asked_for(dates.limit(2), "as_of", "x").first().x == [D(2024, 1, 1), D(2024, 1, 2)]
     with pytest.raises(Exception, match="a request may ask for 2"):
         scalar.asked_for(dates, "as_of", "x").collect()
+
+
+def snapshots(spark, rows, **columns):
+    """Companies of one sector: (issuer, cap, income, revenue, prior revenue, prior cap)."""
+    schema = "issuer int, cap decimal(18,2), income decimal(18,2), revenue decimal(18,2), prior_revenue decimal(18,2), prior_cap decimal(18,2)"
+    df = spark.createDataFrame([(r[0], *[None if v is None else Decimal(v) for v in r[1:]]) for r in rows], schema).withColumns({"sector": F.lit(1), "period_end": F.lit("2025-12-31").cast("date"), "cap_issues": F.lit(None).cast("array<string>")})
+    return df.withColumns(columns)
+
+
+def test_equal_snapshots_of_an_issuer_count_once_and_conflicting_ones_not_at_all(spark):
+    rows = [(1, 100, 10, 5, 4, 90), (1, 100, 10, 5, 4, 90), (2, 100, 10, 5, 4, 90), (3, 100, 10, 5, 4, 90), (4, 100, 10, 5, 4, 90)]
+    r = values(snapshots(spark, rows), "price_earnings")
+    assert (r.n, r.k, r.v, r.total, r.cap_coverage, r.comparable) == (4, 4, 4, 10.0, 1.0, True)
+    r = values(snapshots(spark, [*rows, (2, 100, 11, 5, 4, 90)]), "price_earnings")
+    assert (r.n, r.k, r.v, r.total) == (4, 3, 3, 10.0) and r.cap_coverage is None and not r.comparable and "full_capitalization_unknown" in r.flags
+    why = sectors.assessed(sectors.one_snapshot(snapshots(spark, [*rows, (2, 100, 11, 5, 4, 90)]), ["sector", "issuer"]), sectors.METRICS["price_earnings"]).filter("issuer = 2").first().m
+    assert why.reasons == ["conflicting_issuer_snapshots"] and not why.complete
+    one = sectors.sector_values(snapshots(spark, rows), ["sector"], {"revenue_growth": sectors.METRICS["revenue_growth"]}).first()
+    assert (one.n, one.total) == (4, 0.25)
+
+
+def test_a_cap_with_issues_is_unknown_everywhere(spark):
+    rows = [(k, 100, 10, 5, 4, 90) for k in range(1, 6)]
+    doubted = snapshots(spark, rows, cap_issues=F.when(F.col("issuer") == 5, F.array(F.lit("unsupported_currency"))))
+    r = values(doubted, "operating_margin" if "operating_income" in doubted.columns else "net_margin")
+    assert (r.n, r.k, r.total) == (5, 5, 2.0) and r.full_cap is None and r.cap_coverage is None and not r.comparable
+    assert sectors.top_by_cap(doubted, ["sector"]).count() == 0
+    c = sectors.concentration(doubted, ["sector"]).first()
+    assert c.top_share is None and c.growth == 0.25
+
+
+def test_concentration_needs_a_whole_universe(spark):
+    rows = [(k, 100 + k, 10, 5, 4, 90 + k) for k in range(1, 8)]
+    whole = sectors.concentration(snapshots(spark, rows), ["sector"]).first()
+    assert whole.top_share == pytest.approx(525 / 728) and whole.growth == 0.25 and whole.growth_without_top == 0.25
+    part = sectors.concentration(snapshots(spark, rows, roster_complete=F.col("issuer") != 3), ["sector"]).first()
+    assert (part.top_share, part.growth, part.growth_without_top) == (None, None, None)
+    torn = sectors.concentration(snapshots(spark, [*rows, (3, 1, 1, 1, 1, 1)]), ["sector"]).first()
+    assert (torn.top_share, torn.growth, torn.growth_without_top) == (None, None, None)
+    unknown = sectors.concentration(snapshots(spark, [*rows, (9, 100, 10, 5, 4, None)]), ["sector"]).first()
+    assert unknown.top_share is not None and unknown.growth == 0.25 and unknown.growth_without_top is None
+
+
+def test_profiles_and_periods_of_inputs(spark):
+    rows = snapshots(spark, [(k, 100, 10, 5, 4, 90) for k in (1, 2)], applicable=F.when(F.col("issuer") == 1, F.array(F.lit("price_earnings"))).otherwise(F.array(F.lit("net_margin"))), income_period=F.lit("2025"), revenue_period=F.when(F.col("issuer") == 1, "2024").otherwise("2025"))
+    got = {m: {r.issuer: r.m.reasons for r in sectors.assessed(rows, sectors.METRICS[m], m).withColumn("m", F.col(m)).collect()} for m in ("price_earnings", "net_margin")}
+    assert got == {"price_earnings": {1: [], 2: ["unsupported_profile"]}, "net_margin": {1: ["incompatible_periods", "unsupported_profile"], 2: []}}
+
+
+def test_display_of_a_denominator_that_cannot_be_told_from_zero(spark):
+    codes = F.array(F.lit("company_denominator_indistinguishable_from_zero"))
+    assert spark.range(1).select(sectors.display_status(F.lit(None), codes, F.lit(True)).alias("x")).first().x == "not_meaningful"
+
+
+def test_coverage_goes_by_the_applicability_roster(spark):
+    roster = spark.createDataFrame([(1, "a", True), (1, "b", True), (1, "c", True), (1, "d", False), (2, "a", True), (2, "b", None), (3, "a", False)], "k int, metric string, applicable boolean")
+    done = spark.createDataFrame([(1, "a", "valid"), (1, "b", "not_meaningful"), (1, "d", "valid"), (2, "a", "valid"), (3, "a", "valid")], "k int, metric string, status string")
+    got = {r.k: (r.members, r.valid, r.not_meaningful, r.missing, r.unsupported, r.inapplicable, r.applicable, r.unreviewed, r.covered) for r in inputs.status_counts(done, roster, ["k"], ["metric"]).collect()}
+    assert got == {1: (4, 1, 1, 1, 0, 1, 3, 0, pytest.approx(2 / 3)), 2: (2, 1, 0, 0, 1, 0, 1, 1, None), 3: (1, 0, 0, 0, 0, 1, 0, 0, None)}
