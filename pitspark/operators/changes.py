@@ -17,32 +17,40 @@ def compare(baseline: DataFrame, current: DataFrame, key: list[str], content: st
     return joined.select(*key, state.alias("state"))
 
 
+def side_flags() -> dict[str, Column]:
+    """Flags that either side of a comparison can have."""
+    return {"acceptance_unverified": F.col("unverified"), "duplicate_accession": F.col("copies") > 1, "inventory_incomplete": F.col("partial"), "filing_metadata_incomplete": F.col("bare")}
+
+
 def compared_inventories(baseline: DataFrame, current: DataFrame, by: list[str], forms: list[str]) -> DataFrame:
     """One row for each inventory pair: flags, numbers of new originals and amendments, and the outcome.
 
-    Rows (by, accession, form, acceptance_at, cutoff, content): other forms do not count; an acceptance time
-    that is null is unverified, a flag; a later one than the cutoff is left out. A repeated accession, one
-    that is gone and one whose content differs are flags. Any flag makes the outcome incomplete, and the
-    baseline does not advance. Forms that end in /A are amendments.
+    Rows (by, accession, form, acceptance_at, cutoff, content): other forms are not compared; an acceptance
+    time that is null is unverified, a flag; a later one than the cutoff is left out. An accession that comes
+    twice, in whatever form, one that is gone and one whose content differs are flags; so are, where rows have
+    them, ``complete`` that is false (also on a row without accession, for an answer without filings) and
+    ``described`` that is false for a filing that counts (no period end or no document). Any flag makes the
+    outcome incomplete, and the baseline does not advance. Forms that end in /A are amendments.
     """
 
     def side(rows: DataFrame, label: str) -> DataFrame:
-        mine = rows.filter(F.col("form").isin(forms))
-        seen = mine.groupBy(*by, "accession").agg(
-            F.lit(label).alias("side"), F.count("*").alias("copies"), F.bool_or(F.col("acceptance_at").isNull()).alias("unverified"),
-            F.bool_or(F.col("acceptance_at") <= F.col("cutoff")).alias("held"), F.min("form").alias("form"), F.min("content").alias("content"),
+        mine = F.coalesce(F.col("form").isin(forms), F.lit(False))
+        told = lambda c: ~F.coalesce(F.col(c), F.lit(False)) if c in rows.columns else F.lit(False)
+        counts = mine & F.coalesce(F.col("acceptance_at") <= F.col("cutoff"), F.lit(False))
+        return rows.groupBy(*by, "accession").agg(
+            F.lit(label).alias("side"), F.count("accession").alias("copies"), F.bool_or(mine & F.col("acceptance_at").isNull()).alias("unverified"), F.bool_or(told("complete")).alias("partial"), F.bool_or(counts & told("described")).alias("bare"),
+            F.bool_or(counts).alias("held"), F.min(F.when(mine, F.col("form"))).alias("form"), F.min(F.when(mine, F.col("content"))).alias("content"),
         )
-        return seen
 
     both = side(baseline, "baseline").unionByName(side(current, "current"))
     old, new = F.col("side") == "baseline", F.col("side") == "current"
     held = F.coalesce(F.col("held"), F.lit(False))
     each = both.groupBy(*by, "accession").agg(
         F.bool_or(old & held).alias("was"), F.bool_or(new & held).alias("is"), F.max(F.when(old & held, F.col("content"))).alias("before"), F.max(F.when(new & held, F.col("content"))).alias("after"), F.max(F.when(new & held, F.col("form"))).alias("form"),
-        *[F.bool_or(s & c).alias(f"{label}_{what}") for label, s in (("baseline", old), ("current", new)) for what, c in (("acceptance_unverified", F.col("unverified")), ("duplicate_accession", F.col("copies") > 1))],
+        *[F.bool_or(s & c).alias(f"{label}_{what}") for label, s in (("baseline", old), ("current", new)) for what, c in side_flags().items()],
     )
     changed, added, amendment = F.col("was") & F.col("is") & ~F.col("before").eqNullSafe(F.col("after")), F.col("is") & ~F.col("was"), F.col("form").endswith("/A")
-    codes = {"baseline_accession_missing": F.col("was") & ~F.col("is"), "existing_accession_metadata_changed": changed} | {f"{label}_{what}": F.col(f"{label}_{what}") for label in ("baseline", "current") for what in ("acceptance_unverified", "duplicate_accession")}
+    codes = {"baseline_accession_missing": F.col("was") & ~F.col("is"), "existing_accession_metadata_changed": changed} | {f"{label}_{what}": F.col(f"{label}_{what}") for label in ("baseline", "current") for what in side_flags()}
     out = each.groupBy(*by).agg(F.count_if(added & ~amendment).alias("originals"), F.count_if(added & amendment).alias("amendments"), *[F.bool_or(c).alias(k) for k, c in codes.items()])
     why = flags.reasons(**{k: F.col(k) for k in codes})
     return out.select(*by, "originals", "amendments", why.alias("flags"), outcome(why, F.col("originals"), F.col("amendments")).alias("outcome"))

@@ -308,9 +308,3 @@ def u5(t: Data) -> DataFrame:
     given = t.events.filter("event_type = 'click' and user_id % 9 <> 1").select(F.col("user_id").alias("capture")).distinct().withColumn("given", F.lit(True))
     off = wanted.join(given, "capture", "full_outer").filter("asked is null or given is null")
     return off.select("capture", F.when(F.col("asked").isNull(), "not_requested").otherwise("not_delivered").alias("reason"))
-
-
-@query("R2_backfill_keeps_newest", "select issuer, series, max(reference_date) as reference_date from {series} group by 1, 2")
-def r2(t: Data) -> DataFrame:
-    """An older reference date that arrives late never takes the place of a newer one."""
-    return t.series.groupBy("issuer", "series").agg(F.max("reference_date").alias("reference_date"))

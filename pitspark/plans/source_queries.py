@@ -13,6 +13,7 @@ from pitspark.plans.bridge import VIEWS
 from pitspark.plans.registry import Data, query
 from pitspark.sources import bodies, inline
 from pitspark.streaming.change_feed import ChangeFeed
+from pitspark.streaming.series_feed import SeriesFeed
 
 
 def fact_bodies(t: Data) -> DataFrame:
@@ -310,17 +311,44 @@ def a3(t: Data) -> DataFrame:
     return bodies.resolution(t.resolution_rows, ["request", "concept"])
 
 
-@query("R1_filing_change_feed", """with o as (select o_custkey as issuer, o_orderkey as accession, o_orderstatus as s, o_orderpriority = '1-URGENT' as u, o_totalprice < 20000 as gone from {orders}), good as (select issuer from o where not gone group by 1 having bool_and(s <> 'P'))
-  select issuer, accession, 'new' as state from o union all select issuer, accession, case when gone then 'removed' else 'changed' end from o join good using (issuer) where gone or u union all select issuer, accession, case when gone then 'new' else 'changed' end from o join good using (issuer) where gone or u""")
+FORM = "case when o_orderpriority = '1-URGENT' then '10-K/A' when o_orderpriority = '5-LOW' then '8-K' else '10-K' end"
+VIEWS["filed_orders"] = f"select o_custkey as issuer, o_orderkey as accession, {FORM} as form, o_orderdate as day, o_totalprice as price, o_orderstatus as status from {{orders}}"
+
+
+@query("R1_filing_change_feed", """with o as (select *, form in ('10-K', '10-K/A') as counts from {filed_orders}), b0 as (select issuer, accession, counts, 'as filed' as content from o where day < timestamp '2000-01-01 00:00:00'),
+  p1 as (select issuer, accession, form, counts, case when price > 300000 then 'amended' else 'as filed' end as content, status <> 'P' as complete from o where day < timestamp '2000-07-01 00:00:00' and price >= 20000),
+  f1 as (select issuer, bool_or(not complete) as part, count(case when counts and accession not in (select accession from b0) then 1 end) as added, count(case when form = '10-K/A' and accession not in (select accession from b0) then 1 end) as amended, bool_or(counts and content = 'amended' and accession in (select accession from b0)) as changed from p1 group by 1),
+  g1 as (select f1.*, issuer in (select issuer from b0) as known, issuer in (select issuer from b0 where counts and accession not in (select accession from p1)) as gone from f1),
+  r1 as (select *, concat_ws('|', case when gone then 'baseline_accession_missing' end, case when part then 'current_inventory_incomplete' end, case when changed then 'existing_accession_metadata_changed' end) as flags from g1),
+  b1 as (select * from b0 where issuer not in (select issuer from r1 where flags = '') union all select issuer, accession, counts, content from p1 where issuer in (select issuer from r1 where flags = '')),
+  f2 as (select o.issuer, count(case when o.counts and b1.accession is null then 1 end) as added, count(case when form = '10-K/A' and b1.accession is null then 1 end) as amended, bool_or(o.counts and coalesce(b1.content = 'amended', false)) as changed from o left join b1 on b1.accession = o.accession group by 1),
+  r2 as (select *, issuer in (select issuer from b1) as known, case when changed then 'existing_accession_metadata_changed' else '' end as flags from f2),
+  e as (select issuer, 0 as poll, false as known, 0 as added, 0 as amended, '' as flags from b0 group by 1 union all select issuer, 1, known, added, amended, flags from r1 union all select issuer, 2, known, added, amended, flags from r2)
+  select issuer, cast(poll as bigint) as poll, case when not known and flags = '' then 0 else added - amended end as originals, case when not known and flags = '' then 0 else amended end as amendments, flags, case when flags <> '' then 'incomplete' when not known then 'baseline' when added > amended and amended > 0 then 'mixed_changes' when added > amended then 'new_filing' when amended > 0 then 'amendment' else 'no_change' end as outcome from e""")
 def r1(t: Data) -> DataFrame:
-    """Three polls: a stream over the inventory table; one in which small filings are gone, urgent ones are
-    amended and some issuers' answers are not complete; and the first inventory again."""
-    polls = t.spark.readStream.schema(t.orders.schema).parquet(f"{t.sf_dir}/orders.parquet*")
-    same = lambda rows: rows.select(F.col("o_custkey").alias("issuer"), F.col("o_orderkey").alias("accession"), F.col("o_orderstatus").alias("content"), F.lit(True).alias("complete"))
+    """Three polls: a stream over the filings up to a day; half a year later, with small filings gone, large ones
+    amended and some issuers' answers not complete; and all filings as they were."""
+    form = F.expr(FORM)
+
+    def polled(rows: DataFrame, content=F.lit("as filed"), complete=F.lit(True)) -> DataFrame:
+        return rows.select(F.col("o_custkey").alias("issuer"), F.col("o_orderkey").alias("accession"), form.alias("form"), F.col("o_orderdate").alias("acceptance_at"), F.lit("2100-01-01 00:00:00").cast("timestamp_ntz").alias("cutoff"), content.alias("content"), complete.alias("complete"), F.lit(True).alias("described"))
+
+    stream = t.spark.readStream.schema(t.orders.schema).parquet(f"{t.sf_dir}/orders.parquet*").filter("o_orderdate < timestamp_ntz '2000-01-01 00:00:00'")
     feed = ChangeFeed(t.spark, work_dir(t.spark, "feed"))
-    feed.start(same(polls)).awaitTermination()
-    content = F.when(F.col("o_orderpriority") == "1-URGENT", "amended").otherwise(F.col("o_orderstatus"))
-    second = t.orders.filter("o_totalprice >= 20000").select(F.col("o_custkey").alias("issuer"), F.col("o_orderkey").alias("accession"), content.alias("content"), (F.col("o_orderstatus") != "P").alias("complete"))
-    feed.apply(second, 1)
-    feed.apply(same(t.orders), 2)
-    return feed.found()
+    feed.start(polled(stream)).awaitTermination()
+    second = t.orders.filter("o_orderdate < timestamp_ntz '2000-07-01 00:00:00' and o_totalprice >= 20000")
+    feed.apply(polled(second, F.when(F.col("o_totalprice") > 300000, "amended").otherwise("as filed"), F.col("o_orderstatus") != "P"), 1)
+    feed.apply(polled(t.orders), 2)
+    return feed.outcomes().select("issuer", "poll", "originals", "amendments", flags.text(F.col("flags")).alias("flags"), "outcome")
+
+
+@query("R2_backfill_keeps_newest", """with s as (select issuer, series, reference_date, response % 3 as part from {series}), k as (select *, (select max(reference_date) from s b where b.issuer = a.issuer and b.series = a.series and b.part < a.part) as before from s a)
+  select issuer, series, max(reference_date) as reference_date, count(*) as observations, count(case when reference_date < before then 1 end) as late from k group by 1, 2""")
+def r2(t: Data) -> DataFrame:
+    """Three parts of the observations, one after another, the stream begun again for each."""
+    source, feed = work_dir(t.spark, "observations"), SeriesFeed(t.spark, work_dir(t.spark, "series"), ["issuer", "series"])
+    for part in range(3):
+        t.series.filter(F.col("response") % 3 == part).select("issuer", "series", "reference_date").write.parquet(f"{source}/part={part}")
+        rows = t.spark.readStream.schema("issuer long, series string, reference_date date").option("recursiveFileLookup", "true").parquet(source)
+        feed.start(rows).awaitTermination()
+    return feed.newest()

@@ -36,17 +36,17 @@ def u1(t: Data) -> DataFrame:
     return t.baseline.select("accession").unionByName(t.current.select("accession")).groupBy("accession").agg(F.count("*").alias("copies"))
 
 
-INVENTORY = "select o_custkey as issuer, o_orderkey as accession, case when o_orderpriority = '1-URGENT' then '10-K/A' when o_orderpriority = '5-LOW' then '8-K' else '10-K' end as form, case when o_orderstatus = 'P' then null else o_orderdate end as acceptance_at, cast(timestamp '{cutoff} 00:00:00' as timestamp) as cutoff, {content} as content from {{orders}} where {held}"
+INVENTORY = "select o_custkey as issuer, o_orderkey as accession, case when o_orderpriority = '1-URGENT' then '10-K/A' when o_orderpriority = '5-LOW' then '8-K' else '10-K' end as form, case when o_orderstatus = 'P' then null else o_orderdate end as acceptance_at, cast(timestamp '{cutoff} 00:00:00' as timestamp) as cutoff, {content} as content, o_totalprice > 5000 as complete, o_totalprice < 340000 as described from {{orders}} where {held}"
 VIEWS["old_inventory"] = INVENTORY.format(cutoff=DAY1, content="cast(o_totalprice as decimal(12,2))", held=f"o_orderdate < timestamp '{DAY1} 00:00:00' + interval 20 day")
 VIEWS["new_inventory"] = INVENTORY.format(cutoff="1998-05-01", content="cast(o_totalprice + case when o_orderkey % 150 = 0 then 1 else 0 end as decimal(12,2))", held="o_orderdate < timestamp '1998-06-01 00:00:00' and o_orderkey % 197 <> 0") + " union all " + INVENTORY.format(cutoff="1998-05-01", content="cast(o_totalprice as decimal(12,2))", held="o_orderdate < timestamp '1998-02-01 00:00:00' and o_orderkey % 211 = 1")
+SIDES = " union all ".join(f"""select issuer, accession, '{side}' as side, count(*) as copies, bool_or(mine and acceptance_at is null) as unverified, coalesce(bool_or(mine and acceptance_at <= cutoff), false) as held, bool_or(not complete) as part, coalesce(bool_or(mine and acceptance_at <= cutoff and not described), false) as bare,
+    min(case when mine then form end) as form, min(case when mine then content end) as content from (select *, form in ('10-K', '10-K/A') as mine from {{{view}}}) x group by 1, 2""" for side, view in (("baseline", "old_inventory"), ("current", "new_inventory")))
 
 
-@query("A19_change_outcome", """with s as (select issuer, accession, 'baseline' as side, count(*) as copies, bool_or(acceptance_at is null) as unverified, coalesce(bool_or(acceptance_at <= cutoff), false) as held, min(form) as form, min(content) as content from {old_inventory} where form in ('10-K', '10-K/A') group by 1, 2
-    union all select issuer, accession, 'current', count(*), bool_or(acceptance_at is null), coalesce(bool_or(acceptance_at <= cutoff), false), min(form), min(content) from {new_inventory} where form in ('10-K', '10-K/A') group by 1, 2),
-  k as (select coalesce(a.issuer, b.issuer) as issuer, coalesce(a.held, false) as was, coalesce(b.held, false) as now, a.content as before, b.content as after, b.form as form, coalesce(a.unverified, false) as au, coalesce(b.unverified, false) as bu, coalesce(a.copies > 1, false) as ad, coalesce(b.copies > 1, false) as bd
+@query("A19_change_outcome", f"""with s as ({SIDES}), k as (select coalesce(a.issuer, b.issuer) as issuer, coalesce(a.held, false) as was, coalesce(b.held, false) as now, a.content as before, b.content as after, b.form as form, {", ".join(f"coalesce({side}.{c}, false) as {side}_{c}" for side in "ab" for c in ("unverified", "part", "bare"))}, coalesce(a.copies > 1, false) as a_twice, coalesce(b.copies > 1, false) as b_twice
     from (select * from s where side = 'baseline') a full outer join (select * from s where side = 'current') b on a.issuer = b.issuer and a.accession = b.accession),
-  o as (select issuer, count(case when now and not was and form = '10-K' then 1 end) as originals, count(case when now and not was and form = '10-K/A' then 1 end) as amendments, concat_ws('|', case when bool_or(au) then 'baseline_acceptance_unverified' end, case when bool_or(was and not now) then 'baseline_accession_missing' end, case when bool_or(ad) then 'baseline_duplicate_accession' end,
-    case when bool_or(bu) then 'current_acceptance_unverified' end, case when bool_or(bd) then 'current_duplicate_accession' end, case when bool_or(was and now and before <> after) then 'existing_accession_metadata_changed' end) as flags from k group by 1)
+  o as (select issuer, count(case when now and not was and form = '10-K' then 1 end) as originals, count(case when now and not was and form = '10-K/A' then 1 end) as amendments, concat_ws('|', case when bool_or(a_unverified) then 'baseline_acceptance_unverified' end, case when bool_or(was and not now) then 'baseline_accession_missing' end, case when bool_or(a_twice) then 'baseline_duplicate_accession' end, case when bool_or(a_bare) then 'baseline_filing_metadata_incomplete' end, case when bool_or(a_part) then 'baseline_inventory_incomplete' end,
+    case when bool_or(b_unverified) then 'current_acceptance_unverified' end, case when bool_or(b_twice) then 'current_duplicate_accession' end, case when bool_or(b_bare) then 'current_filing_metadata_incomplete' end, case when bool_or(b_part) then 'current_inventory_incomplete' end, case when bool_or(was and now and before <> after) then 'existing_accession_metadata_changed' end) as flags from k group by 1)
   select issuer, originals, amendments, flags, case when flags <> '' then 'incomplete' when originals > 0 and amendments > 0 then 'mixed_changes' when originals > 0 then 'new_filing' when amendments > 0 then 'amendment' else 'no_change' end as outcome from o""")
 def a19(t: Data) -> DataFrame:
     found = changes.compared_inventories(t.old_inventory, t.new_inventory, ["issuer"], ["10-K", "10-K/A"])

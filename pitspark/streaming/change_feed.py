@@ -1,4 +1,4 @@
-"""A feed of filing changes: each poll is compared with the last good inventory of its issuers."""
+"""A feed of filing changes: each poll is compared with the last sound inventory of its issuers."""
 
 from __future__ import annotations
 
@@ -8,54 +8,71 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pitspark.operators import changes
 
-STATE = "issuer long, accession long, content string, poll long"
+ROW = "issuer long, accession long, form string, acceptance_at timestamp_ntz, cutoff timestamp_ntz, content string, complete boolean, described boolean"
+STATE = f"{ROW}, poll long"
+COLUMNS = [c.split()[0] for c in ROW.split(", ")]
+OUTCOME = "issuer long, originals long, amendments long, flags array<string>, outcome string, poll long"
 #: After so many polls the inventories are stored whole again, so that a poll reads few folders.
 EVERY = 32
 
 
 class ChangeFeed:
-    """Inventories under ``folder``/held-N and changes under ``folder``/changes.
+    """Baselines under ``folder``/held-N, outcomes and new filings of each poll under ``folder``/outcomes and /changes.
 
-    A micro-batch holds whole inventories (issuer, accession, content, complete). An issuer with a row
-    that is not complete keeps its baseline, and its changes are not reported; so does one without rows. A
-    poll stores the inventories of the issuers in it alone; an issuer's newest poll is its baseline. A
-    batch that runs again reads the same baseline and overwrites its own output, so it is counted once.
+    A micro-batch holds whole inventories (:data:`ROW`; a null accession stands for an answer without filings).
+    An issuer's first sound inventory is its baseline; later ones are compared by
+    :func:`changes.compared_inventories`: any flag, as an answer that is not complete, an accession that is
+    gone or one whose content differs, keeps the baseline and reports no filing. A poll stores the inventories
+    of the issuers that advance, and an issuer's newest one is its baseline. A batch that runs again reads the
+    same baseline and overwrites its own output, so it is counted once.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, forms: tuple[str, ...] = ("10-K", "10-K/A")):
+        self.spark, self.folder, self.forms = spark, folder, list(forms)
 
     def state(self, batch: int, issuers: DataFrame | None = None) -> DataFrame:
-        """issuer, accession and content as of a batch, of the given issuers or of all."""
+        """The baselines as of a batch, of the given issuers or of all."""
         if batch < 0:
-            return self.spark.createDataFrame([], STATE).select("issuer", "accession", "content")
+            return self.spark.createDataFrame([], ROW)
         whole = (batch + 1) // EVERY * EVERY - 1
         names = [f"{self.folder}/whole-{whole}"] * (whole >= 0) + [f"{self.folder}/held-{k}" for k in range(whole + 1, batch + 1)]
         rows = self.spark.read.schema(STATE).parquet(*names)
-        rows = rows if issuers is None else rows.join(issuers, "issuer", "left_semi")
-        last = rows.groupBy("issuer").agg(F.max("poll").alias("poll"))
-        return rows.join(last, ["issuer", "poll"], "left_semi").select("issuer", "accession", "content")
+        return self._newest(rows if issuers is None else rows.join(issuers, "issuer", "left_semi")).select(*COLUMNS)
+
+    @staticmethod
+    def _newest(rows: DataFrame) -> DataFrame:
+        return rows.join(rows.groupBy("issuer").agg(F.max("poll").alias("poll")), ["issuer", "poll"], "left_semi")
 
     def apply(self, polled: DataFrame, batch: int) -> None:
-        failed = polled.filter(~F.col("complete")).select("issuer").distinct()
-        good = polled.join(failed, "issuer", "left_anti").select("issuer", "accession", "content")
-        before = self.state(batch - 1, good.select("issuer").distinct())
-        compared = changes.compare(before, good, ["issuer", "accession"], "content").filter("state <> 'same'")
-        compared.withColumn("poll", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{self.folder}/changes/poll={batch}-")
-        good.withColumn("poll", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{self.folder}/held-{batch}")
+        polled = polled.select(*COLUMNS)
+        before = self.state(batch - 1, polled.select("issuer").distinct())
+        found = changes.compared_inventories(before, polled, ["issuer"], self.forms)
+        first = before.select("issuer", F.lit(True).alias("_known")).distinct()
+        fresh = F.col("_known").isNull() & (F.size("flags") == 0)
+        none = lambda c: F.when(fresh, F.lit(0)).otherwise(F.col(c)).cast("long").alias(c)
+        outcomes = found.join(first, "issuer", "left").select("issuer", none("originals"), none("amendments"), "flags", F.when(fresh, "baseline").otherwise(F.col("outcome")).alias("outcome"), F.lit(batch).cast("long").alias("poll"))
+        self._write(outcomes, f"outcomes/poll={batch}-")
+        told = self.spark.read.schema(OUTCOME).parquet(f"{self.folder}/outcomes/poll={batch}-")
+        sound = told.filter(F.size("flags") == 0).select("issuer", "outcome")
+        known = F.col("form").isin(self.forms) & (F.col("acceptance_at") <= F.col("cutoff"))
+        added = polled.join(sound.filter("outcome <> 'baseline'").select("issuer"), "issuer", "left_semi").filter(known).select("issuer", "accession", "form").join(before.select("issuer", "accession"), ["issuer", "accession"], "left_anti")
+        self._write(added.withColumn("poll", F.lit(batch).cast("long")), f"changes/poll={batch}-")
+        self._write(polled.join(sound.select("issuer"), "issuer", "left_semi").withColumn("poll", F.lit(batch).cast("long")), f"held-{batch}")
         if (batch + 1) % EVERY == 0:
-            self._whole(batch)
+            whole = batch + 1 - EVERY
+            names = [f"{self.folder}/whole-{whole - 1}"] * (whole > 0) + [f"{self.folder}/held-{k}" for k in range(whole, batch + 1)]
+            self._write(self._newest(self.spark.read.schema(STATE).parquet(*names)), f"whole-{batch}")
 
-    def _whole(self, batch: int) -> None:
-        whole = batch + 1 - EVERY
-        names = [f"{self.folder}/whole-{whole - 1}"] * (whole > 0) + [f"{self.folder}/held-{k}" for k in range(whole, batch + 1)]
-        rows = self.spark.read.schema(STATE).parquet(*names)
-        last = rows.groupBy("issuer").agg(F.max("poll").alias("poll"))
-        rows.join(last, ["issuer", "poll"], "left_semi").select("issuer", "accession", "content", "poll").write.mode("overwrite").parquet(f"{self.folder}/whole-{batch}")
+    def _write(self, rows: DataFrame, name: str) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.folder}/{name}")
 
     def start(self, polls: DataFrame) -> StreamingQuery:
         """Runs over what there is now and stops."""
         return polls.writeStream.foreachBatch(self.apply).option("checkpointLocation", f"{self.folder}/checkpoint").trigger(availableNow=True).start()
 
+    def outcomes(self) -> DataFrame:
+        return self.spark.read.schema(OUTCOME).option("recursiveFileLookup", "true").parquet(f"{self.folder}/outcomes")
+
     def found(self) -> DataFrame:
-        return self.spark.read.schema("issuer long, accession long, state string").option("recursiveFileLookup", "true").parquet(f"{self.folder}/changes")
+        """New filings, each with its poll."""
+        return self.spark.read.schema("issuer long, accession long, form string, poll long").option("recursiveFileLookup", "true").parquet(f"{self.folder}/changes")

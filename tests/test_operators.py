@@ -10,7 +10,6 @@ from pitspark.functions import flags, scalar
 from pitspark.functions.concepts import CONCEPTS
 from pitspark.operators import changes, history, inputs, metrics, periods, sectors, selection, valuation
 from pitspark.sources import bodies
-from pitspark.streaming.change_feed import ChangeFeed
 
 D = dt.date
 
@@ -293,16 +292,6 @@ def test_membership_by_what_was_known(spark):
     assert ask("2024-01-02")[2, 2] == (None, "classification_unavailable")
 
 
-def test_feed_keeps_the_baseline_of_a_failed_poll(spark, tmp_path):
-    feed = ChangeFeed(spark, f"file://{tmp_path}/feed")
-    schema = "issuer long, accession long, content string, complete boolean"
-    feed.apply(spark.createDataFrame([(1, 10, "a", True), (2, 20, "a", True)], schema), 0)
-    feed.apply(spark.createDataFrame([(1, 10, "b", True), (1, 11, "a", True), (2, 21, "a", False)], schema), 1)
-    feed.apply(spark.createDataFrame([(2, 20, "a", True), (2, 22, "a", True)], schema), 2)
-    feed.apply(spark.createDataFrame([(2, 20, "a", True), (2, 22, "a", True)], schema), 2)  # runs again
-    assert sorted((r.issuer, r.accession, r.state) for r in feed.found().collect()) == [(1, 10, "changed"), (1, 10, "new"), (1, 11, "new"), (2, 20, "new"), (2, 22, "new")]
-
-
 def inventory(spark, rows):
     cutoff = dt.datetime(2024, 1, 10)
     return spark.createDataFrame([(k, a, form, None if day is None else dt.datetime(2024, 1, day), cutoff, c) for k, a, form, day, c in rows], "issuer int, accession string, form string, acceptance_at timestamp, cutoff timestamp, content string")
@@ -422,19 +411,14 @@ def test_months_of_a_range_are_bounded(spark):
     assert [(r.k, r.start, r.reason) for r in found if r.k in (2, 3)] == [(2, None, "too_many_months"), (3, None, "ends_crossed")] and sum(r.k == 4 for r in found) == 120
 
 
-def test_feed_reads_whole_inventories_again_and_none_elsewhere(spark, tmp_path, monkeypatch):
-    from pitspark.streaming import change_feed
-
-    monkeypatch.setattr(change_feed, "EVERY", 2)
-    feed = ChangeFeed(spark, f"file://{tmp_path}/feed")
-    schema = "issuer long, accession long, content string, complete boolean"
-    polls = [[(1, 1, "a", True), (2, 1, "a", True)], [(1, 1, "a", True), (1, 2, "a", True)], [(2, 2, "a", True)], [(1, 2, "b", True)], [(2, 2, "a", True)]]
-    for k, rows in enumerate(polls):
-        feed.apply(spark.createDataFrame(rows, schema), k)
-    feed.apply(spark.createDataFrame(polls[4], schema), 4)  # runs again
-    assert sorted((r.issuer, r.accession, r.content) for r in feed.state(4).collect()) == [(1, 2, "b"), (2, 2, "a")]
-    found = sorted((r.issuer, r.accession, r.state) for r in feed.found().collect())
-    assert found == [(1, 1, "new"), (1, 1, "removed"), (1, 2, "changed"), (1, 2, "new"), (2, 1, "new"), (2, 1, "removed"), (2, 2, "new")]
+def test_flags_of_whole_inventories(spark):
+    """Duplicates are looked for in all forms; a partial answer and a filing without its period are flags."""
+    base = [(k, "old", "10-K", 1, "x") for k in range(1, 6)]
+    now = [*base, (1, "e", "8-K", 2, "x"), (1, "e", "8-K", 2, "x"), (2, "n", "8-K", 2, "x"), (3, "n", "10-K", 2, "x"), (4, "n", "10-K", 11, "x")]
+    current = inventory(spark, now).withColumns({"complete": F.col("issuer") != 2, "described": ~F.col("issuer").isin(3, 4) | (F.col("accession") == "old")})
+    nothing = inventory(spark, [(6, None, None, None, None)]).withColumns({"complete": F.lit(False), "described": F.lit(True)})
+    got = {r.issuer: r.flags for r in changes.compared_inventories(inventory(spark, base), current.unionByName(nothing), ["issuer"], ["10-K", "10-K/A"]).collect()}
+    assert got == {1: ["current_duplicate_accession"], 2: ["current_inventory_incomplete"], 3: ["current_filing_metadata_incomplete"], 4: [], 5: [], 6: ["current_inventory_incomplete"]}
 
 
 def test_duplicates_and_documents(spark):
