@@ -24,13 +24,13 @@ def fact_bodies(t: Data) -> DataFrame:
     return tags.groupBy("issuer").agg(F.to_json(F.struct(F.create_map(F.lit("gaap"), F.map_from_entries(F.collect_list(entry))).alias("facts"))).alias("body"))
 
 
-@query("S1_scan_company_facts", """select issuer, tag, '/facts/gaap/' || tag || '/units/USD/' || cast(row_number() over (partition by issuer, tag order by period_start) - 1 as varchar) as locator, cast(val as double) as val, period_end as filed, 'observed' as state, null::varchar as problem
-  from (select issuer, 'revenue' as tag, revenue as val, period_start, period_end from {flows} union all select issuer, 'cost', cost, period_start, period_end from {flows}) where issuer not in (select issuer from {issuers} where cap < 0) union all select issuer, null, null, null, null, null, 'body_malformed' from {issuers} where cap < 0""")
+@query("S1_scan_company_facts", """select issuer, tag, '/facts/gaap/' || tag || '/units/USD/' || cast(row_number() over (partition by issuer, tag order by period_start) - 1 as varchar) as locator, cast(val as double) as val, cast(val as varchar) as text, period_end as filed, 'observed' as state, null::varchar as problem
+  from (select issuer, 'revenue' as tag, revenue as val, period_start, period_end from {flows} union all select issuer, 'cost', cost, period_start, period_end from {flows}) where issuer not in (select issuer from {issuers} where cap < 0) union all select issuer, null, null, null, null, null, null, 'body_malformed' from {issuers} where cap < 0""")
 def s1(t: Data) -> DataFrame:
     """Bodies of issuers with a negative cap repeat a key."""
     torn = t.issuers.select("issuer", (F.col("cap") < 0).alias("torn"))
     made = fact_bodies(t).join(torn, "issuer").withColumn("body", F.when(F.col("torn"), F.concat(F.lit('{"facts":{},'), F.substr("body", F.lit(2)))).otherwise(F.col("body")))
-    return bodies.company_facts(made, ["issuer"]).select("issuer", "tag", "locator", F.col("val").cast("double").alias("val"), F.to_date("filed").alias("filed"), "state", "problem")
+    return bodies.company_facts(made, ["issuer"]).select("issuer", "tag", "locator", F.col("val").cast("double").alias("val"), "text", F.to_date("filed").alias("filed"), "state", "problem")
 
 
 VIEWS["order_rows"] = "select o_custkey as issuer, cast(o_orderkey as varchar(20)) as accession, o_orderstatus as form, cast(o_orderdate as date) as filed, row_number() over (partition by o_custkey order by o_orderkey) - 1 as i from {orders}"
@@ -224,12 +224,17 @@ def s13(t: Data) -> DataFrame:
     return failed.select("request", F.lit("source_unavailable").alias("flag"), F.lit(0).alias("observations"))
 
 
-@query("P3_fact_numbers", "select event_id, case event_type when 'signup' then 'missing_field' when 'error' then 'null_value' when 'click' then 'nonfinite' when 'purchase' then case when value > 100 then 'not_numeric' else 'observed' end else 'observed' end as state from {events}")
+@query("P3_fact_numbers", """select event_id, state, case when state in ('observed', 'numeric_range_exceeded') then text when state = 'nonfinite' then 'NaN' when state = 'not_numeric' then w end as text, cast(case when state = 'observed' then number end as double) as number from (select *, case event_type when 'signup' then 'missing_field' when 'error' then 'null_value' when 'click' then 'nonfinite' when 'purchase' then case when value > 100 then 'not_numeric' else 'numeric_range_exceeded' end else 'observed' end as state,
+    case event_type when 'purchase' then w || '00000000001' else w || '0E+1' end as text, cast(w as double) * 10 as number from (select *, case when value < 0 then '-' else '' end || cast(cast(floor(abs(value)) as bigint) as varchar(20)) || '.' || lpad(cast(cast(round(abs(value) * 100) as bigint) % 100 as varchar(2)), 2, '0') as w from {events}))""")
 def p3(t: Data) -> DataFrame:
-    kind, value = F.col("event_type"), F.col("value").cast("string")
-    text = F.when(kind == "error", "null").when(kind == "click", '"NaN"').when((kind == "purchase") & (F.col("value") > 100), F.concat(F.lit('"'), value, F.lit('"'))).otherwise(value)
+    """Numbers with a trailing zero and an exponent; purchases have thirteen places, or a number in quotes."""
+    kind, size = F.col("event_type"), F.abs("value")
+    plain = F.concat(F.when(F.col("value") < 0, "-").otherwise(""), F.floor(size).cast("string"), F.lit("."), F.lpad((F.round(size * 100).cast("long") % 100).cast("string"), 2, "0"))
+    number = F.when(kind == "purchase", F.concat(plain, F.lit("00000000001"))).otherwise(F.concat(plain, F.lit("0E+1")))
+    text = F.when(kind == "error", "null").when(kind == "click", '"NaN"').when((kind == "purchase") & (F.col("value") > 100), F.concat(F.lit('"'), plain, F.lit('"'))).otherwise(number)
     body = F.when(kind == "signup", '{"end":"x"}').otherwise(F.concat(F.lit('{"val":'), text, F.lit("}")))
-    return t.events.select("event_id", bodies.fact_number(F.parse_json(body), "val")[0].alias("state"))
+    state, value, written = bodies.fact_number(F.parse_json(bodies.with_written_numbers(body, "val")), "val")
+    return t.events.select("event_id", state.alias("state"), written.alias("text"), value.cast("double").alias("number"))
 
 
 @query("P4_daily_labels", "select event_id, case when event_type in ('view', 'click', 'error') then cast(ts as date) end as day from {events}")

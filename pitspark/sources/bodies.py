@@ -17,19 +17,19 @@ MOST_BYTES = 64 << 20
 
 def company_facts(bodies: DataFrame, keys: list[str]) -> DataFrame:
     """One observation for each element of facts.{taxonomy}.{tag}.units.{unit}, with its JSON pointer, the
-    number (exact, its text without trailing zeros) and the number's state. A body that is no JSON object
+    number as it was written, its exact value where one fits, and its state. A body that is no JSON object
     with facts, or repeats a key, gives one row with a problem."""
     units = "map<string,map<string,struct<units:map<string,array<variant>>>>>"
-    parsed = bodies.select(*keys, F.expr(f"try_variant_get(try_parse_json(body), '$.facts', '{units}')").alias("f"))
+    parsed = bodies.select(*keys, F.try_variant_get(F.try_parse_json(with_written_numbers(F.col("body"), "val")), "$.facts", units).alias("f"))
     facts = parsed.select(*keys, F.col("f").isNull().alias("bad"), F.explode_outer("f").alias("taxonomy", "tags")).filter("bad or tags is not null")
     tags = facts.select(*keys, "bad", "taxonomy", F.explode_outer("tags").alias("tag", "x")).select(*keys, "bad", "taxonomy", "tag", F.explode_outer("x.units").alias("unit", "rows"))
     rows = tags.select(*keys, "bad", "taxonomy", "tag", "unit", F.posexplode_outer("rows").alias("i", "r")).filter("bad or r is not null")
     escaped = [F.replace(F.replace(c, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")) for c in ("taxonomy", "tag", "unit")]
     locator = F.concat_ws("/", F.lit("/facts"), escaped[0], escaped[1], F.lit("units"), escaped[2], "i")
-    state, value = fact_number(F.col("r"), "val")
+    state, value, text = fact_number(F.col("r"), "val")
     fields = [F.try_variant_get("r", f"$.{c}", "string").alias(c) for c in ("start", "end", "accn", "form", "filed")]
     bad = F.col("bad")
-    return rows.select(*keys, "taxonomy", "tag", "unit", F.when(~bad, locator).alias("locator"), *fields, value.alias("val"), F.try_variant_get("r", "$.val", "string").alias("text"), F.when(~bad, state).alias("state"), F.when(bad, "body_malformed").alias("problem"))
+    return rows.select(*keys, "taxonomy", "tag", "unit", F.when(~bad, locator).alias("locator"), *fields, value.alias("val"), text.alias("text"), F.when(~bad, state).alias("state"), F.when(bad, "body_malformed").alias("problem"))
 
 
 def filing_index(bodies: DataFrame, keys: list[str]) -> DataFrame:
@@ -60,13 +60,37 @@ def tri_state(value: Column, present: Column) -> tuple[Column, Column]:
     return state, F.when(state == "observed", number)
 
 
-def fact_number(row: Column, field: str) -> tuple[Column, Column]:
-    """(state, number) of a fact's field in its variant: absent, null, not finite, of another type, or observed."""
+#: Put before a number that is kept as it was written; a JSON string holds it only in escaped form.
+MARK = "\u0001"
+
+
+def with_written_numbers(body: Column, field: str) -> Column:
+    """A JSON text in which the field's numbers are strings of their own text, after :data:`MARK`, since every
+    reader of numbers would round or rewrite some. An escaped quote keeps text within strings from matching."""
+    number = r"(-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)(?=\s*[,}])"
+    return F.regexp_replace(body, rf'(?<!\\)"{field}"\s*:\s*{number}', f'"{field}":"\\\\u0001$1"')
+
+
+def fits_exactly(text: Column, whole: int = 28, places: int = 10) -> Column:
+    """Whether a written number has at most so many digits before and behind the point, its exponent counted."""
+    digits = F.length(F.regexp_extract(text, "^-?0*([0-9]*)", 1))
+    fraction = F.length(F.regexp_extract(text, r"\.([0-9]*?)0*([eE].*)?$", 1))
+    power = F.coalesce(F.regexp_extract(text, "[eE]([+-]?[0-9]+)$", 1).try_cast("int"), F.when(text.rlike("[eE]"), F.lit(1 << 20)).otherwise(0))
+    return (digits + power <= whole) & (fraction - power <= places)
+
+
+def fact_number(row: Column, field: str) -> tuple[Column, Column, Column]:
+    """(state, number, text) of a fact's field in the variant of a body :func:`with_written_numbers`.
+
+    Absent, null, not finite or of another type; a number that an exact decimal(38,10) cannot hold is
+    ``numeric_range_exceeded`` and has its text alone, else it is observed.
+    """
     value = F.try_variant_get(row, f"$.{field}", "variant")
-    kind, text = F.schema_of_variant(value), F.try_variant_get(row, f"$.{field}", "string")
-    number = F.when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(row, f"$.{field}", "decimal(38,10)"))
-    state = F.when(value.isNull(), "missing_field").when(F.is_variant_null(value), "null_value").when(text.isin("NaN", "Infinity", "-Infinity"), "nonfinite").when(number.isNull(), "not_numeric").otherwise("observed")
-    return state, F.when(state == "observed", number)
+    text = F.try_variant_get(row, f"$.{field}", "string")
+    written = F.when(text.startswith(MARK), F.substring(text, 2, 1 << 30))
+    fits = fits_exactly(written)
+    state = F.when(value.isNull(), "missing_field").when(F.is_variant_null(value), "null_value").when(text.isin("NaN", "Infinity", "-Infinity"), "nonfinite").when(written.isNull(), "not_numeric").when(~fits, "numeric_range_exceeded").otherwise("observed")
+    return state, F.when(state == "observed", written.try_cast("decimal(38,10)")), F.coalesce(written, text)
 
 
 def day_label(text: Column) -> Column:

@@ -439,6 +439,16 @@ def test_company_facts_by_type(spark):
     assert facts[0].locator == "/facts/g/a~1b/units/USD~1shares/0" and facts[0].val == Decimal("1.1") and facts[5].val == Decimal("12345678901234567890.5") and facts[0].filed == "2024-05-01"
 
 
+def test_numbers_of_facts_stay_as_they_were_written(spark):
+    written = ["1.50", "1E+3", "-0.0", "1.2345678901", "1.23456789012345", "1" * 28, "9" * 41, "1E28", "1E-10", "1E-11", "12.3400000000000000E1", "0.00000000001E1", "1E99999999999"]
+    body = '{"facts":{"g":{"t":{"units":{"USD":[' + ",".join(f'{{"val" : {w}, "note":"say \\"val\\":7"}}' for w in written) + ',{"val":"#1"},{"val":true}]}}}}}'
+    rows = sorted(bodies.company_facts(spark.createDataFrame([(1, body)], "k int, body string"), ["k"]).collect(), key=lambda r: int(r.locator.rsplit("/", 1)[1]))
+    assert [r.text for r in rows] == [*written, "#1", "true"]
+    fits = [True, True, True, True, False, True, False, False, True, False, True, True, False]
+    assert [r.state for r in rows] == ["observed" if f else "numeric_range_exceeded" for f in fits] + ["not_numeric"] * 2
+    assert [r.val for r in rows if r.state == "observed"] == [Decimal(w) for w, f in zip(written, fits) if f]
+
+
 def test_resolution_in_its_order(spark):
     good = ("covered", 1, False, 5, None, "t", "d", 3, None)
     cases = {
