@@ -141,3 +141,25 @@ def publication_problem(precision: Column, published_at: Column, published_on: C
         .when(precision == "date", F.when(~F.coalesce(published_on < day, F.lit(False)), "ambiguous_source_publication_date"))
         .otherwise("unknown_source_publication_time")
     )
+
+
+def contained(facts: DataFrame, intervals: DataFrame, by: list[str], date: str, closures: DataFrame | None = None, interval: str = "interval") -> DataFrame:
+    """Facts with every interval [valid_from, valid_to) of their key that holds their date.
+
+    ``closures`` (interval, closed_on) end an interval in place of its own end; one without an end is open.
+    Intervals are cut into aligned spans (:func:`spans`) and each date of a key is looked up once, in the one
+    span of each length that holds it. So no fact meets an interval that does not hold its date, and a key with
+    most rows is dealt by its spans and dates.
+    """
+    to = F.col("valid_to")
+    if closures is not None:
+        intervals = intervals.join(closures.select(interval, F.col("closed_on").alias("_closed")), interval, "left")
+        to = F.coalesce("_closed", to)
+    own = [c for c in intervals.columns if c not in (*by, "_closed")]
+    ended = intervals.withColumn("_to", F.coalesce(to, F.lit("9999-12-31").cast("date"))).filter("valid_from < _to")
+    cut = ended.select(*by, F.struct(*own).alias("_held"), F.inline(spans(F.col("valid_from"), F.date_sub("_to", 1)))).drop("held")
+    days = facts.select(*by, F.col(date).alias("_day")).filter("_day is not null").distinct()
+    level = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))
+    probes = days.select(*by, "_day", level.alias("level")).withColumn("node", _down(F.unix_date("_day"), F.col("level")))
+    met = probes.join(cut, [*by, "level", "node"]).select(*by, "_day", "_held")
+    return facts.withColumn("_day", F.col(date)).join(met, [*by, "_day"]).select(*facts.columns, "_held.*")

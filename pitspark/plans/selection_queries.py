@@ -147,13 +147,17 @@ def j8(t: Data) -> DataFrame:
     return observed_query(t, 6)
 
 
-@query("J10_interval_containment", "select l_suppkey as issuer, l_orderkey as fact, m.class from {lineitem} join {orders} on o_orderkey = l_orderkey join {membership} m on m.issuer = o_custkey and cast(l_shipdate as date) >= m.effective_from and cast(l_shipdate as date) < coalesce(m.effective_to, date '2001-12-31')")
+#: An account in debt closes its large bindings ahead of their end, or after it.
+VIEWS["closures"] = "select source_ref as binding, effective_from + 60 as closed_on from {membership} join {customer} on c_custkey = issuer where c_acctbal < 0 and class <> '5-LOW'"
+
+
+@query("J10_interval_containment", """select l_suppkey as issuer, l_orderkey as fact, l_linenumber as line, m.source_ref as binding, m.class from {lineitem} join {orders} on o_orderkey = l_orderkey join {membership} m on m.issuer = o_custkey left join {closures} c on c.binding = m.source_ref
+  where cast(l_shipdate as date) >= m.effective_from and cast(l_shipdate as date) < coalesce(c.closed_on, m.effective_to, date '9999-12-31')""")
 def j10(t: Data) -> DataFrame:
-    """An equi join on the issuer with the interval as a residual: as many rows meet as a customer has orders."""
-    facts = t.lineitem.join(t.orders.select("o_orderkey", "o_custkey"), F.col("o_orderkey") == F.col("l_orderkey"))
-    day, to = F.to_date("l_shipdate"), F.coalesce("effective_to", F.lit("2001-12-31").cast("date"))
-    held = facts.join(t.membership, (F.col("issuer") == F.col("o_custkey")) & (day >= F.col("effective_from")) & (day < to))
-    return held.select(F.col("l_suppkey").alias("issuer"), F.col("l_orderkey").alias("fact"), "class")
+    facts = t.lineitem.join(t.orders.select("o_orderkey", F.col("o_custkey").alias("owner")), F.col("o_orderkey") == F.col("l_orderkey"))
+    facts = facts.select("owner", F.to_date("l_shipdate").alias("day"), F.col("l_suppkey").alias("issuer"), F.col("l_orderkey").alias("fact"), F.col("l_linenumber").alias("line"))
+    bindings = t.membership.select(F.col("issuer").alias("owner"), F.col("source_ref").alias("binding"), "class", F.col("effective_from").alias("valid_from"), F.col("effective_to").alias("valid_to"))
+    return observations.contained(facts, bindings, ["owner"], "day", t.closures, "binding").select("issuer", "fact", "line", "binding", "class")
 
 
 VIEWS["vintages"] = "select issuer, series, reference_date, value, reference_date as realtime_start, lead(reference_date) over (partition by issuer, series order by retrieved_at, response) - 1 as realtime_end from {series}"

@@ -134,6 +134,20 @@ def test_a_window_is_few_spans_and_every_day_of_it_lies_in_one(spark):
         assert sorted(days) == list(range(first, last + 1)) and len(row.s) <= 27
 
 
+def test_intervals_that_hold_a_date_with_closures(spark):
+    rng = random.Random(5)
+    day = lambda n: D(2020, 1, 1) + dt.timedelta(days=n)
+    intervals = [(rng.randint(1, 3), k, f"c{k}", day(a := rng.randint(0, 400)), None if k % 9 == 0 else day(a + rng.choice([0, 1, 3, 50, 3000]))) for k in range(120)]
+    closures = {k: day(rng.randint(0, 500)) for k in range(0, 120, 4)}
+    facts = [(rng.randint(1, 4), i, None if i % 50 == 0 else day(rng.randint(-5, 450))) for i in range(300)] + [(1, 7, day(30))] * 2
+    frames = spark.createDataFrame(facts, "issuer int, id int, day date"), spark.createDataFrame(intervals, "issuer int, interval int, label string, valid_from date, valid_to date"), spark.createDataFrame(list(closures.items()), "interval int, closed_on date")
+    for closed in (closures, {}):
+        got = observations.contained(*frames[:2], ["issuer"], "day", frames[2] if closed else None).collect()
+        ends = {k: closed.get(k, to) or D(9999, 12, 31) for _, k, _, _, to in intervals}
+        want = [(i, n, k) for i, n, d in facts if d for j, k, _, a, _ in intervals if i == j and a <= d < ends[k]]
+        assert sorted((r.issuer, r.id, r.interval) for r in got) == sorted(want)
+
+
 def test_publication_knowledge(spark):
     at, on, cutoff = T(2024, 1, 5, 10), D(2024, 1, 5), T(2024, 1, 5, 12)
     schema = "precision string, published_at timestamp, published_on date, start date, cutoff timestamp, as_of date"
