@@ -20,6 +20,12 @@ def _down(days: Column, level: Column) -> Column:
     return F.call_function("shiftright", days, level)
 
 
+def levels_of(windows: DataFrame, first: Column, last: Column) -> int:
+    """How many levels the spans of these windows can have: a longest window is looked for once."""
+    longest = windows.agg(F.max(F.date_diff(last, first) + 1)).first()[0] or 1
+    return min(LEVELS, max(1, int(longest)).bit_length())
+
+
 def spans(first: Column, last: Column) -> Column:
     """The fewest aligned spans of 1, 2, 4, ... days that make up a window: an array of (level, node, held).
 
@@ -90,9 +96,10 @@ def observed(asks: DataFrame, batches: DataFrame, observations: DataFrame, quali
 
     # the newest batch whose window reaches that far: it holds the day, or it begins later and not after the selected day
     mark = F.xxhash64("answers")
+    most = levels_of(batches, F.col("window_from"), F.col("window_to"))
     ranked = known.withColumns({"newest": F.struct("response_at", mark.alias("h")), "newest_low": F.struct("response_at", F.bitwise_not(mark).alias("h")), "picked": F.struct("response_at", "published_at", "batch")})
     covering = ranked.select(*by, "_i", *TOPS, F.inline(spans(F.col("window_from"), F.col("window_to")))).groupBy(*by, "level", "node", "_i").agg(*_tops())
-    probes = asked.select(*key, "_j", F.unix_date("_reach").alias("_day"), F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("level"))
+    probes = asked.select(*key, "_j", F.unix_date("_reach").alias("_day"), F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("level"))
     probes = probes.select(*by, "level", _down(F.col("_day"), F.col("level")).alias("node"), F.col("_j").alias("_i"), F.struct("selected", "cutoff").alias("_ask"))
     upto = Window.partitionBy(*by, "level", "node").orderBy("_i", F.col("_ask").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     both = covering.withColumn("_ask", F.lit(None).cast(probes.schema["_ask"].dataType)).unionByName(probes, allowMissingColumns=True)
@@ -159,7 +166,7 @@ def contained(facts: DataFrame, intervals: DataFrame, by: list[str], date: str,
     ended = intervals.withColumn("_to", F.coalesce(to, F.lit("9999-12-31").cast("date"))).filter("valid_from < _to")
     cut = ended.select(*by, F.struct(*own).alias("_held"), F.inline(spans(F.col("valid_from"), F.date_sub("_to", 1)))).drop("held")
     days = facts.select(*by, F.col(date).alias("_day")).filter("_day is not null").distinct()
-    level = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))
+    level = F.explode(F.sequence(F.lit(0), F.lit(levels_of(ended, F.col("valid_from"), F.date_sub("_to", 1)) - 1)))
     probes = days.select(*by, "_day", level.alias("level")).withColumn("node", _down(F.unix_date("_day"), F.col("level")))
     met = probes.join(cut, [*by, "level", "node"]).select(*by, "_day", "_held")
     return facts.withColumn("_day", F.col(date)).join(met, [*by, "_day"]).select(*facts.columns, "_held.*")

@@ -37,9 +37,8 @@ VIEWS = {
           from {ttm} window p as (partition by issuer order by qidx range between 4 preceding and 4 preceding)) t join {issuers} i on t.issuer = i.issuer""",
     # a cap of a day long before the quarter's end is no evidence of that end; some snapshots come twice, some of these differ
     "snapshot_rows": """
-        select *, case when cap_date < period_end - interval 25 day then 'incompatible_equity_date' end as cap_issue from {snapshots}
-        union all select *, case when cap_date < period_end - interval 25 day then 'incompatible_equity_date' end from {snapshots} where revenue > 4 * income and cap_date = period_end
-        union all select issuer, qidx, period_end, cap_date, cost as revenue, cost, cfo, capex, income, operating_income, error, prior_revenue, prior_error, prior_cash, prior_end, fcf, industry, sector, cap, prior_cap, income_error, revenue_error, fcf_error, prior_revenue_error, case when cap_date < period_end - interval 25 day then 'incompatible_equity_date' end from {snapshots} where error >= 0.52""",
+        select issuer, qidx, period_end, cap_date, case when k = 2 then cost else revenue end as revenue, cost, cfo, capex, income, operating_income, error, prior_revenue, prior_error, prior_cash, prior_end, fcf, industry, sector, cap, prior_cap, income_error, revenue_error, fcf_error, prior_revenue_error, case when cap_date < period_end - interval 25 day then 'incompatible_equity_date' end as cap_issue
+        from {snapshots} cross join (values (0), (1), (2)) as copies(k) where k = 0 or (k = 1 and revenue > 4 * income and cap_date = period_end) or (k = 2 and error >= 0.52)""",
     "rostered": """
         select s.*, c.cap_issue, c.conflict from {snapshots} s join (select issuer, qidx, max(cap_issue) as cap_issue, count(distinct revenue) > 1 as conflict from {snapshot_rows} group by 1, 2) c on c.issuer = s.issuer and c.qidx = s.qidx""",
     "editions": """

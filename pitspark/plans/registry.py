@@ -42,6 +42,10 @@ class Data:
             return self.sql(VIEWS[name])
         raise AttributeError(name)
 
+    def dealt(self, rows: DataFrame, *by: str) -> DataFrame:
+        """``rows`` of few bytes dealt to as many tasks as a shuffle has, ahead of work that is long for each row."""
+        return rows.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), *by)
+
     def sql(self, text: str) -> DataFrame:
         return self.spark.sql(expanded(text, lambda t: f"parquet.`{self.sf_dir}/{t}.parquet`"))
 

@@ -76,8 +76,8 @@ def a7(t: Data) -> DataFrame:
 
 
 @query("A8_sector_breadth", f"""select sector, qidx, 'growth_breadth' as metric, round({BREADTH}, 6) as breadth from {{growth_rows}} group by 1, 2
-  union all select sector, qidx, 'profit_breadth', round(cast(count(case when income > 0 then 1 end) as double) / nullif(count(income), 0), 6) from {{rostered}} where not conflict group by 1, 2
-  union all select sector, qidx, 'cash_breadth', round(cast(count(case when cfo > capex then 1 end) as double) / nullif(count(fcf), 0), 6) from {{rostered}} where not conflict group by 1, 2""")
+  union all select sector, qidx, 'profit_breadth', round(cast(count(case when income > 0 and not conflict then 1 end) as double) / nullif(count(case when not conflict then income end), 0), 6) from {{rostered}} group by 1, 2
+  union all select sector, qidx, 'cash_breadth', round(cast(count(case when cfo > capex and not conflict then 1 end) as double) / nullif(count(case when not conflict then fcf end), 0), 6) from {{rostered}} group by 1, 2""")
 def a8(t: Data) -> DataFrame:
     return values(t, "growth_breadth", "profit_breadth", "cash_breadth").select(*BY, "metric", r6("total", "breadth"))
 

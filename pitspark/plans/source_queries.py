@@ -137,7 +137,7 @@ def inline_documents(t: Data) -> DataFrame:
         F.lit('</ix:nonFraction><ix:nonFraction name="gaap:PerShare" contextRef="c1" unitRef="u2" decimals="2">1.25</ix:nonFraction><ix:nonFraction name="gaap:Assets" contextRef="c2" unitRef="u1" xsi:nil="true"/></p>'),
         F.lit('<ix:nonNumeric name="gaap:Note" contextRef="c1" continuedAt="k">Part <ix:exclude>page 7</ix:exclude>one</ix:nonNumeric><p>between</p><ix:continuation id="k"'), case(3, ' continuedAt="k"', ""), F.lit("> and two</ix:continuation>"), case(0, "<br>", ""), F.lit("</body></html>"),
     )
-    return t.flows.select((F.col("issuer") * 100000 + F.col("qidx")).alias("doc"), body.alias("body"), F.expr(_OWNER).alias("owner"))
+    return t.dealt(t.flows, "issuer", "qidx").select((F.col("issuer") * 100000 + F.col("qidx")).alias("doc"), body.alias("body"), F.expr(_OWNER).alias("owner"))
 
 
 INLINE = "issuer * 100000 + qidx as doc"

@@ -184,7 +184,7 @@ SOLVED = f"""with recursive h as (select issuer, qidx, scenario, m, revenue, tar
 
 def targeted(t: Data) -> DataFrame:
     anchors = t.snapshots.select("issuer", "qidx", (F.col("cap").cast("double") * 4).alias("target"), (F.col("error").cast("double") * 200).alias("shares"))
-    return cases(t).join(anchors, ["issuer", "qidx"])
+    return t.dealt(cases(t).join(anchors, ["issuer", "qidx"]), "issuer", "qidx", "scenario")
 
 
 @query("V4_reverse_solve", SOLVED + " select issuer, qidx, scenario, variable, state, round(solution, 4) as solution from r")

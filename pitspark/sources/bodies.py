@@ -174,6 +174,11 @@ def to_publish(batch: DataFrame, published: DataFrame, key: list[str], output: s
     return batch.join(published, key, "left_anti"), conflict
 
 
+def _several(value: Column | str) -> Column:
+    """Whether a group has more than one value; its ends tell, without a copy of its rows for each column."""
+    return F.coalesce(F.min(value) != F.max(value), F.lit(False))
+
+
 def resolution(rows: DataFrame, by: list[str]) -> DataFrame:
     """The state of each (request, concept) by its considered rows, in this order: coverage that is not
     covered is missing; no mapping rule is unsupported_scope, several are ambiguous; a filing's metadata in
@@ -190,14 +195,14 @@ def resolution(rows: DataFrame, by: list[str]) -> DataFrame:
     )
     wanted = F.coalesce(F.col("wanted"), F.lit(False))
     grouped = held.groupBy(*by).agg(
-        F.min("coverage").alias("c0"), F.max("coverage").alias("c1"), F.max("rules").alias("rules"), F.max("conflict").alias("conflict"), F.min("bad").alias("bad"), F.count_distinct("value").alias("values"), F.count_distinct("tag").alias("tags"), F.count_distinct("detail").alias("details"),
-        F.max(wanted).alias("has"), F.count_distinct(F.when(wanted, F.col("detail"))).alias("own_details"), F.min_by("value", "place").alias("first"), F.min_by(F.when(wanted, F.col("value")), F.when(wanted, F.col("place"))).alias("own"),
+        F.min("coverage").alias("c0"), F.max("coverage").alias("c1"), F.max("rules").alias("rules"), F.max("conflict").alias("conflict"), F.min("bad").alias("bad"), _several("value").alias("values"), _several("tag").alias("tags"), _several("detail").alias("details"),
+        F.max(wanted).alias("has"), _several(F.when(wanted, F.col("detail"))).alias("own_details"), F.min_by("value", "place").alias("first"), F.min_by(F.when(wanted, F.col("value")), F.when(wanted, F.col("place"))).alias("own"),
     )
     covered = (F.col("c0") == "covered") & (F.col("c1") == "covered")
     chain = [
         (~covered, "missing", F.when(F.col("c1") == "source_missing", "source_missing").otherwise("unresolved_coverage")), (F.col("rules") == 0, "unsupported_scope", F.lit("no_reviewed_complete_scope_tag")), (F.col("rules") > 1, "ambiguous", F.lit("conflicting_mapping_rules")),
-        (F.col("conflict"), "ambiguous", F.lit("filing_metadata_conflict")), (F.col("bad").isNotNull(), "missing", F.col("bad")), (F.col("values") > 1, "ambiguous", F.lit("conflicting_reviewed_observations")),
-        ((F.col("tags") > 1) & ~F.col("has"), "ambiguous", F.lit("equivalent_tags_without_reviewed_preference")), (F.when(F.col("has"), F.col("own_details")).otherwise(F.col("details")) > 1, "ambiguous", F.lit("same_value_different_source_metadata")),
+        (F.col("conflict"), "ambiguous", F.lit("filing_metadata_conflict")), (F.col("bad").isNotNull(), "missing", F.col("bad")), (F.col("values"), "ambiguous", F.lit("conflicting_reviewed_observations")),
+        (F.col("tags") & ~F.col("has"), "ambiguous", F.lit("equivalent_tags_without_reviewed_preference")), (F.when(F.col("has"), F.col("own_details")).otherwise(F.col("details")), "ambiguous", F.lit("same_value_different_source_metadata")),
     ]
     state, reason = F.lit("observed"), F.lit(None).cast("string")
     for condition, s, r in reversed(chain):
