@@ -40,7 +40,7 @@ _NUMBER = re.compile(r"\+?([0-9]+(\.[0-9]*)?|\.[0-9]+)")
 
 
 class Refused(ValueError):
-    """Why a part cannot be used."""
+    """Why a part cannot be used. The codes are fixed values; of several the first is told."""
 
 
 class _Node:
