@@ -48,19 +48,24 @@ def content_id(*columns: Column) -> Column:
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
 
 
-def scaled_number(lexical: Column, scale: Column, sign: Column, form: Column) -> Column:
-    """A displayed number with its transform, power of ten and sign, as an exact decimal; null if invalid.
+def scaled_text(lexical: Column, scale: Column, sign: Column, form: Column) -> Column:
+    """A displayed number with its transform, power of ten and sign, as text that is exact; null if invalid.
 
     ``form`` is the transform's local name: null (the number as written), ``num-dot-decimal`` (commas and
     spaces between digits go) or ``fixed-zero`` (zero, whatever is displayed); others are not supported.
-    Digits are moved, not multiplied: nothing is rounded. Powers beyond 24 places do not fit and give null.
+    Digits are moved, not multiplied: nothing is rounded.
     """
     text = F.trim(F.regexp_replace(lexical, r"[\t\r\n]", " "))
     spaced = F.when(text.rlike("^[, \u00a00-9]*(\\.[ \u00a00-9]+)?$"), F.regexp_replace(text, "[, \u00a0]", ""))
     plain = F.when(form.isNull(), text).when(form == "fixed-zero", "0").when(form == "num-dot-decimal", spaced)
     number = F.when(plain.rlike(r"^\+?([0-9]+(\.[0-9]*)?|\.[0-9]+)$"), F.ltrim(plain, F.lit("+")))
-    moved = F.concat(F.when(sign == "-", "-").otherwise(""), number, F.lit("E"), scale.cast("string"))
-    return moved.try_cast("decimal(38,10)")
+    return F.concat(F.when(sign == "-", "-").otherwise(""), number, F.lit("E"), scale.cast("string"))
+
+
+def scaled_number(lexical: Column, scale: Column, sign: Column, form: Column) -> Column:
+    """:func:`scaled_text` as a decimal; powers beyond 24 places do not fit and give null. Longer amounts stay
+    text and are summed by :mod:`pitspark.functions.wide`."""
+    return scaled_text(lexical, scale, sign, form).try_cast("decimal(38,10)")
 
 
 def issuer_id(text: Column) -> Column:
