@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitspark.functions import flags
+from pitspark.functions import flags, scalar
 from pitspark.operators import roots
 
 #: Claims of the bridge from enterprise value to equity: two add, five subtract (fixed values).
@@ -143,3 +143,15 @@ def span(rows: DataFrame, by: list[str], value: str, state: str) -> DataFrame:
     """Least and greatest value over scenarios; null unless all converged and there are two or more."""
     whole = F.bool_and(F.col(state) == "converged") & (F.count("*") >= 2)
     return rows.groupBy(*by).agg(F.when(whole, F.min(value)).alias("low"), F.when(whole, F.max(value)).alias("high"))
+
+
+def anchor_reasons(issues: Column, filed: Column, valuation_at: Column, period: Column, asked: Column, value: Column, error: Column) -> Column:
+    """Why revenue cannot anchor a valuation: the input's own ``issues``; not filed on a day before the
+    valuation's (UTC), so that its order within the day is unknown; another period (start, end) than twelve
+    whole months, or than the one asked for; an error that is unknown, or that the value does not exceed."""
+    year = (scalar.month_span(period["start"], period["end"]) == 12) & (period["start"] == asked["start"]) & (period["end"] == asked["end"])
+    own = flags.reasons(
+        anchor_intraday_publication_unproven=~F.coalesce(filed < F.to_date(valuation_at), F.lit(False)), unsupported_anchor_calendar=~F.coalesce(year, F.lit(False)),
+        anchor_precision_unknown=error.isNull(), anchor_not_distinguishable_from_zero=value <= error,
+    )
+    return flags.union(issues, own)

@@ -336,6 +336,13 @@ def a17(t: Data) -> DataFrame:
     return band_rows(t).select("issuer", "as_of", "samples", "expected", "missing", r6("p25"), r6("p50"), r6("p75"), "reason")
 
 
+@query("A17_exclusions", """with e as (select d.issuer, d.as_of, p.quarter_end <= d.as_of - interval 3 years as outside, p.quarter_end > d.as_of as late, p.reasons from {band_dates} d join {sampled} p on p.issuer = d.issuer)
+  select issuer, as_of, 'outside_window' as reason, count(*) as points from e where outside group by 1, 2 union all select issuer, as_of, 'after_as_of', count(*) from e where late group by 1, 2
+  union all select issuer, as_of, r, count(*) from (select issuer, as_of, outside or late as away, unnest(string_split(reasons, '|')) as r from e) x where r <> '' and not (away and r in ('conflicting_quarter', 'duplicate_sample')) group by 1, 2, 3""")
+def a17_exclusions(t: Data) -> DataFrame:
+    return history.exclusions(history.sampled(t.points, ["issuer"]), t.band_dates, ["issuer"], 3)
+
+
 @query("F17_compared_to_history", "select b.issuer, b.as_of, case when b.p25 is null then 'unavailable' when cast(f.income as double) < b.p25 then 'below' when cast(f.income as double) > b.p75 then 'above' else 'within' end as place from {bands} b join {flows} f on f.issuer = b.issuer and f.period_end = b.as_of")
 def f17(t: Data) -> DataFrame:
     joined = band_rows(t).join(t.flows.select("issuer", F.col("period_end").alias("as_of"), F.col("income").cast("double").alias("now")), ["issuer", "as_of"])

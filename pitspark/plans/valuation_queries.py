@@ -280,6 +280,22 @@ def p25(t: Data) -> DataFrame:
     return t.ttm.select("issuer", "qidx", flags.text(codes).alias("reasons"))
 
 
+# sums of four quarters offered as anchors; some requests ask for the calendar year, some errors are unknown or large
+VIEWS["anchors"] = """select issuer, qidx, cast(revenue as double) as revenue, case when income < 0 and qidx % 4 = 1 then null when cost > 24 * cfo then cast(revenue as double) + error else cast(error as double) end as error, cast(cast(period_end as date) + (20 + issuer % 30) * interval 1 day as date) as filed, period_end, cast(period_end + interval 1 day - interval 1 year as date) as period_start,
+  case when capex > cfo then make_date(cast(year(period_end) as int), 12, 31) else period_end end as asked_end from {ttm}"""
+
+
+@query("P25_anchor_reasons", """select issuer, qidx, concat_ws('|', case when filed >= cast(period_end + interval 45 day as date) then 'anchor_intraday_publication_unproven' end, case when revenue <= error then 'anchor_not_distinguishable_from_zero' end, case when error is null then 'anchor_precision_unknown' end,
+    case when revenue < 2000000 and income < 0 then 'input_value_invalid' end, case when asked_end <> period_end then 'unsupported_anchor_calendar' end) as reasons from (select a.*, t.income from {anchors} a join {ttm} t on t.issuer = a.issuer and t.qidx = a.qidx) x""")
+def p25_reasons(t: Data) -> DataFrame:
+    """Each anchor is valued 45 days after its quarter."""
+    rows = t.anchors.join(t.ttm.select("issuer", "qidx", "income"), ["issuer", "qidx"])
+    issues = flags.reasons(input_value_invalid=(F.col("revenue") < 2000000) & (F.col("income") < 0))
+    span = lambda end: F.struct(F.add_months(F.date_add(end, 1), -12).alias("start"), F.col(end).cast("date").alias("end"))
+    codes = valuation.anchor_reasons(issues, F.col("filed"), F.date_add("period_end", 45).cast("timestamp"), F.struct(F.col("period_start").alias("start"), F.col("period_end").alias("end")), span("asked_end"), F.col("revenue"), F.col("error"))
+    return rows.select("issuer", "qidx", flags.text(codes).alias("reasons"))
+
+
 VIEWS["quotes"] = """select event_id as response, case when event_type = 'error' then null else cast(value as decimal(18,4)) - 20 end as price, case when event_type = 'signup' then 'EUR' else 'USD' end as currency, cast(ts as date) as reference_date, ts as known_at, case when event_type = 'click' then 'split_only' else 'unadjusted' end as action_basis, c_acctbal, c_nationkey from {events} join {customer} on c_custkey = user_id"""
 
 

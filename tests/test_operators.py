@@ -548,3 +548,33 @@ def test_coverage_goes_by_the_applicability_roster(spark):
     done = spark.createDataFrame([(1, "a", "valid"), (1, "b", "not_meaningful"), (1, "d", "valid"), (2, "a", "valid"), (3, "a", "valid")], "k int, metric string, status string")
     got = {r.k: (r.members, r.valid, r.not_meaningful, r.missing, r.unsupported, r.inapplicable, r.applicable, r.unreviewed, r.covered) for r in inputs.status_counts(done, roster, ["k"], ["metric"]).collect()}
     assert got == {1: (4, 1, 1, 1, 0, 1, 3, 0, pytest.approx(2 / 3)), 2: (2, 1, 0, 0, 1, 0, 1, 1, None), 3: (1, 0, 0, 0, 0, 1, 0, 0, None)}
+
+
+def test_exclusions_of_a_band_by_date(spark):
+    days = {1: "2020-03-31", 2: "2023-06-30", 3: "2023-06-30", 4: "2023-09-30", 5: "2023-09-30", 6: "2023-08-15", 7: "2024-03-31", 8: "2024-03-31", 9: "2024-06-30", 10: "2020-12-31"}
+    values = {1: "1", 2: "1", 3: "2", 4: "3", 5: "3", 6: "4", 7: "1E2000", 8: None, 9: "x", 10: "5"}
+    rows = spark.createDataFrame([("a", i, values[i]) for i in days], "k string, point_id int, value string").withColumn("quarter_end", F.create_map(*[F.lit(x) for p in days.items() for x in p])[F.col("point_id")].cast("date"))
+    points = history.sampled(rows, ["k"])
+    own = {r.point_id: r.reasons for r in points.collect()}
+    assert own[7] == ["conflicting_quarter", "numeric_range_exceeded"] and own[8] == ["conflicting_quarter", "missing_value"] and own[9] == ["invalid_value_type"] and own[1] == own[4] == own[10] == []
+    dates = spark.createDataFrame([("a", "2023-12-31"), ("a", "2024-12-31"), ("b", "2024-12-31"), ("a", "2023-12-31")], "k string, d string").select("k", F.col("d").cast("date").alias("as_of"))
+    got = {(str(r.as_of), r.reason): r.points for r in history.exclusions(points, dates, ["k"], 3).collect()}
+    assert got == {
+        ("2023-12-31", "outside_window"): 2, ("2023-12-31", "after_as_of"): 3, ("2023-12-31", "conflicting_quarter"): 2, ("2023-12-31", "duplicate_sample"): 1, ("2023-12-31", "not_quarter_end"): 1, ("2023-12-31", "numeric_range_exceeded"): 1, ("2023-12-31", "missing_value"): 1, ("2023-12-31", "invalid_value_type"): 1,
+        ("2024-12-31", "outside_window"): 2, ("2024-12-31", "conflicting_quarter"): 4, ("2024-12-31", "duplicate_sample"): 1, ("2024-12-31", "not_quarter_end"): 1, ("2024-12-31", "numeric_range_exceeded"): 1, ("2024-12-31", "missing_value"): 1, ("2024-12-31", "invalid_value_type"): 1,
+    }
+    assert history.bands(points, dates, ["k"], 3, 1).filter("k = 'a' and as_of = '2023-12-31'").first().samples == 1
+
+
+def test_anchor_reasons(spark):
+    year, valued = ("2023-01-01", "2023-12-31"), "2024-02-15 01:00:00"
+    cases = [
+        ("2024-02-14", year, year, 10.0, 0.5, []), ("2024-02-15", year, year, 10.0, 0.5, ["anchor_intraday_publication_unproven"]), (None, year, year, 10.0, 0.5, ["anchor_intraday_publication_unproven"]),
+        ("2024-02-14", ("2023-04-01", "2023-12-31"), ("2023-04-01", "2023-12-31"), 10.0, 0.5, ["unsupported_anchor_calendar"]), ("2024-02-14", ("2022-07-01", "2023-06-30"), year, 10.0, 0.5, ["unsupported_anchor_calendar"]),
+        ("2024-02-14", ("2023-01-02", "2024-01-01"), ("2023-01-02", "2024-01-01"), 10.0, 0.5, ["unsupported_anchor_calendar"]), ("2024-02-14", (None, "2023-12-31"), year, 10.0, 0.5, ["unsupported_anchor_calendar"]),
+        ("2024-02-14", year, year, 10.0, None, ["anchor_precision_unknown"]), ("2024-02-14", year, year, 10.0, 10.0, ["anchor_not_distinguishable_from_zero"]), ("2024-02-14", year, year, None, None, ["anchor_precision_unknown"]),
+    ]
+    rows = spark.createDataFrame([(i, f, *p, *a, v, e) for i, (f, p, a, v, e, _) in enumerate(cases)], "i int, filed string, s string, e string, ws string, we string, value double, error double")
+    day = lambda c, n: F.col(c).cast("date").alias(n)
+    codes = valuation.anchor_reasons(F.array().cast("array<string>"), F.col("filed").cast("date"), F.lit(valued).cast("timestamp"), F.struct(day("s", "start"), day("e", "end")), F.struct(day("ws", "start"), day("we", "end")), F.col("value"), F.col("error"))
+    assert [r.c for r in rows.select("i", codes.alias("c")).orderBy("i").collect()] == [c[-1] for c in cases]
