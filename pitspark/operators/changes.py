@@ -22,6 +22,15 @@ def side_flags() -> dict[str, Column]:
     return {"acceptance_unverified": F.col("unverified"), "duplicate_accession": F.col("copies") > 1, "inventory_incomplete": F.col("partial"), "filing_metadata_incomplete": F.col("bare")}
 
 
+def at_cutoff(filings: DataFrame, forms: list[str], cutoff: Column) -> DataFrame:
+    """Filings (form, acceptance_at, and acceptance_time_basis where there is such) of the forms asked for, with
+    ``state``: acceptance_unverified without a time or with a basis other than ``verified_timezone``,
+    excluded_after_cutoff, else selected. Other forms are left out."""
+    basis = F.col("acceptance_time_basis").eqNullSafe("verified_timezone") if "acceptance_time_basis" in filings.columns else F.lit(True)
+    unverified = F.col("acceptance_at").isNull() | ~basis
+    return filings.filter(F.col("form").isin(forms)).withColumn("state", F.when(unverified, "acceptance_unverified").when(F.col("acceptance_at") > cutoff, "excluded_after_cutoff").otherwise("selected"))
+
+
 def compared_inventories(baseline: DataFrame, current: DataFrame, by: list[str], forms: list[str]) -> DataFrame:
     """One row for each inventory pair: flags, numbers of new originals and amendments, and the outcome.
 

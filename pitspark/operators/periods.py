@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitspark.functions import scalar
+from pitspark.functions import flags, scalar, wide
 
 
 def four_quarters(flows: DataFrame, by: list[str], values: list[str]) -> DataFrame:
@@ -124,3 +124,38 @@ def fiscal_year(ends: Column, start: Column) -> Column:
     long = F.size(F.filter(days, lambda d: d == 98))
     whole = F.size(ends) == 4
     return F.when(whole & F.forall(kinds, lambda k: k == "months_3"), "months").when(whole & F.forall(days, lambda d: d.isin(91, 98)) & (long <= 1), F.when(long == 1, "weeks_53").otherwise("weeks_52")).otherwise("unsupported")
+
+
+def annual_amounts(rows: DataFrame) -> DataFrame:
+    """Amounts (period_start, period_end, value, problems) that are a year's by themselves: ``value`` and sorted
+    ``problems``, to which a period of other than twelve whole months adds ``unsupported_annual_period``; any
+    problem leaves no value."""
+    odd = ~F.coalesce(scalar.month_span(F.col("period_start"), F.col("period_end")) == 12, F.lit(False))
+    found = flags.union(F.coalesce("problems", F.array().cast("array<string>")), flags.reasons(unsupported_annual_period=odd))
+    return rows.withColumn("problems", found).withColumn("value", F.when(F.size("problems") == 0, F.col("value")))
+
+
+def assembled(sources: DataFrame, by: list[str]) -> DataFrame:
+    """One amount from each group of sources (value, error, coefficient of 1 or -1, problems, flags): the exact
+    ``value`` as text, however long; ``error``, the sum of the sources' absolute errors, null if one is unknown;
+    ``flags``, those of all sources and their problems. A problem leaves neither value nor error, and so does a
+    value that is missing (``source_value_missing``) or an amount out of range (``unsupported_numeric_range``).
+    Where sources have a ``concept``, a negative total of capital expenditures is a flag and no value."""
+    text = F.col("value").cast("string")
+    negated = F.when(text.startswith("-"), F.substring(text, 2, 1_000_000)).otherwise(F.concat(F.lit("-"), F.ltrim(text, F.lit("+"))))
+    none = F.array().cast("array<string>")
+    keys = [f"_k{i}" for i in range(len(by))]
+    rows = sources.select(*[F.col(b).alias(k) for b, k in zip(by, keys, strict=True)], F.when(F.col("coefficient") == -1, negated).otherwise(text).alias("v"), F.col("error").cast("string").alias("e"), F.coalesce("problems", none).alias("p"), F.coalesce("flags", none).alias("f"), (F.col("concept") if "concept" in sources.columns else F.lit(None).cast("string")).alias("c"))
+    told = rows.groupBy(*keys).agg(flags.normal(F.flatten(F.collect_set("p"))).alias("p"), flags.normal(F.flatten(F.collect_set("f"))).alias("f"), F.min("c").alias("c"))
+    sums = wide.exact_totals(rows, keys, ["v", "e"])
+    same = F.lit(True)
+    for k in keys:
+        same &= sums[k].eqNullSafe(told[k])
+    found = sums.join(told.select(*keys, "p", "f", "c"), same)
+    found = found.select(*[sums[k] for k in keys], "v_total", "e_total", "v_missing", "v_not_numeric", "v_exceeded", "e_missing", "e_not_numeric", "e_exceeded", "p", "f", "c")
+    all_errors = F.col("e_missing") + F.col("e_not_numeric") == 0
+    bad = flags.union(F.col("p"), flags.reasons(source_value_missing=F.col("v_missing") + F.col("v_not_numeric") > 0, unsupported_numeric_range=(F.col("v_exceeded") > 0) | (all_errors & (F.col("e_exceeded") > 0))))
+    clear = F.size(bad) == 0
+    spent = clear & F.coalesce((F.col("c") == "capital_expenditures_ppe") & F.col("v_total").startswith("-"), F.lit(False))
+    known = clear & all_errors
+    return found.select(*[F.col(k).alias(b) for k, b in zip(keys, by, strict=True)], F.when(clear & ~spent, F.col("v_total")).alias("value"), F.when(known, F.col("e_total")).alias("error"), flags.union(bad, F.col("f"), flags.reasons(negative_cash_ppe_capex=spent)).alias("flags"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pitspark.functions import flags, wide
 from pitspark.functions.storage import work_dir
-from pitspark.operators import frozen
+from pitspark.operators import changes, frozen, periods
 from pitspark.plans.bridge import PRICE, VIEWS
 from pitspark.plans.registry import Data, query
 from pitspark.sources import publication
@@ -92,3 +92,32 @@ def a5_exact(t: Data) -> DataFrame:
     """Totals of amounts that no decimal of Spark holds, and their quotient by shares."""
     found = wide.exact_ratio(t.long_amounts, ["issuer"], "amount", "shares")
     return found.select("issuer", "v", "exceeded", "sign", "num_total", "den_total", F.round(F.col("ratio") + 1.7e-6, 4).alias("ratio"), flags.text(F.col("reasons")).alias("reasons"))
+
+
+VIEWS["accepted"] = "select o_orderkey as accession, o_orderstatus as form, case when o_totalprice < 30000 then null else o_orderdate end as acceptance_at, case when o_orderpriority = '5-LOW' then 'date_only' when o_orderpriority <> '4-NOT SPECIFIED' then 'verified_timezone' end as acceptance_time_basis from {orders}"
+
+
+@query("P19_verified_inventory", "select accession, case when acceptance_at is null or coalesce(acceptance_time_basis, '') <> 'verified_timezone' then 'acceptance_unverified' when acceptance_at > timestamp '1998-01-01 00:00:00' then 'excluded_after_cutoff' else 'selected' end as state from {accepted} where form in ('F', 'P')")
+def p19_verified(t: Data) -> DataFrame:
+    return changes.at_cutoff(t.accepted, ["F", "P"], F.lit("1998-01-01 00:00:00").cast("timestamp_ntz")).select("accession", "state")
+
+
+@query("F11_annual_reasons", """select issuer, qidx, k, cast(case when k = 4 and income >= 0 then revenue end as double) as value, concat_ws('|', case when income < 0 then 'input_value_invalid' end, case when k <> 4 then 'unsupported_annual_period' end) as problems from (select *, 1 as k from {flows} union all select *, 4 from {flows}) x""")
+def f11_reasons(t: Data) -> DataFrame:
+    """Each quarter's amount as one of three and of twelve months."""
+    rows = t.flows.withColumn("k", F.explode(F.array(F.lit(1), F.lit(4)))).withColumn("period_start", F.add_months(F.date_add("period_end", 1), F.col("k") * -3))
+    rows = rows.select("issuer", "qidx", "k", "period_start", "period_end", F.col("revenue").alias("value"), flags.reasons(input_value_invalid=F.col("income") < 0).alias("problems"))
+    return periods.annual_amounts(rows).select("issuer", "qidx", "k", F.col("value").cast("double").alias("value"), flags.text(F.col("problems")).alias("problems"))
+
+
+@query("F14_assembled_amounts", """select issuer, fiscal_year, cast(case when count(case when income < cfo / -8 then 1 end) = 0 then sum(case when place = 0 then -revenue else revenue end) end as double) as value,
+    cast(case when count(case when income < cfo / -8 or capex > cfo then 1 end) = 0 then sum(error) end as double) as error, concat_ws('|', case when count(case when income < cfo / -8 then 1 end) > 0 then 'input_value_invalid' end, case when count(case when cost > 20 * cfo then 1 end) > 0 then 'revised_view' end) as flags
+  from (select *, cast(floor(qidx / 4) as int) as fiscal_year, qidx % 4 as place from {flows}) x group by 1, 2""")
+def f14_assembled(t: Data) -> DataFrame:
+    """Years from quarters, the first of which is subtracted."""
+    rows = t.flows.select(
+        "issuer", F.floor(F.col("qidx") / 4).cast("int").alias("fiscal_year"), F.col("revenue").alias("value"), F.when(~(F.col("capex") > F.col("cfo")), F.col("error")).alias("error"), F.when(F.col("qidx") % 4 == 0, -1).otherwise(1).alias("coefficient"),
+        flags.reasons(input_value_invalid=F.col("income") < F.col("cfo") / -8).alias("problems"), flags.reasons(revised_view=F.col("cost") > 20 * F.col("cfo")).alias("flags"),
+    )
+    found = periods.assembled(rows, ["issuer", "fiscal_year"])
+    return found.select("issuer", "fiscal_year", F.col("value").cast("double").alias("value"), F.col("error").cast("double").alias("error"), flags.text(F.col("flags")).alias("flags"))

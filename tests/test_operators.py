@@ -578,3 +578,25 @@ def test_anchor_reasons(spark):
     day = lambda c, n: F.col(c).cast("date").alias(n)
     codes = valuation.anchor_reasons(F.array().cast("array<string>"), F.col("filed").cast("date"), F.lit(valued).cast("timestamp"), F.struct(day("s", "start"), day("e", "end")), F.struct(day("ws", "start"), day("we", "end")), F.col("value"), F.col("error"))
     assert [r.c for r in rows.select("i", codes.alias("c")).orderBy("i").collect()] == [c[-1] for c in cases]
+
+
+def test_amounts_assembled_from_sources(spark):
+    long = "1" + "0" * 50
+    rows = [
+        ("a", long, "0.5", 1, [], ["revised_view"]), ("a", "1", "0.25", -1, [], []), ("b", "-3", "1", -1, [], []), ("b", "2", None, 1, [], []), ("c", "1", "1", 1, ["p"], ["f"]), ("c", "2", "1", 1, None, None),
+        ("d", None, "1", 1, [], []), ("e", "1E3000", "1", 1, [], []), (None, "4", "0", 1, [], []), (None, "+5", "0", -1, [], []),
+    ]
+    got = {r.k: (r.value, r.error, r.flags) for r in periods.assembled(spark.createDataFrame(rows, "k string, value string, error string, coefficient int, problems array<string>, flags array<string>"), ["k"]).collect()}
+    assert got == {
+        "a": ("9" * 50, "0.75", ["revised_view"]), "b": ("5", None, []), "c": (None, None, ["f", "p"]), "d": (None, None, ["source_value_missing"]), "e": (None, None, ["unsupported_numeric_range"]), None: ("-1", "0", []),
+    }
+    capex = spark.createDataFrame([("x", "capital_expenditures_ppe", "-1", "2"), ("y", "revenue", "-1", "2"), ("z", "capital_expenditures_ppe", "1", "1E2000")], "k string, concept string, value string, error string").selectExpr("*", "1 as coefficient", "array() as problems", "array() as flags").withColumns({c: F.col(c).cast("array<string>") for c in ("problems", "flags")})
+    assert {r.k: (r.value, r.error, r.flags) for r in periods.assembled(capex, ["k"]).collect()} == {"x": (None, "2", ["negative_cash_ppe_capex"]), "y": ("-1", "2", []), "z": (None, None, ["unsupported_numeric_range"])}
+
+
+def test_annual_amounts_and_inventories_at_a_cutoff(spark):
+    rows = spark.sql("select cast(s as date) period_start, cast(e as date) period_end, 1.5 as value, cast(null as array<string>) as problems from values ('2023-01-01', '2023-12-31'), ('2023-01-01', '2023-09-30'), (null, '2023-12-31') as t(s, e)")
+    assert sorted((str(r.period_start), r.value is not None, r.problems) for r in periods.annual_amounts(rows).collect()) == [("2023-01-01", False, ["unsupported_annual_period"]), ("2023-01-01", True, []), ("None", False, ["unsupported_annual_period"])]
+    at = dt.datetime(2024, 1, 1)
+    filings = spark.createDataFrame([(1, "10-K", at, "verified_timezone"), (2, "10-K", at, None), (3, "10-K", None, "verified_timezone"), (4, "10-K", dt.datetime(2024, 1, 2), "verified_timezone"), (5, "8-K", at, "verified_timezone"), (6, None, at, "verified_timezone")], "i int, form string, acceptance_at timestamp, acceptance_time_basis string")
+    assert {r.i: r.state for r in changes.at_cutoff(filings, ["10-K"], F.lit(at)).collect()} == {1: "selected", 2: "acceptance_unverified", 3: "acceptance_unverified", 4: "excluded_after_cutoff"}
