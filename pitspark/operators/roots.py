@@ -25,6 +25,8 @@ YEARLY = ("growth", "margins", "taxes", "reinvestment")
 SINGLE = ("revenue", "wacc", "terminal_growth", "terminal_margin", "terminal_tax", "terminal_roic", "target")
 #: Where an open domain is cut: beside its middle, as roots like to lie on round numbers.
 CUT = 0.4871
+#: Newton's steps towards a root before halving.
+LEAPS = 12
 RESULT = "state string, solution double, roots array<struct<low:double,high:double>>, unresolved array<struct<low:double,high:double>>, evaluations int, subdivisions int"
 
 
@@ -166,6 +168,7 @@ class Search:
         many = len(rows["revenue"])
         self.evaluations, self.subdivisions = np.zeros(many, np.int64), np.zeros(many, np.int64)
         self.roots: list[list[tuple[float, float]]] = [[] for _ in range(many)]
+        self.points: list[list[float]] = [[] for _ in range(many)]
         self.unresolved: list[list[tuple[float, float]]] = [[] for _ in range(many)]
         self.at, self.low, self.high = self._cut(np.arange(many), low, high)
         with np.errstate(over="ignore", invalid="ignore"):
@@ -228,10 +231,44 @@ class Search:
             np.add.at(self.subdivisions, at[rest], 1)
             self.at, self.piece, self.low, self.high = np.r_[at[rest], at[rest]], np.r_[piece[rest], piece[rest]], np.r_[low[rest], middle], np.r_[middle, high[rest]]
 
+    def _leap(self, at: np.ndarray, piece: np.ndarray, low: np.ndarray, high: np.ndarray, left: np.ndarray, near: np.ndarray) -> None:
+        """Puts brackets of one root each, in place, around the point that Newton's steps end in, where both new
+        ends are told from the root; the others stay for halving."""
+        x, reach, going = (low + high) / 2, np.full(len(at), self.bounds.width / 4), np.ones(len(at), bool)
+        for _ in range(LEAPS):
+            i = np.flatnonzero(going)
+            i = i[self.evaluations[at[i]] + 8 * (self._nth(at[i]) + 1) <= self.bounds.evaluations]
+            going[:] = False
+            if not len(i):
+                break
+            value, slope = self.enclose(at[i], piece[i], x[i], x[i])
+            with np.errstate(all="ignore"):
+                tilt = (slope.low + slope.high) / 2
+                new = np.clip(x[i] - (value.low + value.high) / 2 / tilt, low[i], high[i])
+                noise = 4 * (value.high - value.low) / np.abs(tilt) + 4 * np.spacing(np.abs(new))
+                span = np.maximum(np.minimum(self.bounds.width / 4, near[i] / 4 / np.abs(tilt)), noise)
+            sound = np.isfinite(new) & np.isfinite(span)
+            i, new, span = i[sound], new[sound], span[sound]
+            going[i] = np.abs(new - x[i]) > span
+            x[i], reach[i] = new, span
+        j = np.flatnonzero(self.evaluations[at] + 6 * (self._nth(at) + 1) <= self.bounds.evaluations)
+        inner, outer = np.maximum(x[j] - reach[j], low[j]), np.minimum(x[j] + reach[j], high[j])
+        told = (self.enclose(at[j], piece[j], inner, inner)[0].sign() == left[j]) & (self.enclose(at[j], piece[j], outer, outer)[0].sign() == -left[j])
+        low[j[told]], high[j[told]] = inner[told], outer[told]
+
+    def _nearest(self, at: np.ndarray, piece: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """A root's best point within its bracket: one more step of Newton's from the middle."""
+        middle = (low + high) / 2
+        value, slope = self.enclose(at, piece, middle, middle)
+        with np.errstate(all="ignore"):
+            point = np.clip(middle - (value.low + value.high) / (slope.low + slope.high), low, high)
+        return np.where(np.isfinite(point), point, middle)
+
     def _refine(self, at: np.ndarray, piece: np.ndarray, low: np.ndarray, high: np.ndarray, left: np.ndarray) -> np.ndarray:
         """Narrows brackets that hold one root each; whether each got narrow and near enough."""
         low, high, done, going = low.copy(), high.copy(), np.zeros(len(at), bool), np.ones(len(at), bool)
         near = self.bounds.absolute + self.bounds.relative * np.abs(self.rows["target"][at])
+        self._leap(at, piece, low, high, left, near)
         for _ in range(self.bounds.iterations):
             i = np.flatnonzero(going)
             i = i[self.evaluations[at[i]] + 4 * (self._nth(at[i]) + 1) <= self.bounds.evaluations]
@@ -256,8 +293,10 @@ class Search:
             moved = between
             moved[unsure[~told]] = False
             going[i[moved]] = True
-        for k in np.flatnonzero(done).tolist():
-            self.roots[at[k]].append((float(low[k]), float(high[k])))
+        k = np.flatnonzero(done)
+        for r, a, b, x in zip(at[k].tolist(), low[k].tolist(), high[k].tolist(), self._nearest(at[k], piece[k], low[k], high[k]).tolist()):
+            self.roots[r].append((a, b))
+            self.points[r].append(x)
         return done
 
 
@@ -281,12 +320,18 @@ def solver(variable: str, low: float, high: float, bounds: Bounds = Bounds()):
         yearly = [*YEARLY, *(["weights"] if variable == MARGIN else [])]
         single = [*SINGLE, *(["anchor_margin"] if variable == MARGIN else [])]
         numbers = frame[single].astype(float)
-        years = frame["growth"].map(lambda v: -1 if v is None else len(v))
-        whole = np.isfinite(numbers).all(axis=1) & (years > 0)
+        lengths = {name: np.array([-1 if v is None else len(v) for v in frame[name]]) for name in {"growth", *yearly}}
+        years = lengths["growth"]
+        whole = np.isfinite(numbers).all(axis=1).to_numpy() & (years > 0)
         for name in yearly:
-            whole &= frame[name].map(lambda v: v is not None and all(x is not None and np.isfinite(x) for x in v)) & (frame[name].map(lambda v: -1 if v is None else len(v)) == years)
+            whole &= lengths[name] == years
+            same = np.flatnonzero(whole)
+            if len(same):
+                flat = np.concatenate(frame[name].iloc[same].to_list()).astype(float)
+                bad = np.add.reduceat(~np.isfinite(flat), np.r_[0, np.cumsum(years[same])[:-1]])
+                whole[same[bad > 0]] = False
         out: list[tuple | None] = [("no_input", None, None, None, None, None)] * len(frame)
-        for n in years[whole].unique():
+        for n in np.unique(years[whole]):
             own = np.flatnonzero(whole & (years == n))
             rows = {name: np.stack(frame[name].iloc[own].to_numpy()).astype(float) for name in yearly} | {name: numbers[name].to_numpy()[own] for name in single}
             search = Search(rows, variable, low, high, bounds)
@@ -294,7 +339,7 @@ def solver(variable: str, low: float, high: float, bounds: Bounds = Bounds()):
             for k, place in enumerate(own):
                 roots, open_ = sorted(search.roots[k]), _touching(search.unresolved[k])
                 state = "inconclusive" if open_ else "non_unique" if len(roots) > 1 else "converged" if roots else "no_solution"
-                solution = sum(roots[0]) / 2 if state == "converged" else None
+                solution = search.points[k][0] if state == "converged" else None
                 out[place] = (state, solution, [{"low": a, "high": b} for a, b in roots], [{"low": a, "high": b} for a, b in open_], int(search.evaluations[k]), int(search.subdivisions[k]))
         return pd.DataFrame(out, columns=["state", "solution", "roots", "unresolved", "evaluations", "subdivisions"]).astype({"evaluations": "Int32", "subdivisions": "Int32"})
 

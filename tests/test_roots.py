@@ -128,6 +128,15 @@ def test_scenarios_are_valued_again_at_the_solution(spark):
     assert valuation.scenario_results(rows.withColumn("target", F.lit(1e12)), roots.GROWTH, -0.5, 0.5).first().per_share is None
 
 
+def test_solutions_are_as_exact_as_doubles(spark):
+    found = [solved(spark, low, high, variable, **FADE) for variable, low, high in ((roots.GROWTH, -0.513, 0.507), (roots.REINVESTMENT, -0.21, 0.433), (roots.MARGIN, 0.013, 0.907))]
+    assert [r.solution for r in found] == pytest.approx([0.1, 0.05, 0.2], abs=1e-13)
+    assert all(x.low <= r.solution <= x.high and r.evaluations < 40 for r in found for x in r.roots)
+    many = spark.range(1, 2000).selectExpr("*", "1e6 + id * 1234.56789 as target").crossJoin(spark.createDataFrame([row(shares=1.0, revenue=1e6, **FADE)]).drop("target"))
+    again = valuation.scenario_results(many, roots.MARGIN, 0.01, 1.0).filter("state = 'converged'")
+    assert again.count() > 1000 and again.filter("abs(ev - target) > 1e-8").count() == 0
+
+
 def test_cells_are_solved_one_by_one(spark):
     rows = spark.createDataFrame([row(**FADE)]).withColumn("shares", F.lit(1.0))
     cells = valuation.sensitivity(rows, ("growth", [0.05, 0.1]), ("wacc", [0.1, 0.12]), (roots.MARGIN, 0.01, 1.0)).collect()
