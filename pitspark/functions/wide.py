@@ -1,20 +1,26 @@
 """Exact amounts of any length: decimals beyond Spark's 38 digits as sums of limbs.
 
 An amount is text as it was written. It is cut into limbs of six decimal digits, each with its place (limb p
-counts 10^(6p)); a group's total is the sum of its limbs by place, so amounts meet in map-side combines like
-any sum and a group comes out of the shuffle as one row a place. Limits (fixed values): 1,000 digits,
+counts 10^(6p)); a group's total is the sum of its limbs by place. Tasks read each text once and hand on sums,
+which meet in map-side combines like any other, and a group comes out of the shuffle as one row a place. Limits (fixed values): 1,000 digits,
 exponents and magnitudes from -1,000 to 1,000; so a group has at most 400 places. A limb's sum holds nine
 million million rows; beyond, Spark's own overflow error ends the job rather than give a wrong total.
 """
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
 from decimal import ROUND_HALF_EVEN, Context, Decimal, DecimalException, DivisionByZero, InvalidOperation, Overflow, Subnormal, Underflow
+from functools import lru_cache
+from itertools import repeat
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from pitspark.functions import flags
 
@@ -44,21 +50,6 @@ def state(text: Column) -> Column:
     return F.when(text.isNull(), "missing").when(~numeric, "not_numeric").when(F.coalesce(within, F.lit(False)), "observed").otherwise("numeric_range_exceeded")
 
 
-def limbs(text: Column) -> Column:
-    """Non-zero limbs (place, value) of an observed amount, signed; none for anything else and for zero."""
-    p = _parts(text)
-    shift = F.pmod(p["last"], F.lit(LIMB))
-    padded = F.concat(p["digits"], F.repeat(F.lit("0"), shift))
-    many = F.ceil(F.length(padded) / LIMB).cast("int")
-    full = F.lpad(padded, many * LIMB, F.lit("0"))
-    low = ((p["last"] - shift) / LIMB).cast("int")
-    # a second lambda gives the parts once to every limb, which else would be worked out again for each
-    whole = F.array(F.struct(full.alias("full"), many.alias("many"), low.alias("low"), F.when(p["negative"], -1).otherwise(1).alias("sign")))
-    cut = lambda w: F.transform(F.sequence(F.lit(0), w["many"] - 1), lambda i: F.struct((w["low"] + w["many"] - 1 - i).alias("place"), (F.substring(w["full"], i * LIMB + 1, F.lit(LIMB)).cast("long") * w["sign"]).alias("value")))
-    found = F.filter(F.flatten(F.transform(whole, cut)), lambda x: x["value"] != 0)
-    return F.when(state(text) == "observed", found).otherwise(F.array().cast("array<struct<place:int,value:bigint>>"))
-
-
 def _plain(value: Decimal) -> str:
     """A decimal without an exponent and without zeros at the end."""
     text = format(value, "f")
@@ -95,21 +86,96 @@ def quotient(numerator: pd.Series, denominator: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(a, b) for a, b in zip(numerator, denominator, strict=True)], columns=["value", "exceeded"])
 
 
-def _told(k: int, amount: Column) -> Column:
-    """What the k-th amount of a row adds to its group: one for its state, and its limbs."""
-    entry = lambda of, place, value: F.struct(F.lit(k).alias("amount"), of.cast("string").alias("state"), place.cast("int").alias("place"), value.cast("long").alias("value"))
-    return F.concat(F.array(entry(state(amount), F.lit(None), F.lit(1))), F.transform(limbs(amount), lambda x: entry(F.lit(None), x["place"], x["value"])))
+#: The same texts as :data:`WRITTEN` with a digit, for tasks in Python; Java's end of a text may have a line's end before it.
+READ = re.compile(r"([+-]?)(?=\.?[0-9])([0-9]*)(?:\.([0-9]*))?(?:[eE]([+-]?[0-9]+))?(?:\r\n|[\n\r\u0085\u2028\u2029])?\Z")
+#: Sums that a task holds before it hands them on (a fixed value).
+HELD = 200_000
+ABSENT, BEYOND, ONE = ("missing", 0, 0), ("numeric_range_exceeded", 0, 0), ("observed", 1, 0)
+
+
+def read_amount(text: str | None) -> tuple[str, int, int]:
+    """An amount's :func:`state`, and if it is observed its value as a number times a power of 10 ** 6."""
+    if text is None:
+        return ABSENT
+    found = READ.match(text)
+    if found is None:
+        return "not_numeric", 0, 0
+    sign, whole, part, power = found.groups("")
+    digits, far = (whole + part).lstrip("0") or "0", int(power.lstrip("+-").lstrip("0")[:11] or "0")
+    last = (-far if power.startswith("-") else far) - len(part)
+    if len(digits) > MOST or abs(last) > MOST or abs(last + len(digits) - 1) > MOST:
+        return BEYOND
+    value = int(digits) * 10 ** (last % LIMB)
+    return "observed", -value if sign == "-" else value, last // LIMB
+
+
+def _both(amounts: list[tuple]) -> list[tuple]:
+    """A quotient's two amounts where both are observed, and one where either is beyond the limits."""
+    states = [a[0] for a in amounts]
+    return [*(amounts if states == ["observed", "observed"] else (ABSENT, ABSENT)), ONE if BEYOND[0] in states else ABSENT]
+
+
+def _summed(keys: int, pairs: bool, schema: pa.Schema):
+    """A task's rows (keys, then amounts) as sums by key, amount and state or place, which later combine."""
+
+    def out(counts: dict, sums: dict, names: dict):
+        rows = [[] for _ in schema]
+
+        def add(key, *entry):
+            for column, v in zip(rows, (*names.get(key, key), *entry)):
+                column.append(v)
+
+        for (key, states), many in counts.items():
+            for k, state_ in enumerate(states):
+                add(key, k, state_, None, many)
+        for (key, k, place), value in sums.items():
+            rest = abs(value)
+            while rest:
+                rest, limb = divmod(rest, 10**LIMB)
+                if limb:
+                    add(key, k, None, place, -limb if value < 0 else limb)
+                place += 1
+        table = pa.Table.from_arrays([pa.array(v, f.type) for v, f in zip(rows, schema)], schema=schema)
+        yield from table.to_batches(max_chunksize=50_000)
+
+    def run(batches):
+        nested, read = any(pa.types.is_nested(f.type) for f in list(schema)[:keys]), lru_cache(maxsize=1024)(read_amount)
+        counts, sums, names = defaultdict(int), defaultdict(int), {}
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for key, texts in zip(zip(*columns[:keys]) if keys else repeat((), batch.num_rows), zip(*columns[keys:])):
+                if nested:  # lists and dicts are no keys of a dict
+                    names[repr(key)] = key
+                    key = repr(key)
+                amounts = [read(t) for t in texts]
+                if pairs:
+                    amounts = _both(amounts)
+                counts[key, tuple([a[0] for a in amounts])] += 1
+                for k, (_, value, low) in enumerate(amounts):
+                    if value:
+                        sums[key, k, low] += value
+                if len(counts) + len(sums) >= HELD:
+                    yield from out(counts, sums, names)
+                    counts, sums, names = defaultdict(int), defaultdict(int), {}
+        yield from out(counts, sums, names)
+
+    return run
 
 
 def exact_totals(rows: DataFrame, by: list[str], amounts: list[str]) -> DataFrame:
     """One row for each group: for each amount (text) its exact total ``{a}_total`` in plain text, null without
     an observed one, and the numbers of amounts by state, ``{a}_observed``, ``{a}_missing``, ``{a}_not_numeric``,
     ``{a}_exceeded``. Places meet by (group, amount, place), so a group of many rows is a row a place."""
+    return _totals(rows.select(*by, *[F.col(a).cast("string") for a in amounts]), by, amounts, pairs=False)
+
+
+def _totals(rows: DataFrame, by: list[str], amounts: list[str], pairs: bool) -> DataFrame:
+    """:func:`exact_totals` of rows of keys and amounts; with ``pairs`` of two amounts as :func:`_both` marks them."""
     kinds = {"observed": "observed", "missing": "missing", "not_numeric": "not_numeric", "numeric_range_exceeded": "exceeded"}
-    told = F.flatten(F.array(*[_told(k, F.col(a)) for k, a in enumerate(amounts)]))
-    keys = [F.col(b).alias(f"_{k}") for k, b in enumerate(by)]
     names = [f"_{k}" for k in range(len(by))]
-    each = rows.select(*keys, F.explode(told).alias("x")).select(*names, "x.*")
+    told = StructType([StructField(n, f.dataType) for n, f in zip(names, rows.schema.fields)])
+    told = told.add("amount", "integer").add("state", "string").add("place", "integer").add("value", "long")
+    each = rows.mapInArrow(_summed(len(by), pairs, to_arrow_schema(told)), told)
     placed = each.groupBy(*names, "amount", "state", "place").agg(F.sum("value").alias("value"))
     found = []
     for k, a in enumerate(amounts):
@@ -125,11 +191,8 @@ def exact_ratio(rows: DataFrame, by: list[str], numerator: str, denominator: str
     """Each group's total of ``numerator`` over its total of ``denominator``, from the rows where both are
     observed: v of them, exact totals, ``sign`` of the numerator's total (of the exact one, so a total that a
     double takes for zero keeps it), the quotient as text and as double, and reasons."""
-    both = (state(F.col(numerator)) == "observed") & (state(F.col(denominator)) == "observed")
-    exceeded = (state(F.col(numerator)) == "numeric_range_exceeded") | (state(F.col(denominator)) == "numeric_range_exceeded")
-    amount = lambda c: F.when(both, F.col(c))
-    marked = rows.select(*by, amount(numerator).alias("num"), amount(denominator).alias("den"), F.when(exceeded, "1").alias("over"))
-    out = exact_totals(marked, by, ["num", "den", "over"])
+    asked = rows.select(*by, F.col(numerator).cast("string"), F.col(denominator).cast("string"))
+    out = _totals(asked, by, ["num", "den", "over"], pairs=True)
     positive = ~F.col("den_total").startswith("-") & (F.col("den_total") != "0")
     out = out.withColumn("q", quotient(F.when(positive, F.col("num_total")), F.col("den_total")))
     why = flags.reasons(no_contributors=F.col("num_observed") == 0, denominator_nonpositive=~positive, numeric_range_exceeded=(F.col("over_observed") > 0) | F.col("q.exceeded"))

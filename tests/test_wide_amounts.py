@@ -2,6 +2,7 @@
 
 from decimal import ROUND_HALF_EVEN, Context, Decimal, localcontext
 
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -70,3 +71,15 @@ def test_ratio_keeps_sign_and_says_what_does_not_fit(spark):
 def test_scaled_text_moves_digits_beyond_the_decimals(spark):
     row = spark.range(1).select(scalar.scaled_text(F.lit("1,234.5"), F.lit(60), F.lit("-"), F.lit("num-dot-decimal")).alias("t")).first()
     assert Decimal(row.t) == Decimal("-1234.5E60") and states(spark, row.t) == ["observed"]
+
+
+def test_tasks_read_amounts_as_columns_do_and_hand_on_sums(spark):
+    """Rows of one key leave a task as a row a state and place, however many they are."""
+    texts = [None, "", ".", "-.5", "+7.", "12\n", "1 2", "1e", "1E1000", "1E1001", "12E1000", "-1E-1000", "1E-1001", "1E+0000000000000000012", "1E-99999999999999999999", "0" * 5000 + "3", "9" * 1001, "\u0661"]
+    assert [wide.read_amount(t)[0] for t in texts] == states(spark, *texts)
+    schema = pa.schema([("_0", pa.int64()), ("amount", pa.int32()), ("state", pa.string()), ("place", pa.int32()), ("value", pa.int64())])
+    batches = [pa.RecordBatch.from_pydict({"k": [1, 2] * 5000, "a": ["1E-18", "12345678901234567890E-3"] * 5000}) for _ in range(3)]
+    told = [r for b in wide._summed(1, False, schema)(iter(batches)) for r in b.to_pylist()]
+    assert len(told) < 15 and sum(r["value"] for r in told if r["state"] == "observed") == 30000
+    keys = spark.createDataFrame([([1, 2], "1"), ([1, 2], "2"), ([1, None], "5"), (None, "7")], "k array<int>, t string")
+    assert {tuple(r.k or ()): r.t_total for r in wide.exact_totals(keys, ["k"], ["t"]).collect()} == {(1, 2): "3", (1, None): "5", (): "7"}
