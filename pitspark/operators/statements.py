@@ -64,72 +64,97 @@ def _of(requests: DataFrame, names: str, name: str, *more: str) -> DataFrame:
     return requests.select("request", *more, F.explode(names).alias(name))
 
 
-def source_vintages(pinned: DataFrame) -> DataFrame:
-    """request, capture, chosen and torn of each capture (request, source, object_key, role, capture, fetched_at, body_hash).
+def source_vintages(pinned: DataFrame, by: str) -> DataFrame:
+    """by, capture, chosen and torn of each capture (by, source, object_key, role, capture, fetched_at, body_hash).
 
     The newest capture of each object and role is chosen; different bytes at that time are ambiguous. A capture
     that is chosen in one role and superseded in another tears its request.
     """
-    role = Window.partitionBy("request", "source", "object_key", "role")
+    role = Window.partitionBy(by, "source", "object_key", "role")
     marked = pinned.withColumn("newest", F.col("fetched_at") == F.max("fetched_at").over(role))
     at = F.when(F.col("newest"), F.col("body_hash"))
     marked = marked.withColumn("tied", F.min(at).over(role) != F.max(at).over(role))
-    return marked.groupBy("request", "capture").agg(_any(F.col("newest")).alias("chosen"), (_any(F.col("newest")) & _any(~F.col("newest"))).alias("torn"), _any(F.col("tied")).alias("tied"))
+    return marked.groupBy(by, "capture").agg(_any(F.col("newest")).alias("chosen"), (_any(F.col("newest")) & _any(~F.col("newest"))).alias("torn"), _any(F.col("tied")).alias("tied"))
 
 
-def bundles(requests: DataFrame, e: Evidence) -> tuple[DataFrame, DataFrame]:
-    """The first reason against each request's evidence (request, reason), and its chosen captures (request, capture)."""
+#: What requests of one pin, and of one case, share.
+PIN = ("issuer", "mapping", "normalizer", "policy", "captured_before", "batches", "captures")
+CASE = (*PIN, "period", "security", "events", "quality")
+
+
+def _id(columns: tuple[str, ...]) -> Column:
+    """Sixteen bytes for a row's values."""
+    return F.unhex(F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})))
+
+
+def bundles(requests: DataFrame, e: Evidence) -> DataFrame:
+    """The first reason against each request's evidence, and its chosen captures: request, reason, chosen.
+
+    Requests mostly pin the same as others, so evidence meets each distinct pin (batches and captures) or case
+    (with events and quality flags) once, and the requests meet the outcome of their case.
+    """
     same = ("issuer", "mapping", "normalizer", "policy")
-    batches = _of(requests, "batches", "batch", *[F.col(c).alias(f"_{c}") for c in same])
+    cases = stored(requests.select(*CASE).distinct().select(_id(CASE).alias("case"), _id(PIN).alias("pin"), *CASE), "cases")
+    pins = cases.select("pin", *PIN).distinct()
+    batches = pins.select("pin", F.explode("batches").alias("batch"), *[F.col(c).alias(f"_{c}") for c in same])
     met = batches.join(e.batches, "batch", "left").withColumn("lost", ~F.col("state").eqNullSafe(F.lit("published")))
     differs = F.lit(False)
     for c in same:
         differs = differs | ~F.col(f"_{c}").eqNullSafe(F.col(c))
-    twice = Window.partitionBy("request", "input_hash")
+    twice = Window.partitionBy("pin", "input_hash")
     met = met.withColumns({"other": differs, "odd": F.min("output_hash").over(twice) != F.max("output_hash").over(twice)})
-    by_batch = met.groupBy("request").agg(_any(F.col("lost")).alias("lost"), _any(F.col("other")).alias("other"), _any(F.col("odd")).alias("odd"))
+    by_batch = met.groupBy("pin").agg(_any(F.col("lost")).alias("lost"), _any(F.col("other")).alias("other"), _any(F.col("odd")).alias("odd"))
 
-    cutoffs = requests.select("request", "captured_before")
-    pinned = batches.select("request", "batch").join(e.inputs, "batch").join(e.captures, "capture").join(cutoffs, "request")
+    pinned = batches.select("pin", "batch").join(e.inputs, "batch").join(e.captures, "capture").join(pins.select("pin", "captured_before"), "pin")
     late = ~F.coalesce((F.col("fetched_at") <= F.col("captured_before")) & (F.col("completed_at") <= F.col("captured_before")), F.lit(False))
-    vintages = stored(source_vintages(pinned), "vintages")
-    by_capture = pinned.groupBy("request").agg(F.array_sort(F.collect_set("capture")).alias("held"), _any(late).alias("late"))
-    by_vintage = vintages.groupBy("request").agg(_any(F.col("tied")).alias("tied"), _any(F.col("torn")).alias("torn"))
-    chosen = vintages.filter("chosen").select("request", "capture")
-
-    events = _of(requests, "events", "event", "captures", F.col("issuer").alias("_issuer"))
-    source = e.filings.select("version", "metadata_capture")
-    seen = events.join(e.events.select("event", "issuer", "version"), "event", "left").join(source, "version", "left")
-    foreign = ~(F.col("issuer").eqNullSafe(F.col("_issuer")) & F.coalesce(F.array_contains("captures", F.col("metadata_capture")), F.lit(False)))
-    fresh = chosen.select("request", F.col("capture").alias("metadata_capture"), F.lit(True).alias("fresh"))
-    by_event = seen.join(fresh, ["request", "metadata_capture"], "left").groupBy("request").agg(_any(foreign).alias("foreign"), _any(F.col("fresh").isNull()).alias("outdated"))
-
-    quality = _of(requests, "quality", "flag", "batches", *[F.col(c).alias(f"_{c}") for c in ("issuer", "period", "security")])
+    vintages = stored(source_vintages(pinned, "pin"), "vintages")
+    by_capture = pinned.groupBy("pin").agg(F.array_sort(F.collect_set("capture")).alias("held"), _any(late).alias("late"))
+    by_vintage = vintages.groupBy("pin").agg(_any(F.col("tied")).alias("tied"), _any(F.col("torn")).alias("torn"), F.collect_list(F.when(F.col("chosen"), F.col("capture"))).alias("chosen"))
+    outcome = pins.select("pin", "captures")
+    for found in (by_batch, by_capture, by_vintage):
+        outcome = outcome.join(found, "pin", "left")
+    manifest = ~F.coalesce(F.col("held") == F.array_sort(F.array_distinct("captures")), F.lit(False))
+    chosen = F.coalesce("chosen", F.array().cast(vintages.select(F.array("capture").alias("c")).schema["c"].dataType))
+    outcome = stored(outcome.select("pin", F.coalesce("lost", F.lit(True)).alias("lost"), "other", "odd", manifest.alias("manifest"), "late", "tied", "torn", chosen.alias("chosen")), "outcome")
+
+    events = cases.select("case", "pin", F.explode("events").alias("event"), F.col("issuer").alias("_issuer"))
+    source = e.events.select("event", "issuer", "version").join(e.filings.select("version", "metadata_capture"), "version", "left")
+    seen = events.join(source, "event", "left").join(pins.select("pin", "captures").join(outcome.select("pin", "chosen"), "pin"), "pin")
+    held = lambda captures: F.coalesce(F.array_contains(captures, F.col("metadata_capture")), F.lit(False))
+    foreign = ~(F.col("issuer").eqNullSafe(F.col("_issuer")) & held("captures"))
+    by_event = seen.groupBy("case").agg(_any(foreign).alias("foreign"), _any(~held("chosen")).alias("outdated"))
+
+    quality = cases.select("case", F.explode("quality").alias("flag"), "batches", *[F.col(c).alias(f"_{c}") for c in ("issuer", "period", "security")])
     noted = quality.join(e.quality, "flag", "left")
     fits = F.col("issuer").eqNullSafe(F.col("_issuer"))
     for c, scope in (("period", F.col("period").eqNullSafe(F.col("_period"))), ("security", F.col("security").eqNullSafe(F.col("_security"))), ("batch", F.coalesce(F.array_contains("batches", F.col("batch")), F.lit(False)))):
         fits = fits & (F.col(c).isNull() | scope)
-    by_quality = noted.groupBy("request").agg(_any(~fits).alias("misplaced"))
+    by_quality = noted.groupBy("case").agg(_any(~fits).alias("misplaced"))
 
-    every = requests.select("request", "captures")
-    for found in (by_batch, by_capture, by_vintage, by_event, by_quality):
-        every = every.join(found, "request", "left")
+    every = cases.select("case", "pin").join(by_event, "case", "left").join(by_quality, "case", "left").join(outcome, "pin")
     reason = _first(
-        unpublished_or_missing_batch=F.coalesce("lost", F.lit(True)), incompatible_batch_revision=F.col("other"), nondeterministic_normalization=F.col("odd"),
-        incompatible_capture_manifest=~F.coalesce(F.col("held") == F.array_sort(F.array_distinct("captures")), F.lit(False)), capture_unavailable=F.col("late"), incompatible_event_manifest=F.col("foreign"),
+        unpublished_or_missing_batch=F.col("lost"), incompatible_batch_revision=F.col("other"), nondeterministic_normalization=F.col("odd"),
+        incompatible_capture_manifest=F.col("manifest"), capture_unavailable=F.col("late"), incompatible_event_manifest=F.col("foreign"),
         incompatible_quality_manifest=F.col("misplaced"), ambiguous_capture_vintage=F.col("tied"), incompatible_source_roles=F.col("torn"), incompatible_event_vintage=F.col("outdated"),
     )
-    return stored(every.select("request", reason.alias("reason")), "reasons"), chosen
+    asked = requests.select("request", _id(CASE).alias("case"))
+    return stored(asked.join(every.select("case", reason.alias("reason"), "chosen"), "case").select("request", "reason", "chosen"), "reasons")
+
+
+def sound(requests: DataFrame, states: DataFrame) -> DataFrame:
+    """Requests that nothing is held against, with their chosen captures."""
+    return requests.join(states.filter("reason is null").select("request", "chosen"), "request")
 
 
-def covered(requests: DataFrame, chosen: DataFrame, e: Evidence) -> DataFrame:
-    """The eligible coverage of each request with its filing: of its batches, period, family and scope, in its
+def covered(requests: DataFrame, e: Evidence) -> DataFrame:
+    """The eligible coverage of each sound request with its filing: of its batches, period, family and scope, in its
     currency or none, from a chosen metadata capture, of an allowed authority, audited if asked, filed by the cutoff."""
-    asked = requests.select("request", F.explode("batches").alias("batch"), "period", "family", "scope", F.col("currency").alias("_currency"), "mode", "filed_cutoff", "audited", "allow_reviewed")
-    rows = asked.join(e.coverage, ["batch", "period", "family", "scope"]).filter(F.col("currency").isNull() | (F.col("currency") == F.col("_currency")))
-    rows = rows.join(e.filings.select("version", "filing", "filed", "acceptance_at", F.col("metadata_capture").alias("capture")), "version").join(chosen, ["request", "capture"], "left_semi")
+    asked = requests.select("request", F.explode("batches").alias("batch"), "period", "family", "scope", F.col("currency").alias("_currency"), "mode", "filed_cutoff", "audited", "allow_reviewed", "chosen")
+    filings = e.filings.select("version", "filing", "filed", "acceptance_at", F.col("metadata_capture").alias("capture"))
+    filed = e.coverage.filter(F.col("authority").isin("periodic_complete", "reviewed_equivalent")).join(filings, "version")  # once, not for each request
+    rows = asked.join(filed, ["batch", "period", "family", "scope"]).filter(F.col("currency").isNull() | (F.col("currency") == F.col("_currency")))
     allowed = (F.col("authority") == "periodic_complete") | (F.col("allow_reviewed") & (F.col("authority") == "reviewed_equivalent"))
-    return rows.filter(allowed & (~F.col("audited") | (F.col("assurance") == "audited")) & (F.col("filed_cutoff").isNull() | (F.col("filed") <= F.col("filed_cutoff"))))
+    return rows.filter(F.array_contains("chosen", F.col("capture")) & allowed & (~F.col("audited") | (F.col("assurance") == "audited")) & (F.col("filed_cutoff").isNull() | (F.col("filed") <= F.col("filed_cutoff"))))
 
 
 def edition(rows: DataFrame) -> DataFrame:
@@ -150,18 +175,17 @@ def edition(rows: DataFrame) -> DataFrame:
     return ends.select("request", "coverage", "version", "filing", "filed", "basis", reason.alias("reason"))
 
 
-def facts(requests: DataFrame, editions: DataFrame, chosen: DataFrame, e: Evidence) -> DataFrame:
+def facts(requests: DataFrame, editions: DataFrame, e: Evidence) -> DataFrame:
     """request, concept, status, value and resolutions of every concept asked of an edition.
 
     No resolution is missing, differing ones are ambiguous; a value from a capture that is not chosen is stale.
     """
-    asked = requests.select("request", "scope", "unit", "instrument", F.explode("concepts").alias("concept"))
+    asked = requests.select("request", "scope", "unit", "instrument", "chosen", F.explode("concepts").alias("concept"))
     found = editions.select("request", "coverage").join(asked, "request").join(e.resolutions.withColumnRenamed("instrument", "_instrument"), ["coverage", "concept", "scope", "unit"])
     found = found.filter(F.col("_instrument").eqNullSafe(F.col("instrument"))).join(e.observations.select("observation", F.col("capture"), "value"), "observation", "left")
-    known = found.join(chosen.withColumn("_fresh", F.lit(True)), ["request", "capture"], "left")
     sign = F.struct("status", "value", "observation")
-    stale = F.col("observation").isNotNull() & F.col("_fresh").isNull()
-    grouped = known.groupBy("request", "concept").agg(F.min(sign).alias("low"), F.max(sign).alias("high"), _any(stale).alias("stale"), F.array_sort(F.collect_set("resolution")).alias("resolutions"))
+    stale = F.col("observation").isNotNull() & ~F.coalesce(F.array_contains("chosen", F.col("capture")), F.lit(False))
+    grouped = found.groupBy("request", "concept").agg(F.min(sign).alias("low"), F.max(sign).alias("high"), _any(stale).alias("stale"), F.array_sort(F.collect_set("resolution")).alias("resolutions"))
     whole = asked.select("request", "concept").join(editions.select("request").distinct(), "request", "left_semi").join(grouped, ["request", "concept"], "left")
     status = F.when(F.col("resolutions").isNull(), "missing").when(~F.col("low").eqNullSafe(F.col("high")), "ambiguous").when(F.col("stale"), "stale_source").otherwise(F.col("low.status"))
     return whole.select("request", "concept", status.alias("status"), F.when(status == "observed", F.col("low.value")).alias("value"), F.coalesce("resolutions", F.array().cast(grouped.schema["resolutions"].dataType)).alias("resolutions"))
@@ -178,12 +202,12 @@ def severe_quality(requests: DataFrame, found: DataFrame, e: Evidence) -> DataFr
     return named.unionByName(whole).unionByName(own).distinct()
 
 
-def taken_back(requests: DataFrame, editions: DataFrame, chosen: DataFrame, e: Evidence) -> DataFrame:
+def taken_back(requests: DataFrame, editions: DataFrame, e: Evidence) -> DataFrame:
     """request and kind of the events, among those pinned, that take back the edition's filing for its period and concepts."""
-    asked = _of(requests, "events", "event", F.col("issuer").alias("_issuer"), F.col("period").alias("_period"), "concepts", "filed_cutoff")
+    asked = _of(requests, "events", "event", F.col("issuer").alias("_issuer"), F.col("period").alias("_period"), "concepts", "filed_cutoff", "chosen")
     kinds = e.events.filter(F.col("kind").isin(*TAKEN_BACK)).join(e.filings.select("version", F.col("metadata_capture").alias("capture")), "version")
     met = asked.join(kinds, "event").filter((F.col("issuer") == F.col("_issuer")) & (F.col("filed_cutoff").isNull() | (F.col("announced") <= F.col("filed_cutoff"))))
-    met = met.join(chosen, ["request", "capture"], "left_semi").join(e.event_scopes, "event")
+    met = met.filter(F.array_contains("chosen", F.col("capture"))).join(e.event_scopes, "event")
     met = met.filter((F.col("period").isNull() | (F.col("period") == F.col("_period"))) & (F.col("concept").isNull() | F.array_contains("concepts", F.col("concept"))))
     return met.join(editions.select("request", "filing"), ["request", "filing"], "left_semi").select("request", "kind").distinct()
 
@@ -196,17 +220,17 @@ def read(requests: DataFrame, e: Evidence) -> DataFrame:
     concepts, batches, captures, events, quality.
     """
     requests = stored(requests, "requests")
-    reasons, chosen = bundles(requests, e)
-    sound = requests.join(reasons.filter("reason is null"), "request", "left_semi")
-    picked = stored(edition(covered(sound, chosen, e)), "editions")
+    reasons = bundles(requests, e)
+    good_requests = sound(requests, reasons)
+    picked = stored(edition(covered(good_requests, e)), "editions")
     summary = picked.groupBy("request").agg(F.first("reason").alias("edition_reason"), F.max("filed").alias("filed"), F.max("basis").alias("basis"), F.array_sort(F.collect_set("version")).alias("versions"))
     good = picked.filter("reason is null")
-    held = stored(facts(sound, good, chosen, e), "facts")
+    held = stored(facts(good_requests, good, e), "facts")
     shown = held.groupBy("request").agg(F.array_sort(F.collect_list(F.struct("concept", "status", "value", "resolutions"))).alias("facts"), _any(F.col("status") == "ambiguous").alias("ambiguous"), _any(~F.col("status").isin("observed", "ambiguous")).alias("unresolved"))
-    severe = severe_quality(sound, held, e).withColumn("severe", F.lit(True))
-    events = taken_back(sound, good, chosen, e).groupBy("request").agg(F.collect_set("kind").alias("kinds"))
+    severe = severe_quality(good_requests, held, e).withColumn("severe", F.lit(True))
+    events = taken_back(good_requests, good, e).groupBy("request").agg(F.collect_set("kind").alias("kinds"))
     whole = requests.select("request", "concepts", "mode", "history_complete")
-    for part in (reasons, summary, shown, severe, events):
+    for part in (reasons.drop("chosen"), summary, shown, severe, events):
         whole = whole.join(part, "request", "left")
     read_ = F.col("facts").isNotNull()
     codes = flags.reasons(

@@ -87,8 +87,7 @@ def evidence(t: Data) -> statements.Evidence:
 @query("J2_coverage_chain", READ + " select request, coverage, version, filed, currency, basis from c")
 def j2(t: Data) -> DataFrame:
     requests, e = stored(t.st_requests, "requests"), evidence(t)
-    reasons, chosen = statements.bundles(requests, e)
-    rows = statements.covered(requests.join(reasons.filter("reason is null"), "request", "left_semi"), chosen, e)
+    rows = statements.covered(statements.sound(requests, statements.bundles(requests, e)), e)
     return rows.select("request", "coverage", "version", "filed", "currency", F.coalesce("basis", F.lit("")).alias("basis"))
 
 
@@ -104,13 +103,12 @@ def j3(t: Data) -> DataFrame:
 @query("J5_event_scope", READ + " select request, kind from y where request in (select request from g where edition_reason is null)")
 def j5(t: Data) -> DataFrame:
     requests, e = stored(t.st_requests, "requests"), evidence(t)
-    reasons, chosen = statements.bundles(requests, e)
-    sound = requests.join(reasons.filter("reason is null"), "request", "left_semi")
-    editions = statements.edition(statements.covered(sound, chosen, e)).filter("reason is null")
-    return statements.taken_back(sound, editions, chosen, e)
+    sound = statements.sound(requests, statements.bundles(requests, e))
+    editions = statements.edition(statements.covered(sound, e)).filter("reason is null")
+    return statements.taken_back(sound, editions, e)
 
 
 @query("J1_requirements_and_captures", READ + " select request, reason from s")
 def j1(t: Data) -> DataFrame:
     """The state of each request's pinned evidence."""
-    return statements.bundles(stored(t.st_requests, "requests"), evidence(t))[0]
+    return statements.bundles(stored(t.st_requests, "requests"), evidence(t)).select("request", "reason")

@@ -136,3 +136,14 @@ def test_states_of_a_fact(spark):
 
 def test_no_requests(spark):
     assert read(spark, []) == {}
+
+
+def test_evidence_meets_each_pin_once(spark, monkeypatch):
+    """Requests that pin the same do not multiply what is joined with it."""
+    tables = statements.Evidence(**{name: spark.createDataFrame([tuple(r) for r in rows], SCHEMAS[name]) for name, rows in base().items()})
+    seen, stored = {}, statements.stored
+    monkeypatch.setattr(statements, "stored", lambda df, name: seen.setdefault(name, stored(df, name)))
+    requests = spark.createDataFrame([asked(request=f"{n}-{mode}", period=n) for n in range(20) for mode in ("original_as_filed", "latest_reported")] + [asked(request="few", captures=[10])], REQUEST)
+    found = {r.request: (r.reason, sorted(r.chosen)) for r in statements.bundles(requests, tables).collect()}
+    assert len(found) == 41 and found["few"][0] == "incompatible_capture_manifest" and found["3-latest_reported"] == (None, [10, 12, 13])
+    assert seen["vintages"].count() == 8  # two pins of four captures
