@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitspark.functions import flags, scalar
+from pitspark.functions.storage import stored
 
 #: Powers of two of days that a window is cut into; 2 ** 22 days are more than eleven thousand years.
 LEVELS = 23
@@ -154,8 +155,8 @@ def contained(facts: DataFrame, intervals: DataFrame, by: list[str], date: str,
     """Facts with every interval [valid_from, valid_to) of their key that holds their date.
 
     ``closures`` (interval, closed_on) end an interval in place of its own end; one without an end is open.
-    Intervals are cut into aligned spans (:func:`spans`) and each date of a key is looked up once, in the one
-    span of each length that holds it. So no fact meets an interval that does not hold its date, and a key with
+    Intervals are cut into aligned spans (:func:`spans`), up to the newest date asked for, and each date of a key
+    is looked up once, in the one span of each length that holds it; so an open end adds no lengths. So no fact meets an interval that does not hold its date, and a key with
     most rows is dealt by its spans and dates.
     """
     to = F.col("valid_to")
@@ -163,10 +164,15 @@ def contained(facts: DataFrame, intervals: DataFrame, by: list[str], date: str,
         intervals = intervals.join(closures.select(interval, F.col("closed_on").alias("_closed")), interval, "left")
         to = F.coalesce("_closed", to)
     own = [c for c in intervals.columns if c not in (*by, "_closed")]
-    ended = intervals.withColumn("_to", F.coalesce(to, F.lit("9999-12-31").cast("date"))).filter("valid_from < _to")
-    cut = ended.select(*by, F.struct(*own).alias("_held"), F.inline(spans(F.col("valid_from"), F.date_sub("_to", 1)))).drop("held")
-    days = facts.select(*by, F.col(date).alias("_day")).filter("_day is not null").distinct()
-    level = F.explode(F.sequence(F.lit(0), F.lit(levels_of(ended, F.col("valid_from"), F.date_sub("_to", 1)) - 1)))
+    days = stored(facts.select(*by, F.col(date).cast("date").alias("_day")).filter("_day is not null").distinct(), "days")
+    newest = days.agg(F.max("_day")).first()[0]
+    until = F.date_add(F.lit(newest).cast("date"), 1)
+    ended = intervals.withColumn("_to", F.least(F.coalesce(to, until), until)).filter("valid_from < _to")
+    # spans of even levels alone: a date has half as many, and a span of an odd level is two of the level below
+    part = lambda x, k: F.struct((x["level"] - 1).alias("level"), (x["node"] * 2 + k).alias("node"))
+    even = lambda x: F.when(x["level"] % 2 == 1, F.array(part(x, 0), part(x, 1))).otherwise(F.array(F.struct(x["level"].alias("level"), x["node"].alias("node"))))
+    cut = ended.select(*by, F.struct(*own).alias("_held"), F.inline(F.flatten(F.transform(spans(F.col("valid_from"), F.date_sub("_to", 1)), even))))
+    level = F.explode(F.sequence(F.lit(0), F.lit(levels_of(ended, F.col("valid_from"), F.date_sub("_to", 1)) - 1), F.lit(2)))
     probes = days.select(*by, "_day", level.alias("level")).withColumn("node", _down(F.unix_date("_day"), F.col("level")))
     met = probes.join(cut, [*by, "level", "node"]).select(*by, "_day", "_held")
     return facts.withColumn("_day", F.col(date)).join(met, [*by, "_day"]).select(*facts.columns, "_held.*")

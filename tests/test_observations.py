@@ -148,6 +148,17 @@ def test_intervals_that_hold_a_date_with_closures(spark):
         assert sorted((r.issuer, r.id, r.interval) for r in got) == sorted(want)
 
 
+def test_open_intervals_add_no_lengths_to_look_up(spark, monkeypatch):
+    looked = []
+    levels_of = observations.levels_of
+    monkeypatch.setattr(observations, "levels_of", lambda *a: looked.append(levels_of(*a)) or looked[-1])
+    intervals = spark.createDataFrame([(1, 1, D(2020, 1, 1), None), (1, 2, D(2020, 1, 9), D(9000, 1, 1)), (1, 3, D(2021, 1, 1), None)], "issuer int, interval int, valid_from date, valid_to date")
+    facts = spark.createDataFrame([(1, D(2020, 1, 10)), (1, D(2020, 1, 8)), (1, D(2019, 12, 31)), (1, None)], "issuer int, day date")
+    got = observations.contained(facts, intervals, ["issuer"], "day").collect()
+    assert sorted((r.day.day, r.interval) for r in got) == [(8, 1), (10, 1), (10, 2)] and looked == [4]
+    assert observations.contained(facts.limit(0), intervals, ["issuer"], "day").count() == 0
+
+
 def test_publication_knowledge(spark):
     at, on, cutoff = T(2024, 1, 5, 10), D(2024, 1, 5), T(2024, 1, 5, 12)
     schema = "precision string, published_at timestamp, published_on date, start date, cutoff timestamp, as_of date"
