@@ -158,8 +158,9 @@ def s6(t: Data) -> DataFrame:
 
 @query("J22_fact_context_unit", f"select {INLINE}, case when not {_WRONG} then period_start end as start_date, case when not {_WRONG} then period_end end as end_date, '{inline.ISO4217}' as space, case when {_WRONG} or qidx % 10 = 5 then 'unsupported' else 'observed' end as state, case when not {_WRONG} and qidx % 10 <> 5 then cast(round(income, 0) as double) * 1000 end as value from {{flows}} where qidx % 10 <> 0")
 def j22(t: Data) -> DataFrame:
-    found = inline.resolved_facts(inline.inline_facts(inline_documents(t), "doc", "owner"))
-    facts = inline.selected_facts(found, "{urn:gaap}Income", ["{urn:d}B={urn:d}two@segment", "{urn:d}A={urn:d}one@segment"])
+    income = "{urn:gaap}Income"
+    found = inline.document_facts(inline_documents(t), "doc", "owner", income)
+    facts = inline.selected_facts(found, income, ["{urn:d}B={urn:d}two@segment", "{urn:d}A={urn:d}one@segment"])
     value = scalar.scaled_number(F.col("text"), F.col("scale"), F.col("sign"), F.element_at(F.split("form", "}"), -1))
     return facts.select("doc", "start_date", "end_date", F.regexp_extract(F.col("numerators")[0], r"\{(.*)\}USD", 1).alias("space"), "state", (value.cast("double") + F.lit(0.0)).alias("value"))
 
