@@ -17,9 +17,8 @@ def compare(baseline: DataFrame, current: DataFrame, key: list[str], content: st
     return joined.select(*key, state.alias("state"))
 
 
-def side_flags() -> dict[str, Column]:
-    """Flags that either side of a comparison can have."""
-    return {"acceptance_unverified": F.col("unverified"), "duplicate_accession": F.col("copies") > 1, "inventory_incomplete": F.col("partial"), "filing_metadata_incomplete": F.col("bare")}
+#: Flags that either side of a comparison can have.
+SIDE_FLAGS = ("acceptance_unverified", "duplicate_accession", "inventory_incomplete", "filing_metadata_incomplete")
 
 
 def at_cutoff(filings: DataFrame, forms: list[str], cutoff: Column) -> DataFrame:
@@ -31,6 +30,38 @@ def at_cutoff(filings: DataFrame, forms: list[str], cutoff: Column) -> DataFrame
     return filings.filter(F.col("form").isin(forms)).withColumn("state", F.when(unverified, "acceptance_unverified").when(F.col("acceptance_at") > cutoff, "excluded_after_cutoff").otherwise("selected"))
 
 
+def compared_filings(baseline: DataFrame, current: DataFrame, by: list[str], forms: list[str], tasks: int | None = None) -> DataFrame:
+    """One row for each accession of two inventories: whether it ``was`` and ``is`` held, whether the baseline has
+    it at all (``there``), whether its content ``changed``, its form, and the flags of both sides.
+
+    Rows are dealt to ``tasks`` before anything is gathered: an accession comes about once, so a task that
+    combined what it had scanned would hold all of it. Strings make this a sort, of a task's share alone.
+    """
+    told = lambda rows, c: ~F.coalesce(F.col(c), F.lit(False)) if c in rows.columns else F.lit(False)
+    mine = F.coalesce(F.col("form").isin(forms), F.lit(False))
+    counts = mine & F.coalesce(F.col("acceptance_at") <= F.col("cutoff"), F.lit(False))
+
+    def side(rows: DataFrame, new: bool) -> DataFrame:
+        return rows.select(
+            *by, "accession", F.lit(new).alias("new"), counts.alias("held"), F.when(mine, F.col("form")).alias("form"), F.when(mine, F.col("content")).alias("content"),
+            (mine & F.col("acceptance_at").isNull()).alias("unverified"), told(rows, "complete").alias("partial"), (counts & told(rows, "described")).alias("bare"),
+        )
+
+    both = side(baseline, False).unionByName(side(current, True))
+    dealt = both.repartition(tasks or int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "accession")
+    old, new = ~F.col("new"), F.col("new")
+    any_of = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    least = lambda s, c: F.min(F.when(s, F.col(c)))
+    flagged = {f"{label}_{n}": any_of(s & F.col(c)) for label, s in (("baseline", old), ("current", new)) for n, c in (("acceptance_unverified", "unverified"), ("inventory_incomplete", "partial"), ("filing_metadata_incomplete", "bare"))}
+    twice = {f"{label}_duplicate_accession": F.count(F.when(s, F.col("accession"))) > 1 for label, s in (("baseline", old), ("current", new))}
+    each = dealt.groupBy(*by, "accession").agg(
+        any_of(old & F.col("held")).alias("was"), any_of(new & F.col("held")).alias("is"), any_of(old).alias("there"), least(old, "content").alias("before"), least(new, "content").alias("after"), least(new, "form").alias("form"),
+        *[c.alias(k) for k, c in (flagged | twice).items()],
+    )
+    changed = F.col("was") & F.col("is") & ~F.col("before").eqNullSafe(F.col("after"))
+    return each.withColumn("changed", changed).drop("before", "after")
+
+
 def compared_inventories(baseline: DataFrame, current: DataFrame, by: list[str], forms: list[str]) -> DataFrame:
     """One row for each inventory pair: flags, numbers of new originals and amendments, and the outcome.
 
@@ -41,25 +72,13 @@ def compared_inventories(baseline: DataFrame, current: DataFrame, by: list[str],
     ``described`` that is false for a filing that counts (no period end or no document). Any flag makes the
     outcome incomplete, and the baseline does not advance. Forms that end in /A are amendments.
     """
+    return outcomes(compared_filings(baseline, current, by, forms), by)
 
-    def side(rows: DataFrame, label: str) -> DataFrame:
-        mine = F.coalesce(F.col("form").isin(forms), F.lit(False))
-        told = lambda c: ~F.coalesce(F.col(c), F.lit(False)) if c in rows.columns else F.lit(False)
-        counts = mine & F.coalesce(F.col("acceptance_at") <= F.col("cutoff"), F.lit(False))
-        return rows.groupBy(*by, "accession").agg(
-            F.lit(label).alias("side"), F.count("accession").alias("copies"), F.bool_or(mine & F.col("acceptance_at").isNull()).alias("unverified"), F.bool_or(told("complete")).alias("partial"), F.bool_or(counts & told("described")).alias("bare"),
-            F.bool_or(counts).alias("held"), F.min(F.when(mine, F.col("form"))).alias("form"), F.min(F.when(mine, F.col("content"))).alias("content"),
-        )
 
-    both = side(baseline, "baseline").unionByName(side(current, "current"))
-    old, new = F.col("side") == "baseline", F.col("side") == "current"
-    held = F.coalesce(F.col("held"), F.lit(False))
-    each = both.groupBy(*by, "accession").agg(
-        F.bool_or(old & held).alias("was"), F.bool_or(new & held).alias("is"), F.max(F.when(old & held, F.col("content"))).alias("before"), F.max(F.when(new & held, F.col("content"))).alias("after"), F.max(F.when(new & held, F.col("form"))).alias("form"),
-        *[F.bool_or(s & c).alias(f"{label}_{what}") for label, s in (("baseline", old), ("current", new)) for what, c in side_flags().items()],
-    )
-    changed, added, amendment = F.col("was") & F.col("is") & ~F.col("before").eqNullSafe(F.col("after")), F.col("is") & ~F.col("was"), F.col("form").endswith("/A")
-    codes = {"baseline_accession_missing": F.col("was") & ~F.col("is"), "existing_accession_metadata_changed": changed} | {f"{label}_{what}": F.col(f"{label}_{what}") for label in ("baseline", "current") for what in side_flags()}
+def outcomes(each: DataFrame, by: list[str]) -> DataFrame:
+    """One row for each inventory pair of what :func:`compared_filings` tells."""
+    added, amendment = F.col("is") & ~F.col("was"), F.coalesce(F.col("form").endswith("/A"), F.lit(False))
+    codes = {"baseline_accession_missing": F.col("was") & ~F.col("is"), "existing_accession_metadata_changed": F.col("changed")} | {f"{label}_{what}": F.col(f"{label}_{what}") for label in ("baseline", "current") for what in SIDE_FLAGS}
     out = each.groupBy(*by).agg(F.count_if(added & ~amendment).alias("originals"), F.count_if(added & amendment).alias("amendments"), *[F.bool_or(c).alias(k) for k, c in codes.items()])
     why = flags.reasons(**{k: F.col(k) for k in codes})
     return out.select(*by, "originals", "amendments", why.alias("flags"), outcome(why, F.col("originals"), F.col("amendments")).alias("outcome"))

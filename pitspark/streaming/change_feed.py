@@ -14,6 +14,13 @@ COLUMNS = [c.split()[0] for c in ROW.split(", ")]
 OUTCOME = "issuer long, originals long, amendments long, flags array<string>, outcome string, poll long"
 #: After so many polls the inventories are stored whole again, so that a poll reads few folders.
 EVERY = 32
+#: Filings of a poll that a task compares at most, about; a larger poll has more tasks.
+SHARE = 250_000
+
+
+def _of(rows: DataFrame, issuers: DataFrame) -> DataFrame:
+    """Rows of these issuers. The issuers, which are fewer, are what a task holds; the rows pass by unsorted."""
+    return rows.join(issuers.hint("shuffle_hash"), "issuer", "left_semi")
 
 
 class ChangeFeed:
@@ -37,27 +44,30 @@ class ChangeFeed:
         whole = (batch + 1) // EVERY * EVERY - 1
         names = [f"{self.folder}/whole-{whole}"] * (whole >= 0) + [f"{self.folder}/held-{k}" for k in range(whole + 1, batch + 1)]
         rows = self.spark.read.schema(STATE).parquet(*names)
-        return self._newest(rows if issuers is None else rows.join(issuers, "issuer", "left_semi")).select(*COLUMNS)
+        return self._newest(rows if issuers is None else _of(rows, issuers)).select(*COLUMNS)
 
     @staticmethod
     def _newest(rows: DataFrame) -> DataFrame:
-        return rows.join(rows.groupBy("issuer").agg(F.max("poll").alias("poll")), ["issuer", "poll"], "left_semi")
+        return rows.join(rows.groupBy("issuer").agg(F.max("poll").alias("poll")).hint("shuffle_hash"), ["issuer", "poll"], "left_semi")
 
     def apply(self, polled: DataFrame, batch: int) -> None:
         polled = polled.select(*COLUMNS)
         before = self.state(batch - 1, polled.select("issuer").distinct())
-        found = changes.compared_inventories(before, polled, ["issuer"], self.forms)
-        first = before.select("issuer", F.lit(True).alias("_known")).distinct()
+        tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), polled.count() // SHARE + 1)
+        each = changes.compared_filings(before, polled, ["issuer"], self.forms, tasks)
+        self._write(each, "compared")
+        each = self.spark.read.schema(each.schema).parquet(f"{self.folder}/compared")
+        found = changes.outcomes(each, ["issuer"])
+        first = each.filter("there").select("issuer", F.lit(True).alias("_known")).distinct()
         fresh = F.col("_known").isNull() & (F.size("flags") == 0)
         none = lambda c: F.when(fresh, F.lit(0)).otherwise(F.col(c)).cast("long").alias(c)
         outcomes = found.join(first, "issuer", "left").select("issuer", none("originals"), none("amendments"), "flags", F.when(fresh, "baseline").otherwise(F.col("outcome")).alias("outcome"), F.lit(batch).cast("long").alias("poll"))
         self._write(outcomes, f"outcomes/poll={batch}-")
         told = self.spark.read.schema(OUTCOME).parquet(f"{self.folder}/outcomes/poll={batch}-")
         sound = told.filter(F.size("flags") == 0).select("issuer", "outcome")
-        known = F.col("form").isin(self.forms) & (F.col("acceptance_at") <= F.col("cutoff"))
-        added = polled.join(sound.filter("outcome <> 'baseline'").select("issuer"), "issuer", "left_semi").filter(known).select("issuer", "accession", "form").join(before.select("issuer", "accession"), ["issuer", "accession"], "left_anti")
+        added = _of(each.filter("is and not there").select("issuer", "accession", "form"), sound.filter("outcome <> 'baseline'").select("issuer"))
         self._write(added.withColumn("poll", F.lit(batch).cast("long")), f"changes/poll={batch}-")
-        self._write(polled.join(sound.select("issuer"), "issuer", "left_semi").withColumn("poll", F.lit(batch).cast("long")), f"held-{batch}")
+        self._write(_of(polled, sound.select("issuer")).withColumn("poll", F.lit(batch).cast("long")), f"held-{batch}")
         if (batch + 1) % EVERY == 0:
             whole = batch + 1 - EVERY
             names = [f"{self.folder}/whole-{whole - 1}"] * (whole > 0) + [f"{self.folder}/held-{k}" for k in range(whole, batch + 1)]

@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from pitspark.operators import changes
 from pitspark.streaming import change_feed
 from pitspark.streaming.change_feed import ChangeFeed
 from pitspark.streaming.series_feed import SeriesFeed
@@ -72,3 +73,14 @@ def test_late_observations_change_history_only(spark, tmp_path):
         feed.start(stream()).awaitTermination()  # nothing new: a restart counts nothing twice
     got = {(r.issuer, r.series): (r.reference_date, r.observations, r.late) for r in feed.newest().collect()}
     assert got == {(1, "a"): (D(2024, 1, 6), 6, 2), (1, "b"): (D(2024, 1, 1), 1, 0), (2, "a"): (D(2024, 1, 2), 2, 0)}
+
+
+def test_a_larger_poll_has_more_tasks_and_none_gathers_what_it_scanned(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(change_feed, "SHARE", 4)
+    feed = ChangeFeed(spark, f"file://{tmp_path}/feed")
+    feed.apply(polled(spark, [row(k, k) for k in range(80)]), 0)
+    held = [spark.read.parquet(str(p)).count() for p in (tmp_path / "feed" / "compared").glob("*.parquet")]
+    assert sum(held) == 80 and max(held) <= 16 and len(held) > 4
+    rows = polled(spark, [row(k, k) for k in range(80)])
+    plan = changes.compared_filings(rows, rows, ["issuer"], ["10-K"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.rindex("Aggregate") < plan.index("Exchange")
