@@ -27,10 +27,11 @@ def levels_of(windows: DataFrame, first: Column, last: Column) -> int:
     return min(LEVELS, max(1, int(longest)).bit_length())
 
 
-def spans(first: Column, last: Column) -> Column:
+def spans(first: Column, last: Column, most: int = LEVELS) -> Column:
     """The fewest aligned spans of 1, 2, 4, ... days that make up a window: an array of (level, node, held).
 
-    A window of n days has about 2 * log2(n) spans at most, and a date lies in one span of each level.
+    A window of n days has about 2 * log2(n) spans at most, and a date lies in one span of each level. Levels
+    are looked at one by one: give their number (:func:`levels_of`) as ``most`` where windows are known to be short.
     """
     low, end = F.unix_date(first), F.unix_date(last) + 1
 
@@ -39,7 +40,7 @@ def spans(first: Column, last: Column) -> Column:
         odd_left, odd_right = left.bitwiseAND(F.lit(1)) == 1, right.bitwiseAND(F.lit(1)) == 1
         return F.array(F.struct(level.alias("level"), left.alias("node"), ((left < right) & odd_left).alias("held")), F.struct(level.alias("level"), (right - 1).alias("node"), ((left < right) & odd_right).alias("held")))
 
-    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), at)), lambda x: x["held"])
+    return F.filter(F.flatten(F.transform(F.array(*[F.lit(k) for k in range(most)]), at)), lambda x: x["held"])
 
 
 def _tops(prefix: str = "") -> list[Column]:
@@ -75,7 +76,10 @@ def observed(asks: DataFrame, batches: DataFrame, observations: DataFrame, quali
     every = scalar.asked_for(asks.select("cutoff"), "cutoff", "_all")
     asked = asks.select(*key).distinct().crossJoin(every).withColumn("_j", F.array_position("_all", F.col("cutoff")).cast("int") - 1).drop("_all")
     first = F.array_position(F.transform("_all", lambda c: c >= F.col("known_at")), True).cast("int") - 1
-    known = batches.filter("response_at is not null and known_at is not null").crossJoin(every).withColumn("_i", first).filter("_i >= 0").drop("_all")
+    known = batches.filter("response_at is not null and known_at is not null").crossJoin(every).withColumn("_i", first).filter("_i >= 0")
+    # read by several steps with long work for each row: stored once, dealt to all tasks
+    known = known.select(*by, "batch", "response_at", "published_at", "window_from", "window_to", "_i", F.xxhash64("answers").alias("_mark"))
+    known = stored(known.repartition(int(known.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "batch"), "batches")
 
     # the reference date
     width = age + 1
@@ -96,10 +100,10 @@ def observed(asks: DataFrame, batches: DataFrame, observations: DataFrame, quali
     asked = asked.withColumns({"_reach": F.coalesce("reference_date", oldest), "reference_date": F.coalesce("reference_date", "selected")})
 
     # the newest batch whose window reaches that far: it holds the day, or it begins later and not after the selected day
-    mark = F.xxhash64("answers")
-    most = levels_of(batches, F.col("window_from"), F.col("window_to"))
+    mark = F.col("_mark")
+    most = levels_of(known, F.col("window_from"), F.col("window_to"))
     ranked = known.withColumns({"newest": F.struct("response_at", mark.alias("h")), "newest_low": F.struct("response_at", F.bitwise_not(mark).alias("h")), "picked": F.struct("response_at", "published_at", "batch")})
-    covering = ranked.select(*by, "_i", *TOPS, F.inline(spans(F.col("window_from"), F.col("window_to")))).groupBy(*by, "level", "node", "_i").agg(*_tops())
+    covering = ranked.select(*by, "_i", *TOPS, F.inline(spans(F.col("window_from"), F.col("window_to"), most))).groupBy(*by, "level", "node", "_i").agg(*_tops())
     probes = asked.select(*key, "_j", F.unix_date("_reach").alias("_day"), F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("level"))
     probes = probes.select(*by, "level", _down(F.col("_day"), F.col("level")).alias("node"), F.col("_j").alias("_i"), F.struct("selected", "cutoff").alias("_ask"))
     upto = Window.partitionBy(*by, "level", "node").orderBy("_i", F.col("_ask").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
@@ -171,8 +175,9 @@ def contained(facts: DataFrame, intervals: DataFrame, by: list[str], date: str,
     # spans of even levels alone: a date has half as many, and a span of an odd level is two of the level below
     part = lambda x, k: F.struct((x["level"] - 1).alias("level"), (x["node"] * 2 + k).alias("node"))
     even = lambda x: F.when(x["level"] % 2 == 1, F.array(part(x, 0), part(x, 1))).otherwise(F.array(F.struct(x["level"].alias("level"), x["node"].alias("node"))))
-    cut = ended.select(*by, F.struct(*own).alias("_held"), F.inline(F.flatten(F.transform(spans(F.col("valid_from"), F.date_sub("_to", 1)), even))))
-    level = F.explode(F.sequence(F.lit(0), F.lit(levels_of(ended, F.col("valid_from"), F.date_sub("_to", 1)) - 1), F.lit(2)))
+    most = levels_of(ended, F.col("valid_from"), F.date_sub("_to", 1))
+    cut = ended.select(*by, F.struct(*own).alias("_held"), F.inline(F.flatten(F.transform(spans(F.col("valid_from"), F.date_sub("_to", 1), most), even))))
+    level = F.explode(F.sequence(F.lit(0), F.lit(most - 1), F.lit(2)))
     probes = days.select(*by, "_day", level.alias("level")).withColumn("node", _down(F.unix_date("_day"), F.col("level")))
     met = probes.join(cut, [*by, "level", "node"]).select(*by, "_day", "_held")
     return facts.withColumn("_day", F.col(date)).join(met, [*by, "_day"]).select(*facts.columns, "_held.*")

@@ -170,3 +170,11 @@ def test_publication_knowledge(spark):
     for case, want in cases.items():
         df = spark.createDataFrame([case], schema)
         assert df.select(observations.publication_problem(*[F.col(c) for c in ("precision", "published_at", "published_on", "start", "cutoff", "as_of")]).alias("x")).first().x == want
+
+
+def test_short_windows_look_at_few_levels(spark):
+    df = spark.sql("select date '2024-01-01' + cast(id % 40 as int) as a, date '2024-01-01' + cast(id % 40 + id % 13 as int) as b from range(600)").distinct()
+    most = observations.levels_of(df, F.col("a"), F.col("b"))
+    few, every = observations.spans(F.col("a"), F.col("b"), most), observations.spans(F.col("a"), F.col("b"))
+    assert most == 4 and df.filter(few != every).count() == 0
+    assert sum(len(r.s) for r in df.select(few.alias("s")).collect()) > 600
