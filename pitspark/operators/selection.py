@@ -114,8 +114,9 @@ def eligible_coverage(rows: DataFrame, allow_reviewed: bool, audited: bool, file
 
 def statement_coherence(statements: DataFrame, by: list[str]) -> DataFrame:
     """Flags of the statements of a period (by, basis, family, edition, scope, currency): bases may never
-    differ; editions, scopes and currencies may not where there are several families."""
-    many = {c: F.count_distinct(c) > 1 for c in ("basis", "family", "edition", "scope", "currency")}
+    differ; editions, scopes and currencies may not where there are several families. A column has several
+    values if its least and greatest differ, so a row is not copied for each column."""
+    many = {c: F.coalesce(F.min(c) != F.max(c), F.lit(False)) for c in ("basis", "family", "edition", "scope", "currency")}
     found = statements.groupBy(*by).agg(*[v.alias(k) for k, v in many.items()])
     codes = {"incompatible_reporting_basis": F.col("basis")} | {name: F.col("family") & F.col(c) for name, c in (("mixed_statement_editions", "edition"), ("incompatible_semantic_scopes", "scope"), ("incompatible_statement_currencies", "currency"))}
     return found.select(*by, flags.reasons(**codes).alias("flags"))

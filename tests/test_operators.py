@@ -600,3 +600,10 @@ def test_annual_amounts_and_inventories_at_a_cutoff(spark):
     at = dt.datetime(2024, 1, 1)
     filings = spark.createDataFrame([(1, "10-K", at, "verified_timezone"), (2, "10-K", at, None), (3, "10-K", None, "verified_timezone"), (4, "10-K", dt.datetime(2024, 1, 2), "verified_timezone"), (5, "8-K", at, "verified_timezone"), (6, None, at, "verified_timezone")], "i int, form string, acceptance_at timestamp, acceptance_time_basis string")
     assert {r.i: r.state for r in changes.at_cutoff(filings, ["10-K"], F.lit(at)).collect()} == {1: "selected", 2: "acceptance_unverified", 3: "acceptance_unverified", 4: "excluded_after_cutoff"}
+
+
+def test_coherence_copies_no_row_for_each_column(spark):
+    rows = [("a", "x", "f", 1, "s", "USD"), ("a", None, "f", 2, "t", "EUR"), ("b", "x", "f", 1, "s", "USD"), ("b", "y", "g", 1, "s", None), ("c", None, "f", 1, None, "USD"), ("c", None, "g", 2, "s", "EUR")]
+    found = selection.statement_coherence(spark.createDataFrame(rows, "k string, basis string, family string, edition int, scope string, currency string"), ["k"])
+    assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.k: r.flags for r in found.collect()} == {"a": [], "b": ["incompatible_reporting_basis"], "c": ["incompatible_statement_currencies", "mixed_statement_editions"]}
