@@ -319,7 +319,12 @@ VIEWS["sampled"] = """with v as (select issuer as i, quarter_end as q, count(dis
 
 @query("W6_sample_rules", "select issuer, point_id, reasons from {sampled}")
 def w6(t: Data) -> DataFrame:
-    return history.sampled(t.points, ["issuer"]).select("issuer", "point_id", flags.text(F.col("reasons")).alias("reasons"))
+    return sampled(t.once("flows")).select("issuer", "point_id", flags.text(F.col("reasons")).alias("reasons"))
+
+
+def sampled(t: Data) -> DataFrame:
+    """Points are made of flows in seven ways: give tables that hold the flows (:meth:`Data.once`)."""
+    return history.sampled(t.points, ["issuer"])
 
 
 VIEWS["band_dates"] = "select distinct issuer, period_end as as_of from {flows}"
@@ -328,7 +333,8 @@ VIEWS["bands"] = """select d.issuer, d.as_of, count(s.value) as samples, cast(da
 
 
 def band_rows(t: Data) -> DataFrame:
-    return history.bands(history.sampled(t.points, ["issuer"]), t.band_dates, ["issuer"], 3, 4)
+    t = t.once("flows")
+    return history.bands(sampled(t), t.band_dates, ["issuer"], 3, 4)
 
 
 @query("A17_history_band", "select issuer, as_of, samples, expected, cast(expected - samples as bigint) as missing, round(p25, 6) as p25, round(p50, 6) as p50, round(p75, 6) as p75, reason from {bands}")
@@ -340,11 +346,13 @@ def a17(t: Data) -> DataFrame:
   select issuer, as_of, 'outside_window' as reason, count(*) as points from e where outside group by 1, 2 union all select issuer, as_of, 'after_as_of', count(*) from e where late group by 1, 2
   union all select issuer, as_of, r, count(*) from (select issuer, as_of, outside or late as away, unnest(string_split(reasons, '|')) as r from e) x where r <> '' and not (away and r in ('conflicting_quarter', 'duplicate_sample')) group by 1, 2, 3""")
 def a17_exclusions(t: Data) -> DataFrame:
-    return history.exclusions(history.sampled(t.points, ["issuer"]), t.band_dates, ["issuer"], 3)
+    t = t.once("flows")
+    return history.exclusions(sampled(t), t.band_dates, ["issuer"], 3)
 
 
 @query("F17_compared_to_history", "select b.issuer, b.as_of, case when b.p25 is null then 'unavailable' when cast(f.income as double) < b.p25 then 'below' when cast(f.income as double) > b.p75 then 'above' else 'within' end as place from {bands} b join {flows} f on f.issuer = b.issuer and f.period_end = b.as_of")
 def f17(t: Data) -> DataFrame:
+    t = t.once("flows")
     joined = band_rows(t).join(t.flows.select("issuer", F.col("period_end").alias("as_of"), F.col("income").cast("double").alias("now")), ["issuer", "as_of"])
     return joined.select("issuer", "as_of", history.compared_to_band(F.col("now")).alias("place"))
 

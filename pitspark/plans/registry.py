@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pitspark.functions.storage import work_dir
 from pitspark.plans.bridge import VIEWS
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")
@@ -19,12 +20,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def expanded(sql: str, table: Callable[[str], str]) -> str:
-    """``sql`` with tables and bridge views put in, views within views too."""
+def expanded(sql: str, table: Callable[[str], str], held: dict[str, str] | None = None) -> str:
+    """``sql`` with tables and bridge views put in, views within views too; ``held`` names what stands for a view."""
 
     def put(match: re.Match) -> str:
         name = match[1]
-        return table(name) if name in TABLES else f"({expanded(VIEWS[name], table)})" if name in VIEWS else match[0]
+        if held and name in held:
+            return held[name]
+        return table(name) if name in TABLES else f"({expanded(VIEWS[name], table, held)})" if name in VIEWS else match[0]
 
     return re.sub(r"\{(\w+)\}", put, sql)
 
@@ -32,12 +35,14 @@ def expanded(sql: str, table: Callable[[str], str]) -> str:
 class Data:
     """The driver's tables and the bridge views of one folder."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, held: dict[str, str] | None = None):
+        self.spark, self.sf_dir, self.held = spark, sf_dir, held or {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name in self.held:
+            return self.sql(f"select * from {self.held[name]}")
         if name in VIEWS:
             return self.sql(VIEWS[name])
         raise AttributeError(name)
@@ -47,7 +52,18 @@ class Data:
         return rows.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), *by)
 
     def sql(self, text: str) -> DataFrame:
-        return self.spark.sql(expanded(text, lambda t: f"parquet.`{self.sf_dir}/{t}.parquet`"))
+        return self.spark.sql(expanded(text, lambda t: f"parquet.`{self.sf_dir}/{t}.parquet`", self.held))
+
+    def once(self, *names: str) -> Data:
+        """The same tables and views, with these views worked out once and stored: views that read them several
+        times read them back."""
+        held = dict(self.held)
+        for name in names:
+            if name not in held:
+                path = work_dir(self.spark, name)
+                getattr(self, name).write.parquet(path)
+                held[name] = f"parquet.`{path}`"
+        return Data(self.spark, self.sf_dir, held)
 
 
 def query(name: str, sql: str | None = None):

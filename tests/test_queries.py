@@ -71,3 +71,10 @@ def test_entry_works_without_the_training_data_operators():
 def test_nothing_else_imports_the_subpackage():
     root = Path(__file__).resolve().parent.parent / "pitspark"
     assert not [p for p in root.rglob("*.py") if "llm" not in p.parts and "pitspark.llm" in p.read_text()]
+
+
+def test_bands_work_out_their_flows_once(spark):
+    """Points are made of flows in seven ways; the lines are read when these are stored, not again for each."""
+    for name in ("A17_exclusions", "A17_history_band", "W6_sample_rules"):
+        plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+        assert "l_shipdate" not in plan, name
