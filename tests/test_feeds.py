@@ -1,11 +1,12 @@
 """Feeds over several polls and over streams that are begun again."""
 
 import datetime as dt
+import re
 
 from pyspark.sql import functions as F
 
 from pitspark.operators import changes
-from pitspark.streaming import change_feed
+from pitspark.streaming import change_feed, series_feed
 from pitspark.streaming.change_feed import ChangeFeed
 from pitspark.streaming.series_feed import SeriesFeed
 
@@ -84,3 +85,17 @@ def test_a_larger_poll_has_more_tasks_and_none_gathers_what_it_scanned(spark, tm
     rows = polled(spark, [row(k, k) for k in range(80)])
     plan = changes.compared_filings(rows, rows, ["issuer"], ["10-K"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and plan.rindex("Aggregate") < plan.index("Exchange")
+
+
+def test_states_of_series_are_stored_again_and_need_no_call_for_each(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(series_feed, "EVERY", 2)
+    schema, feed = "issuer int, series string, reference_date date", SeriesFeed(spark, f"file://{tmp_path}/series", ["issuer", "series"])
+    parts = [[(1, None, D(2024, 1, 5)), (1, None, None)], [(1, None, D(2024, 1, 5)), (1, None, D(2024, 1, 2)), (2, "a", D(2024, 1, 9))], [(1, None, D(2024, 1, 7)), (2, "a", D(2024, 1, 8)), (2, "a", D(2024, 1, 8))], [(None, "a", None)], [(None, "a", D(2024, 1, 1)), (1, None, D(2024, 1, 6))]]
+    for k, rows in enumerate(parts):
+        df = spark.createDataFrame(rows, schema)
+        assert not {"Python", "Pandas"} & set(re.findall("Python|Pandas", feed.advanced(df, k)._jdf.queryExecution().executedPlan().toString()))
+        feed._write(df, k)
+        feed._write(df, k)  # runs again
+    got = {(r.issuer, r.series): (r.reference_date, r.observations, r.late) for r in feed.newest().collect()}
+    assert got == {(1, None): (D(2024, 1, 7), 6, 2), (2, "a"): (D(2024, 1, 9), 3, 2), (None, "a"): (D(2024, 1, 1), 2, 0)}
+    assert sorted(p.name for p in (tmp_path / "series").glob("whole-*")) == ["whole-1", "whole-3"]
