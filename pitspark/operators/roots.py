@@ -16,7 +16,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,8 +60,8 @@ class Span:
         return Span.outward(self.low - other.high, self.high - other.low)
 
     def __mul__(self, other: Span) -> Span:
-        corners = (self.low * other.low, self.low * other.high, self.high * other.low, self.high * other.high)
-        return Span.outward(np.minimum.reduce(np.broadcast_arrays(*corners)), np.maximum.reduce(np.broadcast_arrays(*corners)))
+        a, b, c, d = self.low * other.low, self.low * other.high, self.high * other.low, self.high * other.high
+        return Span.outward(np.minimum(np.minimum(a, b), np.minimum(c, d)), np.maximum(np.maximum(a, b), np.maximum(c, d)))
 
     def over(self, other: Span) -> Span:
         """The quotient by intervals without zero; others give all numbers."""
@@ -167,9 +168,8 @@ class Search:
         self.rows, self.variable, self.bounds = rows, variable, bounds
         many = len(rows["revenue"])
         self.evaluations, self.subdivisions = np.zeros(many, np.int64), np.zeros(many, np.int64)
-        self.roots: list[list[tuple[float, float]]] = [[] for _ in range(many)]
-        self.points: list[list[float]] = [[] for _ in range(many)]
-        self.unresolved: list[list[tuple[float, float]]] = [[] for _ in range(many)]
+        self._roots: list[tuple[np.ndarray, ...]] = []  # row, low, high and best point of each root
+        self._unresolved: list[tuple[np.ndarray, ...]] = []  # row, low and high of each domain
         self.at, self.low, self.high = self._cut(np.arange(many), low, high)
         with np.errstate(over="ignore", invalid="ignore"):
             self.powers = polynomials(rows, variable, self.at, self.low, self.high)
@@ -198,8 +198,19 @@ class Search:
         return tuple(Span(np.where(bad, -np.inf, s.low), np.where(bad, np.inf, s.high)) for s in (value, slope))
 
     def give_up(self, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
-        for r, a, b in zip(at.tolist(), low.tolist(), high.tolist()):
-            self.unresolved[r].append((a, b))
+        self._unresolved.append((at, low, high))
+
+    def roots(self) -> list[np.ndarray]:
+        """Row, low, high and best point of all roots, by row and low."""
+        return _by_row(self._roots, 4)
+
+    def unresolved(self) -> list[np.ndarray]:
+        """Row, low and high of all domains left open, by row and low, neighbouring ones as one."""
+        at, low, high = _by_row(self._unresolved, 3)
+        # domains of a row overlap in their ends alone, so that one which goes on starts where the last stopped
+        first = np.r_[True, (at[1:] != at[:-1]) | (low[1:] > high[:-1])][: len(at)]
+        starts = np.flatnonzero(first)
+        return [at[starts], low[starts], np.maximum.reduceat(high, starts) if len(starts) else high]
 
     @staticmethod
     def _nth(at: np.ndarray) -> np.ndarray:
@@ -294,21 +305,69 @@ class Search:
             moved[unsure[~told]] = False
             going[i[moved]] = True
         k = np.flatnonzero(done)
-        for r, a, b, x in zip(at[k].tolist(), low[k].tolist(), high[k].tolist(), self._nearest(at[k], piece[k], low[k], high[k]).tolist()):
-            self.roots[r].append((a, b))
-            self.points[r].append(x)
+        self._roots.append((at[k], low[k], high[k], self._nearest(at[k], piece[k], low[k], high[k])))
         return done
 
 
-def _touching(found: list[tuple[float, float]]) -> list[tuple[float, float]]:
-    """Neighbouring domains as one."""
-    out: list[tuple[float, float]] = []
-    for low, high in sorted(found):
-        if out and low <= out[-1][1]:
-            out[-1] = (out[-1][0], max(high, out[-1][1]))
-        else:
-            out.append((low, high))
-    return out
+def _by_row(parts: list[tuple[np.ndarray, ...]], width: int) -> list[np.ndarray]:
+    """Parts of the same columns (row, low, ...) as one, by row and low."""
+    if not parts:
+        return [np.zeros(0, np.int64), *(np.zeros(0) for _ in range(width - 1))]
+    columns = [np.concatenate(c) for c in zip(*parts)]
+    by = np.lexsort(columns[1::-1])
+    return [c[by] for c in columns]
+
+
+STATES = ("no_input", "inconclusive", "non_unique", "converged", "no_solution")
+NO_INPUT, INCONCLUSIVE, NON_UNIQUE, CONVERGED, NO_SOLUTION = range(5)
+
+
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each list starts among all values, its length (-1 for null), and the values (null: not a number)."""
+    lengths = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = pc.fill_null(column.flatten(), np.nan).to_numpy(zero_copy_only=False)
+    return np.cumsum(np.maximum(lengths, 0)) - np.maximum(lengths, 0), lengths, values
+
+
+def _domains(places: np.ndarray, low: np.ndarray, high: np.ndarray, known: np.ndarray) -> pa.ListArray:
+    """A list of domains for each row, from domains in the order of their rows; null where not ``known``."""
+    offsets = np.r_[0, np.cumsum(np.bincount(places, minlength=len(known)))].astype(np.int32)
+    spans = pa.StructArray.from_arrays([pa.array(low, pa.float64()), pa.array(high, pa.float64())], ["low", "high"])
+    return pa.ListArray.from_arrays(pa.array(offsets, mask=np.r_[~known, False]), spans)
+
+
+def solve_batch(batch: pa.StructArray, variable: str, low: float, high: float, bounds: Bounds = Bounds()) -> pa.StructArray:
+    """:data:`RESULT` of each row of an Arrow batch, from columns to columns: no row is a Python object."""
+    many, columns = len(batch), dict(zip([f.name for f in batch.type], batch.flatten()))
+    yearly = [*YEARLY, *(["weights"] if variable == MARGIN else [])]
+    single = [*SINGLE, *(["anchor_margin"] if variable == MARGIN else [])]
+    numbers = {name: pc.fill_null(columns[name], np.nan).to_numpy(zero_copy_only=False) for name in single}
+    lists = {name: _lists(columns[name]) for name in yearly}
+    years = lists["growth"][1]
+    whole = (years > 0) & np.logical_and.reduce([np.isfinite(v) for v in numbers.values()])
+    for starts, lengths, values in lists.values():
+        bad = np.r_[0, np.cumsum(~np.isfinite(values))]
+        whole &= (lengths == years) & (bad[starts + np.maximum(lengths, 0)] == bad[starts])
+    state, solution = np.full(many, NO_INPUT), np.full(many, np.nan)
+    evaluations, subdivisions = np.zeros(many, np.int32), np.zeros(many, np.int32)
+    roots, open_ = [], []
+    for n in np.unique(years[whole]):
+        own = np.flatnonzero(whole & (years == n))
+        rows = {name: values[starts[own][:, None] + np.arange(n)] for name, (starts, _, values) in lists.items()} | {name: v[own] for name, v in numbers.items()}
+        search = Search(rows, variable, low, high, bounds)
+        search.run()
+        at, *ends, point = search.roots()
+        left, *left_ends = search.unresolved()
+        found = np.bincount(at, minlength=len(own))
+        state[own] = np.where(np.bincount(left, minlength=len(own)) > 0, INCONCLUSIVE, np.where(found > 1, NON_UNIQUE, np.where(found == 1, CONVERGED, NO_SOLUTION)))
+        sure = state[own[at]] == CONVERGED
+        solution[own[at[sure]]] = point[sure]
+        evaluations[own], subdivisions[own] = search.evaluations, search.subdivisions
+        roots.append((own[at], *ends))
+        open_.append((own[left], *left_ends))
+    counts = [pa.array(v, mask=~whole) for v in (evaluations, subdivisions)]
+    domains = [_domains(*_by_row(parts, 3), whole) for parts in (roots, open_)]
+    return pa.StructArray.from_arrays([pa.array(STATES).take(pa.array(state)), pa.array(solution, mask=state != CONVERGED), *domains, *counts], ["state", "solution", "roots", "unresolved", "evaluations", "subdivisions"])
 
 
 def solver(variable: str, low: float, high: float, bounds: Bounds = Bounds()):
@@ -316,34 +375,10 @@ def solver(variable: str, low: float, high: float, bounds: Bounds = Bounds()):
     if variable not in VARIABLES or not low < high or (variable == GROWTH and low <= -1):
         raise ValueError(f"{variable} from {low} to {high} cannot be solved for; variables are {', '.join(VARIABLES)}")
 
-    def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        yearly = [*YEARLY, *(["weights"] if variable == MARGIN else [])]
-        single = [*SINGLE, *(["anchor_margin"] if variable == MARGIN else [])]
-        numbers = frame[single].astype(float)
-        lengths = {name: np.array([-1 if v is None else len(v) for v in frame[name]]) for name in {"growth", *yearly}}
-        years = lengths["growth"]
-        whole = np.isfinite(numbers).all(axis=1).to_numpy() & (years > 0)
-        for name in yearly:
-            whole &= lengths[name] == years
-            same = np.flatnonzero(whole)
-            if len(same):
-                flat = np.concatenate(frame[name].iloc[same].to_list()).astype(float)
-                bad = np.add.reduceat(~np.isfinite(flat), np.r_[0, np.cumsum(years[same])[:-1]])
-                whole[same[bad > 0]] = False
-        out: list[tuple | None] = [("no_input", None, None, None, None, None)] * len(frame)
-        for n in np.unique(years[whole]):
-            own = np.flatnonzero(whole & (years == n))
-            rows = {name: np.stack(frame[name].iloc[own].to_numpy()).astype(float) for name in yearly} | {name: numbers[name].to_numpy()[own] for name in single}
-            search = Search(rows, variable, low, high, bounds)
-            search.run()
-            for k, place in enumerate(own):
-                roots, open_ = sorted(search.roots[k]), _touching(search.unresolved[k])
-                state = "inconclusive" if open_ else "non_unique" if len(roots) > 1 else "converged" if roots else "no_solution"
-                solution = search.points[k][0] if state == "converged" else None
-                out[place] = (state, solution, [{"low": a, "high": b} for a, b in roots], [{"low": a, "high": b} for a, b in open_], int(search.evaluations[k]), int(search.subdivisions[k]))
-        return pd.DataFrame(out, columns=["state", "solution", "roots", "unresolved", "evaluations", "subdivisions"]).astype({"evaluations": "Int32", "subdivisions": "Int32"})
-
-    return F.pandas_udf(solve, RESULT)
+    def solve(batch: pa.Array) -> pa.Array:
+        return solve_batch(batch, variable, low, high, bounds)
+
+    return F.arrow_udf(solve, RESULT)
 
 
 def inputs(columns: list[str]) -> Column:

@@ -13,9 +13,13 @@ ADDED, SUBTRACTED = ("cash", "non_operating_assets"), ("debt", "leases", "prefer
 DOMINANT = 0.75
 
 
-def forward(rows: DataFrame) -> DataFrame:
+def forward(rows: DataFrame, horizon: int | None = None) -> DataFrame:
     """Enterprise value of each row (revenue, growth, margins, taxes, reinvestment arrays and the terminal
-    parameters): cash flows by year in one fold over the arrays, then the terminal value."""
+    parameters): cash flows by year in one fold over the arrays, then the terminal value.
+
+    Where all arrays are known to have ``horizon`` years, the same steps are columns of their own, which Spark
+    compiles; the fold's function is interpreted for each year of each row. Rows of another length have no value.
+    """
     years = F.arrays_zip("growth", "margins", "taxes", "reinvestment")
     start = F.struct(F.col("revenue").cast("double").alias("rev"), F.lit(0.0).alias("pv"), F.lit(1.0).alias("disc"))
 
@@ -26,7 +30,14 @@ def forward(rows: DataFrame) -> DataFrame:
         disc = state["disc"] * (1 + F.col("wacc"))
         return F.struct(rev.alias("rev"), (state["pv"] + flow / disc).alias("pv"), disc.alias("disc"))
 
-    out = rows.withColumn("_x", F.aggregate(years, start, year))
+    if horizon is None:
+        out = rows.withColumn("_x", F.aggregate(years, start, year))
+    else:
+        lengths = [F.size(name) == horizon for name in roots.YEARLY]
+        out = rows.withColumn("_x", F.when(lengths[0] & lengths[1] & lengths[2] & lengths[3], start))
+        for k in range(horizon):
+            at = {name: F.get(name, F.lit(k)) for name in roots.YEARLY}
+            out = out.withColumn("_x", year(F.col("_x"), at))
     nopat = F.col("_x.rev") * (1 + F.col("terminal_growth")) * F.col("terminal_margin") * (1 - F.col("terminal_tax"))
     terminal = (nopat - nopat * F.col("terminal_growth") / F.col("terminal_roic")) / (F.col("wacc") - F.col("terminal_growth")) / F.col("_x.disc")
     value = F.col("_x.pv") + terminal

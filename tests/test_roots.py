@@ -4,6 +4,7 @@ import random
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,3 +144,35 @@ def test_cells_are_solved_one_by_one(spark):
     assert len(cells) == 4 and {(c.x, c.y) for c in cells} == {(0, 0), (0, 1), (1, 0), (1, 1)}
     assert all(c.state == "converged" and c.ev == pytest.approx(193.4375, abs=1e-5) for c in cells)
     assert next(c for c in cells if (c.x, c.y) == (1, 0)).solution == pytest.approx(0.2, abs=1e-8)
+
+
+def test_a_batch_is_solved_from_columns_to_columns():
+    """No row becomes a Python object: parts of a batch, lists of several lengths and nulls keep their places."""
+    many = [row(**FADE), row(target=None, **FADE), row(3, target=173.4375, weights=[1.0] * 3, anchor_margin=0.2), row(growth=None, **FADE), row(**FADE | {"weights": [1.0, None, 1.0, 1.0, 1.0]}), row(**square(-1.0 + 1e-4), **FADE), row(target=1e9, **FADE), row(**square(-1.0), **FADE), row(**FADE | {"taxes": []})]
+    kinds = {k: pa.list_(pa.float64()) if isinstance(v, list) else pa.float64() for k, v in many[0].items()}
+    batch = pa.StructArray.from_arrays([pa.array([r[k] for r in many], t) for k, t in kinds.items()], list(kinds))
+    got = roots.solve_batch(batch, roots.GROWTH, -0.5, 0.5)
+    assert [r["state"] for r in got.to_pylist()] == ["converged", "no_input", "converged", "no_input", "converged", "non_unique", "no_solution", "inconclusive", "no_input"]
+    for r in got.to_pylist():
+        assert (r["solution"] is not None) == (r["state"] == "converged")
+        assert all((r[k] is None) == (r["state"] == "no_input") for k in ("roots", "unresolved", "evaluations", "subdivisions"))
+        assert r["state"] == "no_input" or (len(r["roots"]), bool(r["unresolved"])) == {"converged": (1, False), "non_unique": (2, False), "no_solution": (0, False), "inconclusive": (0, True)}[r["state"]]
+    assert roots.solve_batch(batch, roots.MARGIN, 0.01, 1.0)[4].as_py()["state"] == "no_input"
+    assert roots.solve_batch(batch.slice(2, 5), roots.GROWTH, -0.5, 0.5).equals(got.slice(2, 5))
+    assert len(roots.solve_batch(batch.slice(0, 0), roots.GROWTH, -0.5, 0.5)) == 0
+
+
+def test_neighbouring_open_domains_are_one():
+    rows = {k: np.array([v, v], float) for k, v in row().items()}
+    search = roots.Search(rows, roots.GROWTH, -0.3, 0.5, roots.Bounds())
+    search.give_up(np.array([1, 0, 1]), np.array([0.25, 0.1, 0.0]), np.array([0.5, 0.2, 0.25]))
+    search.give_up(np.array([0, 1]), np.array([0.0, 0.75]), np.array([0.05, 0.8]))
+    assert [c.tolist() for c in search.unresolved()] == [[0, 0, 1, 1], [0.0, 0.1, 0.0, 0.75], [0.05, 0.2, 0.5, 0.8]]
+
+
+def test_a_known_horizon_values_as_the_fold_does(spark):
+    rows = spark.createDataFrame([row(k=1), row(k=2, revenue=-3.7), row(k=3, margins=[0.3, -0.4, 0.1, 0.0, 0.2]), row(4, k=4)])
+    whole = {r.k: (r.ev, r.explicit_pv, r.terminal_pv, r.terminal_share, r.dominant) for r in valuation.forward(rows).collect()}
+    known = {r.k: (r.ev, r.explicit_pv, r.terminal_pv, r.terminal_share, r.dominant) for r in valuation.forward(rows, 5).collect()}
+    assert whole[1][0] == pytest.approx(193.4375) and whole[4][0] is not None
+    assert known == whole | {4: (None,) * 5}
