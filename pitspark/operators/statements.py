@@ -8,7 +8,7 @@ rows, so a job reads any number of them at once.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,6 +64,26 @@ def _of(requests: DataFrame, names: str, name: str, *more: str) -> DataFrame:
     return requests.select("request", *more, F.explode(names).alias(name))
 
 
+#: Places of the map that :func:`reached` asks, whatever the number of keys.
+PLACES = 1 << 26
+
+
+def reached(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` less most of those whose key is not among ``keys``, before a join moves them.
+
+    The places of the keys' hashes are marked in a map of fixed size, which is broadcast. It loses no row that
+    the join finds: keys that share a place let each other's rows through. Keys of two types are left to the join.
+    """
+    if rows.schema[key].dataType != keys.schema[key].dataType:
+        return rows
+    place = F.pmod(F.xxhash64(key), F.lit(PLACES))
+    bit = F.expr("shiftleft(1L, cast(_place % 64 as int))")
+    marks = keys.select(place.alias("_place")).groupBy(F.shiftright("_place", 6).alias("_word")).agg(F.bit_or(bit).alias("_marks"))
+    here = F.expr(f"shiftright(pmod(xxhash64({key}), {PLACES}L), 6)") == F.col("_word")
+    marked = F.expr(f"shiftleft(1L, cast(pmod(xxhash64({key}), 64L) as int)) & _marks") != 0
+    return rows.join(F.broadcast(marks), here & marked, "left_semi")
+
+
 def source_vintages(pinned: DataFrame, by: str) -> DataFrame:
     """by, capture, chosen and torn of each capture (by, source, object_key, role, capture, fetched_at, body_hash).
 
@@ -77,6 +97,15 @@ def source_vintages(pinned: DataFrame, by: str) -> DataFrame:
     return marked.groupBy(by, "capture").agg(_any(F.col("newest")).alias("chosen"), (_any(F.col("newest")) & _any(~F.col("newest"))).alias("torn"), _any(F.col("tied")).alias("tied"))
 
 
+def sourced(e: Evidence) -> Evidence:
+    """The same evidence, its events with their filing's metadata capture (null without a filing); they meet the filings once."""
+    if "metadata_capture" in e.events.columns:
+        return e
+    events = stored(e.events, "events")
+    filings = reached(e.filings.select("version", "metadata_capture"), events, "version")
+    return replace(e, events=stored(events.join(filings, "version", "left"), "sourced"))
+
+
 #: What requests of one pin, and of one case, share.
 PIN = ("issuer", "mapping", "normalizer", "policy", "captured_before", "batches", "captures")
 CASE = (*PIN, "period", "security", "events", "quality")
@@ -118,8 +147,7 @@ def bundles(requests: DataFrame, e: Evidence) -> DataFrame:
     outcome = stored(outcome.select("pin", F.coalesce("lost", F.lit(True)).alias("lost"), "other", "odd", manifest.alias("manifest"), "late", "tied", "torn", chosen.alias("chosen")), "outcome")
 
     events = cases.select("case", "pin", F.explode("events").alias("event"), F.col("issuer").alias("_issuer"))
-    source = e.events.select("event", "issuer", "version").join(e.filings.select("version", "metadata_capture"), "version", "left")
-    seen = events.join(source, "event", "left").join(pins.select("pin", "captures").join(outcome.select("pin", "chosen"), "pin"), "pin")
+    seen = events.join(sourced(e).events.select("event", "issuer", "metadata_capture"), "event", "left").join(pins.select("pin", "captures").join(outcome.select("pin", "chosen"), "pin"), "pin")
     held = lambda captures: F.coalesce(F.array_contains(captures, F.col("metadata_capture")), F.lit(False))
     foreign = ~(F.col("issuer").eqNullSafe(F.col("_issuer")) & held("captures"))
     by_event = seen.groupBy("case").agg(_any(foreign).alias("foreign"), _any(~held("chosen")).alias("outdated"))
@@ -150,28 +178,31 @@ def covered(requests: DataFrame, e: Evidence) -> DataFrame:
     """The eligible coverage of each sound request with its filing: of its batches, period, family and scope, in its
     currency or none, from a chosen metadata capture, of an allowed authority, audited if asked, filed by the cutoff."""
     asked = requests.select("request", F.explode("batches").alias("batch"), "period", "family", "scope", F.col("currency").alias("_currency"), "mode", "filed_cutoff", "audited", "allow_reviewed", "chosen")
+    asked = stored(asked, "asked")  # dealt by the keys it meets coverage by, of whatever size, as the edition is looked for there
     filings = e.filings.select("version", "filing", "filed", "acceptance_at", F.col("metadata_capture").alias("capture"))
-    filed = e.coverage.filter(F.col("authority").isin("periodic_complete", "reviewed_equivalent")).join(filings, "version")  # once, not for each request
-    rows = asked.join(filed, ["batch", "period", "family", "scope"]).filter(F.col("currency").isNull() | (F.col("currency") == F.col("_currency")))
-    allowed = (F.col("authority") == "periodic_complete") | (F.col("allow_reviewed") & (F.col("authority") == "reviewed_equivalent"))
-    return rows.filter(F.array_contains("chosen", F.col("capture")) & allowed & (~F.col("audited") | (F.col("assurance") == "audited")) & (F.col("filed_cutoff").isNull() | (F.col("filed") <= F.col("filed_cutoff"))))
+    filed = reached(e.coverage, asked, "batch").filter(F.col("authority").isin("periodic_complete", "reviewed_equivalent")).join(filings, "version")  # once, not for each request
+    filed = filed.withColumns({"reviewed": F.col("authority") == "reviewed_equivalent", "unaudited": ~F.col("assurance").eqNullSafe(F.lit("audited")), "unresolved": F.col("currency").isNull() | ~F.col("state").eqNullSafe(F.lit("covered"))}).drop("authority", "assurance", "state")
+    rows = asked.hint("merge").join(filed, ["batch", "period", "family", "scope"]).filter(F.col("currency").isNull() | (F.col("currency") == F.col("_currency")))
+    allowed = ~F.col("reviewed") | F.col("allow_reviewed")
+    return rows.filter(F.array_contains("chosen", F.col("capture")) & allowed & ~(F.col("audited") & F.col("unaudited")) & (F.col("filed_cutoff").isNull() | (F.col("filed") <= F.col("filed_cutoff"))))
 
 
 def edition(rows: DataFrame) -> DataFrame:
     """The coverage of the first or last filing date of each request, and the reason against it.
 
-    Several versions of that date go by acceptance times, if all are verified, else their order is ambiguous.
+    Several versions of that date go by acceptance times, if all are verified, else their order is ambiguous. Rows
+    lie by the keys that coverage meets requests by; those that are not at the extreme there go no further.
     """
-    ask = Window.partitionBy("request")
+    ask, near = Window.partitionBy("request"), Window.partitionBy("request", "batch", "period", "family", "scope")
     turn = F.when(F.col("mode") == ORIGINAL, -1).otherwise(1)
     ends = rows.withColumn("_day", turn * F.unix_date("filed")).withColumn("_time", turn * F.unix_micros(F.col("acceptance_at").cast("timestamp")))
+    ends = ends.withColumn("_near", F.max("_day").over(near)).filter(F.col("_day") == F.col("_near")).select("request", "coverage", "version", "filing", "filed", "basis", "unresolved", "_day", "_time")
     ends = ends.withColumn("_last", F.max("_day").over(ask)).filter(F.col("_day") == F.col("_last"))
     ends = ends.withColumns({"_several": F.min("version").over(ask) != F.max("version").over(ask), "_timed": F.count("_time").over(ask) == F.count(F.lit(1)).over(ask), "_latest": F.max("_time").over(ask)})
     ends = ends.filter(~F.col("_several") | ~F.col("_timed") | (F.col("_time") == F.col("_latest")))
     ends = ends.withColumn("_open", F.min("version").over(ask) != F.max("version").over(ask))
     basis = F.coalesce("basis", F.lit(""))  # none beside another one differs from it
-    unresolved = F.bool_or(F.col("currency").isNull() | ~F.col("state").eqNullSafe(F.lit("covered"))).over(ask)
-    reason = _first(ambiguous_filing_order=F.col("_open"), incompatible_reporting_basis=F.min(basis).over(ask) != F.max(basis).over(ask), unresolved_coverage=unresolved)
+    reason = _first(ambiguous_filing_order=F.col("_open"), incompatible_reporting_basis=F.min(basis).over(ask) != F.max(basis).over(ask), unresolved_coverage=F.bool_or("unresolved").over(ask))
     return ends.select("request", "coverage", "version", "filing", "filed", "basis", reason.alias("reason"))
 
 
@@ -180,13 +211,15 @@ def facts(requests: DataFrame, editions: DataFrame, e: Evidence) -> DataFrame:
 
     No resolution is missing, differing ones are ambiguous; a value from a capture that is not chosen is stale.
     """
-    asked = requests.select("request", "scope", "unit", "instrument", "chosen", F.explode("concepts").alias("concept"))
-    found = editions.select("request", "coverage").join(asked, "request").join(e.resolutions.withColumnRenamed("instrument", "_instrument"), ["coverage", "concept", "scope", "unit"])
-    found = found.filter(F.col("_instrument").eqNullSafe(F.col("instrument"))).join(e.observations.select("observation", F.col("capture"), "value"), "observation", "left")
+    of = editions.groupBy("request").agg(F.collect_set("coverage").alias("coverages"))
+    asked = stored(requests.select("request", "concepts", "scope", "unit", "instrument", "chosen").join(of, "request"), "asked").withColumn("concept", F.explode("concepts"))
+    found = asked.select("request", "concept", "scope", "unit", "instrument", "chosen", F.explode("coverages").alias("coverage")).join(reached(e.resolutions, editions, "coverage").withColumnRenamed("instrument", "_instrument"), ["coverage", "concept", "scope", "unit"])
+    found = stored(found.filter(F.col("_instrument").eqNullSafe(F.col("instrument"))).select("request", "concept", "chosen", "resolution", "status", "observation"), "found")
+    found = found.join(reached(e.observations.select("observation", "capture", "value"), found, "observation"), "observation", "left")
     sign = F.struct("status", "value", "observation")
     stale = F.col("observation").isNotNull() & ~F.coalesce(F.array_contains("chosen", F.col("capture")), F.lit(False))
     grouped = found.groupBy("request", "concept").agg(F.min(sign).alias("low"), F.max(sign).alias("high"), _any(stale).alias("stale"), F.array_sort(F.collect_set("resolution")).alias("resolutions"))
-    whole = asked.select("request", "concept").join(editions.select("request").distinct(), "request", "left_semi").join(grouped, ["request", "concept"], "left")
+    whole = asked.select("request", "concept").join(grouped, ["request", "concept"], "left")
     status = F.when(F.col("resolutions").isNull(), "missing").when(~F.col("low").eqNullSafe(F.col("high")), "ambiguous").when(F.col("stale"), "stale_source").otherwise(F.col("low.status"))
     return whole.select("request", "concept", status.alias("status"), F.when(status == "observed", F.col("low.value")).alias("value"), F.coalesce("resolutions", F.array().cast(grouped.schema["resolutions"].dataType)).alias("resolutions"))
 
@@ -205,7 +238,7 @@ def severe_quality(requests: DataFrame, found: DataFrame, e: Evidence) -> DataFr
 def taken_back(requests: DataFrame, editions: DataFrame, e: Evidence) -> DataFrame:
     """request and kind of the events, among those pinned, that take back the edition's filing for its period and concepts."""
     asked = _of(requests, "events", "event", F.col("issuer").alias("_issuer"), F.col("period").alias("_period"), "concepts", "filed_cutoff", "chosen")
-    kinds = e.events.filter(F.col("kind").isin(*TAKEN_BACK)).join(e.filings.select("version", F.col("metadata_capture").alias("capture")), "version")
+    kinds = sourced(e).events.filter(F.col("kind").isin(*TAKEN_BACK)).select("event", "issuer", "kind", "announced", F.col("metadata_capture").alias("capture"))
     met = asked.join(kinds, "event").filter((F.col("issuer") == F.col("_issuer")) & (F.col("filed_cutoff").isNull() | (F.col("announced") <= F.col("filed_cutoff"))))
     met = met.filter(F.array_contains("chosen", F.col("capture"))).join(e.event_scopes, "event")
     met = met.filter((F.col("period").isNull() | (F.col("period") == F.col("_period"))) & (F.col("concept").isNull() | F.array_contains("concepts", F.col("concept"))))
@@ -219,7 +252,9 @@ def read(requests: DataFrame, e: Evidence) -> DataFrame:
     instrument, mode, history_complete, filed_cutoff, captured_before, audited, allow_reviewed, and the lists
     concepts, batches, captures, events, quality.
     """
-    requests = stored(requests, "requests")
+    # numbers stand for requests, whatever names them, in all that moves in between
+    requests = stored(requests.withColumnRenamed("request", "_name").withColumn("request", F.monotonically_increasing_id()), "requests")
+    e = sourced(e)
     reasons = bundles(requests, e)
     good_requests = sound(requests, reasons)
     picked = stored(edition(covered(good_requests, e)), "editions")
@@ -229,7 +264,7 @@ def read(requests: DataFrame, e: Evidence) -> DataFrame:
     shown = held.groupBy("request").agg(F.array_sort(F.collect_list(F.struct("concept", "status", "value", "resolutions"))).alias("facts"), _any(F.col("status") == "ambiguous").alias("ambiguous"), _any(~F.col("status").isin("observed", "ambiguous")).alias("unresolved"))
     severe = severe_quality(good_requests, held, e).withColumn("severe", F.lit(True))
     events = taken_back(good_requests, good, e).groupBy("request").agg(F.collect_set("kind").alias("kinds"))
-    whole = requests.select("request", "concepts", "mode", "history_complete")
+    whole = requests.select("request", "_name", "concepts", "mode", "history_complete")
     for part in (reasons.drop("chosen"), summary, shown, severe, events):
         whole = whole.join(part, "request", "left")
     read_ = F.col("facts").isNotNull()
@@ -241,6 +276,6 @@ def read(requests: DataFrame, e: Evidence) -> DataFrame:
     codes = flags.union(codes, F.array("reason", "edition_reason"), F.when(read_, F.coalesce("kinds", nothing)).otherwise(nothing))
     kind = shown.schema["facts"].dataType.simpleString()
     absent = F.transform("concepts", lambda c: F.struct(c.alias("concept"), F.lit("unavailable").alias("status"), F.lit(None).alias("value"), F.array().alias("resolutions"))).cast(kind)
-    out = whole.select("request", codes.alias("flags"), "basis", "filed", F.coalesce("versions", F.array().cast(summary.schema["versions"].dataType)).alias("versions"), F.coalesce("facts", absent).alias("facts"))
+    out = whole.select(F.col("_name").alias("request"), codes.alias("flags"), "basis", "filed", F.coalesce("versions", F.array().cast(summary.schema["versions"].dataType)).alias("versions"), F.coalesce("facts", absent).alias("facts"))
     usable = (F.size(flags.blocking(F.col("flags"))) == 0) & F.forall("facts", lambda f: f["status"] == "observed")
     return out.withColumn("usable", usable)

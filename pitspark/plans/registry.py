@@ -65,6 +65,12 @@ class Data:
                 held[name] = f"parquet.`{path}`"
         return Data(self.spark, self.sf_dir, held)
 
+    def grouped(self, view: str, *by: str) -> Data:
+        """The same tables and views, with the rows of ``view`` dealt by some of its columns wherever it is read:
+        views that group its rows, and joins of these, by those columns and others move rows no further."""
+        lines = expanded(f"{{{view}}}", lambda t: f"parquet.`{self.sf_dir}/{t}.parquet`", self.held)
+        return Data(self.spark, self.sf_dir, self.held | {view: f"(select /*+ repartition({', '.join(by)}) */ * from {lines})"})
+
 
 def query(name: str, sql: str | None = None):
     """Registers a function of :class:`Data` under ``name``; ``sql`` is its oracle."""

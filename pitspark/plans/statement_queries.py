@@ -80,8 +80,9 @@ USABLE = "coalesce(whole, false) and len(list_filter(flags, lambda q: q not in (
 
 
 def evidence(t: Data) -> statements.Evidence:
-    names = ("batches", "inputs", "captures", "filings", "coverage", "resolutions", "observations", "events", "event_scopes", "quality")
-    return statements.Evidence(**{name: getattr(t, f"st_{name}") for name in names})
+    """Filings, their coverage and events are made of the lines of a version, so that lines move there once."""
+    names, by_version = ("batches", "inputs", "captures", "resolutions", "observations", "event_scopes", "quality"), t.grouped("st_lines", "version")
+    return statements.Evidence(**{name: getattr(t, f"st_{name}") for name in names}, **{name: getattr(by_version, f"st_{name}") for name in ("filings", "coverage", "events")})
 
 
 @query("J2_coverage_chain", READ + " select request, coverage, version, filed, currency, basis from c")
@@ -102,7 +103,7 @@ def j3(t: Data) -> DataFrame:
 
 @query("J5_event_scope", READ + " select request, kind from y where request in (select request from g where edition_reason is null)")
 def j5(t: Data) -> DataFrame:
-    requests, e = stored(t.st_requests, "requests"), evidence(t)
+    requests, e = stored(t.st_requests, "requests"), statements.sourced(evidence(t))
     sound = statements.sound(requests, statements.bundles(requests, e))
     editions = statements.edition(statements.covered(sound, e)).filter("reason is null")
     return statements.taken_back(sound, editions, e)
